@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup
+from strataframe.llm import exact_dedup, quality_rules, secret_scan
 from strataframe.llm._common import table
 
 
+def op4_secret_scan(spark, sf_dir):
+    return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+def op6_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
 QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
