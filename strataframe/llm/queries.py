@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup, quality_rules, secret_scan
-from strataframe.llm._common import table
+from pyspark.sql import functions as F
+
+from strataframe.llm import exact_dedup, langid, quality_classifier, quality_rules, secret_scan
+from strataframe.llm._common import id_crc_mod, table
+
+
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", F.coalesce(id_crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_secret_scan(spark, sf_dir):
@@ -14,13 +22,21 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(id_crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
