@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from strataframe.llm import exact_dedup, langid, quality_classifier, quality_rules, secret_scan
+from strataframe.llm import exact_dedup, langid, packing, quality_classifier, quality_rules, secret_scan
 from strataframe.llm._common import id_crc_mod, table
 
 
@@ -22,6 +23,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 def op8_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -36,6 +41,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
 }
