@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strataframe.llm import exact_dedup, langid, packing, quality_classifier, quality_rules, secret_scan
+from strataframe.llm import exact_dedup, langid, packing, quality_classifier, quality_rules, secret_scan, token_files
 from strataframe.llm._common import id_crc_mod, table
 
 
@@ -33,6 +33,10 @@ def op8_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(id_crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op9_token_files(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
