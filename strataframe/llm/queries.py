@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strataframe.llm import exact_dedup, langid, packing, quality_classifier, quality_rules, secret_scan, token_files
+from strataframe.llm import exact_dedup, jaccard_join, langid, packing, quality_classifier, quality_rules, secret_scan, token_files
 from strataframe.llm._common import id_crc_mod, table
 
 
@@ -23,6 +23,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -44,6 +48,7 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
