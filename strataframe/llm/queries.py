@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strataframe.llm import exact_dedup, jaccard_join, langid, packing, quality_classifier, quality_rules, secret_scan, token_files
+from strataframe.llm import exact_dedup, jaccard_join, langid, packing, pii, quality_classifier, quality_rules, secret_scan, token_files
 from strataframe.llm._common import id_crc_mod, table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -46,6 +50,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
