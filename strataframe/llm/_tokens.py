@@ -1,30 +1,35 @@
 """Encoding with a tokenizers file, remembering the chunks met before.
 
-Both kinds of file used here split a text into pre-tokens before merging, and
-no pre-token continues over a single space between two non-space characters.
-So a text may be cut there, and each distinct chunk needs the library once.
+Both kinds of file used here (byte-level pre-tokens, with or without a word
+end) split a text into pre-tokens before merging, and no pre-token reaches
+from a character that is no white space into one that is. So a text may be cut
+before every run of white space (and after a run that is one line feed), and
+each distinct chunk needs the library once. Chunks are found and hashed for a
+whole batch by numpy and looked up in an open-addressing table; a second hash
+and the length must agree too. An unseen chunk that begins with Latin letters
+is cut once more, after them, since a pre-token of letters ends there; its
+letters go straight to the file's merge model.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-_TWO_SPACES = re.compile(r"\s\s")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Chunks remembered by a worker; beyond them those met only once go.
-_CACHE = 800_000
-_held: dict[tuple, "ChunkEncoder"] = {}
+from strataframe.llm._common import text_buffer
 
-
-def chunks(text: str) -> list[str]:
-    """Pieces of ``text`` that tokenise on their own; their sum is ``text``."""
-    if "\x00" in text or _TWO_SPACES.search(text):
-        return _SAFE_CUT.split(text)
-    return text.replace(" ", "\x00 ").split("\x00")
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(|[\x21-\x40\x5b-\x60\x7b-\x7e].*)", re.S)
+#: Chunks remembered by a worker; beyond them it starts afresh.
+_CACHE = 1_500_000
+_U = np.uint64
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_held: dict[tuple, ChunkEncoder] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def encoder(path: str, end_id: int) -> ChunkEncoder:
@@ -34,104 +39,245 @@ def encoder(path: str, end_id: int) -> ChunkEncoder:
     return _held[path, end_id]
 
 
-class ChunkEncoder:
-    def __init__(self, path: str, end_id: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _powers_to(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of both bases and of their inverses."""
+    if not _powers or len(_powers[0][0]) < n:
+        made = []
+        for base in _BASES:
+            both = []
+            for b in (base, pow(base, -1, 1 << 64)):
+                p = np.full(max(n, 1 << 20), b, _U)
+                p[0] = 1
+                both.append(np.multiply.accumulate(p))
+            made.append(tuple(both))
+        _powers[:] = made
+    return _powers
+
+
+def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each byte range; ranges lie side by side or are empty."""
+    wide = raw.astype(_U)
+    wide += _U(1)
+    out = []
+    acc = np.zeros(len(raw) + 1, _U)
+    for power, inverse in _powers_to(len(raw) + 1):
+        np.cumsum(wide * power[: len(raw)], out=acc[1:])
+        h = (acc[end] - acc[start]) * inverse[start] + (end - start).astype(_U)
+        h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+        out.append(h ^ (h >> _U(29)))
+    return out[0], out[1]
+
+
+def _white(raw: np.ndarray) -> np.ndarray:
+    """Bytes that belong to a white-space character."""
+    ws = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    lead = np.flatnonzero((raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3)))
+    lead = lead[lead < len(raw) - 1]
+    if len(lead):
+        a, b = raw[lead], raw[lead + 1]
+        two = lead[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))]
+        lead = lead[lead < len(raw) - 2]
+        a, b, c = raw[lead], raw[lead + 1], raw[lead + 2]
+        three = lead[
+            ((a == 0xE1) & (b == 0x9A) & (c == 0x80))
+            | ((a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)))
+            | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
+            | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+        ]
+        for at, n in ((two, 2), (three, 3)):
+            for k in range(n):
+                ws[at + k] = True
+    return ws
 
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
-        self.end_id = end_id
-        self.sep, self.sep_id = self._separator()
-        self._clear()
 
-    def _separator(self) -> tuple[str | None, int]:
-        """A string that tokenises to one id of its own between any two chunks."""
-        alone = lambda t: self.lib.encode(t, add_special_tokens=False).ids
-        for sep in ("\t", "\t\x01\t"):
-            ids = alone("ab" + sep + " cd")
-            if len(ids) == len(alone("ab")) + 1 + len(alone(" cd")):
-                return sep, ids[len(alone("ab"))]
-        return None, -1
-
-    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks and how many each has; many chunks share a call.
-
-        ``new`` comes back reordered: chunks that can't be joined go last.
-        """
-        joins = [self.sep is not None and len(c) > 1 and "\t" not in c and "\x01" not in c and not c[-1].isspace() and not c[1].isspace() and (c[0] == " " or not c[0].isspace()) for c in new]
-        some = [c for c, j in zip(new, joins) if j]
-        rest = [c for c, j in zip(new, joins) if not j]
-        new[:] = some + rest
-        counts, parts = [], []
-        for lo in range(0, len(some), 4000):
-            group = some[lo : lo + 4000]
-            ids = np.array(self.lib.encode(self.sep.join(group), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.sep_id)
-            n = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
-            if len(n) != len(group):
-                raise AssertionError("a chunk holds the separator")
-            counts.append(n)
-            parts.append(np.delete(ids, cut))
-        got = [e.ids for e in self.lib.encode_batch(rest, add_special_tokens=False)]
-        counts.append(np.fromiter(map(len, got), np.int64, len(got)))
-        parts.append(np.fromiter(chain.from_iterable(got), np.uint32))
-        return np.concatenate(parts), np.concatenate(counts)
+def cut(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all chunks of a text buffer, and how many each text has."""
+    n = len(raw)
+    ws = _white(raw)
+    head = np.zeros(n + 1, bool)
+    head[1:n] = ws[1:] & ~ws[:-1]
+    head[off] = True  # texts never share a chunk; the last mark is the buffer's end
+    begins = head[:-1] | np.concatenate([[True], ~ws[:-1]])
+    lone = np.flatnonzero((raw == 10) & begins)  # a run that begins with a line feed
+    lone = lone[lone + 1 < n]
+    lone = lone[~ws[lone + 1] & ~head[lone + 1]]
+    head[lone + 1] = True
+    head[n] = False
+    start = np.flatnonzero(head)
+    return start, np.diff(np.searchsorted(start, off))
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level files write every byte as one printable character."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class ChunkTable:
+    """Ids of chunks, found by hash. Subclasses say how chunks are learnt and cut."""
+
+    end_ids: tuple[int, ...] = ()
+
+    def _learn(self, new: list[str], h: np.ndarray, check: np.ndarray) -> None:
+        raise NotImplementedError
+
+    def _cut(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return cut(raw, off)
+
+    def _buffer(self, col: pa.Array) -> tuple[bytes, np.ndarray]:
+        return text_buffer(col)
 
     def _clear(self) -> None:
-        self.known: dict[str | None, int] = {None: 0}
+        """Entry 0 is what ends a text; entries are found by slots of their first hash."""
+        self.size = 1
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.ids[0] = self.end_id
-        self.first = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.count[0] = 1
-        self.hits = np.zeros(1 << 14, np.int32)
-        self.used = 1
-
-    def _forget(self) -> None:
-        """Keep the chunks met twice or more, if they are few enough."""
-        kept = [(c, i) for c, i in self.known.items() if self.hits[i] > 1 and c is not None]
-        if len(kept) > _CACHE // 2:
-            return self._clear()
-        old_ids, old = self.ids, np.array([i for _, i in kept], np.int64)
-        first, count = self.first[old], self.count[old]
-        self._clear()
-        self._add([c for c, _ in kept], old_ids[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))], count)
+        self.used = len(self.end_ids)
+        self.ids[: self.used] = self.end_ids
+        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.count[0] = self.used
+        self.key, self.check = np.zeros(1 << 14, _U), np.zeros(1 << 14, _U)
+        self.slots = np.zeros(1 << 16, np.int32)
 
-    def _learn(self, new: list[str]) -> None:
-        ids, n = self._encode_new(new)
-        self._add(new, ids, n)
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entry of each chunk, or -1."""
+        mask = _U(len(self.slots) - 1)
+        slot = (h & mask).view(np.int64)
+        out = self.slots.take(slot)
+        good = (self.key.take(out) == h) & (self.check.take(out) == check) & (out > 0)
+        left = np.flatnonzero(~good & (out > 0))
+        out[out == 0] = -1
+        while len(left):
+            slot[left] = (slot[left] + 1) & int(mask)
+            e = self.slots.take(slot[left])
+            hit = (self.key.take(e) == h[left]) & (self.check.take(e) == check[left])
+            done = hit | (e == 0)
+            out[left[done]] = np.where(e[done] == 0, -1, e[done])
+            left = left[~done]
+        return out
 
-    def _add(self, new: list[str], flat: np.ndarray, n: np.ndarray) -> None:
-        at, end = len(self.known), self.used + len(flat)
+    def _place(self, entries: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        slot = (self.key[entries] & _U(mask)).view(np.int64)
+        while len(entries):
+            free = np.flatnonzero(self.slots[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.slots[slot[won]] = entries[won]
+            keep = np.ones(len(entries), bool)
+            keep[won] = False
+            entries, slot = entries[keep], (slot[keep] + 1) & mask
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        count = self.count[at]
+        ends = np.cumsum(count, dtype=np.int64)
+        where = np.repeat(self.first[at] - (ends - count), count)
+        where += np.arange(len(where))
+        return self.ids[where]
+
+    def _add(self, h: np.ndarray, check: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        at, size, end = self.size, self.size + len(h), self.used + len(flat)
         if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.uint32)])
-        if at + len(new) > len(self.first):
-            more = np.zeros(max(at + len(new), len(self.first)), np.int64)
-            self.first, self.count = np.concatenate([self.first, more]), np.concatenate([self.count, more])
-            self.hits = np.concatenate([self.hits, more.astype(np.int32)])
+            self.ids = np.concatenate([self.ids, np.zeros(max(end - len(self.ids), len(self.ids) // 2), np.uint32)])
+        if size > len(self.first):
+            more = max(size - len(self.first), len(self.first) // 2)
+            for name in ("first", "count", "key", "check"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros(more, old.dtype)]))
         self.ids[self.used : end] = flat
-        self.first[at : at + len(new)] = self.used + np.cumsum(n) - n
-        self.count[at : at + len(new)] = n
-        self.used = end
-        self.known.update(zip(new, range(at, at + len(new))))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by the end id, and how many each text has."""
-        if len(self.known) > _CACHE:
-            self._forget()
-        parts = [[*chunks(t), None] if t else [None] for t in texts]
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = list(chain.from_iterable(parts))
-        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        self.first[at:size] = self.used + np.cumsum(n) - n
+        self.count[at:size], self.key[at:size], self.check[at:size] = n, h, check
+        self.size, self.used = size, end
+        if 2 * size > len(self.slots):
+            self.slots = np.zeros(1 << (4 * size).bit_length(), np.int32)
+            self._place(np.arange(1, size, dtype=np.int32))
+        else:
+            self._place(np.arange(at, size, dtype=np.int32))
+
+    def _strings(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = [t.encode() for t in texts]
+        end = np.cumsum([len(d) for d in data], dtype=np.int64)
+        start = np.concatenate([[0], end[:-1]]).astype(np.int64)
+        return _hashes(np.frombuffer(b"".join(data), np.uint8), start, end)
+
+    def _unknown(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        h, check = self._strings(texts)
+        new = np.flatnonzero(self._find(h, check) < 0)
+        return [texts[i] for i in new.tolist()], h[new], check[new]
+
+    def encode_column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end ids, and how many each text has."""
+        if self.size > _CACHE:
+            self._clear()
+        data, off = self._buffer(col)
+        docs = len(off) - 1
+        raw = np.frombuffer(data, np.uint8)
+        start, n = self._cut(raw, off) if len(raw) else (np.zeros(0, np.int64), np.zeros(docs, np.int64))
+        end = np.append(start[1:], len(raw))
+        h, check = _hashes(raw, start, end)
+        at = self._find(h, check)
         miss = np.flatnonzero(at < 0)
         if len(miss):
-            self._learn(list(dict.fromkeys(flat[i] for i in miss.tolist())))
-            at[miss] = [self.known[flat[i]] for i in miss.tolist()]
-        self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known)).astype(np.int32)
-        count = self.count[at]
-        total = np.add.reduceat(count, np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
-        ends = np.cumsum(count)
-        where = np.repeat(self.first[at] - (ends - count), count)
-        where += np.arange(len(where))
-        return self.ids[where], total
+            _, one = np.unique(h[miss], return_index=True)
+            new = miss[one]
+            self._learn([data[i:j].decode() for i, j in zip(start[new].tolist(), end[new].tolist())], h[new], check[new])
+            at[miss] = self._find(h[miss], check[miss])
+        all_at = np.zeros(len(at) + docs, np.int32)  # entry 0 after each text's chunks
+        all_at[np.arange(len(at)) + np.repeat(np.arange(docs), n)] = at
+        count = self.count[all_at]
+        total = np.diff(np.cumsum(count, dtype=np.int64)[np.cumsum(n + 1) - 1], prepend=0)
+        return self._gather(all_at), total
+
+
+class ChunkEncoder(ChunkTable):
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.lib.encode_special_tokens = True
+        self.end_ids = (end_id,)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec["normalizer"] or {"normalizers": []}).get("normalizers", [])
+        self.lower = any(x["type"] == "Lowercase" for x in steps)
+        self.words = None
+        if spec["model"]["type"] == "BPE" and "ByteLevel" in json.dumps(spec["pre_tokenizer"]) and all(x["type"] in ("NFC", "Replace", "Lowercase") for x in steps):
+            spec |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}}
+            self.words = Tokenizer.from_str(json.dumps(spec))
+            self.letters = _byte_letters() | {10: "\n"}
+        self._clear()
+
+    def _learn_words(self, new: list[str], h: np.ndarray, check: np.ndarray) -> None:
+        """Chunks of letters, each one pre-token: only the merges are left to do."""
+        for lo in range(0, len(new), 4000):
+            group = new[lo : lo + 4000]
+            text = "\n".join(group)
+            if self.lower:
+                text = text.replace(" ", "").lower()
+            got = self.words.encode(text.encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
+            self._add(h[lo : lo + 4000], check[lo : lo + 4000], np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids), minlength=len(group)))
+
+    def _learn_whole(self, new: list[str], h: np.ndarray, check: np.ndarray) -> None:
+        got = [e.ids for e in self.lib.encode_batch(new, add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        self._add(h, check, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n)
+
+    def _learn(self, new: list[str], h: np.ndarray, check: np.ndarray) -> None:
+        if self.words is None:
+            return self._learn_whole(new, h, check)
+        found = [_WORD.fullmatch(c) for c in new]
+        alone = [i for i, m in enumerate(found) if m is None]
+        simple = [i for i, m in enumerate(found) if m is not None and not m[2]]
+        joint = [i for i, m in enumerate(found) if m is not None and m[2]]
+        self._learn_words([new[i] for i in simple], h[simple], check[simple])
+        self._learn_whole([new[i] for i in alone], h[alone], check[alone])
+        if joint:
+            words, rests = [found[i][1] for i in joint], [found[i][2] for i in joint]
+            self._learn_words(*self._unknown(list(dict.fromkeys(words))))
+            self._learn_whole(*self._unknown(list(dict.fromkeys(rests))))
+            pairs = np.stack([self._find(*self._strings(words)), self._find(*self._strings(rests))], axis=1)
+            todo = np.flatnonzero(self._find(h[joint], check[joint]) < 0)  # a word and its rest may be a rest themselves
+            pairs = pairs[todo]
+            joint = np.array(joint)[todo]
+            self._add(h[joint], check[joint], self._gather(pairs.reshape(-1)), self.count[pairs].sum(axis=1))

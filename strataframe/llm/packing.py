@@ -43,9 +43,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     def run(batches):
         enc = encoder(tokenizer, end_id)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
-                ids, n = enc.encode(b.column(1).to_pylist())
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                ids, n = enc.encode_column(b.column(1))
                 cuts = -(-n // capacity)
                 row = np.repeat(np.arange(len(n)), cuts)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
