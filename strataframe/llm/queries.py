@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from strataframe.llm import exact_dedup, jaccard_join, langid, packing, pii, quality_classifier, quality_rules, secret_scan, token_files
+from strataframe.llm import exact_dedup, jaccard_join, langid, packing, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, token_files
 from strataframe.llm._common import id_crc_mod, table
 
 
@@ -13,6 +13,10 @@ def op1_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op2_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -51,6 +55,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
