@@ -1,23 +1,51 @@
-"""Corpus pipeline: stages applied one after another to ``documents``."""
+"""Corpus pipeline: five stages applied one after another to ``documents``.
+
+Every stage but the last returns rows with the columns of ``documents``; the
+last returns the packed pieces of what the others kept.
+"""
 
 from __future__ import annotations
 
-from strataframe.llm import exact_dedup
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from strataframe.llm import exact_dedup, jaccard_join, langid, packing, pii
 from strataframe.llm._common import stage_table, table
 
 
-def exact(spark, docs, sf_dir):
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found stay."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the largest doc_id stays."""
     return exact_dedup.keep_owners(docs, keep="max")
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return jaccard_join.keep_one_per_class(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to the name of its kind."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("jaccard_join", near), ("pii", private), ("best_fit_packing", packed)]
+
+#: The tokenizer, the LSH forest and the fitted models have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage_table(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
