@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from itertools import chain
 
 import numpy as np
@@ -23,9 +22,13 @@ import pyarrow as pa
 
 from strataframe.llm._common import text_buffer
 
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(|[\x21-\x40\x5b-\x60\x7b-\x7e].*)", re.S)
-#: Chunks remembered by a worker; beyond them it starts afresh.
-_CACHE = 1_500_000
+_LETTER = np.zeros(256, bool)
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+#: Bytes that may follow a word cut off a chunk: printable ASCII that is no letter.
+_AFTER = np.zeros(256, bool)
+_AFTER[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+#: Chunks remembered by a worker; beyond them those met in one batch only go.
+_CACHE = 1_000_000
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _held: dict[tuple, ChunkEncoder] = {}
@@ -119,7 +122,8 @@ class ChunkTable:
 
     end_ids: tuple[int, ...] = ()
 
-    def _learn(self, new: list[str], h: np.ndarray, check: np.ndarray) -> None:
+    def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
+        """Add the chunks data[start : end], which differ from each other."""
         raise NotImplementedError
 
     def _cut(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +141,19 @@ class ChunkTable:
         self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.count[0] = self.used
         self.key, self.check = np.zeros(1 << 14, _U), np.zeros(1 << 14, _U)
+        self.again = np.zeros(1 << 14, bool)
         self.slots = np.zeros(1 << 16, np.int32)
 
+    def _forget(self) -> None:
+        """Keep the chunks found again after they were learnt, if they are few enough."""
+        kept = np.flatnonzero(self.again[: self.size])
+        kept = kept[kept > 0]
+        if len(kept) > _CACHE * 3 // 4:
+            return self._clear()
+        old = self.key[kept], self.check[kept], self._gather(kept), self.count[kept].astype(np.int64)
+        self._clear()
+        self._add(*old)
+
     def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Entry of each chunk, or -1."""
         mask = _U(len(self.slots) - 1)
@@ -181,7 +196,7 @@ class ChunkTable:
             self.ids = np.concatenate([self.ids, np.zeros(max(end - len(self.ids), len(self.ids) // 2), np.uint32)])
         if size > len(self.first):
             more = max(size - len(self.first), len(self.first) // 2)
-            for name in ("first", "count", "key", "check"):
+            for name in ("first", "count", "key", "check", "again"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros(more, old.dtype)]))
         self.ids[self.used : end] = flat
@@ -194,21 +209,10 @@ class ChunkTable:
         else:
             self._place(np.arange(at, size, dtype=np.int32))
 
-    def _strings(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        data = [t.encode() for t in texts]
-        end = np.cumsum([len(d) for d in data], dtype=np.int64)
-        start = np.concatenate([[0], end[:-1]]).astype(np.int64)
-        return _hashes(np.frombuffer(b"".join(data), np.uint8), start, end)
-
-    def _unknown(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        h, check = self._strings(texts)
-        new = np.flatnonzero(self._find(h, check) < 0)
-        return [texts[i] for i in new.tolist()], h[new], check[new]
-
     def encode_column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end ids, and how many each text has."""
         if self.size > _CACHE:
-            self._clear()
+            self._forget()
         data, off = self._buffer(col)
         docs = len(off) - 1
         raw = np.frombuffer(data, np.uint8)
@@ -216,11 +220,12 @@ class ChunkTable:
         end = np.append(start[1:], len(raw))
         h, check = _hashes(raw, start, end)
         at = self._find(h, check)
+        self.again[at[at > 0]] = True
         miss = np.flatnonzero(at < 0)
         if len(miss):
             _, one = np.unique(h[miss], return_index=True)
             new = miss[one]
-            self._learn([data[i:j].decode() for i, j in zip(start[new].tolist(), end[new].tolist())], h[new], check[new])
+            self._learn(data, start[new], end[new], h[new], check[new])
             at[miss] = self._find(h[miss], check[miss])
         all_at = np.zeros(len(at) + docs, np.int32)  # entry 0 after each text's chunks
         all_at[np.arange(len(at)) + np.repeat(np.arange(docs), n)] = at
@@ -245,39 +250,67 @@ class ChunkEncoder(ChunkTable):
         if spec["model"]["type"] == "BPE" and "ByteLevel" in json.dumps(spec["pre_tokenizer"]) and all(x["type"] in ("NFC", "Replace", "Lowercase") for x in steps):
             spec |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}}
             self.words = Tokenizer.from_str(json.dumps(spec))
-            self.letters = _byte_letters() | {10: "\n"}
+            self.letters = np.array([ord(c) for _, c in sorted(_byte_letters().items())], np.uint16)
         self._clear()
 
-    def _learn_words(self, new: list[str], h: np.ndarray, check: np.ndarray) -> None:
+    def _learn_words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
         """Chunks of letters, each one pre-token: only the merges are left to do."""
-        for lo in range(0, len(new), 4000):
-            group = new[lo : lo + 4000]
-            text = "\n".join(group)
+        for lo in range(0, len(start), 4000):
+            s, e = start[lo : lo + 4000], end[lo : lo + 4000]
             if self.lower:
-                text = text.replace(" ", "").lower()
-            got = self.words.encode(text.encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
-            self._add(h[lo : lo + 4000], check[lo : lo + 4000], np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids), minlength=len(group)))
-
-    def _learn_whole(self, new: list[str], h: np.ndarray, check: np.ndarray) -> None:
-        got = [e.ids for e in self.lib.encode_batch(new, add_special_tokens=False)]
+                s = s + (raw[s] == 32)
+            size = e - s + 1  # with a line feed between
+            ends = np.cumsum(size)
+            at = np.repeat(s - (ends - size), size) + np.arange(int(ends[-1]))
+            text = raw[np.minimum(at, len(raw) - 1)]
+            if self.lower:
+                big = ((text >= 65) & (text <= 90)) | ((text >= 0x80) & (text <= 0x9E) & (np.concatenate([[0], text[:-1]]) == 0xC3))
+                text = text + (big.view(np.uint8) << 5)
+            shown = self.letters[text]
+            shown[ends - 1] = 10
+            got = self.words.encode(shown[:-1].tobytes().decode("utf-16-le"), add_special_tokens=False)
+            self._add(h[lo : lo + 4000], check[lo : lo + 4000], np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids), minlength=len(s)))
+
+    def _learn_whole(self, data: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
+        got = [e.ids for e in self.lib.encode_batch([data[i:j].decode() for i, j in zip(start.tolist(), end.tolist())], add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
         self._add(h, check, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n)
 
-    def _learn(self, new: list[str], h: np.ndarray, check: np.ndarray) -> None:
+    def _unknown(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """The distinct ranges that are not entries yet, with their hashes; and the hashes of all."""
+        h, check = _hashes(raw, start, end)
+        _, one = np.unique(h, return_index=True)
+        new = one[self._find(h[one], check[one]) < 0]
+        return (start[new], end[new], h[new], check[new]), h, check
+
+    def _learn(self, data, start, end, h, check) -> None:
         if self.words is None:
-            return self._learn_whole(new, h, check)
-        found = [_WORD.fullmatch(c) for c in new]
-        alone = [i for i, m in enumerate(found) if m is None]
-        simple = [i for i, m in enumerate(found) if m is not None and not m[2]]
-        joint = [i for i, m in enumerate(found) if m is not None and m[2]]
-        self._learn_words([new[i] for i in simple], h[simple], check[simple])
-        self._learn_whole([new[i] for i in alone], h[alone], check[alone])
-        if joint:
-            words, rests = [found[i][1] for i in joint], [found[i][2] for i in joint]
-            self._learn_words(*self._unknown(list(dict.fromkeys(words))))
-            self._learn_whole(*self._unknown(list(dict.fromkeys(rests))))
-            pairs = np.stack([self._find(*self._strings(words)), self._find(*self._strings(rests))], axis=1)
-            todo = np.flatnonzero(self._find(h[joint], check[joint]) < 0)  # a word and its rest may be a rest themselves
-            pairs = pairs[todo]
-            joint = np.array(joint)[todo]
-            self._add(h[joint], check[joint], self._gather(pairs.reshape(-1)), self.count[pairs].sum(axis=1))
+            return self._learn_whole(data, start, end, h, check)
+        raw = np.frombuffer(data, np.uint8)
+        size = end - start
+        ends = np.cumsum(size)
+        at = np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))
+        body = raw[at]
+        letter = _LETTER[body]
+        wide = np.flatnonzero(body[:-1] == 0xC3)
+        wide = wide[(body[wide + 1] >= 0x80) & (body[wide + 1] <= 0xBF) & (body[wide + 1] != 0x97) & (body[wide + 1] != 0xB7)]
+        letter[wide] = letter[wide + 1] = True
+        heads = ends - size
+        spaced = (body[heads] == 32).astype(np.int64)
+        letter[heads[spaced > 0]] = True
+        stop = start + np.minimum.reduceat(np.where(letter, len(body), np.arange(len(body))), heads).clip(max=ends) - heads
+        worded = stop - start > spaced
+        simple = worded & (stop == end)
+        joint = worded & ~simple & _AFTER[raw[np.minimum(stop, len(raw) - 1)]]
+        alone = ~(simple | joint)
+        self._learn_words(raw, start[simple], end[simple], h[simple], check[simple])
+        self._learn_whole(data, start[alone], end[alone], h[alone], check[alone])
+        if joint.any():
+            start, stop, end, h, check = (x[joint] for x in (start, stop, end, h, check))
+            words, word_h, word_check = self._unknown(raw, start, stop)
+            self._learn_words(raw, *words)
+            rests, rest_h, rest_check = self._unknown(raw, stop, end)
+            self._learn_whole(data, *rests)
+            todo = np.flatnonzero(self._find(h, check) < 0)  # a word and its rest may be a rest themselves
+            pairs = np.stack([self._find(word_h[todo], word_check[todo]), self._find(rest_h[todo], rest_check[todo])], axis=1)
+            self._add(h[todo], check[todo], self._gather(pairs.reshape(-1)), self.count[pairs].sum(axis=1))

@@ -41,42 +41,64 @@ _NULL = np.iinfo(np.int64).min
 _U = np.uint64
 _TOP = _U(1 << 32)
 
-# Share (of 256) that a prediction gets by its confidence, order 1 and order 2.
-_SHARE1 = np.array([0, 10, 22, 36, 50, 64, 78, 92], np.uint64)
-_SHARE2 = np.array([0, 20, 44, 64, 84, 100, 114, 126], np.uint64)
-# Next confidence: after a miss (first 8) and after a hit (last 8).
-_NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int64)
-_S1, _S2 = 9, 10  # log2 of the contexts a lane remembers
+# Share (of 256) that a prediction gets by its confidence, order 1 and order 2,
+# for four levels of the order's recent success.
+_LEVELS = np.array([[0.4], [0.7], [0.95], [1.15]])
+_SHARE1 = (_LEVELS * [0, 10, 22, 36, 50, 64, 78, 92]).astype(np.uint64).reshape(-1)
+_SHARE2 = (_LEVELS * [0, 20, 44, 64, 84, 100, 114, 126]).astype(np.uint64).reshape(-1)
+# By confidence after a miss (first 8) and a hit (last 8): the next one, and whether the prediction stays.
+_NEXT = (np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7]) << 24).astype(np.int32)
+_STAYS = np.array([0, 0, 0, 1, 1, 1, 1, 1] + [1] * 8, bool)
+_S1, _S2 = 8, 9  # log2 of the contexts a lane remembers
+_EVERY = 4  # steps between two updates of the success levels
+
+
+class _Order:
+    """What one context order of every lane predicts."""
+
+    def __init__(self, lanes: int, bits: int, share: np.ndarray):
+        self.table, self.base, self.mask = np.zeros(lanes << bits, np.int32), np.arange(lanes) << bits, (1 << bits) - 1
+        self.share, self.rate, self.level = share, np.full(lanes, 128, np.int32), np.full(lanes, 16, np.int32)
+
+    def look(self, context: np.ndarray) -> np.ndarray:
+        context &= self.mask
+        context += self.base
+        self.at = context
+        e = self.table.take(context)
+        self.guess = e & 0xFFFFFF
+        self.conf = e >> 24
+        return self.share.take(self.conf + self.level)
+
+    def learn(self, s: np.ndarray, adapt: bool) -> None:
+        hit = self.guess == s
+        k = self.conf + (hit.view(np.int8) << 3)
+        self.table[self.at] = np.where(_STAYS.take(k), self.guess, s) | _NEXT.take(k)
+        if adapt:
+            self.rate += ((hit * np.int32(255)) - self.rate >> 3) * (self.conf > 0)
+            self.level = self.rate >> 6 << 3
 
 
 class _Mixer:
     """The adaptive predictions of all lanes; the same on both sides."""
 
     def __init__(self, lanes: int):
-        self.t1, self.t2 = np.zeros(lanes << _S1, np.int32), np.zeros(lanes << _S2, np.int32)
-        self.base1, self.base2 = np.arange(lanes) << _S1, np.arange(lanes) << _S2
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.rate1, self.rate2 = np.full(lanes, 128, np.int64), np.full(lanes, 128, np.int64)
+        self.one, self.two = _Order(lanes, _S1, _SHARE1), _Order(lanes, _S2, _SHARE2)
+        self.last = self.before = np.zeros(lanes, np.int64)
+        self.step = 0
 
     def predict(self):
-        """Predicted ids of orders 2 and 1 and their shares of the range."""
+        """Shares of the range for the ids that orders 2 and 1 predict."""
         a = self.last * 40503
-        self.h1 = (a >> 6 & ((1 << _S1) - 1)) + self.base1
-        self.h2 = (((a ^ self.before * 60493) >> 5) & ((1 << _S2) - 1)) + self.base2
-        e1, e2 = self.t1.take(self.h1), self.t2.take(self.h2)
-        self.p1, self.c1 = e1 & 0xFFFFFF, e1 >> 24
-        self.p2, self.c2 = e2 & 0xFFFFFF, e2 >> 24
-        f2 = _SHARE2.take(self.c2) * (self.rate2 + 64).view(_U) >> _U(8)
-        f1 = _SHARE1.take(self.c1) * (self.rate1 + 64).view(_U) >> _U(8)
-        f1 *= (self.p1 != self.p2) | (f2 == 0)
+        f2 = self.two.look((a ^ self.before * 60493) >> 5)
+        f1 = self.one.look(a >> 6)
+        f1 *= (self.one.guess != self.two.guess) | (f2 == 0)
         return f2, f1
 
     def update(self, s: np.ndarray) -> None:
-        for table, h, p, c, rate in ((self.t1, self.h1, self.p1, self.c1, self.rate1), (self.t2, self.h2, self.p2, self.c2, self.rate2)):
-            hit = p == s
-            table[h] = np.where(hit | (c > 2), p, s) | (_NEXT.take(c + 8 * hit) << 24)
-            rate += (hit * 192 - rate >> 4) * (c > 0)
+        self.step += 1
+        adapt = self.step % _EVERY == 0
+        self.one.learn(s, adapt)
+        self.two.learn(s, adapt)
         self.before, self.last = self.last, s
 
 
@@ -104,8 +126,8 @@ def _code(steps: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, n
         f0 = _U(256) - used
         start = (used << pb) + cum64.take(s) * f0
         size = freq64.take(s) * f0
-        in1 = (mix.p1 == s) & (f1 > 0)
-        in2 = (mix.p2 == s) & (f2 > 0)
+        in1 = (mix.one.guess == s) & (f1 > 0)
+        in2 = (mix.two.guess == s) & (f2 > 0)
         np.copyto(start, f2 << pb, where=in1)
         np.copyto(size, f1 << pb, where=in1)
         np.copyto(start, _U(0), where=in2)
@@ -160,10 +182,10 @@ def _decode(words: np.ndarray, sizes: np.ndarray, n: int, freq: np.ndarray, bits
         start = z1 + cum64.take(s) * f0
         size = freq64.take(s) * f0
         in1 = ~(in0 | in2)
-        np.copyto(s, mix.p1, where=in1)
+        np.copyto(s, mix.one.guess, where=in1)
         np.copyto(start, z2, where=in1)
         np.copyto(size, f1 << pb, where=in1)
-        np.copyto(s, mix.p2, where=in2)
+        np.copyto(s, mix.two.guess, where=in2)
         np.copyto(start, _U(0), where=in2)
         np.copyto(size, z2, where=in2)
         code -= r * start
