@@ -49,7 +49,7 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q
 def top_k(df: DataFrame, per: str, k: int, *order: Column) -> DataFrame:
     """The first k rows of each group with their rank; Spark limits groups before the shuffle."""
     w = Window.partitionBy(per).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 #: Query vectors a batch may hold; they go to every task.
@@ -112,7 +112,7 @@ def boost(df: DataFrame, q_key: str, score: str, standard: Column, year: Column,
 
 def tiers(df: DataFrame, q_key: str, keys: list[Column], tie: Column) -> DataFrame:
     """Rank by several descending keys, then one ascending."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(q_key).orderBy(*[k.desc() for k in keys], tie.asc())))
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(q_key).orderBy(*[k.desc() for k in keys], tie.asc())).cast("long"))
 
 
 def min_max(df: DataFrame, per: str, score: str) -> DataFrame:

@@ -91,7 +91,7 @@ def table_counts(tables: dict[str, DataFrame | None]) -> DataFrame:
 
 def counts_with_total(df: DataFrame, by: str) -> DataFrame:
     """Counts of each value and, in the row with NULL, of all."""
-    return df.rollup(by).agg(F.count("*").alias("n"), F.grouping(by).alias("is_total"))
+    return df.rollup(by).agg(F.count("*").alias("n"), F.grouping(by).cast("long").alias("is_total"))
 
 
 def marginals(df: DataFrame, *dims: str) -> DataFrame:

@@ -142,7 +142,7 @@ def _(t):
 @query("w14_version_order", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderdate, o_orderkey) AS version FROM orders")
 def _(t):
     w = Window.partitionBy("o_custkey").orderBy(F.year("o_orderdate"), "o_orderdate", "o_orderkey")
-    return t("orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("version"))
+    return t("orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("version"))
 
 
 @query("w15_candidate_rank", "SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY CASE WHEN p_size >= 35 THEN 3 WHEN p_size >= 20 THEN 2 ELSE 1 END DESC, p_retailprice DESC, p_partkey) AS rank FROM part")
@@ -154,7 +154,7 @@ def _(t):
 @query("w16_priority_queue", "SELECT event_id, CAST(user_id % 6 AS INT) AS priority, row_number() OVER (PARTITION BY user_id % 6 ORDER BY ts, event_id) AS place FROM events")
 def _(t):
     p = (F.col("user_id") % 6).cast("int")
-    return t("events").select("event_id", p.alias("priority"), F.row_number().over(Window.partitionBy(p).orderBy("ts", "event_id")).alias("place"))
+    return t("events").select("event_id", p.alias("priority"), F.row_number().over(Window.partitionBy(p).orderBy("ts", "event_id")).cast("long").alias("place"))
 
 
 @query("w17_newest_first", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")

@@ -1 +1,295 @@
-"""Queries."""
+"""Rule queries: parts stand for products and requirements, events for sources and jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from strataframe.functions import text as X
+from strataframe.operators import joins
+from strataframe.operators import retrieval as R
+from strataframe.operators import rules as D
+from strataframe.plans import query
+from strataframe.streaming import state as ST
+
+
+@query("f18_rights_case", """
+    SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'PUBLIC' WHEN event_type = 'view' THEN 'LICENSED' ELSE 'UNKNOWN' END AS license,
+    event_type IN ('purchase', 'signup') AS can_reproduce, event_type IN ('purchase', 'signup', 'view') AS can_index FROM events""")
+def _(t):
+    kind = F.when(F.col("event_type") == "purchase", "GAZETTE").when(F.col("event_type") == "signup", "MANUAL").when(F.col("event_type") == "view", "STANDARD").otherwise("OTHER")
+    return t("events").select("event_id", D.rights(F.lit("example.org"), kind).alias("r")).select("event_id", "r.*")
+
+
+@query("f19_access_case", """
+    SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'RESTRICTED' WHEN event_id % 10 = 1 THEN 'UNKNOWN' WHEN event_type = 'view' THEN 'LICENSED' WHEN value > 50 THEN 'PUBLIC' ELSE 'UNKNOWN' END AS rights,
+    CASE WHEN event_id % 10 IN (0, 1) THEN 'BLOCKED' WHEN event_type = 'view' THEN 'METADATA_ONLY' WHEN value > 50 THEN 'ALLOWED' ELSE 'REVIEW' END AS status FROM events""")
+def _(t):
+    url = F.when(F.col("event_id") % 10 == 1, "ftp://x").otherwise("https://x")
+    a = D.access(F.when(F.col("event_type") == "view", "STANDARD").otherwise("OTHER"), F.coalesce(F.col("value") > 50, F.lit(False)), F.col("event_id") % 10 != 0, url)
+    return t("events").select("event_id", a.alias("a")).select("event_id", "a.rights", "a.status")
+
+
+@query("f20_priority_case", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 2 WHEN 'click' THEN 4 ELSE 5 END AS priority FROM events")
+def _(t):
+    text = F.when(F.col("event_type") == "purchase", "A Quality Control order").when(F.col("event_type") == "view", "Indian Standard").when(F.col("event_type") == "click", "Public notice").otherwise("other")
+    return t("events").select("event_id", D.priority(text).alias("priority"))
+
+
+@query("f21_quality_gate", "SELECT doc_id, n_chars > 200 AND lang IN ('en', 'fr') AND length(text) = n_chars AS passes FROM documents")
+def _(t):
+    return t("documents").select("doc_id", ((F.col("n_chars") > 200) & F.col("lang").isin("en", "fr") & (F.length("text") == F.col("n_chars"))).alias("passes"))
+
+
+@query("a06_group_by_standard", "SELECT source, count(DISTINCT sha256(text)) AS n_unique, min(doc_id) AS first_doc, arg_min(lang, doc_id) AS lang FROM documents GROUP BY 1")
+def _(t):
+    d = t("documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("h"))
+    return d.groupBy("source").agg(F.count_distinct("h").alias("n_unique"), F.min("doc_id").alias("first_doc"), F.min_by("lang", "doc_id").alias("lang"))
+
+
+_TYPES = "a AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), b AS (SELECT p_type AS kind, unnest(string_split(lower(min(p_name)), ' ')) AS w FROM part GROUP BY p_type)"
+
+
+def _overlap(t):
+    left = t("part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("words"))
+    right = t("part").groupBy(F.col("p_type").alias("kind")).agg(F.split(F.lower(F.min("p_name")), " ").alias("k_words"))
+    return joins.token_overlap(left, "p_partkey", "words", right, "kind", "k_words")
+
+
+@query("j12_ranked_fuzzy_match", f"WITH {_TYPES}, o AS (SELECT p_partkey, kind, count(DISTINCT a.w) AS n FROM a JOIN b USING (w) GROUP BY 1, 2) SELECT p_partkey, arg_min(kind, (-n, kind)) AS kind, CAST(max(n) AS DOUBLE) AS score FROM o GROUP BY 1")
+def _(t):
+    pairs = _overlap(t)
+    return D.best_match(pairs, "p_partkey", pairs, "kind", F.col("overlap").cast("double"), 1.0)
+
+
+@query("j13_fuzzy_fanout", f"WITH {_TYPES}, o AS (SELECT DISTINCT p_partkey, kind FROM a JOIN b USING (w)) SELECT p_partkey, coalesce(kind, 'GAP') AS kind FROM part LEFT JOIN o USING (p_partkey)")
+def _(t):
+    return t("part").select("p_partkey").join(_overlap(t).select("p_partkey", "kind"), "p_partkey", "left").select("p_partkey", F.coalesce("kind", F.lit("GAP")).alias("kind"))
+
+
+_EV = """e AS (SELECT l_partkey AS k, l_quantity AS v, CASE l_returnflag WHEN 'R' THEN 'FAIL' WHEN 'A' THEN 'PASS' END AS verdict, l_tax > 0.06 AS expired, l_discount > 0.02 AS identified FROM lineitem WHERE l_quantity > 20),
+    g AS (SELECT k, bool_or(verdict = 'PASS') AS p, bool_or(verdict = 'FAIL') AS f, max(v) AS hi, min(v) AS lo, count(v) AS c, bool_and(expired) AS x, bool_and(NOT identified) AS u FROM e GROUP BY 1),
+    st AS (SELECT k, CASE WHEN p AND f THEN 'CONFLICTING' WHEN c >= 2 AND hi > 1.15 * lo THEN 'CONFLICTING' WHEN x THEN 'EXPIRED' WHEN u THEN 'UNVERIFIED' WHEN f THEN 'MISMATCH' WHEN p THEN 'SUPPORTED' ELSE 'PARTIAL' END AS status FROM g)"""
+
+
+def _evidence(t):
+    e = t("lineitem").filter("l_quantity > 20").withColumn("verdict", F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "PASS"))
+    return D.evidence_status(e, "l_partkey", "l_quantity", "verdict", F.col("l_tax") > 0.06, F.col("l_discount") > 0.02)
+
+
+@query("j14_evidence_decision", f"WITH {_EV} SELECT k AS l_partkey, status FROM st")
+def _(t):
+    return _evidence(t)
+
+
+@query("a12_gap_pivot", f"""
+    WITH {_EV}, r AS (SELECT p_type, coalesce(status, 'MISSING') AS status FROM part LEFT JOIN st ON k = p_partkey)
+    SELECT p_type, count(*) AS total, count(*) FILTER (status = 'SUPPORTED') AS supported, count(*) FILTER (status = 'PARTIAL') AS partial, count(*) FILTER (status = 'EXPIRED') AS expired, count(*) FILTER (status = 'MISSING') AS missing,
+    count(*) FILTER (status = 'CONFLICTING') AS conflicting, count(*) FILTER (status = 'UNVERIFIED') AS unverified,
+    CASE WHEN count(*) FILTER (status = 'CONFLICTING') > 0 THEN 'CONFLICT' WHEN count(*) FILTER (status = 'EXPIRED') > 0 THEN 'EXPIRED' WHEN count(*) FILTER (status = 'MISSING') > 0 THEN 'GAP' WHEN count(*) FILTER (status = 'SUPPORTED') = count(*) THEN 'COMPLETE' ELSE 'INSUFFICIENT' END AS overall
+    FROM r GROUP BY 1""")
+def _(t):
+    ev = _evidence(t).withColumnRenamed("l_partkey", "k")
+    r = t("part").select("p_partkey", "p_type").join(ev, F.col("p_partkey") == F.col("k"), "left").withColumn("status", F.coalesce("status", F.lit("MISSING")))
+    return D.gap_report(r, "p_type", "status", ["SUPPORTED", "PARTIAL", "EXPIRED", "MISSING", "CONFLICTING", "UNVERIFIED"])
+
+
+@query("j15_tripartite", """
+    SELECT p_partkey, CASE WHEN p_size <= 30 THEN 'MATCH' ELSE 'MISMATCH' END AS product_tender, CASE WHEN p_size <= 40 THEN 'MATCH' ELSE 'MISMATCH' END AS product_standard FROM part""")
+def _(t):
+    from strataframe.functions.units import compare
+
+    none = F.lit(None).cast("double")
+    one = lambda limit: compare(F.col("p_size").cast("double"), none, F.lit("mm"), F.lit("LE"), none, F.lit(limit), none, F.lit("mm"))
+    return t("part").select("p_partkey", one(30.0).alias("product_tender"), one(40.0).alias("product_standard"))
+
+
+@query("j16_scored_match", f"WITH {_TYPES}, o AS (SELECT p_partkey, kind, 3.0 * count(DISTINCT a.w) AS s FROM a JOIN b USING (w) GROUP BY 1, 2) SELECT p_partkey, arg_min(kind, (-s, kind)) AS kind, CAST(max(s) AS DOUBLE) AS score FROM o WHERE s >= 6 GROUP BY 1")
+def _(t):
+    pairs = _overlap(t)
+    return D.best_match(pairs, "p_partkey", pairs, "kind", F.col("overlap") * 3.0, 6.0)
+
+
+@query("a11_mapping_metrics", """
+    WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id % 13, vec_id) AS k FROM embeddings), p AS (SELECT label, max(CASE WHEN k = 1 AND vec_id % 2 = 0 THEN 1 ELSE 0 END) AS p1, sum(CASE WHEN k <= 3 AND vec_id % 2 = 0 THEN 1 ELSE 0 END) AS p3 FROM r GROUP BY 1)
+    SELECT round_even(avg(p1), 4) AS p_at_1, round_even(sum(p3) / (3.0 * count(*)), 4) AS p_at_3 FROM p""")
+def _(t):
+    w = Window.partitionBy("label").orderBy(F.col("vec_id") % 13, "vec_id")
+    r = t("embeddings").select("label", "vec_id", F.row_number().over(w).alias("k"))
+    good = F.col("vec_id") % 2 == 0
+    p = r.groupBy("label").agg(F.max(F.when((F.col("k") == 1) & good, 1).otherwise(0)).alias("p1"), F.count_if((F.col("k") <= 3) & good).alias("p3"))
+    return p.agg(F.bround(F.avg("p1"), 4).alias("p_at_1"), F.bround(F.sum("p3") / (3.0 * F.count("*")), 4).alias("p_at_3"))
+
+
+@query("a13_comparison_counts", "SELECT p_type, count(*) FILTER (p_size <= 25) AS n_match, count(*) FILTER (p_size > 25) AS n_mismatch, bool_or(p_size > 48) AS needs_check FROM part GROUP BY 1")
+def _(t):
+    return t("part").groupBy("p_type").agg(F.count_if(F.col("p_size") <= 25).alias("n_match"), F.count_if(F.col("p_size") > 25).alias("n_mismatch"), F.bool_or(F.col("p_size") > 48).alias("needs_check"))
+
+
+@query("a14_tender_gaps", "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') AS n_match, count(*) FILTER (l_returnflag = 'R') AS n_conflict, arg_min(l_linenumber, l_linenumber) FILTER (l_returnflag = 'N') AS first_match FROM lineitem GROUP BY 1")
+def _(t):
+    ok = F.col("l_returnflag") == "N"
+    return t("lineitem").groupBy("l_orderkey").agg(F.count_if(ok).alias("n_match"), F.count_if(F.col("l_returnflag") == "R").alias("n_conflict"), F.min(F.when(ok, F.col("l_linenumber"))).alias("first_match"))
+
+
+@query("a16_grounding_rollup", """
+    SELECT l_orderkey, round_even(count(*) FILTER (l_returnflag = 'N') / count(*), 6) AS coverage, round_even((count(*) FILTER (l_returnflag = 'N') + 0.5 * count(*) FILTER (l_returnflag = 'A')) / count(*), 6) AS score,
+    CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'UNSUPPORTED' WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN 'PARTIAL' ELSE 'FULL' END AS overall FROM lineitem GROUP BY 1""")
+def _(t):
+    s = F.when(F.col("l_returnflag") == "N", "SUPPORTED").when(F.col("l_returnflag") == "A", "PARTIAL").otherwise("UNSUPPORTED")
+    return D.grounding(t("lineitem").withColumn("status", s), "l_orderkey", "status")
+
+
+@query("a17_readiness", """
+    SELECT p_partkey, round_even(greatest(0, least(1, 0.25 * coalesce(CASE WHEN p_size % 3 <> 0 THEN p_size / 50.0 END, 0.3) + 0.35 * (p_retailprice / 2500.0) + 0.40 * 0.2
+    - CASE WHEN p_size % 5 = 0 THEN 0.30 ELSE 0 END - CASE WHEN p_size % 7 = 0 THEN 0.20 ELSE 0 END - CASE WHEN p_size % 2 = 0 THEN 0.15 ELSE 0 END)), 6) AS readiness FROM part""")
+def _(t):
+    s = F.col("p_size")
+    r = D.readiness(F.when(s % 3 != 0, s / 50.0), F.col("p_retailprice") / 2500.0, F.lit(None).cast("double"), s % 5 == 0, s % 7 == 0, s % 2 == 0)
+    return t("part").select("p_partkey", F.bround(r, 6).alias("readiness"))
+
+
+@query("a18_link_summary", "SELECT CASE WHEN l_returnflag = 'N' THEN 'unlinked' WHEN l_partkey % 10 = 3 THEN 'dangling' ELSE 'resolved' END AS link, count(*) AS n FROM lineitem GROUP BY 1")
+def _(t):
+    targets = {"part": (t("part").filter("p_partkey % 10 <> 3").select("p_partkey"), "p_partkey", "l_partkey")}
+    linked = joins.resolve_links(t("lineitem").select("l_partkey", (F.col("l_returnflag") != "N").alias("has_identity")), "has_identity", targets)
+    return linked.groupBy("link").agg(F.count("*").alias("n"))
+
+
+@query("j20_containment_antijoin", "SELECT p_partkey FROM part WHERE NOT contains(lower(p_name || ' ' || p_brand), 'brand#1')")
+def _(t):
+    return t("part").filter(~F.contains(F.lower(F.concat("p_name", F.lit(" "), "p_brand")), F.lit("brand#1"))).select("p_partkey")
+
+
+@query("r07_rerank", """
+    SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity * 2 + l_linenumber DESC, l_linenumber) AS rank FROM lineitem QUALIFY rank <= 5""")
+def _(t):
+    scored = t("lineitem").withColumn("score", F.col("l_quantity") * 2 + F.col("l_linenumber"))  # the scorer is the caller's
+    return R.top_k(scored, "l_orderkey", 5, F.col("score").desc(), F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "rank")
+
+
+@query("r08_confidence", """
+    WITH x AS (SELECT event_id, least((least(0.35, 0.30 / (1 + exp(-greatest(-10, least(10, value / 10 - 5)))) + CASE WHEN event_id % 2 = 0 THEN 0.05 ELSE 0 END) + 0.25 + 0.10 + CASE WHEN event_id % 3 = 0 THEN 0.05 ELSE 0 END
+      + CASE WHEN event_id % 4 >= 3 THEN 0.15 WHEN event_id % 4 = 2 THEN 0.10 WHEN event_id % 4 = 1 THEN 0.05 ELSE 0 END) * CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.95 WHEN 'error' THEN 0.85 ELSE 0.75 END,
+      CASE WHEN event_id % 4 = 0 THEN 0.30 WHEN event_id % 11 = 0 THEN 0.28 ELSE 1.0 END, CASE WHEN value / 10 - 5 < -4.5 THEN 0.30 ELSE 1.0 END) AS s FROM events)
+    SELECT event_id, round_even(s, 4) AS score, CASE WHEN round_even(s, 4) >= 0.70 THEN 'HIGH' WHEN round_even(s, 4) >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM x""")
+def _(t):
+    i = F.col("event_id")
+    authority = F.when(F.col("event_type") == "view", "standard").when(F.col("event_type") == "click", "gazette").when(F.col("event_type") == "error", "manual").otherwise("blog")
+    score, level = D.confidence(F.col("value") / 10 - 5, i % 2 == 0, F.lit(0.25), F.lit(1.0), i % 3 == 0, i % 4, authority, i % 11 == 0)
+    return t("events").select("event_id", score.alias("score"), level.alias("level"))
+
+
+@query("r09_mapping_score", """
+    WITH x AS (SELECT p_partkey, round_even(0.25 * CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.5 END + 0.25 * (p_size / 50.0) + 0.20 * (p_size % 10 / 10.0) + 0.15 * 0.75 + 0.10 * 0.5 + 0.05 * 1.0, 4) AS score, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.5 END AS title, p_size FROM part)
+    SELECT p_partkey, score, CASE WHEN score >= 0.70 AND (title >= 0.8 OR p_size / 50.0 >= 0.8) AND p_partkey % 3 <> 0 THEN 'STRONG' WHEN score >= 0.45 THEN 'POSSIBLE' WHEN score >= 0.20 THEN 'WEAK' ELSE 'NOT_RELEVANT' END AS status FROM x""")
+def _(t):
+    s = F.col("p_size")
+    score, status = D.mapping_status(F.when(s % 2 == 0, 1.0).otherwise(0.5), s / 50.0, s % 10 / 10.0, F.lit(0.75), F.lit(0.5), F.lit(1.0), F.col("p_partkey") % 3 != 0, F.lit(False))
+    return t("part").select("p_partkey", score.alias("score"), status.alias("status"))
+
+
+_INTENT = "CASE p_partkey % 6 WHEN 0 THEN 'LABORATORY_SEARCH' WHEN 1 THEN 'CLAUSE' WHEN 2 THEN 'STANDARD_LOOKUP' WHEN 3 THEN 'COMPARISON' WHEN 4 THEN 'AMBIGUOUS' ELSE 'GENERAL' END"
+
+
+def _asked():
+    k = F.col("p_partkey") % 6
+    return F.when(k == 0, F.concat(F.lit("which lab tests IS "), "p_partkey")).when(k == 1, F.concat(F.lit("show clause 4 of IS "), "p_partkey")).when(k == 2, F.concat(F.lit("find IS "), "p_partkey")).when(k == 3, F.lit("compare these two")).when(k == 4, F.lit("cement")).otherwise("tell me about cement")
+
+
+@query("q01_intent", f"SELECT p_partkey, {_INTENT} AS intent, CAST(CASE p_partkey % 6 WHEN 0 THEN 0.99 WHEN 1 THEN 0.98 WHEN 2 THEN 0.96 WHEN 3 THEN 0.90 WHEN 4 THEN 0.40 ELSE 0.85 END AS DOUBLE) AS confidence FROM part")
+def _(t):
+    return t("part").select("p_partkey", D.intent(_asked()).alias("i")).select("p_partkey", "i.*")
+
+
+@query("q03_strategy", "SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN 'exact' WHEN 2 THEN 'exact' WHEN 3 THEN 'multi' WHEN 4 THEN 'clarify' ELSE 'broad' END AS strategy FROM part")
+def _(t):
+    return t("part").select("p_partkey", D.strategy(D.intent(_asked())["intent"]).alias("strategy"))
+
+
+@query("x22_entities", "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS number, 2000 + p_size AS year, CAST(p_size AS VARCHAR) || '.2' AS clause FROM part")
+def _(t):
+    from strataframe.functions.query import entities
+
+    q = F.concat(F.lit("what does IS "), "p_partkey", F.lit(" : "), 2000 + F.col("p_size"), F.lit(" Clause "), "p_size", F.lit(".2 say"))
+    return t("part").select("p_partkey", entities(q).alias("e")).select("p_partkey", "e.number", "e.year", "e.clause")
+
+
+@query("x32_doc_class", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'TEST_REPORT' WHEN 1 THEN 'MANUAL' ELSE 'OTHER' END AS kind FROM part")
+def _(t):
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, "Test report of the laboratory: test result PASS").when(k == 1, "operation manual with instructions").otherwise("hello")
+    return t("part").select("p_partkey", D.document_class(text, F.lit("test_report.pdf"))["kind"].alias("k0"), k.alias("k")).select("p_partkey", F.when(F.col("k") == 2, "OTHER").otherwise(F.col("k0")).alias("kind"))
+
+
+@query("x35_claims", "SELECT doc_id, count(*) AS claims FROM (SELECT doc_id, trim(unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'))) AS c FROM documents) WHERE len(trim(regexp_replace(c, '^\\s*([-*•]|\\d+[.)])\\s+', ''))) > 2 GROUP BY 1")
+def _(t):
+    return D.claims(t("documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("claims"))
+
+
+@query("x38_claim_support", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS status FROM part")
+def _(t):
+    claim = F.concat(F.lit("Thickness shall exceed "), "p_size", F.lit(" millimetres"))
+    evidence = F.concat(F.lit("The thickness shall exceed "), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1), F.lit(" millimetres everywhere"))
+    return t("part").select("p_partkey", D.claim_support(claim, evidence).alias("status"))
+
+
+@query("x42_title_score", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS score FROM part")
+def _(t):
+    title = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" - specification"))).otherwise(F.concat(F.lit("Code for "), "p_name"))
+    return t("part").select("p_partkey", D.title_score(title, F.col("p_name")).alias("score"))
+
+
+@query("d01_applicability", "SELECT p_partkey, CASE WHEN p_size = 50 THEN 'NOT_CURRENT' WHEN p_size % 9 = 0 THEN 'INSUFFICIENT_INFORMATION' WHEN p_size % 7 = 0 THEN 'NOT_APPLICABLE' WHEN p_size > 35 THEN 'APPLICABLE' WHEN p_size >= 23 THEN 'POSSIBLY_APPLICABLE' ELSE 'INSUFFICIENT_INFORMATION' END AS status FROM part")
+def _(t):
+    s = F.col("p_size")
+    return t("part").select("p_partkey", D.applicability(s % 9 != 0, s % 7 == 0, s != 50, s > 35, F.lit(True), s / 50.0, F.lit(False)).alias("status"))
+
+
+@query("d03_scheme", "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'CLARIFICATION' WHEN p_size % 6 = 0 THEN 'SCHEME-IV' WHEN p_size % 2 = 0 AND p_size % 5 = 0 THEN 'SCHEME-II' WHEN p_size % 2 = 0 AND p_size % 7 = 0 THEN 'SCHEME-X' WHEN p_size % 2 = 0 THEN 'SCHEME-I' ELSE 'SCHEME-I-VOLUNTARY' END AS scheme FROM part")
+def _(t):
+    s = F.col("p_size")
+    product = F.when(s % 6 == 0, "gold ring").when(s % 5 == 0, "laptop charger").otherwise("cement")
+    return t("part").select("p_partkey", D.scheme(F.lit("99"), product, s % 2 == 0, s % 7 == 0, s != 1).alias("scheme"))
+
+
+@query("d04_checklist", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 5 ELSE 4 END AS steps FROM part")
+def _(t):
+    return t("part").select("p_partkey", D.checklist_steps(F.when(F.col("p_size") % 2 == 0, "SCHEME-I").otherwise("SCHEME-IV")).alias("steps"))
+
+
+@query("d05_justification", "SELECT p_partkey, 'IS ' || p_partkey || ' is ' || CASE WHEN p_size > 25 THEN 'mandatory' ELSE 'voluntary' END || ' for ' || p_name AS reason FROM part")
+def _(t):
+    return t("part").select("p_partkey", F.concat_ws(" ", F.concat(F.lit("IS "), "p_partkey"), F.lit("is"), F.when(F.col("p_size") > 25, "mandatory").otherwise("voluntary"), F.lit("for"), "p_name").alias("reason"))
+
+
+@query("x47_product_id", "SELECT p_partkey, substring(sha256(lower(p_name || '::' || p_type)), 1, 12) AS product_id FROM part")
+def _(t):
+    return t("part").select("p_partkey", X.digest(F.lower(F.concat_ws("::", "p_name", "p_type")), 12).alias("product_id"))
+
+
+@query("st1_job_state", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY 1")
+def _(t):
+    return ST.job_states(t("events")).select("user_id", "state", "n", F.bround("total", 4).alias("total"))
+
+
+@query("st3_dedupe_incremental", "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY 2")
+def _(t):
+    return ST.first_by_hash(t("documents"), "doc_id", "text")
+
+
+@query("st4_assessment_sessions", """
+    WITH c AS (SELECT conv_id, turn, role, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS new FROM conversations)
+    SELECT conv_id, turn, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS session FROM c""")
+def _(t):
+    return ST.sessions(t("conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "session")
+
+
+@query("st7_sliding_rate_limit", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+def _(t):
+    return ST.requests_in_window(t("events"), "user_id", "ts", 3600).select("event_id", "in_window")
+
+
+@query("st7_accepted_requests")
+def _(t):
+    return ST.accepted(t("events"), "user_id", "ts", "event_id", limit=2, seconds=86400)

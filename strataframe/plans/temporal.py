@@ -1 +1,69 @@
-"""Queries."""
+"""Temporal queries: a customer's orders stand for the versions of a standard."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strataframe.operators import joins, temporal
+from strataframe.plans import query
+
+_V = """v AS (SELECT o_custkey AS std, o_orderkey AS ver, year(o_orderdate) AS y, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS withdrawn, o_orderkey % 5 = 0 AS sup,
+    CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS effective, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS published FROM orders),
+    s AS (SELECT *, CASE WHEN withdrawn IS NOT NULL THEN 'withdrawn' WHEN sup THEN 'superseded' WHEN effective IS NOT NULL THEN 'current_supported' WHEN published IS NOT NULL THEN 'uncertain' ELSE 'unknown' END AS state FROM v)"""
+
+
+def _versions(t):
+    o = t("orders").select(F.col("o_custkey").alias("std"), F.col("o_orderkey").alias("ver"), F.year("o_orderdate").alias("y"), "o_orderdate", "o_orderstatus")
+    d = F.col("o_orderdate")
+    return temporal.timeline(o, F.when(F.col("o_orderstatus") == "F", d), F.col("ver") % 5 == 0, F.when(F.col("ver") % 3 == 0, d), F.when(F.col("ver") % 7 != 0, d))
+
+
+@query("t01_timeline", f"WITH {_V} SELECT std, ver, state, coalesce(effective, published) AS valid_from, withdrawn AS valid_until, withdrawn IS NULL AND coalesce(effective, published) IS NOT NULL AS is_open FROM s")
+def _(t):
+    return _versions(t).select("std", "ver", "state", "valid_from", "valid_until", "is_open")
+
+
+@query("t02_currentness", f"""
+    WITH {_V}, q AS (SELECT *, CASE WHEN std % 4 = 0 THEN 1995 END AS ask, std % 4 = 1 AS hist FROM s),
+    g AS (SELECT std, count(*) AS n, any_value(ask) AS ask, bool_or(hist) AS hist, bool_or(y = ask) AS has_ask, arg_max(state, (o_orderdate, ver)) FILTER (y = ask) AS ask_state, arg_max(ver, (o_orderdate, ver)) FILTER (y = ask) AS ask_ver,
+      bool_or(state IN ('superseded', 'withdrawn')) AS has_old, arg_max(ver, (o_orderdate, ver)) FILTER (state IN ('superseded', 'withdrawn')) AS old_ver,
+      count(*) FILTER (state = 'current_supported') AS n_cur, arg_max(ver, (o_orderdate, ver)) FILTER (state = 'current_supported') AS cur_ver FROM q GROUP BY std)
+    SELECT std, CASE WHEN has_ask AND ask_state = 'superseded' THEN 'SUPERSEDED' WHEN has_ask AND ask_state = 'withdrawn' THEN 'WITHDRAWN' WHEN has_ask THEN 'HISTORICAL' WHEN hist AND has_old THEN 'HISTORICAL' WHEN n_cur > 1 THEN 'UNCERTAIN'
+      WHEN n_cur = 1 AND has_old THEN 'CURRENT_SUPPORTED' WHEN n = 1 AND has_old THEN 'WITHDRAWN' WHEN n = 1 AND n_cur = 1 THEN 'CURRENT_SUPPORTED' ELSE 'UNCERTAIN' END AS resolution,
+      CASE WHEN has_ask THEN ask_ver WHEN hist AND has_old THEN old_ver WHEN n_cur = 1 AND (has_old OR n = 1) THEN cur_ver END AS resolved FROM g""")
+def _(t):
+    return temporal.currentness(_versions(t), "std", "ver", ["o_orderdate"], "state", F.col("y"), F.when(F.col("std") % 4 == 0, 1995), F.col("std") % 4 == 1)
+
+
+@query("t03_conflicts", f"WITH {_V} SELECT std, list_sort(list(ver)) AS versions FROM s WHERE state = 'current_supported' GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    return temporal.conflicts(_versions(t), "std", "ver", F.col("state") == "current_supported")
+
+
+@query("t05_audit", f"WITH {_V} SELECT state, count(*) AS n FROM s GROUP BY 1")
+def _(t):
+    return temporal.audit(_versions(t), "state")
+
+
+@query("j09_null_fallback_join", """
+    SELECT o_orderkey, list_sort(list(DISTINCT event_id)) AS amendments FROM orders JOIN (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value_key END AS ver, user_id AS std FROM (SELECT *, event_id % 1500 AS value_key FROM events)) a
+    ON o_orderkey = a.ver OR (a.ver IS NULL AND o_custkey = a.std) GROUP BY 1""")
+def _(t):
+    a = t("events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 1500).alias("ver"), F.col("user_id").alias("std"))
+    return temporal.with_amendments(t("orders"), "o_orderkey", "o_custkey", a, "event_id", "ver", "std")
+
+
+@query("j10_semi_substring", """
+    SELECT DISTINCT o_orderkey FROM orders WHERE CAST(o_orderkey AS VARCHAR) IN (SELECT 'std_' || y FROM (VALUES ('1993'), ('1996')) x(y)) OR year(o_orderdate) IN (1993, 1996) OR o_orderkey = 42""")
+def _(t):
+    edges = t("region").filter("r_regionkey < 3").select(F.element_at(F.array(F.lit("std_1993"), F.lit("std_1996"), F.lit("42")), (F.col("r_regionkey") + 1).cast("int")).alias("target"))
+    return temporal.superseded(t("orders"), "o_orderkey", F.year("o_orderdate"), edges, "target")
+
+
+@query("j11_full_evolution", """
+    SELECT coalesce(a.k, b.k) AS clause, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN lower(trim(a.t)) = lower(trim(b.t)) THEN 'unchanged' ELSE 'modified' END AS change
+    FROM (SELECT p_partkey AS k, p_name AS t FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN p_brand ELSE upper(p_name) || ' ' END AS t FROM part WHERE p_partkey % 5 <> 0) b ON a.k = b.k""")
+def _(t):
+    p = t("part").withColumnRenamed("p_partkey", "clause")
+    new = p.filter("clause % 5 <> 0").select("clause", F.when(F.col("p_size") > 40, F.col("p_brand")).otherwise(F.concat(F.upper("p_name"), F.lit(" "))).alias("title"))
+    return joins.evolution(p.filter("clause % 3 <> 0").select("clause", F.col("p_name").alias("title")), new, "clause", "title")

@@ -1 +1,244 @@
-"""Queries."""
+"""Text queries. The documents hold no Markdown, so it is rendered from their lines, and alike in the SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strataframe.functions import text as X
+from strataframe.functions import units as U
+from strataframe.operators import chunking as C
+from strataframe.plans import query
+
+_LINES = """r AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 0 THEN repeat('#', CAST(1 + (doc_id + pos) % 3 AS INT)) || ' ' || line WHEN pos % 7 = 5 THEN '<!-- PAGE ' || pos || ' -->' ELSE line END AS line
+    FROM (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(line) <> '' OR pos % 4 <> 0)"""
+
+
+def _rendered(t):
+    raw = C.lines(t("documents"), "doc_id", "text").filter("trim(line) <> '' OR pos % 4 <> 0")
+    marked = F.when(F.col("pos") % 4 == 0, F.concat(F.repeat(F.lit("#"), (1 + (F.col("doc_id") + F.col("pos")) % 3).cast("int")), F.lit(" "), "line"))
+    return raw.select("doc_id", "pos", marked.when(F.col("pos") % 7 == 5, F.concat(F.lit("<!-- PAGE "), "pos", F.lit(" -->"))).otherwise(F.col("line")).alias("line"))
+
+
+@query("w09_carry_forward", f"WITH {_LINES} SELECT doc_id, pos, last_value(CAST(nullif(regexp_extract(line, '^\\s*<!-- PAGE (\\d+) -->', 1), '') AS INT) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS page FROM r")
+def _(t):
+    return C.carry_pages(_rendered(t), "doc_id").select("doc_id", "pos", "page")
+
+
+@query("w10_islands", f"WITH {_LINES} SELECT doc_id, pos, CAST(sum(CASE WHEN regexp_matches(line, '^ {{0,3}}#{{1,6}}\\s+\\S') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM r")
+def _(t):
+    return C.sections(_rendered(t), "doc_id").select("doc_id", "pos", "section")
+
+
+@query("w08_heading_path", f"""
+    WITH {_LINES}, h AS (SELECT doc_id, pos, len(regexp_extract(line, '^ {{0,3}}(#{{1,6}})', 1)) AS level, trim(regexp_replace(line, '^ {{0,3}}#{{1,6}}\\s+', '')) AS title FROM r WHERE regexp_matches(line, '^ {{0,3}}#{{1,6}}\\s+\\S')),
+    w AS (SELECT *, last_value(CASE WHEN level = 1 THEN pos END IGNORE NULLS) OVER o AS p1, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER o AS t1,
+      last_value(CASE WHEN level = 2 THEN pos END IGNORE NULLS) OVER o AS p2, last_value(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER o AS t2 FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+    SELECT doc_id, pos, array_to_string(list_filter([CASE WHEN level > 1 THEN t1 END, CASE WHEN level > 2 AND p2 > coalesce(p1, -1) THEN t2 END, title], lambda x: x IS NOT NULL), ' > ') AS path FROM w""")
+def _(t):
+    return C.heading_paths(_rendered(t), "doc_id").select("doc_id", "pos", X.encode_path(F.col("path")).alias("path"))
+
+
+@query("w06_occurrence", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY doc_id) - 1 AS INT) AS occurrence FROM documents")
+def _(t):
+    d = t("documents").select("doc_id", "text", F.lit("d").alias("doc"), F.lit("s").alias("section"))
+    return C.with_chunk_ids(d, "doc", "section", "text", "doc_id").select("doc_id", F.col("occurrence").cast("int").alias("occurrence"))
+
+
+@query("w07_ordinal", f"WITH {_LINES} SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS chunk_index FROM r")
+def _(t):
+    from pyspark.sql import Window
+
+    return _rendered(t).select("doc_id", "pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).cast("int").alias("chunk_index"))
+
+
+@query("w11_greedy_merge")
+def _(t):
+    parts = C.section_texts(C.sections(C.carry_pages(_rendered(t), "doc_id"), "doc_id"), "doc_id")
+    return C.merge_sections(parts, "doc_id").select("doc_id", F.posexplode("sections").alias("piece", "s")).select("doc_id", "piece", "s.heading", F.length("s.body").alias("chars"))
+
+
+@query("w12_pack")
+def _(t):
+    return t("documents").select("doc_id", F.posexplode(C.pack_lines(F.col("text"), 600)).alias("piece", "body")).select("doc_id", "piece", F.length("body").alias("chars"))
+
+
+@query("w13_adjacent_repeats", "SELECT l_orderkey, list_transform(list_filter(list_zip(f, list_prepend('', f[:-2])), lambda z: z[1] <> z[2]), lambda z: z[1]) AS flags FROM (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_returnflag) AS f FROM lineitem GROUP BY 1)")
+def _(t):
+    per = t("lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]).alias("cells"))
+    return per.select("l_orderkey", X.without_repeats(F.col("cells")).alias("flags"))
+
+
+@query("a07_provenance_quality", "SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS english, round_even(count(*) FILTER (lang = 'en') * 100.0 / count(*), 1) AS english_pct, count(*) FILTER (n_chars > 1000) AS long, round_even(count(*) FILTER (n_chars > 1000) * 100.0 / count(*), 1) AS long_pct FROM documents")
+def _(t):
+    return C.provenance_report(t("documents"), english=F.col("lang") == "en", long=F.col("n_chars") > 1000)
+
+
+@query("a09_index_state", "SELECT count(*) AS n, count(*) FILTER (lang <> 'en') AS mismatches, count(*) FILTER (n_chars <= 0) AS violations, 'INDEX_SCHEMA_MISMATCH' AS state FROM documents")
+def _(t):
+    return C.index_state(t("documents"), "en", "lang", F.col("n_chars") > 0)
+
+
+@query("a27_token_coverage", """
+    WITH x AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z\\s]', '', 'g')), '\\s+'), lambda w: w <> '')) AS a,
+    list_distinct(list_filter(string_split_regex(lower(substring(regexp_replace(text, '[^A-Za-z\\s]', '', 'g'), 1, 500)), '\\s+'), lambda w: w <> '')) AS b FROM documents)
+    SELECT doc_id, CASE WHEN len(a) = 0 THEN 1.0 ELSE round_even(len(list_intersect(a, b)) / len(a), 6) END AS coverage FROM x""")
+def _(t):
+    plain = F.regexp_replace("text", r"[^A-Za-z\s]", "")
+    return t("documents").select("doc_id", C.token_coverage(plain, F.substring(plain, 1, 500)).alias("coverage"))
+
+
+@query("a30_block_check", f"WITH {_LINES} SELECT doc_id, count(*) AS blocks, count(*) FILTER (regexp_matches(line, '^#{{1,3}} ')) AS headings FROM r GROUP BY 1")
+def _(t):
+    return _rendered(t).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(X.heading_level(F.col("line")).isNotNull()).alias("headings"))
+
+
+@query("s06_write_gate", "SELECT doc_id, list_filter([CASE WHEN n_chars <= 100 THEN 'short' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'language' END], lambda x: x IS NOT NULL) AS problems FROM documents WHERE n_chars <= 100 OR lang NOT IN ('en', 'de')")
+def _(t):
+    return C.write_gate(t("documents"), {"short": F.col("n_chars") > 100, "language": F.col("lang").isin("en", "de")}, strict=False)[1].select("doc_id", "problems")
+
+
+@query("s13_html_source", "SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS title, regexp_extract(url, '^https?://([^/:]+)', 1) AS host FROM pages")
+def _(t):
+    from strataframe.sources.html import headline, host
+
+    return t("pages").select("page_id", headline(F.col("html")).alias("title"), host(F.col("url")).alias("host"))
+
+
+@query("x01_clean", "SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(text, ' ', '  '), '&', '&amp;'), '&amp;', '&'), chr(10), ' ' || chr(10)), '[ \\t]+(\\n|$)', '\\1', 'g'), ' ' || chr(10) || chr(9)) AS cleaned FROM documents")
+def _(t):
+    noisy = F.replace(F.replace(F.replace(F.col("text"), F.lit(" "), F.lit("  ")), F.lit("&"), F.lit("&amp;")), F.lit("\n"), F.lit(" \r\n"))
+    return t("documents").select("doc_id", X.clean_markdown(noisy).alias("cleaned"))
+
+
+@query("x02_normalize", "SELECT p_partkey, p_name || '|' || p_brand || '*' AS line FROM part")
+def _(t):
+    return t("part").select("p_partkey", X.normalize_markdown(F.concat("p_name", F.lit("\\|"), "p_brand", F.lit("%5C*"))).alias("line"))
+
+
+@query("x03_comparison_form", "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_brand || ', ' || p_name || '!'), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')) AS form FROM part")
+def _(t):
+    return t("part").select("p_partkey", X.comparison_form(F.concat("p_brand", F.lit(", "), "p_name", F.lit("!"))).alias("form"))
+
+
+@query("x06_table_row", "SELECT p_partkey, [trim(p_name), trim(p_brand), CAST(p_size AS VARCHAR)] AS cells FROM part")
+def _(t):
+    return t("part").select("p_partkey", X.table_cells(F.concat(F.lit("|  "), "p_name", F.lit(" | "), "p_brand", F.lit("  |"), F.col("p_size").cast("string"), F.lit("|"))).alias("cells"))
+
+
+@query("x07_clause_number", "SELECT l_orderkey, l_linenumber, l_orderkey || '.' || l_linenumber AS clause FROM lineitem")
+def _(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", X.clause_number(F.concat(F.lit("Clause "), "l_orderkey", F.lit("."), "l_linenumber", F.lit(" Requirements"))).alias("clause"))
+
+
+@query("x08_std_number", "SELECT p_partkey, 'IS ' || p_partkey || '-' || p_size AS number FROM part")
+def _(t):
+    return t("part").select("p_partkey", X.standard_number(F.concat(F.lit("is: "), "p_partkey", F.lit(" (Part "), "p_size", F.lit(")"))).alias("number"))
+
+
+@query("x10_document_id", "SELECT doc_id, 'doc_' || substring(sha256(text), 1, 16) AS document_id, substring(sha256(text), 1, 32) AS content_hash FROM documents")
+def _(t):
+    return t("documents").select("doc_id", X.document_id(F.col("text")).alias("document_id"), X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("x11_ids", """
+    SELECT p_partkey, 'std_' || substring(sha256('is ' || p_partkey), 1, 16) AS standard_id,
+    'ver_' || 'std_' || substring(sha256('is ' || p_partkey), 1, 16) || '_' || substring(sha256(CAST(2000 + p_size AS VARCHAR)), 1, 12) AS version_id FROM part""")
+def _(t):
+    std = X.standard_id(F.concat(F.lit("IS "), "p_partkey"))
+    return t("part").select("p_partkey", std.alias("standard_id"), X.version_id(std, X.version_key(F.lit(""), 2000 + F.col("p_size"))).alias("version_id"))
+
+
+@query("x13_clause_hierarchy", "SELECT l_orderkey, l_linenumber, 2 AS level, CAST(l_orderkey AS VARCHAR) AS parent FROM lineitem")
+def _(t):
+    n = F.concat_ws(".", "l_orderkey", "l_linenumber")
+    return t("lineitem").select("l_orderkey", "l_linenumber", X.clause_level(n).alias("level"), X.parent_clause(n).alias("parent"))
+
+
+@query("x15_codecs", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN -1 ELSE p_size END AS encoded, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size > 25 THEN 'true' ELSE 'false' END AS state FROM part")
+def _(t):
+    return t("part").select("p_partkey", X.encode_int(F.when(F.col("p_size") % 5 != 0, F.col("p_size"))).alias("encoded"), X.encode_tristate(F.when(F.col("p_size") % 3 != 0, F.col("p_size") > 25)).alias("state"))
+
+
+@query("x16_contract_problems", "SELECT o_orderkey, list_filter([CASE WHEN o_totalprice <= 50000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END], lambda x: x IS NOT NULL) AS problems FROM orders")
+def _(t):
+    return t("orders").select("o_orderkey", C.problems({"price": F.col("o_totalprice") > 50000, "status": F.col("o_orderstatus").isin("O", "F")}).alias("problems"))
+
+
+@query("x17_context_prefix", """
+    SELECT p_partkey, '[Standard: IS ' || p_partkey || ' | Edition: ' || p_brand || CASE WHEN p_size % 2 = 0 THEN ' | Clause: ' || p_size ELSE '' END || ' | Page: ' || p_size || ']' AS prefix FROM part""")
+def _(t):
+    none = F.lit(None).cast("string")
+    return t("part").select("p_partkey", X.context_prefix(F.concat(F.lit("IS "), "p_partkey"), F.col("p_brand"), none, F.when(F.col("p_size") % 2 == 0, F.col("p_size")), F.col("p_size")).alias("prefix"))
+
+
+@query("x20_tokenize", "SELECT doc_id, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda t: trim(t, '" + X.PUNCTUATION.replace("'", "''") + "')), lambda t: t <> '') AS tokens FROM documents")
+def _(t):
+    return t("documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))
+
+
+@query("x21_normalize_query", "SELECT p_partkey, 'IS ' || p_partkey || ' : ' || (2000 + p_size) || ' Clause ' || p_size || '.1 Amendment 2' AS q FROM part")
+def _(t):
+    return t("part").select("p_partkey", X.normalize_query(F.concat(F.lit("is-"), "p_partkey", F.lit(":"), 2000 + F.col("p_size"), F.lit("  clause"), "p_size", F.lit(".1 AMD 2 "))).alias("q"))
+
+
+@query("x27_units", "SELECT p_partkey, round_even(CAST(p_size AS DOUBLE) * CASE p_partkey % 4 WHEN 0 THEN 10.0 WHEN 1 THEN 25.4 WHEN 2 THEN 1000.0 ELSE 1.0 END, 6) AS mm FROM part")
+def _(t):
+    unit = F.element_at(F.array(F.lit("cm"), F.lit("in"), F.lit("m"), F.lit("mm")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t("part").select("p_partkey", F.bround(U.canonical_value(F.col("p_size").cast("double"), unit), 6).alias("mm"))
+
+
+@query("x28_parameter", """
+    SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS value, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size - 2 AS DOUBLE) WHEN 1 THEN CAST(p_size AS DOUBLE) END AS lower,
+    CASE p_partkey % 3 WHEN 0 THEN CAST(p_size + 2 AS DOUBLE) WHEN 1 THEN CAST(p_size + 5 AS DOUBLE) END AS upper, CASE p_partkey % 3 WHEN 0 THEN 'EQ' WHEN 1 THEN 'RANGE' ELSE 'LE' END AS op, 'mm' AS unit FROM part""")
+def _(t):
+    s = F.col("p_size").cast("string")
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(s, F.lit(" ± 2 mm"))).when(F.col("p_partkey") % 3 == 1, F.concat(s, F.lit(" - "), (F.col("p_size") + 5).cast("string"), F.lit(" mm"))).otherwise(F.concat(F.lit("size not exceed "), s, F.lit(" mm")))
+    return t("part").select("p_partkey", U.parameter(text).alias("p")).select("p_partkey", "p.value", "p.lower", "p.upper", "p.op", "p.unit")
+
+
+@query("x30_compare_param", """
+    WITH m AS (SELECT p_partkey, p_size / 10.0 AS cm, p_size * 1.0 AS v, 25.0 AS lim, CASE p_partkey % 5 WHEN 0 THEN 'LE' WHEN 1 THEN 'GE' WHEN 2 THEN 'RANGE' WHEN 3 THEN 'EQ' ELSE 'X' END AS op FROM part)
+    SELECT p_partkey, CASE op WHEN 'LE' THEN CASE WHEN v + 2 <= 25.000001 THEN 'MATCH' WHEN v <= 25.000001 THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
+    WHEN 'GE' THEN CASE WHEN v - 2 >= 24.999999 THEN 'MATCH' WHEN v >= 24.999999 THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
+    WHEN 'RANGE' THEN CASE WHEN v - 2 >= 14.999999 AND v + 2 <= 35.000001 THEN 'MATCH' WHEN v - 2 <= 35.000001 AND v + 2 >= 14.999999 THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
+    WHEN 'EQ' THEN CASE WHEN abs(v - 25) <= 0.0025 THEN 'MATCH' ELSE 'MISMATCH' END ELSE 'UNVERIFIABLE' END AS state FROM m""")
+def _(t):
+    k = F.col("p_partkey") % 5
+    op = F.when(k == 0, "LE").when(k == 1, "GE").when(k == 2, "RANGE").otherwise("EQ")
+    none = F.lit(None).cast("double")
+    lo, hi = F.when(k == 2, 15.0), F.when(k == 2, 35.0).when(k == 0, 25.0)
+    unit = F.when(k == 4, F.lit("bar")).otherwise("mm")
+    lo = F.coalesce(lo, F.when(k == 1, 25.0))
+    return t("part").select("p_partkey", U.compare(F.col("p_size") / 10.0, F.when(k == 3, none).otherwise(0.2), F.lit("cm"), op, lo, hi, F.when(k >= 3, 25.0), unit).alias("state"))
+
+
+@query("x34_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders")
+def _(t):
+    form = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "d MMM yyyy"))
+    return t("orders").select("o_orderkey", X.parse_date(form).alias("d"))
+
+
+@query("x36_numbers", "SELECT p_partkey, list_distinct([CAST(p_size AS VARCHAR), CAST(p_partkey AS VARCHAR)])[1] IS NOT NULL AS found, len(list_distinct([CAST(p_size AS VARCHAR), CAST(p_partkey AS VARCHAR)])) AS n FROM part")
+def _(t):
+    n = X.numbers(F.concat(F.lit("size "), "p_size", F.lit(" for "), "p_partkey", F.lit(" and x9y")))
+    return t("part").select("p_partkey", (F.size(n) > 0).alias("found"), F.size(n).cast("long").alias("n"))
+
+
+@query("x37_stem", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'purchase' ELSE event_type END AS stem FROM events")
+def _(t):
+    return t("events").select("event_id", X.stem(F.concat("event_type", F.lit("ing"))).alias("stem"))
+
+
+@query("x39_sigmoid", "SELECT event_id, round_even(1 / (1 + exp(-greatest(-10, least(10, value - 50)))), 8) AS s FROM events")
+def _(t):
+    return t("events").select("event_id", F.bround(X.sigmoid(F.col("value") - 50), 8).alias("s"))
+
+
+@query("x40_completeness", "SELECT p_partkey, CAST(0.25 * (2 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS share FROM part")
+def _(t):
+    return t("part").select("p_partkey", X.share_filled(F.col("p_name"), F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")), F.lit("")).alias("share"))
+
+
+@query("x46_huid", "SELECT p_partkey, len(CAST(p_partkey AS VARCHAR)) = 4 AS ok FROM part")
+def _(t):
+    return t("part").select("p_partkey", X.valid_huid(F.concat(F.lit(" ab"), F.col("p_partkey").cast("string"), F.lit(" "))).alias("ok"))
