@@ -57,18 +57,25 @@ def _powers_to(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return _powers
 
 
-def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each byte range; ranges lie side by side or are empty."""
-    wide = raw.astype(_U)
-    wide += _U(1)
-    out = []
-    acc = np.zeros(len(raw) + 1, _U)
-    for power, inverse in _powers_to(len(raw) + 1):
-        np.cumsum(wide * power[: len(raw)], out=acc[1:])
-        h = (acc[end] - acc[start]) * inverse[start] + (end - start).astype(_U)
-        h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
-        out.append(h ^ (h >> _U(29)))
-    return out[0], out[1]
+class _Hasher:
+    """Two 64-bit hashes of any byte ranges of a buffer, from running sums made once."""
+
+    def __init__(self, raw: np.ndarray):
+        wide = raw.astype(_U)
+        wide += _U(1)
+        self.sums = []
+        for power, inverse in _powers_to(len(raw) + 1):
+            acc = np.zeros(len(raw) + 1, _U)
+            np.cumsum(wide * power[: len(raw)], out=acc[1:])
+            self.sums.append((acc, inverse))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for acc, inverse in self.sums:
+            h = (acc[end] - acc[start]) * inverse[start] + (end - start).astype(_U)
+            h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+            out.append(h ^ (h >> _U(29)))
+        return out[0], out[1]
 
 
 def _white(raw: np.ndarray) -> np.ndarray:
@@ -122,7 +129,7 @@ class ChunkTable:
 
     end_ids: tuple[int, ...] = ()
 
-    def _learn(self, data: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
+    def _learn(self, data: bytes, hasher: _Hasher, start: np.ndarray, end: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
         """Add the chunks data[start : end], which differ from each other."""
         raise NotImplementedError
 
@@ -218,14 +225,15 @@ class ChunkTable:
         raw = np.frombuffer(data, np.uint8)
         start, n = self._cut(raw, off) if len(raw) else (np.zeros(0, np.int64), np.zeros(docs, np.int64))
         end = np.append(start[1:], len(raw))
-        h, check = _hashes(raw, start, end)
+        hasher = _Hasher(raw)
+        h, check = hasher(start, end)
         at = self._find(h, check)
         self.again[at[at > 0]] = True
         miss = np.flatnonzero(at < 0)
         if len(miss):
             _, one = np.unique(h[miss], return_index=True)
             new = miss[one]
-            self._learn(data, start[new], end[new], h[new], check[new])
+            self._learn(data, hasher, start[new], end[new], h[new], check[new])
             at[miss] = self._find(h[miss], check[miss])
         all_at = np.zeros(len(at) + docs, np.int32)  # entry 0 after each text's chunks
         all_at[np.arange(len(at)) + np.repeat(np.arange(docs), n)] = at
@@ -276,14 +284,14 @@ class ChunkEncoder(ChunkTable):
         n = np.fromiter(map(len, got), np.int64, len(got))
         self._add(h, check, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n)
 
-    def _unknown(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray):
+    def _unknown(self, hasher: _Hasher, start: np.ndarray, end: np.ndarray):
         """The distinct ranges that are not entries yet, with their hashes; and the hashes of all."""
-        h, check = _hashes(raw, start, end)
+        h, check = hasher(start, end)
         _, one = np.unique(h, return_index=True)
         new = one[self._find(h[one], check[one]) < 0]
         return (start[new], end[new], h[new], check[new]), h, check
 
-    def _learn(self, data, start, end, h, check) -> None:
+    def _learn(self, data, hasher, start, end, h, check) -> None:
         if self.words is None:
             return self._learn_whole(data, start, end, h, check)
         raw = np.frombuffer(data, np.uint8)
@@ -307,9 +315,9 @@ class ChunkEncoder(ChunkTable):
         self._learn_whole(data, start[alone], end[alone], h[alone], check[alone])
         if joint.any():
             start, stop, end, h, check = (x[joint] for x in (start, stop, end, h, check))
-            words, word_h, word_check = self._unknown(raw, start, stop)
+            words, word_h, word_check = self._unknown(hasher, start, stop)
             self._learn_words(raw, *words)
-            rests, rest_h, rest_check = self._unknown(raw, stop, end)
+            rests, rest_h, rest_check = self._unknown(hasher, stop, end)
             self._learn_whole(data, *rests)
             todo = np.flatnonzero(self._find(h, check) < 0)  # a word and its rest may be a rest themselves
             pairs = np.stack([self._find(word_h[todo], word_check[todo]), self._find(rest_h[todo], rest_check[todo])], axis=1)

@@ -263,7 +263,7 @@ class PieceEncoder(ChunkTable):
             return [self.m.unk]
         return [self.m.byte_ids[b] for b in chr(char).encode()]
 
-    def _learn(self, data, start, end, h, check):
+    def _learn(self, data, hasher, start, end, h, check):
         by: dict[int, list[int]] = {}
         texts = [data[i:j].decode().replace(" ", SPACE) for i, j in zip(start.tolist(), end.tolist())]
         for i, t in enumerate(texts):
