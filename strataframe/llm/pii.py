@@ -33,7 +33,7 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("ip_weak", "card_weak", "phone_weak", "spoken_email", "ssn", "local_phone", "birth", "iban", "name")
 KINDS = BASE + ADDED
 LABELERS = 6
-CUT = 0.5
+CUT = 0.6
 EM_ROUNDS, FIT_ROUNDS = 20, 40
 
 # Fixed patterns of the base kinds: (pattern, text that any match needs).

@@ -195,24 +195,25 @@ class Lattice:
         w, n = chars.shape
         ids = self.spans(chars)
         top = ids.shape[2]
-        best = np.full((w, n + 1), -np.inf)
+        best = np.full((w, n + 1), -np.inf, np.float32)  # the library adds in single precision too
         best[:, 0] = 0.0
+        score = self.m.scores.astype(np.float32)
         last = np.full((w, n + 1), self.none, np.int64)  # piece that ends here
         back = np.zeros((w, n + 1), np.int64)
-        floor = float(self.m.scores[self.m.kinds == _NORMAL].min()) - 10.0
+        floor = np.float32(self.m.scores[self.m.kinds == _NORMAL].min() - 10.0)
         for e in range(1, n + 1):
-            k = np.arange(1, min(top, e) + 1)
+            k = np.arange(min(top, e), 0, -1)  # of equal scores the longest last piece wins
             cand = ids[:, e - k, k - 1].astype(np.int64)  # piece over [e - k, e)
             reach = best[:, e - k]
-            value = np.full(cand.shape, -np.inf)
+            value = np.full(cand.shape, -np.inf, np.float32)
             r, c = np.nonzero((cand >= 0) & (reach > -np.inf))
             if self.m.bpe:
                 ok = self._admit(last[r, e - k[c]] * (self.none + 1) + cand[r, c])
                 value[r[ok], c[ok]] = reach[r[ok], c[ok]] + 1.0
             else:
-                value[r, c] = reach[r, c] + self.m.scores[cand[r, c]]
-            lost = cand[:, 0] < 0  # a character that is no piece
-            value[lost, 0] = reach[lost, 0] + (1.0 if self.m.bpe else floor)
+                value[r, c] = reach[r, c] + score[cand[r, c]]
+            lost = cand[:, -1] < 0  # a character that is no piece
+            value[lost, -1] = reach[lost, -1] + (1.0 if self.m.bpe else floor)
             pick = value.argmax(axis=1)
             rows = np.arange(w)
             best[:, e] = value[rows, pick]
