@@ -209,7 +209,7 @@ def stem(word: Column) -> Column:
 
 def sigmoid(c: Column) -> Column:
     """Logistic of the value held within +-10; 0.5 for NULL."""
-    return F.coalesce(1 / (1 + F.exp(-F.greatest(F.lit(-10.0), F.least(F.lit(10.0), c)))), F.lit(0.5))
+    return F.when(c.isNull(), 0.5).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-10.0), F.least(F.lit(10.0), c)))))
 
 
 def share_filled(*cols: Column) -> Column:

@@ -135,3 +135,11 @@ def index_state(df: DataFrame, version: str, version_col: str, valid: Column) ->
     counts = df.agg(F.count("*").alias("n"), F.count_if(~F.col(version_col).eqNullSafe(F.lit(version))).alias("mismatches"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("violations"))
     state = F.when(F.col("n") == 0, "INDEX_EMPTY").when(F.col("mismatches") > 0, "INDEX_SCHEMA_MISMATCH").when(F.col("violations") > 0, "INDEX_CORRUPT").otherwise("INDEX_READY")
     return counts.withColumn("state", state)
+
+
+def parents(df: DataFrame, key: str, pos: str, level: str, deepest: int) -> DataFrame:
+    """The parent of each heading: the last earlier one of a shallower level. One window pass, no self-join."""
+    w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col(level) == k, F.col(pos))).over(w) for k in range(1, deepest)]
+    parent = F.array_max(F.array_compact(F.array(*[F.when(F.col(level) > k + 1, c) for k, c in enumerate(last)])))
+    return df.withColumn("parent", parent)

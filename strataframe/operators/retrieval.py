@@ -67,7 +67,7 @@ def knn(corpus: DataFrame, key: str, vector: str, queries: DataFrame, q_key: str
     if len(rows) > MAX_QUERY_BLOCK:
         raise ValueError("too many query vectors for one block")
     ids = np.array([r[0] for r in rows], np.int64)
-    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r[1] for r in rows], np.float64)
     held = queries.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches):

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from strataframe.plans import retrieval, rules, store, temporal, text  # noqa: F401
+    from strataframe.plans import more, retrieval, rules, store, temporal, text  # noqa: F401

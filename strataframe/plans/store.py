@@ -78,9 +78,9 @@ def _(t):
 
 @query("f15_row_decoder", """
     SELECT event_id, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type ELSE 'unknown' END AS status,
-           json_extract_string(props, '$.page') AS page FROM events""")
+           json_extract_string(props, '$.k') AS page FROM events""")
 def _(t):
-    return t("events").select("event_id", F.when(F.lower("event_type").isin("view", "click", "purchase"), F.lower("event_type")).otherwise("unknown").alias("status"), F.get_json_object("props", "$.page").alias("page"))
+    return t("events").select("event_id", F.when(F.lower("event_type").isin("view", "click", "purchase"), F.lower("event_type")).otherwise("unknown").alias("status"), F.get_json_object("props", "$.k").alias("page"))
 
 
 @query("f16_falsy_coalesce", "SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_acctbal END, 0.0), nullif(CAST(c_nationkey AS DOUBLE), 0.0), 0.0) AS score FROM customer")
@@ -259,10 +259,10 @@ def _(t):
 
 
 @query("a08_field_coverage", """
-    SELECT 'page' AS field, count(nullif(trim(json_extract_string(props, '$.page')), '')) AS filled, round_even(count(nullif(trim(json_extract_string(props, '$.page')), '')) * 100.0 / count(*), 1) AS pct FROM events
+    SELECT 'page' AS field, count(nullif(trim(json_extract_string(props, '$.k')), '')) AS filled, round_even(count(nullif(trim(json_extract_string(props, '$.k')), '')) * 100.0 / count(*), 1) AS pct FROM events
     UNION ALL SELECT 'event_type', count(nullif(trim(event_type), '')), round_even(count(nullif(trim(event_type), '')) * 100.0 / count(*), 1) FROM events""")
 def _(t):
-    return S.field_coverage(t("events").withColumn("page", F.get_json_object("props", "$.page")), "page", "event_type")
+    return S.field_coverage(t("events").withColumn("page", F.get_json_object("props", "$.k")), "page", "event_type")
 
 
 @query("a19_status_totals", "SELECT event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY 1")
