@@ -32,8 +32,8 @@ MIN_WORDS = 50
 FEATURES = {
     "mean_word_chars": ("try_divide(word_chars, n_words)", "both", 1.0),
     "symbol_share": ("try_divide(n_symbols, word_chars)", "high", 0.02),
-    "dup_line_share": ("try_divide(n_dup_lines, n_lines)", "high", 0.30),
-    "repeat_share": ("try_divide(n_repeat_words, n_words)", "high", 0.25),
+    "dup_line_share": ("try_divide(n_dup_lines, n_lines)", "high", 0.50),
+    "repeat_share": ("try_divide(n_repeat_words, n_words)", "high", 0.40),
     "upper_share": ("try_divide(n_upper, word_chars)", "high", 0.10),
 }
 
