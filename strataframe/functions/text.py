@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -182,8 +183,10 @@ def context_prefix(standard: Column, edition: Column, path: Column, clause: Colu
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words, punctuation trimmed at their ends only."""
-    return F.filter(F.transform(F.split(F.lower(c), r"\s+"), lambda t: F.btrim(t, F.lit(PUNCTUATION))), lambda t: t != "")
+    """Lower-case words, punctuation trimmed at their ends only. One generated pass, no lambda."""
+    mark = "[" + re.escape(PUNCTUATION) + "]+"
+    bare = F.regexp_replace(F.lower(c), rf"(?<!\S){mark}|{mark}(?!\S)", "")
+    return F.array_remove(F.split(bare, r"\s+"), "")
 
 
 def normalize_query(c: Column) -> Column:

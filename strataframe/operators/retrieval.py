@@ -17,32 +17,32 @@ RRF_K = 60
 BOOSTS = {"standard": 0.20, "year": 0.10, "clause": 0.15, "amendment": 0.10}
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf, dl: one row per distinct term of a document."""
-    words = docs.select(F.col(key), X.tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def idf(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """term, idf over all documents: terms in over half of them get epsilon times the mean.
 
-
-def idf(posts: DataFrame, total: int) -> DataFrame:
-    """term, idf: terms in over half of the documents get epsilon times the mean."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw").alias("m")).first()["m"] or 0.0
-    return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
+    Each document sends a term once, combined on the map side by term.
+    """
+    df = docs.select(F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = docs.agg(F.count("*").cast("double")).scalar()
+    raw = df.select("term", F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    floor = raw.agg(F.lit(EPSILON) * F.avg("raw")).scalar()
+    return raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q_text: str) -> DataFrame:
     """q_key, key, score of all documents that share a term with a query.
 
-    Statistics cover all documents; only the postings of query terms take part
-    in the scoring join.
+    Statistics cover all documents; only the words of query terms are grouped
+    by document and take part in the scoring join.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens(F.col(text)))).alias("avgdl")).first()
-    posts = postings(docs, key, text)
+    words = docs.select(F.col(key), X.tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), "w")
+    mean = words.agg(F.avg("dl")).scalar()
     wanted = queries.select(q_key, F.explode(X.tokens(F.col(q_text))).alias("term")).groupBy(q_key, "term").agg(F.count("*").alias("qtf"))
-    weight = idf(posts, stats["n"])
-    hit = posts.join(wanted, "term").join(weight, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
+    terms = wanted.select("term").distinct()
+    tf = words.select(key, "dl", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    weight = idf(docs, key, text).join(terms, "term", "left_semi")
+    hit = tf.join(wanted.join(weight, "term"), "term")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     return hit.groupBy(q_key, key).agg(F.sum(part).alias("score"))
 
 
