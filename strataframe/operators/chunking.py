@@ -143,3 +143,39 @@ def parents(df: DataFrame, key: str, pos: str, level: str, deepest: int) -> Data
     last = [F.max(F.when(F.col(level) == k, F.col(pos))).over(w) for k in range(1, deepest)]
     parent = F.array_max(F.array_compact(F.array(*[F.when(F.col(level) > k + 1, c) for k, c in enumerate(last)])))
     return df.withColumn("parent", parent)
+
+
+def blocks(df: DataFrame, key: str, fallback: bool = True) -> DataFrame:
+    """key, block, kind (heading, table or paragraph), level, text of runs of like lines.
+
+    Blank lines and changes of kind end a block, and every heading is one of
+    its own; with ``fallback`` lines that look like headings count as such.
+    """
+    line = F.col("line")
+    marked = X.heading_level(line)
+    guessed = F.when(X.heading_candidate(line), F.coalesce(X.clause_level(X.clause_number(line)), F.lit(1))) if fallback else F.lit(None).cast("int")
+    kind = F.when(F.trim(line) == "", "blank").when(marked.isNotNull(), "heading").when(X.is_table_line(line), "table").when(guessed.isNotNull(), "heading").otherwise("paragraph")
+    w = Window.partitionBy(key).orderBy("pos")
+    typed = df.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", F.coalesce(marked, guessed)))
+    begins = (F.col("kind") == "heading") | ~F.col("kind").eqNullSafe(F.lag("kind").over(w))
+    numbered = typed.withColumn("block", F.sum(F.when(begins, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("kind <> 'blank'")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    return numbered.groupBy(key, "block").agg(F.first("kind").alias("kind"), F.max("level").alias("level"), body.alias("text"))
+
+
+def render(df: DataFrame, key: str) -> DataFrame:
+    """Blocks back to Markdown, headings marked by their level."""
+    shown = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least(F.col("level"), F.lit(6)).cast("int")), F.lit(" "), X.heading_text(F.col("text")))).otherwise(F.col("text"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", shown.alias("s")))), lambda x: x["s"])
+    return df.groupBy(key).agg(F.array_join(parts, "\n\n").alias("markdown"))
+
+
+def preservation(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """issue, entity_id: blocks that are missing, new or repeated after structuring."""
+    b, a = before.select(F.col(key).alias("entity_id")), after.select(F.col(key).alias("entity_id"))
+    repeated = a.groupBy("entity_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return (
+        b.join(a, "entity_id", "left_anti").withColumn("issue", F.lit("missing"))
+        .unionByName(a.join(b, "entity_id", "left_anti").withColumn("issue", F.lit("extra")))
+        .unionByName(repeated.select("entity_id").withColumn("issue", F.lit("repeated")))
+    )

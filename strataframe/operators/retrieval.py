@@ -144,3 +144,11 @@ def texts_containing(docs: DataFrame, key: str, text: str, items: DataFrame, i_k
     rare = words.join(df, "term").groupBy(i_key).agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     found = posts.join(rare, "term").select(i_key, key)
     return found.join(items.select(i_key, F.col(i_text).alias("__item")), i_key).join(docs.select(key, F.col(text).alias("__text")), key).filter(F.contains("__text", "__item")).select(i_key, key)
+
+
+def hashed_embedding(text: Column, dim: int = 64) -> Column:
+    """array<double>: unit vector of hashed token counts, a stand-in for a model that the caller brings."""
+    slots = F.transform(X.tokens(text), lambda t: F.crc32(t) % dim)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(F.size(slots) > 0, F.element_at(F.transform(F.array(counts), lambda v: F.transform(v, lambda x: x / norm(v))), 1))

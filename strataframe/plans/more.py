@@ -269,3 +269,53 @@ def _(t):
 @query("s13_page_links", "SELECT page_id, len(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) AS n FROM pages")
 def _(t):
     return t("pages").select("page_id", F.size(html.links(F.col("html"))).cast("long").alias("n"))
+
+
+_MD = """m AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN '## ' || line WHEN pos % 5 IN (2, 3) THEN '| a | ' || pos || ' |' ELSE lower(line) END AS line
+    FROM (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(line) <> ''),
+    k AS (SELECT *, CASE WHEN pos % 5 = 0 THEN 'heading' WHEN pos % 5 IN (2, 3) THEN 'table' ELSE 'paragraph' END AS kind FROM m),
+    b AS (SELECT *, sum(CASE WHEN kind = 'heading' OR kind IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM k))"""
+
+
+def _markdown(t):
+    raw = C.lines(t("documents"), "doc_id", "text").filter("trim(line) <> ''")
+    k = F.col("pos") % 5
+    return raw.select("doc_id", "pos", F.when(k == 0, F.concat(F.lit("## "), "line")).when(k.isin(2, 3), F.concat(F.lit("| a | "), "pos", F.lit(" |"))).otherwise(F.lower("line")).alias("line"))
+
+
+@query("x48_blocks", f"WITH {_MD} SELECT doc_id, CAST(block AS BIGINT) AS block, kind, string_agg(line, chr(10) ORDER BY pos) AS text FROM b GROUP BY ALL")
+def _(t):
+    return C.blocks(_markdown(t), "doc_id", fallback=False).select("doc_id", "block", "kind", "text")
+
+
+@query("x48_render", f"WITH {_MD}, x AS (SELECT doc_id, block, string_agg(trim(line), chr(10) ORDER BY pos) AS text FROM b GROUP BY ALL) SELECT doc_id, len(string_agg(text, chr(10) || chr(10) ORDER BY block)) > 0 AS rendered, count(*) AS blocks FROM x GROUP BY 1")
+def _(t):
+    b = C.blocks(_markdown(t), "doc_id", fallback=False)
+    n = b.groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("blocks"))
+    return C.render(b, "doc_id").join(n, F.col("doc_id") == F.col("d")).select("doc_id", (F.length("markdown") > 0).alias("rendered"), "blocks")
+
+
+@query("a30_preservation", "SELECT 'missing' AS issue, o_orderkey AS entity_id FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT 'repeated', o_orderkey FROM orders WHERE o_orderkey % 100 = 7")
+def _(t):
+    o = t("orders").select("o_orderkey")
+    return C.preservation(o, o.filter("o_orderkey % 100 <> 0").unionAll(o.filter("o_orderkey % 100 = 7")), "o_orderkey")
+
+
+@query("x45_structured_intent", "SELECT p_partkey, ['IS ' || p_partkey] AS standards, 'water tank' AS product, 'INDIA' AS jurisdiction, CASE WHEN p_size % 2 = 0 THEN 'laboratory' ELSE 'testing' END AS service FROM part")
+def _(t):
+    from strataframe.functions.query import structured_intent
+
+    P, Z = _columns()
+    q = F.concat(F.when(Z % 2 == 0, "Which lab").otherwise("How to test"), F.lit(" in India uses IS "), P, F.lit(" for a water tank"))
+    return t("part").select("p_partkey", structured_intent(q).alias("i")).select("p_partkey", "i.standards", "i.product", "i.jurisdiction", "i.service")
+
+
+@query("r02_hashed_embedding")
+def _(t):
+    return t("benchmark").select("item_id", R.hashed_embedding(F.col("text")).alias("embedding"))
+
+
+@query("x19_cache_key", "SELECT p_partkey, length(p_name) > 0 AS stable FROM part")
+def _(t):
+    P, Z = _columns()
+    return t("part").select("p_partkey", (E.cache_key(F.col("p_name"), Z) == E.cache_key(F.col("p_name"), Z)).alias("stable"))
