@@ -128,7 +128,9 @@ class Lattice:
     def __init__(self, model: Model):
         self.m = model
         self.none = len(model.pieces)  # stands for the text's begin, and for an unknown character
-        self.pairs: dict[int, bool] = {}
+        # pairs judged so far: sorted keys with their verdicts, and the latest ones beside them
+        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.latest: dict[int, bool] = {}
 
     def spans(self, chars: np.ndarray) -> np.ndarray:
         """Piece id of chars[:, i : i + k + 1] at [:, i, k], or -1."""
@@ -172,23 +174,39 @@ class Lattice:
 
     def _admit(self, keys: np.ndarray) -> np.ndarray:
         """Is each (piece before) * base + piece admissible?"""
-        base = self.none + 1
-        known = self.pairs
-        got = [known.get(k) for k in keys.tolist()]
-        new = list(dict.fromkeys(k for k, g in zip(keys.tolist(), got) if g is None))
-        if new:
-            by: dict[int, list[tuple[int, int, str]]] = {}
-            for k in new:
-                u, t = divmod(k, base)
-                head = "" if u == self.none else self.m.pieces[u]
-                text = head + self.m.pieces[t]
-                by.setdefault(len(text), []).append((k, len(head), text))
-            for group in by.values():
-                chars = np.array([[ord(c) for c in t] for _, _, t in group], np.uint32)
-                for (k, cut, _), starts in zip(group, self.merge(chars)):
-                    known[k] = starts.tolist() == ([0, cut] if cut else [0])
-            got = [known[k] for k in keys.tolist()]
-        return np.array(got, bool)
+        out = np.zeros(len(keys), bool)
+        if len(self.pair_keys):
+            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+            out = self.pair_ok[at]
+            left = np.flatnonzero(self.pair_keys[at] != keys)
+        else:
+            left = np.arange(len(keys))
+        if len(left):
+            asked = keys[left].tolist()
+            new = [k for k in dict.fromkeys(asked) if k not in self.latest]
+            if new:
+                self._judge(new)
+            out[left] = [self.latest[k] for k in asked]
+            if len(self.latest) > 20_000:
+                more = np.fromiter(self.latest, np.int64, len(self.latest))
+                every = np.concatenate([self.pair_keys, more])
+                order = np.argsort(every)
+                self.pair_keys, self.pair_ok = every[order], np.concatenate([self.pair_ok, np.fromiter(self.latest.values(), bool, len(more))])[order]
+                self.latest = {}
+        return out
+
+    def _judge(self, keys: list[int]) -> None:
+        """Merge the text of each pair and see whether it ends as the pair."""
+        by: dict[int, list[tuple[int, int, str]]] = {}
+        for k in keys:
+            u, t = divmod(k, self.none + 1)
+            head = "" if u == self.none else self.m.pieces[u]
+            text = head + self.m.pieces[t]
+            by.setdefault(len(text), []).append((k, len(head), text))
+        for group in by.values():
+            chars = np.array([[ord(c) for c in t] for _, _, t in group], np.uint32)
+            for (k, cut, _), starts in zip(group, self.merge(chars)):
+                self.latest[k] = starts.tolist() == ([0, cut] if cut else [0])
 
     def encode(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces (last first, padded with -1) of equal-length rows, and their start positions."""
