@@ -22,7 +22,8 @@ def idf(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Each document sends a term once, combined on the map side by term.
     """
-    df = docs.select(F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # explode_outer: plain explode would evaluate its array once more, to filter out the empty ones
+    df = docs.select(F.explode_outer(F.array_distinct(X.tokens(F.col(text)))).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").cast("double")).scalar()
     raw = df.select("term", F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg(F.lit(EPSILON) * F.avg("raw")).scalar()
@@ -39,7 +40,7 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q
     mean = words.agg(F.avg("dl")).scalar()
     wanted = queries.select(q_key, F.explode(X.tokens(F.col(q_text))).alias("term")).groupBy(q_key, "term").agg(F.count("*").alias("qtf"))
     terms = wanted.select("term").distinct()
-    tf = words.select(key, "dl", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tf = words.select(key, "dl", F.explode_outer("w").alias("term")).join(terms, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weight = idf(docs, key, text).join(terms, "term", "left_semi")
     hit = tf.join(wanted.join(weight, "term"), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
@@ -137,7 +138,7 @@ def evaluate(ranked: DataFrame, gold: DataFrame, q_key: str, key: str, k: int) -
 
 def texts_containing(docs: DataFrame, key: str, text: str, items: DataFrame, i_key: str, i_text: str) -> DataFrame:
     """i_key, key where the document contains the item, blocked on the item's rarest inner word."""
-    posts = docs.select(key, F.explode(F.array_distinct(F.split(F.col(text), r"\s+"))).alias("term"))
+    posts = docs.select(key, F.explode_outer(F.array_distinct(F.split(F.col(text), r"\s+"))).alias("term"))
     inner = items.select(i_key, F.col(i_text).alias("__item"), F.split(i_text, r"\s+").alias("w"))
     words = inner.select(i_key, F.explode(F.when(F.size("w") > 2, F.slice("w", 2, F.size("w") - 2)).otherwise(F.col("w"))).alias("term")).distinct()
     df = posts.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
