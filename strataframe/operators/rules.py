@@ -212,3 +212,89 @@ def grounding(df: DataFrame, key: str, status: str) -> DataFrame:
     bad = F.count_if(F.col(status) == "UNSUPPORTED")
     overall = ladder((bad > 0, "UNSUPPORTED"), (part > 0, "PARTIAL"), (n == 0, "UNVERIFIABLE"), default="FULL")
     return df.groupBy(key).agg(F.bround(sup / n, 6).alias("coverage"), F.bround((sup + 0.5 * part) / n, 6).alias("score"), overall.alias("overall"))
+
+
+# The steps of each scheme, in order.
+CHECKLISTS = {
+    "SCHEME-IV": ["Register as a jeweller", "Prepare the consignment and its voucher", "Assay and test purity", "Mark with the four-part hallmark and its code"],
+    "SCHEME-II": ["Submit samples to a recognised laboratory", "Apply for registration", "Technical scrutiny and registration number", "Label products and stand surveillance"],
+    "SCHEME-X": ["Apply and name a local representative", "Document scrutiny and audit fee", "Audit of the overseas factory", "Draw samples and test them", "Bank guarantee and grant of licence"],
+    "SCHEME-I": ["Apply with documents", "Factory audit", "Draw samples and test them", "Review of reports and grant of licence", "Surveillance and renewal"],
+}
+
+
+def checklist(df: DataFrame, key: str, scheme_name: Column, labs: Column | None = None) -> DataFrame:
+    """key, step, title, notes: the steps of each row's scheme; testing steps list the laboratories."""
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(y) for y in x]) for kv in CHECKLISTS.items() for x in kv])
+    base = F.regexp_replace(scheme_name, "-VOLUNTARY$", "")
+    steps = df.select(key, F.posexplode(F.try_element_at(table, base)).alias("pos", "title"), (F.lit(None).cast("array<string>") if labs is None else labs).alias("labs"))
+    notes = F.when(F.rlike(F.lower("title"), F.lit("test|sample")) & (F.size("labs") > 0), F.concat(F.lit("Laboratories: "), F.array_join("labs", ", ")))
+    return steps.select(key, (F.col("pos") + 1).alias("step"), "title", notes.alias("notes"))
+
+
+def ranking_keys(r: dict[str, Column], q: dict[str, Column]) -> list[Column]:
+    """The nine keys of the tiered order, all descending.
+
+    ``r``: title, products (arrays of words), opening, is_lab, is_qco, is_testing,
+    standard, clause, amendment, year, is_authority, is_current, reranker, fusion
+    of a row. ``q``: words, wants_lab, standard, clause, amendment, year.
+    """
+    hit = lambda words: F.size(F.array_intersect(words, q["words"])) > 0
+    whole = F.array_union(F.array_union(r["title"], r["products"]), r["opening"])
+    product = ladder((F.size(F.array_intersect(whole, q["words"])) > 0, 2), ((F.size(r["title"]) > 0) & ~hit(r["title"]) & (F.size(q["words"]) > 0), -3), default=0)
+    purpose = F.when(q["wants_lab"], F.when(r["is_lab"], 2).otherwise(-1)).otherwise(F.when(r["is_lab"], -3).when(r["is_qco"] | r["is_testing"], 2).otherwise(1))
+    scope = ladder((q["standard"].isNull() | r["standard"].isNull(), 1), (q["standard"] == r["standard"], 2), default=-1)
+    clause = ladder((r["clause"].isNull(), 1), (r["clause"] == q["clause"], 3), (F.startswith(r["clause"], F.concat(q["clause"], F.lit("."))), 2), default=0)
+    amendment = ladder((r["amendment"].isNull(), 1), (r["amendment"] == q["amendment"], 3), default=0)
+    identifier = ladder((q["clause"].isNotNull(), clause), (q["amendment"].isNotNull(), amendment), default=1)
+    version = ladder((q["year"].isNull() | r["year"].isNull(), 0), (q["year"] == r["year"], 1), default=-1)
+    return [product, purpose, scope, identifier, version, F.when(r["is_authority"], 1).otherwise(0), F.when(r["is_current"], 1).otherwise(-1), r["reranker"], r["fusion"]]
+
+
+def scope_share(asked: dict[str, Column], match: dict[str, Column], conflict: Column, broad: Column, best: Column) -> Column:
+    """The scope part of the confidence, 0 to .35: by the identifiers that were asked for, else by the best score."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    standard = ladder((no(conflict), -0.30), (~no(asked["standard"]), 0.10), (no(match["standard"]), 0.15), default=0.0)
+    clause = ladder((~no(asked["clause"]), F.lit(0.10) + F.when(no(broad) & no(match["standard"]), 0.15).otherwise(0.0)), (no(match["clause"]), F.lit(0.15)), default=F.lit(0.0))
+    amendment = ladder((~no(asked["amendment"]), 0.05), (no(match["amendment"]), 0.05), default=-0.10)
+    year = ladder((~no(asked["year"]), 0.05), (no(match["year"]), 0.05), default=-0.10)
+    any_asked = no(asked["standard"]) | no(asked["clause"]) | no(asked["amendment"]) | no(asked["year"])
+    return F.when(any_asked, F.greatest(F.lit(0.0), F.least(F.lit(0.35), standard + clause + amendment + year))).otherwise(X.sigmoid(best) * 0.35)
+
+
+SEVERE = ("unknown_citation", "standard_mismatch", "clause_mismatch", "edition_mismatch", "amendment_mismatch", "numeric", "negative", "legal", "currentness", "supersession", "unsupported_terms")
+
+
+def claim_issues(claim: Column, evidence: Column, cited: Column, known: Column, footer: Column, is_current: Column) -> Column:
+    """array<string> of what a claim says beyond its evidence; identifiers, numbers and words are compared as sets."""
+    low, there = F.lower(claim), F.lower(evidence)
+    found = lambda c, p: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(p), F.lit(1)))
+    extra = lambda p: F.size(F.array_except(found(claim, p), found(evidence, p))) > 0
+    said = lambda c, words: F.rlike(c, F.lit(rf"\b(?:{words})\b"))
+    terms = lambda c: F.array_distinct(F.transform(F.filter(X.tokens(c), lambda w: F.length(w) > 3), X.stem))
+    own = terms(claim)
+    overlap = F.size(F.array_intersect(own, terms(evidence))) / F.greatest(F.size(own), F.lit(1))
+    foreign = F.length(F.regexp_replace(claim, r"[\x00-\x7f]", "")) > 0.3 * F.length(claim)
+    low_limit, high_limit = F.when(footer, 0.25).otherwise(0.50), F.when(footer, 0.45).otherwise(0.70)
+    counted = ~foreign & (F.size(own) > 0)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), X.STANDARD, " "), r"(?:clause|amendment(?: no\.?)?)\s*[\d.]+|\[\d+\]", " ")
+    checks = [
+        ("unknown_citation", F.size(F.array_except(cited, known)) > 0),
+        ("standard_mismatch", extra(X.STANDARD)),
+        ("clause_mismatch", extra(r"\bclause\s+(\d+(?:\.\d+)*)")),
+        ("edition_mismatch", extra(r":\s*((?:19|20)\d\d)\b")),
+        ("amendment_mismatch", extra(r"\bamendment\s*(?:no\.?\s*)?(\d+)")),
+        ("numeric", F.size(F.array_except(X.numbers(bare(claim)), X.numbers(evidence))) > 0),
+        ("negative", said(low, "not|no|never|without") & ~said(there, "not|no|never|without")),
+        ("legal", said(low, "mandatory|illegal|penalty|prohibited") & ~said(there, "mandatory|illegal|penalty|prohibited|shall|must")),
+        ("currentness", said(low, "current|latest|in force") & ~is_current),
+        ("supersession", said(low, "superseded|supersedes|withdrawn") & ~said(there, "superseded|supersedes|withdrawn")),
+        ("unsupported_terms", counted & (overlap < low_limit)),
+        ("partial_terms", counted & (overlap >= low_limit) & (overlap < high_limit)),
+    ]
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks]))
+
+
+def claim_verdict(issues: Column) -> Column:
+    severe = F.arrays_overlap(issues, F.array(*[F.lit(x) for x in SEVERE]))
+    return ladder((severe, "UNSUPPORTED"), (F.size(issues) > 0, "PARTIAL"), default="SUPPORTED")

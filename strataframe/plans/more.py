@@ -319,3 +319,51 @@ def _(t):
 def _(t):
     P, Z = _columns()
     return t("part").select("p_partkey", (E.cache_key(F.col("p_name"), Z) == E.cache_key(F.col("p_name"), Z)).alias("stable"))
+
+
+@query("d04_checklist_steps", "SELECT p_partkey, count(*) AS steps FROM part, range(CASE WHEN p_size % 3 = 0 THEN 4 ELSE 5 END) GROUP BY 1")
+def _(t):
+    P, Z = _columns()
+    name = F.when(Z % 3 == 0, "SCHEME-IV").when(Z % 3 == 1, "SCHEME-X").otherwise("SCHEME-I-VOLUNTARY")
+    return D.checklist(t("part"), "p_partkey", name, F.array(F.lit("Lab A"))).groupBy("p_partkey").agg(F.count("*").alias("steps"))
+
+
+@query("w03_nine_keys", """
+    SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_partkey % 2 = 0 THEN 2 ELSE -3 END DESC, CASE WHEN l_suppkey % 5 = 0 THEN -3 WHEN l_suppkey % 3 = 0 THEN 2 ELSE 1 END DESC,
+    CASE WHEN l_partkey % 7 = 0 THEN 1 WHEN l_returnflag = 'R' THEN 2 ELSE -1 END DESC, CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END DESC, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END DESC,
+    CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END DESC, CASE WHEN l_discount > 0.05 THEN 1 ELSE -1 END DESC, l_quantity DESC, l_extendedprice DESC, l_linenumber, l_partkey) AS rank FROM lineitem""")
+def _(t):
+    c = F.col
+    no = F.lit(None).cast("string")
+    k = c("l_linenumber") % 4
+    r = {
+        "title": F.array(F.when(c("l_partkey") % 2 == 0, "pump").otherwise("valve")), "products": F.array().cast("array<string>"), "opening": F.array().cast("array<string>"),
+        "is_lab": c("l_suppkey") % 5 == 0, "is_qco": c("l_suppkey") % 3 == 0, "is_testing": F.lit(False), "standard": F.when(c("l_partkey") % 7 != 0, c("l_returnflag")),
+        "clause": F.when(k == 1, "4").when(k == 2, "4.1").when(k == 3, "5"), "amendment": no, "year": c("l_linestatus"), "is_authority": c("l_tax") > 0.04, "is_current": c("l_discount") > 0.05,
+        "reranker": c("l_quantity"), "fusion": c("l_extendedprice"),
+    }
+    q = {"words": F.array(F.lit("pump")), "wants_lab": F.lit(False), "standard": F.lit("R"), "clause": F.lit("4"), "amendment": no, "year": F.lit("O")}
+    return R.tiers(t("lineitem"), "l_orderkey", D.ranking_keys(r, q), F.struct("l_linenumber", "l_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "rank")
+
+
+@query("r08_scope_share", """
+    SELECT p_partkey, round_even(CASE WHEN p_size % 4 = 3 THEN 0.35 / (1 + exp(-(p_size / 10.0 - 2))) ELSE greatest(0, least(0.35, CASE WHEN p_size % 4 = 2 THEN -0.30 WHEN p_size % 4 = 1 THEN 0.15 ELSE 0.0 END
+    + CASE WHEN p_size % 2 = 0 THEN 0.15 ELSE 0.0 END + 0.05 + 0.05)) END, 6) AS share FROM part""")
+def _(t):
+    P, Z = _columns()
+    k, no = Z % 4, F.lit(False)
+    asked = k != 3
+    share = D.scope_share({"standard": asked, "clause": asked, "amendment": no, "year": no}, {"standard": k == 1, "clause": Z % 2 == 0, "amendment": no, "year": no}, k == 2, no, Z / 10.0 - 2)
+    return t("part").select("p_partkey", F.bround(share, 6).alias("share"))
+
+
+@query("x38_claim_issues", """
+    SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN [] WHEN 1 THEN ['numeric'] WHEN 2 THEN ['standard_mismatch'] WHEN 3 THEN ['negative'] WHEN 4 THEN ['unknown_citation'] ELSE ['currentness'] END AS issues,
+    CASE WHEN p_partkey % 6 = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict FROM part""")
+def _(t):
+    P, Z = _columns()
+    k = P % 6
+    text = F.concat(F.lit("Pressure of pipes shall be "), F.when(k == 1, Z + 1).otherwise(Z), F.lit(" bar under IS "), F.when(k == 2, 7).otherwise(129), F.when(k == 3, " and not more").when(k == 5, " in current pipes").otherwise(""))
+    evidence = F.concat(F.lit("IS 129 says the pressure of all pipes under test shall be "), Z, F.lit(" bar and more, in pipes of the current kind"))
+    issues = D.claim_issues(text, evidence, F.array(F.when(k == 4, "9").otherwise("1")), F.array(F.lit("1")), F.lit(False), F.lit(False))
+    return t("part").select("p_partkey", issues.alias("issues"), D.claim_verdict(issues).alias("verdict"))

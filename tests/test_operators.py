@@ -191,6 +191,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"sources": [{"source_id": "a", "source_type": "odd", "crawl_frequency": "weekly"}]}))
     rec = files.read_registry(spark, str(tmp_path / "r.json")).first()
     assert (rec.source_type, rec.crawl_frequency) == ("portal", "weekly")
+    (tmp_path / "cases.json").write_text(json.dumps([{"id": "a", "query": "q"}, {"id": "b"}]))
+    assert [tuple(r) for r in files.read_cases(spark, str(tmp_path / "cases.json"), "id string, query string").orderBy("id").collect()] == [("a", "q"), ("b", None)]
     files.append_log(chunks.select("doc"), str(tmp_path / "log"))
     files.append_log(chunks.select("doc"), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
