@@ -2,19 +2,18 @@
 
 import os
 import re
+import zlib
 
 import numpy as np
 import pytest
-import zlib
 from pyspark.sql import functions as F
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from tests.llm import docs as D  # noqa: E402
-from tests.llm.test_jaccard_join import brute  # noqa: E402
-from tests.llm.test_langid import DE, EN  # noqa: E402
-from tests.llm.test_pii import base  # noqa: E402
-from tests.llm.test_tokens import WORD, library  # noqa: E402
+import corpus_pipeline
+from tests.llm import docs as D
+from tests.llm.test_jaccard_join import brute
+from tests.llm.test_langid import DE, EN
+from tests.llm.test_pii import base
+from tests.llm.test_tokens import WORD, library
 
 
 @pytest.fixture(scope="module")
