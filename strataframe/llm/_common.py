@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +47,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give freed memory back at the end of a task; a reused worker would keep it otherwise."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffer(col: pa.Array) -> tuple[bytes, np.ndarray]:
     """UTF-8 bytes of a whole string column and its n+1 offsets; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

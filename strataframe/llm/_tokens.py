@@ -28,17 +28,18 @@ _LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 _AFTER = np.zeros(256, bool)
 _AFTER[0x21:0x7F] = ~_LETTER[0x21:0x7F]
 #: Chunks remembered by a worker; beyond them those met in one batch only go.
-_CACHE = 1_000_000
+CACHE = 1_000_000
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _held: dict[tuple, ChunkEncoder] = {}
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def encoder(path: str, end_id: int) -> ChunkEncoder:
+def encoder(path: str, end_id: int, cache: int = CACHE) -> ChunkEncoder:
     """This worker's encoder for a file; it outlives tasks where workers do."""
     if (path, end_id) not in _held:
         _held[path, end_id] = ChunkEncoder(path, end_id)
+        _held[path, end_id].cache = cache
     return _held[path, end_id]
 
 
@@ -128,6 +129,7 @@ class ChunkTable:
     """Ids of chunks, found by hash. Subclasses say how chunks are learnt and cut."""
 
     end_ids: tuple[int, ...] = ()
+    cache = CACHE
 
     def _learn(self, data: bytes, hasher: _Hasher, start: np.ndarray, end: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
         """Add the chunks data[start : end], which differ from each other."""
@@ -155,7 +157,7 @@ class ChunkTable:
         """Keep the chunks found again after they were learnt, if they are few enough."""
         kept = np.flatnonzero(self.again[: self.size])
         kept = kept[kept > 0]
-        if len(kept) > _CACHE * 3 // 4:
+        if len(kept) > self.cache * 3 // 4:
             return self._clear()
         old = self.key[kept], self.check[kept], self._gather(kept), self.count[kept].astype(np.int64)
         self._clear()
@@ -218,7 +220,7 @@ class ChunkTable:
 
     def encode_column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end ids, and how many each text has."""
-        if self.size > _CACHE:
+        if self.size > self.cache:
             self._forget()
         data, off = self._buffer(col)
         docs = len(off) - 1

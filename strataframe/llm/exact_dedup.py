@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import ascii_lower, text_buffer
+from strataframe.llm._common import ascii_lower, release_memory, text_buffer
 
 #: Bytes of labels a trie may hold before it spills its heaviest subtree.
 TRIE_BUDGET = 96 << 20
@@ -211,6 +211,8 @@ def _own(largest: bool, budget: int):
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(out, _OWNERS.types)], schema=_OWNERS)
                 out = [[], [], []]
         yield pa.record_batch([pa.array(v, t) for v, t in zip(out, _OWNERS.types)], schema=_OWNERS)
+        del trie
+        release_memory()
 
     return run
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import id_crc_mod
+from strataframe.llm._common import id_crc_mod, release_memory
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -40,7 +40,7 @@ MIN_COUNT = 2
 MAX_MODEL_ROWS = 4_000_000
 #: Words of evidence beyond which a document's likelihood is scaled down.
 EVIDENCE = 30.0
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -73,6 +73,8 @@ def _count(batches):
             out[2] += list(c)
             out[3] += list(c.values())
     yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())], names=["lang", "n", "gram", "k"])
+    del found, out
+    release_memory()
 
 
 class Model:
@@ -197,6 +199,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 b = whole.slice(i, 512)
                 best, p = score(b.column(1).to_pylist())
                 yield pa.record_batch([b.column(0), pa.array(names[best], pa.string()), pa.array(p)], names=["doc_id", "lang_pred", "score"])
+        del score
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -213,5 +217,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5) -> Da
                 b = whole.slice(i, 512)
                 best, p = score(b.column(at).cast(pa.string()).to_pylist())
                 yield b.filter(pa.array((best >= 0) & (p >= min_score)))
+        del score
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,6 +33,8 @@ CAPACITY = 4096
 #: Pieces a partition packs at once.
 PER_PARTITION = 40_000
 ROUNDS = 5
+#: Chunks a worker remembers; it keeps them while other stages run.
+CACHE = 400_000
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -41,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
-        enc = encoder(tokenizer, end_id)
+        enc = encoder(tokenizer, end_id, CACHE)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)

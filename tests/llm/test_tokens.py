@@ -34,7 +34,7 @@ def noise(n, seed=5):
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_chunked_encoding_equals_the_library(path, monkeypatch):
-    monkeypatch.setattr(T, "_CACHE", 2000)  # forgets along the way
+    monkeypatch.setattr(T.ChunkTable, "cache", 2000)  # forgets along the way
     enc, lib = T.ChunkEncoder(path, 7), library(path)
     for seed in range(4):
         texts = noise(1500, seed)
