@@ -6,8 +6,13 @@ windows that occur twice or more in the text. A document fails the base rules
 with fewer than 50 words or when over half of its words lie in repeated
 windows. The method replaces fixed cutoffs for the rest: mergeable KLL
 quantile sketches of each feature per (lang, source) give outer fences
-(quartiles +- ``reach`` interquartile ranges, at least ``slack`` wide), and
-documents outside the fences of their own group are not kept. Sketches merge
+(quartiles +- ``reach`` interquartile ranges), and documents outside the fences
+of their own group are not kept. Shares of repeated lines and windows are zero
+in most texts, quartiles included; their spread is that from the upper quartile
+to the 0.95 quantile. A fence is never nearer to its quartile than ``slack``;
+for repeats that is a count over the length of the text (one line,
+``SPARE_WORDS`` words), so it protects short texts and vanishes with length,
+and the quantiles set the cutoff. Sketches merge
 on the map side, so a source with a third of all rows sends one sketch a task.
 
 Defined cases: null or empty text has no words and fails; null lang or source
@@ -27,14 +32,16 @@ from strataframe.llm._common import text_buffer
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
+#: Repeated words that say nothing against a text: two copies of a sentence of 15 words.
+SPARE_WORDS = 30
 
-#: feature -> (expression, which sides are fenced, least distance of a fence from the quartile).
+#: feature -> (expression, which sides are fenced ("tail": high, by the upper tail), least distance of a fence from the quartile, per text).
 FEATURES = {
-    "mean_word_chars": ("try_divide(word_chars, n_words)", "both", 1.0),
-    "symbol_share": ("try_divide(n_symbols, word_chars)", "high", 0.02),
-    "dup_line_share": ("try_divide(n_dup_lines, n_lines)", "high", 0.50),
-    "repeat_share": ("try_divide(n_repeat_words, n_words)", "high", 0.40),
-    "upper_share": ("try_divide(n_upper, word_chars)", "high", 0.10),
+    "mean_word_chars": ("try_divide(word_chars, n_words)", "both", "1.0"),
+    "symbol_share": ("try_divide(n_symbols, word_chars)", "high", "0.02"),
+    "dup_line_share": ("try_divide(n_dup_lines, n_lines)", "tail", "try_divide(1, n_lines)"),
+    "repeat_share": ("try_divide(n_repeat_words, n_words)", "tail", f"least(0.40, try_divide({SPARE_WORDS}, n_words))"),
+    "upper_share": ("try_divide(n_upper, word_chars)", "high", "0.10"),
 }
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")])
@@ -104,15 +111,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, reach: float = 3.0, k: int = 200) -> DataFrame:
-    """One row per (lang, source): low_<feature> and high_<feature> from KLL sketches."""
+    """One row per (lang, source): q1_, q3_ and wide_<feature> (quartiles, ``reach`` times the spread) from KLL sketches."""
     sound = measured.filter(~F.col("base_failed"))
     sketches = sound.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.kll_sketch_agg_double(F.expr(f"CAST({e} AS DOUBLE)"), F.lit(k)).alias(f) for f, (e, _, _) in FEATURES.items()])
     q = lambda f, p: F.kll_sketch_get_quantile_double(f, F.lit(p))
     cols = []
-    for f, (_, side, slack) in FEATURES.items():
-        wide = F.greatest(F.lit(reach) * (q(f, 0.75) - q(f, 0.25)), F.lit(slack))
-        cols.append((q(f, 0.25) - wide if side == "both" else F.lit(float("-inf"))).alias(f"low_{f}"))
-        cols.append((q(f, 0.75) + wide).alias(f"high_{f}"))
+    for f, (_, side, _) in FEATURES.items():
+        spread = q(f, 0.95) - q(f, 0.75) if side == "tail" else q(f, 0.75) - q(f, 0.25)
+        cols += [q(f, 0.25).alias(f"q1_{f}"), q(f, 0.75).alias(f"q3_{f}"), (F.lit(reach) * spread).alias(f"wide_{f}")]
     return sketches.select("t_lang", "t_source", *cols)
 
 
@@ -121,7 +127,10 @@ def judge(docs: DataFrame, reach: float = 3.0, k: int = 200) -> DataFrame:
     m = measure(docs)
     t = thresholds(m, reach, k)
     inside = F.lit(True)
-    for f, (e, _, _) in FEATURES.items():
-        inside = inside & F.expr(f"CAST({e} AS DOUBLE)").between(F.col(f"low_{f}"), F.col(f"high_{f}"))
+    for f, (e, side, slack) in FEATURES.items():
+        x, wide = F.expr(f"CAST({e} AS DOUBLE)"), F.greatest(F.col(f"wide_{f}"), F.expr(f"CAST({slack} AS DOUBLE)"))
+        inside = inside & (x <= F.col(f"q3_{f}") + wide)
+        if side == "both":
+            inside = inside & (x >= F.col(f"q1_{f}") - wide)
     joined = m.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(False))).alias("kept"))

@@ -39,6 +39,18 @@ def test_fences_follow_their_own_group(spark):
     assert sum(got[i] for i in range(40)) >= 34
 
 
+def test_repeat_fences_follow_their_group_and_shrink_with_length(spark):
+    lines = lambda k, n: [" ".join(f"{w}{k}x{i}" for w in D.WORDS[:10]) for i in range(n)]
+    text = lambda k, n, again: "\n".join(lines(k, n) + lines(k, again))  # noqa: E731  ``again`` lines twice
+    rows = [D.row(i, text(i, 30, 0), "en", "clean") for i in range(100)]
+    rows += [D.row(200 + i, text(i, 24, 1 + i % 6), "en", "choruses") for i in range(40)]
+    rows += [D.row(900, text(900, 24, 6), "en", "clean"), D.row(901, text(901, 5, 1), "en", "clean"), D.row(902, text(902, 20, 3), "en", "clean")]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in Q.judge(D.frame(spark, rows)).collect()}
+    assert got[900] == (False, False) and got[902] == (False, False)  # far outside their group's quantiles
+    assert got[901] == (False, True)  # one repeated line in a short text
+    assert all(got[i] == (False, True) for i in [*range(100), *range(200, 240)])
+
+
 def test_awkward_rows(spark):
     df = D.awkward(spark)
     assert Q.judge(df).count() == df.count()
