@@ -205,8 +205,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a known language at ``min_score`` or more, columns unchanged."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` with a language (not ``und``), columns unchanged."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -215,8 +215,8 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5) -> Da
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
-                best, p = score(b.column(at).cast(pa.string()).to_pylist())
-                yield b.filter(pa.array((best >= 0) & (p >= min_score)))
+                best, _ = score(b.column(at).cast(pa.string()).to_pylist())
+                yield b.filter(pa.array(best >= 0))
         del score
         release_memory()
 

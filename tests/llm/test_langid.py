@@ -51,3 +51,12 @@ def test_score_matches_the_plain_formula(spark):
     best, score = L.Scorer(model)(["x x", "y", "12", None, "zz"])
     assert best.tolist() == [0, 1, -1, -1, best[4]] and score[2] == 0
     assert abs(score[4] - 0.5) < 1e-6  # nothing known: no preference
+
+
+def test_only_undetermined_rows_go(spark):
+    model = L.Model(["a", "b", "c", "d"], [(x, 0, w, 3) for x in "abcd" for w in ("x", x * 3)] + [(x, 1, x, 9) for x in "abcd"])
+    df = D.frame(spark, [D.row(1, "x"), D.row(2, "zz"), D.row(3, "aaa aaa"), D.row(4, "12 34"), D.row(5, None)])
+    found = {r.doc_id: r for r in L.identify(df, model).collect()}
+    assert found[1].score < 0.5 and found[2].score < 0.5  # words of all languages, words of none
+    kept = {r.doc_id for r in L.keep_identified(df, model).collect()}
+    assert kept == {i for i, r in found.items() if r.lang_pred != "und"} == {1, 2, 3}
