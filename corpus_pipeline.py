@@ -19,12 +19,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
-    return exact_dedup.keep_owners(docs, keep="max")
+    """Of equal texts the largest doc_id stays, in one row."""
+    return exact_dedup.keep_one_per_text(docs, keep="max")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One row of each class of near copies stays."""
     return jaccard_join.keep_one_per_class(docs)
 
 

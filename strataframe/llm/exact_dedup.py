@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strataframe.llm._common import ascii_lower, release_memory, text_buffer
 
@@ -243,6 +244,31 @@ def exact_dedup(docs: DataFrame, keep: str = "min", budget: int = TRIE_BUDGET) -
 
 
 def keep_owners(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` whose document stays, columns unchanged."""
+    """The rows of ``docs`` whose document stays, columns unchanged; decided by doc_id alone, null ids stay."""
     gone = exact_dedup(docs, keep).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
+
+
+def _with_digests(at: int):
+    def run(batches):
+        for b in batches:
+            data, off = text_buffer(b.column(at).cast(pa.string()))
+            data = ascii_lower(data)
+            sha = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+            yield pa.record_batch([*b.columns, pa.array(sha, pa.string())], names=[*b.schema.names, "__sha"])
+
+    return run
+
+
+def keep_one_per_text(docs: DataFrame, keep: str = "min") -> DataFrame:
+    """Exactly one row of each distinct text, columns unchanged.
+
+    Decisions are carried by doc_id and text digest, so a null id is dropped
+    where its text has an owner, repeated rows stay once, and a doc_id with
+    several texts loses only those that are copies.
+    """
+    key = lambda sha: F.concat_ws(":", sha, F.col("doc_id").cast("long").cast("string")).alias("__key")
+    schema = StructType([*docs.schema.fields, StructField("__sha", StringType())])
+    rows = docs.mapInArrow(_with_digests(docs.columns.index("text")), schema).select(*docs.columns, key("__sha"))
+    gone = exact_dedup(docs, keep).filter(~F.col("kept")).select(key("text_sha256").alias("__gone")).distinct()
+    return rows.dropDuplicates(["__key"]).join(gone, F.col("__key") == F.col("__gone"), "left_anti").select(*docs.columns)

@@ -68,3 +68,22 @@ def test_clean_documents_stay(spark, folder):
     path, texts = folder
     kept = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{path}/documents.parquet"), path)
     assert kept.filter(F.col("doc_id") < 60).count() == 60
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{w}{k}" for w in EN[:30]) for k in "abcd")
+    rows = [D.row(1, a), D.row(None, a), D.row(None, a), D.row(None, b), D.row(None, b)]  # null ids, with and without an owner
+    rows += [D.row(3, c), D.row(3, c), D.row(3, c)]  # repeated rows
+    rows += [D.row(5, a.upper()), D.row(5, d), D.row(6, "one two three four five six seven"), D.row(6, d.replace("d ", "d  "))]  # ids with two texts
+    near = [D.row(None, d + " more"), D.row(None, b + " more"), D.row(None, b + " still")]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = D.frame(spark, rows + near)
+    exact = stages["exact_dedup"](spark, docs, "")
+    got = sorted(((r.doc_id, r.text) for r in exact.collect()), key=repr)
+    want = [(5, a.upper()), (None, b), (3, c), (5, d), (6, rows[10][1]), (6, rows[11][1]), *((None, r[1]) for r in near)]
+    assert exact.columns == docs.columns and got == sorted(want, key=repr)
+    for left in (exact, docs):
+        out = stages["jaccard_join"](spark, left, "").collect()
+        groups = ["a " if r.text.lower().startswith(a[:9]) else r.text[:9] for r in out]
+        assert len(out) == len(set(groups)) == 5, out
+        assert all(r.doc_id is not None for r in out if not r.text.startswith(b[:9]))
