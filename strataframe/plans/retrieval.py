@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import text as X
 from strataframe.operators import retrieval as R
-from strataframe.plans import query
+from strataframe.plans import ORACLES, query
 
 _PUNCT = X.PUNCTUATION.replace("'", "''")
 _TOK = "list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda t: trim(t, '" + _PUNCT + "')), lambda t: t <> '')"
@@ -46,9 +46,9 @@ _D2 = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (CA
 _KNN = f"SELECT q.vec_id AS query_id, e.vec_id, {_D2} AS d FROM embeddings q, embeddings e WHERE q.vec_id < 20"
 
 
-def _knn(t, k):
+def _knn(t, k, queries="vec_id < 20"):
     e = t("embeddings")
-    return R.knn(e, "vec_id", "embedding", e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "embedding", k)
+    return R.knn(e, "vec_id", "embedding", e.filter(queries).select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "embedding", k)
 
 
 @query("r01_knn", f"SELECT query_id, vec_id, rank, round_even(1 / (1 + d), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM ({_KNN})) WHERE rank <= 15")
@@ -61,9 +61,9 @@ _ARMS = f"""
     a AS (SELECT * FROM e WHERE rank <= 15), b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 37 + query_id * 11) % 101, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, x.vec_id FROM embeddings q, embeddings x WHERE q.vec_id < 20 AND x.label = q.label) QUALIFY rank <= 15)"""
 
 
-def _second_arm(t):
+def _second_arm(t, queries="vec_id < 20"):
     e = t("embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    q = e.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
     pairs = e.select("vec_id", "label").join(q, F.col("label") == F.col("q_label"))
     return R.top_k(pairs, "query_id", 15, (F.col("vec_id") * 37 + F.col("query_id") * 11) % 101, F.col("vec_id")).select("query_id", "vec_id", "rank")
 
@@ -120,13 +120,41 @@ def _(t):
     WITH {_ARMS}, f AS (SELECT query_id, vec_id, round_even(sum(1.0 / (60 + rank)), 8) AS fusion FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2),
     x AS (SELECT f.*, round_even(fusion + max(fusion) OVER (PARTITION BY query_id) * CASE WHEN label = 3 THEN 0.20 ELSE 0 END, 8) AS boosted FROM f JOIN embeddings USING (vec_id))
     SELECT query_id, vec_id, boosted, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, vec_id) AS rank FROM x QUALIFY rank <= 10""")
-def _(t):
-    fused = R.rank_fusion([_knn(t, 15), _second_arm(t)], "query_id", "vec_id").withColumn("fusion", F.bround("fusion", 8))
+def _hybrid(t, queries="vec_id < 20"):
+    fused = R.rank_fusion([_knn(t, 15, queries), _second_arm(t, queries)], "query_id", "vec_id").withColumn("fusion", F.bround("fusion", 8))
     no = F.lit(False)
     b = R.boost(fused.join(t("embeddings").select("vec_id", "label"), "vec_id"), "query_id", "fusion", F.col("label") == 3, no, no, no).withColumn("boosted", F.bround("boosted", 8))
     return R.top_k(b, "query_id", 10, F.col("boosted").desc(), F.col("vec_id")).select("query_id", "vec_id", "boosted", "rank")
 
 
+#: The queries of the whole job: every id that 50 divides, against all rows. The four queries above take 20 ids at every size.
+_EVERY_50TH = "vec_id % 50 = 0"
+
+
+def _every_50th(name):
+    return query(f"{name}_every_50th", ORACLES[name].replace("q.vec_id < 20", f"q.{_EVERY_50TH}"))
+
+
+@_every_50th("r01_knn")
+def _(t):
+    return _knn(t, 15, _EVERY_50TH).select("query_id", "vec_id", "rank", F.bround("score", 5).alias("score"))
+
+
+@_every_50th("j05_full_outer_fuse")
+def _(t):
+    return R.fuse(_knn(t, 15, _EVERY_50TH), _second_arm(t, _EVERY_50TH), "query_id", "vec_id").withColumn("fusion", F.bround("fusion", 8))
+
+
+@_every_50th("w01_rrf")
+def _(t):
+    return R.rank_fusion([_knn(t, 15, _EVERY_50TH), _second_arm(t, _EVERY_50TH)], "query_id", "vec_id").withColumn("fusion", F.bround("fusion", 8))
+
+
+@_every_50th("r06_hybrid")
+def _(t):
+    return _hybrid(t, _EVERY_50TH)
+
+
 @query("a23_blended", "SELECT user_id, round_even(0.6 * max(value) + 0.4 * avg(value), 6) AS blended FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 5) GROUP BY 1")
 def _(t):
     best = R.top_k(t("events"), "user_id", 5, F.col("value").desc(), F.col("event_id"))
