@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataframe.operators import joins
 from strataframe.operators import store as S
-from strataframe.plans import query
+from strataframe.plans import ORACLES, query
 
 
 @query("f01_point_lookup", "SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 17")
@@ -144,6 +144,14 @@ def _(t):
     return joins.wildcard_part(p, o, "base", "o_base", "part_no", "o_part").groupBy("p_partkey").agg(F.min("o_orderkey").alias("o_orderkey"))
 
 
+@query("j02_derived_key_join_whole", ORACLES["j02_derived_key_join"].replace(" WHERE o_orderkey < 1000", ""))
+def _(t):
+    p = t("part").select("p_partkey", (F.col("p_partkey") % 100).alias("base"), F.nullif(F.col("p_size") % 5, F.lit(0)).cast("long").alias("part_no"))
+    o = t("orders").select("o_orderkey", (F.col("o_orderkey") % 100).alias("o_base"), F.nullif(F.col("o_custkey") % 5, F.lit(0)).alias("o_part"))
+    least = o.groupBy("o_base", "o_part").agg(F.min("o_orderkey").alias("o_orderkey"))  # the join tells orders apart by these two only
+    return joins.wildcard_part(p, least, "base", "o_base", "part_no", "o_part").groupBy("p_partkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+
+
 @query("j03_link_resolution", """
     SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'unlinked' WHEN p_partkey IS NULL OR s_suppkey IS NULL THEN 'dangling' ELSE 'resolved' END AS link,
     list_filter([CASE WHEN l_returnflag <> 'N' AND p_partkey IS NULL THEN 'part' END, CASE WHEN l_returnflag <> 'N' AND s_suppkey IS NULL THEN 'supplier' END], lambda x: x IS NOT NULL) AS missing
@@ -170,6 +178,13 @@ def _(t):
     return joins.with_parent(a.unionAll(b), "l_orderkey", "num").select("num", "parent")
 
 
+@query("j06_parent_clause_whole", ORACLES["j06_parent_clause"].replace(" WHERE l_orderkey < 2000", "").replace("o_orderkey < 2000 AND ", ""))
+def _(t):
+    a = t("lineitem").select("l_orderkey", F.concat_ws(".", "l_orderkey", "l_linenumber").alias("num"))
+    b = t("orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderkey").cast("string").alias("num"))
+    return joins.with_parent(a.unionAll(b), "l_orderkey", "num").select("num", "parent")
+
+
 @query("j07_reference_resolution", """
     WITH m AS (SELECT o_orderkey, unnest([CAST(o_custkey AS VARCHAR), CAST(o_custkey + 1000 AS VARCHAR)]) AS n FROM orders)
     SELECT o_orderkey, 'IS ' || n AS reference, CASE WHEN p_partkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state FROM m LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = n""")

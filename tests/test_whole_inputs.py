@@ -14,3 +14,24 @@ def test_every_50th_vector_is_a_query(spark, tmp_path):
     for name in ("r01_knn", "j05_full_outer_fuse", "w01_rrf", "r06_hybrid"):
         got = QUERIES[f"{name}_every_50th"](spark, str(tmp_path)).select("query_id").distinct().collect()
         assert {r[0] for r in got} == set(range(0, 260, 50)), name
+
+
+def test_joins_take_all_orders(spark, tmp_path):
+    rng = random.Random(5)
+    parts = [(i, rng.randint(1, 50)) for i in range(1, 300)]
+    orders = [(i, rng.randint(1, 400)) for i in range(900, 3200, 3)]
+    lines = [(o, n) for o, _ in orders for n in range(1, 3)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for p, size in parts:
+        fits = [o for o, c in orders if o % 100 == p % 100 and (size % 5 == 0 or c % 5 == 0 or size % 5 == c % 5)]
+        if fits:
+            want[p] = min(fits)
+    assert max(want.values()) >= 1000
+    assert {r.p_partkey: r.o_orderkey for r in QUERIES["j02_derived_key_join_whole"](spark, str(tmp_path)).collect()} == want
+    even = {o for o, _ in orders if o % 2 == 0}
+    pairs = [(f"{o}.{n}", str(o) if o in even else None) for o, n in lines] + [(str(o), None) for o in even]
+    got = [tuple(r) for r in QUERIES["j06_parent_clause_whole"](spark, str(tmp_path)).select("num", "parent").collect()]
+    assert sorted(got, key=repr) == sorted(pairs, key=repr)
