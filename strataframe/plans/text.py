@@ -87,6 +87,18 @@ def _(t):
     return t("documents").select("doc_id", C.token_coverage(plain, F.substring(plain, 1, 500)).alias("coverage"))
 
 
+@query("a27_token_coverage_whole", """
+    WITH p AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z\\s]', '', 'g') AS t FROM documents),
+    c AS (SELECT doc_id, t, array_to_string(list_transform(range(0, length(t), 500), lambda i: substring(t, i + 1, 500)), ' ') AS chunks FROM p),
+    x AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(t), '\\s+'), lambda w: w <> '')) AS a,
+    list_distinct(list_filter(string_split_regex(lower(chunks), '\\s+'), lambda w: w <> '')) AS b FROM c)
+    SELECT doc_id, CASE WHEN len(a) = 0 THEN 1.0 ELSE round_even(len(list_intersect(a, b)) / len(a), 6) END AS coverage FROM x""")
+def _(t):
+    plain = F.regexp_replace("text", r"[^A-Za-z\s]", "")  # words on a border of two chunks are cut
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length(plain) / 500).cast("int")), lambda i: F.substring(plain, i * 500 + 1, F.lit(500)))
+    return t("documents").select("doc_id", C.token_coverage(plain, F.concat_ws(" ", chunks)).alias("coverage"))
+
+
 @query("a30_block_check", f"WITH {_LINES} SELECT doc_id, count(*) AS blocks, count(*) FILTER (regexp_matches(line, '^#{{1,3}} ')) AS headings FROM r GROUP BY 1")
 def _(t):
     return _rendered(t).groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count_if(X.heading_level(F.col("line")).isNotNull()).alias("headings"))

@@ -138,11 +138,17 @@ def changed_files(recorded: DataFrame, now: DataFrame) -> DataFrame:
     return both.select(F.coalesce("path", "r_path").alias("path"), state.alias("state")).filter("state IS NOT NULL")
 
 
+#: Rows of a section that the driver takes.
+MAX_REPORT_ROWS = 1000
+
+
 def markdown_report(title: str, parts: dict[str, DataFrame]) -> str:
-    """Small aggregate frames as Markdown tables."""
+    """Small aggregate frames as Markdown tables; a larger one is an error, ``report_lines`` takes any size."""
     out = [f"# {title}"]
     for name, df in parts.items():
-        rows = df.limit(1000).collect()
+        rows = df.limit(MAX_REPORT_ROWS + 1).collect()
+        if len(rows) > MAX_REPORT_ROWS:
+            raise ValueError(f"section {name} has over {MAX_REPORT_ROWS} rows; use report_lines")
         out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
     return "\n".join(out) + "\n"

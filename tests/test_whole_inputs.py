@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 import __spark_entry__ as entry
+from strataframe.sources import files
 
 QUERIES = entry.queries()
 
@@ -35,3 +38,15 @@ def test_joins_take_all_orders(spark, tmp_path):
     pairs = [(f"{o}.{n}", str(o) if o in even else None) for o, n in lines] + [(str(o), None) for o in even]
     got = [tuple(r) for r in QUERIES["j06_parent_clause_whole"](spark, str(tmp_path)).select("num", "parent").collect()]
     assert sorted(got, key=repr) == sorted(pairs, key=repr)
+
+
+def test_report_does_not_cut_a_section(spark):
+    assert files.markdown_report("t", {"s": spark.range(1000)}).count("\n| ") >= 1001
+    with pytest.raises(ValueError, match="s has over 1000 rows"):
+        files.markdown_report("t", {"s": spark.range(1001)})
+
+
+def test_coverage_reads_whole_texts(spark, tmp_path):
+    late = " ".join(f"{a}{b}x" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst")  # 400 words of 3 letters, 1599 characters
+    spark.createDataFrame([(1, late)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["a27_token_coverage_whole"](spark, str(tmp_path)).first().coverage > 0.98
