@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one when the session has none (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where
+    the session has none it is a temporary folder of a local master, and a
+    folder of the warehouse otherwise."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -29,24 +30,52 @@ def shared_dir(spark: SparkSession) -> str:
         return set_dir.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        current = tempfile.mkdtemp(prefix="strataframe-ckpt-")
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        current = tempfile.mkdtemp(prefix="strataframe-ckpt-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.sparkContext.setCheckpointDir(current)
     return current.rstrip("/")
 
 
+#: Stage tables written so far and not yet dropped.
+_stages: list[str] = []
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    The files go when the driver's JVM ends.
+    The files go with ``drop_stages``, at the latest when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(at)
+    _stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_mark() -> int:
+    """A mark for ``drop_stages``: the stage tables written up to now."""
+    return len(_stages)
+
+
+def drop_stages(spark: SparkSession, since: int, upto: int) -> None:
+    """Delete the stage tables written between two marks, once nothing reads them any more."""
+    for path in _stages[since:upto]:
+        at, fs = _hadoop_path(spark, path)
+        fs.delete(at, True)
+
+
+def by_position(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..: helper columns then clash with none."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def release_memory() -> None:
     """Give freed memory back at the end of a task; a reused worker would keep it otherwise."""
     gc.collect()

@@ -3,20 +3,21 @@
 Texts are lower-cased in A-Z only. Rows are partitioned by byte length and
 content hash; every partition inserts the full byte strings into a compressed
 radix trie whose terminal nodes hold the owning identifier and the number of
-rows. Equality is therefore decided on bytes, never on a hash.
+rows. Equality is therefore decided on bytes, never on a hash. A trie over its
+budget spills its heaviest subtree: the keys leave the task as rows, and a
+further round deals them over as many partitions as their bytes need.
 
 Defined cases: null text counts as empty, all empty texts are one group; a
 null doc_id never owns a group unless the whole group has null ids (owner
 null, no row kept by id, so ``kept`` is true for the null rows); rows that
-repeat both id and text are the same document and get the same decision; an
-empty table gives an empty result; other columns are ignored.
+repeat both id and text are the same document and get the same decision; a
+text longer than the budget is held whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from strataframe.llm._common import ascii_lower, release_memory, text_buffer
+from strataframe.llm._common import ascii_lower, by_position, release_memory, stage_table, text_buffer
 
 #: Bytes of labels a trie may hold before it spills its heaviest subtree.
 TRIE_BUDGET = 96 << 20
+#: What a node costs beside its label.
+_NODE = 120
 
 
 class _Node:
@@ -38,6 +41,10 @@ class _Node:
         self.label, self.kids, self.value = label, None, value
 
 
+#: Marks the place of a spilled subtree.
+_STUB = object()
+
+
 def _split_at(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
     n = min(len(a), len(b))
@@ -53,20 +60,16 @@ def _split_at(a: bytes, b: bytes) -> int:
 class PatriciaTrie:
     """Compressed radix trie: key bytes -> payload merged by ``merge``.
 
-    When the labels exceed ``budget`` bytes the heaviest subtree goes to a
-    temporary file; later keys under its prefix are appended there, and the
-    subtree is rebuilt as a trie of its own when items are read.
+    ``spill`` takes the heaviest subtree out and leaves a stub of one byte in
+    its place; keys that reach a stub are refused, so a key is either wholly in
+    the trie or wholly outside.
     """
 
     def __init__(self, merge, budget: int = TRIE_BUDGET):
         self.root, self.merge, self.budget, self.held = _Node(b""), merge, budget, 0
-        self.spilled: list[tuple[bytes, object]] = []
 
-    def insert(self, key: bytes, value) -> None:
-        for prefix, file in self.spilled:
-            if key.startswith(prefix):
-                pickle.dump((key[len(prefix) :], value), file, -1)
-                return
+    def insert(self, key: bytes, value) -> bool:
+        """False where the key belongs to a subtree that was spilled."""
         node, at, n = self.root, 0, len(key)
         while at < n:
             kids = node.kids
@@ -75,10 +78,10 @@ class PatriciaTrie:
                 if kids is None:
                     node.kids = kids = {}
                 kids[key[at]] = _Node(key[at:], value)
-                self.held += n - at + 120
-                if self.held > self.budget:
-                    self._spill()
-                return
+                self.held += n - at + _NODE
+                return True
+            if kid.value is _STUB:
+                return False
             label = kid.label
             if key.startswith(label, at):
                 node, at = kid, at + len(label)
@@ -88,58 +91,57 @@ class PatriciaTrie:
             kid.label = label[cut:]
             upper.kids = {kid.label[0]: kid}
             kids[label[0]] = upper
-            self.held += 120
+            self.held += _NODE
             node, at = upper, at + cut
         node.value = value if node.value is None else self.merge(node.value, value)
+        return True
 
-    def _walk(self, node: _Node, prefix: bytes):
-        stack = [(node, prefix)]
+    def _walk(self, node: _Node, prefix: bytes) -> Iterator[tuple[bytes, object]]:
+        """Keys and payloads under a node; one path is held, not one a key."""
+        path = bytearray(prefix)
+        stack = [(node, len(prefix))]
         while stack:
-            at, path = stack.pop()
-            if at.value is not None:
-                yield path, at.value
+            at, depth = stack.pop()
+            del path[depth:]
+            path += at.label
+            if at.value is not None and at.value is not _STUB:
+                yield bytes(path), at.value
             if at.kids:
-                stack.extend((k, path + k.label) for k in at.kids.values())
+                depth = len(path)
+                stack.extend((k, depth) for k in at.kids.values())
 
     def _weight(self, node: _Node) -> int:
         total, stack = 0, [node]
         while stack:
             at = stack.pop()
-            total += len(at.label) + 120
+            total += len(at.label) + _NODE
             if at.kids:
                 stack.extend(at.kids.values())
         return total
 
-    def _spill(self) -> None:
+    def spill(self) -> Iterator[tuple[bytes, object]] | None:
+        """Keys and payloads of the heaviest subtree, taken out; None where there is no branch.
+
+        The other branches stay, so what is spilled is always fewer keys than
+        the trie was given, and a trie of one path (a single key, however long)
+        spills nothing.
+        """
         parent, prefix = self.root, b""
-        while len(parent.kids) == 1:  # a shared beginning: go down to the first branch
-            (only,) = parent.kids.values()
-            if not only.kids:
+        while True:
+            live = [k for k in (parent.kids or {}).values() if k.value is not _STUB]
+            if len(live) != 1 or parent.value is not None:
                 break
-            parent, prefix = only, prefix + only.label
-        heavy = max(parent.kids.values(), key=self._weight)
-        file = tempfile.TemporaryFile()  # noqa: SIM115  closed after it has been read back
-        path = prefix + heavy.label[:1]
-        for key, value in self._walk(heavy, prefix + heavy.label):
-            pickle.dump((key[len(path) :], value), file, -1)
-        del parent.kids[heavy.label[0]]
-        self.held -= self._weight(heavy)
-        self.spilled.append((path, file))
+            parent, prefix = live[0], prefix + live[0].label  # one way only: go down to the first branch
+        if not live:
+            return None
+        heavy = max(live, key=self._weight)
+        self.held -= self._weight(heavy) - _NODE
+        stub = parent.kids[heavy.label[0]] = _Node(heavy.label[:1])
+        stub.value = _STUB
+        return self._walk(heavy, prefix)
 
     def items(self) -> Iterator[tuple[bytes, object]]:
-        yield from self._walk(self.root, b"")
-        self.root = _Node(b"")
-        for prefix, file in self.spilled:
-            file.seek(0)
-            part = PatriciaTrie(self.merge, self.budget)
-            while True:
-                try:
-                    part.insert(*pickle.load(file))
-                except EOFError:
-                    break
-            file.close()
-            for key, value in part.items():
-                yield prefix + key, value
+        return self._walk(self.root, b"")
 
 
 def _merger(largest: bool):
@@ -153,7 +155,8 @@ def _merger(largest: bool):
 
 
 _LOCAL = pa.schema([("n_bytes", pa.int64()), ("content_hash", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
-_OWNERS = pa.schema([("owner_digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_OWNERS = pa.schema([("owner_digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("body", pa.binary())])
+_OWNERS_DDL = "owner_digest binary, keep_id long, group_size long, body binary"
 _KEYS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
 
 
@@ -196,22 +199,52 @@ def _pre_aggregate(largest: bool):
     return run
 
 
+class _Rows:
+    """Rows gathered to record batches of bounded size."""
+
+    def __init__(self):
+        self.cols, self.bytes = [[] for _ in _OWNERS], 0
+
+    def add(self, value, body: bytes | None) -> None:
+        own, n, sha = value
+        for col, v in zip(self.cols, (sha, own, n, body)):
+            col.append(v)
+        self.bytes += 64 + (0 if body is None else len(body))
+
+    def full(self) -> bool:
+        return self.bytes > 1 << 20
+
+    def take(self) -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(v, t) for v, t in zip(self.cols, _OWNERS.types)], schema=_OWNERS)
+        self.__init__()
+        return out
+
+
 def _own(largest: bool, budget: int):
+    """Owners of the texts of a partition (body null), and the rows of spilled subtrees (with body)."""
     merge = _merger(largest)
 
     def run(batches):
-        trie = PatriciaTrie(merge, budget)
+        trie, rows = PatriciaTrie(merge, budget), _Rows()
         for b in batches:
             for sha, body, own, n in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5))):
-                trie.insert(body, (own, n, sha))
-        out = [[], [], []]
-        for _, (own, n, sha) in trie.items():
-            for at, v in zip(out, (sha, own, n)):
-                at.append(v)
-            if len(out[0]) == 8192:
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(out, _OWNERS.types)], schema=_OWNERS)
-                out = [[], [], []]
-        yield pa.record_batch([pa.array(v, t) for v, t in zip(out, _OWNERS.types)], schema=_OWNERS)
+                if not trie.insert(body, (own, n, sha)):
+                    rows.add((own, n, sha), body)
+                while trie.held > budget:
+                    part = trie.spill()
+                    if part is None:
+                        break
+                    for key, value in part:
+                        rows.add(value, key)
+                        if rows.full():
+                            yield rows.take()
+                if rows.full():
+                    yield rows.take()
+        for _, value in trie.items():
+            rows.add(value, None)
+            if rows.full():
+                yield rows.take()
+        yield rows.take()
         del trie
         release_memory()
 
@@ -222,12 +255,23 @@ def trie_owners(docs: DataFrame, keep: str = "min", budget: int = TRIE_BUDGET) -
     """One row per distinct text: owner_digest (SHA-256 of the text), keep_id, group_size.
 
     Every batch sends a text once whatever its copies, so a group with a third
-    of all rows reaches its trie as one row per batch.
+    of all rows reaches its trie as one row per batch. Every round finishes all
+    that fits the tries; there is a next one only for what was spilled.
     """
     largest = keep == "max"
     local = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pre_aggregate(largest), "n_bytes long, content_hash long, digest binary, body binary, owner long, n long")
-    dealt = local.repartition("n_bytes", "content_hash")
-    return dealt.mapInArrow(_own(largest, budget), "owner_digest binary, keep_id long, group_size long")
+    dealt, done, number = local.repartition("n_bytes", "content_hash"), None, 0
+    while True:
+        found = stage_table(dealt.mapInArrow(_own(largest, budget), _OWNERS_DDL), f"owners{number}")
+        own = found.filter("body IS NULL").drop("body")
+        done = own if done is None else done.unionByName(own)
+        spilled = found.filter("body IS NOT NULL")
+        left = spilled.agg(F.sum(F.length("body"))).first()[0]
+        if not left:
+            return done
+        number += 1
+        rows = spilled.select(F.length("body").cast("long").alias("n_bytes"), F.xxhash64(F.lit(number), "owner_digest").alias("content_hash"), F.col("owner_digest").alias("digest"), "body", F.col("keep_id").alias("owner"), F.col("group_size").alias("n"))
+        dealt = rows.repartition(int(left // max(budget // 4, 1 << 20)) + 1, "n_bytes", "content_hash")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "min", budget: int = TRIE_BUDGET) -> DataFrame:
@@ -243,19 +287,13 @@ def exact_dedup(docs: DataFrame, keep: str = "min", budget: int = TRIE_BUDGET) -
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_owners(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` whose document stays, columns unchanged; decided by doc_id alone, null ids stay."""
-    gone = exact_dedup(docs, keep).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
-
-
 def _with_digests(at: int):
     def run(batches):
         for b in batches:
             data, off = text_buffer(b.column(at).cast(pa.string()))
             data = ascii_lower(data)
             sha = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.record_batch([*b.columns, pa.array(sha, pa.string())], names=[*b.schema.names, "__sha"])
+            yield pa.record_batch([*b.columns, pa.array(sha, pa.string())], names=[*b.schema.names, "sha"])
 
     return run
 
@@ -263,12 +301,16 @@ def _with_digests(at: int):
 def keep_one_per_text(docs: DataFrame, keep: str = "min") -> DataFrame:
     """Exactly one row of each distinct text, columns unchanged.
 
-    Decisions are carried by doc_id and text digest, so a null id is dropped
-    where its text has an owner, repeated rows stay once, and a doc_id with
-    several texts loses only those that are copies.
+    Decisions are carried by doc_id and text digest: a null id is dropped
+    where its text has an owner, else one null row stays; repeated rows stay
+    once; a doc_id with several texts loses only those that are copies; extra
+    columns may have any name; an empty table stays empty.
     """
-    key = lambda sha: F.concat_ws(":", sha, F.col("doc_id").cast("long").cast("string")).alias("__key")
-    schema = StructType([*docs.schema.fields, StructField("__sha", StringType())])
-    rows = docs.mapInArrow(_with_digests(docs.columns.index("text")), schema).select(*docs.columns, key("__sha"))
-    gone = exact_dedup(docs, keep).filter(~F.col("kept")).select(key("text_sha256").alias("__gone")).distinct()
-    return rows.dropDuplicates(["__key"]).join(gone, F.col("__key") == F.col("__gone"), "left_anti").select(*docs.columns)
+    names, wide = docs.columns, by_position(docs)
+    own, at = F.col(f"c{names.index('doc_id')}"), names.index("text")
+    key = lambda sha, doc_id: F.concat_ws(":", sha, doc_id.cast("long").cast("string"))
+    schema = StructType([*wide.schema.fields, StructField("sha", StringType())])
+    rows = wide.mapInArrow(_with_digests(at), schema).select(*wide.columns, key("sha", own).alias("key"))
+    found = exact_dedup(wide.select(own.alias("doc_id"), F.col(f"c{at}").alias("text")), keep)
+    gone = found.filter(~F.col("kept")).select(key("text_sha256", F.col("doc_id")).alias("gone")).distinct()
+    return rows.dropDuplicates(["key"]).join(gone, F.col("key") == F.col("gone"), "left_anti").select(*wide.columns).toDF(*names)
