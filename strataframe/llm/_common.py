@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,20 @@ def text_buffer(col: pa.Array) -> tuple[bytes, np.ndarray]:
     return body, offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 20):
+    """Parts of a batch of at most ``rows`` rows and ``size`` bytes of one column (a longer text comes alone)."""
+    col = batch.column(column)
+    size_of = pc.list_value_length if pa.types.is_list(col.type) else pc.binary_length
+    n = pc.fill_null(size_of(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < batch.num_rows:
+        used = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, used + size, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def ascii_lower(data: bytes) -> bytes:
     """Lower-case A-Z only; never touches multi-byte sequences."""
     return data.translate(_LOWER)
