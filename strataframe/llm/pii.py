@@ -13,8 +13,11 @@ added. Texts are read once and never shuffled.
 
 Positions come from ``split`` and ``regexp_extract_all`` with one pattern: the
 gaps and the matches alternate, so their running lengths (in code points) are
-the offsets. Patterns use possessive repeats and look-behinds; they find the
-same leftmost spans and stay linear on very long runs.
+the offsets. Running values, overlaps and cuts work by blocks or by binary
+search, so a text with very many matches costs little more than its length.
+Patterns use possessive repeats and look-behinds, and that of cards asks for
+its 13 digits at once; they find the same leftmost spans that can pass, and
+stay linear on very long runs.
 
 Defined cases: null or empty text has no spans; a null doc_id passes through;
 repeated rows are scanned each; an added span that meets a base span is
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import stage_table
+from strataframe.llm._common import by_position, stage_table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("ip_weak", "card_weak", "phone_weak", "spoken_email", "ssn", "local_phone", "birth", "iban", "name")
@@ -40,7 +43,7 @@ EM_ROUNDS, FIT_ROUNDS = 20, 40
 _RE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?+[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # added kinds, one pattern for those made of digits and one for those made of words
     "digits": r"(?<![0-9+(.-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})(?![0-9-])",
@@ -97,6 +100,46 @@ def _bound(body, *fixed):
     return lambda s: body(*fixed, s)
 
 
+_LONGS = "array<bigint>"
+
+
+def _running(values: Column, op, zero: int) -> Column:
+    """op over each value and all before it (a sum or a maximum), by blocks: n^1.5 copies at most."""
+
+    def plain(a: Column) -> Column:
+        return F.aggregate(a, F.array().cast(_LONGS), lambda acc, x: F.concat(acc, F.array(op(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(zero).cast("long")), x))))
+
+    def blocked(a: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(a))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda b: plain(F.slice(a, b * size + 1, size)))
+
+        def joined(parts: Column) -> Column:
+            before = plain(F.transform(parts, lambda x: F.element_at(x, -1)))
+            return _let(before, lambda t: F.flatten(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda v: op(F.get(t, i - 1), v))))))
+
+        return _let(blocks, joined)
+
+    return F.when(F.size(values) <= 32, plain(values)).otherwise(blocked(values))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _meets(spans: Column, c: Column) -> Column:
+    """Does any of the spans (disjoint, by start) overlap c? Binary search for the first that ends after c starts."""
+    n = F.size(spans)
+
+    def step(at: Column, _: Column) -> Column:
+        # at.lo: the first so many spans end before c; at.hi: those from here on end after it
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        early = F.get(spans, mid)["end"] <= c["start"]
+        return F.when(at["lo"] >= at["hi"], at).otherwise(F.struct(F.when(early, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(early, at["hi"]).otherwise(mid).alias("hi")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n)) + 1), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda at: at["lo"])
+    return F.when(n == 0, F.lit(False)).when(n <= 16, F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))).otherwise(F.coalesce(F.get(spans, found)["start"] < c["end"], F.lit(False)))
+
+
 def _matches(text: Column, name: str) -> Column:
     """array<struct<start, end, match, before, after>> of a pattern's leftmost matches."""
     pattern = _RE[name]
@@ -104,12 +147,8 @@ def _matches(text: Column, name: str) -> Column:
 
     def spans(m: Column) -> Column:
         def with_gaps(g: Column) -> Column:
-            # running ends of the matches; then start = end - length
-            ends = F.aggregate(
-                F.sequence(F.lit(1), F.size(m)),
-                F.array().cast("array<long>"),
-                lambda acc, i: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + F.length(F.element_at(g, i)) + F.length(F.element_at(m, i)))),
-            )
+            # gap, match, gap, match, .., gap: running lengths are the ends of the matches
+            ends = _running(F.zip_with(F.slice(g, F.lit(1), F.size(m)), m, lambda a, b: (F.length(a) + F.length(b)).cast("long")), _sum, 0)
             return _let(
                 ends,
                 lambda e: F.transform(
@@ -192,7 +231,7 @@ _CAND = "array<struct<kind:string,start:bigint,end:bigint,votes:array<int>>>"
 
 
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, base (spans by kind, then start) and cand (weak candidates with votes) of every row."""
+    """doc_id, base (spans by kind, then start) and cand (weak candidates with votes) of every row, and the columns to keep."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("__text"), *keep)
     t = F.col("__text")
@@ -201,7 +240,9 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     for k in (*BASE, "digits", "words"):
         df = df.withColumn(f"__{k}", F.when(has_digits, _matches(t, k)).otherwise(empty) if k in ("ip", "card", "phone", "digits") else _matches(t, k))
     plain = lambda k, s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    base = F.concat(*[F.transform(F.filter(f"__{k}", _bound(lambda k, s: _valid(k, s["match"]), k)), _bound(plain, k)) for k in BASE]).cast(_SPAN)
+    for k in BASE:
+        df = df.withColumn(f"__base_{k}", F.transform(F.filter(f"__{k}", _bound(lambda k, s: _valid(k, s["match"]), k)), _bound(plain, k)).cast(_SPAN))
+    base = F.concat(*[f"__base_{k}" for k in BASE])
     weak_of = {"ip": "ip_weak", "card": "card_weak", "phone": "phone_weak"}
 
     def weak(k: str) -> Column:
@@ -216,9 +257,9 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         return F.concat(*parts)
 
     cand = F.concat(weak("ip"), weak("card"), weak("phone"), added("words", ("spoken_email",)), added("digits", ("ssn", "local_phone", "birth")), added("words", ("iban", "name"))).cast(_CAND)
-    df = df.withColumn("base", base).withColumn("__all", cand)
-    free = F.filter("__all", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return df.select("doc_id", *keep, "__text", "base", free.alias("cand"))
+    df = df.withColumn("__all", cand)
+    free = F.filter("__all", lambda c: ~(_meets(F.col("__base_email"), c) | _meets(F.col("__base_ip"), c) | _meets(F.col("__base_card"), c) | _meets(F.col("__base_phone"), c)))
+    return df.select("doc_id", *keep, base.alias("base"), free.alias("cand"))
 
 
 def _fit_sql(em_rounds: int, fit_rounds: int) -> str:
@@ -276,7 +317,7 @@ def _accepted(w: dict[str, list[float]]) -> Column:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (base, then added) of every row."""
-    found = stage_table(candidates(docs).drop("__text"), "pii-candidates")
+    found = stage_table(candidates(docs), "pii-candidates")
     w = weights(fit(found))
     return found.select("doc_id", "base", F.concat("base", _accepted(w)).alias("spans"))
 
@@ -288,30 +329,50 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
 
 
+#: Code points of the blocks that long texts are cut from.
+_BLOCK = 1024
+
+
+def _redacted(text: Column, spans: Column) -> Column:
+    """``text`` with each run of overlapping spans replaced by the kind of its first one, in brackets."""
+
+    def marks(s: Column) -> Column:
+        reach = _running(F.transform(s, lambda x: x["end"]), F.greatest, -1)
+
+        def heads(r: Column) -> Column:
+            numbered = F.transform(s, lambda x, i: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), i.alias("i")))
+            first = F.filter(numbered, lambda x: (x["i"] == 0) | (x["start"] >= F.get(r, x["i"] - 1)))
+            return _let(first, lambda h: F.transform(h, lambda x, k: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), F.get(r, F.coalesce(F.get(h, k + 1)["i"], F.size(s)) - 1).alias("end"))))
+
+        return _let(reach, heads)
+
+    def pieces(m: Column) -> Column:
+        def built(blocks: Column) -> Column:
+            def cut(lo: Column, hi: Column) -> Column:
+                first, last = F.floor(lo / _BLOCK).cast("int"), F.floor((hi - 1) / _BLOCK).cast("int")
+                return F.when(hi > lo, F.substr(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), (lo - first * _BLOCK + 1).cast("int"), (hi - lo).cast("int"))).otherwise("")
+
+            shown = F.transform(m, lambda s, i: F.concat(cut(F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(F.lit(0).cast("long")), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.concat(F.array_join(shown, ""), cut(F.element_at(m, -1)["end"], F.length(text).cast("long")))
+
+        return _let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0)), built)
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(ordered, lambda o: _let(marks(o), pieces)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; other columns unchanged.
 
-    Overlapping spans become one mark, named after the first of them.
+    Overlapping spans become one mark, named after the first of them. Spans
+    are found once and kept beside their texts in a stage table. Null and empty
+    texts, null ids and repeated rows stay as they are, extra columns may have
+    any name, and an empty table stays empty.
     """
-    others = tuple(c for c in docs.columns if c not in ("text", "doc_id"))
-    wide = docs.select(F.col("doc_id"), F.col("text"), *[F.col(c).alias(f"__own{i}") for i, c in enumerate(others)])
-    found = candidates(wide, ("text", *[f"__own{i}" for i in range(len(others))]))
-    w = weights(fit(candidates(docs).drop("__text")))
-    spans = F.array_sort(F.transform(F.concat("base", _accepted(w)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(_let(F.try_element_at(acc, F.lit(-1)), lambda p: F.struct(p["start"].alias("start"), F.greatest(p["end"], s["end"]).alias("end"), p["kind"].alias("kind"))))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    t = F.col("__text")
-    cut = lambda lo, hi: F.substr(t, (lo + 1).cast("int"), (hi - lo).cast("int"))
-    pieces = lambda m: F.concat(
-        F.array_join(F.transform(m, lambda s, i: F.concat(cut(F.when(i > 0, F.try_element_at(m, i)["end"]).otherwise(F.lit(0).cast("long")), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""),
-        cut(F.try_element_at(m, F.lit(-1))["end"], F.length(t).cast("long")),
-    )
-    text = F.when(F.size("base") + F.size("cand") == 0, F.col("text")).otherwise(_let(merged, lambda m: F.when(F.size(m) > 0, pieces(m)).otherwise(F.col("text"))))
-    back = {f"__own{i}": c for i, c in enumerate(others)}
-    done = found.select("doc_id", text.alias("text"), *back).withColumnsRenamed(back)
-    return done.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    names, wide = docs.columns, by_position(docs)
+    own, at = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    rows = wide.withColumn("doc_id", F.col(own).cast("long")).withColumn("text", F.col(at))
+    found = stage_table(candidates(rows, tuple(wide.columns)), "pii-texts")
+    spans = F.concat("base", _accepted(weights(fit(found))))
+    done = found.withColumn(at, _redacted(F.col(at), spans).cast(wide.schema[at].dataType))
+    return done.select(*wide.columns).toDF(*names)

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 from strataframe.llm import pii as P
 from tests.llm import docs as D
@@ -43,6 +45,54 @@ def test_base_spans_match_the_patterns(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in b) for k in RX]
 
 
+def redacted(t, spans):
+    """Brute force: overlapping spans become one mark, named after the first."""
+    out, at, merged = [], 0, []
+    for s, e, k in sorted((s.start, s.end, s.kind) for s in spans):
+        if merged and s < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e, k])
+    for s, e, k in merged:
+        out += [t[at:s], f"[{k.upper()}]"]
+        at = e
+    return "".join(out) + t[at:]
+
+
+def test_texts_with_very_many_matches(spark):
+    lines = [f"v{i}, {i}, 10.0.{i % 300}.{i % 256} x{i}@é.example +1 (499) {i % 10000:04d}-55 4111 1111 1111 {1000 + i % 9000} 😀" for i in range(30_000)]
+    texts = {1: "\n".join(lines), 2: ", ".join(str(i) for i in range(700_000)), 3: "\n".join(lines[:40]), 4: "a.b@c.example"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    found = {r.doc_id: r for r in P.find_pii(df).collect()}
+    assert time.perf_counter() - began < 60
+    for i, t in texts.items():
+        assert [(s.kind, s.start, s.end) for s in found[i].base] == base(t)
+    assert len(found[1].base) > 25_000 and len(found[2].spans) == 0
+    for r in P.redact(df).collect():
+        assert r.text == redacted(texts[r.doc_id], found[r.doc_id].spans)
+
+
+def test_added_spans_are_what_the_labelers_and_weights_say(spark):
+    """The votes are read from Spark; overlap, probability and order are worked out again."""
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(["contact Dr. John Smith, born 12.03.1984", "ssn 123-45-6789 or call (555) 123-4567 or +1 (555) 123-4567", "host 300.1.2.3, card 4111 1111 1111 1112", "DE44 5001 0517 5407 3249 31 to joe (at) gmail (dot) com", "page 12.03.1984 of section 1.2.3.999"] * 4)], "doc_id long, text string")
+    rows = P.candidates(odd).collect()
+    w = P.weights(P.fit(P.candidates(odd)))
+    got = {r.doc_id: r.spans[len(r.base) :] for r in P.find_pii(odd).collect()}
+    some = 0
+    for r in rows:
+        want = []
+        for k in P.ADDED:
+            for c in r.cand:
+                z = sum(w[k][j] for j, v in enumerate(c.votes) if v > 0) + sum(w[k][P.LABELERS + j] for j, v in enumerate(c.votes) if v < 0) + w[k][-1] if c.kind == k else -99.0
+                if 1 / (1 + math.exp(-z)) >= P.CUT:
+                    want.append((k, c.start, c.end))
+        assert [(s.kind, s.start, s.end) for s in got[r.doc_id]] == want
+        assert all(c.end <= b.start or b.end <= c.start for c in r.cand for b in r.base)
+        some += len(want)
+    assert some > 8
+
+
 def test_context_decides_about_weak_spans(spark):
     df = spark.createDataFrame(
         [(1, "contact Dr. John Smith, born 12.03.1984, ssn 123-45-6789, mail joe (at) gmail (dot) com, call (555) 123-4567"), (2, "version 1.2.300.4 and figure 12.03.1984 of the release")], "doc_id long, text string"
