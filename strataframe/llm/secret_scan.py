@@ -4,9 +4,10 @@ Strong spans (assigned secrets, access identifiers, long hex strings) are
 always reported. Weak candidates (short assigned secrets, bearer values, user
 or client identifiers, endpoints) are interval-joined with the other parts
 inside a scope of ``window`` code points that does not cross a blank line, and
-reported only when a complementary part is there: an identifier needs a
-secret, a secret needs an identifier or an endpoint, an endpoint needs a
-secret. The interval join is a sorted search over all parts of a batch, so a
+reported only when a complementary part is there that does not overlap them:
+an identifier needs a secret, a secret needs an identifier or an endpoint, an
+endpoint needs a secret that is named as one (a bare hex string, which may be
+any digest, is not). The interval join is a sorted search over all parts of a batch, so a
 document with many parts costs n log n and no pairs are emitted.
 
 Defined cases: null or empty text has no spans; a null doc_id passes through;
@@ -35,10 +36,12 @@ _BREAK = re.compile(r"\n[ \t\r]*\n")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _IDENT_HINTS = ("user", "login", "client", "account", "access")
 
-#: Kinds in report order; the class of each: identifier, secret or endpoint.
+#: Kinds in report order; the class of each: identifier (0), secret (1), endpoint (2) or bare hex (3).
 KINDS = ("assign", "access", "hex", "weak_assign", "bearer", "ident", "endpoint")
 BASE = 3
-_CLASS = np.array([1, 0, 1, 1, 1, 0, 2])
+_CLASS = np.array([1, 0, 3, 1, 1, 0, 2])
+#: What the weak parts of a class need nearby.
+_NEEDS = ((0, (1, 3)), (1, (0, 2)), (2, (1,)))
 WINDOW = 300
 
 
@@ -63,13 +66,12 @@ def _parts(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _near(lo: np.ndarray, hi: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each interval [lo, hi]: does any of the intervals (sorted by start) meet it?"""
-    if not len(starts):
-        return np.zeros(len(lo), bool)
-    reach = np.maximum.accumulate(ends)
-    at = np.searchsorted(starts, hi, "right") - 1
-    return (at >= 0) & (reach[np.maximum(at, 0)] >= lo)
+def _near(s: np.ndarray, e: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """For each part [s, e): does any other end at most ``window`` before it or start at most ``window`` after it?"""
+    starts, ends = np.sort(starts), np.sort(ends)
+    before = np.searchsorted(ends, s, "right") > np.searchsorted(ends, s - window, "left")
+    after = np.searchsorted(starts, e + window, "right") > np.searchsorted(starts, e, "left")
+    return before | after
 
 
 def link(start: np.ndarray, end: np.ndarray, kind: np.ndarray, scope: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -87,11 +89,10 @@ def link(start: np.ndarray, end: np.ndarray, kind: np.ndarray, scope: np.ndarray
     shift = np.cumsum(base)[scope]
     s, e, cls = start + shift, end + shift, _CLASS[kind]
     weak = ~keep
-    for mine, needs in ((0, (1,)), (1, (0, 2)), (2, (1,))):
+    for mine, needs in _NEEDS:
         ask = np.flatnonzero(weak & (cls == mine))
         other = np.flatnonzero(np.isin(cls, needs))
-        other = other[np.argsort(s[other], kind="stable")]
-        keep[ask] = _near(s[ask] - window, e[ask] + window, s[other], e[other])
+        keep[ask] = _near(s[ask], e[ask], s[other], e[other], window)
     return keep
 
 
