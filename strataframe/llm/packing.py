@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import stage_table
+from strataframe.llm._common import slices, stage_table
 from strataframe.llm._tokens import encoder
 
 CAPACITY = 4096
@@ -45,8 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     def run(batches):
         enc = encoder(tokenizer, end_id, CACHE)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for b in slices(whole, 1):
                 ids, n = enc.encode_column(b.column(1))
                 cuts = -(-n // capacity)
                 row = np.repeat(np.arange(len(n)), cuts)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import text_buffer
+from strataframe.llm._common import slices, text_buffer
 from strataframe.llm._tokens import ChunkTable
 
 SPACE = "▁"
@@ -341,8 +341,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         enc, _ = codec(model)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for b in slices(whole, 1):
                 ids, n = enc.encode_column(b.column(1))
                 yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
@@ -355,8 +354,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches):
         _, dec = codec(model)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for b in slices(whole, 1):
                 rows = [np.array(x or [], np.int64) for x in b.column(1).to_pylist()]
                 texts = dec(np.concatenate(rows) if rows else np.zeros(0, np.int64), np.array([len(r) for r in rows]))
                 shown = [None if x is None else t.decode("utf-8", "replace") for x, t in zip(b.column(1).to_pylist(), texts)]
@@ -372,8 +370,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         enc, dec = codec(model)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for b in slices(whole, 1):
                 ids, n = enc.encode_column(b.column(1))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 cuts = np.concatenate([[0], np.cumsum(n)]).tolist()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import stage_table
+from strataframe.llm._common import slices, stage_table
 from strataframe.llm._tokens import encoder
 
 MAGIC = b"SFT1"
@@ -274,8 +274,7 @@ def write_images(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int
             return pa.record_batch([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([pack_image(doc_ids, counts, ids, block)], pa.binary())], names=["part", "seq", "n_tokens", "image"])
 
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                b = whole.slice(lo, 256)
+            for b in slices(whole, 1):
                 ids, n = enc.encode_column(b.column(1))
                 held.append((b.column(0).fill_null(_NULL).to_numpy(), n, ids))
                 size += len(ids)
