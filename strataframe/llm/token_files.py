@@ -2,18 +2,22 @@
 
 A file image holds up to ``FILE_TOKENS`` ids of consecutive documents:
 
-    magic "SFT1" | header length u32 | header (zlib): u32 counts (docs, ids,
-    symbols, block ids), doc_ids i64 as differences, ids of each document u32,
-    symbols u32, their frequencies u32, payload words and CRC-32 of each block
-    | payload words u32, block after block          (all little endian)
+    magic "SFT2" | header length u32 | header (zlib): u32 counts (docs, ids,
+    symbols, block ids), doc_ids i64 as differences, a byte for each that is
+    null, ids of each document u32, symbols u32, their frequencies u32, payload
+    words and CRC-32 of each block | payload words u32, block after block
+    (all little endian)
 
 Blocks of ``BLOCK`` ids are coded independently: everything that adapts starts
 afresh in each, and each has a checksum of its ids. An id is coded in one
-range-coder step. The order-2 and order-1 contexts of the block each predict
-one id with a confidence; confidence and recent success of the order set how
-much of the range its prediction gets, and the rest belongs to the order-0
-frequencies of the file. All blocks of an image advance together as numpy
-lanes, so the work a Python step costs is shared by thousands of ids.
+range-coder step from a mix of three predictions. The order-2 and order-1
+contexts of the block each predict one id with a confidence; confidence and
+recent success of the order set how much of the range its prediction gets. The
+rest belongs to order 0: the ids of the block so far, counted anew at the
+steps of ``_RECOUNT``, have half of it, and the frequencies of the file the
+other half, for ids that are new to the block. All blocks of
+an image advance together as numpy lanes, so the work a Python step costs is
+shared by thousands of ids.
 
 Defined cases: null or empty text is the end id alone; null doc_ids come
 first; rows that repeat a doc_id are kept each, in an order that the files
@@ -34,10 +38,9 @@ from pyspark.sql import functions as F
 from strataframe.llm._common import slices, stage_table
 from strataframe.llm._tokens import encoder
 
-MAGIC = b"SFT1"
+MAGIC = b"SFT2"
 BLOCK = 1024
 FILE_TOKENS = 2_000_000
-_NULL = np.iinfo(np.int64).min
 _U = np.uint64
 _TOP = _U(1 << 32)
 
@@ -51,6 +54,8 @@ _NEXT = (np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7]) << 24).astyp
 _STAYS = np.array([0, 0, 0, 1, 1, 1, 1, 1] + [1] * 8, bool)
 _S1, _S2 = 8, 9  # log2 of the contexts a lane remembers
 _EVERY = 4  # steps between two updates of the success levels
+#: Steps (powers of two) after which order 0 counts the block's ids anew; the counts then get half of its range.
+_RECOUNT = (128, 512)
 
 
 class _Order:
@@ -111,21 +116,69 @@ def _frequencies(counts: np.ndarray) -> tuple[np.ndarray, int]:
     return f, bits
 
 
-def _code(steps: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code the columns of ``steps`` (one step a row) as lanes: words of all lanes and their number in each."""
-    n, lanes = steps.shape
-    freq64, cum64 = freq.astype(_U), (np.cumsum(freq) - freq).astype(_U)
-    mix, pb, whole = _Mixer(lanes), _U(bits), _U(bits + 8)
+def _segments(n: int) -> list[tuple[int, int]]:
+    """First step and end of the stretches with the same order-0 counts: those of the ids before the first step."""
+    marks = [0, *[t for t in _RECOUNT if t < n], n]
+    return list(zip(marks, marks[1:]))
+
+
+def _sorted_runs(past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of each row sorted, and for every place where its run of equal ids begins and how long it is."""
+    t = past.shape[1]
+    ids = np.sort(past, axis=1)
+    first = np.ones(ids.shape, bool)
+    first[:, 1:] = ids[:, 1:] != ids[:, :-1]
+    heads = np.flatnonzero(first)
+    size = np.diff(np.append(heads, ids.size))
+    return ids, np.repeat(heads % t, size).reshape(ids.shape), np.repeat(size, size).reshape(ids.shape)
+
+
+def _order0(blocks: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of every id in the order-0 range of 2^(bits + 1), a row for each step."""
+    lanes, n = blocks.shape
+    start, size = np.zeros((n, lanes), np.uint32), np.zeros((n, lanes), np.uint32)
+    freq = freq.astype(np.uint32)
+    cum = np.cumsum(freq, dtype=np.uint32) - freq
+    step = max(1, (1 << 21) // len(freq))
+    begins, counts = np.zeros((step, len(freq)), np.uint16), np.zeros((step, len(freq)), np.uint16)
+    for lo in range(0, lanes, step):
+        part = blocks[lo : lo + step]
+        row = np.arange(len(part))[:, None]
+        for t, end in _segments(n):
+            s = part[:, t:end]
+            a, z = cum.take(s), freq.take(s)
+            if t:
+                shift = bits - (t.bit_length() - 1)
+                past, begin, count = _sorted_runs(part[:, :t])
+                begins[row, past], counts[row, past] = begin, count
+                k = counts[row, s]
+                old = k > 0
+                a += np.uint32(1 << bits)
+                np.copyto(a, begins[row, s].astype(np.uint32) << shift, where=old)
+                np.copyto(z, k.astype(np.uint32) << shift, where=old)
+                counts[row, past] = 0
+            else:
+                a, z = a << 1, z << 1
+            start[t:end, lo : lo + step], size[t:end, lo : lo + step] = a.T, z.T
+    return start, size
+
+
+def _code(blocks: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code the rows of ``blocks`` as lanes: words of all lanes and their number in each."""
+    lanes, n = blocks.shape
+    start0, size0 = _order0(blocks, freq, bits)
+    steps = np.ascontiguousarray(blocks.T)
+    mix, pb, whole = _Mixer(lanes), _U(bits + 1), _U(bits + 9)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    out = np.zeros((lanes, n * (bits + 12) // 32 + 8), np.uint32)
+    out = np.zeros((lanes, n * (bits + 13) // 32 + 8), np.uint32)
     at = np.zeros(lanes, np.int64)
     for t in range(n):
         s = steps[t].astype(np.int64)
         f2, f1 = mix.predict()
         used = f2 + f1
         f0 = _U(256) - used
-        start = (used << pb) + cum64.take(s) * f0
-        size = freq64.take(s) * f0
+        start = (used << pb) + start0[t] * f0
+        size = size0[t] * f0
         in1 = (mix.one.guess == s) & (f1 > 0)
         in2 = (mix.two.guess == s) & (f2 > 0)
         np.copyto(start, f2 << pb, where=in1)
@@ -161,43 +214,59 @@ def _decode(words: np.ndarray, sizes: np.ndarray, n: int, freq: np.ndarray, bits
     lanes = len(sizes)
     freq64, cum64 = freq.astype(_U), (np.cumsum(freq) - freq).astype(_U)
     symbol = np.repeat(np.arange(len(freq)), freq)
-    mix, pb, whole = _Mixer(lanes), _U(bits), _U(bits + 8)
-    top = _U((1 << (bits + 8)) - 1)
+    mix, pb, whole = _Mixer(lanes), _U(bits + 1), _U(bits + 9)
+    top = _U((1 << (bits + 9)) - 1)
     words = np.concatenate([words, np.zeros(4, np.uint32)]).astype(_U)
     at = np.cumsum(sizes) - sizes
     code = words[at] << _U(32) | words[at + 1]
     at = at + 2
     rng = np.full(lanes, 2**64 - 1, _U)
     steps = np.zeros((n, lanes), np.int32)
-    for t in range(n):
-        f2, f1 = mix.predict()
-        used = f2 + f1
-        f0 = _U(256) - used
-        r = rng >> whole
-        v = np.minimum(code // r, top)
-        z2, z1 = f2 << pb, used << pb
-        in0 = v >= z1
-        in2 = v < z2
-        s = symbol.take(((v - z1) * in0 // f0).view(np.int64))
-        start = z1 + cum64.take(s) * f0
-        size = freq64.take(s) * f0
-        in1 = ~(in0 | in2)
-        np.copyto(s, mix.one.guess, where=in1)
-        np.copyto(start, z2, where=in1)
-        np.copyto(size, f1 << pb, where=in1)
-        np.copyto(s, mix.two.guess, where=in2)
-        np.copyto(start, _U(0), where=in2)
-        np.copyto(size, z2, where=in2)
-        code -= r * start
-        rng = r * size
-        short = np.flatnonzero(rng < _TOP)
-        if len(short):
-            w = at[short]
-            code[short] = code[short] << _U(32) | words.take(w, mode="clip")
-            at[short] = w + 1
-            rng[short] <<= _U(32)
-        steps[t] = s
-        mix.update(s)
+    for t0, end in _segments(n):
+        if t0:
+            shift, known = _U(bits - (t0.bit_length() - 1)), _U(1 << bits)
+            ids, begin, count = (x.reshape(-1) for x in _sorted_runs(np.ascontiguousarray(steps[:t0].T)))
+            begin, count, row = begin.astype(_U) << shift, count.astype(_U) << shift, np.arange(lanes) * t0
+        for t in range(t0, end):
+            f2, f1 = mix.predict()
+            used = f2 + f1
+            f0 = _U(256) - used
+            r = rng >> whole
+            v = np.minimum(code // r, top)
+            z2, z1 = f2 << pb, used << pb
+            in0 = v >= z1
+            in2 = v < z2
+            v0 = (v - z1) * in0 // f0
+            if t0:
+                s = symbol.take((v0 - known).view(np.int64), mode="clip")
+                start, size = cum64.take(s), freq64.take(s)
+                start += known
+                old = np.flatnonzero(v0 < known)
+                place = row[old] + (v0[old] >> shift).view(np.int64)
+                s[old], start[old], size[old] = ids.take(place), begin.take(place), count.take(place)
+            else:
+                s = symbol.take((v0 >> _U(1)).view(np.int64))
+                start, size = cum64.take(s) << _U(1), freq64.take(s) << _U(1)
+            start *= f0
+            start += z1
+            size *= f0
+            in1 = ~(in0 | in2)
+            np.copyto(s, mix.one.guess, where=in1)
+            np.copyto(start, z2, where=in1)
+            np.copyto(size, f1 << pb, where=in1)
+            np.copyto(s, mix.two.guess, where=in2)
+            np.copyto(start, _U(0), where=in2)
+            np.copyto(size, z2, where=in2)
+            code -= r * start
+            rng = r * size
+            short = np.flatnonzero(rng < _TOP)
+            if len(short):
+                w = at[short]
+                code[short] = code[short] << _U(32) | words.take(w, mode="clip")
+                at[short] = w + 1
+                rng[short] <<= _U(32)
+            steps[t] = s
+            mix.update(s)
     return steps
 
 
@@ -212,25 +281,25 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, place.take(ids), tally[symbols]
 
 
-def pack_image(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The bytes of one file: documents' ids one after another."""
+def pack_image(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK, nulls: np.ndarray | None = None) -> bytes:
+    """The bytes of one file: documents' ids one after another. ``nulls`` marks doc_ids that are null."""
     symbols, dense, tally = _dense(ids)
     freq, bits = _frequencies(tally.astype(np.int64))
     lanes = -(-len(ids) // block)
     n = min(block, len(ids))
     padded = np.zeros(lanes * n, np.int32)
     padded[: len(ids)] = dense
-    words, sizes = _code(np.ascontiguousarray(padded.reshape(lanes, n).T), freq, bits)
+    words, sizes = _code(padded.reshape(lanes, n), freq, bits)
     raw = memoryview(ids.astype("<u4").tobytes())
     crc = [zlib.crc32(raw[4 * i : 4 * (i + block)]) for i in range(0, len(ids), block)]
     u4 = lambda x: np.asarray(x).astype("<u4").tobytes()
-    head = zlib.compress(b"".join([u4([len(doc_ids), len(ids), len(symbols), n]), np.diff(doc_ids, prepend=0).astype("<i8").tobytes(), u4(counts), u4(symbols), u4(freq), u4(sizes), u4(crc)]), 6)
+    head = zlib.compress(b"".join([u4([len(doc_ids), len(ids), len(symbols), n]), np.diff(doc_ids, prepend=0).astype("<i8").tobytes(), (np.zeros(len(doc_ids), bool) if nulls is None else nulls).tobytes(), u4(counts), u4(symbols), u4(freq), u4(sizes), u4(crc)]), 6)
     body = words[np.arange(words.shape[1]) < sizes[:, None]].astype("<u4").tobytes()
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, body])
 
 
-def unpack_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, ids of each document, and the ids. Raises ValueError where a checksum differs."""
+def unpack_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, ids of each document, the ids, and which doc_ids are null. Raises ValueError where a checksum differs."""
     if image[:4] != MAGIC:
         raise ValueError("not a token file")
     end = 8 + int.from_bytes(image[4:8], "little")
@@ -245,7 +314,7 @@ def unpack_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at += x.nbytes
         return x.astype(np.int64)
 
-    doc_ids, counts, symbols, freq, sizes, crc = np.cumsum(take("<i8", docs)), take("<u4", docs), take("<u4", n_symbols), take("<u4", n_symbols), take("<u4", lanes), take("<u4", lanes)
+    doc_ids, nulls, counts, symbols, freq, sizes, crc = np.cumsum(take("<i8", docs)), take("u1", docs).astype(bool), take("<u4", docs), take("<u4", n_symbols), take("<u4", n_symbols), take("<u4", lanes), take("<u4", lanes)
     words = np.frombuffer(image, "<u4", offset=end)
     steps = _decode(words, sizes, n, freq, int(freq.sum()).bit_length() - 1)
     ids = symbols.astype(np.uint32)[steps.T.reshape(-1)[:total]]
@@ -253,14 +322,15 @@ def unpack_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, want in enumerate(crc.tolist()):
         if zlib.crc32(raw[4 * k * n : 4 * (k + 1) * n]) != want:
             raise ValueError(f"block {k} is damaged")
-    return doc_ids, counts, ids
+    return doc_ids, counts, ids, nulls
 
 
 def write_images(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int = FILE_TOKENS, block: int = BLOCK) -> DataFrame:
     """Rows (part, seq, n_tokens, image): files in ascending doc_id order.
 
-    Range partitioning by doc_id keeps the order across parts; a part is a
-    sequence of files, so memory does not grow with its size.
+    Range partitioning by doc_id, then by a hash of the text, keeps the order
+    across parts and splits a doc_id (or null) that very many rows have; a part
+    is a sequence of files, so memory does not grow with its size.
     """
 
     def run(batches):
@@ -270,13 +340,13 @@ def write_images(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int
         held, size = [], 0
 
         def image():
-            doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held))
-            return pa.record_batch([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([pack_image(doc_ids, counts, ids, block)], pa.binary())], names=["part", "seq", "n_tokens", "image"])
+            doc_ids, nulls, counts, ids = (np.concatenate(x) for x in zip(*held))
+            return pa.record_batch([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([pack_image(doc_ids, counts, ids, block, nulls)], pa.binary())], names=["part", "seq", "n_tokens", "image"])
 
         for whole in batches:
             for b in slices(whole, 1):
                 ids, n = enc.encode_column(b.column(1))
-                held.append((b.column(0).fill_null(_NULL).to_numpy(), n, ids))
+                held.append((b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False), n, ids))
                 size += len(ids)
                 if size >= file_tokens:
                     yield image()
@@ -286,7 +356,8 @@ def write_images(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "part long, seq long, n_tokens long, image binary")
+    order = ["doc_id", F.xxhash64("text")]
+    return ordered.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "part long, seq long, n_tokens long, image binary")
 
 
 def read_images(images: DataFrame) -> DataFrame:
@@ -295,13 +366,13 @@ def read_images(images: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for part, seq, image in zip(*(b.column(c).to_pylist() for c in (0, 1, 2))):
-                doc_ids, counts, ids = unpack_image(image)
+                doc_ids, counts, ids, nulls = unpack_image(image)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 end = np.cumsum(counts)
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip((end - counts).tolist(), end.tolist())]
                 n = len(doc_ids)
                 yield pa.record_batch(
-                    [pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(doc_ids, mask=doc_ids == _NULL), pa.array(end - counts), pa.array(counts), pa.array(crc, pa.int64())],
+                    [pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(doc_ids, mask=nulls), pa.array(end - counts), pa.array(counts), pa.array(crc, pa.int64())],
                     names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 

@@ -101,8 +101,8 @@ def test_images_are_lossless_and_checked(kind):
         ids = {"text": rng.zipf(1.3, n) % 50000, "constant": np.zeros(n), "noise": rng.integers(0, 50000, n), "wide": rng.integers(0, 2**32, n)}[kind].astype(np.uint32)
         counts = np.array([n // 2, n - n // 2])
         image = B.pack_image(np.array([-5, 2**40]), counts, ids)
-        d, c, back = B.unpack_image(image)
-        assert (back == ids).all() and c.tolist() == counts.tolist() and d.tolist() == [-5, 2**40]
+        d, c, back, nulls = B.unpack_image(image)
+        assert (back == ids).all() and c.tolist() == counts.tolist() and d.tolist() == [-5, 2**40] and not nulls.any()
     if kind != "constant":  # there the last words hold next to nothing
         broken = bytearray(image)
         broken[-40] ^= 1
@@ -110,6 +110,27 @@ def test_images_are_lossless_and_checked(kind):
             B.unpack_image(bytes(broken))
 
 
+def test_order_0_adapts_in_each_block():
+    rng = np.random.default_rng(1)
+    blocks = [rng.choice(5000, 1024, p=rng.dirichlet(np.full(5000, 0.01))) for _ in range(40)]  # few ids a block, others in each
+    ids = np.concatenate(blocks).astype(np.uint32)
+    image = B.pack_image(np.array([1]), np.array([len(ids)]), ids)
+    _, tally = np.unique(ids, return_counts=True)
+    by_file = -(tally * np.log2(tally / len(ids))).sum() / 8
+    payload = len(image) - 8 - int.from_bytes(image[4:8], "little")
+    assert payload < 0.8 * by_file  # frequencies of the file alone cannot do that
+    assert (B.unpack_image(image)[2] == ids).all()
+
+
+def test_extreme_ids_and_hot_ids(spark):
+    ids = [-(2**63), 2**63 - 1, 0, -1, None, None, 5, 5, 5]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    got = B.round_trip(df, BYTE).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(2**63), -1, 0, 5, 5, 5, 2**63 - 1]
+    parts = B.write_images(spark.range(4000).selectExpr("cast(null as long) doc_id", "cast(id as string) text"), BYTE, 0)
+    assert parts.select("part").distinct().count() > 1  # a hot null is split
+
+
 def test_files_on_a_shared_folder(spark, tmp_path):
     images = B.write_images(D.awkward(spark), BYTE, 0)
     B.export_files(images, str(tmp_path))
