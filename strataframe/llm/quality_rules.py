@@ -4,16 +4,23 @@ Per document: words are runs without ASCII white space; counts of their code
 points, of symbol characters, of repeated lines and of words inside three-word
 windows that occur twice or more in the text. A document fails the base rules
 with fewer than 50 words or when over half of its words lie in repeated
-windows. The method replaces fixed cutoffs for the rest: mergeable KLL
-quantile sketches of each feature per (lang, source) give outer fences
+windows. The method replaces fixed cutoffs for the rest: mergeable quantile
+sketches of each feature per (lang, source) give outer fences
 (quartiles +- ``reach`` interquartile ranges), and documents outside the fences
 of their own group are not kept. Shares of repeated lines and windows are zero
 in most texts, quartiles included; their spread is that from the upper quartile
 to the 0.95 quantile. A fence is never nearer to its quartile than ``slack``;
 for repeats that is a count over the length of the text (one line,
 ``SPARE_WORDS`` words), so it protects short texts and vanishes with length,
-and the quantiles set the cutoff. Sketches merge
-on the map side, so a source with a third of all rows sends one sketch a task.
+and the quantiles set the cutoff.
+
+A sketch is a histogram over logarithmic buckets: a value counts in the bucket
+of its order of magnitude in steps of 2 x ``ACCURACY``, so a quantile is within
+``ACCURACY`` of an exact one, and sketches merge by adding their counts. They
+are the same whatever the order and number of tasks, so a run that is repeated
+keeps the same rows. Counts combine on the map side: a source with a third of
+all rows sends some hundred short rows a task. Texts are read and measured
+once; the counts are staged.
 
 Defined cases: null or empty text has no words and fails; null lang or source
 form groups of their own; a group where no document passes the base rules has
@@ -25,11 +32,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import text_buffer
+from strataframe.llm._common import release_memory, slices, stage_table, text_buffer
 
+#: Relative error of a sketch's quantiles.
+ACCURACY = 0.005
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Repeated words that say nothing against a text: two copies of a sentence of 15 words.
@@ -76,7 +85,7 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def _measure(batches):
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, 3, 1024)):
         data, off = text_buffer(b.column(3))
         raw = np.frombuffer(data, np.uint8)
         starts = off[:-1]
@@ -100,6 +109,7 @@ def _measure(batches):
             dups.append(d)
             lines.append(n)
         yield pa.record_batch([b.column(0), b.column(1), b.column(2), *(pa.array(x, pa.int64()) for x in (words, chars, symbols, dups, repeats, lines, upper))], schema=_OUT)
+    release_memory()
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -110,22 +120,45 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(measured: DataFrame, reach: float = 3.0, k: int = 200) -> DataFrame:
-    """One row per (lang, source): q1_, q3_ and wide_<feature> (quartiles, ``reach`` times the spread) from KLL sketches."""
-    sound = measured.filter(~F.col("base_failed"))
-    sketches = sound.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.kll_sketch_agg_double(F.expr(f"CAST({e} AS DOUBLE)"), F.lit(k)).alias(f) for f, (e, _, _) in FEATURES.items()])
-    q = lambda f, p: F.kll_sketch_get_quantile_double(f, F.lit(p))
+def sketches(measured: DataFrame, accuracy: float = ACCURACY) -> DataFrame:
+    """t_lang, t_source, feature, bucket, n: the mergeable sketch of each group and feature, from rows that pass the base rules.
+
+    Bucket b holds values in (g^(b-1), g^b], g = (1 + accuracy) / (1 - accuracy);
+    a null bucket holds zeros.
+    """
+    gamma = (1 + accuracy) / (1 - accuracy)
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.expr(f"CAST({e} AS DOUBLE)").alias("x")) for f, (e, _, _) in FEATURES.items()]))
+    each = measured.filter(~F.col("base_failed")).select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), values.alias("v")).select("t_lang", "t_source", "v.feature", F.coalesce("v.x", F.lit(0.0)).alias("x"))
+    bucket = F.when(F.col("x") > 0, F.ceil(F.log("x") / F.lit(float(np.log(gamma)))).cast("int")).alias("bucket")
+    return each.groupBy("t_lang", "t_source", "feature", bucket).agg(F.count("*").alias("n"))
+
+
+def quantiles(sketch: DataFrame, points: tuple[float, ...], accuracy: float = ACCURACY) -> DataFrame:
+    """t_lang, t_source, feature and a column q<i> for each point: the value of the bucket that holds the quantile."""
+    gamma = (1 + accuracy) / (1 - accuracy)
+    value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
+    group = Window.partitionBy("t_lang", "t_source", "feature")
+    upto = F.sum("n").over(group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    steps = sketch.select("t_lang", "t_source", "feature", value.alias("value"), upto.alias("upto"), F.sum("n").over(group).alias("total"))
+    # least value whose rank reaches the point
+    return steps.groupBy("t_lang", "t_source", "feature").agg(*[F.min(F.when(F.col("upto") > F.lit(p) * (F.col("total") - 1), F.col("value"))).alias(f"q{i}") for i, p in enumerate(points)])
+
+
+def thresholds(measured: DataFrame, reach: float = 3.0, accuracy: float = ACCURACY) -> DataFrame:
+    """One row per (lang, source): q1_, q3_ and wide_<feature> (quartiles, ``reach`` times the spread) from the sketches."""
+    q = quantiles(sketches(measured, accuracy), (0.25, 0.75, 0.95), accuracy)
     cols = []
     for f, (_, side, _) in FEATURES.items():
-        spread = q(f, 0.95) - q(f, 0.75) if side == "tail" else q(f, 0.75) - q(f, 0.25)
-        cols += [q(f, 0.25).alias(f"q1_{f}"), q(f, 0.75).alias(f"q3_{f}"), (F.lit(reach) * spread).alias(f"wide_{f}")]
-    return sketches.select("t_lang", "t_source", *cols)
+        of = lambda c, f=f: F.max(F.when(F.col("feature") == f, F.col(c)))
+        spread = of("q2") - of("q1") if side == "tail" else of("q1") - of("q0")
+        cols += [of("q0").alias(f"q1_{f}"), of("q1").alias(f"q3_{f}"), (F.lit(reach) * spread).alias(f"wide_{f}")]
+    return q.groupBy("t_lang", "t_source").agg(*cols)
 
 
-def judge(docs: DataFrame, reach: float = 3.0, k: int = 200) -> DataFrame:
+def judge(docs: DataFrame, reach: float = 3.0, accuracy: float = ACCURACY) -> DataFrame:
     """Counts, base_failed and kept of every row of ``docs``."""
-    m = measure(docs)
-    t = thresholds(m, reach, k)
+    m = stage_table(measure(docs), "quality-counts")
+    t = thresholds(m, reach, accuracy)
     inside = F.lit(True)
     for f, (e, side, slack) in FEATURES.items():
         x, wide = F.expr(f"CAST({e} AS DOUBLE)"), F.greatest(F.col(f"wide_{f}"), F.expr(f"CAST({slack} AS DOUBLE)"))

@@ -1,7 +1,11 @@
+import math
+import os
 import random
 import re
 from collections import Counter
 
+import pytest
+
 from strataframe.llm import quality_rules as Q
 from tests.llm import docs as D
 
@@ -51,6 +55,63 @@ def test_repeat_fences_follow_their_group_and_shrink_with_length(spark):
     assert all(got[i] == (False, True) for i in [*range(100), *range(200, 240)])
 
 
+def sketched(values, p, accuracy=Q.ACCURACY):
+    """The quantile of a list by the definition of the sketch."""
+    gamma = (1 + accuracy) / (1 - accuracy)
+    value = lambda x: 0.0 if x <= 0 else 2 * gamma ** math.ceil(math.log(x) / math.log(gamma)) / (gamma + 1)
+    return value(sorted(values)[min(math.floor(p * (len(values) - 1)), len(values) - 1)])
+
+
+def verdicts(rows):
+    """kept of every row by brute force, from whole lists of values."""
+    share = lambda a, b: a / b if b else 0.0
+    facts, groups = {}, {}
+    for i, t, lang, source in rows:
+        n, chars, symbols, dups, repeats = brute(t)
+        lines = sum(1 for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+        upper = sum("A" <= c <= "Z" for c in t or "")
+        failed = n < 50 or 100 * repeats > 50 * n
+        x = {"mean_word_chars": share(chars, n), "symbol_share": share(symbols, chars), "dup_line_share": share(dups, lines), "repeat_share": share(repeats, n), "upper_share": share(upper, chars)}
+        slack = {"mean_word_chars": 1.0, "symbol_share": 0.02, "dup_line_share": share(1, lines), "repeat_share": min(0.4, share(Q.SPARE_WORDS, n)), "upper_share": 0.1}
+        facts[i] = (failed, x, slack, (lang, source))
+        if not failed:
+            groups.setdefault((lang, source), []).append(x)
+    out = {}
+    for i, (failed, x, slack, group) in facts.items():
+        ok = not failed
+        for f, (_, side, _) in Q.FEATURES.items():
+            if not ok:
+                break
+            lo, hi, tail = (sketched([v[f] for v in groups[group]], p) for p in (0.25, 0.75, 0.95))
+            wide = max(3.0 * (tail - hi if side == "tail" else hi - lo), slack[f])
+            ok = x[f] <= hi + wide and (side != "both" or x[f] >= lo - wide)
+        out[i] = ok
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_verdicts_match_brute_force_and_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    want = verdicts([tuple(r) for r in docs.collect()])
+    assert 0 < sum(want.values()) < len(want)
+    for parts in (1, 7):
+        got = {r.doc_id: r.kept for r in Q.judge(docs.repartition(parts)).collect()}
+        assert got == want
+
+
+def test_sketched_quantiles_are_near_exact_ones(spark):
+    rng = random.Random(6)
+    values = [rng.lognormvariate(0, 2) if rng.random() < 0.9 else 0.0 for _ in range(4000)]
+    gamma = (1 + Q.ACCURACY) / (1 - Q.ACCURACY)
+    counts = Counter(None if v == 0 else math.ceil(math.log(v) / math.log(gamma)) for v in values)
+    sketch = spark.createDataFrame([("en", "s", "f", b, n) for b, n in counts.items()], "t_lang string, t_source string, feature string, bucket int, n long")
+    points = (0.02, 0.25, 0.5, 0.75, 0.95, 1.0)
+    got = Q.quantiles(sketch, points).first()
+    for i, p in enumerate(points):
+        exact = sorted(values)[math.floor(p * (len(values) - 1))]
+        assert abs(got[f"q{i}"] - exact) <= Q.ACCURACY * exact * 1.001
+
+
 def test_awkward_rows(spark):
     df = D.awkward(spark)
     assert Q.judge(df).count() == df.count()
