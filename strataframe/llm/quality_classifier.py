@@ -1,10 +1,12 @@
 """Quality classifier: supervised subword embeddings.
 
 Every white-space token contributes its hashed whole-word vector and the
-hashed vectors of its character 3- to 5-grams (bytes, with boundary marks);
-of the word bigrams only those of a word with itself count, all as one token,
-since they mean the same for every word. A document is the average of all of
-them, followed by a softmax. Vectors and
+hashed vectors of its character 3- to 5-grams (bytes, with boundary marks),
+and every pair of neighbouring tokens a hashed bigram vector. A bigram's bucket
+comes from the difference of its two word hashes, so pairs of different words
+spread over all buckets, and a word followed by itself has difference zero
+whatever the word: what such pairs mean is learned once for all words. A
+document is the average of all of them, followed by a softmax. Vectors and
 output layer are trained together by numpy stochastic gradient descent on a
 bounded sample of at most about ``sample_rows`` labelled rows (drawn by a hash
 of doc_id, whole texts); documents with crc32(doc_id) mod 5 = 0 are never
@@ -14,9 +16,10 @@ computed once for each distinct token of a batch.
 
 Defined cases: null or empty text scores from the bias alone; without labelled
 rows of both classes every score is the share of label 1 (0.5 without any);
-null labels are not learned; a document with several label rows counts once
-for each; repeated rows get equal scores; other columns are ignored; an empty
-table gives an empty result.
+null labels are not learned; a document labelled 0 and 1 counts once for each,
+and repeated label rows or repeated rows of a doc_id count once (of several
+texts the least); repeated rows get equal scores; other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +27,13 @@ from __future__ import annotations
 import pickle
 import zlib
 from itertools import repeat
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import id_crc_mod, text_buffer
+from strataframe.llm._common import id_crc_mod, release_memory, slices, text_buffer
 
 BUCKETS = 1 << 16
 DIM = 10
@@ -44,14 +46,23 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
 
-#: The token that stands for a word following itself.
-REPEATED = b"\x04="
+def tokens(text: bytes) -> list[bytes]:
+    return text.split()
 
 
-def tokens(text: bytes) -> list[bytes]:
-    words = text.split()
-    again = sum(map(eq, words, words[1:]))
-    return words + [REPEATED] * again if again else words
+def _bucket(hashed: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    h = np.array([zlib.crc32(w) for w in words], np.uint64) * _P
+    return (h ^ (h >> np.uint64(32))) * _M
+
+
+def bigrams(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """Buckets of the pairs of neighbouring word hashes."""
+    d = (hashes[:-1] - hashes[1:]) * _M
+    return _bucket((d ^ (d >> np.uint64(29))) * _P, buckets)
 
 
 def features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +83,7 @@ def features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     hashed = np.concatenate(parts)[order]
-    return ((hashed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), np.bincount(owner, minlength=len(words))
+    return _bucket(hashed, buckets), np.bincount(owner, minlength=len(words))
 
 
 def _flat(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -89,12 +100,15 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7, buckets: int = BUCKE
         return {"logit": np.zeros(buckets, np.float32), "bias": float(np.log(p / (1 - p))) if len(y) else 0.0}
     rng = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
-    doc_words, doc_counts = [], []
-    for t in texts:
-        ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in tokens(t)), np.int64)
-        u, c = np.unique(ids, return_counts=True)
-        doc_words.append(u)
-        doc_counts.append(c)
+    doc_ids = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in tokens(t)), np.int64) for t in texts]
+    hashes = word_hashes(list(vocab))
+    doc_words, doc_counts, doc_pairs, pair_counts = [], [], [], []
+    for ids in doc_ids:
+        for units, values, counts in ((ids, doc_words, doc_counts), (bigrams(hashes[ids], buckets), doc_pairs, pair_counts)):
+            u, c = np.unique(units, return_counts=True)
+            values.append(u)
+            counts.append(c)
+    del doc_ids
     feats, n_feats = features(list(vocab), buckets) if vocab else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     first = np.cumsum(n_feats) - n_feats
     emb = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
@@ -116,21 +130,29 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7, buckets: int = BUCKE
             at = feats[_flat(n_feats[words], first[words])]
             heads = np.cumsum(n_feats[words]) - n_feats[words]
             vec = np.add.reduceat(emb[at], heads, axis=0)
-            total = np.bincount(own, weight * n_feats[words][where], minlength=len(docs)).astype(np.float32)
+            pairs = np.concatenate([doc_pairs[d] for d in docs])
+            times = np.concatenate([pair_counts[d] for d in docs]).astype(np.float32)
+            whose = np.repeat(np.arange(len(docs)), [len(doc_pairs[d]) for d in docs])
+            total = np.bincount(own, weight * n_feats[words][where], minlength=len(docs)) + np.bincount(whose, times, minlength=len(docs))
             mix = np.zeros((len(docs), len(words)), np.float32)
             mix[own, where] = weight
             mix /= total[:, None]
-            doc = mix @ vec
+            times /= total[whose]
+            near = np.zeros((len(docs), dim), np.float32)
+            np.add.at(near, whose, emb[pairs] * times[:, None])
+            doc = mix @ vec + near
             z = doc @ out.T + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             g = p
             g[np.arange(len(docs)), y[docs]] -= 1.0
             g /= len(docs)
-            d_vec = mix.T @ (g @ out)
+            d_doc = g @ out
+            d_vec = mix.T @ d_doc
             out -= 0.1 * rate * (g.T @ doc)
             bias -= 0.01 * rate * g.sum(axis=0)
             np.subtract.at(emb, at, np.repeat(rate * d_vec, n_feats[words], axis=0))
+            np.subtract.at(emb, pairs, rate * times[:, None] * d_doc[whose])
     logits = emb @ (out[1] - out[0])
     return {"logit": logits.astype(np.float32), "bias": float(bias[1] - bias[0])}
 
@@ -138,8 +160,11 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7, buckets: int = BUCKE
 class Scorer:
     def __init__(self, model: dict):
         self.logit, self.bias = model["logit"], model["bias"]
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.table = np.zeros((0, 2), np.float64)
+        self.table, self.hashes = np.zeros((0, 2), np.float64), np.zeros(0, np.uint64)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         found = [tokens(t) for t in texts]
@@ -148,7 +173,7 @@ class Scorer:
         z = np.full(len(texts), self.bias)
         if flat:
             if len(self.known) > _CACHE:
-                self.known, self.table = {}, self.table[:0]
+                self._clear()
             at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
             miss = np.flatnonzero(at < 0)
             if len(miss):
@@ -157,23 +182,30 @@ class Scorer:
                 sums = np.add.reduceat(self.logit[feats].astype(np.float64), np.cumsum(k) - k)
                 self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
                 self.table = np.concatenate([self.table, np.stack([sums, k], axis=1)])
+                self.hashes = np.concatenate([self.hashes, word_hashes(new)])
                 at[miss] = [self.known[flat[i]] for i in miss.tolist()]
+            each = self.table[at]
+            if len(at) > 1:  # a pair counts with its first word
+                inside = np.ones(len(at), bool)
+                inside[np.cumsum(n)[n > 0] - 1] = False
+                each[:-1, 0] += self.logit[bigrams(self.hashes[at], len(self.logit))] * inside[:-1]
+                each[:, 1] += inside
             some = n > 0
-            s = np.add.reduceat(self.table[at], (np.cumsum(n) - n)[some], axis=0)
+            s = np.add.reduceat(each, (np.cumsum(n) - n)[some], axis=0)
             z[some] += s[:, 0] / s[:, 1]
         return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The bounded labelled sample: doc_id, text, quality.
+    """The bounded labelled sample: doc_id, text, quality, one row for each label of a document.
 
     Only the sampled labels (at most about ``sample_rows``, whatever the input)
-    are broadcast, so no text is shuffled.
+    are broadcast, so no text but the sample's is shuffled.
     """
-    own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (id_crc_mod("doc_id", 5) != 0)).select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"))
+    own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (id_crc_mod("doc_id", 5) != 0)).select(F.col("doc_id").cast("long").alias("label_id"), (F.col("quality") > 0).cast("int").alias("quality")).distinct()
     n = own.count()
     draw = (F.pmod(F.xxhash64(F.lit("quality"), F.col("label_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.lit(min(1.0, sample_rows / max(n, 1)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own.filter(draw)), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own.filter(draw)), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
@@ -196,9 +228,10 @@ def classify(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         score = Scorer(held.value)
         for whole in batches:
-            for i in range(0, max(whole.num_rows, 1), 512):
-                b = whole.slice(i, 512)
+            for b in slices(whole, 1, 512):
                 data, off = text_buffer(b.column(1))
                 yield pa.record_batch([b.column(0), pa.array(score([data[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist())]))], names=["doc_id", "score"])
+        del score
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")

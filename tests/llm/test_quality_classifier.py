@@ -21,15 +21,35 @@ def test_scores_equal_the_plain_average():
     model = {"logit": np.random.default_rng(0).normal(size=Q.BUCKETS).astype(np.float32), "bias": 0.25}
     text = b"one two two three"
     z = []
-    for w in Q.tokens(text):
+    words = text.split()
+    for w in words:
         f, _ = Q.features([w])
         z += model["logit"][f].tolist()
+    for pair in zip(words, words[1:]):
+        z += model["logit"][Q.bigrams(Q.word_hashes(list(pair)))].tolist()
     assert abs(Q.Scorer(model)([text, b""])[0] - 1 / (1 + np.exp(-(np.mean(z) + 0.25)))) < 1e-6
     assert abs(Q.Scorer(model)([b""])[0] - 1 / (1 + np.exp(-0.25))) < 1e-12
-
-
-def test_repeated_words_have_a_token():
-    assert Q.tokens(b"a a b b b") == [b"a", b"a", b"b", b"b", b"b"] + [Q.REPEATED] * 3
+    many = [b"a b", b"", b"c", b"one two two three", b"x"]
+    alone = [Q.Scorer(model)([t])[0] for t in many]
+    assert np.allclose(Q.Scorer(model)(many), alone, atol=1e-9)  # pairs do not cross texts
+
+
+def test_bigrams_of_a_word_with_itself_share_a_bucket():
+    h = Q.word_hashes([b"a", b"a", b"b", b"b", b"a", b"c"])
+    p = Q.bigrams(h)
+    assert p[0] == p[2] and len(set(p.tolist())) == 4
+    texts = [b" ".join([w] * 2 + [b"x", b"y", b"z"]) for w in (b"q%d" % i for i in range(60))] + [b"q%d x q%d y z" % (i, i) for i in range(60)]
+    model = Q.train(texts, np.array([0] * 60 + [1] * 60))
+    new = Q.Scorer(model)([b"new new x y z", b"new x new y z"])
+    assert new[0] < 0.5 < new[1]  # learnt for words that training never saw
+
+
+def test_repeated_rows_do_not_grow_the_sample(spark):
+    df = D.frame(spark, [D.row(1, D.prose(1))] * 50 + [D.row(1, D.prose(2)), D.row(2, D.prose(3))])
+    labels = spark.createDataFrame([(1, 1, 0)] * 70 + [(1, 0, 0), (2, 5, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted((r.doc_id, r.quality, r.text) for r in Q.training_rows(df, labels).collect())
+    least = min(D.prose(1), D.prose(2))
+    assert got == [(1, 0, least), (1, 1, least), (2, 1, D.prose(3))]
 
 
 def test_one_class_and_awkward_rows(spark):
