@@ -7,9 +7,9 @@ document's score is the posterior of the summed, length-capped log
 likelihoods.
 
 The model is fitted on a bounded sample: about ``docs_per_lang`` labelled rows
-of each language, drawn by a hash of doc_id (whole texts), words and n-grams
-seen at least ``min_count`` times. That bounds its size, which is checked
-before it is broadcast. Every row is then scored in one pass without a
+of each of the ``max_langs`` languages with the most rows, drawn by a hash of
+doc_id (whole texts), words and n-grams seen at least ``min_count`` times. That
+bounds its size, which is checked before it is collected and broadcast. Every row is then scored in one pass without a
 shuffle.
 
 Defined cases: null text, or text without letters, is ``und`` with score 0, as
@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import id_crc_mod, release_memory
+from strataframe.llm._common import id_crc_mod, release_memory, slices, stage_table
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 DOCS_PER_LANG = 1200
 MIN_COUNT = 2
+#: Languages that are learned, the most frequent ones; a dirty lang column has many more values.
+MAX_LANGS = 256
 #: Rows of (lang, gram) the model may have; the sample keeps it far below.
 MAX_MODEL_ROWS = 4_000_000
 #: Words of evidence beyond which a document's likelihood is scaled down.
@@ -117,22 +119,24 @@ class Model:
         return np.zeros(len(self.langs), np.float32)
 
 
-def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, min_count: int = MIN_COUNT) -> Model:
+def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, min_count: int = MIN_COUNT, max_langs: int = MAX_LANGS) -> Model:
     """Count words and n-grams of the bounded sample on the executors."""
     train = training_rows(docs).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    most = train.groupBy(F.col("lang").alias("own_lang")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "own_lang").limit(max_langs)
+    langs = sorted((r["own_lang"], r["n"]) for r in most.collect())
+    if not langs:
         return Model([], [])
-    # the share of each language's rows that goes into the sample, as a column
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, docs_per_lang / n))]), F.col("lang"))
-    draw = (F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))) < share
-    counted = train.filter(draw).select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, k long")
-    kept = counted.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).filter(F.col("k") >= min_count)
-    rows = kept.toArrow()
-    if rows.num_rows > MAX_MODEL_ROWS:
-        raise ValueError(f"language model of {rows.num_rows} rows; lower docs_per_lang")
-    order = rows.sort_by([("lang", "ascending"), ("n", "ascending"), ("gram", "ascending")])
-    return Model(sorted(sizes), list(zip(*(order.column(c).to_pylist() for c in ("lang", "n", "gram", "k")))))
+    # the share of each language's rows that goes into the sample: at most ``max_langs`` rows to broadcast
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, docs_per_lang / n)) for lang, n in langs], "own_lang string, share double")
+    draw = (F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("share")
+    sample = train.join(F.broadcast(shares), F.col("lang") == F.col("own_lang")).filter(draw).select("lang", "text")
+    counted = sample.mapInArrow(_count, "lang string, n int, gram string, k long")
+    kept = stage_table(counted.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).filter(F.col("k") >= min_count), "langid-model")
+    size = kept.count()
+    if size > MAX_MODEL_ROWS:
+        raise ValueError(f"language model of {size} rows; lower docs_per_lang")
+    order = kept.toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("gram", "ascending")])
+    return Model([lang for lang, _ in langs], list(zip(*(order.column(c).to_pylist() for c in ("lang", "n", "gram", "k")))))
 
 
 class Scorer:
@@ -195,8 +199,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         score = Scorer(held.value)
         names = np.array([*held.value.langs, "und"], object)
         for whole in batches:
-            for i in range(0, max(whole.num_rows, 1), 512):
-                b = whole.slice(i, 512)
+            for b in slices(whole, 1, 512):
                 best, p = score(b.column(1).to_pylist())
                 yield pa.record_batch([b.column(0), pa.array(names[best], pa.string()), pa.array(p)], names=["doc_id", "lang_pred", "score"])
         del score
@@ -213,8 +216,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         score = Scorer(held.value)
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+            for b in slices(whole, at, 512):
                 best, _ = score(b.column(at).cast(pa.string()).to_pylist())
                 yield b.filter(pa.array(best >= 0))
         del score

@@ -53,6 +53,12 @@ def test_score_matches_the_plain_formula(spark):
     assert abs(score[4] - 0.5) < 1e-6  # nothing known: no preference
 
 
+def test_a_dirty_lang_column_is_bounded(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in corpus(spark).collect()] + [(1000 + i, "x y z", f"dirt{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.fit(df, max_langs=2).langs == ["de", "en"]
+
+
 def test_only_undetermined_rows_go(spark):
     model = L.Model(["a", "b", "c", "d"], [(x, 0, w, 3) for x in "abcd" for w in ("x", x * 3)] + [(x, 1, x, 9) for x in "abcd"])
     df = D.frame(spark, [D.row(1, "x"), D.row(2, "zz"), D.row(3, "aaa aaa"), D.row(4, "12 34"), D.row(5, None)])
