@@ -91,11 +91,10 @@ def variants(*parts: Column, most: int = 6) -> Column:
 
 
 def requirements(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, name, p (a quantity): one row for each line or sentence with a quantity."""
-    parts = F.split(text, r"[\r\n;]+|(?<=[a-z%])\.\s+")
-    own = df.select(key, F.posexplode(parts).alias("pos", "line")).withColumn("p", U.parameter(F.col("line")))
-    name = F.lower(F.trim(F.regexp_extract("line", r"^\W*([A-Za-z][A-Za-z ]*?)\s*(?:shall|should|must|is|:|of|not|max|min|at|up|<|>|≤|≥|=|\d)", 1)))
-    return own.filter("p IS NOT NULL").select(key, "pos", name.alias("name"), "p")
+    """key, pos, name, p (a quantity): one row for each line or sentence that sets a limit."""
+    parts = F.split(text, r"[\r\n;]+|(?<!\d)\.(?!\d)")
+    own = df.select(key, F.posexplode(parts).alias("pos", "line")).withColumn("p", U.requirement(F.trim("line")))
+    return own.filter("p IS NOT NULL").select(key, "pos", "p.name", "p")
 
 
 TENDER_CATEGORIES = (("electrical", r"volt|current|power|frequency"), ("mechanical", r"pressure|strength|torque|load"), ("dimensional", r"length|width|thickness|diameter|size"), ("thermal", r"temperature|heat|thermal"), ("documentation", r"certificate|report|document"), ("delivery", r"deliver|warranty|days"))

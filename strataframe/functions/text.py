@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SUFFIXES = ("ations", "ation", "ments", "ment", "ings", "ing", "ies", "ied", "ed", "es", "er", "ly", "s")
+PUNCTUATION = "\"'`.,;:!?()[]{}<>/\\|~@#$%^&*+=_"  # hyphens stay
+SUFFIXES = ("ation", "ations", "ment", "ments", "ing", "tion", "tions", "ies", "ied", "ed", "ly", "es", "s")
 
 STANDARD = r"(?i)\bIS[\s:\-]*(\d{1,6})(?:\s*\(?\s*part\s*[\-:]?\s*(\d+)\s*\)?)?"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -203,7 +208,7 @@ def normalize_query(c: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Cut the first suffix that leaves more than two letters."""
+    """Cut the first suffix, in their order, that leaves more than two letters."""
     out = word
     for s in reversed(SUFFIXES):
         out = F.when(F.endswith(word, F.lit(s)) & (F.length(word) > len(s) + 2), F.substring(word, F.lit(1), F.length(word) - len(s))).otherwise(out)

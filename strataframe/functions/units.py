@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataframe.functions import text as X
+
 # Unit, canonical unit, factor, offset, dimension.
 UNITS = [
-    ("l", "L", 1.0, 0.0, "volume"), ("litre", "L", 1.0, 0.0, "volume"), ("litres", "L", 1.0, 0.0, "volume"), ("liter", "L", 1.0, 0.0, "volume"), ("ml", "L", 0.001, 0.0, "volume"), ("m3", "L", 1000.0, 0.0, "volume"),
-    ("mm", "mm", 1.0, 0.0, "length"), ("cm", "mm", 10.0, 0.0, "length"), ("m", "mm", 1000.0, 0.0, "length"), ("in", "mm", 25.4, 0.0, "length"), ("inch", "mm", 25.4, 0.0, "length"),
-    ("kg", "kg", 1.0, 0.0, "mass"), ("g", "kg", 0.001, 0.0, "mass"), ("t", "kg", 1000.0, 0.0, "mass"),
-    ("c", "°C", 1.0, 0.0, "temperature"), ("°c", "°C", 1.0, 0.0, "temperature"), ("k", "°C", 1.0, -273.15, "temperature"),
-    ("bar", "bar", 1.0, 0.0, "pressure"), ("kpa", "bar", 0.01, 0.0, "pressure"), ("mpa", "bar", 10.0, 0.0, "pressure"), ("pa", "bar", 0.00001, 0.0, "pressure"), ("psi", "bar", 0.0689476, 0.0, "pressure"),
-    ("w", "W", 1.0, 0.0, "power"), ("kw", "W", 1000.0, 0.0, "power"), ("hp", "W", 745.7, 0.0, "power"),
-    ("v", "V", 1.0, 0.0, "voltage"), ("kv", "V", 1000.0, 0.0, "voltage"), ("mv", "V", 0.001, 0.0, "voltage"),
-    ("a", "A", 1.0, 0.0, "current"), ("ma", "A", 0.001, 0.0, "current"),
-    ("hz", "Hz", 1.0, 0.0, "frequency"), ("khz", "Hz", 1000.0, 0.0, "frequency"),
+    ("l", "L", 1.0, 0.0, "volume"), ("litre", "L", 1.0, 0.0, "volume"), ("litres", "L", 1.0, 0.0, "volume"), ("liter", "L", 1.0, 0.0, "volume"), ("liters", "L", 1.0, 0.0, "volume"),
+    ("ml", "L", 0.001, 0.0, "volume"), ("millilitre", "L", 0.001, 0.0, "volume"), ("millilitres", "L", 0.001, 0.0, "volume"), ("m3", "L", 1000.0, 0.0, "volume"), ("cubic metre", "L", 1000.0, 0.0, "volume"),
+    ("mm", "mm", 1.0, 0.0, "length"), ("millimetre", "mm", 1.0, 0.0, "length"), ("millimeter", "mm", 1.0, 0.0, "length"), ("cm", "mm", 10.0, 0.0, "length"), ("centimetre", "mm", 10.0, 0.0, "length"),
+    ("m", "mm", 1000.0, 0.0, "length"), ("metre", "mm", 1000.0, 0.0, "length"), ("meter", "mm", 1000.0, 0.0, "length"), ("in", "mm", 25.4, 0.0, "length"), ("inch", "mm", 25.4, 0.0, "length"), ("inches", "mm", 25.4, 0.0, "length"),
+    ("g", "kg", 0.001, 0.0, "mass"), ("gram", "kg", 0.001, 0.0, "mass"), ("grams", "kg", 0.001, 0.0, "mass"), ("kg", "kg", 1.0, 0.0, "mass"), ("kilogram", "kg", 1.0, 0.0, "mass"), ("kilograms", "kg", 1.0, 0.0, "mass"),
+    ("tonne", "kg", 1000.0, 0.0, "mass"), ("tonnes", "kg", 1000.0, 0.0, "mass"), ("t", "kg", 1000.0, 0.0, "mass"),
+    ("°c", "°C", 1.0, 0.0, "temperature"), ("deg c", "°C", 1.0, 0.0, "temperature"), ("c", "°C", 1.0, 0.0, "temperature"), ("celsius", "°C", 1.0, 0.0, "temperature"), ("k", "°C", 1.0, -273.15, "temperature"), ("kelvin", "°C", 1.0, -273.15, "temperature"),
+    ("bar", "bar", 1.0, 0.0, "pressure"), ("bars", "bar", 1.0, 0.0, "pressure"), ("kpa", "bar", 0.01, 0.0, "pressure"), ("mpa", "bar", 10.0, 0.0, "pressure"), ("pa", "bar", 0.00001, 0.0, "pressure"), ("psi", "bar", 0.0689476, 0.0, "pressure"),
+    ("w", "W", 1.0, 0.0, "power"), ("watt", "W", 1.0, 0.0, "power"), ("watts", "W", 1.0, 0.0, "power"), ("kw", "W", 1000.0, 0.0, "power"), ("kilowatt", "W", 1000.0, 0.0, "power"), ("hp", "W", 745.7, 0.0, "power"),
+    ("v", "V", 1.0, 0.0, "voltage"), ("volt", "V", 1.0, 0.0, "voltage"), ("volts", "V", 1.0, 0.0, "voltage"), ("kv", "V", 1000.0, 0.0, "voltage"), ("mv", "V", 0.001, 0.0, "voltage"),
+    ("a", "A", 1.0, 0.0, "current"), ("amp", "A", 1.0, 0.0, "current"), ("ampere", "A", 1.0, 0.0, "current"), ("amps", "A", 1.0, 0.0, "current"), ("ma", "A", 0.001, 0.0, "current"),
+    ("hz", "Hz", 1.0, 0.0, "frequency"), ("hertz", "Hz", 1.0, 0.0, "frequency"), ("khz", "Hz", 1000.0, 0.0, "frequency"), ("mhz", "Hz", 1000000.0, 0.0, "frequency"),
     ("%", "%", 1.0, 0.0, "percentage"), ("percent", "%", 1.0, 0.0, "percentage"),
 ]
 EPS = 1e-6
-_NUMBER = r"([-+]?\d+(?:\.\d+)?)"
-_UNIT = r"\s*(°C|%|[A-Za-z]+[0-9]?)?"
+_NUMBER = r"(\d+(?:\.\d+)?)"
+_UNIT = r"\s*([°%a-zA-Z/]+)?"
+_NAMED = r"(?:([a-zA-Z_\s]+)[:=]\s*)?"
 
 
 def unit_table(spark: SparkSession) -> DataFrame:
@@ -30,11 +36,16 @@ def unit_table(spark: SparkSession) -> DataFrame:
 
 def _looked_up(unit: Column, column: int) -> Column:
     table = F.create_map(*[F.lit(x) for u in UNITS for x in (u[0], u[column])])
-    return F.try_element_at(table, F.lower(F.trim(unit)))
+    return F.try_element_at(table, plain_unit(unit))
+
+
+def plain_unit(unit: Column) -> Column:
+    """Lower case, single spaces, underscores read as spaces; NULL for a blank one."""
+    return F.nullif(F.regexp_replace(F.lower(F.trim(unit)), r"[\s_]+", " "), F.lit(""))
 
 
 def canonical_unit(unit: Column) -> Column:
-    return F.coalesce(_looked_up(unit, 1), F.lower(F.trim(unit)))
+    return F.coalesce(_looked_up(unit, 1), unit)
 
 
 def canonical_value(value: Column, unit: Column) -> Column:
@@ -44,24 +55,76 @@ def canonical_value(value: Column, unit: Column) -> Column:
 
 def units_agree(a: Column, b: Column) -> Column:
     """Same dimension; unknown units by text; a unit on one side only never agrees."""
-    dim = lambda u: F.coalesce(_looked_up(u, 4), F.lower(F.trim(u)), F.lit(""))
+    dim = lambda u: F.coalesce(_looked_up(u, 4), plain_unit(u), F.lit(""))
     return dim(a) == dim(b)
 
 
-def parameter(text: Column) -> Column:
-    """struct<value, lower, upper, tolerance, op, unit> of the first quantity; tolerance, then range, then a number."""
-    tol, rng = rf"{_NUMBER}{_UNIT}\s*(?:±|\+/-)\s*(\d+(?:\.\d+)?){_UNIT}", rf"{_NUMBER}{_UNIT}\s*(?:-|to)\s*{_NUMBER}{_UNIT}"
-    single = rf"(?i)(<=|>=|<|>|≤|≥|=|not exceed|maximum|max\.?|up to|at most|not less than|minimum|min\.?|at least)?\s*{_NUMBER}{_UNIT}"
-    get = lambda p, i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
-    num = lambda p, i: get(p, i).cast("double")
-    word = F.lower(F.coalesce(get(single, 1), F.lit("=")))
-    op = F.when(F.rlike(word, F.lit(r"^(<|≤|not exceed|max|up to|at most)")), "LE").when(F.rlike(word, F.lit(r"^(>|≥|not less|min|at least)")), "GE").otherwise("EQ")
-    shape = lambda value, lower, upper, tolerance, kind, unit: F.struct(value.alias("value"), lower.alias("lower"), upper.alias("upper"), tolerance.alias("tolerance"), kind.alias("op"), unit.alias("unit"))
-    none = F.lit(None).cast("double")
+def quantity(name, value, text, lower, upper, nominal, tolerance, op, unit) -> Column:
+    """The struct of a quantity; numbers that are None are NULL."""
+    num = lambda c: (F.lit(None) if c is None else c).cast("double")
+    word = lambda c: (F.lit(None) if c is None else F.lit(c) if isinstance(c, str) else c).cast("string")
+    return F.struct(
+        word(name).alias("name"), num(value).alias("value"), word(text).alias("text"), num(lower).alias("lower"), num(upper).alias("upper"),
+        num(nominal).alias("nominal"), num(tolerance).alias("tolerance"), word(op).alias("op"), word(unit).alias("unit"),
+    )
+
+
+def _group(text: Column, pattern: str, i: int) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(text, pattern, i)), F.lit(""))
+
+
+def bound(sign: Column) -> Column:
+    """LE, GE or EQ of a comparison sign; strict signs count as their weak ones."""
+    return F.when(sign.isin("<=", "<", "≤"), "LE").when(sign.isin(">=", ">", "≥"), "GE").otherwise("EQ")
+
+
+def parameter(text: Column, hint: Column | None = None) -> Column:
+    """The quantity that a text states: with a tolerance, as a range, or one number with or without a sign.
+
+    A list marker before it does not count. Bounds: the value less and plus
+    its tolerance, both ends of a range, or the side that the sign names. Its
+    name stands before ':' or '=', else it is the hint. Without a number the
+    text itself is the value where there is a hint.
+    """
+    bare = F.trim(F.regexp_replace(F.trim(text), r"^(?:\(?\d+[.)](?!\d)|[a-zA-Z][.)]|[-*])\s*", ""))
+    return X.let(bare, lambda line: _parameter(line, hint))
+
+
+def _parameter(line: Column, hint: Column | None) -> Column:
+    tol, rng = rf"(?i){_NAMED}{_NUMBER}\s*(?:±|\+/-)\s*{_NUMBER}{_UNIT}", rf"(?i){_NAMED}(?:between\s+)?{_NUMBER}\s*(?:to|-|and)\s*{_NUMBER}{_UNIT}"
+    single = rf"(?i){_NAMED}(<=|>=|<|>|=)?\s*{_NUMBER}{_UNIT}"
+    num = lambda p, i: _group(line, p, i).cast("double")
+    name = lambda p: F.coalesce(_group(line, p, 1), F.lit("parameter") if hint is None else F.coalesce(hint, F.lit("parameter")))
+    v, t, one, op = num(tol, 2), num(tol, 3), num(single, 3), bound(_group(line, single, 2))
+    out = (
+        F.when(t.isNotNull(), quantity(name(tol), v, None, v - t, v + t, v, t, "EQ", _group(line, tol, 4)))
+        .when(num(rng, 3).isNotNull(), quantity(name(rng), None, None, num(rng, 2), num(rng, 3), None, None, "RANGE", _group(line, rng, 4)))
+        .when(one.isNotNull(), quantity(name(single), one, None, F.when(op == "GE", one), F.when(op == "LE", one), F.when(op == "EQ", one), None, op, _group(line, single, 4)))
+    )
+    return out if hint is None else out.when(hint.isNotNull() & (line != ""), quantity(hint, None, line, None, None, None, None, None, None))
+
+
+def requirement(line: Column) -> Column:
+    """The limit that a line sets, by the first kind of phrase that fits: a range, a tolerance, at most, at least, or a sign."""
+    return X.let(line, _requirement)
+
+
+def _requirement(line: Column) -> Column:
+    name = r"([a-zA-Z_\s]{2,30}?)\s*"
+    rng = rf"(?i){name}(?:shall\s+be\s+between|between|from)\s+{_NUMBER}\s*(?:and|to|-)\s*{_NUMBER}{_UNIT}"
+    tol = rf"(?i){name}(?:shall\s+be|shall\s+equal|=)\s*{_NUMBER}\s*(?:±|\+/-)\s*{_NUMBER}{_UNIT}"
+    most = rf"(?i){name}(?:shall\s+not\s+exceed|shall\s+be\s+(?:at\s+most|no\s+more\s+than)|maximum|max\.?)\s+{_NUMBER}{_UNIT}"
+    least = rf"(?i){name}(?:shall\s+be\s+at\s+least|shall\s+not\s+be\s+less\s+than|minimum|min\.?)\s+{_NUMBER}{_UNIT}"
+    sign = rf"(?i){name}(<=|>=|<|>|=)\s*{_NUMBER}{_UNIT}"
+    num = lambda p, i: _group(line, p, i).cast("double")
+    v, t, s, op = num(tol, 2), num(tol, 3), num(sign, 3), bound(_group(line, sign, 2))
+    called = lambda p: _group(line, p, 1)
     return (
-        F.when(num(tol, 3).isNotNull(), shape(num(tol, 1), num(tol, 1) - num(tol, 3), num(tol, 1) + num(tol, 3), num(tol, 3), F.lit("EQ"), F.coalesce(get(tol, 4), get(tol, 2))))
-        .when(num(rng, 3).isNotNull(), shape(none, num(rng, 1), num(rng, 3), none, F.lit("RANGE"), F.coalesce(get(rng, 4), get(rng, 2))))
-        .when(num(single, 2).isNotNull(), shape(num(single, 2), none, none, none, op, get(single, 3)))
+        F.when(num(rng, 3).isNotNull(), quantity(called(rng), None, None, num(rng, 2), num(rng, 3), None, None, "RANGE", _group(line, rng, 4)))
+        .when(t.isNotNull(), quantity(called(tol), v, None, v - t, v + t, v, t, "EQ", _group(line, tol, 4)))
+        .when(num(most, 2).isNotNull(), quantity(called(most), num(most, 2), None, None, num(most, 2), None, None, "LE", _group(line, most, 3)))
+        .when(num(least, 2).isNotNull(), quantity(called(least), num(least, 2), None, num(least, 2), None, None, None, "GE", _group(line, least, 3)))
+        .when(s.isNotNull(), quantity(called(sign), s, None, F.when(op == "GE", s), F.when(op == "LE", s), F.when(op == "EQ", s), None, op, _group(line, sign, 4)))
     )
 
 
