@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def entities(q: Column) -> Column:
     """struct<number, part, year, clause, amendment, temporal> of a normalised query.
 
-    A year after the standard's number beats any other one; a loose year counts
-    only with a standard, and only from 1947 to 2099.
+    A year after the standard's number beats any other one; a loose year, which
+    the number itself is not, counts only with a standard, and only from 1947
+    to 2099.
     """
     get = lambda p, i=1: F.nullif(F.regexp_extract(q, p, i), F.lit(""))
     number = get(r"\bIS\s*(\d+)")
-    tied, loose = get(r"\bIS\s*\d+\s*:\s*(\d{4})\b"), get(r"\b(19[4-9]\d|20\d\d)\b")
+    tied, loose = get(r"\bIS\s*\d+\s*:\s*(\d{4})\b"), F.nullif(F.regexp_extract(F.regexp_replace(q, r"\bIS\s*\d+", " "), r"\b(19[4-9]\d|20\d\d)\b", 1), F.lit(""))
     year = F.coalesce(tied, F.when(number.isNotNull(), loose)).cast("int")
     amendment = get(r"(?i)\bamendment\s*(?:no\.?\s*)?(\d+)")
     word = F.lower(q)
