@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +55,22 @@ def section_texts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key, "section").agg(head.alias("heading"), F.trim(body).alias("body"), F.min_by("page", "pos").alias("page_start"), F.max(F.when(filled, F.col("page"))).alias("page_end"))
 
 
-_SECTION = "array<struct<heading:string,body:string>>"
+def _merged(parts: list[tuple[str, str]], least: int, most: int) -> list[tuple[str, str]]:
+    out, open_ = [], None
+    for heading, body in parts:
+        if open_ is not None:
+            alone = not open_[1]
+            if alone or len(open_[1]) + len(body) <= most:
+                out.append((heading, f"{open_[0]}\n{body}") if alone else (open_[0], f"{open_[1]}\n{body}"))
+                open_ = None
+                continue
+            out.append(open_)
+            open_ = None
+        if len(body) < least:
+            open_ = (heading, body)
+        else:
+            out.append((heading, body))
+    return out if open_ is None else [*out, open_]
 
 
 def merge_sections(df: DataFrame, key: str, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
@@ -60,35 +78,80 @@ def merge_sections(df: DataFrame, key: str, least: int = MIN_CHARS, most: int =
 
     A section of a heading alone joins the next one and takes its heading; one
     under ``least`` characters joins the next when both fit ``most`` and keeps
-    its own heading. Both are used up by that.
+    its own heading. Both are used up by that. The fold is sequential in a
+    document, so it runs over Arrow batches, in time linear in its sections.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("section", "heading", "body"))), lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body")))
-    none = F.lit(None).cast("struct<heading:string,body:string>")
-    start = F.struct(F.array().cast(_SECTION).alias("done"), none.alias("open"))
-    waits = lambda s: F.length(s["body"]) < least
-    fresh = lambda done, s: F.when(waits(s), F.struct(done.alias("done"), s.alias("open"))).otherwise(F.struct(F.concat(done, F.array(s)).alias("done"), none.alias("open")))
 
-    def step(acc: Column, s: Column) -> Column:
-        p = acc["open"]
-        alone = F.length(p["body"]) == 0
-        both = F.struct(F.when(alone, s["heading"]).otherwise(p["heading"]).alias("heading"), F.when(alone, F.concat(p["heading"], F.lit("\n"), s["body"])).otherwise(F.concat(p["body"], F.lit("\n"), s["body"])).alias("body"))
-        fits = alone | (F.length(p["body"]) + F.length(s["body"]) <= most)
-        return F.when(p.isNull(), fresh(acc["done"], s)).when(fits, F.struct(F.concat(acc["done"], F.array(both)).alias("done"), none.alias("open"))).otherwise(fresh(F.concat(acc["done"], F.array(p)), s))
+    @F.pandas_udf("array<struct<heading:string,body:string>>")
+    def fold(col: pd.Series) -> pd.Series:
+        return pd.Series([[{"heading": h, "body": b} for h, b in _merged([(x["heading"], x["body"]) for x in parts], least, most)] for parts in col])
 
-    folded = F.aggregate(ordered, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    return df.groupBy(key).agg(folded.alias("sections"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("section", "heading", "body"))), lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body")))
+    return df.groupBy(key).agg(ordered.alias("__parts")).select(key, fold("__parts").alias("sections"))
+
+
+def _is_table(line: str) -> bool:
+    t = line.strip()
+    return t.startswith("|") and t.endswith("|")
+
+
+def _packed(text: str, most: int) -> list[str]:
+    if len(text) <= most:
+        return [text]
+    out, held, size = [], [], 0
+
+    def close() -> None:
+        nonlocal held, size
+        body = "\n".join(held).strip()
+        if body:
+            out.append(body)
+        held, size = [], 0
+
+    for table, run in groupby(text.splitlines(), _is_table):
+        rows = list(run)
+        if not table:
+            for line in rows:
+                if held and size + len(line) + 1 > most:
+                    close()
+                held.append(line)
+                size += len(line) + 1
+            continue
+        whole = len("\n".join(rows))
+        if size + whole > most:
+            close()
+        if whole <= most:
+            held += rows
+            size += whole
+        elif len(rows) < 3:
+            out.append("\n".join(rows))
+        else:  # every piece begins with the header row and its separator
+            head, piece = rows[:2], []
+            base = used = len("\n".join(head))
+            for row in rows[2:]:
+                if piece and used + len(row) + 1 > most:
+                    out.append("\n".join(head + piece))
+                    piece, used = [], base
+                piece.append(row)
+                used += len(row) + 1
+            out.append("\n".join(head + piece))
+    close()
+    return out
 
 
 def pack_lines(text: Column, most: int = MAX_CHARS) -> Column:
-    """array<string>: lines packed greedily into pieces of at most ``most`` characters; a longer line stays whole."""
+    """array<string>: a text over ``most`` characters as pieces of whole lines, packed greedily.
+
+    A run of table rows stays in one piece where it fits; a longer table is cut
+    between rows and repeats its header and separator in every piece. A longer
+    line stays whole. Sequential in a text, so it runs over Arrow batches, in
+    time linear in the text; NULL stays NULL.
+    """
 
-    def step(acc: Column, line: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = F.length(last) + 1 + F.length(line) <= most
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit("\n"), line)))).otherwise(F.concat(acc, F.array(line)))
+    @F.pandas_udf("array<string>")
+    def fold(col: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _packed(t, most) for t in col])
 
-    parts = F.split(text, "\n")
-    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 1, 1), step)
+    return fold(text)
 
 
 def with_chunk_ids(df: DataFrame, doc: str, section: str, content: str, pos: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import random
+import time
 from functools import reduce
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import text as X
+from strataframe.functions.query import entities
 
 # Fixed values of the public Okapi formula, fusion and boosts.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -17,32 +22,41 @@ RRF_K = 60
 BOOSTS = {"standard": 0.20, "year": 0.10, "clause": 0.15, "amendment": 0.10}
 
 
-def idf(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, idf over all documents: terms in over half of them get epsilon times the mean.
+def term_counts(docs: DataFrame, text: str) -> DataFrame:
+    """term, df over all documents; a term ' <n>' counts the documents of n terms.
 
-    Each document sends a term once, combined on the map side by term.
+    Terms hold no spaces, so lengths pass through the same map-side combined
+    count, and one pass over the texts gives frequencies, number and mean.
     """
+    words = X.tokens(F.col(text))
+    each = F.array_append(F.array_distinct(words), F.concat(F.lit(" "), F.greatest(F.size(words), F.lit(0)).cast("string")))
     # explode_outer: plain explode would evaluate its array once more, to filter out the empty ones
-    df = docs.select(F.explode_outer(F.array_distinct(X.tokens(F.col(text)))).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").cast("double")).scalar()
-    raw = df.select("term", F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    return docs.select(F.explode_outer(F.coalesce(each, F.array(F.lit(" 0")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def idf(counts: DataFrame) -> tuple[DataFrame, Column]:
+    """term, idf from ``term_counts``, and the mean length: terms in over half of the documents get epsilon times the mean idf."""
+    is_length = F.startswith("term", F.lit(" "))
+    lengths = counts.filter(is_length)
+    total = lengths.agg(F.sum("df").cast("double")).scalar()
+    mean = lengths.agg(F.sum(F.col("df") * F.trim("term").cast("long")) / F.sum("df")).scalar()
+    raw = counts.filter(~is_length).select("term", F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg(F.lit(EPSILON) * F.avg("raw")).scalar()
-    return raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+    return raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")), mean
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q_text: str) -> DataFrame:
     """q_key, key, score of all documents that share a term with a query.
 
-    Statistics cover all documents; only the words of query terms are grouped
-    by document and take part in the scoring join.
+    Two passes over the texts: one for the statistics of all documents, one
+    whose words are cut to those of the queries before anything is grouped.
     """
-    words = docs.select(F.col(key), X.tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), "w")
-    mean = words.agg(F.avg("dl")).scalar()
     wanted = queries.select(q_key, F.explode(X.tokens(F.col(q_text))).alias("term")).groupBy(q_key, "term").agg(F.count("*").alias("qtf"))
     terms = wanted.select("term").distinct()
+    words = docs.select(F.col(key), X.tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), "w")
     tf = words.select(key, "dl", F.explode_outer("w").alias("term")).join(terms, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    weight = idf(docs, key, text).join(terms, "term", "left_semi")
-    hit = tf.join(wanted.join(weight, "term"), "term")
+    weights, mean = idf(term_counts(docs, text))
+    hit = tf.join(wanted.join(weights.join(terms, "term", "left_semi"), "term"), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     return hit.groupBy(q_key, key).agg(F.sum(part).alias("score"))
 
@@ -53,37 +67,56 @@ def top_k(df: DataFrame, per: str, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-#: Query vectors a batch may hold; they go to every task.
-MAX_QUERY_BLOCK = 20_000
+#: Query vectors that go to the tasks at once, and the sides of a block of distances.
+QUERY_BLOCK, TILE, ROWS = 20_000, 256, 2048
+
+
+def _nearest(qid: np.ndarray, qv: np.ndarray, own: np.ndarray, v: np.ndarray, k: int):
+    """(query, row, distance) of the k nearest rows of every query, ties by id."""
+    d = np.maximum((qv**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * qv @ v.T, 0.0)
+    r = np.round(d, 9)
+    m = min(k, len(own))
+    limit = np.partition(r, m - 1, axis=1)[:, m - 1]
+    q, c = np.nonzero(r <= limit[:, None])  # ties at the limit stay in until they are sorted
+    order = np.lexsort((own[c], r[q, c], q))
+    q, c = q[order], c[order]
+    first = np.searchsorted(q, np.arange(len(qid)))
+    keep = np.arange(len(q)) - first[q] < m
+    return qid[q[keep]], own[c[keep]], d[q[keep], c[keep]]
 
 
 def knn(corpus: DataFrame, key: str, vector: str, queries: DataFrame, q_key: str, q_vector: str, k: int) -> DataFrame:
     """q_key, key, distance, score = 1 / (1 + squared L2), the k nearest of each query, exactly.
 
-    A bounded block of queries goes to the tasks; each batch of the corpus
-    keeps its k best for every query, so the shuffle carries k rows a batch
-    and query, never the pairs.
+    Queries go to the tasks in blocks of ``QUERY_BLOCK``, one pass over the
+    corpus each; each batch of the corpus keeps its k best for every query, in
+    tiles of bounded size, so the shuffle carries k rows a batch and query,
+    never the pairs. NULL vectors match nothing.
     """
-    rows = queries.select(q_key, q_vector).limit(MAX_QUERY_BLOCK + 1).collect()
-    if len(rows) > MAX_QUERY_BLOCK:
-        raise ValueError("too many query vectors for one block")
-    ids = np.array([r[0] for r in rows], np.int64)
-    q = np.array([r[1] for r in rows], np.float64)
-    held = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(batches):
-        qid, qv = held.value
-        for b in batches:
-            if not b.num_rows or not len(qid):
-                continue
-            own = b.column(0).to_numpy()
-            v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            d = np.maximum((qv**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * qv @ v.T, 0.0)
-            m = min(k, d.shape[1])
-            near = np.lexsort((np.broadcast_to(own, d.shape), np.round(d, 9)), axis=1)[:, :m]
-            yield pa.record_batch([pa.array(np.repeat(qid, m)), pa.array(own[near].reshape(-1)), pa.array(np.take_along_axis(d, near, 1).reshape(-1))], names=[q_key, key, "distance"])
-
-    found = corpus.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, f"{q_key} long, {key} long, distance double")
+    spark = queries.sparkSession
+    vectors = corpus.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
+
+    def one_pass(block: list) -> DataFrame:
+        held = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
+
+        def run(batches):
+            qid, qv = held.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(at, ROWS)
+                    own = b.column(0).to_numpy()
+                    v = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    for lo in range(0, len(qid), TILE):
+                        found = _nearest(qid[lo : lo + TILE], qv[lo : lo + TILE], own, v, k)
+                        yield pa.record_batch([pa.array(x) for x in found], names=[q_key, key, "distance"])
+
+        return vectors.mapInArrow(run, f"{q_key} long, {key} long, distance double")
+
+    rows = iter(queries.filter(F.col(q_vector).isNotNull()).select(q_key, q_vector).toLocalIterator())
+    passes = []
+    while block := list(islice(rows, QUERY_BLOCK)):
+        passes.append(one_pass(block))
+    found = reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], f"{q_key} long, {key} long, distance double")
     return top_k(found, q_key, k, F.round("distance", 9), F.col(key)).withColumn("score", 1 / (1 + F.col("distance")))
 
 
@@ -104,11 +137,19 @@ def rank_fusion(lists: list[DataFrame], q_key: str, key: str, k: int = RRF_K) ->
 
 
 def boost(df: DataFrame, q_key: str, score: str, standard: Column, year: Column, clause: Column, amendment: Column) -> DataFrame:
-    """Add shares of the query's best score for matching identifiers; the year counts only with the standard."""
+    """Add shares of the query's best score for matching identifiers; the year counts only with the standard.
+
+    A best score of zero or less counts as one. Rows with a match get
+    "identifier" among their ``methods``, where there is such a column.
+    """
     most = F.max(score).over(Window.partitionBy(q_key))
-    one = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
-    share = one(standard, BOOSTS["standard"]) + one(standard & year, BOOSTS["year"]) + one(clause, BOOSTS["clause"]) + one(amendment, BOOSTS["amendment"])
-    return df.withColumn("boosted", F.col(score) + most * share)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    one = lambda c, v: F.when(no(c), v).otherwise(0.0)
+    share = one(standard, BOOSTS["standard"]) + one(no(standard) & no(year), BOOSTS["year"]) + one(clause, BOOSTS["clause"]) + one(amendment, BOOSTS["amendment"])
+    out = df.withColumn("__share", share).withColumn("boosted", F.col(score) + F.when(most > 0, most).otherwise(1.0) * F.col("__share"))
+    if "methods" in df.columns:
+        out = out.withColumn("methods", F.when(F.col("__share") > 0, F.array_union("methods", F.array(F.lit("identifier")))).otherwise(F.col("methods")))
+    return out.drop("__share")
 
 
 def tiers(df: DataFrame, q_key: str, keys: list[Column], tie: Column) -> DataFrame:
@@ -138,15 +179,94 @@ def evaluate(ranked: DataFrame, gold: DataFrame, q_key: str, key: str, k: int) -
 
 def texts_containing(docs: DataFrame, key: str, text: str, items: DataFrame, i_key: str, i_text: str) -> DataFrame:
     """i_key, key where the document contains the item, blocked on the item's rarest inner word."""
-    posts = docs.select(key, F.explode_outer(F.array_distinct(F.split(F.col(text), r"\s+"))).alias("term"))
-    inner = items.select(i_key, F.col(i_text).alias("__item"), F.split(i_text, r"\s+").alias("w"))
+    inner = items.select(i_key, F.split(i_text, r"\s+").alias("w"))
     words = inner.select(i_key, F.explode(F.when(F.size("w") > 2, F.slice("w", 2, F.size("w") - 2)).otherwise(F.col("w"))).alias("term")).distinct()
-    df = posts.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    posts = docs.select(key, F.explode_outer(F.array_distinct(F.split(F.col(text), r"\s+"))).alias("term"))
+    # dealt by term once: the counts and the look-up read the same exchange
+    posts = posts.join(words.select("term").distinct(), "term", "left_semi").repartition("term")
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
     rare = words.join(df, "term").groupBy(i_key).agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     found = posts.join(rare, "term").select(i_key, key)
     return found.join(items.select(i_key, F.col(i_text).alias("__item")), i_key).join(docs.select(key, F.col(text).alias("__text")), key).filter(F.contains("__text", "__item")).select(i_key, key)
 
 
+def embed(df: DataFrame, text: str, model, out: str = "embedding", dim: int | None = None) -> DataFrame:
+    """``df`` with vectors of a caller's model: a function from a list of texts to rows of floats.
+
+    It runs over Arrow batches on the executors; NULL texts get NULL, and with
+    ``dim`` a vector of another length is an error.
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(col: pd.Series) -> pd.Series:
+        some = col.notna().to_numpy()
+        rows = [list(map(float, r)) for r in model(col[some].tolist())] if some.any() else []
+        if len(rows) != some.sum() or dim is not None and any(len(r) != dim for r in rows):
+            raise ValueError("the model returned vectors of another shape")
+        it = iter(rows)
+        return pd.Series([next(it) if x else None for x in some.tolist()])
+
+    return df.withColumn(out, run(F.col(text)))
+
+
+def rescore(df: DataFrame, q_text: str, text: str, model, out: str = "reranker") -> DataFrame:
+    """``df`` with scores of a caller's pair model: a function from a list of (query, text) to floats."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(list(map(float, model(list(zip(a.fillna(""), b.fillna("")))))) if len(a) else [], dtype="float64")
+
+    return df.withColumn(out, run(F.col(q_text), F.col(text)))
+
+
+def rewritten(df: DataFrame, prompt: Column, model, out: str, tries: int = 3, pause: float = 0.5) -> DataFrame:
+    """``df`` with the replies of a caller's text model (prompt -> text), NULL where it fails ``tries`` times.
+
+    Waits a random share of ``pause`` x 2^n between tries.
+    """
+
+    def reply(p: str) -> str | None:
+        for n in range(tries):
+            try:
+                return model(p)
+            except Exception:  # noqa: BLE001  the caller's model may raise anything
+                if n + 1 < tries:
+                    time.sleep(random.random() * pause * 2**n)
+        return None
+
+    @F.pandas_udf("string")
+    def run(col: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else reply(p) for p in col], dtype=object)
+
+    return df.withColumn(out, run(prompt))
+
+
+def retrieve(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q_text: str, dense: DataFrame, k: int = 10, pool: int = 50, scope: Column | None = None, identity: dict[str, Column] | None = None) -> DataFrame:
+    """q_key, key, fusion, methods, boosted, rank: the whole retrieval of a batch of queries.
+
+    Queries are normalised and their identifiers read; ``scope`` limits the
+    documents; the words' arm and the caller's ranked ``dense`` arm (q_key,
+    key, rank) give ``pool`` rows each, are fused by reciprocal ranks, boosted
+    where identifiers agree (``identity``: columns of the documents, by default
+    the first standard that the text names), left once for each content, and
+    cut to ``k``.
+    """
+    asked = queries.select(q_key, X.normalize_query(F.col(q_text)).alias("__asked")).withColumn("__e", entities(F.col("__asked")))
+    corpus = docs if scope is None else docs.filter(scope)
+    no = F.lit(None).cast("string")
+    own = {"standard": F.nullif(F.regexp_extract(text, X.STANDARD, 1), F.lit(""))} if identity is None else identity
+    facts = corpus.select(F.col(key), F.sha2(F.col(text), 256).alias("__h"), *[own.get(f, no).cast("string").alias(f"__{f}") for f in BOOSTS])
+    scored = bm25(corpus, key, text, asked, q_key, "__asked").withColumn("score", F.bround("score", 6))
+    lexical = top_k(scored, q_key, pool, F.col("score").desc(), F.col(key))
+    fused = fuse(dense.filter(F.col("rank") <= pool), lexical, q_key, key).withColumn("fusion", F.bround("fusion", 8))
+    marked = fused.join(facts, key).join(asked.drop("__asked"), q_key)
+    e = lambda f: F.col(f"__e.{f}").cast("string")
+    agree = [F.col("__standard") == e("number"), F.col("__year") == e("year"), F.col("__clause") == e("clause"), F.col("__amendment") == e("amendment")]
+    boosted = boost(marked, q_key, "fusion", *agree).withColumn("boosted", F.bround("boosted", 8))
+    order = [F.col("boosted").desc(), F.col(key)]
+    return top_k(keep_first(boosted, order, F.col(q_key), F.col("__h")), q_key, k, *order).select(q_key, key, "fusion", "methods", "boosted", "rank")
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """array<double>: unit vector of hashed token counts, a stand-in for a model that the caller brings."""
     slots = F.transform(X.tokens(text), lambda t: F.crc32(t) % dim)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def job_states(events: DataFrame) -> DataFrame:
@@ -56,17 +62,52 @@ def requests_in_window(df: DataFrame, user: str, at: str, seconds: int) -> DataF
 def accepted(df: DataFrame, user: str, at: str, tie: str, limit: int, seconds: int) -> DataFrame:
     """tie, accepted: at most ``limit`` accepted requests in any ``seconds``; refused ones do not count.
 
-    The rule is sequential in each user, so it folds the user's ordered
-    requests; the fold's state holds at most ``limit`` times.
+    The rule is sequential in each user. Users are dealt to tasks and sorted;
+    a task folds their requests one after another and carries at most ``limit``
+    times, however many requests a user has.
     """
-    times = F.array_sort(F.collect_list(F.struct(F.col(at).cast("timestamp").cast("double").alias("t"), F.col(tie).alias("k"))))
 
-    def step(acc: Column, r: Column) -> Column:
-        live = F.filter(acc["live"], lambda x: x > r["t"] - seconds)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(r["t"]))).otherwise(live).alias("live"), F.concat(acc["out"], F.array(F.struct(r["k"].alias("k"), ok.alias("ok")))).alias("out"))
+    def run(batches):
+        who, live = object(), deque()
+        for b in batches:
+            out = []
+            for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if u != who:
+                    who, live = u, deque()
+                while live and live[0] <= t - seconds:
+                    live.popleft()
+                ok = len(live) < limit
+                if ok:
+                    live.append(t)
+                out.append(ok)
+            yield pa.record_batch([b.column(2), pa.array(out, pa.bool_())], names=[tie, "accepted"])
 
     kind = dict(df.dtypes)[tie]
-    start = F.struct(F.array().cast("array<double>").alias("live"), F.array().cast(f"array<struct<k:{kind},ok:boolean>>").alias("out"))
-    folded = df.groupBy(user).agg(F.aggregate(times, start, step, lambda acc: acc["out"]).alias("r"))
-    return folded.select(F.explode("r").alias("x")).select(F.col("x.k").alias(tie), F.col("x.ok").alias("accepted"))
+    rows = df.select(F.col(user).alias("u"), F.col(at).cast("timestamp").cast("double").alias("t"), F.col(tie)).filter("t IS NOT NULL")
+    return rows.repartition("u").sortWithinPartitions("u", "t", tie).mapInArrow(run, f"{tie} {kind}, accepted boolean")
+
+
+def accepted_stream(stream: DataFrame, user: str, at: str, tie: str, limit: int, seconds: int) -> DataFrame:
+    """user, tie, accepted of a stream: the rule of ``accepted`` in order of arrival; state is a user's live times."""
+    out = StructType([StructField(user, _type(stream, user)), StructField(tie, _type(stream, tie)), StructField("accepted", BooleanType())])
+
+    def run(key, frames, state: GroupState):
+        live = deque(state.get[0]) if state.exists else deque()
+        for f in frames:
+            ok = []
+            f = f.sort_values(["t", tie])
+            for t in f["t"]:
+                while live and live[0] <= t - seconds:
+                    live.popleft()
+                ok.append(len(live) < limit)
+                if ok[-1]:
+                    live.append(t)
+            yield pd.DataFrame({user: [key[0]] * len(f), tie: f[tie].to_numpy(), "accepted": ok})
+        state.update((list(live),))
+
+    rows = stream.select(F.col(user), F.col(tie), F.col(at).cast("timestamp").cast("double").alias("t"))
+    return rows.groupBy(user).applyInPandasWithState(run, out, "live array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _type(df: DataFrame, name: str):
+    return df.schema[name].dataType
