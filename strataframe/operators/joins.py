@@ -92,11 +92,133 @@ def evolution(base: DataFrame, target: DataFrame, key: str, title: str) -> DataF
     return b.join(n, F.col("b_key") == F.col("t_key"), "full").select(F.coalesce("b_key", "t_key").alias(key), change.alias("change"))
 
 
-def token_overlap(left: DataFrame, l_id: str, l_tokens: str, right: DataFrame, r_id: str, r_tokens: str) -> DataFrame:
-    """Pairs that share tokens and how many: blocked on the token, so no cross product."""
-    a = left.select(l_id, F.explode(F.array_distinct(l_tokens)).alias("__t"))
-    b = right.select(r_id, F.explode(F.array_distinct(r_tokens)).alias("__u"))
-    return a.join(b, F.col("__t") == F.col("__u")).groupBy(l_id, r_id).agg(F.count("*").alias("overlap"))
+# Names of one quantity, and words that identify none.
+SYNONYMS = (("capacity", "volume", "storage"), ("temperature", "temp"), ("pressure",), ("thickness",), ("diameter",), ("efficiency",), ("voltage",), ("current",), ("power",), ("frequency",), ("conductivity", "resistance"), ("scale", "range"))
+STOP = ("the", "of", "and", "shall", "be", "at", "not", "nominal", "maximum", "minimum", "operating", "working", "allowable")
+TENDER_SYNONYMS = (
+    ("capacity", "volume", "storage"), ("temperature", "temp", "thermal"), ("pressure", "hydrostatic"), ("thickness",), ("diameter",), ("efficiency",), ("noise", "acoustic"), ("material", "grade", "polyethylene", "steel"), ("test", "testing", "inspection"),
+    ("certification", "conformance", "license", "licence", "isi"), ("dimension", "size", "width", "length", "height"), ("warranty",), ("delivery",), ("weight",),
+)
+TENDER_STOP = (
+    "the", "of", "and", "shall", "be", "at", "not", "is", "a", "an", "for", "with", "in", "to", "exceed", "least", "less", "than", "between", "maximum", "minimum", "must", "as", "per",
+    "from", "unit", "total", "only", "all", "strictly", "required", "submitted", "maintained", "records", "testing", "order", "timeline", "valid", "routine",
+)
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\s+"), ""))
+
+
+def _either_contains(a: Column, b: Column) -> Column:
+    return F.contains(a, b) | F.contains(b, a)
+
+
+def _same_group(a: Column, b: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    lit = lambda g: F.array(*[F.lit(w) for w in g])
+    return reduce(lambda x, y: x | y, [F.arrays_overlap(a, lit(g)) & F.arrays_overlap(b, lit(g)) for g in groups])
+
+
+def match_tier(a: Column, b: Column) -> Column:
+    """How two parameter names fit: 1 equal, 2 one inside the other, 3 a shared word or synonym, NULL not at all."""
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    u, v = _words(a), _words(b)
+    shared = F.size(F.array_except(F.array_intersect(u, v), F.array(*[F.lit(w) for w in STOP]))) > 0
+    return F.when(x == y, 1).when(_either_contains(x, y), 2).when(shared | _same_group(u, v, SYNONYMS), 3)
+
+
+def match_parameters(left: DataFrame, l_key: str, l_scope: str, l_name: str, right: DataFrame, r_key: str, r_scope: str, r_name: str, r_pos: str) -> DataFrame:
+    """l_key, r_key, tier: each requirement's parameter within its scope (a product), the best tier, then the first; NULL where none fits.
+
+    Rows meet by an equi-join on the scope, whose parameters are few; nothing is compared across scopes.
+    """
+    r = right.select(F.col(r_scope).alias("__scope"), F.col(r_key), F.col(r_name).alias("__name"), F.col(r_pos).alias("__pos"))
+    pairs = left.select(l_key, l_scope, l_name).join(r, F.col(l_scope) == F.col("__scope")).withColumn("tier", match_tier(F.col(l_name), F.col("__name"))).filter("tier IS NOT NULL")
+    best = pairs.groupBy(l_key).agg(F.min_by(F.struct(r_key, "tier"), F.struct("tier", "__pos", r_key)).alias("b")).select(F.col(l_key).alias("__l"), f"b.{r_key}", "b.tier")
+    return left.select(l_key).join(best, F.col(l_key) == F.col("__l"), "left").select(l_key, r_key, "tier")
+
+
+def tender_fits(a_name: Column, a_text: Column, category: Column, b_name: Column, b_text: Column) -> Column:
+    """Does a tender's requirement concern a standard's: by containment, a word of four letters or more, a synonym or its category."""
+    x, y = F.lower(F.trim(a_name)), F.lower(F.trim(b_name))
+    stop = F.array(*[F.lit(w) for w in TENDER_STOP])
+    u, v = (F.array_except(F.array_union(_words(n), _words(t)), stop) for n, t in ((a_name, a_text), (b_name, b_text)))
+    shared = F.exists(F.array_intersect(u, v), lambda w: F.length(w) >= 4)
+    kind = F.nullif(F.lower(category), F.lit(""))
+    by_category = F.coalesce(F.contains(y, kind) | F.contains(F.lower(b_text), kind), F.lit(False))
+    return _either_contains(x, y) | shared | _same_group(u, v, TENDER_SYNONYMS) | by_category
+
+
+def tender_links(left: DataFrame, l_key: str, l_scope: str, l_name: str, l_text: str, category: str, right: DataFrame, r_key: str, r_scope: str, r_name: str, r_text: str) -> DataFrame:
+    """l_key, r_key: every fitting requirement within the scope (the candidate standard), or one row with NULL: a gap."""
+    r = right.select(F.col(r_scope).alias("__scope"), F.col(r_key), F.col(r_name).alias("__name"), F.col(r_text).alias("__text"))
+    fits = tender_fits(F.col(l_name), F.col(l_text), F.col(category), F.col("__name"), F.col("__text"))
+    pairs = left.join(r, F.col(l_scope) == F.col("__scope")).filter(fits).select(F.col(l_key).alias("__l"), r_key)
+    return left.select(l_key).join(pairs, F.col(l_key) == F.col("__l"), "left").select(l_key, r_key)
+
+
+# Words that say nothing in a question or a title.
+ASK_STOP = ("what", "does", "standard", "apply", "product", "need", "test", "order")
+TITLE_STOP = ("specification", "requirements", "method", "safety", "general", "part", "section")
+
+
+def _title_words(c: Column) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\b[a-z]{4,}\b"), F.lit(0)), lambda w: ~w.isin(*TITLE_STOP))
+
+
+def catalogue_score(text: Column, products: Column, title: Column, category: Column, known: Column | None = None) -> Column:
+    """How well a product description fits a catalogue row.
+
+    For each product of the row 10 when the text has its name, else 8 when the
+    name has a known product that the text has, else 3 for each of its words
+    over three letters in the text; 2 for each word of the title and 1 for each
+    of the category among the words of the text.
+    """
+    low = F.lower(text)
+    asked = F.filter(F.regexp_extract_all(low, F.lit(r"\b[a-z]{3,}\b"), F.lit(0)), lambda w: ~w.isin(*ASK_STOP))
+    long_words = lambda p: F.filter(F.split(p, r"\s+"), lambda w: F.length(w) > 3)
+    hits = lambda p: F.size(F.filter(long_words(p), lambda w: F.contains(low, w)))
+    two = lambda k: F.slice(long_words(k), 1, 2)
+    there = lambda k: F.contains(low, k) | ((F.size(two(k)) >= 2) & F.forall(two(k), lambda w: F.contains(low, w)))
+    is_known = (lambda p: F.exists(known, lambda k: (k != "") & F.contains(p, F.lower(k)) & there(F.lower(k)))) if known is not None else (lambda p: F.lit(False))
+    one = lambda p: F.when(F.contains(low, p), 10).when(is_known(p), 8).otherwise(3 * hits(p))
+    total = F.aggregate(F.transform(products, F.lower), F.lit(0), lambda acc, p: acc + one(p))
+    among = lambda words: F.size(F.filter(words, lambda w: F.array_contains(asked, w)))
+    return total + 2 * among(_title_words(title)) + among(F.regexp_extract_all(F.lower(F.coalesce(category, F.lit(""))), F.lit(r"\b[a-z]{4,}\b"), F.lit(0)))
+
+
+def match_catalogue(asks: DataFrame, q_key: str, q_text: str, catalogue: DataFrame, c_key: str, products: str, title: str, category: str, known: Column | None = None, least: int = 3) -> DataFrame:
+    """q_key, c_key, score: the best catalogue row of each description, if it scores ``least``; ties go to the smaller key.
+
+    A word of the catalogue can only count where it lies inside a word of the
+    text, so rows meet by an equi-join of catalogue words with the parts of the
+    texts' words that are as long as one of them; every pair that can score is
+    a candidate, no other is compared.
+    """
+    names = F.flatten(F.transform(F.coalesce(F.col(products), F.array().cast("array<string>")), lambda p: F.split(F.lower(F.trim(p)), r"\s+")))
+    words = F.array_distinct(F.array_remove(F.concat(names, _title_words(F.col(title)), F.regexp_extract_all(F.lower(F.coalesce(F.col(category), F.lit(""))), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))), ""))
+    keys = catalogue.select(F.col(c_key), F.explode(words).alias("__w"))
+    sizes = [r[0] for r in keys.select(F.length("__w")).distinct().orderBy(F.length("__w")).limit(1000).collect()]
+    if not sizes:
+        return asks.select(q_key).limit(0).join(catalogue.select(c_key).limit(0)).withColumn("score", F.lit(0))
+    parts = lambda w: F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.transform(F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(w, i, n))))
+    # the text is not exploded with its words: only parts that the catalogue has come through
+    own = asks.select(q_key, F.explode(_words(F.col(q_text))).alias("__t")).select(q_key, F.explode(F.array_distinct(parts(F.col("__t")))).alias("__p"))
+    pairs = own.join(keys, F.col("__p") == F.col("__w")).select(q_key, c_key).distinct()
+    scored = pairs.join(asks.select(F.col(q_key).alias("__q"), F.col(q_text).alias("__text")), F.col(q_key) == F.col("__q")).join(catalogue.select(F.col(c_key).alias("__c"), products, title, category), F.col(c_key) == F.col("__c"))
+    scored = scored.withColumn("score", catalogue_score(F.col("__text"), F.col(products), F.col(title), F.col(category), known)).filter(F.col("score") >= least)
+    return scored.groupBy(q_key).agg(F.min_by(F.struct(c_key, "score"), F.struct(-F.col("score"), F.col(c_key))).alias("b")).select(q_key, f"b.{c_key}", "b.score")
+
+
+def add_unseen_claims(claims: Column, extracted: Column) -> Column:
+    """``claims`` and, in order, the extracted ones that neither contain nor lie in any claim kept before them, whatever their case."""
+    fresh = lambda acc, x: ~F.exists(acc, lambda e: _either_contains(F.lower(e), F.lower(x)))
+    return F.aggregate(F.coalesce(extracted, F.array().cast("array<string>")), F.coalesce(claims, F.array().cast("array<string>")), lambda acc, x: F.when(fresh(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+
+
+def unsupported_pairs(left: DataFrame, l_scope: str, l_text: str, right: DataFrame, r_scope: str, r_text: str) -> DataFrame:
+    """Rows of ``left`` whose text neither contains nor lies in a text of the same scope: an anti-join both ways."""
+    r = right.select(F.col(r_scope).alias("__scope"), F.lower(r_text).alias("__r")).distinct()
+    return left.join(r, (F.col(l_scope) == F.col("__scope")) & _either_contains(F.lower(l_text), F.col("__r")), "left_anti")
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions import text as X
+from strataframe.functions.extract import variants
+from strataframe.operators.retrieval import retrieve, top_k
 
 
 def ladder(*branches: tuple[Column, Column | str | float], default=None) -> Column:
@@ -51,27 +53,36 @@ def best_match(left: DataFrame, l_key: str, right: DataFrame, r_key: str, score:
     return scored.groupBy(l_key).agg(F.min_by(F.struct(F.col(r_key), "score"), F.struct(-F.col("score"), F.col(r_key))).alias("b")).select(l_key, f"b.{r_key}", "b.score")
 
 
-def evidence_status(df: DataFrame, key: str, value: str, verdict: str, expired: Column, identified: Column) -> DataFrame:
-    """Requirement status from all its evidence rows: conflicting, expired, unverified, supported or mismatch."""
+def evidence_status(df: DataFrame, key: str, order: Column, value: Column, verdict: Column, state: Column, expired: Column, identified: Column, confidence: Column) -> DataFrame:
+    """key, status: what all evidence rows of a requirement say together.
+
+    ``value`` is a measured number (NULL: none), ``verdict`` PASS or FAIL of a
+    test, ``state`` the comparison of the value with the requirement. Opposite
+    verdicts or values more than 15 % apart conflict; evidence of expired
+    documents alone is expired. Then the first row, in order, of a document in
+    force decides: unverified where nobody is named and its class is unsure,
+    partial where its comparison does not fully match, else supported. A key
+    without rows has none here: left-join and fill MISSING.
+    """
+    in_force = ~F.coalesce(expired, F.lit(False))
+    first = F.min_by(F.struct(F.coalesce(identified, F.lit(False)).alias("named"), F.coalesce(confidence, F.lit(0.0)).alias("sure"), state.alias("state")), F.when(in_force, order))
     g = df.groupBy(key).agg(
-        F.count("*").alias("n"),
-        F.bool_or(F.col(verdict) == "PASS").alias("passed"),
-        F.bool_or(F.col(verdict) == "FAIL").alias("failed"),
+        F.bool_or(verdict == "PASS").alias("passed"),
+        F.bool_or(verdict == "FAIL").alias("failed"),
         F.max(value).alias("hi"),
         F.min(value).alias("lo"),
         F.count(value).alias("k"),
-        F.bool_and(expired).alias("all_expired"),
-        F.bool_and(~identified).alias("none_identified"),
+        F.bool_or(in_force).alias("live"),
+        first.alias("first"),
     )
+    no = lambda c: F.coalesce(c, F.lit(False))
     status = ladder(
-        (F.col("n") == 0, "MISSING"),
-        (F.col("passed") & F.col("failed"), "CONFLICTING"),
+        (no(F.col("passed")) & no(F.col("failed")), "CONFLICTING"),
         ((F.col("k") >= 2) & (F.col("hi") > 1.15 * F.col("lo")), "CONFLICTING"),
-        (F.col("all_expired"), "EXPIRED"),
-        (F.col("none_identified"), "UNVERIFIED"),
-        (F.col("failed"), "MISMATCH"),
-        (F.col("passed"), "SUPPORTED"),
-        default="PARTIAL",
+        (~F.col("live"), "EXPIRED"),
+        (~F.col("first.named") & (F.col("first.sure") < 0.5), "UNVERIFIED"),
+        (F.col("first.state").isin("PARTIAL_MATCH", "MISMATCH"), "PARTIAL"),
+        default="SUPPORTED",
     )
     return g.select(key, status.alias("status"))
 
@@ -84,95 +95,287 @@ def gap_report(df: DataFrame, key: str, status: str, states: list[str]) -> DataF
     return g.withColumn("overall", overall)
 
 
-def readiness(applicability: Column, technical: Column, documents: Column, conflict: Column, expired: Column, missing: Column) -> Column:
-    """Weighted score less penalties, within 0 and 1; absent parts count .3, .5 and .2."""
+def applicable_share(status: Column) -> Column:
+    """Aggregate: the applicability part of the readiness, 0 without assessments."""
+    return F.coalesce(F.avg(F.when(status == "APPLICABLE", 1.0).when(status == "POTENTIALLY_APPLICABLE", 0.5).otherwise(0.0)), F.lit(0.0))
+
+
+def readiness(applicability: Column, matched: Column, gaps: Column, supported: Column, required: Column, conflict: Column, expired: Column, uncertain: Column) -> Column:
+    """Weighted readiness less penalties, within 0 and 1.
+
+    ``matched`` and ``gaps`` are NULL without a technical analysis (counts .3;
+    .5 when both are zero), ``required`` is NULL without an evidence report
+    (counts .2; .5 when it is zero).
+    """
+    total = matched + gaps
+    technical = F.when(total.isNull(), 0.3).when(total > 0, matched / total).otherwise(0.5)
+    documents = F.when(required.isNull(), 0.2).when(required > 0, supported / required).otherwise(0.5)
     one = lambda c, v: F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
-    raw = 0.25 * F.coalesce(applicability, F.lit(0.3)) + 0.35 * F.coalesce(technical, F.lit(0.5)) + 0.40 * F.coalesce(documents, F.lit(0.2))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw - one(conflict, 0.30) - one(expired, 0.20) - one(missing, 0.15)))
+    raw = 0.25 * F.coalesce(applicability, F.lit(0.0)) + 0.35 * technical + 0.40 * documents
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw - one(conflict, 0.30) - one(expired, 0.20) - one(uncertain, 0.15)))
+
+
+def readiness_state(conflict: Column, uncertain: Column, gaps: Column, expired: Column, missing: Column, required: Column, applicable: Column) -> Column:
+    """The overall state, the gravest finding first; ``required`` is NULL without an evidence report."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return ladder(
+        (no(conflict), "VERIFICATION_REQUIRED"),
+        (no(uncertain), "TEMPORAL_UNCERTAINTY"),
+        (no(gaps > 0), "TECHNICAL_GAPS_FOUND"),
+        (no(expired), "DOCUMENT_GAPS_FOUND"),
+        (no(missing) | required.isNull(), "EVIDENCE_INCOMPLETE"),
+        (no(applicable), "READY_FOR_HUMAN_REVIEW"),
+        default="VERIFICATION_REQUIRED",
+    )
+
+
+# Words that do not identify a product.
+_PLAIN = ("the", "and", "for", "with")
+
+
+def _terms(c: Column) -> Column:
+    return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\b[a-z]{3,}\b"), F.lit(0))), F.array(*[F.lit(w) for w in _PLAIN]))
 
 
 def title_score(title: Column, product: Column) -> Column:
-    """1 when the title starts with the product, .9 when it contains it, else by shared words."""
+    """1 when the title starts with the product, .9 when it contains it, else by the words that the shorter of both shares."""
     t, p = F.lower(title), F.lower(product)
-    shared = F.size(F.array_intersect(X.tokens(title), X.tokens(product))) / F.greatest(F.size(F.array_distinct(X.tokens(product))), F.lit(1))
-    return ladder((F.startswith(t, p), 1.0), (F.contains(t, p), 0.9), (shared >= 0.66, 0.85), (shared >= 0.33, 0.5), default=0.0)
+    a, b = _terms(title), _terms(product)
+    shared = F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
+    return ladder((F.coalesce(t, F.lit("")) == "", 0.0), (F.coalesce(p, F.lit("")) == "", 0.0), (F.startswith(t, p), 1.0), (F.contains(t, p), 0.9), (F.least(F.size(a), F.size(b)) == 0, 0.0), (shared >= 0.66, 0.85), (shared >= 0.33, 0.5), default=0.0)
+
+
+def term_score(product: Column, texts: Column) -> Column:
+    """The largest share of the product's words that one of the texts has, two decimals."""
+    words = _terms(product)
+    best = F.array_max(F.transform(texts, lambda x: F.size(F.filter(words, lambda w: F.contains(F.lower(x), w)))))
+    return F.when(F.size(words) > 0, F.bround(F.coalesce(best, F.lit(0)) / F.size(words), 2)).otherwise(0.0)
+
+
+def technical_score(facts: Column, texts: Column) -> Column:
+    """The share of the product's stated facts (array) that any text has, two decimals."""
+    known = F.array_compact(F.transform(facts, lambda f: F.nullif(F.lower(f), F.lit(""))))
+    hit = F.size(F.filter(known, lambda f: F.exists(texts, lambda x: F.contains(F.lower(x), f))))
+    return F.when(F.size(known) > 0, F.bround(hit / F.size(known), 2)).otherwise(0.0)
+
+
+def clause_score(n: Column) -> Column:
+    """Depth of support by the number of distinct clauses."""
+    return F.when(n >= 3, 1.0).when(n == 2, 0.75).when(n == 1, 0.5).otherwise(0.0)
+
+
+def semantic_score(reranker: Column, fusion: Column, similarity: Column) -> Column:
+    """Relevance of one text, 0 to 1: by the first score that it has; NULL without any. Take the maximum, .5 for none."""
+    # least and greatest pass over NULLs
+    return F.when(reranker.isNotNull(), 1 / (1 + F.exp(-reranker))).when(fusion.isNotNull(), F.least(F.lit(1.0), fusion * 20.0)).when(similarity.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), similarity)))
+
+
+# Weights of a candidate's signals.
+MAPPING_WEIGHTS = {"title": 0.25, "terms": 0.25, "clauses": 0.20, "semantic": 0.15, "technical": 0.10, "provenance": 0.05}
+
 
+def mapping_status(title: Column, terms: Column, clauses: Column, semantic: Column, technical: Column, provenance: Column, n_texts: Column, low: Column) -> tuple[Column, Column]:
+    """Weighted candidate score and its status.
 
-def mapping_status(title: Column, terms: Column, technical: Column, clauses: Column, semantic: Column, provenance: Column, supported: Column, low: Column) -> tuple[Column, Column]:
-    """Weighted candidate score and its status."""
-    score = F.bround(0.25 * title + 0.25 * terms + 0.20 * technical + 0.15 * clauses + 0.10 * semantic + 0.05 * provenance, 4)
-    strong = (score >= 0.70) & ((title >= 0.8) | (terms >= 0.8)) & supported & ~low
-    return score, ladder((strong, "STRONG"), (score >= 0.45, "POSSIBLE"), (score >= 0.20, "WEAK"), default="NOT_RELEVANT")
+    A strong candidate needs a title or nearly all terms, support beyond the
+    title (a clause, a term or more than one text), and evidence that is not
+    weak; a title that fits alone is a possible one.
+    """
+    parts = {"title": title, "terms": terms, "clauses": clauses, "semantic": semantic, "technical": technical, "provenance": provenance}
+    raw = reduce(lambda a, b: a + b, [parts[k] * w for k, w in MAPPING_WEIGHTS.items()])
+    score = F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 4)
+    supported = (clauses > 0) | (terms > 0) | (n_texts > 1)
+    strong = (score >= 0.70) & ((title > 0) | (terms >= 0.8)) & supported & ~F.coalesce(low, F.lit(False))
+    return score, ladder((strong, "STRONG_CANDIDATE"), ((score >= 0.45) | ((title >= 0.8) & ~supported), "POSSIBLE_CANDIDATE"), (score >= 0.20, "WEAK_CANDIDATE"), default="INSUFFICIENT_EVIDENCE")
+
+
+STATUS_ORDER = {"STRONG_CANDIDATE": 3, "POSSIBLE_CANDIDATE": 2, "WEAK_CANDIDATE": 1, "INSUFFICIENT_EVIDENCE": 0}
+
+
+def discover(products: DataFrame, p_key: str, name: str, docs: DataFrame, key: str, text: str, standard: str, clause: str, titles: DataFrame, title: str, known: DataFrame, k: int = 10, pool: int = 20) -> DataFrame:
+    """p_key, standard, origin, n_texts, score, status, rank: candidate standards of each product.
+
+    Distinct queries of a product are retrieved, their hits grouped by
+    standard, standards that are known for the product (p_key, standard) added
+    when nothing was found, and all scored from their title, words, clauses
+    and relevance; ranked by status, then score.
+    """
+    asked = products.select(p_key, F.explode(variants(F.col(name), F.array_join(F.slice(F.split(name, " "), 1, 2), " "))).alias("__ask"))
+    asked = asked.withColumn("__q", F.concat_ws("#", F.col(p_key).cast("string"), F.sha2("__ask", 256)))
+    none = asked.select("__q", F.lit(None).cast(docs.schema[key].dataType).alias(key), F.lit(None).cast("long").alias("rank")).filter("false")
+    hits = retrieve(docs, key, text, asked, "__q", "__ask", none, k=pool, pool=pool).join(asked.select("__q", p_key).withColumnRenamed("__q", "__own"), F.col("__q") == F.col("__own"))
+    best = hits.groupBy(p_key, key).agg(F.max("fusion").alias("__fusion"))
+    found = best.join(docs.select(key, text, standard, clause), key).filter(F.col(standard).isNotNull())
+    per = found.groupBy(p_key, standard).agg(F.count("*").alias("n_texts"), F.array_sort(F.collect_list(F.struct(key, text))).alias("__texts"), F.count_distinct(F.nullif(clause, F.lit(""))).alias("__clauses"), F.max("__fusion").alias("__fusion"))
+    rows = per.join(known.select(p_key, standard).distinct(), [p_key, standard], "full").withColumn("origin", F.when(F.col("n_texts").isNull(), "known").otherwise("found")).fillna(0, ["n_texts", "__clauses"])
+    listed = titles.select(F.col(standard).alias("__std"), F.col(title).alias("__title"))
+    rows = rows.join(products.select(F.col(p_key).alias("__p"), F.col(name).alias("__name")), F.col(p_key) == F.col("__p")).join(listed, F.col(standard) == F.col("__std"), "left")
+    texts = F.transform(F.coalesce("__texts", F.array().cast(dict(rows.dtypes)["__texts"])), lambda x: x[text])
+    no = F.lit(None).cast("double")
+    semantic = F.coalesce(F.bround(semantic_score(no, F.col("__fusion"), no), 2), F.lit(0.5))
+    score, status = mapping_status(title_score(F.col("__title"), F.col("__name")), term_score(F.col("__name"), texts), clause_score(F.col("__clauses")), semantic, F.lit(0.0), F.when(F.col("__std").isNotNull(), 1.0).otherwise(0.0), F.col("n_texts"), F.lit(False))
+    scored = rows.select(p_key, standard, "origin", "n_texts", score.alias("score"), status.alias("status"))
+    weight = ladder(*[(F.col("status") == s, F.lit(w)) for s, w in STATUS_ORDER.items()])
+    return top_k(scored, p_key, k, weight.desc(), F.col("score").desc(), F.col(standard))
 
 
 AUTHORITY = {"standard": 1.0, "amendment": 1.0, "gazette": 0.95, "order": 0.95, "guideline": 0.85, "manual": 0.85}
 
 
-def confidence(best: Column, both_arms: Column, scope: Column, completeness: Column, resolved: Column, unique: Column, authority: Column, conflict: Column) -> tuple[Column, Column]:
-    """Score and level of an answer's evidence, capped by what went wrong."""
-    retrieval = F.least(F.lit(0.35), X.sigmoid(best) * 0.30 + F.when(both_arms, 0.05).otherwise(0.0))
+# Failure -> (most that the score may be, state), the gravest first; soft ones only cap.
+FAILURES = {
+    "missing_context": (0.30, "VERIFICATION_REQUIRED"),
+    "conflict": (0.28, "CONFLICTING_EVIDENCE"),
+    "standard_absent": (0.20, "INSUFFICIENT_EVIDENCE"),
+    "clause_absent": (0.40, "INSUFFICIENT_EVIDENCE"),
+    "ambiguous": (0.35, "AMBIGUOUS_QUERY"),
+}
+IRRELEVANT, SOFT_CAPS, UNCERTAIN_CAP = (-4.5, 0.30), {"amendment_absent": 0.60, "year_differs": 0.65}, 0.40
+MEDIUM, HIGH = 0.45, 0.70
+
+
+def confidence(best: Column, both_arms: Column, scope: Column, completeness: Column, resolved: Column, unique: Column, authority: Column, failures: dict[str, Column] | None = None) -> Column:
+    """struct<score, level, decision, state> of an answer's evidence.
+
+    ``best`` is the reranker's score (for broad queries the blend of the first
+    five), ``authority`` the kind of the source, ``failures`` names what went
+    wrong: the keys of ``FAILURES`` and ``SOFT_CAPS``, and ``uncertain`` for a
+    question about the current state that the versions do not settle. Of
+    ``FAILURES`` the first that holds counts; the other caps add to it.
+    """
+    no = lambda name: F.coalesce((failures or {}).get(name, F.lit(False)), F.lit(False))
+    retrieval = X.sigmoid(best) * 0.30 + F.when(both_arms, 0.05).otherwise(0.0)
     volume = F.when(unique >= 3, 0.15).when(unique == 2, 0.10).when(unique == 1, 0.05).otherwise(0.0)
     weight = ladder(*[(authority == k, F.lit(v)) for k, v in AUTHORITY.items()], default=F.lit(0.75))
     raw = (retrieval + F.greatest(F.lit(0.0), F.least(F.lit(0.35), scope)) + completeness * 0.10 + F.when(resolved, 0.05).otherwise(0.0) + volume) * weight
-    capped = F.least(raw, F.when(unique == 0, 0.30).when(conflict, 0.28).otherwise(1.0), F.when(best < -4.5, 0.30).otherwise(1.0))
-    score = F.bround(capped, 4)
-    return score, ladder((score >= 0.70, "HIGH"), (score >= 0.45, "MEDIUM"), default="LOW")
-
-
-def intent(text: Column) -> Column:
-    """struct<intent, confidence>: the first rule of the ladder that fits; one word or none is ambiguous."""
-    number = F.rlike(text, F.lit(r"(?i)\bIS\s*\d+"))
-    out = lambda name, c: F.struct(F.lit(name).alias("intent"), F.lit(c).alias("confidence"))
+    hard = ladder(*[(no(f), F.lit(cap)) for f, (cap, _) in FAILURES.items()])
+    state = ladder(*[(no(f), F.lit(s)) for f, (_, s) in FAILURES.items()])
+    weak = F.coalesce(best < IRRELEVANT[0], F.lit(False))
+    caps = [F.coalesce(hard, F.lit(1.0)), F.when(weak, IRRELEVANT[1]).otherwise(1.0), F.when(no("uncertain"), UNCERTAIN_CAP).otherwise(1.0), *[F.when(no(f), cap).otherwise(1.0) for f, cap in SOFT_CAPS.items()]]
+    score = F.least(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.bround(raw, 4))), *caps)
+    verify = hard.isNotNull() | weak | no("uncertain") | (score < MEDIUM)
+    level = ladder((verify, "LOW"), (score >= HIGH, "HIGH"), default="MEDIUM")
+    decision = ladder((verify, "VERIFICATION_REQUIRED"), (score >= HIGH, "ANSWER"), default="QUALIFIED_ANSWER")
+    shown = ladder((weak | no("uncertain"), "INSUFFICIENT_EVIDENCE"), (state.isNotNull(), state), (verify, "INSUFFICIENT_EVIDENCE"), default="ANSWERABLE")
+    return F.struct(score.alias("score"), level.alias("level"), decision.alias("decision"), shown.alias("state"))
+
+
+# Words of the certification regimes.
+FOREIGN_WORDS = (
+    "foreign", "overseas", "international", "abroad", "outside india", "export to india", "exporting to india", "exporting cables to india", "import to india", "importing to india", "imported", "importer", "non-domestic", "foreign factory", "overseas factory", "foreign manufacturer",
+)
+HALLMARK_NUMBERS, HALLMARK_WORDS = ("1417", "15820"), ("gold", "jewellery", "jewelry", "hallmark", "artefact", "silver")
+ELECTRONIC_WORDS = ("cro", "crs", "compulsory registration", "it equipment", "led driver", "power bank", "adapter", "solar", "photovoltaic", "13252", "15885", "16102", "14286")
+ELECTRONIC_NOT = ("cable", "cables", "cord", "cords", "wire", "wires", "smart meter")
+CRS_WORDS = ("crs", "cro", "compulsory registration", "it equipment", "led driver", "laptop", "13252", "15885", "16102", "14286")
+CRS_NOT = ("cable", "cables", "cord", "wire", "plug", "socket")
+FMCS_WORDS = ("foreign", "overseas", "fmcs", "export to india", "exporting to india", "factory outside india")
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    """Any of the words inside the text, which is in lower case."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def is_foreign(origin: Column, product: Column) -> Column:
+    """A maker abroad, by the stated origin or by the words of the question."""
+    return F.lower(F.trim(F.coalesce(origin, F.lit("domestic")))).isin("foreign", "overseas", "international") | _any(F.lower(F.coalesce(product, F.lit(""))), FOREIGN_WORDS)
+
+
+def scheme(standard: Column, product: Column, title: Column, order: Column, mandatory: Column, origin: Column, known: Column) -> Column:
+    """Certification scheme by an ordered list of rules.
+
+    ``standard``, ``title``, ``order`` and ``mandatory`` come from the
+    catalogue row that the product or number resolves to, ``known`` says
+    whether there is one or a number at least. Precious metals first, then
+    electronics under compulsory registration, then mandatory products by the
+    maker's origin; voluntary ones last.
+    """
+    text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (standard, title, product, order)]))
+    digits = F.regexp_extract(F.coalesce(standard, F.lit("")), r"\d+", 0)
+    must, abroad = F.coalesce(mandatory, F.lit(False)), is_foreign(origin, product)
     return ladder(
-        (F.size(X.tokens(text)) <= 1, out("AMBIGUOUS", 0.40)),
-        (has(text, "weather", "recipe", "football"), out("UNSUPPORTED", 0.95)),
-        (has(text, "laboratory", "laboratories", "lab", "labs"), out("LABORATORY_SEARCH", 0.99)),
-        (has(text, "qco", "quality control order", "mandatory"), out("QCO_APPLICABILITY", 0.98)),
-        (has(text, "source", "download"), out("SOURCE_LOOKUP", 0.95)),
-        (has(text, "latest notification", "new rules"), out("REGULATORY_UPDATE", 0.95)),
-        (has(text, "comply", "compliance"), out("PRODUCT_COMPLIANCE", 0.94)),
-        (has(text, "compare", "difference", "versus"), out("COMPARISON", 0.90)),
-        (has(text, "scheme", "licence", "license"), out("SCHEME_GUIDANCE", 0.96)),
-        (has(text, "how do i apply", "process", "procedure"), out("PROCESS_EXPLANATION", 0.96)),
-        (has(text, "which standard", "standards for"), out("STANDARD_DISCOVERY", 0.95)),
-        (has(text, "documents", "paperwork"), out("DOCUMENT_REQUIREMENT", 0.92)),
-        (has(text, "amendment") & number, out("AMENDMENT", 0.98)),
-        (has(text, "amendment"), out("AMENDMENT", 0.90)),
-        (has(text, "current", "valid", "superseded") & number, out("CURRENTNESS", 0.96)),
-        (has(text, "clause") & number, out("CLAUSE", 0.98)),
-        (has(text, "clause"), out("CLAUSE", 0.88)),
-        (has(text, "test", "testing"), out("TESTING_REQUIREMENT", 0.95)),
-        (number, out("STANDARD_LOOKUP", 0.96)),
-        (has(text, "requirement", "requirements"), out("REQUIREMENT_DISCOVERY", 0.60)),
-        default=out("GENERAL", 0.85),
+        (~F.coalesce(known, F.lit(False)), "SCHEME-CLARIFICATION-REQUIRED"),
+        (_any(digits, HALLMARK_NUMBERS) | _any(text, HALLMARK_WORDS), "SCHEME-IV"),
+        (must & _any(text, ELECTRONIC_WORDS) & ~_any(text, ELECTRONIC_NOT), "SCHEME-II"),
+        (must & abroad, "SCHEME-X"),
+        (must, "SCHEME-I"),
+        default="SCHEME-I-VOLUNTARY",
     )
 
 
-def strategy(name: Column) -> Column:
-    return ladder((name.isin("CLAUSE", "STANDARD_LOOKUP", "AMENDMENT"), "exact"), (name.isin("STANDARD_DISCOVERY", "PRODUCT_COMPLIANCE", "QCO_APPLICABILITY"), "discovery"), (name == "COMPARISON", "multi"), (name.isin("AMBIGUOUS", "UNSUPPORTED"), "clarify"), default="broad")
+def checklist_kind(standard: Column, title: Column, product: Column, code: Column) -> Column:
+    """Which checklist applies: by number, by a part of the scheme's code, or by words; precious metals before electronics before makers abroad."""
+    no = lambda c: F.coalesce(c, F.lit(""))
+    text = F.lower(F.concat_ws(" ", no(standard), no(title), no(product), no(code)))
+    digits, up = F.regexp_extract(no(standard), r"\d+", 0), F.upper(no(code))
+    gold = _any(digits, HALLMARK_NUMBERS) | F.contains(up, F.lit("IV")) | _any(text, HALLMARK_WORDS)
+    crs = (F.contains(up, F.lit("II")) | F.contains(up, F.lit("CRS")) | _any(text, CRS_WORDS)) & ~_any(text, CRS_NOT)
+    abroad = F.contains(up, F.lit("X")) | F.contains(up, F.lit("FMCS")) | _any(text, FMCS_WORDS)
+    return ladder((gold, "SCHEME-IV"), (crs, "SCHEME-II"), (abroad, "SCHEME-X"), default="SCHEME-I")
 
 
-def scheme(number: Column, product: Column, mandatory: Column, foreign: Column, known: Column) -> Column:
-    """Certification scheme by an ordered list of rules."""
-    return ladder(
-        (~known, "CLARIFICATION"),
-        (number.isin("1417", "15820") | has(product, "gold", "silver", "hallmark"), "SCHEME-IV"),
-        (mandatory & has(product, "laptop", "phone", "charger", "electronic") & ~has(product, "cable"), "SCHEME-II"),
-        (mandatory & foreign, "SCHEME-X"),
-        (mandatory, "SCHEME-I"),
-        default="SCHEME-I-VOLUNTARY",
-    )
+# Phrases that leave something out of a scope or take it in, and words that say nothing about a product.
+EXCLUSIONS = (r"(?i)(?:does\s+not\s+apply\s+to|shall\s+not\s+apply\s+to|excludes?|not\s+applicable\s+to|excluding)\s+([^.\n;]+)", r"(?i)(?:specifically\s+excluded|scope\s+excludes?)\s*[:\-]?\s*([^.\n;]+)")
+INCLUSION = r"(?i)(?:applies\s+to|covers?|specifies\s+the\s+requirements\s+for|scope\s+of\s+this\s+standard\s+covers?)\s+([^.\n;]+)"
+SCOPE_STOP = ("domestic", "commercial", "portable", "general", "type", "with", "from", "part", "section", "specification", "requirements")
+ORDER_STOP = ("what", "does", "apply", "product", "need", "test", "order")
+
 
+def _words(c: Column, stop: tuple[str, ...]) -> Column:
+    return F.filter(F.regexp_extract_all(c, F.lit(r"\b[a-z]{3,}\b"), F.lit(0)), lambda w: ~w.isin(*stop))
 
-CHECKLIST_STEPS = {"SCHEME-IV": 4, "SCHEME-II": 4, "SCHEME-X": 5, "SCHEME-I": 5, "SCHEME-I-VOLUNTARY": 5, "CLARIFICATION": 0}
 
+def _found(text: Column, *patterns: str) -> Column:
+    return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.trim(x)) for p in patterns])
 
-def checklist_steps(name: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in CHECKLIST_STEPS.items() for x in kv])[name]
 
+def applicability(temporal: Column, name: Column, category: Column, use: Column, title: Column, scope: Column, score: Column, query: Column | None = None) -> Column:
+    """struct<status, confidence> of a standard for a product: explicit facts only, never similarity alone.
 
-def applicability(known: Column, excluded: Column, temporal_ok: Column, noun: Column, scope: Column, score: Column, token: Column) -> Column:
-    return ladder((~temporal_ok, "NOT_CURRENT"), (~known, "INSUFFICIENT_INFORMATION"), (excluded, "NOT_APPLICABLE"), (noun & scope & (score >= 0.70), "APPLICABLE"), ((score >= 0.45) | token, "POSSIBLY_APPLICABLE"), default="INSUFFICIENT_INFORMATION")
+    A standard out of force needs verification; without any product there is
+    too little evidence. Exclusion needs an excluding phrase that names the use
+    (or a commercial category). It applies when title or an including phrase
+    names the product, the conditions of use fit and the score is .70 or more;
+    it may apply from .45 or when a word of the product is in the text.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    n, c, u, t = low(name), low(category), low(use), low(title)
+    text = F.concat(t, F.lit(" "), low(scope))
+    out, taken = _found(text, *EXCLUSIONS), _found(text, INCLUSION)
+    excluded = F.exists(out, lambda x: ((u != "") & F.contains(x, u)) | ((c != "") & F.contains(x, c) & F.contains(c, F.lit("commercial"))))
+    mine = _words(n, SCOPE_STOP)
+    stem = lambda w: F.regexp_replace(w, "s+$", "")
+    noun = F.exists(mine, lambda w: F.contains(t, stem(w)) | F.exists(taken, lambda x: F.contains(x, stem(w))))
+    clash = (F.contains(u, F.lit("commercial")) & F.contains(t, F.lit("household")) & ~F.contains(text, F.lit("commercial"))) | (
+        ~F.contains(u, F.lit("commercial")) | ~F.contains(t, F.lit("household")) | F.contains(text, F.lit("commercial"))
+    ) & (F.contains(u, F.lit("industrial")) & F.contains(t, F.lit("domestic")) & ~F.contains(text, F.lit("industrial")))
+    family = F.exists(F.concat(mine, _words(c, SCOPE_STOP)), lambda w: (F.length(w) > 3) & F.contains(text, w))
+    empty = (n == "") & (c == "") & (low(query) == "" if query is not None else F.lit(True))
+    fit = F.bround(score, 4)
+    result = lambda status, conf: F.struct(F.lit(status).alias("status"), (F.lit(conf) if isinstance(conf, float) else conf).cast("double").alias("confidence"))
+    return ladder(
+        (F.coalesce(temporal, F.lit("ACTIVE")).isin("WITHDRAWN", "SUPERSEDED", "TEMPORALLY_UNCERTAIN"), result("VERIFICATION_REQUIRED", 0.40)),
+        (empty, result("INSUFFICIENT_EVIDENCE", 0.20)),
+        (excluded, result("NOT_APPLICABLE", 0.90)),
+        (noun & ~clash & (score >= 0.70), result("APPLICABLE", F.bround(F.greatest(F.lit(0.75), score), 4))),
+        ((score >= 0.45) | family, result("POTENTIALLY_APPLICABLE", fit)),
+        default=result("INSUFFICIENT_EVIDENCE", fit),
+    )
+
+
+def qco_applicability(product: Column, title: Column, evidence: Column) -> Column:
+    """MATCH, NO_MATCH or UNKNOWN of a control order for a product.
+
+    UNKNOWN without a product, without an order and its text, or where nothing
+    proves it; NO_MATCH when an excluding phrase names the product; MATCH when
+    a word of the product is in the order's title or text.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    p, text = low(product), F.concat(low(title), F.lit(" "), F.lower(F.coalesce(evidence, F.lit(""))))
+    excluded = F.exists(_found(text, *EXCLUSIONS), lambda x: F.contains(x, p))
+    named = F.exists(_words(p, ORDER_STOP), lambda w: F.contains(text, w))
+    return ladder((p == "", "UNKNOWN"), (title.isNull() & (F.coalesce(evidence, F.lit("")) == ""), "UNKNOWN"), (excluded, "NO_MATCH"), (named, "MATCH"), default="UNKNOWN")
 
 
 def document_class(text: Column, filename: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,32 +40,67 @@ def conflicts(df: DataFrame, standard: str, version: str, active: Column) -> Dat
     return df.filter(active).groupBy(standard).agg(F.array_sort(F.collect_list(version)).alias("versions")).filter(F.size("versions") > 1)
 
 
-def currentness(df: DataFrame, standard: str, version: str, order: list[str], state: str, year: Column, asked_year: Column, historical: Column) -> DataFrame:
-    """One answer per standard by an ordered list of rules, each computed as a column of one aggregation."""
-    entry = F.struct(*order, version, state, year.alias("y"))
-    g = df.groupBy(standard).agg(
+def currentness(df: DataFrame, standard: str, version: str, order: list[str], state: str, year: Column, asked_year: Column, historical: Column, amended: Column | None = None, status: Column | None = None, target: Column | None = None, source: Column | None = None, confirmed: Column | None = None) -> DataFrame:
+    """standard, resolution, resolved: one answer per standard by an ordered list of rules; the newest is never assumed current.
+
+    ``amended`` marks the version that a requested amendment belongs to,
+    ``status`` is the recorded status (published, effective, withdrawn, ..),
+    ``target`` marks versions that a supersession names as replaced, ``source``
+    is the rank of the first supersession that names a version as the new one,
+    ``confirmed`` says that the catalogue calls the standard current. Every
+    rule is a column of one aggregation over the versions in their order. A
+    standard without versions has no row here: left-join and fill
+    TEMPORALLY_UNCERTAIN.
+    """
+    never, none = F.lit(False), F.lit(None)
+    no = lambda c: F.coalesce(c, never)
+    amended, target, confirmed = (never if c is None else no(c) for c in (amended, target, confirmed))
+    status = none.cast("string") if status is None else status
+    source = none.cast("long") if source is None else source
+    place = F.struct(*order, version)
+    w = Window.partitionBy(standard).orderBy(*order, version)
+    old = F.col(state).isin("superseded", "withdrawn", "historical")
+    active = status.isin("effective", "published") & (F.col(state) != "withdrawn")
+    rows = df.withColumn("__before", F.lag(version).over(w))
+    last = lambda value, where: F.max_by(value, F.when(where, place))
+    g = rows.groupBy(standard).agg(
         F.count("*").alias("n"),
-        F.max_by(entry, F.when(year == asked_year, F.struct(*order, version))).alias("asked"),
-        F.max(year == asked_year).alias("has_asked"),
-        F.max_by(entry, F.when(F.col(state).isin("superseded", "withdrawn"), F.struct(*order, version))).alias("old"),
-        F.max(F.col(state).isin("superseded", "withdrawn")).alias("has_old"),
-        F.count_if(F.col(state) == "current_supported").alias("n_current"),
-        F.max_by(entry, F.when(F.col(state) == "current_supported", F.struct(*order, version))).alias("current"),
-        F.first(asked_year).alias("asked_year"),
+        F.min_by(version, F.when(amended, place)).alias("amended"),
+        F.bool_or(amended).alias("has_amended"),
+        F.min_by(F.struct(F.col(version).alias("v"), F.col(state).alias("s")), F.when(year == asked_year, place)).alias("asked"),
         F.bool_or(historical).alias("historical"),
+        last(F.col(version), old).alias("old"),
+        F.bool_or(old).alias("has_old"),
+        last(F.col(version), target).alias("replaced"),
+        F.bool_or(target).alias("has_replaced"),
+        F.max_by("__before", place).alias("before"),
+        F.count_if(F.col(state) == "current_supported").alias("n_current"),
+        F.min_by(version, F.when(active & source.isNotNull(), F.struct(source.alias("r"), *order, version))).alias("new"),
+        F.bool_or(active & source.isNotNull()).alias("has_new"),
+        F.max_by(version, place).alias("only"),
+        F.max_by(status, place).alias("status"),
+        F.bool_or(confirmed).alias("confirmed"),
     )
-    wants = F.col("asked_year").isNotNull() & F.col("has_asked")
-    kind = (
-        F.when(wants & (F.col("asked")[state] == "superseded"), "SUPERSEDED").when(wants & (F.col("asked")[state] == "withdrawn"), "WITHDRAWN").when(wants, "HISTORICAL")
-        .when(F.col("historical") & F.col("has_old"), "HISTORICAL")
-        .when(F.col("n_current") > 1, "UNCERTAIN")
-        .when((F.col("n_current") == 1) & F.col("has_old"), "CURRENT_SUPPORTED")
-        .when((F.col("n") == 1) & F.col("has_old"), "WITHDRAWN")
-        .when((F.col("n") == 1) & (F.col("n_current") == 1), "CURRENT_SUPPORTED")
-        .otherwise("UNCERTAIN")
-    )
-    picked = F.when(wants, F.col("asked")[version]).when(F.col("historical") & F.col("has_old"), F.col("old")[version]).when((F.col("n_current") == 1) & (F.col("has_old") | (F.col("n") == 1)), F.col("current")[version])
-    return g.select(standard, kind.alias("resolution"), picked.alias("resolved"))
+    c = F.col
+    answer = lambda kind, which: F.struct(F.lit(kind).alias("resolution"), (none if which is None else which).cast(dict(df.dtypes)[version]).alias("resolved"))
+    past = no(c("historical"))
+    rules = [
+        (no(c("has_amended")), answer("AMENDED", c("amended"))),
+        (c("asked").isNotNull() & (c("asked.s") == "superseded"), answer("SUPERSEDED", c("asked.v"))),
+        (c("asked").isNotNull() & (c("asked.s") == "withdrawn"), answer("WITHDRAWN", c("asked.v"))),
+        (c("asked").isNotNull(), answer("HISTORICAL", c("asked.v"))),
+        (past & no(c("has_old")), answer("HISTORICAL", c("old"))),
+        (past & no(c("has_replaced")), answer("HISTORICAL", c("replaced"))),
+        (past & (c("n") > 1), answer("HISTORICAL", c("before"))),
+        (c("n_current") > 1, answer("TEMPORALLY_UNCERTAIN", None)),
+        (no(c("has_new")), answer("CURRENT_SUPPORTED", c("new"))),
+        ((c("n") == 1) & (c("status") == "withdrawn"), answer("WITHDRAWN", c("only"))),
+        ((c("n") == 1) & (c("status") == "effective") & no(c("confirmed")), answer("CURRENT_SUPPORTED", c("only"))),
+        (c("n") == 1, answer("TEMPORALLY_UNCERTAIN", c("only"))),
+    ]
+    (c0, v0), *rest = rules
+    found = reduce(lambda a, r: a.when(*r), rest, F.when(c0, v0)).otherwise(answer("TEMPORALLY_UNCERTAIN", None))
+    return g.select(standard, found.alias("r")).select(standard, "r.resolution", "r.resolved")
 
 
 def audit(df: DataFrame, kind: str) -> DataFrame:

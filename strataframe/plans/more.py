@@ -70,7 +70,8 @@ def _(t):
 
 @query("s19_release_manifest")
 def _(t):
-    return files.manifest(S.table_counts({x: t(x) for x in ("part", "orders", "lineitem")}), t("orders"), "o_orderstatus")
+    every = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+    return files.manifest(S.table_counts({x: t(x) for x in every}), t("orders"), "o_orderstatus")
 
 
 @query("s20_report_lines", "SELECT 'status' AS section, o_orderstatus || ' | ' || count(*) AS line FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'priority', o_orderpriority || ' | ' || count(*) FROM orders GROUP BY o_orderpriority")
@@ -93,10 +94,16 @@ def _(t):
     return t("part").select("p_partkey", title.alias("title"), X.encode_int(F.when(Z % 5 != 0, Z)).alias("page"))
 
 
-@query("x05_heading_candidate", "SELECT p_partkey, p_partkey % 3 <> 2 AS heading FROM part")
+_LINES = ["4.2 {0}", "GENERAL REQUIREMENTS", "the quick brown fox", "Annex A of {0}", "appendix", "Scope", "IV. {0}", "B. {0}", "{0} is red", "TOO", "TABLE 12 {0}", "12) {0}", "12.{0}", "LONG LINE " * 13, "  2.1. {0}  ", "scopes of {0}", "x" * 190, "3 " + "y" * 190, ""]
+
+
+@query("x05_heading_candidate", f"""
+    WITH x AS (SELECT p_partkey, trim(replace({[line for line in _LINES]!r}[1 + p_partkey % {len(_LINES)}], '{{0}}', CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END)) AS t FROM part)
+    SELECT p_partkey, t <> '' AND len(t) <= 180 AND (regexp_matches(t, '^((?i:annex|appendix|foreword|introduction|scope))\\b|^\\d+(\\.\\d+)*[.)]?\\s+\\S|^[A-Z]\\.\\s+\\S|^[IVXL]+\\.\\s+\\S')
+      OR (len(t) < 120 AND NOT regexp_matches(t, '[a-z]') AND len(regexp_replace(t, '[^A-Z]', '', 'g')) >= 4)) AS heading FROM x""")
 def _(t):
     P, Z = _columns()
-    line = F.when(P % 3 == 0, F.concat(F.lit("4.2 "), "p_name")).when(P % 3 == 1, F.lit("GENERAL REQUIREMENTS")).otherwise(F.lit("the quick brown fox"))
+    line = F.replace(F.element_at(F.array(*[F.lit(x) for x in _LINES]), (1 + P % len(_LINES)).cast("int")), F.lit("{0}"), F.when(Z % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")))
     return t("part").select("p_partkey", X.heading_candidate(line).alias("heading"))
 
 
@@ -112,16 +119,26 @@ def _(t):
     return t("documents").select("doc_id", X.chunk_id(F.lit("d"), F.lit("s"), F.col("text"), F.lit(0)).alias("raw"))
 
 
-@query("x14_relation", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'identity' ELSE 'reference' END AS relation FROM part")
+_KINDS = ["indian_standard", "amendment", "draft", "gazette", "qco", "manual", "other"]
+
+
+@query("x14_relation", f"""
+    SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'none' WHEN kind IN ('indian_standard', 'amendment', 'draft') THEN 'identity' ELSE 'reference' END AS relation FROM (SELECT *, {_KINDS!r}[1 + p_partkey % 7] AS kind FROM part)""")
 def _(t):
     P, Z = _columns()
-    return t("part").select("p_partkey", E.relation(F.when(P % 3 != 0, P.cast("string")), F.when(P % 3 == 1, "draft").otherwise("manual")).alias("relation"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (1 + P % 7).cast("int"))
+    return t("part").select("p_partkey", E.relation(F.when(Z % 5 != 0, P.cast("string")), kind).alias("relation"))
 
 
-@query("x18_context_check", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ['standard IS 99999', 'clause 7.1'] ELSE [] END AS wrong FROM part")
+@query("x18_context_check", """
+    WITH x AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS own, CAST(p_partkey + p_size % 2 AS VARCHAR) AS other, ['4', '4.2', '4.2.1', '7'][1 + p_size % 4] AS a, ['4.1', '4', '9.9'][1 + p_partkey % 3] AS b FROM part)
+    SELECT p_partkey, list_concat(CASE WHEN other <> own THEN ['standard IS ' || other] ELSE [] END,
+      list_transform(list_filter(CASE WHEN a = b THEN [a] ELSE [a, b] END, lambda c: c <> '4.2' AND NOT starts_with('4.2', c || '.')), lambda c: 'clause ' || c)) AS wrong FROM x""")
 def _(t):
     P, Z = _columns()
-    c = F.concat(F.lit("From IS "), P, F.lit(" clause 4"), F.when(Z % 2 == 0, " and IS 99999 clause 7.1").otherwise(""))
+    a = F.element_at(F.array(*[F.lit(x) for x in ("4", "4.2", "4.2.1", "7")]), (1 + Z % 4).cast("int"))
+    b = F.element_at(F.array(*[F.lit(x) for x in ("4.1", "4", "9.9")]), (1 + P % 3).cast("int"))
+    c = F.concat(F.lit("From IS "), P, F.lit(" clause "), a, F.lit(" and IS-"), P + Z % 2, F.lit(" Clause "), b)
     return t("part").select("p_partkey", E.context_contradictions(c, F.concat(F.lit("IS "), P), F.lit("4.2")).alias("wrong"))
 
 
@@ -131,18 +148,34 @@ def _(t):
     return t("part").select("p_partkey", E.product_text(F.concat(F.lit("cop-\nper Pipes "), P, F.lit(" 'heaters'"))).alias("name"))
 
 
-@query("x24_product_context", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'copper' ELSE 'pvc' END AS material, 'domestic' AS use, [p_size || ' litre', '5 kw'] AS capacities FROM part")
+_M = ", ".join(f"'{m}'" for m in E.MATERIALS)
+_U = ", ".join(f"'{u}'" for u in E.USES)
+_DESCRIBED = f"CASE WHEN p_size % 4 = 0 THEN 'Wooden' ELSE upper([{_M}][1 + p_partkey % {len(E.MATERIALS)}]) END || ' and ' || [{_M}][1 + p_size % {len(E.MATERIALS)}] || ' tank' || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' for ' || [{_U}][1 + p_size % {len(E.USES)}] || ' use' END"
+
+
+@query("x24_product_context", f"""
+    WITH x AS (SELECT p_partkey, p_size, lower({_DESCRIBED}) AS d FROM part)
+    SELECT p_partkey, list_filter([{_M}], lambda m: regexp_matches(d, '\\b' || m || '\\b'))[1] AS material, list_filter([{_U}], lambda u: regexp_matches(d, '\\b' || u || '\\b'))[1] AS use,
+    [p_size || ' litre', '5 kw'] AS capacities FROM x""")
 def _(t):
     P, Z = _columns()
-    c = F.concat(F.when(Z % 2 == 0, "Copper").otherwise("PVC"), F.lit(" tank for Domestic use, "), Z, F.lit(" litre, 5 kW"))
+    of = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + k % len(words)).cast("int"))
+    c = F.concat(F.when(Z % 4 == 0, "Wooden").otherwise(F.upper(of(E.MATERIALS, P))), F.lit(" and "), of(E.MATERIALS, Z), F.lit(" tank"), F.when(Z % 3 == 0, "").otherwise(F.concat(F.lit(" for "), of(E.USES, Z), F.lit(" use"))), F.lit(", "), Z, F.lit(" litre, 5 kW"))
     return t("part").select("p_partkey", E.product_context(c).alias("c")).select("p_partkey", "c.*")
 
 
-@query("x25_business_context", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'foreign' ELSE 'domestic' END AS origin, 'small' AS scale, 'manufacturer' AS role FROM part")
+_ASKERS = ["an overseas MSME manufacturer", "a small retailer", "an Indian importer", "a large corporate", "who sells locally", "we import", "a startup", "nobody", "foreign importers and domestic makers"]
+
+
+@query("x25_business_context", f"""
+    WITH x AS (SELECT p_partkey, p_size, lower({_ASKERS!r}[1 + p_partkey % {len(_ASKERS)}]) AS d FROM part)
+    SELECT p_partkey, CASE WHEN regexp_matches(d, '\\b(import|overseas|foreign)') THEN 'foreign' WHEN regexp_matches(d, '\\b(domestic|local|indian)') THEN 'domestic' ELSE 'domestic' END AS origin,
+    CASE WHEN regexp_matches(d, '\\b(msme|small|startup)') THEN 'small' WHEN regexp_matches(d, '\\b(large|corporate)') THEN 'large' WHEN p_size % 2 = 0 THEN 'large' END AS scale,
+    CASE WHEN regexp_matches(d, '\\bmanufactur') THEN 'manufacturer' WHEN regexp_matches(d, '\\bimporter') THEN 'importer' WHEN regexp_matches(d, '\\b(retail|sell)') THEN 'seller' ELSE 'seller' END AS role FROM x""")
 def _(t):
     P, Z = _columns()
-    q = E.business_context(F.when(Z % 2 == 0, "an overseas MSME manufacturer").otherwise("a small manufacturer"))
-    profile = F.struct(F.lit("domestic").alias("origin"), F.lit("large").alias("scale"), F.lit("seller").alias("role"))
+    q = E.business_context(F.element_at(F.array(*[F.lit(a) for a in _ASKERS]), (1 + P % len(_ASKERS)).cast("int")))
+    profile = F.struct(F.lit("domestic").alias("origin"), F.when(Z % 2 == 0, "large").alias("scale"), F.lit("seller").alias("role"))
     return t("part").select("p_partkey", E.merged(q, profile, ["origin", "scale", "role"]).alias("c")).select("p_partkey", "c.*")
 
 
@@ -152,18 +185,29 @@ def _(t):
     return t("part").select("p_partkey", (F.size(v) > 0).alias("found"), F.size(v).cast("long").alias("n"))
 
 
-@query("x29_requirements", "SELECT p_partkey, 'thickness' AS name, CAST(p_size AS DOUBLE) AS value, 'LE' AS op FROM part UNION ALL SELECT p_partkey, 'pressure', 5.0::DOUBLE, 'GE' FROM part")
+@query("x29_requirements", """
+    SELECT p_partkey, 'Thickness' AS name, CASE p_size % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN CAST(p_size AS DOUBLE) END AS value, CASE p_size % 3 WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN p_size - 0.5::DOUBLE END AS lower,
+      CASE p_size % 3 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size + 2::DOUBLE ELSE p_size + 0.5::DOUBLE END AS upper, CASE p_size % 3 WHEN 0 THEN 'LE' WHEN 1 THEN 'RANGE' ELSE 'EQ' END AS op, 'mm' AS unit FROM part
+    UNION ALL SELECT p_partkey, 'Pressure', 5.5::DOUBLE, 5.5::DOUBLE, NULL, 'GE', 'bar' FROM part UNION ALL SELECT p_partkey, 'mass', p_size + 0.25::DOUBLE, p_size + 0.25::DOUBLE, NULL, 'GE', 'kg' FROM part""")
 def _(t):
     P, Z = _columns()
-    text = F.concat(F.lit("Thickness shall not exceed "), Z, F.lit(" mm;\nno number here;Pressure at least 5 bar"))
-    return E.requirements(t("part").withColumn("text", text), "p_partkey", "text").select("p_partkey", "name", "p.value", "p.op")
+    limit = F.when(Z % 3 == 0, F.concat(F.lit("shall not exceed "), Z, F.lit(" mm"))).when(Z % 3 == 1, F.concat(F.lit("shall be between "), Z, F.lit(" and "), Z + 2, F.lit(" mm"))).otherwise(F.concat(F.lit("shall be "), Z, F.lit(" ± 0.5 mm")))
+    text = F.concat(F.lit("Thickness "), limit, F.lit(";\nno number here. Pressure shall not be less than 5.5 bar\nmass > "), Z, F.lit(".25kg"))
+    return E.requirements(t("part").withColumn("text", text), "p_partkey", "text").select("p_partkey", "name", "p.value", "p.lower", "p.upper", "p.op", "p.unit")
+
+
+_CLAUSES = ["Supply voltage", "the width and the pressure", "width of goods", "A test certificate", "colour", "warranty of 12 days", "ambient temperature", "Report on torque", "rated POWER", "delivery"]
+_SAYS = ["shall be stated", "may be stated", "MUST hold", "is required", "would be nice", "is mandatory"]
+_CATEGORY = " ".join(f"WHEN regexp_matches(d, '{p}') THEN '{name}'" for name, p in E.TENDER_CATEGORIES)
 
 
-@query("x31_tender_category", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'electrical' WHEN 1 THEN 'dimensional' WHEN 2 THEN 'documentation' ELSE 'general' END AS category, p_partkey % 2 = 0 AS mandatory FROM part")
+@query("x31_tender_category", f"""
+    WITH x AS (SELECT p_partkey, lower({_CLAUSES!r}[1 + p_partkey % {len(_CLAUSES)}] || ' ' || {_SAYS!r}[1 + p_size % {len(_SAYS)}]) AS d FROM part)
+    SELECT p_partkey, CASE {_CATEGORY} ELSE 'general' END AS category, regexp_matches(d, '\\b(shall|must|mandatory|required)\\b') AS mandatory FROM x""")
 def _(t):
     P, Z = _columns()
-    words = F.element_at(F.array(F.lit("voltage"), F.lit("width"), F.lit("certificate"), F.lit("colour")), (P % 4 + 1).cast("int"))
-    clause = F.concat(F.lit("The "), words, F.when(P % 2 == 0, " shall be stated").otherwise(" may be stated"))
+    of = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + k % len(words)).cast("int"))
+    clause = F.concat_ws(" ", of(_CLAUSES, P), of(_SAYS, Z))
     return t("part").select("p_partkey", E.tender_category(clause).alias("category"), E.is_mandatory(clause).alias("mandatory"))
 
 
@@ -188,11 +232,13 @@ def _(t):
     return E.temporal_statements(t("part").withColumn("text", text), "p_partkey", "text")
 
 
-@query("x44_translation_check", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['citations', 'numbers'] ELSE ['standards', 'numbers'] END AS issues FROM part")
+@query("x44_translation_check", """
+    WITH x AS (SELECT p_partkey, p_partkey + 1000 AS a, p_partkey + 1000 + p_size % 2 AS a2, p_size AS z, p_size + CASE WHEN p_size % 3 = 0 THEN 7 ELSE 0 END AS z2, 2000 + p_partkey % 5 AS c, 2000 + p_size % 5 AS c2 FROM part)
+    SELECT p_partkey, list_filter([CASE WHEN c <> c2 THEN 'citations' END, CASE WHEN a <> a2 THEN 'standards' END, CASE WHEN list_sort(list_distinct([a, z, c])) <> list_sort(list_distinct([a2, z2, c2])) THEN 'numbers' END], lambda v: v IS NOT NULL) AS issues FROM x""")
 def _(t):
     P, Z = _columns()
-    source = F.concat(F.lit("IS 129 needs "), Z, F.lit(" bar [1]"))
-    other = F.when(P % 3 == 0, source).when(P % 3 == 1, F.concat(F.lit("IS 129 needs "), Z, F.lit(" bar [777]"))).otherwise(F.concat(F.lit("IS 888 needs "), Z, F.lit(" bar [1]")))
+    source = F.concat(F.lit("IS "), P + 1000, F.lit(" needs "), Z, F.lit(" bar ["), 2000 + P % 5, F.lit("]"))
+    other = F.concat(F.lit("Selon IS-"), P + 1000 + Z % 2, F.lit(", "), Z + F.when(Z % 3 == 0, 7).otherwise(0), F.lit(" bar ["), 2000 + Z % 5, F.lit("]"))
     return t("part").select("p_partkey", E.translation_issues(source, other).alias("issues"))
 
 
@@ -215,10 +261,17 @@ def _(t):
     return t("lineitem").agg(F.count("*").alias("lines"), F.count_distinct("l_orderkey").alias("orders"), F.count_if(F.col("l_partkey") % 10 == 3).alias("unresolved"))
 
 
-@query("d02_qco_applicability", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'UNKNOWN' WHEN p_size % 3 = 0 THEN 'NO_MATCH' WHEN p_size % 2 = 0 THEN 'MATCH' ELSE 'UNKNOWN' END AS state FROM part")
+@query("d02_qco_applicability", f"""
+    WITH x AS (SELECT p_partkey, lower(trim(CASE WHEN p_size % 8 <> 0 THEN p_name ELSE ' ' END)) AS p, CASE WHEN p_size % 5 <> 0 THEN 'Order for ' || string_split(p_name, ' ')[2] || 's' END AS title,
+      CASE p_size % 4 WHEN 0 THEN 'This order excludes ' || p_name || ' of brass.' WHEN 1 THEN 'not applicable to toys' WHEN 2 THEN '' END AS ev FROM part),
+    y AS (SELECT *, lower(coalesce(title, '')) || ' ' || lower(coalesce(ev, '')) AS text FROM x)
+    SELECT p_partkey, CASE WHEN p = '' THEN 'UNKNOWN' WHEN title IS NULL AND coalesce(ev, '') = '' THEN 'UNKNOWN' WHEN contains(regexp_extract(text, 'excludes ([^.;]+)', 1), p) THEN 'NO_MATCH'
+      WHEN len(list_filter(regexp_extract_all(p, '\\b[a-z]{{3,}}\\b'), lambda w: w NOT IN {tuple(D.ORDER_STOP)} AND contains(text, w))) > 0 THEN 'MATCH' ELSE 'UNKNOWN' END AS state FROM y""")
 def _(t):
     P, Z = _columns()
-    return t("part").select("p_partkey", D.ladder((Z % 5 == 0, "UNKNOWN"), (Z % 3 == 0, "NO_MATCH"), (Z % 2 == 0, "MATCH"), default="UNKNOWN").alias("state"))
+    title = F.when(Z % 5 != 0, F.concat(F.lit("Order for "), F.element_at(F.split("p_name", " "), 2), F.lit("s")))
+    evidence = F.when(Z % 4 == 0, F.concat(F.lit("This order excludes "), "p_name", F.lit(" of brass."))).when(Z % 4 == 1, "not applicable to toys").when(Z % 4 == 2, "")
+    return t("part").select("p_partkey", D.qco_applicability(F.when(Z % 8 != 0, F.col("p_name")).otherwise(" "), title, evidence).alias("state"))
 
 
 @query("d06_extractive_answer", "SELECT conv_id, array_to_string(list_transform(list_distinct_ordered[1:4], lambda c: '- ' || substring(c, 1, 200)), chr(10)) AS answer FROM (SELECT conv_id, list(text ORDER BY turn) AS list_distinct_ordered FROM (SELECT conv_id, text, min(turn) AS turn FROM conversations GROUP BY 1, 2) GROUP BY 1)")
@@ -234,22 +287,25 @@ def _(t):
     return t("part").select("p_partkey", E.final_decision(g, F.when(Z % 5 == 0, "WITHDRAWN").otherwise("CURRENT_SUPPORTED"), F.when(Z % 3 == 0, "LOW").otherwise("HIGH")).alias("decision"))
 
 
-@query("r10_discovery", """
-    WITH s AS (SELECT p_type, p_partkey, round_even(0.6 * (p_size / 50.0) + 0.4 * (p_retailprice / 3000.0), 6) AS score FROM part)
-    SELECT p_type, p_partkey, score, row_number() OVER (PARTITION BY p_type ORDER BY score DESC, p_partkey) AS rank FROM s QUALIFY rank <= 5""")
+@query("r10_discovery")
 def _(t):
-    P, Z = _columns()
-    s = t("part").select("p_type", "p_partkey", F.bround(0.6 * (Z / 50.0) + 0.4 * (F.col("p_retailprice") / 3000.0), 6).alias("score"))
-    return R.top_k(s, "p_type", 5, F.col("score").desc(), P)
+    docs = t("documents").select("doc_id", "text", F.concat(F.lit("IS "), F.col("doc_id") % 40).alias("standard"), (F.col("doc_id") % 7).cast("string").alias("clause"))
+    titles = t("benchmark").select(F.concat(F.lit("IS "), F.col("item_id")).alias("standard"), F.substring("text", 1, 40).alias("title"))
+    products = t("benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ").alias("name"))
+    known = t("benchmark").select("item_id", F.concat(F.lit("IS "), (F.col("item_id") + 1) % 40).alias("standard"))
+    return D.discover(products, "item_id", "name", docs, "doc_id", "text", "standard", "clause", titles, "title", known, k=5)
 
 
-@query("q04_query_context", "SELECT p_partkey, 'CLAUSE' AS intent, 'exact' AS strategy, CAST(p_partkey AS VARCHAR) AS number FROM part")
+@query("q04_query_context", """
+    SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'CLAUSE_LOOKUP' WHEN 1 THEN 'APPLICABILITY_QUERY' ELSE 'CURRENTNESS_QUERY' END AS intent, CASE p_size % 3 WHEN 0 THEN 'IDENTIFIER_HEAVY' WHEN 1 THEN 'APPLICABILITY_EVALUATION' ELSE 'TEMPORAL_AWARE' END AS strategy,
+    CASE p_size % 3 WHEN 0 THEN 'IDENTIFIER_SPECIFIC' WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'NORMAL' ELSE 'MISSING_REQUIRED_CONTEXT' END ELSE 'TEMPORAL' END AS state, CASE WHEN p_size % 3 <> 1 THEN CAST(p_partkey AS VARCHAR) END AS number FROM part""")
 def _(t):
-    P, Z = _columns()
-    from strataframe.functions.query import entities
+    from strataframe.functions.intent import query_context
 
-    q = X.normalize_query(F.concat(F.lit("show clause4.1 of is-"), P))
-    return t("part").select("p_partkey", D.intent(q)["intent"].alias("intent"), D.strategy(D.intent(q)["intent"]).alias("strategy"), entities(q)["number"].alias("number"))
+    P, Z = _columns()
+    q = F.when(Z % 3 == 0, F.concat(F.lit("show clause4.1 of is-"), P)).when(Z % 3 == 1, F.concat(F.lit("which rules apply to "), F.when(Z % 2 == 0, "copper ").otherwise(""), F.lit("goods"))).otherwise(F.concat(F.lit("latest IS "), P))
+    c = t("part").select("p_partkey", query_context(q).alias("c"))
+    return c.select("p_partkey", F.col("c.intent.intent").alias("intent"), "c.strategy", "c.state", F.col("c.entities.number").alias("number"))
 
 
 @query("w19_document_tree", """
@@ -288,11 +344,9 @@ def _(t):
     return C.blocks(_markdown(t), "doc_id", fallback=False).select("doc_id", "block", "kind", "text")
 
 
-@query("x48_render", f"WITH {_MD}, x AS (SELECT doc_id, block, string_agg(trim(line), chr(10) ORDER BY pos) AS text FROM b GROUP BY ALL) SELECT doc_id, len(string_agg(text, chr(10) || chr(10) ORDER BY block)) > 0 AS rendered, count(*) AS blocks FROM x GROUP BY 1")
+@query("x48_render", f"WITH {_MD}, x AS (SELECT doc_id, block, kind, string_agg(line, chr(10) ORDER BY pos) AS text FROM b GROUP BY ALL) SELECT doc_id, string_agg(CASE WHEN kind = 'heading' THEN '## ' || trim(regexp_replace(text, '^## ', '')) ELSE text END, chr(10) || chr(10) ORDER BY block) AS markdown FROM x GROUP BY 1")
 def _(t):
-    b = C.blocks(_markdown(t), "doc_id", fallback=False)
-    n = b.groupBy(F.col("doc_id").alias("d")).agg(F.count("*").alias("blocks"))
-    return C.render(b, "doc_id").join(n, F.col("doc_id") == F.col("d")).select("doc_id", (F.length("markdown") > 0).alias("rendered"), "blocks")
+    return C.render(C.blocks(_markdown(t), "doc_id", fallback=False), "doc_id")
 
 
 @query("a30_preservation", "SELECT 'missing' AS issue, o_orderkey AS entity_id FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT 'repeated', o_orderkey FROM orders WHERE o_orderkey % 100 = 7")
@@ -301,13 +355,18 @@ def _(t):
     return C.preservation(o, o.filter("o_orderkey % 100 <> 0").unionAll(o.filter("o_orderkey % 100 = 7")), "o_orderkey")
 
 
-@query("x45_structured_intent", "SELECT p_partkey, ['IS ' || p_partkey] AS standards, 'water tank' AS product, 'INDIA' AS jurisdiction, CASE WHEN p_size % 2 = 0 THEN 'laboratory' ELSE 'testing' END AS service FROM part")
+@query("x45_structured_intent", """
+    WITH x AS (SELECT p_partkey, p_size, ['Which lab', 'How to test', 'Certification', 'What of', 'Laboratories and tests'][1 + p_partkey % 5] AS head, CASE WHEN p_size % 2 = 0 THEN ' in India' ELSE '' END AS land, CASE WHEN p_size % 3 = 0 THEN ' for a ' || p_name ELSE '' END AS goods, CASE WHEN p_size % 4 = 0 THEN ' of industrial and domestic use' ELSE '' END AS use FROM part)
+    SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN [] ELSE ['IS ' || p_partkey] END AS standards, nullif(regexp_extract(lower(goods || use), '\\bfor (an? |the )?([a-z]+( [a-z]+)?)', 2), '') AS product, CASE WHEN use <> '' THEN 'domestic' END AS use, CASE WHEN land <> '' THEN 'INDIA' END AS jurisdiction,
+    CASE WHEN p_partkey % 5 IN (0, 4) THEN 'laboratory' WHEN p_partkey % 5 = 2 THEN 'certification' WHEN p_partkey % 5 = 1 THEN 'testing' END AS service FROM x""")
 def _(t):
     from strataframe.functions.query import structured_intent
 
     P, Z = _columns()
-    q = F.concat(F.when(Z % 2 == 0, "Which lab").otherwise("How to test"), F.lit(" in India uses IS "), P, F.lit(" for a water tank"))
-    return t("part").select("p_partkey", structured_intent(q).alias("i")).select("p_partkey", "i.standards", "i.product", "i.jurisdiction", "i.service")
+    head = F.element_at(F.array(*[F.lit(x) for x in ("Which lab", "How to test", "Certification", "What of", "Laboratories and tests")]), (1 + P % 5).cast("int"))
+    one = lambda cond, text: F.when(cond, text).otherwise("")
+    q = F.concat(head, one(Z % 2 == 0, F.lit(" in India")), one(Z % 5 != 0, F.concat(F.lit(" by IS "), P)), one(Z % 3 == 0, F.concat(F.lit(" for a "), "p_name")), one(Z % 4 == 0, F.lit(" of industrial and domestic use")))
+    return t("part").select("p_partkey", structured_intent(q).alias("i")).select("p_partkey", "i.standards", "i.product", "i.use", "i.jurisdiction", "i.service")
 
 
 @query("r02_hashed_embedding")
@@ -315,10 +374,10 @@ def _(t):
     return t("benchmark").select("item_id", R.hashed_embedding(F.col("text")).alias("embedding"))
 
 
-@query("x19_cache_key", "SELECT p_partkey, length(p_name) > 0 AS stable FROM part")
+@query("x19_cache_key", """SELECT p_partkey, substring(sha256('{"k0":"' || p_name || '","k1":' || p_size || CASE WHEN p_size % 2 = 0 THEN ',"k2":"' || p_brand || '"' ELSE '' END || '}'), 1, 32) AS key FROM part""")
 def _(t):
     P, Z = _columns()
-    return t("part").select("p_partkey", (E.cache_key(F.col("p_name"), Z) == E.cache_key(F.col("p_name"), Z)).alias("stable"))
+    return t("part").select("p_partkey", E.cache_key(F.col("p_name"), Z, F.when(Z % 2 == 0, F.col("p_brand"))).alias("key"))
 
 
 @query("d04_checklist_steps", "SELECT p_partkey, count(*) AS steps FROM part, range(CASE WHEN p_size % 3 = 0 THEN 4 ELSE 5 END) GROUP BY 1")

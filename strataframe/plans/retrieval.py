@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import text as X
 from strataframe.operators import retrieval as R
-from strataframe.plans import ORACLES, query
+from strataframe.plans import query
 
 _PUNCT = X.PUNCTUATION.replace("'", "''")
 _TOK = "list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda t: trim(t, '" + _PUNCT + "')), lambda t: t <> '')"
@@ -43,12 +43,13 @@ def _(t):
 
 
 _D2 = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))"
-_KNN = f"SELECT q.vec_id AS query_id, e.vec_id, {_D2} AS d FROM embeddings q, embeddings e WHERE q.vec_id < 20"
+_KNN = f"SELECT q.vec_id AS query_id, e.vec_id, {_D2} AS d FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0"
 
 
-def _knn(t, k, queries="vec_id < 20"):
-    e = t("embeddings")
-    return R.knn(e, "vec_id", "embedding", e.filter(queries).select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "embedding", k)
+def _knn(t, k, vector=None):
+    """Every id that 50 divides asks, all rows answer."""
+    e = t("embeddings").select("vec_id", (F.col("embedding") if vector is None else vector).alias("embedding"))
+    return R.knn(e, "vec_id", "embedding", e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "embedding", k)
 
 
 @query("r01_knn", f"SELECT query_id, vec_id, rank, round_even(1 / (1 + d), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM ({_KNN})) WHERE rank <= 15")
@@ -58,14 +59,13 @@ def _(t):
 
 _ARMS = f"""
     e AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM ({_KNN})),
-    a AS (SELECT * FROM e WHERE rank <= 15), b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 37 + query_id * 11) % 101, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, x.vec_id FROM embeddings q, embeddings x WHERE q.vec_id < 20 AND x.label = q.label) QUALIFY rank <= 15)"""
+    a AS (SELECT * FROM e WHERE rank <= 15),
+    b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM ({_KNN.replace("q.embedding", "q.embedding[1:16]").replace("e.embedding", "e.embedding[1:16]")}) QUALIFY rank <= 15)"""
 
 
-def _second_arm(t, queries="vec_id < 20"):
-    e = t("embeddings")
-    q = e.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
-    pairs = e.select("vec_id", "label").join(q, F.col("label") == F.col("q_label"))
-    return R.top_k(pairs, "query_id", 15, (F.col("vec_id") * 37 + F.col("query_id") * 11) % 101, F.col("vec_id")).select("query_id", "vec_id", "rank")
+def _second_arm(t):
+    """Neighbours by the first 16 dimensions alone."""
+    return _knn(t, 15, F.slice("embedding", 1, 16))
 
 
 @query("j05_full_outer_fuse", f"""
@@ -116,43 +116,26 @@ def _(t):
     return b.select("l_orderkey", "l_linenumber", F.bround("boosted", 6).alias("boosted"))
 
 
-@query("r06_hybrid", f"""
-    WITH {_ARMS}, f AS (SELECT query_id, vec_id, round_even(sum(1.0 / (60 + rank)), 8) AS fusion FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2),
-    x AS (SELECT f.*, round_even(fusion + max(fusion) OVER (PARTITION BY query_id) * CASE WHEN label = 3 THEN 0.20 ELSE 0 END, 8) AS boosted FROM f JOIN embeddings USING (vec_id))
-    SELECT query_id, vec_id, boosted, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, vec_id) AS rank FROM x QUALIFY rank <= 10""")
-def _hybrid(t, queries="vec_id < 20"):
-    fused = R.rank_fusion([_knn(t, 15, queries), _second_arm(t, queries)], "query_id", "vec_id").withColumn("fusion", F.bround("fusion", 8))
-    no = F.lit(False)
-    b = R.boost(fused.join(t("embeddings").select("vec_id", "label"), "vec_id"), "query_id", "fusion", F.col("label") == 3, no, no, no).withColumn("boosted", F.bround("boosted", 8))
-    return R.top_k(b, "query_id", 10, F.col("boosted").desc(), F.col("vec_id")).select("query_id", "vec_id", "boosted", "rank")
-
-
-#: The queries of the whole job: every id that 50 divides, against all rows. The four queries above take 20 ids at every size.
-_EVERY_50TH = "vec_id % 50 = 0"
-
-
-def _every_50th(name):
-    return query(f"{name}_every_50th", ORACLES[name].replace("q.vec_id < 20", f"q.{_EVERY_50TH}"))
-
-
-@_every_50th("r01_knn")
-def _(t):
-    return _knn(t, 15, _EVERY_50TH).select("query_id", "vec_id", "rank", F.bround("score", 5).alias("score"))
+_WORD = "\\bIS[\\s:\\-]*(\\d{1,6})"
 
 
-@_every_50th("j05_full_outer_fuse")
-def _(t):
-    return R.fuse(_knn(t, 15, _EVERY_50TH), _second_arm(t, _EVERY_50TH), "query_id", "vec_id").withColumn("fusion", F.bround("fusion", 8))
-
-
-@_every_50th("w01_rrf")
-def _(t):
-    return R.rank_fusion([_knn(t, 15, _EVERY_50TH), _second_arm(t, _EVERY_50TH)], "query_id", "vec_id").withColumn("fusion", F.bround("fusion", 8))
-
-
-@_every_50th("r06_hybrid")
-def _(t):
-    return _hybrid(t, _EVERY_50TH)
+@query("r06_hybrid", f"""
+    WITH {_BM25},
+    dq AS (SELECT item_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
+    dd AS (SELECT item_id, e.vec_id AS doc_id, {_D2.replace("q.embedding", "dq.embedding")} AS dist FROM dq, embeddings e JOIN documents ON doc_id = e.vec_id),
+    a AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(dist, 9), doc_id) AS rank FROM dd QUALIFY rank <= 30),
+    b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 30),
+    f AS (SELECT item_id, doc_id, round_even(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 8) AS fusion FROM a FULL JOIN b USING (item_id, doc_id)),
+    m AS (SELECT f.*, sha256(d.text) AS h, coalesce(regexp_extract(d.text, '(?i){_WORD}', 1) = nullif(regexp_extract(k.text, '(?i){_WORD}', 1), ''), false) AS same FROM f JOIN documents d USING (doc_id) JOIN benchmark k USING (item_id)),
+    x AS (SELECT *, round_even(fusion + max(fusion) OVER (PARTITION BY item_id) * CASE WHEN same THEN 0.20 ELSE 0 END, 8) AS boosted FROM m),
+    u AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY item_id, h ORDER BY boosted DESC, doc_id) = 1)
+    SELECT item_id, doc_id, boosted, row_number() OVER (PARTITION BY item_id ORDER BY boosted DESC, doc_id) AS rank FROM u QUALIFY rank <= 10""")
+def _(t):
+    vectors = t("embeddings")
+    rows = vectors.join(t("documents").select("doc_id"), F.col("vec_id") == F.col("doc_id")).select("doc_id", "embedding")
+    asked = t("benchmark").select("item_id").join(vectors, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
+    dense = R.knn(rows, "doc_id", "embedding", asked, "item_id", "embedding", 30)
+    return R.retrieve(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text", dense, k=10, pool=30).select("item_id", "doc_id", "boosted", "rank")
 
 
 @query("a23_blended", "SELECT user_id, round_even(0.6 * max(value) + 0.4 * avg(value), 6) AS blended FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 5) GROUP BY 1")
@@ -161,9 +144,12 @@ def _(t):
     return best.groupBy("user_id").agg(F.bround(0.6 * F.max("value") + 0.4 * F.avg("value"), 6).alias("blended"))
 
 
-@query("a28_corpus_stats", f"WITH {_BM25} SELECT term, round_even(idf, 8) AS idf FROM i")
+@query("a28_corpus_stats", f"""
+    WITH w AS (SELECT unnest(list_distinct({_TOK})) AS term FROM documents), c AS (SELECT term, count(*) AS df FROM w GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+    r AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM c, n), m AS (SELECT 0.25 * avg(raw) AS floor FROM r)
+    SELECT term, round_even(CASE WHEN raw < 0 THEN floor ELSE raw END, 8) AS idf FROM r, m""")
 def _(t):
-    return R.idf(t("documents"), "doc_id", "text").select("term", F.bround("idf", 8).alias("idf"))
+    return R.idf(R.term_counts(t("documents"), "text"))[0].select("term", F.bround("idf", 8).alias("idf"))
 
 
 @query("w14_version_order", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderdate, o_orderkey) AS version FROM orders")

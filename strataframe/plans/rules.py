@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataframe.functions import intent as I
 from strataframe.functions import text as X
 from strataframe.operators import joins
 from strataframe.operators import retrieval as R
@@ -47,34 +48,81 @@ def _(t):
     return d.groupBy("source").agg(F.count_distinct("h").alias("n_unique"), F.min("doc_id").alias("first_doc"), F.min_by("lang", "doc_id").alias("lang"))
 
 
-_TYPES = "a AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), b AS (SELECT p_type AS kind, unnest(string_split(lower(min(p_name)), ' ')) AS w FROM part GROUP BY p_type)"
+# Parameter names as specifications and requirements write them: equal, contained, synonymous, sharing only words that identify nothing.
+_NAMES = ["Capacity", "storage volume", "operating temperature", "temp", "pressure", "working pressure", "wall thickness", "nominal thickness of the pipe", "maximum power", "rated power", "scale", "measuring range", "maximum speed", "outer diameter", "diameter", "colour"]
+_SQL_NAMES = "[" + ", ".join(f"'{n}'" for n in _NAMES) + "]"
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(trim({0})), '\\s+'), lambda w: w <> ''))"
 
 
-def _overlap(t):
-    left = t("part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("words"))
-    right = t("part").groupBy(F.col("p_type").alias("kind")).agg(F.split(F.lower(F.min("p_name")), " ").alias("k_words"))
-    return joins.token_overlap(left, "p_partkey", "words", right, "kind", "k_words")
+def _sql_list(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query("j12_ranked_fuzzy_match", f"WITH {_TYPES}, o AS (SELECT p_partkey, kind, count(DISTINCT a.w) AS n FROM a JOIN b USING (w) GROUP BY 1, 2) SELECT p_partkey, arg_min(kind, (-n, kind)) AS kind, CAST(max(n) AS DOUBLE) AS score FROM o GROUP BY 1")
+def _sql_groups(u, v, groups):
+    return " OR ".join(f"(list_has_any({u}, {_sql_list(g)}) AND list_has_any({v}, {_sql_list(g)}))" for g in groups)
+
+
+_SPEC = f"""
+    n AS (SELECT l_orderkey, l_linenumber, l_partkey, {_SQL_NAMES}[1 + (l_partkey * 7 + l_linenumber) % 16] AS name FROM lineitem),
+    q AS (SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey AS pk, name FROM n WHERE l_linenumber % 2 = 1), p AS (SELECT l_orderkey AS k, l_linenumber AS pos, l_partkey AS ppk, name AS pname FROM n WHERE l_linenumber % 2 = 0)"""
+
+
+def _names(t):
+    """Odd lines of an order ask for a parameter, even lines are its specification."""
+    pick = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (1 + (F.col("l_partkey") * 7 + F.col("l_linenumber")) % 16).cast("int"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", pick.alias("name"))
+
+
+def _asked_and_given(t):
+    n = _names(t)
+    key = F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey")
+    asked = n.filter("l_linenumber % 2 = 1").select(key.alias("ask"), "l_orderkey", "name")
+    given = n.filter("l_linenumber % 2 = 0").select(key.alias("given"), F.col("l_orderkey").alias("g_order"), F.col("name").alias("g_name"), F.col("l_linenumber").alias("pos"))
+    return asked, given
+
+
+@query("j12_ranked_fuzzy_match", f"""
+    WITH {_SPEC}, x AS (SELECT q.*, p.*, lower(name) AS a, lower(pname) AS b, {_WORDS.format("name")} AS u, {_WORDS.format("pname")} AS v FROM q JOIN p USING (k)),
+    y AS (SELECT k || '.' || ln || '.' || pk AS ask, k || '.' || pos || '.' || ppk AS given, pos, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN 2
+      WHEN len(list_filter(list_intersect(u, v), lambda w: NOT list_contains({_sql_list(joins.STOP)}, w))) > 0 OR {_sql_groups("u", "v", joins.SYNONYMS)} THEN 3 END AS tier FROM x),
+    z AS (SELECT ask, arg_min(given, (tier, pos, given)) AS given, min(tier) AS tier FROM y WHERE tier IS NOT NULL GROUP BY 1)
+    SELECT DISTINCT k || '.' || ln || '.' || pk AS ask, given, tier FROM q LEFT JOIN z ON ask = k || '.' || ln || '.' || pk""")
 def _(t):
-    pairs = _overlap(t)
-    return D.best_match(pairs, "p_partkey", pairs, "kind", F.col("overlap").cast("double"), 1.0)
+    asked, given = _asked_and_given(t)
+    asked = asked.distinct()
+    return joins.match_parameters(asked, "ask", "l_orderkey", "name", given, "given", "g_order", "g_name", "pos")
 
 
-@query("j13_fuzzy_fanout", f"WITH {_TYPES}, o AS (SELECT DISTINCT p_partkey, kind FROM a JOIN b USING (w)) SELECT p_partkey, coalesce(kind, 'GAP') AS kind FROM part LEFT JOIN o USING (p_partkey)")
+@query("j13_fuzzy_fanout", f"""
+    WITH {_SPEC}, c AS (SELECT *, name || ' shall be as stated' AS text, CASE WHEN pk % 3 = 0 THEN 'power' WHEN pk % 3 = 1 THEN '' END AS cat FROM q),
+    x AS (SELECT c.*, p.*, lower(name) AS a, lower(pname) AS b, list_filter(list_distinct(list_concat({_WORDS.format("name")}, {_WORDS.format("text")})), lambda w: NOT list_contains({_sql_list(joins.TENDER_STOP)}, w)) AS u,
+      list_filter(list_distinct(list_concat({_WORDS.format("pname")}, {_WORDS.format("pname || ' of steel'")})), lambda w: NOT list_contains({_sql_list(joins.TENDER_STOP)}, w)) AS v FROM c JOIN p USING (k)),
+    y AS (SELECT k || '.' || ln || '.' || pk AS ask, k || '.' || pos || '.' || ppk AS given FROM x WHERE contains(a, b) OR contains(b, a) OR len(list_filter(list_intersect(u, v), lambda w: len(w) >= 4)) > 0
+      OR {_sql_groups("u", "v", joins.TENDER_SYNONYMS)} OR (cat <> '' AND (contains(b, cat) OR contains(b || ' of steel', cat))))
+    SELECT k || '.' || ln || '.' || pk AS ask, coalesce(given, 'GAP') AS given FROM q LEFT JOIN y ON ask = k || '.' || ln || '.' || pk""")
 def _(t):
-    return t("part").select("p_partkey").join(_overlap(t).select("p_partkey", "kind"), "p_partkey", "left").select("p_partkey", F.coalesce("kind", F.lit("GAP")).alias("kind"))
+    asked, given = _asked_and_given(t)
+    part = F.element_at(F.split("ask", r"\."), 3).cast("long")
+    asked = asked.withColumn("text", F.concat("name", F.lit(" shall be as stated"))).withColumn("cat", F.when(part % 3 == 0, "power").when(part % 3 == 1, ""))
+    given = given.withColumn("g_text", F.concat("g_name", F.lit(" of steel")))
+    return joins.tender_links(asked, "ask", "l_orderkey", "name", "text", "cat", given, "given", "g_order", "g_name", "g_text").select("ask", F.coalesce("given", F.lit("GAP")).alias("given"))
 
 
-_EV = """e AS (SELECT l_partkey AS k, l_quantity AS v, CASE l_returnflag WHEN 'R' THEN 'FAIL' WHEN 'A' THEN 'PASS' END AS verdict, l_tax > 0.06 AS expired, l_discount > 0.02 AS identified FROM lineitem WHERE l_quantity > 20),
-    g AS (SELECT k, bool_or(verdict = 'PASS') AS p, bool_or(verdict = 'FAIL') AS f, max(v) AS hi, min(v) AS lo, count(v) AS c, bool_and(expired) AS x, bool_and(NOT identified) AS u FROM e GROUP BY 1),
-    st AS (SELECT k, CASE WHEN p AND f THEN 'CONFLICTING' WHEN c >= 2 AND hi > 1.15 * lo THEN 'CONFLICTING' WHEN x THEN 'EXPIRED' WHEN u THEN 'UNVERIFIED' WHEN f THEN 'MISMATCH' WHEN p THEN 'SUPPORTED' ELSE 'PARTIAL' END AS status FROM g)"""
+_EV = """e AS (SELECT l_partkey AS k, l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS v, CASE WHEN l_linenumber % 3 = 0 THEN CASE l_returnflag WHEN 'R' THEN 'FAIL' WHEN 'A' THEN 'PASS' END END AS verdict,
+      l_tax > 0.06 AS expired, l_discount > 0.02 AS named, l_discount * 10 AS sure, CASE WHEN l_linenumber % 2 = 0 THEN CASE WHEN l_quantity <= 30 THEN 'MATCH' ELSE 'MISMATCH' END END AS state FROM lineitem WHERE l_quantity > 42),
+    g AS (SELECT k, bool_or(verdict = 'PASS') AS p, bool_or(verdict = 'FAIL') AS f, max(v) AS hi, min(v) AS lo, count(v) AS c, bool_or(NOT expired) AS live,
+      arg_min(named, (l_orderkey, l_linenumber)) FILTER (NOT expired) AS named, arg_min(sure, (l_orderkey, l_linenumber)) FILTER (NOT expired) AS sure, first(state ORDER BY l_orderkey, l_linenumber) FILTER (NOT expired) AS state FROM e GROUP BY 1),
+    st AS (SELECT k, CASE WHEN p AND f THEN 'CONFLICTING' WHEN c >= 2 AND hi > 1.15 * lo THEN 'CONFLICTING' WHEN NOT live THEN 'EXPIRED' WHEN NOT named AND sure < 0.5 THEN 'UNVERIFIED' WHEN state IN ('PARTIAL_MATCH', 'MISMATCH') THEN 'PARTIAL' ELSE 'SUPPORTED' END AS status FROM g)"""
 
 
 def _evidence(t):
-    e = t("lineitem").filter("l_quantity > 20").withColumn("verdict", F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "PASS"))
-    return D.evidence_status(e, "l_partkey", "l_quantity", "verdict", F.col("l_tax") > 0.06, F.col("l_discount") > 0.02)
+    from strataframe.functions.units import compare
+
+    n, none = F.col("l_linenumber"), F.lit(None).cast("double")
+    measured = F.when(n % 2 == 0, F.col("l_quantity").cast("double"))
+    verdict = F.when(n % 3 == 0, F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "PASS"))
+    state = F.when(measured.isNotNull(), compare(measured, none, F.lit("bar"), F.lit("LE"), none, F.lit(30.0), none, F.lit("bar")))
+    return D.evidence_status(t("lineitem").filter("l_quantity > 42"), "l_partkey", F.struct("l_orderkey", "l_linenumber"), measured, verdict, state, F.col("l_tax") > 0.06, F.col("l_discount") > 0.02, F.col("l_discount") * 10)
 
 
 @query("j14_evidence_decision", f"WITH {_EV} SELECT k AS l_partkey, status FROM st")
@@ -104,10 +152,21 @@ def _(t):
     return t("part").select("p_partkey", one(30.0).alias("product_tender"), one(40.0).alias("product_standard"))
 
 
-@query("j16_scored_match", f"WITH {_TYPES}, o AS (SELECT p_partkey, kind, 3.0 * count(DISTINCT a.w) AS s FROM a JOIN b USING (w) GROUP BY 1, 2) SELECT p_partkey, arg_min(kind, (-s, kind)) AS kind, CAST(max(s) AS DOUBLE) AS score FROM o WHERE s >= 6 GROUP BY 1")
+_LOW = "lower(p_name || ' ' || p_type || CASE WHEN p_size % 4 = 0 THEN ' apply rings' ELSE '' END)"
+
+
+@query("j16_scored_match", f"""
+    WITH c AS (SELECT p_brand AS brand, list_slice(list_sort(list(DISTINCT p_name)), 1, 4) AS products, min(p_type) || ' specification part' AS title, max(p_type) AS category FROM part GROUP BY 1),
+    q AS (SELECT p_partkey, {_LOW} AS d, list_filter(regexp_extract_all({_LOW}, '\\b[a-z]{{3,}}\\b'), lambda w: NOT list_contains({_sql_list(joins.ASK_STOP)}, w)) AS w FROM part),
+    s AS (SELECT p_partkey, brand, list_sum(list_transform(products, lambda p: CASE WHEN contains(d, lower(p)) THEN 10 ELSE 3 * len(list_filter(string_split(lower(p), ' '), lambda x: len(x) > 3 AND contains(d, x))) END))
+      + 2 * len(list_filter(regexp_extract_all(lower(title), '\\b[a-z]{{4,}}\\b'), lambda x: NOT list_contains({_sql_list(joins.TITLE_STOP)}, x) AND list_contains(w, x)))
+      + len(list_filter(regexp_extract_all(lower(category), '\\b[a-z]{{4,}}\\b'), lambda x: list_contains(w, x))) AS score FROM q, c)
+    SELECT p_partkey, arg_min(brand, (-score, brand)) AS brand, CAST(max(score) AS INT) AS score FROM s WHERE score >= 3 GROUP BY 1""")
 def _(t):
-    pairs = _overlap(t)
-    return D.best_match(pairs, "p_partkey", pairs, "kind", F.col("overlap") * 3.0, 6.0)
+    p = t("part")
+    catalogue = p.groupBy(F.col("p_brand").alias("brand")).agg(F.slice(F.array_sort(F.collect_set("p_name")), 1, 4).alias("products"), F.concat(F.min("p_type"), F.lit(" specification part")).alias("title"), F.max("p_type").alias("category"))
+    asks = p.select("p_partkey", F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_size") % 4 == 0, " apply rings").otherwise("")).alias("text"))
+    return joins.match_catalogue(asks, "p_partkey", "text", catalogue, "brand", "products", "title", "category")
 
 
 @query("a11_mapping_metrics", """
@@ -141,12 +200,20 @@ def _(t):
 
 
 @query("a17_readiness", """
-    SELECT p_partkey, round_even(greatest(0, least(1, 0.25 * coalesce(CASE WHEN p_size % 3 <> 0 THEN p_size / 50.0 END, 0.3) + 0.35 * (p_retailprice / 2500.0) + 0.40 * 0.2
-    - CASE WHEN p_size % 5 = 0 THEN 0.30 ELSE 0 END - CASE WHEN p_size % 7 = 0 THEN 0.20 ELSE 0 END - CASE WHEN p_size % 2 = 0 THEN 0.15 ELSE 0 END)), 6) AS readiness FROM part""")
-def _(t):
-    s = F.col("p_size")
-    r = D.readiness(F.when(s % 3 != 0, s / 50.0), F.col("p_retailprice") / 2500.0, F.lit(None).cast("double"), s % 5 == 0, s % 7 == 0, s % 2 == 0)
-    return t("part").select("p_partkey", F.bround(r, 6).alias("readiness"))
+    WITH a AS (SELECT l_partkey AS k, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_returnflag = 'A' THEN 0.5 ELSE 0.0 END) AS app, bool_or(l_returnflag = 'R') AS fits FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+    x AS (SELECT p_partkey, coalesce(app, 0) AS app, coalesce(fits, false) AS fits, CASE WHEN p_size % 4 <> 0 THEN p_size % 5 END AS m, CASE WHEN p_size % 4 <> 0 THEN p_size % 3 END AS g, CASE WHEN p_size % 6 <> 0 THEN p_size % 7 END AS req,
+      least(p_size % 7, p_size % 5) AS sup, p_size % 11 = 0 AS con, p_size % 13 = 0 AS ex, p_size % 9 = 0 AS un FROM part LEFT JOIN a ON k = p_partkey)
+    SELECT p_partkey, round_even(greatest(0, least(1, 0.25 * app + 0.35 * CASE WHEN m IS NULL THEN 0.3 WHEN m + g > 0 THEN m / (m + g) ELSE 0.5 END + 0.40 * CASE WHEN req IS NULL THEN 0.2 WHEN req > 0 THEN sup / req ELSE 0.5 END
+      - CASE WHEN con THEN 0.30 ELSE 0 END - CASE WHEN ex THEN 0.20 ELSE 0 END - CASE WHEN un THEN 0.15 ELSE 0 END)), 6) AS readiness,
+    CASE WHEN con THEN 'VERIFICATION_REQUIRED' WHEN un THEN 'TEMPORAL_UNCERTAINTY' WHEN g > 0 THEN 'TECHNICAL_GAPS_FOUND' WHEN ex THEN 'DOCUMENT_GAPS_FOUND' WHEN req IS NULL OR sup < req THEN 'EVIDENCE_INCOMPLETE' WHEN fits THEN 'READY_FOR_HUMAN_REVIEW' ELSE 'VERIFICATION_REQUIRED' END AS state FROM x""")
+def _(t):
+    status = F.when(F.col("l_returnflag") == "R", "APPLICABLE").when(F.col("l_returnflag") == "A", "POTENTIALLY_APPLICABLE").otherwise("INSUFFICIENT_EVIDENCE")
+    a = t("lineitem").filter("l_linenumber <= 2").withColumn("s", status).groupBy(F.col("l_partkey").alias("k")).agg(D.applicable_share(F.col("s")).alias("app"), F.bool_or(F.col("s") == "APPLICABLE").alias("fits"))
+    x, s = t("part").join(a, F.col("p_partkey") == F.col("k"), "left"), F.col("p_size")
+    m, g, req = F.when(s % 4 != 0, s % 5), F.when(s % 4 != 0, s % 3), F.when(s % 6 != 0, s % 7)
+    sup, con, ex, un = F.least(s % 7, s % 5), s % 11 == 0, s % 13 == 0, s % 9 == 0
+    score = D.readiness(F.col("app"), m, g, sup, req, con, ex, un)
+    return x.select("p_partkey", F.bround(score, 6).alias("readiness"), D.readiness_state(con, un, g, ex, sup < req, req, F.col("fits")).alias("state"))
 
 
 @query("a18_link_summary", "SELECT CASE WHEN l_returnflag = 'N' THEN 'unlinked' WHEN l_partkey % 10 = 3 THEN 'dangling' ELSE 'resolved' END AS link, count(*) AS n FROM lineitem GROUP BY 1")
@@ -156,9 +223,17 @@ def _(t):
     return linked.groupBy("link").agg(F.count("*").alias("n"))
 
 
-@query("j20_containment_antijoin", "SELECT p_partkey FROM part WHERE NOT contains(lower(p_name || ' ' || p_brand), 'brand#1')")
+@query("j20_containment_antijoin", """
+    WITH c AS (SELECT conv_id, turn, role, list_filter(list_transform(string_split_regex(text, '[.\n]+'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM conversations),
+    g AS (SELECT conv_id, flatten(list(parts ORDER BY turn) FILTER (role = 'assistant')) AS claims, flatten(list(parts ORDER BY turn) FILTER (role <> 'assistant')) AS more FROM c GROUP BY 1)
+    SELECT conv_id, list_reduce(list_prepend(coalesce(claims, []::VARCHAR[]), list_transform(coalesce(more, []::VARCHAR[]), lambda x: [x])),
+      lambda acc, x: CASE WHEN len(list_filter(acc, lambda e: contains(lower(e), lower(x[1])) OR contains(lower(x[1]), lower(e)))) > 0 THEN acc ELSE list_concat(acc, x) END) AS claims FROM g""")
 def _(t):
-    return t("part").filter(~F.contains(F.lower(F.concat("p_name", F.lit(" "), "p_brand")), F.lit("brand#1"))).select("p_partkey")
+    parts = F.filter(F.transform(F.split("text", r"[.\n]+"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = t("conversations").select("conv_id", "turn", "role", parts.alias("parts"))
+    ordered = lambda cond: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", "parts")))), lambda x: x["parts"]))
+    g = rows.groupBy("conv_id").agg(ordered(F.col("role") == "assistant").alias("claims"), ordered(F.col("role") != "assistant").alias("more"))
+    return g.select("conv_id", joins.add_unseen_claims(F.col("claims"), F.col("more")).alias("claims"))
 
 
 @query("r07_rerank", """
@@ -169,42 +244,77 @@ def _(t):
 
 
 @query("r08_confidence", """
-    WITH x AS (SELECT event_id, least((least(0.35, 0.30 / (1 + exp(-greatest(-10, least(10, value / 10 - 5)))) + CASE WHEN event_id % 2 = 0 THEN 0.05 ELSE 0 END) + 0.25 + 0.10 + CASE WHEN event_id % 3 = 0 THEN 0.05 ELSE 0 END
-      + CASE WHEN event_id % 4 >= 3 THEN 0.15 WHEN event_id % 4 = 2 THEN 0.10 WHEN event_id % 4 = 1 THEN 0.05 ELSE 0 END) * CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.95 WHEN 'error' THEN 0.85 ELSE 0.75 END,
-      CASE WHEN event_id % 4 = 0 THEN 0.30 WHEN event_id % 11 = 0 THEN 0.28 ELSE 1.0 END, CASE WHEN value / 10 - 5 < -4.5 THEN 0.30 ELSE 1.0 END) AS s FROM events)
-    SELECT event_id, round_even(s, 4) AS score, CASE WHEN round_even(s, 4) >= 0.70 THEN 'HIGH' WHEN round_even(s, 4) >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM x""")
+    WITH y AS (SELECT event_id, value / 10 - 5 AS best, event_id % 4 AS n, event_id % 97 = 0 AS f1, event_id % 11 = 0 AS f2, event_id % 13 = 0 AS f3, event_id % 17 = 0 AS f4, event_id % 19 = 0 AS f5, event_id % 23 = 0 AS s1, event_id % 29 = 0 AS s2, event_id % 31 = 0 AS un,
+      CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.95 WHEN 'error' THEN 0.85 ELSE 0.75 END AS w FROM events),
+    x AS (SELECT *, round_even((0.30 / (1 + exp(-greatest(-10, least(10, best)))) + CASE WHEN event_id % 2 = 0 THEN 0.05 ELSE 0 END + 0.25 + 0.10 + CASE WHEN event_id % 3 = 0 THEN 0.05 ELSE 0 END
+      + CASE WHEN n >= 3 THEN 0.15 WHEN n = 2 THEN 0.10 WHEN n = 1 THEN 0.05 ELSE 0 END) * w, 4) AS raw, CASE WHEN f1 THEN 0.30 WHEN f2 THEN 0.28 WHEN f3 THEN 0.20 WHEN f4 THEN 0.40 WHEN f5 THEN 0.35 END AS hard, best < -4.5 AS weak FROM y),
+    z AS (SELECT *, least(greatest(0, least(1, raw)), coalesce(hard, 1.0), CASE WHEN weak THEN 0.30 ELSE 1.0 END, CASE WHEN un THEN 0.40 ELSE 1.0 END, CASE WHEN s1 THEN 0.60 ELSE 1.0 END, CASE WHEN s2 THEN 0.65 ELSE 1.0 END) AS score FROM x),
+    v AS (SELECT *, hard IS NOT NULL OR weak OR un OR score < 0.45 AS verify FROM z)
+    SELECT event_id, score, CASE WHEN verify THEN 'LOW' WHEN score >= 0.70 THEN 'HIGH' ELSE 'MEDIUM' END AS level, CASE WHEN verify THEN 'VERIFICATION_REQUIRED' WHEN score >= 0.70 THEN 'ANSWER' ELSE 'QUALIFIED_ANSWER' END AS decision,
+    CASE WHEN weak OR un THEN 'INSUFFICIENT_EVIDENCE' WHEN f1 THEN 'VERIFICATION_REQUIRED' WHEN f2 THEN 'CONFLICTING_EVIDENCE' WHEN f3 OR f4 THEN 'INSUFFICIENT_EVIDENCE' WHEN f5 THEN 'AMBIGUOUS_QUERY' WHEN verify THEN 'INSUFFICIENT_EVIDENCE' ELSE 'ANSWERABLE' END AS state FROM v""")
 def _(t):
     i = F.col("event_id")
     authority = F.when(F.col("event_type") == "view", "standard").when(F.col("event_type") == "click", "gazette").when(F.col("event_type") == "error", "manual").otherwise("blog")
-    score, level = D.confidence(F.col("value") / 10 - 5, i % 2 == 0, F.lit(0.25), F.lit(1.0), i % 3 == 0, i % 4, authority, i % 11 == 0)
-    return t("events").select("event_id", score.alias("score"), level.alias("level"))
+    failures = {"missing_context": i % 97 == 0, "conflict": i % 11 == 0, "standard_absent": i % 13 == 0, "clause_absent": i % 17 == 0, "ambiguous": i % 19 == 0, "amendment_absent": i % 23 == 0, "year_differs": i % 29 == 0, "uncertain": i % 31 == 0}
+    c = D.confidence(F.col("value") / 10 - 5, i % 2 == 0, F.lit(0.25), F.lit(1.0), i % 3 == 0, i % 4, authority, failures)
+    return t("events").select("event_id", c.alias("c")).select("event_id", "c.*")
 
 
 @query("r09_mapping_score", """
-    WITH x AS (SELECT p_partkey, round_even(0.25 * CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.5 END + 0.25 * (p_size / 50.0) + 0.20 * (p_size % 10 / 10.0) + 0.15 * 0.75 + 0.10 * 0.5 + 0.05 * 1.0, 4) AS score, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.5 END AS title, p_size FROM part)
-    SELECT p_partkey, score, CASE WHEN score >= 0.70 AND (title >= 0.8 OR p_size / 50.0 >= 0.8) AND p_partkey % 3 <> 0 THEN 'STRONG' WHEN score >= 0.45 THEN 'POSSIBLE' WHEN score >= 0.20 THEN 'WEAK' ELSE 'NOT_RELEVANT' END AS status FROM x""")
-def _(t):
-    s = F.col("p_size")
-    score, status = D.mapping_status(F.when(s % 2 == 0, 1.0).otherwise(0.5), s / 50.0, s % 10 / 10.0, F.lit(0.75), F.lit(0.5), F.lit(1.0), F.col("p_partkey") % 3 != 0, F.lit(False))
+    WITH y AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.85 WHEN 3 THEN 0.5 ELSE 0.0 END AS title, p_size % 4 / 3.0 AS terms, CASE p_size % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.75 ELSE 1.0 END AS cl,
+      p_size / 50.0 AS sem, p_size % 3 / 2.0 AS tech, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS kg, p_partkey % 3 AS n, p_partkey % 7 = 0 AS low FROM part),
+    x AS (SELECT *, round_even(least(1, greatest(0, 0.25 * title + 0.25 * terms + 0.20 * cl + 0.15 * sem + 0.10 * tech + 0.05 * kg)), 4) AS score, cl > 0 OR terms > 0 OR n > 1 AS sup FROM y)
+    SELECT p_partkey, score, CASE WHEN score >= 0.70 AND (title > 0 OR terms >= 0.8) AND sup AND NOT low THEN 'STRONG_CANDIDATE' WHEN score >= 0.45 OR (title >= 0.8 AND NOT sup) THEN 'POSSIBLE_CANDIDATE' WHEN score >= 0.20 THEN 'WEAK_CANDIDATE' ELSE 'INSUFFICIENT_EVIDENCE' END AS status FROM x""")
+def _(t):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    title = F.element_at(F.array(*[F.lit(x) for x in (1.0, 0.9, 0.85, 0.5, 0.0)]), (s % 5 + 1).cast("int"))
+    n = F.element_at(F.array(*[F.lit(x) for x in (0, 1, 2, 3, 4, 5)]), (s % 6 + 1).cast("int"))
+    score, status = D.mapping_status(title, s % 4 / 3.0, D.clause_score(n), s / 50.0, s % 3 / 2.0, F.when(k % 2 == 0, 1.0).otherwise(0.0), k % 3, k % 7 == 0)
     return t("part").select("p_partkey", score.alias("score"), status.alias("status"))
 
 
-_INTENT = "CASE p_partkey % 6 WHEN 0 THEN 'LABORATORY_SEARCH' WHEN 1 THEN 'CLAUSE' WHEN 2 THEN 'STANDARD_LOOKUP' WHEN 3 THEN 'COMPARISON' WHEN 4 THEN 'AMBIGUOUS' ELSE 'GENERAL' END"
+# What is asked, its intent, score, first signal and strategy; the number of the part stands in for {0}.
+_QUESTIONS = [
+    ("which accredited labs are near Pune", "LABORATORY_SEARCH", 0.99, "laboratory_search", "SEMANTIC_CONTEXTUAL"),
+    ("show clause 4.2 of IS {0}", "CLAUSE_LOOKUP", 0.98, "clause", "IDENTIFIER_HEAVY"),
+    ("open IS {0} please", "STANDARD_LOOKUP", 0.96, "standard_number", "STANDARD_METADATA"),
+    ("IS{0}", "STANDARD_LOOKUP", 0.96, "standard_number", "STANDARD_METADATA"),
+    ("compare cement and steel", "COMPARISON_QUERY", 0.90, "comparison", "SEMANTIC_CONTEXTUAL"),
+    ("cement", "AMBIGUOUS_QUERY", 0.30, "single_word_fragment", "BROAD_FALLBACK"),
+    ("is the qco notified for toys", "QCO_APPLICABILITY", 0.98, "qco_applicability", "APPLICABILITY_EVALUATION"),
+    ("is a lab test mandatory", "AMBIGUOUS_QUERY", 0.40, "no_distinct_signal", "BROAD_FALLBACK"),
+    ("which certification scheme covers pumps", "SCHEME_GUIDANCE", 0.96, "scheme_guidance", "STANDARD_METADATA"),
+    ("how do i get bis certification", "PROCESS_EXPLANATION", 0.96, "process_explanation", "STANDARD_METADATA"),
+    ("amendment 2 of IS {0}", "AMENDMENT_LOOKUP", 0.98, "amendment", "TEMPORAL_AWARE"),
+    ("is IS {0} still in force", "CURRENTNESS_QUERY", 0.96, "currentness", "TEMPORAL_AWARE"),
+    ("the previous edition of IS {0}", "VERSION_LOOKUP", 0.95, "version_signal", "TEMPORAL_AWARE"),
+    ("what papers required to file", "DOCUMENT_REQUIREMENT_QUERY", 0.92, "document_requirement", "SEMANTIC_CONTEXTUAL"),
+    ("marking requirements of toys", "REQUIREMENT_DISCOVERY", 0.75, "requirement_discovery", "SEMANTIC_CONTEXTUAL"),
+    ("weather in Delhi", "UNSUPPORTED", 0.95, "unsupported_topic", "BROAD_FALLBACK"),
+    ("सीमेंट के लिए कौन सा मानक है", "STANDARD_DISCOVERY", 0.95, "standard_discovery", "STANDARD_DISCOVERY"),
+    ("", "AMBIGUOUS_QUERY", 0.10, "empty_query", "BROAD_FALLBACK"),
+]
+
+
+def _sql_pick(column, cast="VARCHAR"):
+    values = ", ".join("'" + str(q[column]) + "'" for q in _QUESTIONS)
+    return f"CAST([{values}][1 + p_partkey % {len(_QUESTIONS)}] AS {cast})"
 
 
 def _asked():
-    k = F.col("p_partkey") % 6
-    return F.when(k == 0, F.concat(F.lit("which lab tests IS "), "p_partkey")).when(k == 1, F.concat(F.lit("show clause 4 of IS "), "p_partkey")).when(k == 2, F.concat(F.lit("find IS "), "p_partkey")).when(k == 3, F.lit("compare these two")).when(k == 4, F.lit("cement")).otherwise("tell me about cement")
+    shown = F.element_at(F.array(*[F.lit(q[0]) for q in _QUESTIONS]), (1 + F.col("p_partkey") % len(_QUESTIONS)).cast("int"))
+    return F.replace(shown, F.lit("{0}"), (F.col("p_partkey") + 100).cast("string"))
 
 
-@query("q01_intent", f"SELECT p_partkey, {_INTENT} AS intent, CAST(CASE p_partkey % 6 WHEN 0 THEN 0.99 WHEN 1 THEN 0.98 WHEN 2 THEN 0.96 WHEN 3 THEN 0.90 WHEN 4 THEN 0.40 ELSE 0.85 END AS DOUBLE) AS confidence FROM part")
+@query("q01_intent", f"SELECT p_partkey, {_sql_pick(1)} AS intent, {_sql_pick(2, 'DOUBLE')} AS confidence, {_sql_pick(3)} AS signal, {_sql_pick(1)} = 'AMBIGUOUS_QUERY' AS ambiguous FROM part")
 def _(t):
-    return t("part").select("p_partkey", D.intent(_asked()).alias("i")).select("p_partkey", "i.*")
+    found = t("part").select("p_partkey", I.intent(_asked()).alias("i"))
+    return found.select("p_partkey", "i.intent", "i.confidence", F.element_at("i.signals", 1).alias("signal"), "i.ambiguous")
 
 
-@query("q03_strategy", "SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN 'exact' WHEN 2 THEN 'exact' WHEN 3 THEN 'multi' WHEN 4 THEN 'clarify' ELSE 'broad' END AS strategy FROM part")
+@query("q03_strategy", f"SELECT p_partkey, {_sql_pick(4)} AS strategy FROM part")
 def _(t):
-    return t("part").select("p_partkey", D.strategy(D.intent(_asked())["intent"]).alias("strategy"))
+    return t("part").select("p_partkey", I.strategy(I.intent(_asked())["intent"]).alias("strategy"))
 
 
 @query("x22_entities", "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS number, 2000 + p_size AS year, CAST(p_size AS VARCHAR) || '.2' AS clause FROM part")
@@ -234,28 +344,79 @@ def _(t):
     return t("part").select("p_partkey", D.claim_support(claim, evidence).alias("status"))
 
 
-@query("x42_title_score", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS score FROM part")
+@query("x42_title_score", """
+    WITH x AS (SELECT p_partkey, lower(CASE p_size % 4 WHEN 0 THEN p_name || ' - specification' WHEN 1 THEN 'Code for ' || p_name WHEN 2 THEN 'for ' || string_split(p_name, ' ')[2] || ' and others' ELSE p_type END) AS t, lower(p_name) AS p FROM part),
+    y AS (SELECT *, list_filter(list_distinct(regexp_extract_all(t, '\\b[a-z]{3,}\\b')), lambda w: w NOT IN ('the', 'and', 'for', 'with')) AS a, list_filter(list_distinct(regexp_extract_all(p, '\\b[a-z]{3,}\\b')), lambda w: w NOT IN ('the', 'and', 'for', 'with')) AS b FROM x),
+    z AS (SELECT *, len(list_intersect(a, b)) / least(len(a), len(b)) AS o FROM y)
+    SELECT p_partkey, CAST(CASE WHEN starts_with(t, p) THEN 1.0 WHEN contains(t, p) THEN 0.9 WHEN least(len(a), len(b)) = 0 THEN 0.0 WHEN o >= 0.66 THEN 0.85 WHEN o >= 0.33 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM z""")
 def _(t):
-    title = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" - specification"))).otherwise(F.concat(F.lit("Code for "), "p_name"))
+    k = F.col("p_size") % 4
+    title = F.when(k == 0, F.concat("p_name", F.lit(" - specification"))).when(k == 1, F.concat(F.lit("Code for "), "p_name")).when(k == 2, F.concat(F.lit("for "), F.element_at(F.split("p_name", " "), 2), F.lit(" and others"))).otherwise(F.col("p_type"))
     return t("part").select("p_partkey", D.title_score(title, F.col("p_name")).alias("score"))
 
 
-@query("d01_applicability", "SELECT p_partkey, CASE WHEN p_size = 50 THEN 'NOT_CURRENT' WHEN p_size % 9 = 0 THEN 'INSUFFICIENT_INFORMATION' WHEN p_size % 7 = 0 THEN 'NOT_APPLICABLE' WHEN p_size > 35 THEN 'APPLICABLE' WHEN p_size >= 23 THEN 'POSSIBLY_APPLICABLE' ELSE 'INSUFFICIENT_INFORMATION' END AS status FROM part")
-def _(t):
-    s = F.col("p_size")
-    return t("part").select("p_partkey", D.applicability(s % 9 != 0, s % 7 == 0, s != 50, s > 35, F.lit(True), s / 50.0, F.lit(False)).alias("status"))
-
-
-@query("d03_scheme", "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'CLARIFICATION' WHEN p_size % 6 = 0 THEN 'SCHEME-IV' WHEN p_size % 2 = 0 AND p_size % 5 = 0 THEN 'SCHEME-II' WHEN p_size % 2 = 0 AND p_size % 7 = 0 THEN 'SCHEME-X' WHEN p_size % 2 = 0 THEN 'SCHEME-I' ELSE 'SCHEME-I-VOLUNTARY' END AS scheme FROM part")
-def _(t):
-    s = F.col("p_size")
-    product = F.when(s % 6 == 0, "gold ring").when(s % 5 == 0, "laptop charger").otherwise("cement")
-    return t("part").select("p_partkey", D.scheme(F.lit("99"), product, s % 2 == 0, s % 7 == 0, s != 1).alias("scheme"))
-
-
-@query("d04_checklist", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 5 ELSE 4 END AS steps FROM part")
-def _(t):
-    return t("part").select("p_partkey", D.checklist_steps(F.when(F.col("p_size") % 2 == 0, "SCHEME-I").otherwise("SCHEME-IV")).alias("steps"))
+@query("x42_sub_scores", """
+    WITH x AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w, [lower(p_brand || ' made of ' || string_split(p_name, ' ')[1]), lower(CASE WHEN p_size % 3 = 0 THEN p_name || ' in steel' ELSE p_type END)] AS texts, p_size FROM part),
+    y AS (SELECT *, list_filter(list_distinct(w), lambda v: len(v) >= 3) AS terms FROM x)
+    SELECT p_partkey, CAST(CASE WHEN len(terms) = 0 THEN 0.0 ELSE round_even(list_max(list_transform(texts, lambda t: len(list_filter(terms, lambda v: contains(t, v))))) / len(terms), 2) END AS DOUBLE) AS terms,
+    CAST(CASE WHEN contains(array_to_string(texts, '|'), 'steel') THEN CASE WHEN contains(array_to_string(texts, '|'), 'economy') THEN 1.0 ELSE 0.5 END WHEN contains(array_to_string(texts, '|'), 'economy') THEN 0.5 ELSE 0.0 END AS DOUBLE) AS technical,
+    round_even(CASE p_size % 4 WHEN 0 THEN 1 / (1 + exp(-(p_size / 10.0))) WHEN 1 THEN least(1, p_size / 1000.0 * 20) WHEN 2 THEN greatest(0, least(1, p_size / 40.0)) END, 6) AS semantic FROM y""")
+def _(t):
+    s, words = F.col("p_size"), F.split("p_name", " ")
+    texts = F.array(F.concat("p_brand", F.lit(" made of "), F.element_at(words, 1)), F.when(s % 3 == 0, F.concat("p_name", F.lit(" in steel"))).otherwise(F.col("p_type")))
+    semantic = D.semantic_score(F.when(s % 4 == 0, s / 10.0), F.when(s % 4 == 1, s / 1000.0), F.when(s % 4 == 2, s / 40.0))
+    facts = F.array(F.lit("Steel"), F.lit(None).cast("string"), F.lit("economy"), F.lit(""))
+    return t("part").select("p_partkey", D.term_score(F.col("p_name"), texts).alias("terms"), D.technical_score(facts, texts).alias("technical"), F.bround(semantic, 6).alias("semantic"))
+
+
+_SCOPE = """CASE p_size % 4 WHEN 0 THEN 'This standard covers ' || string_split(p_name, ' ')[2] || 's for homes. It does not apply to industrial use.' WHEN 1 THEN 'Scope excludes: commercial kitchens; other matters' WHEN 2 THEN 'General text about ' || p_name ELSE 'Nothing of note' END"""
+
+
+@query("d01_applicability", f"""
+    WITH x AS (SELECT p_partkey, p_size, CASE WHEN p_size % 9 = 0 THEN 'SUPERSEDED' END AS temporal, CASE WHEN p_size % 10 <> 0 THEN p_name END AS name, CASE p_size % 3 WHEN 0 THEN 'industrial' WHEN 1 THEN 'commercial kitchens' ELSE '' END AS env, lower(p_type || ' domestic goods') AS title, lower({_SCOPE}) AS scope, p_partkey % 100 / 100.0 AS score FROM part),
+    y AS (SELECT *, title || ' ' || scope AS text, list_filter(regexp_extract_all(lower(coalesce(name, '')), '\\b[a-z]{{3,}}\\b'), lambda w: NOT list_contains({_sql_list(D.SCOPE_STOP)}, w)) AS words FROM x),
+    z AS (SELECT *, (p_size % 4 = 0 AND env = 'industrial') OR (p_size % 4 = 1 AND env = 'commercial kitchens') AS excluded,
+      len(list_filter(words, lambda w: contains(title, regexp_replace(w, 's+$', '')) OR (p_size % 4 = 0 AND contains(regexp_extract(scope, 'covers ([^.;]+)', 1), regexp_replace(w, 's+$', ''))))) > 0 AS noun, env = 'industrial' AND NOT contains(text, 'industrial') AS clash FROM y)
+    SELECT p_partkey, CASE WHEN temporal IS NOT NULL THEN 'VERIFICATION_REQUIRED' WHEN name IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN excluded THEN 'NOT_APPLICABLE' WHEN noun AND NOT clash AND score >= 0.70 THEN 'APPLICABLE'
+      WHEN score >= 0.45 OR len(list_filter(words, lambda w: len(w) > 3 AND contains(text, w))) > 0 THEN 'POTENTIALLY_APPLICABLE' ELSE 'INSUFFICIENT_EVIDENCE' END AS status,
+    CAST(CASE WHEN temporal IS NOT NULL THEN 0.40 WHEN name IS NULL THEN 0.20 WHEN excluded THEN 0.90 WHEN noun AND NOT clash AND score >= 0.70 THEN greatest(0.75, score) ELSE score END AS DOUBLE) AS confidence FROM z""")
+def _(t):
+    s, words = F.col("p_size"), F.split("p_name", " ")
+    scope = (
+        F.when(s % 4 == 0, F.concat(F.lit("This standard covers "), F.element_at(words, 2), F.lit("s for homes. It does not apply to industrial use."))).when(s % 4 == 1, "Scope excludes: commercial kitchens; other matters")
+        .when(s % 4 == 2, F.concat(F.lit("General text about "), "p_name")).otherwise("Nothing of note")
+    )
+    use = F.when(s % 3 == 0, "industrial").when(s % 3 == 1, "commercial kitchens").otherwise("")
+    a = D.applicability(F.when(s % 9 == 0, "SUPERSEDED"), F.when(s % 10 != 0, F.col("p_name")), F.lit(None).cast("string"), F.when(s % 10 != 0, use), F.concat("p_type", F.lit(" domestic goods")), scope, F.col("p_partkey") % 100 / 100.0)
+    return t("part").select("p_partkey", a.alias("a")).select("p_partkey", "a.*")
+
+
+@query("d03_scheme", """
+    WITH x AS (SELECT p_partkey, p_size, CASE WHEN p_size % 7 = 0 THEN 'IS 1417' WHEN p_size % 7 = 1 THEN 'IS 269' WHEN p_size % 7 = 2 THEN 'IS 13252' ELSE '' END AS std, lower(p_name || CASE p_size % 5 WHEN 0 THEN ' led driver' WHEN 1 THEN ' solar cable' WHEN 2 THEN ' in silver' WHEN 3 THEN ' imported goods' ELSE '' END) AS d FROM part),
+    y AS (SELECT *, lower(std) || ' ' || d AS text, p_size % 2 = 0 AS must, p_size % 11 = 0 OR contains(d, 'imported') AS abroad, contains(std, '1417') OR contains(d, 'silver') AS gold FROM x)
+    SELECT p_partkey, CASE WHEN std = '' AND p_size % 3 = 0 THEN 'SCHEME-CLARIFICATION-REQUIRED' WHEN gold THEN 'SCHEME-IV' WHEN must AND (contains(text, 'led driver') OR contains(text, 'solar') OR contains(text, '13252')) AND NOT contains(text, 'cable') THEN 'SCHEME-II'
+      WHEN must AND abroad THEN 'SCHEME-X' WHEN must THEN 'SCHEME-I' ELSE 'SCHEME-I-VOLUNTARY' END AS scheme FROM y""")
+def _(t):
+    s, k, m = F.col("p_size"), F.col("p_size") % 5, F.col("p_size") % 7
+    product = F.concat("p_name", F.when(k == 0, " led driver").when(k == 1, " solar cable").when(k == 2, " in silver").when(k == 3, " imported goods").otherwise(""))
+    std = F.when(m == 0, "IS 1417").when(m == 1, "IS 269").when(m == 2, "IS 13252").otherwise("")
+    none = F.lit(None).cast("string")
+    return t("part").select("p_partkey", D.scheme(std, product, none, none, s % 2 == 0, F.when(s % 11 == 0, "Overseas"), (std != "") | (s % 3 != 0)).alias("scheme"))
+
+
+@query("d04_checklist", """
+    WITH x AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'SCHEME-IV' WHEN 1 THEN 'Scheme II' WHEN 2 THEN 'fmcs' WHEN 3 THEN 'SCHEME-X' WHEN 4 THEN 'SCHEME-I' END AS code, p_name || CASE p_size % 5 WHEN 0 THEN ' plug' WHEN 1 THEN ' of gold' WHEN 2 THEN ' laptop' WHEN 3 THEN ' for export to india' ELSE '' END AS d FROM part),
+    y AS (SELECT *, lower(d || ' ' || coalesce(code, '')) AS text, upper(coalesce(code, '')) AS up FROM x),
+    z AS (SELECT *, contains(up, 'IV') OR contains(text, 'gold') AS gold, (contains(up, 'II') OR contains(text, 'laptop')) AND NOT contains(text, 'plug') AS crs, contains(up, 'X') OR contains(up, 'FMCS') OR contains(text, 'export to india') AS abroad FROM y),
+    k AS (SELECT p_partkey, CASE WHEN gold THEN 'SCHEME-IV' WHEN crs THEN 'SCHEME-II' WHEN abroad THEN 'SCHEME-X' ELSE 'SCHEME-I' END AS kind FROM z)
+    SELECT p_partkey, kind, CASE WHEN kind IN ('SCHEME-IV', 'SCHEME-II') THEN 4 ELSE 5 END AS steps FROM k""")
+def _(t):
+    k, j = F.col("p_size") % 6, F.col("p_size") % 5
+    code = F.when(k == 0, "SCHEME-IV").when(k == 1, "Scheme II").when(k == 2, "fmcs").when(k == 3, "SCHEME-X").when(k == 4, "SCHEME-I")
+    product = F.concat("p_name", F.when(j == 0, " plug").when(j == 1, " of gold").when(j == 2, " laptop").when(j == 3, " for export to india").otherwise(""))
+    kind = D.checklist_kind(F.lit(None).cast("string"), F.lit(None).cast("string"), product, code)
+    rows = D.checklist(t("part").withColumn("kind", kind), "p_partkey", F.col("kind")).groupBy("p_partkey").agg(F.count("*").cast("int").alias("steps"))
+    return t("part").select("p_partkey", kind.alias("kind")).join(rows, "p_partkey")
 
 
 @query("d05_justification", "SELECT p_partkey, 'IS ' || p_partkey || ' is ' || CASE WHEN p_size > 25 THEN 'mandatory' ELSE 'voluntary' END || ' for ' || p_name AS reason FROM part")

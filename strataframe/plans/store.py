@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataframe.operators import joins
 from strataframe.operators import store as S
-from strataframe.plans import ORACLES, query
+from strataframe.plans import query
 
 
 @query("f01_point_lookup", "SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 17")
@@ -137,14 +137,7 @@ def _(t):
 
 @query("j02_derived_key_join", """
     SELECT p_partkey, min(o_orderkey) AS o_orderkey FROM part JOIN orders ON p_partkey % 100 = o_orderkey % 100
-    AND (p_size % 5 = 0 OR o_custkey % 5 = 0 OR p_size % 5 = o_custkey % 5) WHERE o_orderkey < 1000 GROUP BY p_partkey""")
-def _(t):
-    p = t("part").select("p_partkey", (F.col("p_partkey") % 100).alias("base"), F.nullif(F.col("p_size") % 5, F.lit(0)).cast("long").alias("part_no"))
-    o = t("orders").filter("o_orderkey < 1000").select("o_orderkey", (F.col("o_orderkey") % 100).alias("o_base"), F.nullif(F.col("o_custkey") % 5, F.lit(0)).alias("o_part"))
-    return joins.wildcard_part(p, o, "base", "o_base", "part_no", "o_part").groupBy("p_partkey").agg(F.min("o_orderkey").alias("o_orderkey"))
-
-
-@query("j02_derived_key_join_whole", ORACLES["j02_derived_key_join"].replace(" WHERE o_orderkey < 1000", ""))
+    AND (p_size % 5 = 0 OR o_custkey % 5 = 0 OR p_size % 5 = o_custkey % 5) GROUP BY p_partkey""")
 def _(t):
     p = t("part").select("p_partkey", (F.col("p_partkey") % 100).alias("base"), F.nullif(F.col("p_size") % 5, F.lit(0)).cast("long").alias("part_no"))
     o = t("orders").select("o_orderkey", (F.col("o_orderkey") % 100).alias("o_base"), F.nullif(F.col("o_custkey") % 5, F.lit(0)).alias("o_part"))
@@ -170,15 +163,8 @@ def _(t):
 
 
 @query("j06_parent_clause", """
-    WITH c AS (SELECT l_orderkey, l_orderkey || '.' || l_linenumber AS num FROM lineitem WHERE l_orderkey < 2000 UNION ALL SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 2 = 0)
+    WITH c AS (SELECT l_orderkey, l_orderkey || '.' || l_linenumber AS num FROM lineitem UNION ALL SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 2 = 0)
     SELECT c.num, p.num AS parent FROM c LEFT JOIN c p ON contains(c.num, '.') AND p.num = regexp_replace(c.num, '\\.[^.]+$', '') AND p.l_orderkey = c.l_orderkey""")
-def _(t):
-    a = t("lineitem").filter("l_orderkey < 2000").select("l_orderkey", F.concat_ws(".", "l_orderkey", "l_linenumber").alias("num"))
-    b = t("orders").filter("o_orderkey < 2000 AND o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderkey").cast("string").alias("num"))
-    return joins.with_parent(a.unionAll(b), "l_orderkey", "num").select("num", "parent")
-
-
-@query("j06_parent_clause_whole", ORACLES["j06_parent_clause"].replace(" WHERE l_orderkey < 2000", "").replace("o_orderkey < 2000 AND ", ""))
 def _(t):
     a = t("lineitem").select("l_orderkey", F.concat_ws(".", "l_orderkey", "l_linenumber").alias("num"))
     b = t("orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderkey").cast("string").alias("num"))

@@ -24,15 +24,21 @@ def _(t):
 
 
 @query("t02_currentness", f"""
-    WITH {_V}, q AS (SELECT *, CASE WHEN std % 4 = 0 THEN 1995 END AS ask, std % 4 = 1 AS hist FROM s),
-    g AS (SELECT std, count(*) AS n, any_value(ask) AS ask, bool_or(hist) AS hist, bool_or(y = ask) AS has_ask, arg_max(state, (o_orderdate, ver)) FILTER (y = ask) AS ask_state, arg_max(ver, (o_orderdate, ver)) FILTER (y = ask) AS ask_ver,
-      bool_or(state IN ('superseded', 'withdrawn')) AS has_old, arg_max(ver, (o_orderdate, ver)) FILTER (state IN ('superseded', 'withdrawn')) AS old_ver,
-      count(*) FILTER (state = 'current_supported') AS n_cur, arg_max(ver, (o_orderdate, ver)) FILTER (state = 'current_supported') AS cur_ver FROM q GROUP BY std)
-    SELECT std, CASE WHEN has_ask AND ask_state = 'superseded' THEN 'SUPERSEDED' WHEN has_ask AND ask_state = 'withdrawn' THEN 'WITHDRAWN' WHEN has_ask THEN 'HISTORICAL' WHEN hist AND has_old THEN 'HISTORICAL' WHEN n_cur > 1 THEN 'UNCERTAIN'
-      WHEN n_cur = 1 AND has_old THEN 'CURRENT_SUPPORTED' WHEN n = 1 AND has_old THEN 'WITHDRAWN' WHEN n = 1 AND n_cur = 1 THEN 'CURRENT_SUPPORTED' ELSE 'UNCERTAIN' END AS resolution,
-      CASE WHEN has_ask THEN ask_ver WHEN hist AND has_old THEN old_ver WHEN n_cur = 1 AND (has_old OR n = 1) THEN cur_ver END AS resolved FROM g""")
+    WITH {_V}, q AS (SELECT *, CASE WHEN std % 4 = 0 THEN 1995 END AS ask, std % 4 = 1 AS hist, std % 10 = 3 AND ver % 2 = 0 AS amd, ver % 3 = 1 AS tgt, CASE WHEN ver % 11 = 0 THEN 10000000 - ver END AS src, CASE WHEN withdrawn IS NOT NULL THEN 'withdrawn' WHEN ver % 2 = 0 THEN 'effective' ELSE 'published' END AS stt,
+      lag(ver) OVER (PARTITION BY std ORDER BY o_orderdate, ver) AS bef FROM s),
+    g AS (SELECT std, count(*) AS n, arg_min(ver, (o_orderdate, ver)) FILTER (amd) AS amd_ver, bool_or(hist) AS hist, arg_min(state, (o_orderdate, ver)) FILTER (y = ask) AS ask_state, arg_min(ver, (o_orderdate, ver)) FILTER (y = ask) AS ask_ver,
+      arg_max(ver, (o_orderdate, ver)) FILTER (state IN ('superseded', 'withdrawn')) AS old_ver, arg_max(ver, (o_orderdate, ver)) FILTER (tgt) AS rep_ver, first(bef ORDER BY o_orderdate DESC, ver DESC) AS bef, count(*) FILTER (state = 'current_supported') AS n_cur,
+      arg_min(ver, (src, o_orderdate, ver)) FILTER (src IS NOT NULL AND stt IN ('effective', 'published') AND state <> 'withdrawn') AS new_ver, arg_max(ver, (o_orderdate, ver)) AS only_ver, arg_max(stt, (o_orderdate, ver)) AS only_stt FROM q GROUP BY std)
+    SELECT std, CASE WHEN amd_ver IS NOT NULL THEN 'AMENDED' WHEN ask_state = 'superseded' THEN 'SUPERSEDED' WHEN ask_state = 'withdrawn' THEN 'WITHDRAWN' WHEN ask_ver IS NOT NULL THEN 'HISTORICAL' WHEN hist AND (old_ver IS NOT NULL OR rep_ver IS NOT NULL OR n > 1) THEN 'HISTORICAL'
+      WHEN n_cur > 1 THEN 'TEMPORALLY_UNCERTAIN' WHEN new_ver IS NOT NULL THEN 'CURRENT_SUPPORTED' WHEN n = 1 AND only_stt = 'withdrawn' THEN 'WITHDRAWN' WHEN n = 1 AND only_stt = 'effective' AND std % 2 = 0 THEN 'CURRENT_SUPPORTED' ELSE 'TEMPORALLY_UNCERTAIN' END AS resolution,
+      CASE WHEN amd_ver IS NOT NULL THEN amd_ver WHEN ask_ver IS NOT NULL THEN ask_ver WHEN hist AND old_ver IS NOT NULL THEN old_ver WHEN hist AND rep_ver IS NOT NULL THEN rep_ver WHEN hist AND n > 1 THEN bef WHEN n_cur > 1 THEN NULL WHEN new_ver IS NOT NULL THEN new_ver WHEN n = 1 THEN only_ver END AS resolved FROM g""")
 def _(t):
-    return temporal.currentness(_versions(t), "std", "ver", ["o_orderdate"], "state", F.col("y"), F.when(F.col("std") % 4 == 0, 1995), F.col("std") % 4 == 1)
+    v = F.col("ver")
+    status = F.when(F.col("state") == "withdrawn", "withdrawn").when(v % 2 == 0, "effective").otherwise("published")
+    return temporal.currentness(
+        _versions(t), "std", "ver", ["o_orderdate"], "state", F.col("y"), F.when(F.col("std") % 4 == 0, 1995), F.col("std") % 4 == 1,
+        amended=(F.col("std") % 10 == 3) & (v % 2 == 0), status=status, target=v % 3 == 1, source=F.when(v % 11 == 0, 10000000 - v), confirmed=F.col("std") % 2 == 0,
+    )
 
 
 @query("t03_conflicts", f"WITH {_V} SELECT std, list_sort(list(ver)) AS versions FROM s WHERE state = 'current_supported' GROUP BY 1 HAVING count(*) > 1")

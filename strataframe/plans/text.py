@@ -79,15 +79,6 @@ def _(t):
 
 
 @query("a27_token_coverage", """
-    WITH x AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z\\s]', '', 'g')), '\\s+'), lambda w: w <> '')) AS a,
-    list_distinct(list_filter(string_split_regex(lower(substring(regexp_replace(text, '[^A-Za-z\\s]', '', 'g'), 1, 500)), '\\s+'), lambda w: w <> '')) AS b FROM documents)
-    SELECT doc_id, CASE WHEN len(a) = 0 THEN 1.0 ELSE round_even(len(list_intersect(a, b)) / len(a), 6) END AS coverage FROM x""")
-def _(t):
-    plain = F.regexp_replace("text", r"[^A-Za-z\s]", "")
-    return t("documents").select("doc_id", C.token_coverage(plain, F.substring(plain, 1, 500)).alias("coverage"))
-
-
-@query("a27_token_coverage_whole", """
     WITH p AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z\\s]', '', 'g') AS t FROM documents),
     c AS (SELECT doc_id, t, array_to_string(list_transform(range(0, length(t), 500), lambda i: substring(t, i + 1, 500)), ' ') AS chunks FROM p),
     x AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(t), '\\s+'), lambda w: w <> '')) AS a,
@@ -193,19 +184,31 @@ def _(t):
     return t("part").select("p_partkey", X.normalize_query(F.concat(F.lit("is-"), "p_partkey", F.lit(":"), 2000 + F.col("p_size"), F.lit("  clause"), "p_size", F.lit(".1 AMD 2 "))).alias("q"))
 
 
-@query("x27_units", "SELECT p_partkey, round_even(CAST(p_size AS DOUBLE) * CASE p_partkey % 4 WHEN 0 THEN 10.0 WHEN 1 THEN 25.4 WHEN 2 THEN 1000.0 ELSE 1.0 END, 6) AS mm FROM part")
+_UNITS = ", ".join(f"('{u}', '{c}', {f!r}::DOUBLE, {o!r}::DOUBLE, {i})" for i, (u, c, f, o, _) in enumerate(U.UNITS))
+
+
+@query("x27_units", f"""
+    WITH u(unit, canonical, f, o, i) AS (VALUES {_UNITS}) SELECT p_partkey, round_even(CASE WHEN f IS NULL THEN p_size ELSE p_size * f + o END, 6) AS value, coalesce(canonical, 'furlong') AS unit
+    FROM part LEFT JOIN u ON i = p_partkey % {len(U.UNITS) + 1}""")
 def _(t):
-    unit = F.element_at(F.array(F.lit("cm"), F.lit("in"), F.lit("m"), F.lit("mm")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return t("part").select("p_partkey", F.bround(U.canonical_value(F.col("p_size").cast("double"), unit), 6).alias("mm"))
+    names = F.array(*[F.lit(f" {u[0].upper().replace(' ', '_')} " if i % 2 else u[0]) for i, u in enumerate(U.UNITS)], F.lit("furlong"))
+    unit = F.element_at(names, (F.col("p_partkey") % (len(U.UNITS) + 1) + 1).cast("int"))
+    return t("part").select("p_partkey", F.bround(U.canonical_value(F.col("p_size").cast("double"), unit), 6).alias("value"), U.canonical_unit(unit).alias("unit"))
 
 
 @query("x28_parameter", """
-    SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS value, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size - 2 AS DOUBLE) WHEN 1 THEN CAST(p_size AS DOUBLE) END AS lower,
-    CASE p_partkey % 3 WHEN 0 THEN CAST(p_size + 2 AS DOUBLE) WHEN 1 THEN CAST(p_size + 5 AS DOUBLE) END AS upper, CASE p_partkey % 3 WHEN 0 THEN 'EQ' WHEN 1 THEN 'RANGE' ELSE 'LE' END AS op, 'mm' AS unit FROM part""")
+    WITH x AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_partkey % 7 AS k FROM part)
+    SELECT p_partkey, CASE WHEN k IN (0, 2, 4, 5) THEN 'wall size' WHEN k = 6 THEN 'finish' ELSE 'parameter' END AS name, CASE WHEN k NOT IN (1, 3, 6) THEN s END AS value, CASE k WHEN 0 THEN s - 2 WHEN 1 THEN s WHEN 3 THEN s WHEN 4 THEN s END AS lower,
+    CASE k WHEN 0 THEN s + 2 WHEN 1 THEN s + 5 WHEN 3 THEN s + 5 WHEN 5 THEN s END AS upper, CASE k WHEN 0 THEN s WHEN 2 THEN s END AS nominal, CASE k WHEN 0 THEN 'EQ' WHEN 1 THEN 'RANGE' WHEN 2 THEN 'EQ' WHEN 3 THEN 'RANGE' WHEN 4 THEN 'GE' WHEN 5 THEN 'LE' END AS op,
+    CASE WHEN k < 6 THEN 'mm' END AS unit, CASE k WHEN 6 THEN 'polished brass' END AS text FROM x""")
 def _(t):
-    s = F.col("p_size").cast("string")
-    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(s, F.lit(" ± 2 mm"))).when(F.col("p_partkey") % 3 == 1, F.concat(s, F.lit(" - "), (F.col("p_size") + 5).cast("string"), F.lit(" mm"))).otherwise(F.concat(F.lit("size not exceed "), s, F.lit(" mm")))
-    return t("part").select("p_partkey", U.parameter(text).alias("p")).select("p_partkey", "p.value", "p.lower", "p.upper", "p.op", "p.unit")
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 7
+    five = (F.col("p_size") + 5).cast("string")
+    text = (
+        F.when(k == 0, F.concat(F.lit("1) wall size: "), s, F.lit(" ± 2 mm"))).when(k == 1, F.concat(s, F.lit(" - "), five, F.lit(" mm"))).when(k == 2, F.concat(F.lit("- wall size = "), s, F.lit(" mm")))
+        .when(k == 3, F.concat(F.lit("between "), s, F.lit(" and "), five, F.lit(" mm"))).when(k == 4, F.concat(F.lit("wall size: >= "), s, F.lit("mm"))).when(k == 5, F.concat(F.lit("(2) wall size: < "), s, F.lit(" mm"))).otherwise("polished brass")
+    )
+    return t("part").select("p_partkey", U.parameter(text, F.when(k == 6, "finish")).alias("p")).select("p_partkey", "p.name", "p.value", "p.lower", "p.upper", "p.nominal", "p.op", "p.unit", "p.text")
 
 
 @query("x30_compare_param", """
@@ -236,9 +239,14 @@ def _(t):
     return t("part").select("p_partkey", (F.size(n) > 0).alias("found"), F.size(n).cast("long").alias("n"))
 
 
-@query("x37_stem", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'purchase' ELSE event_type END AS stem FROM events")
+_STEM = " ".join(f"WHEN len(w) > {len(x) + 2} AND ends_with(w, '{x}') THEN w[:-{len(x) + 1}]" for x in X.SUFFIXES)
+
+
+@query("x37_stem", f"""
+    WITH x AS (SELECT event_id, event_type || ['ation', 'ations', 'ment', 'ments', 'ing', 'tions', 'ies', 'ied', 'ed', 'ly', 'es', 's', 'er', 'ings', ''][1 + event_id % 15] AS w FROM events) SELECT event_id, CASE {_STEM} ELSE w END AS stem FROM x""")
 def _(t):
-    return t("events").select("event_id", X.stem(F.concat("event_type", F.lit("ing"))).alias("stem"))
+    endings = F.array(*[F.lit(x) for x in ("ation", "ations", "ment", "ments", "ing", "tions", "ies", "ied", "ed", "ly", "es", "s", "er", "ings", "")])
+    return t("events").select("event_id", X.stem(F.concat("event_type", F.element_at(endings, (1 + F.col("event_id") % 15).cast("int")))).alias("stem"))
 
 
 @query("x39_sigmoid", "SELECT event_id, round_even(1 / (1 + exp(-greatest(-10, least(10, value - 50)))), 8) AS s FROM events")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -30,7 +31,7 @@ def test_text_edge_cases(spark):
     assert one(spark, X.standard_number(c), t="see is 129 (part 2)") == "IS 129-2"
     assert one(spark, X.standard_number(c), t="  other   text ") == "other text"
     assert one(spark, X.clause_number(c), t="no number") is None
-    assert one(spark, X.tokens(c), t=" Hello, (world)-wide! -- ") == ["hello", "world)-wide"]
+    assert one(spark, X.tokens(c), t=" Hello, (world)-wide! -- ") == ["hello", "world)-wide", "--"]  # hyphens stay
     assert one(spark, X.table_cells(c), t="| a  b | | c |") == ["a b", "", "c"]
     assert one(spark, X.without_repeats(F.split(c, ",")), t="a,A!,b,b,a") == ["a", "b", "a"]
     assert one(spark, X.numbers(c), t="२५ and 25 or 3.5, x9") == ["25", "3.5"]
@@ -52,8 +53,8 @@ def test_units_and_comparison(spark):
     assert state(None, None, "mm", "LE", None, 5, None, "mm") == "MISSING"
     assert state(273.15, None, "K", "EQ", None, None, 0, "°C") == "MATCH"
     assert state(36, 1, "mm", "RANGE", 30, 36.5, None, "mm") == "PARTIAL_MATCH"
-    p = one(spark, U.parameter(F.col("t")), t="rated 230 V ± 10 V")
-    assert (p.value, p.lower, p.upper, p.op, p.unit) == (230, 220, 240, "EQ", "V")
+    p = one(spark, U.parameter(F.col("t")), t="rated: 230 ± 10 V")
+    assert (p.name, p.value, p.lower, p.upper, p.op, p.unit) == ("rated", 230, 220, 240, "EQ", "V")
     assert one(spark, U.parameter(F.col("t")), t="no quantity") is None
 
 
@@ -81,8 +82,34 @@ def test_greedy_folds_match_brute_force(spark):
     assert got == {d: merge_brute(s, 10, 25) for d, s in docs.items()}
     text = "\n".join("y" * rng.randint(0, 30) for _ in range(50))
     packed = one(spark, C.pack_lines(F.col("t"), 40), t=text)
-    assert "\n".join(packed) == text and all(len(p) <= 40 for p in packed)
-    assert all(len(a) + 1 + len(b.split("\n")[0]) > 40 for a, b in zip(packed, packed[1:]))
+    assert [x for x in "\n".join(packed).split("\n") if x] == [x for x in text.split("\n") if x] and all(len(p) <= 40 for p in packed)
+    assert all(len(a) + 1 + len(b.split("\n")[0]) >= 39 or not b for a, b in zip(packed, packed[1:]))
+
+
+def test_tables_stay_whole_or_repeat_their_header(spark):
+    table = ["| a | b |", "| - | - |", *(f"| {i} | x |" for i in range(8))]
+    pack = lambda lines, most: one(spark, C.pack_lines(F.col("t"), most), t="\n".join(lines))
+    assert pack(["short"], 40) == ["short"]
+    whole = pack(["text " * 8, *table, "after"], 120)
+    assert whole == [("text " * 8).strip(), "\n".join([*table, "after"])]  # kept in one piece, the text before goes first
+    cut = pack(["before", *table, "after"], 50)
+    assert cut[0] == "before" and cut[-1] == "after"
+    assert all(p.split("\n")[:2] == table[:2] and len(p) <= 50 for p in cut[1:-1])
+    assert [r for p in cut[1:-1] for r in p.split("\n")[2:]] == table[2:]
+    assert pack(["| only a very wide header row without any others |" * 2, "x"], 40)[0].startswith("| only")
+    df = spark.createDataFrame([(None,), ("",)], "t string")
+    assert [r[0] for r in df.select(C.pack_lines(F.col("t"), 5)).collect()] == [None, [""]]
+
+
+def test_folds_are_linear(spark):
+    began = time.perf_counter()
+    long = "\n".join(f"line {i}" for i in range(200_000))
+    assert len(one(spark, C.pack_lines(F.col("t"), 40), t=long)) > 40_000
+    df = spark.range(60_000).selectExpr("1 doc", "id section", "'h' heading", "repeat('x', 5) body")
+    assert C.merge_sections(df, "doc", 10, 25).selectExpr("size(sections)").first()[0] == 30_000
+    rows = spark.range(100_000).selectExpr("id k", "1L u", "timestamp_seconds(id) ts")
+    assert ST.accepted(rows, "u", "ts", "k", 5, 100).filter("accepted").count() == 5_000
+    assert time.perf_counter() - began < 60
 
 
 def test_heading_paths_forget_deeper_levels(spark):
@@ -125,12 +152,56 @@ def test_knn_is_exact_and_handles_ties_and_nulls(spark):
     assert R.knn(df, "id", "v", q.filter("false"), "q", "qv", 3).count() == 0
 
 
+def test_knn_takes_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "TILE", 3)
+    monkeypatch.setattr(R, "ROWS", 5)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 4)).round(1)
+    v[5:9] = v[4]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    got = {}
+    for r in R.knn(df, "id", "v", df.withColumnsRenamed({"id": "q", "v": "qv"}), "q", "qv", 4).collect():
+        got.setdefault(r.q, {})[r.rank] = r.id
+    for i, x in enumerate(v):
+        d = ((v - x) ** 2).sum(1)
+        assert [got[i][k] for k in range(1, 5)] == sorted(range(40), key=lambda j: (round(d[j], 9), j))[:4]
+
+
+def test_models_of_the_caller(spark):
+    df = spark.createDataFrame([("ab",), (None,), ("c",)], "t string")
+    got = [r.embedding for r in R.embed(df, "t", lambda texts: [[len(t), 1.0] for t in texts], dim=2).collect()]
+    assert got == [[2.0, 1.0], None, [1.0, 1.0]]
+    assert [r.reranker for r in R.rescore(df.withColumn("q", F.lit("xy")), "q", "t", lambda pairs: [len(a) + len(b) for a, b in pairs]).collect()] == [4.0, 2.0, 3.0]
+
+    def moody(p):
+        if p == "c":
+            raise RuntimeError("busy")
+        return p.upper()
+
+    assert [r.reply for r in R.rewritten(df, F.col("t"), moody, "reply", pause=0.0).collect()] == ["AB", None, None]
+
+
+def test_retrieval_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, "IS 10 red pump"), (2, "red pump"), (3, "red pump"), (4, "IS 11 red pump valve"), (5, "blue")], "id long, text string")
+    q = spark.createDataFrame([(0, "is-10   red pump"), (1, "nothing here")], "q long, ask string")
+    dense = spark.createDataFrame([(0, 5, 1), (0, 3, 2), (1, 4, 1)], "q long, id long, rank long")
+    got = R.retrieve(docs, "id", "text", q, "q", "ask", dense, k=3).orderBy("q", "rank").collect()
+    mine = [r for r in got if r.q == 0]
+    named = next(r for r in mine if r.id == 1)  # its standard was asked for
+    assert named.methods == ["bm25", "identifier"] and abs(named.boosted - named.fusion - 0.2 * max(r.fusion for r in mine)) < 1e-7
+    assert {r.id for r in mine} == {1, 3, 5} and [r.rank for r in mine] == [1, 2, 3]  # 2 has the content of 3
+    assert [(r.q, r.id) for r in got if r.q == 1] == [(1, 4)]
+
+
 def test_no_cross_products_in_fuzzy_joins(spark):
     a = spark.createDataFrame([(1, ["x", "y"])], "a long, w array<string>")
     b = spark.createDataFrame([(2, ["y", "z"])], "b long, u array<string>")
-    from strataframe.operators.joins import either_end, token_overlap
+    from strataframe.operators.joins import either_end, match_catalogue
 
-    for df in (token_overlap(a, "a", "w", b, "b", "u"), either_end(a, "a", spark.createDataFrame([(1, 2)], "s long, t long"), "s", "t")):
+    texts = spark.createDataFrame([(1, "a pump")], "a long, t string")
+    rows = b.selectExpr("b", "u", "'pumps' title", "'x' kind")
+    for df in (match_catalogue(texts, "a", "t", rows, "b", "u", "title", "kind"), either_end(a, "a", spark.createDataFrame([(1, 2)], "s long, t long"), "s", "t")):
         plan = df._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
@@ -152,11 +223,7 @@ def test_upserts(spark):
     assert {r.s for r in S.last_per_key(twice, "k", "at").collect()} == {"z"}
 
 
-def test_intents_and_decisions(spark):
-    got = [one(spark, D.intent(F.col("t"))["intent"], t=t) for t in ("", "cement", "which labs test IS 269", "compare IS 1 and IS 2", "IS 269", "clause 4 of IS 269", "tell me about cement")]
-    assert got == ["AMBIGUOUS", "AMBIGUOUS", "LABORATORY_SEARCH", "COMPARISON", "STANDARD_LOOKUP", "CLAUSE", "GENERAL"]
-    r = lambda *a: one(spark, D.readiness(*[F.lit(x).cast("double") if not isinstance(x, bool) else F.lit(x) for x in a]))
-    assert r(1.0, 1.0, 1.0, False, False, False) == 1.0 and r(None, None, None, True, True, True) == 0.0
+def test_claims_are_held_against_numbers(spark):
     assert one(spark, D.claim_support(F.lit("Thickness shall be 5 mm"), F.lit("the thickness shall be 6 mm"))) == "UNSUPPORTED"
 
 
