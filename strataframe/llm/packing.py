@@ -7,8 +7,11 @@ family and the rounding family) bound the number of bins a partition needs
 from below. A partition that meets its bound is certified and keeps all but
 its poorly filled bins; a partition with a gap gives up the documents of all
 bins that waste more than a few tokens. What was given up is dealt anew over
-fewer partitions and packed again, until one partition is left or ``rounds``
-are over. Only lengths move between rounds, never texts.
+fewer partitions and packed again, until nothing is given up, one partition is
+left, or a round frees less than a fifth of what it was given: then the gap no
+longer shrinks. Every piece carries the certificate of the packing it settled
+in: the bins that its partition used and the bound below which no packing of
+the same pieces can go. Only lengths move between rounds, never texts.
 
 Defined cases: null or empty text is a document of the end id alone; a null
 doc_id is packed like any other; repeated rows are packed each; a document of
@@ -32,7 +35,8 @@ from strataframe.llm._tokens import encoder
 CAPACITY = 4096
 #: Pieces a partition packs at once.
 PER_PARTITION = 40_000
-ROUNDS = 5
+#: Share of a round's pieces beyond which what is left is not packed again.
+STALLED = 0.8
 #: Chunks a worker remembers; it keeps them while other stages run.
 CACHE = 400_000
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -103,7 +107,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = pa.schema([*_PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("settled", pa.bool_())])
+_PACKED = pa.schema([*_PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bins", pa.int64()), ("bound", pa.int64()), ("settled", pa.bool_())])
 
 
 def _pack_round(items: DataFrame, parts: int, number: int, last: bool, capacity: int) -> DataFrame:
@@ -114,33 +118,29 @@ def _pack_round(items: DataFrame, parts: int, number: int, last: bool, capacity:
         length = t.column("length").to_numpy()
         own, offset, used = best_fit(length, capacity)
         waste = capacity - np.bincount(own, length, minlength=used).astype(np.int64)
-        gap = used - lower_bound(length, capacity)
-        settled = np.ones(used, bool) if last else waste <= (capacity // 256 if gap else capacity // 16)
+        bound = lower_bound(length, capacity)
+        settled = np.ones(used, bool) if last else waste <= (capacity // 256 if used > bound else capacity // 16)
         part = t.column("part")[0].as_py()
-        sequence = (number << 58) + (part << 26) + own
-        return pa.table([*(t.column(f.name) for f in _PIECE), pa.array(sequence), pa.array(offset), pa.array(settled[own])], schema=_PACKED)
+        sequence = (number << 56) + (part << 26) + own
+        same = lambda v: pa.array(np.full(len(own), v))
+        return pa.table([*(t.column(f.name) for f in _PIECE), pa.array(sequence), pa.array(offset), same(used), same(bound), pa.array(settled[own])], schema=_PACKED)
 
     dealt = items.select(*_PIECE.names, F.pmod(F.xxhash64(F.lit(number), "doc_id", "piece", F.monotonically_increasing_id()), F.lit(parts)).alias("part"))
-    return dealt.groupBy("part").applyInArrow(run, _PIECE_DDL + ", sequence_id long, offset long, settled boolean")
+    return dealt.groupBy("part").applyInArrow(run, _PIECE_DDL + ", sequence_id long, offset long, bins long, bound long, settled boolean")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, rounds: int = ROUNDS, per_partition: int = PER_PARTITION) -> DataFrame:
-    """Pieces of all documents with their sequence_id and offset."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
+    """Pieces of all documents with their sequence_id and offset, and the bins and bound of the partition that packed them."""
     todo = stage_table(pieces(docs, tokenizer, end_id, capacity), "pieces")
-    done: list[DataFrame] = []
-    n = todo.count()
-    for number in range(rounds):
+    out, n, number = None, todo.count(), 0
+    while True:
         parts = max(1, math.ceil(n / per_partition))
-        last = parts == 1 or number == rounds - 1
-        packed = stage_table(_pack_round(todo, parts, number, last, capacity), f"packed{number}")
-        done.append(packed.filter("settled"))
-        if last:
-            break
-        todo = packed.filter("NOT settled").drop("sequence_id", "offset", "settled")
-        n = todo.count()
-        if not n:
-            break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.drop("settled")
+        packed = stage_table(_pack_round(todo, parts, number, parts == 1, capacity), f"packed{number}")
+        left = packed.filter("NOT settled")
+        more = 0 if parts == 1 else left.count()
+        over = more == 0 or more > STALLED * n
+        done = (packed if over else packed.filter("settled")).drop("settled")
+        out = done if out is None else out.unionByName(done)
+        if over:
+            return out
+        todo, n, number = left.select(*_PIECE.names), more, number + 1
