@@ -15,6 +15,11 @@ result if and only if each neighbouring pair is, so the same lattice and
 back-pointers give the exact BPE encoding. Whether a pair is admissible is
 found by merging its text (batched too) and remembered.
 
+A long chunk, of a script without spaces or a long code, is cut where no piece
+of the model that occurs in it crosses: the best sequence must part there too,
+and its parts advance together with others of their length. What remains long
+takes its substrings from windows, so memory does not grow with the chunk.
+
 Unknown characters become byte pieces where the model has them, else the
 unknown id. Defined cases: null or empty text has no ids and decodes to "";
 a null doc_id passes through; repeated rows are encoded each; a model with a
@@ -42,6 +47,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _CELLS = 1 << 16  # characters of equal-length chunks that advance together
+_LONG = 256  # characters beyond which a chunk is cut
+_WINDOW = 1 << 14  # characters whose substrings are probed at once
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -208,25 +215,40 @@ class Lattice:
             for (k, cut, _), starts in zip(group, self.merge(chars)):
                 self.latest[k] = starts.tolist() == ([0, cut] if cut else [0])
 
+    def cuts(self, chars: np.ndarray) -> np.ndarray:
+        """Inner positions of a chunk that no piece crosses."""
+        n, top = len(chars), self.m.longest
+        change = np.zeros(n + 1, np.int64)
+        for lo in range(0, n, _WINDOW):
+            ids = self.spans(chars[None, lo : lo + _WINDOW + top - 1])[0, :_WINDOW]
+            at, k = np.nonzero(ids[:, 1:] >= 0)  # pieces of k + 2 characters
+            np.add.at(change, lo + at + 1, 1)
+            np.add.at(change, lo + at + k + 2, -1)
+        return np.flatnonzero(np.cumsum(change)[1:n] == 0) + 1
+
     def encode(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces (last first, padded with -1) of equal-length rows, and their start positions."""
         w, n = chars.shape
-        ids = self.spans(chars)
-        top = ids.shape[2]
-        best = np.full((w, n + 1), -np.inf, np.float32)  # the library adds in single precision too
+        top = min(self.m.longest, n)
+        kind = np.float64 if self.m.bpe else np.float32  # the library adds in single precision too
+        best = np.full((w, n + 1), -np.inf, kind)
         best[:, 0] = 0.0
         score = self.m.scores.astype(np.float32)
-        last = np.full((w, n + 1), self.none, np.int64)  # piece that ends here
-        back = np.zeros((w, n + 1), np.int64)
+        last = np.full((w, n + 1), self.none, np.int32)  # piece that ends here
+        back = np.zeros((w, n + 1), np.int32)
         floor = np.float32(self.m.scores[self.m.kinds == _NORMAL].min() - 10.0)
+        lo = upto = 0
         for e in range(1, n + 1):
+            if e > upto:
+                lo, upto = max(0, e - top), min(n, e - 1 + max(_WINDOW // w, top))
+                ids = self.spans(chars[:, lo:upto])
             k = np.arange(min(top, e), 0, -1)  # of equal scores the longest last piece wins
-            cand = ids[:, e - k, k - 1].astype(np.int64)  # piece over [e - k, e)
+            cand = ids[:, e - k - lo, k - 1].astype(np.int64)  # piece over [e - k, e)
             reach = best[:, e - k]
-            value = np.full(cand.shape, -np.inf, np.float32)
+            value = np.full(cand.shape, -np.inf, kind)
             r, c = np.nonzero((cand >= 0) & (reach > -np.inf))
             if self.m.bpe:
-                ok = self._admit(last[r, e - k[c]] * (self.none + 1) + cand[r, c])
+                ok = self._admit(last[r, e - k[c]].astype(np.int64) * (self.none + 1) + cand[r, c])
                 value[r[ok], c[ok]] = reach[r[ok], c[ok]] + 1.0
             else:
                 value[r, c] = reach[r, c] + score[cand[r, c]]
@@ -283,25 +305,46 @@ class PieceEncoder(ChunkTable):
         return [self.m.byte_ids[b] for b in chr(char).encode()]
 
     def _learn(self, data, hasher, start, end, h, check):
-        by: dict[int, list[int]] = {}
         texts = [data[i:j].decode().replace(" ", SPACE) for i, j in zip(start.tolist(), end.tolist())]
-        for i, t in enumerate(texts):
-            by.setdefault(len(t), []).append(i)
+        long = [i for i, t in enumerate(texts) if len(t) > _LONG]
+        for i in long:
+            parts = self._parts(texts[i])
+            found = dict.fromkeys(parts)
+            for group, ids, sizes in self._encoded(list(found)):
+                for t, own in zip(group, np.split(ids, np.cumsum(sizes)[:-1])):
+                    found[t] = own
+            ids = np.concatenate([found[t] for t in parts])
+            self._add(h[i : i + 1], check[i : i + 1], ids, np.array([len(ids)]))
+        short = [i for i, t in enumerate(texts) if len(t) <= _LONG]
+        where: dict[str, int] = {texts[i]: i for i in short}
+        for group, ids, sizes in self._encoded([texts[i] for i in short]):
+            own = np.array([where[t] for t in group])
+            self._add(h[own], check[own], ids, sizes)
+
+    def _parts(self, text: str) -> list[str]:
+        cuts = [0, *self.lattice.cuts(np.frombuffer(text.encode("utf-32-le"), np.uint32)).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _encoded(self, texts: list[str]):
+        """(texts, their ids end to end, ids of each) of groups of equal length."""
+        by: dict[int, list[str]] = {}
+        for t in texts:
+            by.setdefault(len(t), []).append(t)
         none = self.lattice.none
         for n, own in by.items():
             per = max(1, _CELLS // max(n, 1))
             for lo in range(0, len(own), per):
                 group = own[lo : lo + per]
-                chars = np.frombuffer("".join([texts[i] for i in group]).encode("utf-32-le"), np.uint32).reshape(len(group), n)
+                chars = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).reshape(len(group), n)
                 back, at = self.lattice.encode(chars)
                 back, at = back[:, ::-1], at[:, ::-1]
                 odd = (back == none).any(axis=1)
                 keep = (back >= 0) & ~odd[:, None]
-                plain = np.array(group)[~odd]
-                self._add(h[plain], check[plain], back[keep].astype(np.uint32), keep[~odd].sum(axis=1))
+                if not odd.all():
+                    yield [t for t, o in zip(group, odd.tolist()) if not o], back[keep].astype(np.uint32), keep[~odd].sum(axis=1)
                 for r in np.flatnonzero(odd).tolist():  # with unknown characters
                     ids = [x for p, s in zip(back[r].tolist(), at[r].tolist()) if p >= 0 for x in (self._bytes_of(int(chars[r, s])) if p == none else (p,))]
-                    self._add(h[group[r] : group[r] + 1], check[group[r] : group[r] + 1], np.array(ids, np.uint32), np.array([len(ids)]))
+                    yield [group[r]], np.array(ids, np.uint32), np.array([len(ids)])
 
 
 class PieceDecoder:

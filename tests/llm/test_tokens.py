@@ -60,6 +60,16 @@ def test_packing_is_whole_and_tight(spark):
     assert K.pack(D.empty(spark), WORD).count() == 0
 
 
+def test_packing_goes_on_until_the_gap_stops_shrinking(spark):
+    rng = random.Random(4)
+    df = D.frame(spark, [D.row(i, "word " * rng.randint(20, 180)) for i in range(600)])
+    got = K.pack(df, WORD, capacity=256, per_partition=40).toPandas()
+    assert sorted(got.doc_id) == list(range(600)) and (got.groupby("sequence_id").length.sum() <= 256).all()
+    assert (got.bound <= got.bins).all() and (got.sequence_id.to_numpy() >> 56).max() >= 1  # more than one round
+    whole = K.lower_bound(got.length.to_numpy(), 256)
+    assert got.sequence_id.nunique() <= 1.05 * whole
+
+
 def test_bounds_never_exceed_an_optimum():
     rng = random.Random(9)
     for _ in range(300):
@@ -156,6 +166,22 @@ def test_sentencepiece_equals_the_library(spark):
     assert S.round_trip(D.empty(spark), PIECE).count() == 0
 
 
+def test_long_chunks_without_spaces(monkeypatch):
+    monkeypatch.setattr(S, "_WINDOW", 64)
+    enc, dec = S.codec(PIECE)
+    enc._clear()
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("中文字符测试語言日本語한국어") for _ in range(3000)), "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(1500)), "a" * 1200, "the" * 400 + "😀" * 300, "x" * 257]
+    ids, n = enc.encode_column(pa.array(texts))
+    at = 0
+    for t, k in zip(texts, n.tolist()):
+        assert ids[at : at + k].tolist() == lib.encode(t)
+        at += k
+    parts = enc._parts("中文字符" * 100)
+    assert "".join(parts) == "中文字符" * 100 and len(parts) > 100
+
+
 def field(number, value):
     if isinstance(value, int):
         return bytes([number << 3, value])
