@@ -40,7 +40,7 @@ from strataframe.llm._tokens import encoder
 
 MAGIC = b"SFT2"
 BLOCK = 1024
-FILE_TOKENS = 2_000_000
+FILE_TOKENS = 3_000_000
 _U = np.uint64
 _TOP = _U(1 << 32)
 
@@ -53,29 +53,29 @@ _SHARE2 = (_LEVELS * [0, 20, 44, 64, 84, 100, 114, 126]).astype(np.uint64).resha
 _NEXT = (np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7]) << 24).astype(np.int32)
 _STAYS = np.array([0, 0, 0, 1, 1, 1, 1, 1] + [1] * 8, bool)
 _S1, _S2 = 8, 9  # log2 of the contexts a lane remembers
-_EVERY = 4  # steps between two updates of the success levels
+_H1, _H2, _R1, _R2 = (np.uint32(x) for x in (40503, 60493, 6, 5))
+_EVERY = 8  # steps between two updates of the success levels
 #: Steps (powers of two) after which order 0 counts the block's ids anew; the counts then get half of its range.
-_RECOUNT = (128, 512)
+_RECOUNT = (256,)
 
 
 class _Order:
     """What one context order of every lane predicts."""
 
     def __init__(self, lanes: int, bits: int, share: np.ndarray):
-        self.table, self.base, self.mask = np.zeros(lanes << bits, np.int32), np.arange(lanes) << bits, (1 << bits) - 1
+        self.table, self.base, self.mask = np.zeros(lanes << bits, np.int32), np.arange(lanes, dtype=np.uint32) << np.uint32(bits), np.uint32((1 << bits) - 1)
         self.share, self.rate, self.level = share, np.full(lanes, 128, np.int32), np.full(lanes, 16, np.int32)
 
     def look(self, context: np.ndarray) -> np.ndarray:
         context &= self.mask
         context += self.base
-        self.at = context
-        e = self.table.take(context)
+        self.at = at = context.astype(np.intp)
+        e = self.table.take(at)
         self.guess = e & 0xFFFFFF
         self.conf = e >> 24
         return self.share.take(self.conf + self.level)
 
-    def learn(self, s: np.ndarray, adapt: bool) -> None:
-        hit = self.guess == s
+    def learn(self, s: np.ndarray, hit: np.ndarray, adapt: bool) -> None:
         k = self.conf + (hit.view(np.int8) << 3)
         self.table[self.at] = np.where(_STAYS.take(k), self.guess, s) | _NEXT.take(k)
         if adapt:
@@ -88,23 +88,24 @@ class _Mixer:
 
     def __init__(self, lanes: int):
         self.one, self.two = _Order(lanes, _S1, _SHARE1), _Order(lanes, _S2, _SHARE2)
-        self.last = self.before = np.zeros(lanes, np.int64)
+        self.last = self.before = np.zeros(lanes, np.uint32)
         self.step = 0
 
     def predict(self):
         """Shares of the range for the ids that orders 2 and 1 predict."""
-        a = self.last * 40503
-        f2 = self.two.look((a ^ self.before * 60493) >> 5)
-        f1 = self.one.look(a >> 6)
+        a = self.last * _H1  # 32 bits, and no carry beyond them
+        f2 = self.two.look((a ^ self.before * _H2) >> _R2)
+        f1 = self.one.look(a >> _R1)
         f1 *= (self.one.guess != self.two.guess) | (f2 == 0)
         return f2, f1
 
-    def update(self, s: np.ndarray) -> None:
+    def update(self, s: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """The ids that came (32 bits), and where the orders had guessed them."""
         self.step += 1
         adapt = self.step % _EVERY == 0
-        self.one.learn(s, adapt)
-        self.two.learn(s, adapt)
-        self.before, self.last = self.last, s
+        self.one.learn(s, hit1, adapt)
+        self.two.learn(s, hit2, adapt)
+        self.before, self.last = self.last, s.view(np.uint32)
 
 
 def _frequencies(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -122,41 +123,42 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return list(zip(marks, marks[1:]))
 
 
-def _sorted_runs(past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sorted_runs(past: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of each row sorted, and for every place where its run of equal ids begins and how long it is."""
     t = past.shape[1]
-    ids = np.sort(past, axis=1)
+    ids = np.sort(past.astype(np.uint16), axis=1, kind="stable") if symbols <= 1 << 16 else np.sort(past, axis=1)
     first = np.ones(ids.shape, bool)
-    first[:, 1:] = ids[:, 1:] != ids[:, :-1]
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=first[:, 1:])
     heads = np.flatnonzero(first)
     size = np.diff(np.append(heads, ids.size))
-    return ids, np.repeat(heads % t, size).reshape(ids.shape), np.repeat(size, size).reshape(ids.shape)
+    return ids, np.repeat(heads & t - 1, size).reshape(ids.shape), np.repeat(size, size).reshape(ids.shape)
 
 
 def _order0(blocks: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of every id in the order-0 range of 2^(bits + 1), a row for each step."""
     lanes, n = blocks.shape
-    start, size = np.zeros((n, lanes), np.uint32), np.zeros((n, lanes), np.uint32)
+    start, size = np.zeros((n, lanes), _U), np.zeros((n, lanes), _U)
     freq = freq.astype(np.uint32)
     cum = np.cumsum(freq, dtype=np.uint32) - freq
-    step = max(1, (1 << 21) // len(freq))
-    begins, counts = np.zeros((step, len(freq)), np.uint16), np.zeros((step, len(freq)), np.uint16)
+    step = max(1, (1 << 20) // len(freq))
+    seen = np.zeros(step * len(freq), np.uint32)  # by lane and id: where its run begins, and its length
     for lo in range(0, lanes, step):
         part = blocks[lo : lo + step]
-        row = np.arange(len(part))[:, None]
+        row = (np.arange(len(part)) * len(freq))[:, None]
         for t, end in _segments(n):
             s = part[:, t:end]
             a, z = cum.take(s), freq.take(s)
             if t:
                 shift = bits - (t.bit_length() - 1)
-                past, begin, count = _sorted_runs(part[:, :t])
-                begins[row, past], counts[row, past] = begin, count
-                k = counts[row, s]
+                past, begin, count = _sorted_runs(part[:, :t], len(freq))
+                own = row + past
+                seen[own] = begin << 16 | count
+                k = seen.take(row + s)
                 old = k > 0
                 a += np.uint32(1 << bits)
-                np.copyto(a, begins[row, s].astype(np.uint32) << shift, where=old)
-                np.copyto(z, k.astype(np.uint32) << shift, where=old)
-                counts[row, past] = 0
+                np.copyto(a, k >> 16 << shift, where=old)
+                np.copyto(z, (k & 0xFFFF) << shift, where=old)
+                seen[own] = 0
             else:
                 a, z = a << 1, z << 1
             start[t:end, lo : lo + step], size[t:end, lo : lo + step] = a.T, z.T
@@ -167,20 +169,23 @@ def _code(blocks: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray,
     """Code the rows of ``blocks`` as lanes: words of all lanes and their number in each."""
     lanes, n = blocks.shape
     start0, size0 = _order0(blocks, freq, bits)
-    steps = np.ascontiguousarray(blocks.T)
+    narrow = np.ascontiguousarray(blocks.T)
     mix, pb, whole = _Mixer(lanes), _U(bits + 1), _U(bits + 9)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     out = np.zeros((lanes, n * (bits + 13) // 32 + 8), np.uint32)
     at = np.zeros(lanes, np.int64)
     for t in range(n):
-        s = steps[t].astype(np.int64)
+        s = narrow[t]
         f2, f1 = mix.predict()
         used = f2 + f1
         f0 = _U(256) - used
-        start = (used << pb) + start0[t] * f0
-        size = size0[t] * f0
-        in1 = (mix.one.guess == s) & (f1 > 0)
-        in2 = (mix.two.guess == s) & (f2 > 0)
+        start, size = start0[t], size0[t]
+        start *= f0
+        size *= f0
+        hit1, hit2 = mix.one.guess == s, mix.two.guess == s
+        used <<= pb
+        start += used
+        in1, in2 = hit1 & (f1 > 0), hit2 & (f2 > 0)
         np.copyto(start, f2 << pb, where=in1)
         np.copyto(size, f1 << pb, where=in1)
         np.copyto(start, _U(0), where=in2)
@@ -203,7 +208,7 @@ def _code(blocks: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray,
             at[short] += 1
             low[short] = x << _U(32)
             rng[short] <<= _U(32)
-        mix.update(s)
+        mix.update(s, hit2, hit1)
     rows = np.arange(lanes)
     out[rows, at] = low >> _U(32)
     out[rows, at + 1] = low & _U(0xFFFFFFFF)
@@ -213,7 +218,7 @@ def _code(blocks: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray,
 def _decode(words: np.ndarray, sizes: np.ndarray, n: int, freq: np.ndarray, bits: int) -> np.ndarray:
     lanes = len(sizes)
     freq64, cum64 = freq.astype(_U), (np.cumsum(freq) - freq).astype(_U)
-    symbol = np.repeat(np.arange(len(freq)), freq)
+    symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
     mix, pb, whole = _Mixer(lanes), _U(bits + 1), _U(bits + 9)
     top = _U((1 << (bits + 9)) - 1)
     words = np.concatenate([words, np.zeros(4, np.uint32)]).astype(_U)
@@ -225,8 +230,8 @@ def _decode(words: np.ndarray, sizes: np.ndarray, n: int, freq: np.ndarray, bits
     for t0, end in _segments(n):
         if t0:
             shift, known = _U(bits - (t0.bit_length() - 1)), _U(1 << bits)
-            ids, begin, count = (x.reshape(-1) for x in _sorted_runs(np.ascontiguousarray(steps[:t0].T)))
-            begin, count, row = begin.astype(_U) << shift, count.astype(_U) << shift, np.arange(lanes) * t0
+            ids, begin, count = (x.reshape(-1).astype(_U) for x in _sorted_runs(np.ascontiguousarray(steps[:t0].T), len(freq)))
+            runs, row = ids << _U(32) | begin << _U(16) | count, np.arange(lanes) * t0
         for t in range(t0, end):
             f2, f1 = mix.predict()
             used = f2 + f1
@@ -242,8 +247,8 @@ def _decode(words: np.ndarray, sizes: np.ndarray, n: int, freq: np.ndarray, bits
                 start, size = cum64.take(s), freq64.take(s)
                 start += known
                 old = np.flatnonzero(v0 < known)
-                place = row[old] + (v0[old] >> shift).view(np.int64)
-                s[old], start[old], size[old] = ids.take(place), begin.take(place), count.take(place)
+                run = runs.take(row.take(old) + (v0.take(old) >> shift).view(np.int64))
+                s[old], start[old], size[old] = run >> _U(32), (run >> _U(16) & _U(0xFFFF)) << shift, (run & _U(0xFFFF)) << shift
             else:
                 s = symbol.take((v0 >> _U(1)).view(np.int64))
                 start, size = cum64.take(s) << _U(1), freq64.take(s) << _U(1)
@@ -266,7 +271,7 @@ def _decode(words: np.ndarray, sizes: np.ndarray, n: int, freq: np.ndarray, bits
                 at[short] = w + 1
                 rng[short] <<= _U(32)
             steps[t] = s
-            mix.update(s)
+            mix.update(steps[t], mix.two.guess == s, mix.one.guess == s)
     return steps
 
 
