@@ -49,9 +49,8 @@ _TOP = _U(1 << 32)
 _LEVELS = np.array([[0.4], [0.7], [0.95], [1.15]])
 _SHARE1 = (_LEVELS * [0, 10, 22, 36, 50, 64, 78, 92]).astype(np.uint64).reshape(-1)
 _SHARE2 = (_LEVELS * [0, 20, 44, 64, 84, 100, 114, 126]).astype(np.uint64).reshape(-1)
-# By confidence after a miss (first 8) and a hit (last 8): the next one, and whether the prediction stays.
+# By confidence after a miss (first 8) and a hit (last 8): the next one.
 _NEXT = (np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7]) << 24).astype(np.int32)
-_STAYS = np.array([0, 0, 0, 1, 1, 1, 1, 1] + [1] * 8, bool)
 _S1, _S2 = 8, 9  # log2 of the contexts a lane remembers
 _H1, _H2, _R1, _R2 = (np.uint32(x) for x in (40503, 60493, 6, 5))
 _EVERY = 8  # steps between two updates of the success levels
@@ -76,8 +75,10 @@ class _Order:
         return self.share.take(self.conf + self.level)
 
     def learn(self, s: np.ndarray, hit: np.ndarray, adapt: bool) -> None:
-        k = self.conf + (hit.view(np.int8) << 3)
-        self.table[self.at] = np.where(_STAYS.take(k), self.guess, s) | _NEXT.take(k)
+        # a sure prediction outlives a miss; after a hit it is what came
+        kept = np.where(self.conf > 2, self.guess, s)
+        kept |= _NEXT.take(self.conf + (hit.view(np.int8) << 3))
+        self.table[self.at] = kept
         if adapt:
             self.rate += ((hit * np.int32(255)) - self.rate >> 3) * (self.conf > 0)
             self.level = self.rate >> 6 << 3
@@ -219,6 +220,7 @@ def _decode(words: np.ndarray, sizes: np.ndarray, n: int, freq: np.ndarray, bits
     lanes = len(sizes)
     freq64, cum64 = freq.astype(_U), (np.cumsum(freq) - freq).astype(_U)
     symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+    inverse = np.ceil((1 << 37) / np.maximum(np.arange(257), 1)).astype(_U)  # exact under 2^29 / f0, and f0 is 6 at least
     mix, pb, whole = _Mixer(lanes), _U(bits + 1), _U(bits + 9)
     top = _U((1 << (bits + 9)) - 1)
     words = np.concatenate([words, np.zeros(4, np.uint32)]).astype(_U)
@@ -241,7 +243,7 @@ def _decode(words: np.ndarray, sizes: np.ndarray, n: int, freq: np.ndarray, bits
             z2, z1 = f2 << pb, used << pb
             in0 = v >= z1
             in2 = v < z2
-            v0 = (v - z1) * in0 // f0
+            v0 = ((v - z1) * in0 * inverse.take(f0.view(np.int64))) >> _U(37)  # divided by f0
             if t0:
                 s = symbol.take((v0 - known).view(np.int64), mode="clip")
                 start, size = cum64.take(s), freq64.take(s)
