@@ -47,9 +47,6 @@ def cache_key(*parts: Column) -> Column:
 
 # Plurals of product words.
 SINGULAR = {"cables": "cable", "pipes": "pipe", "heaters": "heater", "helmets": "helmet", "cylinders": "cylinder", "bottles": "bottle", "toys": "toy", "valves": "valve", "pumps": "pump", "wires": "wire", "lamps": "lamp", "motors": "motor", "bars": "bar", "tanks": "tank", "stoves": "stove", "tyres": "tyre"}
-MATERIALS = ("stainless steel", "steel", "copper", "aluminium", "pvc", "plastic", "rubber", "glass", "cement", "wood", "cast iron", "ceramic", "leather", "cotton", "paper")
-USES = ("domestic", "industrial", "commercial", "agricultural", "medical", "outdoor")
-
 
 def product_text(c: Column) -> Column:
     """Hyphen splits joined, quotes removed, plurals of known products made singular."""
@@ -58,33 +55,6 @@ def product_text(c: Column) -> Column:
     return F.array_join(F.transform(F.split(F.trim(c), r"\s+"), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), " ")
 
 
-def first_word(c: Column, words: tuple[str, ...]) -> Column:
-    """The first of the words, in their order, that the text has."""
-    return F.coalesce(*[F.when(F.rlike(F.lower(c), F.lit(rf"\b{w}\b")), F.lit(w)) for w in words])
-
-
-def product_context(c: Column) -> Column:
-    """struct<material, use, capacities> of a product description."""
-    caps = F.regexp_extract_all(F.lower(c), F.lit(r"\d+(?:\.\d+)?\s*(?:litres?|l|ml|kg|g|kw|w|v|a|hz|mm|cm|m)\b"), F.lit(0))
-    return F.struct(first_word(c, MATERIALS).alias("material"), first_word(c, USES).alias("use"), F.array_distinct(caps).alias("capacities"))
-
-
-def business_context(c: Column) -> Column:
-    """struct<origin, scale, role> of who is asking."""
-    low = F.lower(c)
-    pick = lambda *pairs: reduce(lambda a, p: a.when(F.rlike(low, F.lit(p[0])), p[1]), pairs[1:], F.when(F.rlike(low, F.lit(pairs[0][0])), pairs[0][1]))
-    return F.struct(
-        pick((r"\b(?:import|overseas|foreign)", "foreign"), (r"\b(?:domestic|local|indian)", "domestic")).alias("origin"),
-        pick((r"\b(?:msme|small|startup)", "small"), (r"\b(?:large|corporate)", "large")).alias("scale"),
-        pick((r"\bmanufactur", "manufacturer"), (r"\bimporter", "importer"), (r"\b(?:retail|sell)", "seller")).alias("role"),
-    )
-
-
-def merged(query: Column, profile: Column, fields: list[str]) -> Column:
-    """Fields of the query, else of the profile."""
-    return F.struct(*[F.coalesce(query[f], profile[f]).alias(f) for f in fields])
-
-
 def variants(*parts: Column, most: int = 6) -> Column:
     """Distinct filled candidate queries in order."""
     return F.slice(F.array_distinct(F.array_compact(F.array(*[X.blank_to_null(p) for p in parts]))), 1, most)
@@ -97,30 +67,158 @@ def requirements(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.filter("p IS NOT NULL").select(key, "pos", "p.name", "p")
 
 
-TENDER_CATEGORIES = (("electrical", r"volt|current|power|frequency"), ("mechanical", r"pressure|strength|torque|load"), ("dimensional", r"length|width|thickness|diameter|size"), ("thermal", r"temperature|heat|thermal"), ("documentation", r"certificate|report|document"), ("delivery", r"deliver|warranty|days"))
+# Categories of a tender's clauses in their order, and words that make one binding.
+TENDER_CATEGORIES = (
+    ("certification", r"bis|isi\s+mark|certification|certified|license|licence|conformance"),
+    ("documentation", r"test\s+report|certificate|calibration\s+report|manual|datasheet|drawing|warranty"),
+    ("test", r"test|testing|inspection|sampled|routine\s+test|type\s+test|hydraulic\s+test|tensile"),
+    ("material", r"material|grade|stainless\s+steel|polyethylene|copper|aluminum|mild\s+steel"),
+    ("capacity", r"capacity|volume|storage|rated\s+capacity"),
+    ("dimension", r"dimension|dimensions|diameter|thickness|height|width|length|size"),
+    ("performance", r"temperature|pressure|efficiency|voltage|power|frequency|speed|rating"),
+)
+MANDATORY = r"shall|must|mandatory|strictly\s+required|compulsory|is\s+required\s+to\s+be"
 
 
 def tender_category(c: Column) -> Column:
     (w0, p0), *rest = TENDER_CATEGORIES
-    return reduce(lambda a, x: a.when(F.rlike(F.lower(c), F.lit(x[1])), x[0]), rest, F.when(F.rlike(F.lower(c), F.lit(p0)), w0)).otherwise("general")
+    has = lambda p: F.rlike(c, F.lit(rf"(?i)\b(?:{p})\b"))
+    return reduce(lambda a, x: a.when(has(x[1]), x[0]), rest, F.when(has(p0), w0)).otherwise("general")
+
+
+def mandatory_word(c: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(c, rf"(?i)\b({MANDATORY})\b", 1)), F.lit(""))
 
 
 def is_mandatory(c: Column) -> Column:
-    return F.rlike(F.lower(c), F.lit(r"\b(?:shall|must|mandatory|required)\b"))
+    return mandatory_word(c).isNotNull()
+
+
+def tender_requirement(clause: Column) -> Column:
+    """struct<text, name, category, mandatory, op, value, unit, lower, upper> of a tender's clause; NULL under five characters.
+
+    The name is what stands before the verb or sign. The operator comes from
+    the quantity's bounds, else from the clause's words; a clause without a
+    quantity names a standard, or is called by its first words.
+    """
+    bare = F.trim(F.regexp_replace(F.trim(clause), r"^(?:\(?\d+[.)](?!\d)|[a-zA-Z][.)]|[-*])\s*", ""))
+
+    def read(t: Column) -> Column:
+        low = F.lower(t)
+        says = lambda *w: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in w])
+        head = F.trim(F.get(F.split(t, r"(?i)\b(?:shall|must|is|should|is\s+required|has\s+to\s+be)\b|<=|>=|<|>|=|:", 2), 0))
+        subject = F.when(F.length(head) > 2, head)
+
+        def with_quantity(p: Column) -> Column:
+            words = F.when(says("shall not exceed", "maximum", "up to"), "LE").when(says("shall be at least", "shall not be less than", "minimum"), "GE").when(says("between"), "RANGE").otherwise("EQ")
+            most, least = says("shall not exceed", "up to"), says("shall be at least", "shall not be less than", "minimum")
+            op = F.when(p["lower"].isNotNull() & p["upper"].isNotNull(), "RANGE").when(p["lower"].isNotNull(), "GE").when(p["upper"].isNotNull(), "LE").when(most, "LE").when(least, "GE").otherwise("EQ")
+            std = F.nullif(F.upper(F.regexp_extract(t, r"(?i)\bIS\s+\d+(?:-\d+)?\b", 0)), F.lit(""))
+            first = F.nullif(F.array_join(F.transform(F.filter(F.slice(F.split(t, r"\s+"), 1, 4), lambda w: F.rlike(w, F.lit("^[a-zA-Z0-9]+$"))), lambda w: F.lower(w)), "_"), F.lit(""))
+            there = p.isNotNull()
+            name = F.when(there, F.coalesce(subject, p["name"])).when(std.isNotNull(), F.concat(F.lit("standard_conformance_"), std)).otherwise(F.coalesce(first, F.lit("tender_clause")))
+            return F.struct(
+                t.alias("text"), name.alias("name"), tender_category(t).alias("category"), mandatory_word(t).alias("mandatory"), F.when(there, op).otherwise(words).alias("op"),
+                F.when(there, F.coalesce(p["value"].cast("string"), p["text"])).otherwise(std).alias("value"), p["unit"].alias("unit"),
+                F.when(there & p["lower"].isNull() & p["upper"].isNull() & least & ~most, p["value"]).otherwise(p["lower"]).alias("lower"),
+                F.when(there & p["lower"].isNull() & p["upper"].isNull() & most, p["value"]).otherwise(p["upper"]).alias("upper"),
+            )
+
+        return X.let(U.parameter(t, subject), with_quantity)
+
+    return X.let(bare, lambda t: F.when(F.length(t) >= 5, read(t)))
+
+
+def tender_requirements(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, r (a tender requirement): one row for each line, sentence or part between semicolons."""
+    parts = F.split(text, r"[\r\n;]+|(?<!\d)\.(?!\d)")
+    return df.select(key, F.posexplode(parts).alias("pos", "line")).withColumn("r", tender_requirement(F.col("line"))).filter("r IS NOT NULL").select(key, "pos", "r")
 
 
-def evidence_fields(text: Column) -> Column:
-    """struct<number, issuer, standards, issued, expires> of a certificate or report."""
-    head = F.array_join(F.slice(F.split(text, "\n"), 1, 10), "\n")
-    standards = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(X.STANDARD), F.lit(1)), lambda n: F.concat(F.lit("IS "), n))))
-    day = r"(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4})"
-    return F.struct(
-        _get(text, r"(?i)(?:certificate|report|licence)\s*(?:no\.?|number)\s*[:.]?\s*([A-Z0-9/-]+)").alias("number"),
-        _get(head, r"(?im)^(.*(?:laborator|institute|bureau|authority).*)$").alias("issuer"),
-        standards.alias("standards"),
-        X.parse_date(_get(text, rf"(?i)(?:issued?|date of issue|dated?)\D{{0,15}}{day}")).alias("issued"),
-        X.parse_date(_get(text, rf"(?i)(?:expir\w*|valid (?:un)?till?|valid up to)\D{{0,15}}{day}")).alias("expires"),
-    )
+# Kind -> (weight, words of the text, patterns of the file's name).
+DOCUMENT_KINDS = {
+    "CALIBRATION_REPORT": (1.2, ["calibration certificate", "calibration report", "calibrated on", "calibration due", "traceability", "standard used for calibration", "calibrated by", "uncertainty of measurement", "calibration equipment"], ["calib", "calibration"]),
+    "DECLARATION": (1.2, ["declaration of conformity", "manufacturer declaration", "self-declaration", "supplier declaration", "we hereby declare", "declare under our sole responsibility", "eu declaration"], ["declaration", "conformity_dec", "self_dec"]),
+    "CERTIFICATE": (1.0, ["certificate of conformity", "compliance certificate", "bis licence", "isi mark certificate", "iso 9001", "certification", "valid up to", "certified that", "certification mark", "license number"], ["certificate", "cert_", "licence", "license"]),
+    "TEST_REPORT": (1.0, ["test report", "test certificate", "testing laboratory", "test laboratory", "sample description", "test results", "test result", "test method", "nabl accredited", "nabl", "sample tested", "date of testing", "specified requirement", "observed value", "test parameter", "pass/fail", "result: pass", "result: fail"], ["test_report", "test_cert", "test_result", "testing"]),
+    "LAB_REPORT": (1.0, ["laboratory analysis report", "chemical analysis report", "test analysis", "analytical report", "spectroscopy", "metallurgical analysis", "chemical composition", "chromatography", "microstructure"], ["lab_report", "chemical_analysis", "spectro"]),
+    "QUALITY_RECORD": (1.0, ["quality inspection report", "factory inspection", "quality plan", "qap", "incoming inspection", "batch inspection", "qc report", "inspection report", "pre-dispatch inspection", "quality assurance"], ["qap", "qc_report", "inspection", "quality_record"]),
+    "DRAWING": (1.1, ["engineering drawing", "schematic diagram", "circuit diagram", "assembly drawing", "ga drawing", "scale:", "all dimensions in mm", "drawing no", "drawn by", "checked by", "projection:"], ["drawing", "schematic", "cad_", "diagram"]),
+    "MANUAL": (1.0, ["user manual", "operating instructions", "instruction manual", "installation guide", "user guide", "maintenance instructions", "safety instructions", "troubleshooting", "how to operate"], ["manual", "user_guide", "instructions", "install_guide"]),
+    "TECHNICAL_SPECIFICATION": (0.9, ["technical specification", "data sheet", "datasheet", "product specification", "spec sheet", "rated voltage", "rated power", "technical data", "operating temperature", "electrical characteristics"], ["datasheet", "tech_spec", "spec_sheet", "data_sheet"]),
+}
+
+
+def document_class(text: Column, filename: Column) -> Column:
+    """struct<kind, confidence> of a business document.
+
+    Each word counts up to three times, the file's name once; the confidence
+    grows with the lead over the second kind. Under 2 it is OTHER.
+    """
+
+    def ranked(t: Column, f: Column) -> Column:
+        rows = []
+        for i, (kind, (weight, words, names)) in enumerate(DOCUMENT_KINDS.items()):
+            found = F.aggregate(F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.least(((F.length(t) - F.length(F.replace(t, w, F.lit("")))) / F.length(w)).cast("int"), F.lit(3))), F.lit(0), lambda a, n: a + n)
+            named = F.when(F.rlike(f, F.lit("|".join(names))), 1.5).otherwise(0.0)
+            rows.append(F.struct(((found * 2.5 + named) * weight).cast("double").alias("s"), F.lit(-i).alias("at"), F.lit(kind).alias("kind")))
+        return F.sort_array(F.array(*rows), asc=False)
+
+    def judged(r: Column) -> Column:
+        top, second = F.get(r, 0), F.get(r, 1)
+        sure = F.greatest(F.lit(0.55), F.least(F.lit(0.98), 0.60 + 0.35 * (top["s"] - second["s"]) / F.greatest(top["s"], F.lit(1.0))))
+        return F.when(top["s"] < 2.0, F.struct(F.lit("OTHER").alias("kind"), F.lit(0.20).alias("confidence"))).otherwise(F.struct(top["kind"].alias("kind"), sure.alias("confidence")))
+
+    low = F.struct(F.lower(F.coalesce(text, F.lit(""))).alias("t"), F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"([^/\\]*)$", 1)).alias("f"))
+    return X.let(low, lambda x: X.let(ranked(x["t"], x["f"]), judged))
+
+
+# Where numbers, accreditation, dates and issuers stand.
+NUMBERS = (r"(?i)(?:Report\s+No\.?|Certificate\s+No\.?|Cert\s+No\.?|Test\s+Report\s+No\.?|Doc\s+No\.?|Licence\s+No\.?|License\s+No\.?)[:\s]+([A-Z0-9\-_/.]+)", r"\b([A-Z]{2,4}/[A-Z0-9\-]+/\d{4,})\b")
+ACCREDITATION = r"(?i)(NABL\s+(?:Accredited|Accreditation)?[^.\n]*|ISO[/\s]IEC\s+17025(?::\d{4})?[^.\n]*|BIS\s+Recognized[^.\n]*)"
+REFERENCE = r"(?i)\b(IS\s+\d+(?:(?:-|\s+Part\s*)\d+)?(?:\s*:\s*\d{4})?)\b"
+ISSUED = r"(?i)(?:Issue\s+Date|Date\s+of\s+Issue|Dated|Date\s+of\s+Testing|Test\s+Date|Date)[:\s]+"
+EXPIRES = r"(?i)(?:Valid\s+(?:Up\s+To|Until|Upto|Thru)|Expiry\s+Date|Expiration\s+Date|Due\s+Date|Calibration\s+Due)[:\s]+"
+DAY = r"\b(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{4}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4})\b"
+ISSUERS = ("laboratory", "labs", "testing centre", "testing services", "inspections", "bureau of indian standards", "certifications", "technologies")
+RESULT = r"(?i)([a-zA-Z\s()\-]{3,35})[:\t|]+(?:observed|measured|found)?[:\s]*([0-9.]+\s*[a-zA-Z/%°^]+)?(?:.*?specified[:\s]*([<>=a-zA-Z0-9.\s/%°^]+))?(?:.*?(pass|fail|complies|satisfactory|non-compliant))?"
+
+
+def _day(line: Column) -> Column:
+    found = F.regexp_extract(line, "(?i)" + DAY, 1)
+    return X.parse_date(F.regexp_replace(found, r"([A-Za-z]{3})[a-z]*", "$1"))
+
+
+def evidence_fields(text: Column, today: Column | None = None) -> Column:
+    """struct<number, accreditation, issuer, standards, issued, expires, status> of a certificate or report.
+
+    Dates stand in a line with their label; without one the first date of the
+    first 15 lines is the issue. The issuer is the first of the first ten
+    filled lines that names a laboratory or office.
+    """
+
+    def read(lines: Column) -> Column:
+        on = lambda label: F.get(F.array_compact(F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(label))), _day)), F.lit(0))
+        filled = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
+        office = F.get(F.filter(F.slice(filled, 1, 10), lambda x: reduce(lambda a, b: a | b, [F.contains(F.lower(x), F.lit(w)) for w in ISSUERS])), F.lit(0))
+        refs = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), lambda r: F.upper(F.regexp_replace(F.trim(r), r"\s+", " "))))
+        expires = on(EXPIRES)
+        return F.struct(
+            F.coalesce(*[_get(text, p) for p in NUMBERS]).alias("number"), _get(text, ACCREDITATION).alias("accreditation"), office.alias("issuer"), refs.alias("standards"),
+            F.coalesce(on(ISSUED), F.get(F.array_compact(F.transform(F.slice(lines, 1, 15), _day)), F.lit(0))).alias("issued"), expires.alias("expires"),
+            F.when(expires < (F.current_date() if today is None else today), "EXPIRED").otherwise("ACTIVE").alias("status"),
+        )
+
+    return X.let(F.split(text, r"\r?\n"), read)
+
+
+def verdict_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, parameter, observed, specified, verdict: one row for each line with a verdict."""
+    own = df.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    said = own.filter((F.length("line") >= 10) & F.rlike("line", F.lit(r"(?i)\b(?:pass|fail|complies|satisfactory)\b")) & F.rlike("line", F.lit(RESULT)))
+    part = lambda i: _get(F.col("line"), RESULT, i)
+    return said.select(key, "pos", part(1).alias("parameter"), part(2).alias("observed"), part(3).alias("specified"), F.coalesce(F.upper(part(4)), F.lit("PASS")).alias("verdict"))
+
 
 
 def temporal_statements(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -141,12 +239,61 @@ def citation(number: Column, year: Column, clause: Column, page: Column, identit
     return F.concat_ws(", ", label, F.concat(F.lit("Clause "), clause), F.concat(F.lit("Page "), page.cast("string")))
 
 
-def translation_issues(source: Column, translated: Column) -> Column:
-    """Critical differences of a translation: citations, standards or numbers lost or invented."""
-    marks = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\[(\d+)\]"), F.lit(1)))
-    stds = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(X.STANDARD), F.lit(1)))
-    differ = lambda f: (F.size(F.array_except(f(source), f(translated))) > 0) | (F.size(F.array_except(f(translated), f(source))) > 0)
-    return F.array_compact(F.array(F.when(differ(marks), F.lit("citations")), F.when(differ(stds), F.lit("standards")), F.when(differ(X.numbers), F.lit("numbers"))))
+# Source lines, clause words and the consumers' tip of a translated answer.
+SOURCES_LINE = r"(?is)\n*(?:\*\*Sources:\*\*|Sources:|References:|स्रोत:|संदर्भ:).*$"
+CLAUSES = r"(?iU)\s*\b(?:Clause|खंड|धारा)\s*[0-9]+(?:\.[0-9]+)*\b"
+CITED = r"(?i)\[(EV\d+|citation-\d+)\]"
+CRITICAL = ("insufficient_devanagari_script", "missing_standard_numbers", "missing_numerical_values", "hallucinated_citation_tokens", "empty_hindi_translation")
+
+
+def translation_check(source: Column, translated: Column, consumer: Column, tip: str | None = None) -> Column:
+    """struct<valid, text, issues> of a translated answer, held against its source and mended where that is safe.
+
+    Critical are a script that is hardly Devanagari, invented citations, and
+    standards or numbers that are gone. Lost citations come back as a line of
+    sources; for consumers clause numbers go and ``tip`` is put before that
+    line where the text has no tip; a bold headline is taken over.
+    """
+    marks = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(CITED), F.lit(1)), lambda x: F.upper(x)))
+
+    def checked(t: Column) -> Column:
+        script = F.length(F.regexp_replace(t, r"[^ऀ-ॿ]", ""))
+        ratio = script / F.greatest(F.length(F.regexp_replace(t, r"\s+", "")), F.lit(1))
+        invented = F.array_except(marks(t), marks(source))
+        numbers = F.array_distinct(F.regexp_extract_all(source, F.lit(r"(?i)\bIS\s*([1-9]\d{1,5})\b"), F.lit(1)))
+        gone = F.filter(numbers, lambda n: ~F.rlike(t, F.concat(F.lit(r"(?iU)(?:\bIS\s*|आईएस\s*|आई\.एस\.\s*)"), n, F.lit(r"(?![0-9])"))))
+        lost = F.array_except(X.numbers(F.regexp_replace(source, r"\[[^\]]*\]", " ")), X.numbers(F.regexp_replace(t, r"\[[^\]]*\]", " ")))
+        some = lambda a: F.size(a) > 0
+        return F.array_compact(
+            F.array(
+                F.when((ratio < 0.20) & (script < 15), F.lit("insufficient_devanagari_script")),
+                F.when(some(invented), F.concat(F.lit("hallucinated_citation_tokens:"), F.array_join(invented, ","))),
+                F.when(some(gone), F.concat(F.lit("missing_standard_numbers:"), F.array_join(F.transform(gone, lambda n: F.concat(F.lit("IS "), n)), ","))),
+                F.when(some(lost), F.concat(F.lit("missing_numerical_values:"), F.array_join(lost, ","))),
+            )
+        )
+
+    def mended(t: Column) -> Column:
+        dropped = F.size(F.array_except(marks(source), marks(t))) > 0
+        sourced = F.when(dropped, F.concat(F.trim(F.regexp_replace(t, SOURCES_LINE, "")), F.lit("\n\nSources: "), F.array_join(F.transform(marks(source), lambda m: F.concat(F.lit("["), m, F.lit("]"))), ", "))).otherwise(t)
+
+        def for_consumers(x: Column) -> Column:
+            bare = F.regexp_replace(x, CLAUSES, "")
+            if tip is None:
+                return bare
+            at = r"(?is)^(.*?)((?:\n\n|\n)(?:Sources:|References:|स्रोत:|संदर्भ:).*)$"
+            return X.let(bare, lambda b: F.when(F.contains(b, F.lit(tip)), b).when(F.rlike(b, F.lit(at)), F.concat(F.regexp_extract(b, at, 1), F.lit(f"\n\n{tip}"), F.regexp_extract(b, at, 2))).otherwise(F.concat(b, F.lit(f"\n\n{tip}"))))
+
+        told = X.let(sourced, lambda x: F.when(F.coalesce(consumer, F.lit(False)), for_consumers(x)).otherwise(x))
+        headline = _get(source, r"^\s*(\*\*[^*]+\*\*)\s*\n")
+        return X.let(told, lambda x: F.when(~F.rlike(x, F.lit(r"^\s*\*\*[^*]+\*\*")) & headline.isNotNull(), F.concat(headline, F.lit("\n\n"), F.trim(x))).otherwise(x))
+
+    def whole(t: Column) -> Column:
+        done = F.when(t == "", source).otherwise(mended(t))
+        issues = F.when(t == "", F.array(F.lit("empty_hindi_translation"))).otherwise(X.let(done, checked))
+        return X.let(F.struct(done.alias("d"), issues.alias("i")), lambda x: F.struct((~F.exists(x["i"], lambda i: F.substring_index(i, ":", 1).isin(*CRITICAL))).alias("valid"), x["d"].alias("text"), x["i"].alias("issues")))
+
+    return X.let(F.trim(F.coalesce(translated, F.lit(""))), whole)
 
 
 def decisions_problems(ids: Column, expected: Column, levels: Column) -> Column:
@@ -166,6 +313,22 @@ def short_answer(claims: Column, most: int = 4, chars: int = 200) -> Column:
     return F.array_join(F.transform(F.slice(F.array_distinct(claims), 1, most), lambda c: F.concat(F.lit("- "), F.substring(c, 1, chars))), "\n")
 
 
-def final_decision(grounding: Column, currentness: Column, level: Column) -> Column:
-    """The strictest of the findings decides."""
-    return F.when(grounding == "UNSUPPORTED", "verification_required").when(currentness.isin("UNCERTAIN", "WITHDRAWN"), "verification_required").when(level == "LOW", "insufficient_evidence").when(grounding == "PARTIAL", "answer_with_caution").otherwise("answer")
+def final_decision(decision: Column, state: Column, level: Column, grounding: Column, asks_current: Column, unsettled: Column, settled_scheme: Column, needs_candidates: Column, candidates: Column) -> Column:
+    """struct<decision, verify, state>: the evidence's decision after grounding, currentness, sufficiency and candidates were held against it.
+
+    Verification is required by unsupported claims, by a question about the
+    current state that the versions leave unsettled, by weak evidence without a
+    settled scheme or checklist, and by a search that found no candidate.
+    Partly grounded answers are qualified at most. State and decision agree in
+    the end: nothing that needs verification is an answer.
+    """
+    no = lambda c: F.coalesce(c, F.lit(False))
+    weak = ((state == "INSUFFICIENT_EVIDENCE") | (level == "LOW")) & ~no(settled_scheme)
+    forced = (grounding == "UNSUPPORTED") | (no(asks_current) & no(unsettled)) | weak | (no(needs_candidates) & ~no(candidates))
+    partly = grounding.isin("PARTIALLY_GROUNDED", "UNVERIFIABLE") & (decision == "ANSWER")
+    bad = state.isin("INSUFFICIENT_EVIDENCE", "CONFLICTING_EVIDENCE", "AMBIGUOUS_QUERY", "VERIFICATION_REQUIRED")
+    first = F.when(forced, "VERIFICATION_REQUIRED").when(partly, "QUALIFIED_ANSWER").otherwise(decision)
+    verify = forced | (decision == "VERIFICATION_REQUIRED") | bad
+    last = F.when(verify & (first == "ANSWER"), "VERIFICATION_REQUIRED").otherwise(first)
+    shown = F.when(verify & (state == "ANSWERABLE"), "INSUFFICIENT_EVIDENCE").otherwise(state)
+    return F.struct(last.alias("decision"), verify.alias("verify"), shown.alias("state"))

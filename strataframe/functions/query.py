@@ -34,18 +34,3 @@ def entities(q: Column) -> Column:
         amendment.alias("amendment"),
         temporal.alias("temporal"),
     )
-
-
-def structured_intent(q: Column) -> Column:
-    """struct<standards, product, use, parameters, jurisdiction, service> of a query."""
-    from strataframe.functions import extract as E
-    from strataframe.functions import text as X
-
-    low = F.lower(q)
-    standards = F.array_distinct(F.transform(F.regexp_extract_all(q, F.lit(X.STANDARD), F.lit(1)), lambda n: F.concat(F.lit("IS "), n)))
-    product = F.nullif(F.regexp_extract(low, r"\bfor\s+(?:an?\s+|the\s+)?([a-z]+(?: [a-z]+)?)", 1), F.lit(""))
-    service = F.when(F.rlike(low, F.lit(r"\blab(?:s|oratory|oratories)?\b")), "laboratory").when(F.rlike(low, F.lit(r"\bcertif|\blicen[cs]e")), "certification").when(F.rlike(low, F.lit(r"\btest")), "testing")
-    return F.struct(
-        standards.alias("standards"), product.alias("product"), E.first_word(q, E.USES).alias("use"), X.numbers(q).alias("parameters"),
-        F.when(F.rlike(low, F.lit(r"\bindia")), "INDIA").alias("jurisdiction"), service.alias("service"),
-    )

@@ -378,21 +378,6 @@ def qco_applicability(product: Column, title: Column, evidence: Column) -> Colum
     return ladder((p == "", "UNKNOWN"), (title.isNull() & (F.coalesce(evidence, F.lit("")) == ""), "UNKNOWN"), (excluded, "NO_MATCH"), (named, "MATCH"), default="UNKNOWN")
 
 
-def document_class(text: Column, filename: Column) -> Column:
-    """struct<kind, confidence>: weighted keyword counts (three at most of each), 'OTHER' under 2."""
-    vocab = {"TEST_REPORT": ["test report", "test result", "laboratory"], "CERTIFICATE": ["certificate", "certified", "licence"], "MANUAL": ["manual", "instructions", "operation"], "INVOICE": ["invoice", "amount due", "tax"]}
-    scores = []
-    for kind, words in vocab.items():
-        s = reduce(lambda a, b: a + b, [F.least(F.regexp_count(F.lower(text), F.lit(w)), F.lit(3)) * 2.5 for w in words])
-        s = s + reduce(lambda a, b: a + b, [F.when(F.contains(F.lower(filename), F.lit(w.replace(" ", "_"))), 1.5).otherwise(0.0) for w in words])
-        scores.append(F.struct(s.alias("s"), F.lit(kind).alias("kind")))
-    ranked = F.sort_array(F.array(*scores), asc=False)
-    top, second = F.element_at(ranked, 1), F.element_at(ranked, 2)
-    margin = (top["s"] - second["s"]) / F.greatest(top["s"], F.lit(1.0))
-    conf = F.bround(F.greatest(F.lit(0.55), F.least(F.lit(0.98), 0.60 + 0.35 * margin)), 2)
-    return F.when(top["s"] < 2.0, F.struct(F.lit("OTHER").alias("kind"), F.lit(0.20).alias("confidence"))).otherwise(F.struct(top["kind"].alias("kind"), conf.alias("confidence")))
-
-
 def claims(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, claim: sentences of the answer, bullets stripped, empty and boilerplate ones left out."""
     parts = F.split(F.regexp_replace(text, r"(?im)^\s*sources?:.*$", ""), r"(?<=[.!?।॥])\s+|\n+")

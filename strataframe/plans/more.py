@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataframe.functions import context as K
 from strataframe.functions import extract as E
 from strataframe.functions import text as X
 from strataframe.operators import chunking as C
@@ -148,35 +149,62 @@ def _(t):
     return t("part").select("p_partkey", E.product_text(F.concat(F.lit("cop-\nper Pipes "), P, F.lit(" 'heaters'"))).alias("name"))
 
 
-_M = ", ".join(f"'{m}'" for m in E.MATERIALS)
-_U = ", ".join(f"'{u}'" for u in E.USES)
-_DESCRIBED = f"CASE WHEN p_size % 4 = 0 THEN 'Wooden' ELSE upper([{_M}][1 + p_partkey % {len(E.MATERIALS)}]) END || ' and ' || [{_M}][1 + p_size % {len(E.MATERIALS)}] || ' tank' || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' for ' || [{_U}][1 + p_size % {len(E.USES)}] || ' use' END"
+_SAID = [
+    "We manufacture stainless steel pressure cookers for household use", "which standard covers copper wire in India", "an Infrared thermometer of 12 V and 5.5 litre", "GI pipes", "requirements for ceiling fans under IS 374 and IS 1234-2", "PVC cables, hydraulic press 20 MPa", "portland cement 50 kg with compression",
+    "apply to our garden hoses.", "rubber toys 10mm x 20mm, electrical", "nothing stated", "solar water heater pressurised 3 bar for hospital use", "standards for IS 5 goods in Pune", "mild steel, mercury and gold", "hospital beds, home use",
+]
+
+
+def _sql_first(table, d="d"):
+    return "CASE " + " ".join(f"WHEN regexp_matches({d}, '(?i)\\b(?:{p})\\b') THEN '{v}'" for p, v in table) + " END"
+
+
+def _sql_target(pattern, d="d"):
+    return f"nullif(trim(regexp_replace(trim(regexp_extract({d}, '{pattern}', 1)), '(?i)^(?:our|the|a|an)\\s+', '')), '')"
+
+
+def _sql_said(texts):
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + f"][1 + p_partkey % {len(texts)}]"
+
+
+def _said(texts, P):
+    return F.element_at(F.array(*[F.lit(x) for x in texts]), (1 + P % len(texts)).cast("int"))
 
 
 @query("x24_product_context", f"""
-    WITH x AS (SELECT p_partkey, p_size, lower({_DESCRIBED}) AS d FROM part)
-    SELECT p_partkey, list_filter([{_M}], lambda m: regexp_matches(d, '\\b' || m || '\\b'))[1] AS material, list_filter([{_U}], lambda u: regexp_matches(d, '\\b' || u || '\\b'))[1] AS use,
-    [p_size || ' litre', '5 kw'] AS capacities FROM x""")
+    WITH x AS (SELECT p_partkey, {_sql_said(_SAID)} || ' ' || p_size || ' g' AS d FROM part),
+    y AS (SELECT *, [{", ".join(_sql_target(p) for p in K.TARGETS)}] AS named FROM x)
+    SELECT p_partkey, coalesce({_sql_first(K.PRODUCTS)}, list_filter(named, lambda n: n IS NOT NULL AND len(n) BETWEEN 3 AND 59 AND NOT regexp_matches(n, '(?i)\\bIS\\s+\\d+\\b'))[1]) AS product, {_sql_first(K.MATERIALS)} AS material,
+    {_sql_first(K.TECHNOLOGIES)} AS technology, {_sql_first(K.PRINCIPLES)} AS principle, {_sql_first(K.USES)} AS use, regexp_extract_all(d, '{K.CAPACITY}', 1) AS capacities,
+    list_transform(regexp_extract_all(d, '(?i)\\bIS\\s+(\\d+(?:-\\d+)?)\\b', 1), lambda n: 'IS ' || n) AS standards FROM y""")
 def _(t):
     P, Z = _columns()
-    of = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + k % len(words)).cast("int"))
-    c = F.concat(F.when(Z % 4 == 0, "Wooden").otherwise(F.upper(of(E.MATERIALS, P))), F.lit(" and "), of(E.MATERIALS, Z), F.lit(" tank"), F.when(Z % 3 == 0, "").otherwise(F.concat(F.lit(" for "), of(E.USES, Z), F.lit(" use"))), F.lit(", "), Z, F.lit(" litre, 5 kW"))
-    return t("part").select("p_partkey", E.product_context(c).alias("c")).select("p_partkey", "c.*")
+    c = K.product_context(F.concat(_said(_SAID, P), F.lit(" "), Z, F.lit(" g")))
+    return t("part").select("p_partkey", c.alias("c")).select("p_partkey", "c.*")
 
 
-_ASKERS = ["an overseas MSME manufacturer", "a small retailer", "an Indian importer", "a large corporate", "who sells locally", "we import", "a startup", "nobody", "foreign importers and domestic makers"]
+_ASKERS = [
+    "we are manufacturers of toys, our factory in Sonipat and at Delhi", "As an importer we source from abroad", "an MSME startup based in Pune making PVC pipes", "trader of steel bars in January", "who sells locally", "a foreign manufacturer, exporting to India, located in Goa", "we supply to Hospitals with ISI mark",
+    "hallmarked gold for retailers in Detail", "assembly of wires for use in schools", "large scale production of cement", "is it for the garden hose.", "in Kerala we distribute insulated cables", "for our IS 5 goods in Bihar",
+]
 
 
 @query("x25_business_context", f"""
-    WITH x AS (SELECT p_partkey, p_size, lower({_ASKERS!r}[1 + p_partkey % {len(_ASKERS)}]) AS d FROM part)
-    SELECT p_partkey, CASE WHEN regexp_matches(d, '\\b(import|overseas|foreign)') THEN 'foreign' WHEN regexp_matches(d, '\\b(domestic|local|indian)') THEN 'domestic' ELSE 'domestic' END AS origin,
-    CASE WHEN regexp_matches(d, '\\b(msme|small|startup)') THEN 'small' WHEN regexp_matches(d, '\\b(large|corporate)') THEN 'large' WHEN p_size % 2 = 0 THEN 'large' END AS scale,
-    CASE WHEN regexp_matches(d, '\\bmanufactur') THEN 'manufacturer' WHEN regexp_matches(d, '\\bimporter') THEN 'importer' WHEN regexp_matches(d, '\\b(retail|sell)') THEN 'seller' ELSE 'seller' END AS role FROM x""")
+    WITH x AS (SELECT p_partkey, p_size, {_sql_said(_ASKERS)} AS d FROM part),
+    y AS (SELECT *, list_filter(list_zip(regexp_extract_all(d, '{K.LOCATION}', 1), regexp_extract_all(d, '{K.LOCATION}', 2)), lambda z: NOT list_contains({list(K.NO_PLACES)!r}, lower(z[2])) AND (list_contains({list(K.PLACES)!r}, lower(z[2])) OR regexp_matches(z[1], '(?i)(?:factory|plant) in')))[1][2] AS place,
+      [{", ".join(f"nullif(trim(regexp_extract(d, '(?i)" + chr(92) + "b(?:" + p + ")" + chr(92) + "b')), '')" for p in K.CATEGORIES)}] AS cats, {_sql_target(K.ABOUT)} AS about, [{", ".join(f"nullif(trim(regexp_extract(d, '{p}', 1)), '')" for p in K.CUSTOMERS)}] AS cust FROM x),
+    z AS (SELECT *, {_sql_first(K.ACTIVITIES)} AS act, {_sql_first(K.BUSINESS_TYPES)} AS typ, {_sql_first(K.SIZES)} AS siz,
+      list_filter([CASE WHEN regexp_matches(d, '(?i)\\b(?:isi\\s+mark|isi\\s+certified)\\b') THEN 'ISI Mark' END, CASE WHEN regexp_matches(d, '(?i)\\b(?:hallmark|hallmarked)\\b') THEN 'Hallmark' END], lambda v: v IS NOT NULL) AS marks FROM y)
+    SELECT p_partkey, act AS activity, coalesce(typ, 'manufacturer') AS type, coalesce(siz, CASE WHEN p_size % 2 = 0 THEN 'Startup' END) AS size, place AS location,
+    coalesce(list_filter(cats, lambda v: v IS NOT NULL)[1], CASE WHEN len(about) BETWEEN 3 AND 59 AND NOT regexp_matches(about, '(?i)\\b(?:IS\\s+\\d+|clause|section|standard)\\b') THEN about END) AS category,
+    list_filter(cust, lambda v: v IS NOT NULL AND NOT list_contains({list(K.NO_PLACES)!r}, lower(v)))[1] AS customer, list_concat(['Hallmark'], list_filter(marks, lambda m: m <> 'Hallmark')) AS certifications FROM z""")
 def _(t):
     P, Z = _columns()
-    q = E.business_context(F.element_at(F.array(*[F.lit(a) for a in _ASKERS]), (1 + P % len(_ASKERS)).cast("int")))
-    profile = F.struct(F.lit("domestic").alias("origin"), F.when(Z % 2 == 0, "large").alias("scale"), F.lit("seller").alias("role"))
-    return t("part").select("p_partkey", E.merged(q, profile, ["origin", "scale", "role"]).alias("c")).select("p_partkey", "c.*")
+    none = F.lit(None).cast("string")
+    fields = ["activity", "type", "size", "location", "category", "customer", "certifications"]
+    profile = F.struct(none.alias("activity"), F.lit("manufacturer").alias("type"), F.when(Z % 2 == 0, "Startup").alias("size"), none.alias("location"), none.alias("category"), none.alias("customer"), F.array(F.lit("Hallmark")).alias("certifications"))
+    c = X.let(K.business_context(_said(_ASKERS, P)), lambda q: K.merged(q, profile, fields, ("certifications",)))
+    return t("part").select("p_partkey", c.alias("c")).select("p_partkey", "c.*")
 
 
 @query("x26_query_variants", "SELECT p_partkey, list_distinct([p_name, p_brand, p_type])[1] IS NOT NULL AS found, len(list_distinct([p_name, p_brand, p_type])) AS n FROM part")
@@ -196,25 +224,58 @@ def _(t):
     return E.requirements(t("part").withColumn("text", text), "p_partkey", "text").select("p_partkey", "name", "p.value", "p.lower", "p.upper", "p.op", "p.unit")
 
 
-_CLAUSES = ["Supply voltage", "the width and the pressure", "width of goods", "A test certificate", "colour", "warranty of 12 days", "ambient temperature", "Report on torque", "rated POWER", "delivery"]
-_SAYS = ["shall be stated", "may be stated", "MUST hold", "is required", "would be nice", "is mandatory"]
-_CATEGORY = " ".join(f"WHEN regexp_matches(d, '{p}') THEN '{name}'" for name, p in E.TENDER_CATEGORIES)
+_TENDER = [
+    "1) Supply voltage shall be 230 V", "the width must not be more than 5 mm", "a) Capacity shall be at least 500 L", "A test certificate is compulsory", "colour", "Warranty: 12 months", "Working temperature between 5 and 40 °C", "Report on torque", "rated POWER <= 3 kW", "BIS certification as per IS 12701", "Grade shall be as agreed", "abc",
+    "- Pressure shall not exceed 10.5 bar", "tensile inspection of IS 5-2 goods", "Noise level maximum 60 dB",
+]
+_CATEGORY = " ".join(f"WHEN regexp_matches(d, '(?i)\\b(?:{p})\\b') THEN '{name}'" for name, p in E.TENDER_CATEGORIES)
 
 
 @query("x31_tender_category", f"""
-    WITH x AS (SELECT p_partkey, lower({_CLAUSES!r}[1 + p_partkey % {len(_CLAUSES)}] || ' ' || {_SAYS!r}[1 + p_size % {len(_SAYS)}]) AS d FROM part)
-    SELECT p_partkey, CASE {_CATEGORY} ELSE 'general' END AS category, regexp_matches(d, '\\b(shall|must|mandatory|required)\\b') AS mandatory FROM x""")
+    WITH x AS (SELECT p_partkey, {_sql_said(_TENDER)} AS d FROM part)
+    SELECT p_partkey, CASE {_CATEGORY} ELSE 'general' END AS category, nullif(lower(regexp_extract(d, '(?i)\\b({E.MANDATORY})\\b', 1)), '') AS mandatory FROM x""")
 def _(t):
     P, Z = _columns()
-    of = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + k % len(words)).cast("int"))
-    clause = F.concat_ws(" ", of(_CLAUSES, P), of(_SAYS, Z))
-    return t("part").select("p_partkey", E.tender_category(clause).alias("category"), E.is_mandatory(clause).alias("mandatory"))
+    clause = _said(_TENDER, P)
+    return t("part").select("p_partkey", E.tender_category(clause).alias("category"), E.mandatory_word(clause).alias("mandatory"))
 
 
-@query("x33_evidence_fields", "SELECT o_orderkey, 'TR/' || o_orderkey AS number, ['IS 129', 'IS ' || o_custkey] AS standards, CAST(o_orderdate AS DATE) AS issued FROM orders WHERE o_custkey > 1300")
+@query("x31_tender_requirements", """
+    SELECT p_partkey, 0 AS pos, 'Supply voltage' AS name, 'performance' AS category, 'shall' AS mandatory, 'EQ' AS op, CAST(CAST(200 + p_size AS DOUBLE) AS VARCHAR) AS value, 'V' AS unit, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM part
+    UNION ALL SELECT p_partkey, 1, 'Capacity', 'capacity', 'shall', 'GE', CAST(CAST(p_size AS DOUBLE) AS VARCHAR), 'L', p_size, NULL FROM part
+    UNION ALL SELECT p_partkey, 3, 'Conformance,', 'certification', NULL, 'EQ', CAST(CAST(p_partkey AS DOUBLE) AS VARCHAR), NULL, NULL, NULL FROM part WHERE p_size % 2 = 0
+    UNION ALL SELECT p_partkey, 3, 'Length', 'dimension', 'must', 'RANGE', NULL, 'mm', p_size, p_size + 5 FROM part WHERE p_size % 2 = 1
+    UNION ALL SELECT p_partkey, 4, 'Noise maximum', 'general', NULL, 'LE', CAST(CAST(p_size AS DOUBLE) AS VARCHAR), 'dB', NULL, p_size FROM part WHERE p_size % 2 = 1""")
 def _(t):
-    text = F.concat(F.lit("National Laboratory\nReport No: TR/"), "o_orderkey", F.lit("\nIS 129 and IS "), "o_custkey", F.lit("\nIssued on "), F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return t("orders").filter("o_custkey > 1300").select("o_orderkey", E.evidence_fields(text).alias("e")).select("o_orderkey", "e.number", "e.standards", "e.issued")
+    P, Z = _columns()
+    text = F.concat(F.lit("1) Supply voltage shall be "), 200 + Z, F.lit(" V;Capacity shall be at least "), Z, F.lit(" L\nabc;"), F.when(Z % 2 == 0, F.concat(F.lit("Conformance, IS "), P)).otherwise(F.concat(F.lit("Length must be between "), Z, F.lit(" and "), Z + 5, F.lit(" mm"))), F.lit(". Noise maximum <= "), Z, F.lit(" dB"))
+    rows = E.tender_requirements(t("part").withColumn("text", text), "p_partkey", "text")
+    return rows.select("p_partkey", "pos", "r.name", "r.category", "r.mandatory", "r.op", "r.value", "r.unit", "r.lower", "r.upper")
+
+
+@query("x33_evidence_fields", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'AB/X-1/' || (10000 + o_orderkey) ELSE 'TR/' || o_orderkey END AS number, CASE WHEN o_orderkey % 2 = 0 THEN 'NABL Accredited lab no 7' END AS accreditation, CASE WHEN o_orderkey % 5 <> 0 THEN 'National Laboratory of ' || o_orderpriority END AS issuer,
+    ['IS 129 PART 2 : 1999', 'IS ' || o_custkey] AS standards, CAST(o_orderdate AS DATE) AS issued, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS DATE) + 400 END AS expires, CASE WHEN o_orderkey % 4 = 0 AND CAST(o_orderdate AS DATE) + 400 < DATE '1996-01-01' THEN 'EXPIRED' ELSE 'ACTIVE' END AS status FROM orders""")
+def _(t):
+    k = F.col("o_orderkey")
+    one = lambda cond, *parts: F.when(cond, F.concat(*parts)).otherwise("")
+    text = F.concat(
+        F.lit("Paper\n"), one(k % 5 != 0, F.lit(" National Laboratory of "), "o_orderpriority"), F.lit("\n"), F.when(k % 3 == 0, F.concat(F.lit("see AB/X-1/"), k + 10000)).otherwise(F.concat(F.lit("Test Report No: TR/"), k)),
+        F.lit("\nIS 129 Part 2 : 1999 and is  "), "o_custkey", F.lit(" and IS 129  Part 2 : 1999\n"), one(k % 2 == 0, F.lit("by NABL Accredited lab no 7. More")), F.lit("\n"),
+        F.when(k % 6 < 3, F.concat(F.lit("Date of Issue: "), F.date_format("o_orderdate", "dd/MM/yyyy"))).otherwise(F.concat(F.lit("made "), F.date_format("o_orderdate", "d MMMM yyyy"))), F.lit("\n"),
+        one(k % 4 == 0, F.lit("Valid until: "), F.date_format(F.date_add("o_orderdate", 400), "yyyy-MM-dd")),
+    )
+    return t("orders").select("o_orderkey", E.evidence_fields(text, F.lit("1996-01-01").cast("date")).alias("e")).select("o_orderkey", "e.*")
+
+
+@query("x33_test_rows", """
+    SELECT o_orderkey, 1 AS pos, 'Wall thickness' AS parameter, (o_orderkey % 90) || '.5 mm' AS observed, CASE WHEN o_orderkey % 2 = 0 THEN '> 2 mm' END AS specified, CASE o_orderkey % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' ELSE 'COMPLIES' END AS verdict FROM orders
+    UNION ALL SELECT o_orderkey, 3, 'Finish', NULL, NULL, 'SATISFACTORY' FROM orders""")
+def _(t):
+    k = F.col("o_orderkey")
+    row = F.concat(F.lit("Wall thickness: "), k % 90, F.lit(".5 mm | "), F.when(k % 2 == 0, "specified > 2 mm; ").otherwise(""), F.when(k % 3 == 0, "pass").when(k % 3 == 1, "Fail").otherwise("complies"))
+    text = F.concat(F.lit("Results\n"), row, F.lit("\nno pass\n  Finish: satisfactory\nLength: 5 mm"))
+    return E.verdict_rows(t("orders").withColumn("text", text), "o_orderkey", "text")
 
 
 @query("x41_citation", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'reference to ' END || 'IS ' || p_partkey || ' : 2001' || CASE WHEN p_size % 3 = 0 THEN ', Clause 4.1' ELSE '' END || ', Page ' || p_size AS cite FROM part")
@@ -233,13 +294,19 @@ def _(t):
 
 
 @query("x44_translation_check", """
-    WITH x AS (SELECT p_partkey, p_partkey + 1000 AS a, p_partkey + 1000 + p_size % 2 AS a2, p_size AS z, p_size + CASE WHEN p_size % 3 = 0 THEN 7 ELSE 0 END AS z2, 2000 + p_partkey % 5 AS c, 2000 + p_size % 5 AS c2 FROM part)
-    SELECT p_partkey, list_filter([CASE WHEN c <> c2 THEN 'citations' END, CASE WHEN a <> a2 THEN 'standards' END, CASE WHEN list_sort(list_distinct([a, z, c])) <> list_sort(list_distinct([a2, z2, c2])) THEN 'numbers' END], lambda v: v IS NOT NULL) AS issues FROM x""")
+    WITH x AS (SELECT p_partkey, p_size, p_partkey + 1000 AS a, p_partkey + 1000 + CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END AS a2, 10 + p_size AS z, 10 + p_size + CASE WHEN p_size % 3 = 0 THEN 100 ELSE 0 END AS z2, 1 + p_partkey % 3 AS c, 1 + p_size % 3 AS c2, p_size % 5 = 0 AS latin FROM part),
+    y AS (SELECT *, CASE WHEN latin THEN 'needs under' ELSE 'पंप के लिए दबाव आवश्यक है मानक' END || ' IS ' || a2 || ' ' || z2 || ' bar' AS body FROM x),
+    i AS (SELECT *, list_filter([CASE WHEN latin THEN 'insufficient_devanagari_script' END, CASE WHEN c <> c2 THEN 'hallucinated_citation_tokens:EV' || c2 END, CASE WHEN a <> a2 THEN 'missing_standard_numbers:IS ' || a END,
+      CASE WHEN a <> a2 OR z <> z2 THEN 'missing_numerical_values:' || array_to_string(list_filter([CASE WHEN a <> a2 AND a <> z2 THEN a END, CASE WHEN z <> z2 AND z <> a2 THEN z END], lambda v: v IS NOT NULL), ',') END], lambda v: v IS NOT NULL) AS found FROM y)
+    SELECT p_partkey, list_filter(found, lambda v: NOT starts_with(v, 'hallucinated') OR true) AS issues, len(found) = 0 AS valid,
+    '**Head**' || chr(10) || chr(10) || body || CASE WHEN c = c2 THEN ' [EV' || c2 || ']' ELSE ' [EV' || c2 || ']' || chr(10) || chr(10) || 'Sources: [EV' || c || ']' END AS text FROM i""")
 def _(t):
     P, Z = _columns()
-    source = F.concat(F.lit("IS "), P + 1000, F.lit(" needs "), Z, F.lit(" bar ["), 2000 + P % 5, F.lit("]"))
-    other = F.concat(F.lit("Selon IS-"), P + 1000 + Z % 2, F.lit(", "), Z + F.when(Z % 3 == 0, 7).otherwise(0), F.lit(" bar ["), 2000 + Z % 5, F.lit("]"))
-    return t("part").select("p_partkey", E.translation_issues(source, other).alias("issues"))
+    a, z, c, c2 = P + 1000, Z + 10, 1 + P % 3, 1 + Z % 3
+    source = F.concat(F.lit("**Head**\nIS "), a, F.lit(" needs "), z, F.lit(" bar [EV"), c, F.lit("]"))
+    body = F.when(Z % 5 == 0, "needs under").otherwise("पंप के लिए दबाव आवश्यक है मानक")
+    other = F.concat(body, F.lit(" IS "), a + F.when(Z % 4 == 0, 1).otherwise(0), F.lit(" "), z + F.when(Z % 3 == 0, 100).otherwise(0), F.lit(" bar [EV"), c2, F.lit("]"))
+    return t("part").select("p_partkey", E.translation_check(source, other, F.lit(False)).alias("r")).select("p_partkey", "r.issues", "r.valid", "r.text")
 
 
 @query("x49_reply_check", "SELECT l_orderkey, CASE WHEN count(*) > 4 THEN ['missing'] ELSE [] END AS problems FROM lineitem GROUP BY 1")
@@ -280,11 +347,19 @@ def _(t):
     return t("conversations").groupBy("conv_id").agg(E.short_answer(ordered).alias("answer"))
 
 
-@query("d07_final_decision", "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'verification_required' WHEN p_size % 5 = 0 THEN 'verification_required' WHEN p_size % 3 = 0 THEN 'insufficient_evidence' WHEN p_size % 2 = 0 THEN 'answer_with_caution' ELSE 'answer' END AS decision FROM part")
+@query("d07_final_decision", """
+    WITH x AS (SELECT event_id, ['ANSWER', 'QUALIFIED_ANSWER', 'VERIFICATION_REQUIRED'][1 + event_id % 3] AS d, ['ANSWERABLE', 'INSUFFICIENT_EVIDENCE', 'CONFLICTING_EVIDENCE', 'AMBIGUOUS_QUERY', 'ANSWERABLE', 'ANSWERABLE'][1 + event_id % 6] AS s, ['HIGH', 'MEDIUM', 'LOW', 'HIGH', 'HIGH'][1 + event_id % 5] AS l,
+      ['GROUNDED', 'PARTIALLY_GROUNDED', 'UNVERIFIABLE', 'UNSUPPORTED', 'GROUNDED', 'GROUNDED', 'GROUNDED'][1 + event_id % 7] AS g, user_id % 4 = 0 AS cur, user_id % 3 = 0 AS uns, user_id % 5 = 0 AS sch, user_id % 7 = 0 AS need, user_id % 2 = 0 AS cand FROM events),
+    y AS (SELECT *, g = 'UNSUPPORTED' OR (cur AND uns) OR ((s = 'INSUFFICIENT_EVIDENCE' OR l = 'LOW') AND NOT sch) OR (need AND NOT cand) AS forced FROM x),
+    z AS (SELECT *, CASE WHEN forced THEN 'VERIFICATION_REQUIRED' WHEN g IN ('PARTIALLY_GROUNDED', 'UNVERIFIABLE') AND d = 'ANSWER' THEN 'QUALIFIED_ANSWER' ELSE d END AS f, forced OR d = 'VERIFICATION_REQUIRED' OR s <> 'ANSWERABLE' AS verify FROM y)
+    SELECT event_id, CASE WHEN verify AND f = 'ANSWER' THEN 'VERIFICATION_REQUIRED' ELSE f END AS decision, verify, CASE WHEN verify AND s = 'ANSWERABLE' THEN 'INSUFFICIENT_EVIDENCE' ELSE s END AS state FROM z""")
 def _(t):
-    P, Z = _columns()
-    g = F.when(Z % 7 == 0, "UNSUPPORTED").when(Z % 2 == 0, "PARTIAL").otherwise("FULL")
-    return t("part").select("p_partkey", E.final_decision(g, F.when(Z % 5 == 0, "WITHDRAWN").otherwise("CURRENT_SUPPORTED"), F.when(Z % 3 == 0, "LOW").otherwise("HIGH")).alias("decision"))
+    i, u = F.col("event_id"), F.col("user_id")
+    of = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + i % len(words)).cast("int"))
+    d, s = of(["ANSWER", "QUALIFIED_ANSWER", "VERIFICATION_REQUIRED"]), of(["ANSWERABLE", "INSUFFICIENT_EVIDENCE", "CONFLICTING_EVIDENCE", "AMBIGUOUS_QUERY", "ANSWERABLE", "ANSWERABLE"])
+    level, g = of(["HIGH", "MEDIUM", "LOW", "HIGH", "HIGH"]), of(["GROUNDED", "PARTIALLY_GROUNDED", "UNVERIFIABLE", "UNSUPPORTED", "GROUNDED", "GROUNDED", "GROUNDED"])
+    out = E.final_decision(d, s, level, g, u % 4 == 0, u % 3 == 0, u % 5 == 0, u % 7 == 0, u % 2 == 0)
+    return t("events").select("event_id", out.alias("r")).select("event_id", "r.*")
 
 
 @query("r10_discovery")
@@ -303,7 +378,7 @@ def _(t):
     from strataframe.functions.intent import query_context
 
     P, Z = _columns()
-    q = F.when(Z % 3 == 0, F.concat(F.lit("show clause4.1 of is-"), P)).when(Z % 3 == 1, F.concat(F.lit("which rules apply to "), F.when(Z % 2 == 0, "copper ").otherwise(""), F.lit("goods"))).otherwise(F.concat(F.lit("latest IS "), P))
+    q = F.when(Z % 3 == 0, F.concat(F.lit("show clause4.1 of is-"), P)).when(Z % 3 == 1, F.concat(F.lit("which rules apply to "), F.when(Z % 2 == 0, "cement ").otherwise(""), F.lit("goods"))).otherwise(F.concat(F.lit("latest IS "), P))
     c = t("part").select("p_partkey", query_context(q).alias("c"))
     return c.select("p_partkey", F.col("c.intent.intent").alias("intent"), "c.strategy", "c.state", F.col("c.entities.number").alias("number"))
 
@@ -355,18 +430,20 @@ def _(t):
     return C.preservation(o, o.filter("o_orderkey % 100 <> 0").unionAll(o.filter("o_orderkey % 100 = 7")), "o_orderkey")
 
 
-@query("x45_structured_intent", """
-    WITH x AS (SELECT p_partkey, p_size, ['Which lab', 'How to test', 'Certification', 'What of', 'Laboratories and tests'][1 + p_partkey % 5] AS head, CASE WHEN p_size % 2 = 0 THEN ' in India' ELSE '' END AS land, CASE WHEN p_size % 3 = 0 THEN ' for a ' || p_name ELSE '' END AS goods, CASE WHEN p_size % 4 = 0 THEN ' of industrial and domestic use' ELSE '' END AS use FROM part)
-    SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN [] ELSE ['IS ' || p_partkey] END AS standards, nullif(regexp_extract(lower(goods || use), '\\bfor (an? |the )?([a-z]+( [a-z]+)?)', 2), '') AS product, CASE WHEN use <> '' THEN 'domestic' END AS use, CASE WHEN land <> '' THEN 'INDIA' END AS jurisdiction,
-    CASE WHEN p_partkey % 5 IN (0, 4) THEN 'laboratory' WHEN p_partkey % 5 = 2 THEN 'certification' WHEN p_partkey % 5 = 1 THEN 'testing' END AS service FROM x""")
-def _(t):
-    from strataframe.functions.query import structured_intent
+_WANTS = [
+    ("find accredited labs for cement pipes under IS 458", "LABORATORY_SEARCH", "cement pipes", None, ["IS 458"], "India", "testing_laboratory"), ("which scheme applies to overseas makers.", "SCHEME_GUIDANCE", None, None, [], "Foreign Manufacturer", "certification"),
+    ("testing requirements for a kettle used for boiling water with 230 V and 1500 W", "TESTING_REQUIREMENT", "kettle used", "boiling water with", [], "India", "testing_requirement"), ("IS 5 and IS 7-2", "STANDARD_LOOKUP", None, None, ["IS 5", "IS 7-2"], "India", "standard"), ("hm", "AMBIGUOUS_QUERY", None, None, [], "India", None),
+]
 
+
+@query("x45_structured_intent", f"""
+    WITH w AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{w[1]}', '{w[5]}', {'NULL' if w[6] is None else repr(w[6])}, {w[4]!r}::VARCHAR[])" for i, w in enumerate(_WANTS))}) v(i, intent, jurisdiction, service, standards))
+    SELECT p_partkey, intent, jurisdiction, service, list_concat(standards, CASE WHEN p_size % 2 = 0 THEN ['IS ' || (p_partkey + 10000)] ELSE [] END) AS standards FROM part JOIN w ON i = p_partkey % {len(_WANTS)} WHERE i < 4 OR p_size % 2 = 1""")
+def _(t):
     P, Z = _columns()
-    head = F.element_at(F.array(*[F.lit(x) for x in ("Which lab", "How to test", "Certification", "What of", "Laboratories and tests")]), (1 + P % 5).cast("int"))
-    one = lambda cond, text: F.when(cond, text).otherwise("")
-    q = F.concat(head, one(Z % 2 == 0, F.lit(" in India")), one(Z % 5 != 0, F.concat(F.lit(" by IS "), P)), one(Z % 3 == 0, F.concat(F.lit(" for a "), "p_name")), one(Z % 4 == 0, F.lit(" of industrial and domestic use")))
-    return t("part").select("p_partkey", structured_intent(q).alias("i")).select("p_partkey", "i.standards", "i.product", "i.use", "i.jurisdiction", "i.service")
+    q = F.concat(_said([w[0] for w in _WANTS], P), F.when(Z % 2 == 0, F.concat(F.lit(" and IS "), P + 10000)).otherwise(""))
+    rows = t("part").filter((P % len(_WANTS) < 4) | (Z % 2 == 1)).select("p_partkey", K.structured_intent(q).alias("i"))
+    return rows.select("p_partkey", "i.intent", "i.jurisdiction", "i.service", "i.standards")
 
 
 @query("r02_hashed_embedding")

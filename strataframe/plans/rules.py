@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataframe.functions import extract as E
 from strataframe.functions import intent as I
 from strataframe.functions import text as X
 from strataframe.operators import joins
@@ -325,11 +326,26 @@ def _(t):
     return t("part").select("p_partkey", entities(q).alias("e")).select("p_partkey", "e.number", "e.year", "e.clause")
 
 
-@query("x32_doc_class", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'TEST_REPORT' WHEN 1 THEN 'MANUAL' ELSE 'OTHER' END AS kind FROM part")
+_DOC_PARTS = ["test report of the nabl lab", "user manual", "we hereby declare", "circuit diagram, scale: 1", "calibration due", "qap", "datasheet", "spectroscopy", "valid up to", "plain words"]
+_FILES = ["a/test_report.pdf", "b.pdf", "manual.txt", "calib.pdf", "x/manual/plain.txt"]
+
+
+def _sql_class():
+    scores = []
+    for i, (kind, (w, words, names)) in enumerate(E.DOCUMENT_KINDS.items()):
+        counts = " + ".join(f"least(3, (len(d) - len(replace(d, '{x}', ''))) // {len(x)})" for x in words)
+        scores.append(f"{{'s': (({counts}) * 2.5 + CASE WHEN regexp_matches(f, '{'|'.join(names)}') THEN 1.5 ELSE 0 END) * {w}, 'at': {-i}, 'kind': '{kind}'}}")
+    return "[" + ", ".join(scores) + "]"
+
+
+@query("x32_doc_class", f"""
+    WITH x AS (SELECT p_partkey, lower(repeat({_DOC_PARTS!r}[1 + p_partkey % 10] || '; ', 1 + p_size % 5) || {_DOC_PARTS!r}[1 + p_size % 10]) AS d, regexp_extract({_FILES!r}[1 + p_partkey % 5], '([^/]*)$', 1) AS f FROM part),
+    y AS (SELECT p_partkey, list_reverse_sort({_sql_class()}) AS r FROM x)
+    SELECT p_partkey, CASE WHEN r[1].s < 2 THEN 'OTHER' ELSE r[1].kind END AS kind, round_even(CASE WHEN r[1].s < 2 THEN 0.2 ELSE greatest(0.55, least(0.98, 0.60 + 0.35 * (r[1].s - r[2].s) / greatest(r[1].s, 1.0))) END, 6) AS confidence FROM y""")
 def _(t):
-    k = F.col("p_partkey") % 3
-    text = F.when(k == 0, "Test report of the laboratory: test result PASS").when(k == 1, "operation manual with instructions").otherwise("hello")
-    return t("part").select("p_partkey", D.document_class(text, F.lit("test_report.pdf"))["kind"].alias("k0"), k.alias("k")).select("p_partkey", F.when(F.col("k") == 2, "OTHER").otherwise(F.col("k0")).alias("kind"))
+    of = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + k % len(words)).cast("int"))
+    text = F.concat(F.repeat(F.concat(F.upper(of(_DOC_PARTS, F.col("p_partkey"))), F.lit("; ")), (1 + F.col("p_size") % 5).cast("int")), of(_DOC_PARTS, F.col("p_size")))
+    return t("part").select("p_partkey", E.document_class(text, of(_FILES, F.col("p_partkey"))).alias("c")).select("p_partkey", "c.kind", F.bround("c.confidence", 6).alias("confidence"))
 
 
 @query("x35_claims", "SELECT doc_id, count(*) AS claims FROM (SELECT doc_id, trim(unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'))) AS c FROM documents) WHERE len(trim(regexp_replace(c, '^\\s*([-*•]|\\d+[.)])\\s+', ''))) > 2 GROUP BY 1")
