@@ -308,11 +308,6 @@ def decisions_problems(ids: Column, expected: Column, levels: Column) -> Column:
     )
 
 
-def short_answer(claims: Column, most: int = 4, chars: int = 200) -> Column:
-    """Extractive answer: the first distinct claims, each cut to its length, as bullet lines."""
-    return F.array_join(F.transform(F.slice(F.array_distinct(claims), 1, most), lambda c: F.concat(F.lit("- "), F.substring(c, 1, chars))), "\n")
-
-
 def final_decision(decision: Column, state: Column, level: Column, grounding: Column, asks_current: Column, unsettled: Column, settled_scheme: Column, needs_candidates: Column, candidates: Column) -> Column:
     """struct<decision, verify, state>: the evidence's decision after grounding, currentness, sufficiency and candidates were held against it.
 

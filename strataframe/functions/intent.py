@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strataframe.functions import text as X
-from strataframe.functions.context import product_context
+from strataframe.functions.context import business_context
 from strataframe.functions.query import entities
 
 # The phrases of each signal.
@@ -219,8 +219,7 @@ def query_context(q: Column) -> Column:
     """struct<query, entities, intent, strategy, state> of a raw query."""
 
     def whole(text: Column, norm: Column, e: Column) -> Column:
-        product = product_context(text)
-        named = product["product"].isNotNull()
+        named = business_context(text)["category"].isNotNull()
         return X.let(_classified(text, norm, e), lambda found: F.struct(norm.alias("query"), e.alias("entities"), found.alias("intent"), strategy(found["intent"]).alias("strategy"), query_state(found, e, named).alias("state")))
 
     return X.let(F.coalesce(q, F.lit("")), lambda t: X.let(X.normalize_query(t), lambda n: X.let(entities(n), lambda e: whole(t, n, e))))

@@ -226,13 +226,53 @@ def blocks(df: DataFrame, key: str, fallback: bool = True) -> DataFrame:
     return numbered.groupBy(key, "block").agg(F.first("kind").alias("kind"), F.max("level").alias("level"), body.alias("text"))
 
 
+def with_semantics(df: DataFrame, key: str, decisions: DataFrame | None = None) -> DataFrame:
+    """Blocks with semantic_type (heading or content), semantic_level, semantic_confidence and semantic_source; texts stay as they are.
+
+    ``decisions`` (key, block, semantic_type, level, confidence) come from a
+    caller's model. Blocks without one fall back to the marks: headings are
+    headings, paragraphs of one line that look like one are headings of
+    confidence .60, all else is content. Tables are content whatever is said.
+    """
+    one_line = ~F.contains("text", F.lit("\n"))
+    guess = (F.col("kind") == "paragraph") & one_line & X.heading_candidate(F.col("text"))
+    own_type = F.when((F.col("kind") == "heading") | guess, "heading").otherwise("content")
+    own_level = F.when(F.col("kind") == "heading", F.coalesce(F.col("level"), F.lit(1))).when(guess, F.coalesce(X.clause_level(X.clause_number(F.col("text"))), F.lit(1)))
+    said = df
+    if decisions is None:
+        said = df.withColumn("__t", F.lit(None).cast("string")).withColumn("__l", F.lit(None).cast("int")).withColumn("__c", F.lit(None).cast("double"))
+    else:
+        d = decisions.select(F.col(key).alias("__k"), F.col("block").alias("__b"), F.col("semantic_type").alias("__t"), F.col("level").cast("int").alias("__l"), F.col("confidence").cast("double").alias("__c"))
+        said = df.join(d, (F.col(key) == F.col("__k")) & (F.col("block") == F.col("__b")), "left").drop("__k", "__b")
+    told = F.col("__t").isNotNull() & (F.col("kind") != "table")
+    out = said.withColumn("semantic_type", F.when(F.col("kind") == "table", "content").when(told, F.col("__t")).otherwise(own_type))
+    out = out.withColumn("semantic_level", F.when(F.col("semantic_type") == "heading", F.when(told, F.col("__l")).otherwise(own_level)))
+    out = out.withColumn("semantic_confidence", F.when(F.col("__t").isNotNull(), F.col("__c")).when(guess, 0.60).otherwise(1.0))
+    return out.withColumn("semantic_source", F.when(F.col("__t").isNotNull(), "model").otherwise("rules")).drop("__t", "__l", "__c")
+
+
 def render(df: DataFrame, key: str) -> DataFrame:
-    """Blocks back to Markdown, headings marked by their level."""
-    shown = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least(F.col("level"), F.lit(6)).cast("int")), F.lit(" "), X.heading_text(F.col("text")))).otherwise(F.col("text"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", shown.alias("s")))), lambda x: x["s"])
+    """Blocks back to Markdown, headings marked by their level, which semantics may have set."""
+    decided = "semantic_type" in df.columns
+    heading = (F.col("semantic_type") == "heading") | (F.col("kind") == "heading") if decided else F.col("kind") == "heading"
+    level = F.greatest(F.lit(1), F.least(F.coalesce("semantic_level", "level", F.lit(1)) if decided else F.coalesce("level", F.lit(1)), F.lit(6)))
+    plain = F.trim(F.regexp_replace(F.trim("text"), r"^#+\s*", "")) if decided else X.heading_text(F.col("text"))
+    shown = F.when(heading, F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), plain)).otherwise(F.col("text"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.trim(shown) != "", F.struct("block", shown.alias("s"))))), lambda x: x["s"])
     return df.groupBy(key).agg(F.array_join(parts, "\n\n").alias("markdown"))
 
 
+def block_metadata(df: DataFrame, key: str) -> DataFrame:
+    """key, standard_number, document_title: the first numbered standard outside tables, and the first heading of eight characters that opens no annex or table."""
+    number = F.nullif(F.regexp_extract("text", r"(?i)\bIS\s+\d+(?:\s*\([^)]+\))?\s*:\s*\d{4}\b", 0), F.lit(""))
+    title = F.trim(F.regexp_replace(F.regexp_replace("text", r"^\s*#+\s*", ""), r"\s+", " "))
+    is_title = (F.col("semantic_type") == "heading") & (F.length(title) >= 8) & ~F.rlike(title, F.lit(r"(?i)^(?:ANNEX|APPENDIX|TABLE)\b"))
+    return df.groupBy(key).agg(
+        F.min_by(number, F.when((F.col("kind") != "table") & number.isNotNull(), F.col("block"))).alias("standard_number"),
+        F.min_by(title, F.when(is_title, F.col("block"))).alias("document_title"),
+    )
+
+
 def preservation(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """issue, entity_id: blocks that are missing, new or repeated after structuring."""
     b, a = before.select(F.col(key).alias("entity_id")), after.select(F.col(key).alias("entity_id"))

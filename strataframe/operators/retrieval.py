@@ -244,19 +244,20 @@ def rewritten(df: DataFrame, prompt: Column, model, out: str, tries: int = 3, pa
 def retrieve(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q_text: str, dense: DataFrame, k: int = 10, pool: int = 50, scope: Column | None = None, identity: dict[str, Column] | None = None) -> DataFrame:
     """q_key, key, fusion, methods, boosted, rank: the whole retrieval of a batch of queries.
 
-    Queries are normalised and their identifiers read; ``scope`` limits the
-    documents; the words' arm and the caller's ranked ``dense`` arm (q_key,
-    key, rank) give ``pool`` rows each, are fused by reciprocal ranks, boosted
+    Queries are normalised and their identifiers read; the words' arm and the
+    caller's ranked ``dense`` arm (q_key, key, rank), which ``scope`` alone
+    limits, give ``pool`` rows each, are fused by reciprocal ranks, boosted
     where identifiers agree (``identity``: columns of the documents, by default
     the first standard that the text names), left once for each content, and
     cut to ``k``.
     """
     asked = queries.select(q_key, X.normalize_query(F.col(q_text)).alias("__asked")).withColumn("__e", entities(F.col("__asked")))
-    corpus = docs if scope is None else docs.filter(scope)
+    if scope is not None:
+        dense = dense.join(docs.filter(scope).select(key), key, "left_semi")
     no = F.lit(None).cast("string")
     own = {"standard": F.nullif(F.regexp_extract(text, X.STANDARD, 1), F.lit(""))} if identity is None else identity
-    facts = corpus.select(F.col(key), F.sha2(F.col(text), 256).alias("__h"), *[own.get(f, no).cast("string").alias(f"__{f}") for f in BOOSTS])
-    scored = bm25(corpus, key, text, asked, q_key, "__asked").withColumn("score", F.bround("score", 6))
+    facts = docs.select(F.col(key), F.sha2(F.col(text), 256).alias("__h"), *[own.get(f, no).cast("string").alias(f"__{f}") for f in BOOSTS])
+    scored = bm25(docs, key, text, asked, q_key, "__asked").withColumn("score", F.bround("score", 6))
     lexical = top_k(scored, q_key, pool, F.col("score").desc(), F.col(key))
     fused = fuse(dense.filter(F.col("rank") <= pool), lexical, q_key, key).withColumn("fusion", F.bround("fusion", 8))
     marked = fused.join(facts, key).join(asked.drop("__asked"), q_key)
@@ -267,6 +268,30 @@ def retrieve(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: st
     return top_k(keep_first(boosted, order, F.col(q_key), F.col("__h")), q_key, k, *order).select(q_key, key, "fusion", "methods", "boosted", "rank")
 
 
+def extractive_answer(df: DataFrame, key: str, order: list[Column], heading: Column, content: str, most: int = 4, lines: int = 14, chars: int = 200, consumer: bool = False) -> DataFrame:
+    """key, answer, claims (claim_id, text, citation) from the first ``most`` distinct contents of each key.
+
+    Every content shows its first filled lines, and says so when there are
+    more; its first line, cut to ``chars``, is a claim that cites it. For
+    consumers clause numbers are left out of headings and texts.
+    """
+    bare = (lambda c: F.trim(F.regexp_replace(c, r"(?i)\bClause\s*\d+(?:\.\d+)*\b", ""))) if consumer else (lambda c: c)
+    own = df.select(key, *[o.alias(f"__o{i}") for i, o in enumerate(order)], F.coalesce(F.nullif(bare(heading), F.lit("")), F.lit("")).alias("__head"), F.col(content).alias("__text"))
+    places = [F.col(f"__o{i}") for i in range(len(order))]
+    first = top_k(keep_first(own, places, F.col(key), F.sha2("__text", 256)), key, most, *places)
+    rows = F.filter(F.transform(F.split(bare(F.coalesce("__text", F.lit(""))), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    i = F.col("rank").cast("string")
+    blank = F.concat(F.lit("Quality and Safety Feature " if consumer else "Requirement Section "), i)
+    head = F.when(F.col("__head") == "", blank).otherwise(F.col("__head"))
+    shown = F.concat(F.array_join(F.slice("__rows", 1, lines), "\n"), F.when(F.size("__rows") > lines, "\n*(additional requirements in source document)*").otherwise(""))
+    part = F.concat(F.lit("- **"), head, F.lit("**: "), shown) if consumer else F.concat(F.lit("#### "), i, F.lit(". "), head, F.lit(" [EV"), i, F.lit("]\n\n"), shown)
+    claim = F.struct(F.concat(F.lit("C"), i).alias("claim_id"), F.substring(F.coalesce(F.get("__rows", F.lit(0)), head), 1, chars).alias("text"), F.concat(F.lit("EV"), i).alias("citation"))
+    ready = first.withColumn("__rows", rows).select(key, "rank", part.alias("p"), claim.alias("c"))
+    g = ready.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "p", "c"))).alias("x"))
+    sources = F.array_join(F.transform("x", lambda r: F.concat(F.lit("["), r["c"]["citation"], F.lit("]"))), ", ")
+    return g.select(key, F.concat(F.array_join(F.transform("x", lambda r: r["p"]), "\n\n"), F.lit("\n\nSources: "), sources).alias("answer"), F.transform("x", lambda r: r["c"]).alias("claims"))
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """array<double>: unit vector of hashed token counts, a stand-in for a model that the caller brings."""
     slots = F.transform(X.tokens(text), lambda t: F.crc32(t) % dim)

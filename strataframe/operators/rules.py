@@ -394,12 +394,24 @@ def claim_support(claim: Column, evidence: Column) -> Column:
     return ladder((F.size(own) == 0, "SUPPORTED"), (wrong, "UNSUPPORTED"), (overlap < 0.50, "UNSUPPORTED"), (overlap < 0.70, "PARTIAL"), default="SUPPORTED")
 
 
-def grounding(df: DataFrame, key: str, status: str) -> DataFrame:
-    """Coverage, score and overall status of an answer from its claims."""
-    n, sup, part = F.count("*"), F.count_if(F.col(status) == "SUPPORTED"), F.count_if(F.col(status) == "PARTIAL")
-    bad = F.count_if(F.col(status) == "UNSUPPORTED")
-    overall = ladder((bad > 0, "UNSUPPORTED"), (part > 0, "PARTIAL"), (n == 0, "UNVERIFIABLE"), default="FULL")
-    return df.groupBy(key).agg(F.bround(sup / n, 6).alias("coverage"), F.bround((sup + 0.5 * part) / n, 6).alias("score"), overall.alias("overall"))
+def grounding(df: DataFrame, key: str, status: str, fact: Column | None = None, answer: str | None = None) -> DataFrame:
+    """key, coverage, score, overall, and counts of an answer from its claims.
+
+    Coverage is the supported share of the claims that are facts, 1 without
+    any. An answer without claims is a row whose status is NULL: unverifiable,
+    and scored 1 if it is empty or asks for verification, else 0.
+    """
+    is_fact = F.col(status).isNotNull() & (F.lit(True) if fact is None else fact)
+    n, sup, part, bad = F.count(status), *[F.count_if(F.col(status) == s) for s in ("SUPPORTED", "PARTIAL", "UNSUPPORTED")]
+    facts = F.count_if(is_fact)
+    silent = F.lit(0.0) if answer is None else F.max(F.when((F.coalesce(F.col(answer), F.lit("")) == "") | F.contains(F.col(answer), F.lit("Verification Required")), 1.0).otherwise(0.0))
+    overall = ladder((bad > 0, "UNSUPPORTED"), (part > 0, "PARTIALLY_GROUNDED"), (n == 0, "UNVERIFIABLE"), default="FULLY_GROUNDED")
+    return df.groupBy(key).agg(
+        F.when(facts > 0, F.bround(F.count_if(is_fact & (F.col(status) == "SUPPORTED")) / facts, 4)).otherwise(1.0).alias("coverage"),
+        F.when(n > 0, F.bround((sup + 0.5 * part) / n, 4)).otherwise(silent).alias("score"),
+        overall.alias("overall"),
+        sup.alias("supported"), part.alias("partial"), bad.alias("unsupported"),
+    )
 
 
 # The steps of each scheme, in order.

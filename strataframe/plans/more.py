@@ -341,10 +341,16 @@ def _(t):
     return t("part").select("p_partkey", D.qco_applicability(F.when(Z % 8 != 0, F.col("p_name")).otherwise(" "), title, evidence).alias("state"))
 
 
-@query("d06_extractive_answer", "SELECT conv_id, array_to_string(list_transform(list_distinct_ordered[1:4], lambda c: '- ' || substring(c, 1, 200)), chr(10)) AS answer FROM (SELECT conv_id, list(text ORDER BY turn) AS list_distinct_ordered FROM (SELECT conv_id, text, min(turn) AS turn FROM conversations GROUP BY 1, 2) GROUP BY 1)")
+@query("d06_extractive_answer", """
+    WITH u AS (SELECT conv_id, text, min(turn) AS turn, arg_min(role, turn) AS role FROM conversations GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM u QUALIFY i <= 4),
+    l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM r),
+    p AS (SELECT conv_id, i, '#### ' || i || '. ' || CASE WHEN role = 'user' THEN 'Requirement Section ' || i ELSE role END || ' [EV' || i || ']' || chr(10) || chr(10) || array_to_string(ls[1:2], chr(10)) || CASE WHEN len(ls) > 2 THEN chr(10) || '*(additional requirements in source document)*' ELSE '' END AS part,
+      coalesce(substring(ls[1], 1, 50), CASE WHEN role = 'user' THEN 'Requirement Section ' || i ELSE role END) AS claim FROM l)
+    SELECT conv_id, string_agg(part, chr(10) || chr(10) ORDER BY i) || chr(10) || chr(10) || 'Sources: ' || string_agg('[EV' || i || ']', ', ' ORDER BY i) AS answer, list(claim ORDER BY i) AS claims FROM p GROUP BY 1""")
 def _(t):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
-    return t("conversations").groupBy("conv_id").agg(E.short_answer(ordered).alias("answer"))
+    head = F.when(F.col("role") != "user", F.col("role"))
+    a = R.extractive_answer(t("conversations"), "conv_id", [F.col("turn")], head, "text", lines=2, chars=50)
+    return a.select("conv_id", "answer", F.transform("claims", lambda c: c["text"]).alias("claims"))
 
 
 @query("d07_final_decision", """
@@ -424,6 +430,27 @@ def _(t):
     return C.render(C.blocks(_markdown(t), "doc_id", fallback=False), "doc_id")
 
 
+@query("x48_semantics", f"""
+    WITH {_MD}, x AS (SELECT doc_id, CAST(block AS BIGINT) AS block, kind, string_agg(line, chr(10) ORDER BY pos) AS text FROM b GROUP BY ALL),
+    d AS (SELECT *, CASE WHEN doc_id % 3 = 0 AND block % 4 = 1 THEN CASE WHEN block % 8 = 1 THEN 'heading' ELSE 'content' END END AS said FROM x),
+    g AS (SELECT *, kind = 'paragraph' AND NOT contains(text, chr(10)) AND trim(text) <> '' AND len(trim(text)) <= 180 AND regexp_matches(trim(text), '^((?i:annex|appendix|foreword|introduction|scope))\\b|^\\d+(\\.\\d+)*[.)]?\\s+\\S') AS guess FROM d)
+    SELECT doc_id, block, CASE WHEN kind = 'table' THEN 'content' WHEN said IS NOT NULL THEN said WHEN kind = 'heading' OR guess THEN 'heading' ELSE 'content' END AS semantic_type,
+    CASE WHEN said IS NOT NULL THEN 0.8 WHEN guess THEN 0.6 ELSE 1.0 END AS semantic_confidence, CASE WHEN said IS NOT NULL THEN 'model' ELSE 'rules' END AS semantic_source FROM g""")
+def _(t):
+    b = C.blocks(_markdown(t), "doc_id", fallback=False)
+    said = b.filter("doc_id % 3 = 0 AND block % 4 = 1").select("doc_id", "block", F.when(F.col("block") % 8 == 1, "heading").otherwise("content").alias("semantic_type"), F.lit(2).alias("level"), F.lit(0.8).alias("confidence"))
+    return C.with_semantics(b, "doc_id", said).select("doc_id", "block", "semantic_type", "semantic_confidence", "semantic_source")
+
+
+@query("x48_metadata", """
+    SELECT p_partkey, 'IS ' || p_partkey || ' (Part 2) : ' || (1990 + p_size % 20) AS standard_number, p_name || ' of quality' AS document_title FROM part""")
+def _(t):
+    P, Z = _columns()
+    body = F.concat(F.lit("# Annex A of it\n\n# short\n\n## "), "p_name", F.lit("  of quality\n\n| IS 1 : 1999 |\n\nsee IS "), P, F.lit(" (Part 2) : "), 1990 + Z % 20, F.lit(" and IS 5 : 2001"))
+    lines = C.lines(t("part").withColumn("body", body), "p_partkey", "body")
+    return C.block_metadata(C.with_semantics(C.blocks(lines, "p_partkey", fallback=False), "p_partkey"), "p_partkey")
+
+
 @query("a30_preservation", "SELECT 'missing' AS issue, o_orderkey AS entity_id FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT 'repeated', o_orderkey FROM orders WHERE o_orderkey % 100 = 7")
 def _(t):
     o = t("orders").select("o_orderkey")

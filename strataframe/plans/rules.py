@@ -193,11 +193,15 @@ def _(t):
 
 
 @query("a16_grounding_rollup", """
-    SELECT l_orderkey, round_even(count(*) FILTER (l_returnflag = 'N') / count(*), 6) AS coverage, round_even((count(*) FILTER (l_returnflag = 'N') + 0.5 * count(*) FILTER (l_returnflag = 'A')) / count(*), 6) AS score,
-    CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'UNSUPPORTED' WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN 'PARTIAL' ELSE 'FULL' END AS overall FROM lineitem GROUP BY 1""")
+    WITH x AS (SELECT l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_returnflag = 'N' THEN 'SUPPORTED' WHEN l_returnflag = 'A' THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS st, l_linenumber % 3 > 0 AS fact, CASE WHEN l_orderkey % 2 = 0 THEN 'Verification Required.' ELSE 'yes' END AS answer FROM lineitem)
+    SELECT l_orderkey, CASE WHEN count(*) FILTER (st IS NOT NULL AND fact) > 0 THEN round_even(count(*) FILTER (st = 'SUPPORTED' AND fact) / count(*) FILTER (st IS NOT NULL AND fact), 4) ELSE 1.0 END AS coverage,
+    CASE WHEN count(st) > 0 THEN round_even((count(*) FILTER (st = 'SUPPORTED') + 0.5 * count(*) FILTER (st = 'PARTIAL')) / count(st), 4) ELSE CASE WHEN l_orderkey % 2 = 0 THEN 1.0 ELSE 0.0 END END AS score,
+    CASE WHEN count(*) FILTER (st = 'UNSUPPORTED') > 0 THEN 'UNSUPPORTED' WHEN count(*) FILTER (st = 'PARTIAL') > 0 THEN 'PARTIALLY_GROUNDED' WHEN count(st) = 0 THEN 'UNVERIFIABLE' ELSE 'FULLY_GROUNDED' END AS overall,
+    count(*) FILTER (st = 'SUPPORTED') AS supported, count(*) FILTER (st = 'PARTIAL') AS partial, count(*) FILTER (st = 'UNSUPPORTED') AS unsupported FROM x GROUP BY 1""")
 def _(t):
-    s = F.when(F.col("l_returnflag") == "N", "SUPPORTED").when(F.col("l_returnflag") == "A", "PARTIAL").otherwise("UNSUPPORTED")
-    return D.grounding(t("lineitem").withColumn("status", s), "l_orderkey", "status")
+    s = F.when(F.col("l_orderkey") % 7 == 0, None).when(F.col("l_returnflag") == "N", "SUPPORTED").when(F.col("l_returnflag") == "A", "PARTIAL").otherwise("UNSUPPORTED")
+    rows = t("lineitem").withColumn("status", s).withColumn("answer", F.when(F.col("l_orderkey") % 2 == 0, "Verification Required.").otherwise("yes"))
+    return D.grounding(rows, "l_orderkey", "status", F.col("l_linenumber") % 3 > 0, "answer")
 
 
 @query("a17_readiness", """
@@ -450,6 +454,15 @@ def _(t):
     return ST.job_states(t("events")).select("user_id", "state", "n", F.bround("total", 4).alias("total"))
 
 
+@query("st2_counters", "SELECT user_id, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error, max(event_id) AS cursor FROM events GROUP BY 1")
+def _(t):
+    """Counted up to a stop, then resumed over all events again."""
+    e, kinds = t("events"), ["view", "click", "error"]
+    saved = ST.counters(e.filter("event_id % 1000 < 600 AND user_id % 3 > 0").filter("event_id < 700"), "user_id", "event_type", kinds, "event_id")
+    done = ST.counters(e.join(saved.select(F.col("user_id").alias("u"), F.col("cursor").alias("c")), F.col("user_id") == F.col("u")).filter("event_id <= c"), "user_id", "event_type", kinds, "event_id")
+    return ST.resumed_counters(done, e, "user_id", "event_type", kinds, "event_id")
+
+
 @query("st3_dedupe_incremental", "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY 2")
 def _(t):
     return ST.first_by_hash(t("documents"), "doc_id", "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,31 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def read_pages(spark: SparkSession, path: str, extract, pattern: str = "*") -> DataFrame:
+    """path, page, text, problem of binary files by a caller's function (bytes -> list of page texts).
+
+    A file that the function refuses, or that has no text at all, is one row
+    with a problem; nothing is dropped. One Arrow batch holds few files, so
+    memory is bounded by the largest.
+    """
+    done = T.ArrayType(T.StructType([T.StructField("page", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("problem", T.StringType())]))
+
+    @F.pandas_udf(done)
+    def pages(col: pd.Series) -> pd.Series:
+        out = []
+        for body in col:
+            try:
+                texts = list(extract(bytes(body)))
+                problem = None if any((t or "").strip() for t in texts) else "empty"
+            except Exception as e:  # noqa: BLE001  the caller's function may raise anything
+                texts, problem = [], f"{type(e).__name__}: {e}"
+            out.append([{"page": None, "text": None, "problem": problem}] if problem else [{"page": i + 1, "text": t, "problem": None} for i, t in enumerate(texts)])
+        return pd.Series(out)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.explode(pages("content")).alias("p")).select("path", "p.*")
+
+
 def pages_to_markdown(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
     """One Markdown text per document with a mark before each page."""
     marked = F.concat(F.lit("<!-- PAGE "), F.col(page).cast("string"), F.lit(" -->\n"), F.coalesce(F.col(text), F.lit("")))

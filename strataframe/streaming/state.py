@@ -17,6 +17,19 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def counters(events: DataFrame, job: str, outcome: str, outcomes: list[str], at: str) -> DataFrame:
+    """job, n_<outcome> .., cursor: what a job has done so far and the last event counted. Runs on streams in update or complete mode too."""
+    return events.groupBy(job).agg(*[F.count_if(F.col(outcome) == o).alias(f"n_{o}") for o in outcomes], F.max(at).alias("cursor"))
+
+
+def resumed_counters(saved: DataFrame, events: DataFrame, job: str, outcome: str, outcomes: list[str], at: str) -> DataFrame:
+    """Saved counters and the events after each job's cursor: an event that was counted before a stop is not counted again."""
+    held = saved.select(F.col(job).alias("__job"), F.col("cursor").alias("__cursor"))
+    fresh = events.join(held, F.col(job) == F.col("__job"), "left").filter(F.col("__cursor").isNull() | (F.col(at) > F.col("__cursor"))).drop("__job", "__cursor")
+    both = saved.select(job, *[f"n_{o}" for o in outcomes], "cursor").unionByName(counters(fresh, job, outcome, outcomes, at))
+    return both.groupBy(job).agg(*[F.sum(f"n_{o}").alias(f"n_{o}") for o in outcomes], F.max("cursor").alias("cursor"))
+
+
 def first_by_hash(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.groupBy(F.sha2(text, 256).alias("content_hash")).agg(F.min(key).alias(key)).select(key, "content_hash")
 

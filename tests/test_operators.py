@@ -317,3 +317,89 @@ def test_gate_and_index_states(spark):
     assert C.write_gate(df.filter("id = 1"), checks, True)[0].count() == 1
     state = lambda d, v: C.index_state(d, v, "v", F.col("t") != "").first().state
     assert [state(df, "6.0"), state(df, "7"), state(df.filter("false"), "6.0"), state(df.filter("id = 1"), "6.0")] == ["INDEX_CORRUPT", "INDEX_SCHEMA_MISMATCH", "INDEX_EMPTY", "INDEX_READY"]
+
+
+def test_semantics_of_blocks(spark):
+    md = ["# Standard for pumps", "", "4.2 Marking", "", "plain words", "over two lines", "", "| a | b |", "", "ANNEX A of all", "", "words"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(md)], "doc long, pos int, line string")
+    b = C.blocks(df, "doc", fallback=False)
+    own = C.with_semantics(b, "doc").orderBy("block").collect()
+    assert [(r.kind, r.semantic_type, r.semantic_level, r.semantic_confidence, r.semantic_source) for r in own] == [
+        ("heading", "heading", 1, 1.0, "rules"), ("paragraph", "heading", 2, 0.6, "rules"), ("paragraph", "content", None, 1.0, "rules"), ("table", "content", None, 1.0, "rules"), ("paragraph", "heading", 1, 0.6, "rules"), ("paragraph", "content", None, 1.0, "rules"),
+    ]
+    ids = [r.block for r in own]
+    said = spark.createDataFrame([(1, ids[2], "heading", 3, 0.9), (1, ids[3], "heading", 2, 0.9), (1, ids[1], "content", None, 0.7)], "doc long, block long, semantic_type string, level int, confidence double")
+    told = C.with_semantics(b, "doc", said)
+    got = {r.block: (r.semantic_type, r.semantic_level) for r in told.collect()}
+    assert got[ids[2]] == ("heading", 3) and got[ids[3]] == ("content", None) and got[ids[1]] == ("content", None)
+    shown = C.render(told, "doc").first().markdown
+    assert shown.startswith("# Standard for pumps\n\n4.2 Marking\n\n### plain words\nover two lines\n\n| a | b |")
+    assert tuple(C.block_metadata(told, "doc").first()) == (1, None, "Standard for pumps")
+
+
+def test_extractive_answers(spark):
+    rows = [(1, 1, "Clause 4 Marking", "Mark it.\n\nClause 5 says more.\nthird"), (1, 2, None, "Mark it.\n\nClause 5 says more.\nthird"), (1, 3, "", "x" * 300), (2, 1, "T", None)]
+    df = spark.createDataFrame(rows, "q long, rank long, head string, body string")
+    own = {r.q: r for r in R.extractive_answer(df.withColumnRenamed("rank", "place"), "q", [F.col("place")], F.col("head"), "body", lines=2).collect()}
+    assert own[1].answer == "#### 1. Clause 4 Marking [EV1]\n\nMark it.\nClause 5 says more.\n*(additional requirements in source document)*\n\n#### 2. Requirement Section 2 [EV2]\n\n" + "x" * 300 + "\n\nSources: [EV1], [EV2]"
+    assert [(c.claim_id, len(c.text), c.citation) for c in own[1].claims] == [("C1", 8, "EV1"), ("C2", 200, "EV2")]
+    assert own[2].claims[0].text == "T"
+    plain = {r.q: r.answer for r in R.extractive_answer(df.withColumnRenamed("rank", "place"), "q", [F.col("place")], F.col("head"), "body", consumer=True).collect()}
+    assert plain[1].startswith("- **Marking**: Mark it.\nsays more.") and "Clause" not in plain[1]
+
+
+def test_counters_resume_without_counting_twice(spark):
+    rows = [(i, i % 3, "ab"[i % 2]) for i in range(60)]
+    events = spark.createDataFrame(rows, "at long, job long, outcome string")
+    whole = {tuple(r) for r in ST.counters(events, "job", "outcome", ["a", "b"], "at").collect()}
+    saved = ST.counters(events.filter("at < 25 AND job < 2"), "job", "outcome", ["a", "b"], "at")
+    assert {tuple(r) for r in ST.resumed_counters(saved, events, "job", "outcome", ["a", "b"], "at").collect()} == whole
+    assert {tuple(r) for r in ST.resumed_counters(saved.filter("false"), events, "job", "outcome", ["a", "b"], "at").collect()} == whole
+
+
+def test_grounding_of_answers(spark):
+    rows = [(1, "SUPPORTED", True, "a"), (1, "PARTIAL", False, "a"), (2, "SUPPORTED", False, "a"), (3, None, None, ""), (4, None, None, "says nothing"), (5, "UNSUPPORTED", True, "a"), (5, "PARTIAL", True, "a")]
+    df = spark.createDataFrame(rows, "q long, s string, fact boolean, answer string")
+    got = {r.q: (r.coverage, r.score, r.overall) for r in D.grounding(df, "q", "s", F.col("fact"), "answer").collect()}
+    assert got == {1: (1.0, 0.75, "PARTIALLY_GROUNDED"), 2: (1.0, 1.0, "FULLY_GROUNDED"), 3: (1.0, 1.0, "UNVERIFIABLE"), 4: (1.0, 0.0, "UNVERIFIABLE"), 5: (0.0, 0.25, "UNSUPPORTED")}
+
+
+def test_accepted_requests_of_a_stream(spark, tmp_path):
+    rows = [(i, i % 2, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, u long, t double").withColumn("ts", F.timestamp_seconds("t"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = ST.accepted_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "u", "ts", "k", 2, 10).writeStream.format("memory").queryName("taken").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = {r.k: r.accepted for r in ST.accepted(df, "u", "ts", "k", 2, 10).collect()}
+    assert {r.k: r.accepted for r in spark.table("taken").collect()} == want
+
+
+def test_json_pages_as_a_source(spark, tmp_path):
+    from strataframe.sources import api
+
+    for i in (1, 2, 3):
+        (tmp_path / f"p{i}.json").write_text(json.dumps({"data": {"rows": [{"id": f"{i}-{k}", "title": " é " if k else ""} for k in range(2)]}}, ensure_ascii=False))
+    url = f"file://{tmp_path}/p{{page}}.json"
+    df = api.read_api(spark, url, pages=3, items="data.rows")
+    assert df.count() == 6 and df.rdd.getNumPartitions() == 3
+    got = api.discovered(df, {"id": "$.id", "title": "$.title"}, "title").orderBy("page").collect()
+    assert [tuple(r) for r in got] == [(i, 1, f"{i}-1", "é") for i in (1, 2, 3)]
+    with pytest.raises(Exception, match="p9.json"):
+        api.read_api(spark, url, first=9, tries=1).count()
+
+
+def test_pages_of_binary_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"one\fTwo")
+    (tmp_path / "b.bin").write_bytes(b" \f ")
+    (tmp_path / "c.bin").write_bytes(b"bad")
+
+    def extract(body):
+        if body == b"bad":
+            raise ValueError("no pages")
+        return body.decode().split("\f")
+
+    rows = files.read_pages(spark, str(tmp_path), extract, "*.bin")
+    assert sorted((r.path[-5:], r.page, r.text, r.problem) for r in rows.fillna(0, ["page"]).fillna("", ["text", "problem"]).collect()) == [("a.bin", 1, "one", ""), ("a.bin", 2, "Two", ""), ("b.bin", 0, "", "empty"), ("c.bin", 0, "", "ValueError: no pages")]
+    md = files.pages_to_markdown(rows.filter("problem IS NULL"), "path", "page", "text").first().markdown
+    assert md == "<!-- PAGE 1 -->\none\n\n<!-- PAGE 2 -->\nTwo"

@@ -236,7 +236,7 @@ def test_intents(spark):
 
 
 def test_strategies_states_and_models(spark):
-    rows = values(spark, [("show clause 4 of IS 5", "IDENTIFIER_HEAVY", "IDENTIFIER_SPECIFIC"), ("latest IS 5", "TEMPORAL_AWARE", "TEMPORAL"), ("does it apply to copper pipes", "APPLICABILITY_EVALUATION", "NORMAL"), ("does it apply to us", "APPLICABILITY_EVALUATION", "MISSING_REQUIRED_CONTEXT"), ("find standards for toys", "STANDARD_DISCOVERY", "SEMANTIC"), ("hm", "BROAD_FALLBACK", "AMBIGUOUS")], "t string, s string, q string", I.query_context(F.col("t")).alias("c"), "s", "q")
+    rows = values(spark, [("show clause 4 of IS 5", "IDENTIFIER_HEAVY", "IDENTIFIER_SPECIFIC"), ("latest IS 5", "TEMPORAL_AWARE", "TEMPORAL"), ("does it apply to PVC pipes", "APPLICABILITY_EVALUATION", "NORMAL"), ("does it apply to us", "APPLICABILITY_EVALUATION", "MISSING_REQUIRED_CONTEXT"), ("find standards for toys", "STANDARD_DISCOVERY", "SEMANTIC"), ("hm", "BROAD_FALLBACK", "AMBIGUOUS")], "t string, s string, q string", I.query_context(F.col("t")).alias("c"), "s", "q")
     assert [(r.c.strategy, r.c.state) for r in rows] == [(r.s, r.q) for r in rows]
     model = F.struct(F.lit("OTHER").alias("intent"), F.lit(0.9).alias("confidence"))
     pick = lambda t, m: tuple(values(spark, [(t,)], "t string", I.final_intent(I.intent(F.col("t")), m))[0][0])
