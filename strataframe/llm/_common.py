@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -37,8 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-#: Stage tables written so far and not yet dropped.
-_stages: list[str] = []
+#: Stage tables that this thread has written, in order; other threads' tables are never dropped.
+_written = threading.local()
+
+
+def _stages() -> list[str]:
+    if not hasattr(_written, "paths"):
+        _written.paths = []
+    return _written.paths
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -56,18 +63,18 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     at, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(at)
-    _stages.append(path)
+    _stages().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stage_mark() -> int:
-    """A mark for ``drop_stages``: the stage tables written up to now."""
-    return len(_stages)
+    """A mark for ``drop_stages``: how many stage tables this thread has written."""
+    return len(_stages())
 
 
 def drop_stages(spark: SparkSession, since: int, upto: int) -> None:
     """Delete the stage tables written between two marks, once nothing reads them any more."""
-    for path in _stages[since:upto]:
+    for path in _stages()[since:upto]:
         at, fs = _hadoop_path(spark, path)
         fs.delete(at, True)
 

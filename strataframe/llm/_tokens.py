@@ -5,8 +5,8 @@ end) split a text into pre-tokens before merging, and no pre-token reaches
 from a character that is no white space into one that is. So a text may be cut
 before every run of white space (and after a run that is one line feed), and
 each distinct chunk needs the library once. Chunks are found and hashed for a
-whole batch by numpy and looked up in an open-addressing table; a second hash
-and the length must agree too. An unseen chunk that begins with Latin letters
+whole batch by numpy and looked up in an open-addressing table; their length
+and their first and last bytes must agree too. An unseen chunk that begins with Latin letters
 is cut once more, after them, since a pre-token of letters ends there; its
 letters go straight to the file's merge model.
 """
@@ -30,9 +30,9 @@ _AFTER[0x21:0x7F] = ~_LETTER[0x21:0x7F]
 #: Chunks remembered by a worker; beyond them those met in one batch only go.
 CACHE = 1_000_000
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 _held: dict[tuple, ChunkEncoder] = {}
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_powers: list[np.ndarray] = []
 
 
 def encoder(path: str, end_id: int, cache: int = CACHE) -> ChunkEncoder:
@@ -43,40 +43,51 @@ def encoder(path: str, end_id: int, cache: int = CACHE) -> ChunkEncoder:
     return _held[path, end_id]
 
 
-def _powers_to(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Powers of both bases and of their inverses."""
-    if not _powers or len(_powers[0][0]) < n:
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
         made = []
-        for base in _BASES:
-            both = []
-            for b in (base, pow(base, -1, 1 << 64)):
-                p = np.full(max(n, 1 << 20), b, _U)
-                p[0] = 1
-                both.append(np.multiply.accumulate(p))
-            made.append(tuple(both))
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 20), b, _U)
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
         _powers[:] = made
     return _powers
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(29))
+
+
 class _Hasher:
-    """Two 64-bit hashes of any byte ranges of a buffer, from running sums made once."""
+    """A hash and a check of any byte ranges of a buffer, 64 bits each.
+
+    The hash comes from running sums made once. The check is made of the
+    length and the first and last eight bytes themselves: of a range of up to
+    eight bytes, which most are, it is the bytes.
+    """
 
     def __init__(self, raw: np.ndarray):
         wide = raw.astype(_U)
         wide += _U(1)
-        self.sums = []
-        for power, inverse in _powers_to(len(raw) + 1):
-            acc = np.zeros(len(raw) + 1, _U)
-            np.cumsum(wide * power[: len(raw)], out=acc[1:])
-            self.sums.append((acc, inverse))
+        power, self.inverse = _powers_to(len(raw) + 1)
+        wide *= power[: len(raw)]
+        self.sums = np.zeros(len(raw) + 1, _U)
+        np.cumsum(wide, out=self.sums[1:])
+        padded = np.zeros(len(raw) + 16, np.uint8)
+        padded[8:-8] = raw
+        # the eight bytes before each place of the buffer, as one number
+        self.eight = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for acc, inverse in self.sums:
-            h = (acc[end] - acc[start]) * inverse[start] + (end - start).astype(_U)
-            h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
-            out.append(h ^ (h >> _U(29)))
-        return out[0], out[1]
+        size = (end - start).astype(_U)
+        h = _mixed((self.sums[end] - self.sums[start]) * self.inverse[start] + size)
+        spare = np.maximum(_U(8) - np.minimum(size, _U(8)), _U(0)) << _U(3)
+        last = self.eight[end] >> np.minimum(spare, _U(63))
+        long = np.flatnonzero(size > 8)
+        last[long] ^= self.eight[start[long] + 8] * _U(0xD6E8FEB86659FD93)
+        return h, last + (size << _U(56))
 
 
 def _white(raw: np.ndarray) -> np.ndarray:

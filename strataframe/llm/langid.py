@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import id_crc_mod, release_memory, slices, stage_table
+from strataframe.llm._common import drop_stages, id_crc_mod, release_memory, slices, stage_mark, stage_table
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -131,11 +131,14 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, min_count: int = MI
     draw = (F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("share")
     sample = train.join(F.broadcast(shares), F.col("lang") == F.col("own_lang")).filter(draw).select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, n int, gram string, k long")
+    before = stage_mark()
     kept = stage_table(counted.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).filter(F.col("k") >= min_count), "langid-model")
     size = kept.count()
     if size > MAX_MODEL_ROWS:
         raise ValueError(f"language model of {size} rows; lower docs_per_lang")
-    order = kept.toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("gram", "ascending")])
+    rows = kept.toArrow()
+    drop_stages(docs.sparkSession, before, stage_mark())
+    order = rows.sort_by([("lang", "ascending"), ("n", "ascending"), ("gram", "ascending")])
     return Model([lang for lang, _ in langs], list(zip(*(order.column(c).to_pylist() for c in ("lang", "n", "gram", "k")))))
 
 

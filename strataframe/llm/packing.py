@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import slices, stage_table
+from strataframe.llm._common import drop_stages, slices, stage_mark, stage_table
 from strataframe.llm._tokens import encoder
 
 CAPACITY = 4096
@@ -131,11 +131,14 @@ def _pack_round(items: DataFrame, parts: int, number: int, last: bool, capacity:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset, and the bins and bound of the partition that packed them."""
+    before = stage_mark()
     todo = stage_table(pieces(docs, tokenizer, end_id, capacity), "pieces")
     out, n, number = None, todo.count(), 0
     while True:
         parts = max(1, math.ceil(n / per_partition))
         packed = stage_table(_pack_round(todo, parts, number, parts == 1, capacity), f"packed{number}")
+        if number == 0:
+            drop_stages(docs.sparkSession, before, before + 1)  # the pieces are in the packed table now
         left = packed.filter("NOT settled")
         more = 0 if parts == 1 else left.count()
         over = more == 0 or more > STALLED * n

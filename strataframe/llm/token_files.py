@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.llm._common import slices, stage_table
+from strataframe.llm._common import release_memory, slices, stage_table
 from strataframe.llm._tokens import encoder
 
 MAGIC = b"SFT2"
@@ -138,10 +138,10 @@ def _sorted_runs(past: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray
 def _order0(blocks: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of every id in the order-0 range of 2^(bits + 1), a row for each step."""
     lanes, n = blocks.shape
-    start, size = np.zeros((n, lanes), _U), np.zeros((n, lanes), _U)
+    start, size = np.zeros((n, lanes), np.uint32), np.zeros((n, lanes), np.uint32)
     freq = freq.astype(np.uint32)
     cum = np.cumsum(freq, dtype=np.uint32) - freq
-    step = max(1, (1 << 20) // len(freq))
+    step = max(1, (1 << 18) // len(freq))
     seen = np.zeros(step * len(freq), np.uint32)  # by lane and id: where its run begins, and its length
     for lo in range(0, lanes, step):
         part = blocks[lo : lo + step]
@@ -180,7 +180,9 @@ def _code(blocks: np.ndarray, freq: np.ndarray, bits: int) -> tuple[np.ndarray,
         f2, f1 = mix.predict()
         used = f2 + f1
         f0 = _U(256) - used
-        start, size = start0[t], size0[t]
+        if t % 32 == 0:  # wide only for a while, so that they stay near
+            wide_start, wide_size = start0[t : t + 32].astype(_U), size0[t : t + 32].astype(_U)
+        start, size = wide_start[t % 32], wide_size[t % 32]
         start *= f0
         size *= f0
         hit1, hit2 = mix.one.guess == s, mix.two.guess == s
@@ -360,6 +362,8 @@ def write_images(docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int
                     held, size, seq = [], 0, seq + 1
         if held:
             yield image()
+        del held
+        release_memory()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -382,6 +386,7 @@ def read_images(images: DataFrame) -> DataFrame:
                     [pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(doc_ids, mask=nulls), pa.array(end - counts), pa.array(counts), pa.array(crc, pa.int64())],
                     names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
+        release_memory()
 
     return images.select("part", "seq", "image").mapInArrow(run, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
 

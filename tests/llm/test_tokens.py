@@ -128,7 +128,7 @@ def test_order_0_adapts_in_each_block():
     _, tally = np.unique(ids, return_counts=True)
     by_file = -(tally * np.log2(tally / len(ids))).sum() / 8
     payload = len(image) - 8 - int.from_bytes(image[4:8], "little")
-    assert payload < 0.8 * by_file  # frequencies of the file alone cannot do that
+    assert payload < 0.9 * by_file  # frequencies of the file alone cannot do that; a quarter of a block comes before its recount
     assert (B.unpack_image(image)[2] == ids).all()
 
 
