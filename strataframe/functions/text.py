@@ -188,10 +188,9 @@ def context_prefix(standard: Column, edition: Column, path: Column, clause: Colu
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words, punctuation trimmed at their ends only. One generated pass, no lambda."""
-    mark = "[" + re.escape(PUNCTUATION) + "]+"
-    bare = F.regexp_replace(F.lower(c), rf"(?<!\S){mark}|{mark}(?!\S)", "")
-    return F.array_remove(F.split(bare, r"\s+"), "")
+    """Lower-case words, punctuation trimmed at their ends only: from the first other character of a run to its last."""
+    other = "[^\\s" + re.escape(PUNCTUATION) + "]"
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"{other}(?:\S*{other})?"), F.lit(0))
 
 
 def normalize_query(c: Column) -> Column:

@@ -28,10 +28,10 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
     Terms hold no spaces, so lengths pass through the same map-side combined
     count, and one pass over the texts gives frequencies, number and mean.
     """
-    words = X.tokens(F.col(text))
-    each = F.array_append(F.array_distinct(words), F.concat(F.lit(" "), F.greatest(F.size(words), F.lit(0)).cast("string")))
+    words = docs.select(F.coalesce(X.tokens(F.col(text)), F.array().cast("array<string>")).alias("w"))  # by itself, so that it is made once
+    each = F.array_append(F.array_distinct("w"), F.concat(F.lit(" "), F.size("w").cast("string")))
     # explode_outer: plain explode would evaluate its array once more, to filter out the empty ones
-    return docs.select(F.explode_outer(F.coalesce(each, F.array(F.lit(" 0")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return words.select(F.explode_outer(each).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(counts: DataFrame) -> tuple[DataFrame, Column]:
