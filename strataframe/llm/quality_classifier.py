@@ -2,14 +2,12 @@
 
 Every white-space token contributes its hashed whole-word vector and the
 hashed vectors of its character 3- to 5-grams (bytes, with boundary marks),
-and every pair of neighbouring tokens a hashed bigram vector. A bigram's bucket
-comes from the difference of its two word hashes, so pairs of different words
-spread over all buckets, and a word followed by itself has difference zero
-whatever the word: what such pairs mean is learned once for all words. A
+and every ordered pair of neighbouring tokens a hashed bigram vector. A
 document is the average of all of them, followed by a softmax. Vectors and
 output layer are trained together by numpy stochastic gradient descent on a
 bounded sample of at most about ``sample_rows`` labelled rows (drawn by a hash
-of doc_id, whole texts); documents with crc32(doc_id) mod 5 = 0 are never
+of doc_id, whole texts of at most ``TEXT_BYTES`` bytes, so the sample is
+bounded in bytes too); documents with crc32(doc_id) mod 5 = 0 are never
 learned from. Scoring is one pass over all rows without a shuffle: a token's
 logits are the sum of its vectors' products with the output layer, so they are
 computed once for each distinct token of a batch.
@@ -41,6 +39,8 @@ EPOCHS = 5
 BATCH = 16
 RATE = 40.0
 SAMPLE_ROWS = 2400
+#: Longer texts are not learned from (they are scored like others): with SAMPLE_ROWS the most bytes of a sample.
+TEXT_BYTES = 1 << 17
 _CACHE = 300_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -60,8 +60,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def bigrams(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the pairs of neighbouring word hashes."""
-    d = (hashes[:-1] - hashes[1:]) * _M
+    """Buckets of the ordered pairs of neighbouring word hashes."""
+    d = (hashes[:-1] * _P + hashes[1:]) * _M
     return _bucket((d ^ (d >> np.uint64(29))) * _P, buckets)
 
 
@@ -205,7 +205,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (id_crc_mod("doc_id", 5) != 0)).select(F.col("doc_id").cast("long").alias("label_id"), (F.col("quality") > 0).cast("int").alias("quality")).distinct()
     n = own.count()
     draw = (F.pmod(F.xxhash64(F.lit("quality"), F.col("label_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.lit(min(1.0, sample_rows / max(n, 1)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own.filter(draw)), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TEXT_BYTES)
+    return texts.join(F.broadcast(own.filter(draw)), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:

@@ -34,14 +34,48 @@ def test_scores_equal_the_plain_average():
     assert np.allclose(Q.Scorer(model)(many), alone, atol=1e-9)  # pairs do not cross texts
 
 
-def test_bigrams_of_a_word_with_itself_share_a_bucket():
+def test_bigrams_are_ordered_pairs():
     h = Q.word_hashes([b"a", b"a", b"b", b"b", b"a", b"c"])
-    p = Q.bigrams(h)
-    assert p[0] == p[2] and len(set(p.tolist())) == 4
-    texts = [b" ".join([w] * 2 + [b"x", b"y", b"z"]) for w in (b"q%d" % i for i in range(60))] + [b"q%d x q%d y z" % (i, i) for i in range(60)]
-    model = Q.train(texts, np.array([0] * 60 + [1] * 60))
-    new = Q.Scorer(model)([b"new new x y z", b"new x new y z"])
-    assert new[0] < 0.5 < new[1]  # learnt for words that training never saw
+    assert len(set(Q.bigrams(h).tolist())) == 5
+
+
+def test_training_is_gradient_descent_on_the_cross_entropy():
+    """The same steps by finite differences of the loss, one document and one feature after another."""
+    rng = np.random.default_rng(5)
+    words = [b"ab", b"cde", b"fghij", b"k", b"lmn", b"opq"]
+    texts = [b" ".join(rng.choice(words, rng.integers(0, 7))) for _ in range(20)]
+    y, buckets, dim, epochs, seed = rng.integers(0, 2, 20), 23, 3, 1, 11
+
+    def features_of(text):
+        w = text.split()
+        return [f for x in w for f in Q.features([x], buckets)[0].tolist()] + [int(Q.bigrams(Q.word_hashes(list(p)), buckets)[0]) for p in zip(w, w[1:])]
+
+    def loss(theta, docs):
+        emb, out, bias = theta[: buckets * dim].reshape(buckets, dim), theta[buckets * dim : -2].reshape(2, dim), theta[-2:]
+        total = 0.0
+        for d in docs:
+            z = np.mean([emb[f] for f in features_of(texts[d])], axis=0) @ out.T + bias
+            total += np.log(np.exp(z).sum()) - z[y[d]]
+        return total / len(docs)
+
+    draw = np.random.default_rng(seed)
+    theta = np.concatenate([draw.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32).ravel(), np.zeros(2 * dim + 2)]).astype(np.float64)
+    scale = np.concatenate([np.full(buckets * dim, 1.0), np.full(2 * dim, 0.1), np.full(2, 0.01)])
+    steps, order = -(-len(texts) // Q.BATCH), draw.permutation(len(texts))
+    for step in range(steps):
+        docs = [d for d in order[step * Q.BATCH : (step + 1) * Q.BATCH] if texts[d].split()]
+        grad = np.array([(loss(theta + e, docs) - loss(theta - e, docs)) / 2e-5 for e in np.eye(len(theta)) * 1e-5])
+        theta = theta - Q.RATE * (1 - step / steps) * scale * grad
+    emb, out = theta[: buckets * dim].reshape(buckets, dim), theta[buckets * dim : -2].reshape(2, dim)
+    model = Q.train(texts, y, seed, buckets, dim, epochs)
+    assert np.allclose(model["logit"], emb @ (out[1] - out[0]), atol=2e-3) and abs(model["bias"] - (theta[-1] - theta[-2])) < 1e-3
+
+
+def test_long_texts_are_not_learned_from(spark):
+    df = D.frame(spark, [D.row(1, "x " * Q.TEXT_BYTES), D.row(2, None), D.row(3, D.prose(3))])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in Q.training_rows(df, labels).collect()) == [2, 3]
+    assert Q.classify(df, Q.fit(df, labels)).count() == 3
 
 
 def test_repeated_rows_do_not_grow_the_sample(spark):
