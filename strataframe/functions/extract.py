@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import text as X
 from strataframe.functions import units as U
+from strataframe.functions.grounding import quantities
 
 
 def _get(c: Column, pattern: str, group: int = 1) -> Column:
@@ -262,7 +263,9 @@ def translation_check(source: Column, translated: Column, consumer: Column, tip:
         invented = F.array_except(marks(t), marks(source))
         numbers = F.array_distinct(F.regexp_extract_all(source, F.lit(r"(?i)\bIS\s*([1-9]\d{1,5})\b"), F.lit(1)))
         gone = F.filter(numbers, lambda n: ~F.rlike(t, F.concat(F.lit(r"(?iU)(?:\bIS\s*|आईएस\s*|आई\.एस\.\s*)"), n, F.lit(r"(?![0-9])"))))
-        lost = F.array_except(X.numbers(F.regexp_replace(source, r"\[[^\]]*\]", " ")), X.numbers(F.regexp_replace(t, r"\[[^\]]*\]", " ")))
+        ascii_digits = F.translate(t, "०१२३४५६७८९", "0123456789")
+        first = lambda q: F.regexp_extract(F.replace(F.lower(q), F.lit(","), F.lit("")), r"^\S+", 0)
+        lost = X.let(ascii_digits, lambda x: F.filter(quantities(source), lambda q: ~F.rlike(x, F.concat(F.lit(r"\b\Q"), first(q), F.lit(r"\E\b")))))
         some = lambda a: F.size(a) > 0
         return F.array_compact(
             F.array(

@@ -232,8 +232,3 @@ def parse_date(c: Column) -> Column:
     """Y-m-d, d-m-Y (else m-d-Y) or 'd Mon Y'; NULL otherwise."""
     d = F.replace(F.replace(F.trim(c), F.lit("/"), F.lit("-")), F.lit("."), F.lit("-"))
     return F.coalesce(F.try_to_date(d, "yyyy-MM-dd"), F.try_to_date(d, "dd-MM-yyyy"), F.try_to_date(d, "MM-dd-yyyy"), F.try_to_date(c, "d MMM yyyy"))
-
-
-def numbers(c: Column) -> Column:
-    """Distinct numbers of a text, in order, Devanagari digits read as ASCII."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(c, "०१२३४५६७८९", "0123456789"), F.lit(r"(?<![\w.])\d+(?:\.\d+)?(?![\w])"), F.lit(0)))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.functions import grounding as G
 from strataframe.functions import text as X
 from strataframe.functions.extract import variants
 from strataframe.operators.retrieval import retrieve, top_k
@@ -379,19 +380,24 @@ def qco_applicability(product: Column, title: Column, evidence: Column) -> Colum
 
 
 def claims(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, claim: sentences of the answer, bullets stripped, empty and boilerplate ones left out."""
-    parts = F.split(F.regexp_replace(text, r"(?im)^\s*sources?:.*$", ""), r"(?<=[.!?।॥])\s+|\n+")
-    own = df.select(key, F.posexplode(parts).alias("pos", "raw")).withColumn("claim", F.trim(F.regexp_replace("raw", r"^\s*(?:[-*•]|\d+[.)])\s+", "")))
-    return own.filter((F.length("claim") > 2) & ~has(F.col("claim"), "as an assistant", "hope this helps")).select(key, "pos", "claim")
+    """key, claim_id, claim, kind, citations, footer: one row for each claim of an answer."""
+    return df.select(key, F.explode(G.claims(F.col(text))).alias("c")).select(key, "c.*")
 
 
-def claim_support(claim: Column, evidence: Column) -> Column:
-    """SUPPORTED, PARTIAL or UNSUPPORTED by numbers and shared stems of a claim."""
-    terms = lambda c: F.array_distinct(F.transform(F.filter(X.tokens(c), lambda w: F.length(w) > 3), X.stem))
-    own, there = terms(claim), terms(evidence)
-    overlap = F.size(F.array_intersect(own, there)) / F.greatest(F.size(own), F.lit(1))
-    wrong = F.size(F.array_except(X.numbers(claim), X.numbers(evidence))) > 0
-    return ladder((F.size(own) == 0, "SUPPORTED"), (wrong, "UNSUPPORTED"), (overlap < 0.50, "UNSUPPORTED"), (overlap < 0.70, "PARTIAL"), default="SUPPORTED")
+def validate(answers: DataFrame, key: str, text: str, evidence: DataFrame, relations: Column | None = None) -> DataFrame:
+    """key, claim_id, claim, kind, status, issues, cited of every claim of the answers.
+
+    ``evidence``: key, id ("EV1", ..) and the other fields of ``grounding.EVIDENCE``,
+    a few rows an answer. Notices (guidance, status headlines) are supported
+    interpretations; answers without claims have no rows.
+    """
+    fields = [f.split()[0] for f in G.EVIDENCE.split(", ")]
+    items = evidence.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("evidence"))
+    none = F.array().cast(f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in G.EVIDENCE.split(', '))}>>")
+    said = claims(answers, key, text).join(items, key, "left").withColumn("evidence", F.coalesce("evidence", none))
+    judged = said.withColumn("notice", G.is_notice(F.col("claim"))).withColumn("v", G.validated(F.col("claim"), F.col("kind"), F.col("citations"), F.col("footer"), F.col("evidence"), relations))
+    free = F.struct(F.lit("SUPPORTED").alias("status"), F.array().cast("array<string>").alias("issues"), F.lit(0).alias("cited"))
+    return judged.select(key, "claim_id", "claim", F.when(F.col("notice"), "INTERPRETATION").otherwise(F.col("kind")).alias("kind"), F.when(F.col("notice"), free).otherwise(F.col("v")).alias("v")).select(key, "claim_id", "claim", "kind", "v.*")
 
 
 def grounding(df: DataFrame, key: str, status: str, fact: Column | None = None, answer: str | None = None) -> DataFrame:
@@ -402,7 +408,7 @@ def grounding(df: DataFrame, key: str, status: str, fact: Column | None = None,
     and scored 1 if it is empty or asks for verification, else 0.
     """
     is_fact = F.col(status).isNotNull() & (F.lit(True) if fact is None else fact)
-    n, sup, part, bad = F.count(status), *[F.count_if(F.col(status) == s) for s in ("SUPPORTED", "PARTIAL", "UNSUPPORTED")]
+    n, sup, part, bad = F.count(status), *[F.count_if(F.col(status).isin(*s)) for s in (["SUPPORTED"], ["PARTIAL", "PARTIALLY_SUPPORTED"], ["UNSUPPORTED"])]
     facts = F.count_if(is_fact)
     silent = F.lit(0.0) if answer is None else F.max(F.when((F.coalesce(F.col(answer), F.lit("")) == "") | F.contains(F.col(answer), F.lit("Verification Required")), 1.0).otherwise(0.0))
     overall = ladder((bad > 0, "UNSUPPORTED"), (part > 0, "PARTIALLY_GROUNDED"), (n == 0, "UNVERIFIABLE"), default="FULLY_GROUNDED")
@@ -460,41 +466,3 @@ def scope_share(asked: dict[str, Column], match: dict[str, Column], conflict: Co
     year = ladder((~no(asked["year"]), 0.05), (no(match["year"]), 0.05), default=-0.10)
     any_asked = no(asked["standard"]) | no(asked["clause"]) | no(asked["amendment"]) | no(asked["year"])
     return F.when(any_asked, F.greatest(F.lit(0.0), F.least(F.lit(0.35), standard + clause + amendment + year))).otherwise(X.sigmoid(best) * 0.35)
-
-
-SEVERE = ("unknown_citation", "standard_mismatch", "clause_mismatch", "edition_mismatch", "amendment_mismatch", "numeric", "negative", "legal", "currentness", "supersession", "unsupported_terms")
-
-
-def claim_issues(claim: Column, evidence: Column, cited: Column, known: Column, footer: Column, is_current: Column) -> Column:
-    """array<string> of what a claim says beyond its evidence; identifiers, numbers and words are compared as sets."""
-    low, there = F.lower(claim), F.lower(evidence)
-    found = lambda c, p: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(p), F.lit(1)))
-    extra = lambda p: F.size(F.array_except(found(claim, p), found(evidence, p))) > 0
-    said = lambda c, words: F.rlike(c, F.lit(rf"\b(?:{words})\b"))
-    terms = lambda c: F.array_distinct(F.transform(F.filter(X.tokens(c), lambda w: F.length(w) > 3), X.stem))
-    own = terms(claim)
-    overlap = F.size(F.array_intersect(own, terms(evidence))) / F.greatest(F.size(own), F.lit(1))
-    foreign = F.length(F.regexp_replace(claim, r"[\x00-\x7f]", "")) > 0.3 * F.length(claim)
-    low_limit, high_limit = F.when(footer, 0.25).otherwise(0.50), F.when(footer, 0.45).otherwise(0.70)
-    counted = ~foreign & (F.size(own) > 0)
-    bare = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), X.STANDARD, " "), r"(?:clause|amendment(?: no\.?)?)\s*[\d.]+|\[\d+\]", " ")
-    checks = [
-        ("unknown_citation", F.size(F.array_except(cited, known)) > 0),
-        ("standard_mismatch", extra(X.STANDARD)),
-        ("clause_mismatch", extra(r"\bclause\s+(\d+(?:\.\d+)*)")),
-        ("edition_mismatch", extra(r":\s*((?:19|20)\d\d)\b")),
-        ("amendment_mismatch", extra(r"\bamendment\s*(?:no\.?\s*)?(\d+)")),
-        ("numeric", F.size(F.array_except(X.numbers(bare(claim)), X.numbers(evidence))) > 0),
-        ("negative", said(low, "not|no|never|without") & ~said(there, "not|no|never|without")),
-        ("legal", said(low, "mandatory|illegal|penalty|prohibited") & ~said(there, "mandatory|illegal|penalty|prohibited|shall|must")),
-        ("currentness", said(low, "current|latest|in force") & ~is_current),
-        ("supersession", said(low, "superseded|supersedes|withdrawn") & ~said(there, "superseded|supersedes|withdrawn")),
-        ("unsupported_terms", counted & (overlap < low_limit)),
-        ("partial_terms", counted & (overlap >= low_limit) & (overlap < high_limit)),
-    ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks]))
-
-
-def claim_verdict(issues: Column) -> Column:
-    severe = F.arrays_overlap(issues, F.array(*[F.lit(x) for x in SEVERE]))
-    return ladder((severe, "UNSUPPORTED"), (F.size(issues) > 0, "PARTIAL"), default="SUPPORTED")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import context as K
 from strataframe.functions import extract as E
+from strataframe.functions import grounding as G
 from strataframe.functions import text as X
 from strataframe.operators import chunking as C
 from strataframe.operators import retrieval as R
@@ -521,12 +522,26 @@ def _(t):
 
 
 @query("x38_claim_issues", """
-    SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN [] WHEN 1 THEN ['numeric'] WHEN 2 THEN ['standard_mismatch'] WHEN 3 THEN ['negative'] WHEN 4 THEN ['unknown_citation'] ELSE ['currentness'] END AS issues,
-    CASE WHEN p_partkey % 6 = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict FROM part""")
-def _(t):
+    WITH x AS (SELECT p_partkey AS p, p_size AS z, p_partkey % 5 AS s, p_size % 4 AS c, p_partkey % 3 AS a, p_size % 5 AS q FROM part),
+    y AS (SELECT p, list_concat(list_concat(list_concat(list_concat(list_concat(
+        CASE WHEN q = 4 THEN ['fake_or_unknown_citation_id:EV9'] ELSE [] END,
+        CASE WHEN z % 6 = 5 THEN ['unsupported_legal_conclusion'] ELSE [] END),
+        CASE WHEN s <> 0 AND p % 2 = 1 THEN ['standard_mismatch:claim=IS ' || (1200 + s)] ELSE [] END),
+        CASE WHEN ['4.1', '4', '4.1.3', '7'][1 + c] = '7' THEN ['clause_mismatch:claim=Clause 7'] ELSE [] END),
+        CASE WHEN a = 1 THEN ['amendment_mismatch:claim=Amendment 2'] ELSE [] END),
+        CASE WHEN z % 3 = 0 THEN ['unsupported_numerical_value:' || z || '.5 kg'] ELSE [] END) AS issues FROM x)
+    SELECT p AS p_partkey, issues, CASE WHEN len(issues) = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict FROM y""")
+def _(t):
+    """Standard, clause, amendment, number, phrase and citation vary each by itself."""
     P, Z = _columns()
-    k = P % 6
-    text = F.concat(F.lit("Pressure of pipes shall be "), F.when(k == 1, Z + 1).otherwise(Z), F.lit(" bar under IS "), F.when(k == 2, 7).otherwise(129), F.when(k == 3, " and not more").when(k == 5, " in current pipes").otherwise(""))
-    evidence = F.concat(F.lit("IS 129 says the pressure of all pipes under test shall be "), Z, F.lit(" bar and more, in pipes of the current kind"))
-    issues = D.claim_issues(text, evidence, F.array(F.when(k == 4, "9").otherwise("1")), F.array(F.lit("1")), F.lit(False), F.lit(False))
-    return t("part").select("p_partkey", issues.alias("issues"), D.claim_verdict(issues).alias("verdict"))
+    of = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + k).cast("int"))
+    s, no = P % 5, F.lit(None).cast("string")
+    text = F.concat(
+        F.lit("Clause "), of(["4.1", "4", "4.1.3", "7"], Z % 4), F.lit(" of IS "), 1200 + s, F.when(P % 3 > 0, F.concat(F.lit(" with Amendment "), F.when(P % 3 == 1, 2).otherwise(1))).otherwise(""),
+        F.lit(" gives pipes of weight "), Z, F.lit(".5 kg"), F.when(Z % 6 == 5, " that are legally invalid").otherwise(""),
+    )
+    content = F.concat(F.lit("It gives invalid pipes, legally, a weight of "), F.when(Z % 3 == 0, Z + 1).otherwise(Z), F.lit(".5 kg"), F.when(P % 2 == 0, F.concat(F.lit(" under IS "), 1200 + s)).otherwise(""))
+    e = F.struct(F.lit("EV1").alias("id"), no.alias("hash"), content.alias("content"), F.lit("IS 1200").alias("number"), F.lit("4.1").alias("clause"), no.alias("edition"), F.lit("1").alias("amendment"), no.alias("year"), F.lit(None).cast("boolean").alias("is_current"), F.array().cast("array<string>").alias("titles"))
+    cited = F.when(Z % 5 == 4, F.array(F.lit("EV9"), F.lit("EV1"))).otherwise(F.array(F.lit("EV1")))
+    v = G.validated(text, F.lit("FACT"), cited, F.lit(False), F.array(e))
+    return t("part").select("p_partkey", v.alias("v")).select("p_partkey", "v.issues", F.col("v.status").alias("verdict"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import extract as E
+from strataframe.functions import grounding as G
 from strataframe.functions import intent as I
 from strataframe.functions import text as X
 from strataframe.operators import joins
@@ -352,16 +353,50 @@ def _(t):
     return t("part").select("p_partkey", E.document_class(text, of(_FILES, F.col("p_partkey"))).alias("c")).select("p_partkey", "c.kind", F.bround("c.confidence", 6).alias("confidence"))
 
 
-@query("x35_claims", "SELECT doc_id, count(*) AS claims FROM (SELECT doc_id, trim(unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'))) AS c FROM documents) WHERE len(trim(regexp_replace(c, '^\\s*([-*•]|\\d+[.)])\\s+', ''))) > 2 GROUP BY 1")
-def _(t):
-    return D.claims(t("documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("claims"))
-
-
-@query("x38_claim_support", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS status FROM part")
-def _(t):
-    claim = F.concat(F.lit("Thickness shall exceed "), "p_size", F.lit(" millimetres"))
-    evidence = F.concat(F.lit("The thickness shall exceed "), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1), F.lit(" millimetres everywhere"))
-    return t("part").select("p_partkey", D.claim_support(claim, evidence).alias("status"))
+_RX = lambda words: "|".join(words).replace("'", "''")
+# lookbehind and lookahead have no form here: a mark is put where a sentence ends
+_CLAIMS = f"""
+    a AS (SELECT doc_id, text || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'Sources: [EV1], [EV2]' WHEN doc_id % 3 = 1 THEN '- It seems good [ev3]. Not missing? ' ELSE 'Status: in force' END AS t FROM documents),
+    b AS (SELECT doc_id, t, list_transform(regexp_extract_all(regexp_extract(t, '(?i)(?:Sources|References)\\s*:\\s*((?:\\[(?:EV\\d+|citation-\\d+)\\][,\\s]*)+)', 1), '(?i)\\[(EV\\d+|citation-\\d+)\\]', 1), lambda x: upper(x)) AS foot,
+          trim(regexp_replace(t, '(?is)\\n*(?:\\*\\*Sources:\\*\\*|Sources:|References:).*$', ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM a),
+    c AS (SELECT doc_id, foot, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(body, '([.!?।॥])\\s+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g'), '\\n([-*•]|\\d+\\.)', chr(1) || '\\1', 'g'), chr(1))) AS part FROM b),
+    d AS (SELECT doc_id, foot, trim(regexp_replace(trim(part, ' ' || chr(9) || chr(10) || chr(13)), '^[-*•\\d.]+\\s*', ''), ' ' || chr(9) || chr(10) || chr(13)) AS s FROM c),
+    e AS (SELECT doc_id, foot, regexp_extract_all(s, '(?i)\\[(EV\\d+|citation-\\d+)\\]', 1) AS own, trim(regexp_replace(s, '(?i)\\[(EV\\d+|citation-\\d+)\\]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS claim FROM d),
+    f AS (SELECT *, lower(claim) AS low, trim(lower(claim), '*: ,' || chr(9) || chr(10)) AS line FROM e WHERE claim <> ''),
+    g AS (SELECT *, CASE WHEN regexp_matches(low, '{_RX(G.UNCERTAIN)}') THEN 'UNCERTAINTY' WHEN regexp_matches(low, '{_RX(G.INTERPRETING)}') THEN 'INTERPRETATION' ELSE 'FACT' END AS kind, len(own) = 0 AND len(foot) > 0 AS footer
+          FROM f WHERE NOT regexp_matches(line, '^(?:{_RX((*G.SOURCE_HEADS, *G.STATUS_LINES))})$|^(?:{_RX((*G.SOURCE_STARTS, "status:"))})|(?:{_RX(G.CONSUMER_TIPS)})'))"""
+
+
+@query("x35_claims", f"WITH {_CLAIMS} SELECT doc_id, kind, footer, count(*) AS claims, sum(length(claim))::BIGINT AS chars, sum(CASE WHEN len(own) > 0 THEN len(own) ELSE len(foot) END)::BIGINT AS cited FROM g GROUP BY 1, 2, 3")
+def _(t):
+    """Claims of whole documents with a line of sources, a bullet or a status line under them."""
+    k = F.col("doc_id") % 3
+    tail = F.when(k == 0, "Sources: [EV1], [EV2]").when(k == 1, "- It seems good [ev3]. Not missing? ").otherwise("Status: in force")
+    said = D.claims(t("documents").withColumn("answer", F.concat("text", F.lit("\n\n"), tail)), "doc_id", "answer")
+    return said.groupBy("doc_id", "kind", "footer").agg(F.count("*").alias("claims"), F.sum(F.length("claim")).alias("chars"), F.sum(F.size("citations")).alias("cited"))
+
+
+_WORDS_OF = lambda c: f"list_distinct(regexp_extract_all({c}, '[a-z]{{3,}}'))"
+
+
+@query("x38_claim_support", """
+    WITH x AS (SELECT l.p_partkey, l.p_size AS said, r.p_size AS found, list_distinct(regexp_extract_all(lower(l.p_name), '[a-z]{3,}')) AS own, 'the shape of all is ' || lower(r.p_name) || ' with a thickness of ' || r.p_size || ' millimetres everywhere' AS source FROM part l JOIN part r ON r.p_partkey = l.p_partkey // 2),
+    y AS (SELECT *, list_filter(own, lambda w: NOT contains(source, CASE WHEN w LIKE '%s' AND len(w) > 3 THEN w[:-2] ELSE w END)) AS lost FROM x),
+    z AS (SELECT p_partkey, len(own) + 4 AS n, list_sort(lost) AS lost, said, found, source FROM y)
+    SELECT p_partkey, list_concat(CASE WHEN contains(source, said || ' mm') OR regexp_matches(source, '\\b' || said || '\\b') AND contains(source, 'mm') THEN [] ELSE ['unsupported_numerical_value:' || said || ' mm'] END,
+      CASE WHEN len(lost) * 1.0 / n >= 0.5 THEN ['unsupported_terms:missing=' || array_to_string(lost, ',')] WHEN 1 - len(lost) * 1.0 / n < 0.7 THEN ['partial_content_support:overlap=' || printf('%.2f', 1 - len(lost) * 1.0 / n)] ELSE [] END) AS issues FROM z""")
+def _(t):
+    """Sizes and names of parts claimed of other parts."""
+    l = t("part").select("p_partkey", "p_name", "p_size")
+    r = t("part").select(F.col("p_partkey").alias("r_key"), F.col("p_name").alias("r_name"), F.col("p_size").alias("r_size"))
+    x = l.join(r, F.col("r_key") == F.floor(F.col("p_partkey") / 2))
+    no = F.lit(None).cast("string")
+    content = F.concat(F.lit("The shape of all is "), "r_name", F.lit(" with a thickness of "), "r_size", F.lit(" mmillimetres everywhere"))
+    content = F.replace(content, F.lit("mmilli"), F.lit("milli"))
+    e = F.struct(F.lit("EV1").alias("id"), no.alias("hash"), content.alias("content"), no.alias("number"), no.alias("clause"), no.alias("edition"), no.alias("amendment"), no.alias("year"), F.lit(None).cast("boolean").alias("is_current"), F.array().cast("array<string>").alias("titles"))
+    claim = F.concat(F.lit("The thickness everywhere of a shape of millimetres for "), F.initcap("p_name"), F.lit(" is of "), "p_size", F.lit(" mm"))
+    v = G.validated(claim, F.lit("FACT"), F.array(F.lit("EV1")), F.lit(False), F.array(e))
+    return x.select("p_partkey", v.alias("v")).select("p_partkey", "v.issues")
 
 
 @query("x42_title_score", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataframe.functions import grounding as G
 from strataframe.functions import text as X
 from strataframe.functions import units as U
 from strataframe.operators import chunking as C
@@ -233,10 +234,20 @@ def _(t):
     return t("orders").select("o_orderkey", X.parse_date(form).alias("d"))
 
 
-@query("x36_numbers", "SELECT p_partkey, list_distinct([CAST(p_size AS VARCHAR), CAST(p_partkey AS VARCHAR)])[1] IS NOT NULL AS found, len(list_distinct([CAST(p_size AS VARCHAR), CAST(p_partkey AS VARCHAR)])) AS n FROM part")
+_SIZES = ["10mm", "1,100 V", "IS 3055 : 1994", "Clause 4.1", "six months", "2.50", "Amendment 3", "x9y", "15 January 2025", "Part 2 of 7 pieces", "३ kg"]
+
+
+@query("x36_numbers", f"""
+    WITH t AS (SELECT p_partkey, 'Of ' || p_size || ' ' || ['mm', 'and', 'kg', 'years', 'parts'][1 + p_partkey % 5] || ', ' || {_SIZES!r}[1 + p_partkey % 11] || ' or ' || {_SIZES!r}[1 + p_size % 11] || '; ' || p_partkey || ' units' AS t FROM part),
+    m AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(translate(t, '०१२३४५६७८९', '0123456789'), '(?i)\\bIS\\s*\\d+(?:\\s*[:/ -]\\s*\\d{{4}})?\\b', ' ', 'g'), '(?i)\\bClause\\s*\\d+(?:\\.\\d+)*\\b', ' ', 'g'), '(?i)\\b(?:Part|Amd|Amendment|Edition)\\s*\\d+\\b', ' ', 'g') AS m FROM t),
+    u AS (SELECT p_partkey, m, list_transform(regexp_extract_all(m, '{G.MEASURE}'), lambda x: lower(x)) AS u, regexp_extract_all(m, '{G.BARE}') AS n, regexp_extract_all(m, '{G.COUNTED}') AS w FROM m),
+    z AS (SELECT p_partkey, list_concat(list_concat(u, list_filter(n, lambda x: NOT list_contains(list_transform(u, lambda y: regexp_extract(y, '^[^ ]+')), x))), list_transform(w, lambda x: '6' || regexp_extract(lower(x), ' [a-z]+$'))) AS all_ FROM u)
+    SELECT p_partkey, list_filter(all_, lambda x, i: list_position(all_, x) = i) AS found FROM z""")
 def _(t):
-    n = X.numbers(F.concat(F.lit("size "), "p_size", F.lit(" for "), "p_partkey", F.lit(" and x9y")))
-    return t("part").select("p_partkey", (F.size(n) > 0).alias("found"), F.size(n).cast("long").alias("n"))
+    of = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + k % len(words)).cast("int"))
+    P, Z = F.col("p_partkey"), F.col("p_size")
+    text = F.concat(F.lit("Of "), Z, F.lit(" "), of(["mm", "and", "kg", "years", "parts"], P), F.lit(", "), of(_SIZES, P), F.lit(" or "), of(_SIZES, Z), F.lit("; "), P, F.lit(" units"))
+    return t("part").select("p_partkey", G.quantities(text).alias("found"))
 
 
 _STEM = " ".join(f"WHEN len(w) > {len(x) + 2} AND ends_with(w, '{x}') THEN w[:-{len(x) + 1}]" for x in X.SUFFIXES)
