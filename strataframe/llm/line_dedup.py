@@ -35,7 +35,7 @@ from strataframe.llm._common import ascii_lower, by_position, release_memory, sl
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Rows and bytes of text of a slice; a longer text is a slice by itself.
-SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 20
 #: Line hashes that a shard is made for.
 SHARD_KEYS = 1 << 18
 #: Bits of a level for each hash that reaches it, and the most levels.
