@@ -16,16 +16,35 @@ def _get(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.trim(F.regexp_extract(c, pattern, group)), F.lit(""))
 
 
+# How headers write numbers, amendments, editions and dates.
+HEADER_NUMBER = r"(?i)\bIS(?:\s+No\.?)?\s+(\d+)(?:\s*(?:-|\(Part\s*)\s*(\d+)\)?)?(?:\s*:\s*(\d{4}))?"
+HEADER_AMENDMENT = r"(?i)\b(?:Amendment|Amd\.?)(?:\s+No\.?)?\s*(\d+)"
+HEADER_EDITION = r"(?i)\b(First|Second|Third|Fourth|Fifth|Sixth|\d+(?:st|nd|rd|th)?)\s+Edition"
+HEADER_DATE = r"(?i)(?:published|effective|dated?)[:\s]+(\d{1,2}\s+\w+\s+\d{4}|\w+\s+\d{4}|\d{4}-\d{2}-\d{2})"
+
+
 def header(text: Column, filename: Column) -> Column:
-    """struct of number, year, part, amendment, edition, title and document type of a text's head."""
-    head = F.array_join(F.slice(F.split(text, "\n"), 1, 40), "\n")
-    start = F.lower(F.concat(F.substring(text, 1, 2000), F.lit("\n"), filename))
-    kind = reduce(lambda c, w: c.when(F.contains(start, F.lit(w[0])), w[1]), [("draft", "draft"), ("gazette", "gazette"), ("quality control order", "qco"), ("manual", "manual")], F.when(F.contains(start, F.lit("amendment")), "amendment"))
-    kind = kind.when(F.rlike(start, F.lit(r"\bis\s*:?\s*\d+")), "indian_standard").otherwise("other")
-    title = F.coalesce(_get(head, r"(?m)^# +(.+)$"), _get(head, r"(?im)^title: *(.+)$"))
+    """struct of number, year, part, amendment, edition, published, title and document type of a text's head; NULL where it says nothing.
+
+    The title is the first of its 40 first lines that is a heading of the first
+    level (no page mark) or begins with 'TITLE:'.
+    """
+    start, name = F.lower(F.substring(text, 1, 2000)), F.lower(filename)
+    says = lambda w: F.contains(start, F.lit(w))
+    kind = (
+        F.when(says("amendment") | F.contains(name, F.lit("amd")), "amendment")
+        .when(says("indian standard") | F.startswith(name, F.lit("is")), "indian_standard")
+        .when(says("guideline"), "guideline")
+        .when(says("draft"), "draft")
+    )
+    lines = F.transform(F.slice(F.split(text, r"\r\n|\n|\r"), 1, 40), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    titled = lambda x: F.startswith(F.upper(x), F.lit("TITLE:"))
+    headed = lambda x: F.startswith(x, F.lit("# ")) & (F.length(x) > 3) & ~F.rlike(x, F.lit(r"(?i)<!--\s*PAGE\s+\d+"))
+    title = X.let(F.get(F.filter(lines, lambda x: titled(x) | headed(x)), F.lit(0)), lambda x: F.nullif(F.trim(F.when(headed(x), F.substring(x, F.lit(3), F.length(x))).otherwise(F.substring(x, F.lit(7), F.length(x)))), F.lit("")))
+    number, part = _get(text, HEADER_NUMBER), _get(text, HEADER_NUMBER, 2)
     return F.struct(
-        _get(head, X.STANDARD).alias("number"), _get(head, r"(?i)\bIS[\s:\-]*\d+[^\n]{0,20}?:\s*(\d{4})").cast("int").alias("year"), _get(head, X.STANDARD, 2).alias("part"),
-        _get(head, r"(?i)amendment\s*no\.?\s*(\d+)").alias("amendment"), _get(head, r"(?i)\(?(first|second|third|fourth|fifth|sixth|seventh)\s+revision").alias("edition"), title.alias("title"), kind.alias("document_type"),
+        F.when(part.isNotNull(), F.concat(F.lit("IS "), number, F.lit("-"), part)).otherwise(F.concat(F.lit("IS "), number)).alias("number"), _get(text, HEADER_NUMBER, 3).cast("int").alias("year"), part.alias("part"),
+        _get(text, HEADER_AMENDMENT).alias("amendment"), _get(text, HEADER_EDITION, 0).alias("edition"), _get(text, HEADER_DATE).alias("published"), title.alias("title"), kind.alias("document_type"),
     )
 
 
@@ -34,12 +53,16 @@ def relation(number: Column, kind: Column) -> Column:
     return F.when(number.isNull(), "none").when(kind.isin("indian_standard", "amendment", "draft"), "identity").otherwise("reference")
 
 
-def context_contradictions(context: Column, standard: Column, clause: Column) -> Column:
-    """What a generated context says against its chunk: other standards, clauses that are no ancestors."""
+def context_contradictions(context: Column, standard: Column, clause: Column, amendment: Column | None = None) -> Column:
+    """What a generated context says against its chunk: other standards, clauses that are no ancestors, other amendments."""
     others = F.transform(F.array_distinct(F.filter(F.regexp_extract_all(context, F.lit(X.STANDARD), F.lit(1)), lambda n: F.concat(F.lit("IS "), n) != standard)), lambda n: F.concat(F.lit("standard IS "), n))
     clauses = F.regexp_extract_all(context, F.lit(r"(?i)\bclause\s+(\d+(?:\.\d+)*)"), F.lit(1))
     wrong = F.filter(F.array_distinct(clauses), lambda c: (c != clause) & ~F.startswith(clause, F.concat(c, F.lit("."))))
-    return F.concat(others, F.transform(wrong, lambda c: F.concat(F.lit("clause "), c)))
+    out = F.concat(others, F.transform(wrong, lambda c: F.concat(F.lit("clause "), c)))
+    if amendment is None:
+        return out
+    amended = F.filter(F.array_distinct(F.regexp_extract_all(context, F.lit(r"(?i)\bAmendment\s+(\d+)\b"), F.lit(1))), lambda a: a != amendment.cast("string"))
+    return F.concat(out, F.transform(F.coalesce(amended, F.array().cast("array<string>")), lambda a: F.concat(F.lit("amendment "), a)))
 
 
 def cache_key(*parts: Column) -> Column:
@@ -47,13 +70,20 @@ def cache_key(*parts: Column) -> Column:
 
 
 # Plurals of product words.
-SINGULAR = {"cables": "cable", "pipes": "pipe", "heaters": "heater", "helmets": "helmet", "cylinders": "cylinder", "bottles": "bottle", "toys": "toy", "valves": "valve", "pumps": "pump", "wires": "wire", "lamps": "lamp", "motors": "motor", "bars": "bar", "tanks": "tank", "stoves": "stove", "tyres": "tyre"}
+SINGULAR = {
+    "thermometers": "thermometer", "heaters": "heater", "cables": "cable", "batteries": "battery", "pipes": "pipe", "helmets": "helmet", "cookers": "cooker", "bars": "bar", "toys": "toy",
+    "bottles": "bottle", "cylinders": "cylinder", "valves": "valve", "meters": "meter", "pumps": "pump", "transformers": "transformer", "appliances": "appliance", "switches": "switch",
+    "connectors": "connector", "articles": "article", "artefacts": "artefact", "artifacts": "artifact", "wires": "wire", "tubes": "tube", "sheets": "sheet", "plates": "plate", "fittings": "fitting",
+}
+
 
 def product_text(c: Column) -> Column:
-    """Hyphen splits joined, quotes removed, plurals of known products made singular."""
-    c = F.regexp_replace(F.regexp_replace(c, r"(\w)-\s*\n\s*(\w)", "$1$2"), "[\"'_“”‘’]", "")
+    """Words broken at a hyphen joined, quotes removed, plurals of known products made singular in their own case."""
+    c = F.regexp_replace(F.regexp_replace(F.trim(c), r"(\b[a-zA-Z]{3,})-\s+([a-zA-Z]{3,}\b)", "$1$2"), "[\"'`_]", " ")
     table = F.create_map(*[F.lit(x) for kv in SINGULAR.items() for x in kv])
-    return F.array_join(F.transform(F.split(F.trim(c), r"\s+"), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), " ")
+    cased = lambda w, one: F.when(w == F.upper(w), F.upper(one)).when(F.substring(w, 1, 1) == F.upper(F.substring(w, 1, 1)), F.initcap(one)).otherwise(one)
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: X.let(F.try_element_at(table, F.lower(w)), lambda one: F.when(one.isNull(), w).otherwise(cased(w, one)))), " ")
 
 
 def variants(*parts: Column, most: int = 6) -> Column:

@@ -34,8 +34,9 @@ def unit_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(UNITS, "unit string, canonical string, factor double, offset double, dimension string")
 
 
-def _looked_up(unit: Column, column: int) -> Column:
-    table = F.create_map(*[F.lit(x) for u in UNITS for x in (u[0], u[column])])
+def unit_details(unit: Column) -> Column:
+    """struct<canonical, factor, offset, dimension> of a unit, NULL for an unknown one: one look-up for all four."""
+    table = F.create_map(*[x for u in UNITS for x in (F.lit(u[0]), F.struct(F.lit(u[1]).alias("canonical"), F.lit(u[2]).alias("factor"), F.lit(u[3]).alias("offset"), F.lit(u[4]).alias("dimension")))])
     return F.try_element_at(table, plain_unit(unit))
 
 
@@ -45,17 +46,21 @@ def plain_unit(unit: Column) -> Column:
 
 
 def canonical_unit(unit: Column) -> Column:
-    return F.coalesce(_looked_up(unit, 1), unit)
+    return F.coalesce(unit_details(unit)["canonical"], unit)
+
+
+def _scaled(value: Column, details: Column) -> Column:
+    return value * F.coalesce(details["factor"], F.lit(1.0)) + F.coalesce(details["offset"], F.lit(0.0))
 
 
 def canonical_value(value: Column, unit: Column) -> Column:
     """value * factor + offset; unknown units keep the value."""
-    return value * F.coalesce(_looked_up(unit, 2), F.lit(1.0)) + F.coalesce(_looked_up(unit, 3), F.lit(0.0))
+    return X.let(unit_details(unit), lambda d: _scaled(value, d))
 
 
 def units_agree(a: Column, b: Column) -> Column:
     """Same dimension; unknown units by text; a unit on one side only never agrees."""
-    dim = lambda u: F.coalesce(_looked_up(u, 4), plain_unit(u), F.lit(""))
+    dim = lambda u: F.coalesce(unit_details(u)["dimension"], plain_unit(u), F.lit(""))
     return dim(a) == dim(b)
 
 
@@ -128,22 +133,54 @@ def _requirement(line: Column) -> Column:
     )
 
 
-def compare(value: Column, tolerance: Column, unit: Column, op: Column, lower: Column, upper: Column, nominal: Column, req_unit: Column) -> Column:
-    """State of a measured value against a requirement: MATCH, PARTIAL_MATCH, MISMATCH, UNVERIFIABLE or MISSING."""
-    v = canonical_value(value, unit)
-    scale = F.coalesce(_looked_up(unit, 2), F.lit(1.0))
-    t = F.coalesce(tolerance * scale, F.lit(0.0))
-    lo, hi, n = canonical_value(lower, req_unit), canonical_value(upper, req_unit), canonical_value(nominal, req_unit)
+def compare(
+    value: Column, tolerance: Column, unit: Column, op: Column, lower: Column, upper: Column, nominal: Column, req_unit: Column,
+    low: Column | None = None, high: Column | None = None, text: Column | None = None, req_text: Column | None = None, req_tolerance: Column | None = None,
+) -> Column:
+    """State of a specified value against a requirement: MATCH, PARTIAL_MATCH, MISMATCH, UNVERIFIABLE or MISSING.
+
+    A specification is a ``value`` with a tolerance, a range ``low`` to ``high``,
+    or a ``text``, which only EQ and CONTAINS without a threshold compare (with
+    ``req_text``). It is MISSING where it has none of them. Units are compared
+    where both sides have one; strict signs count as weak ones.
+    """
+    null = F.lit(None)
+    low, high, text, req_text, req_tolerance = (null.cast(t) if c is None else c for c, t in ((low, "double"), (high, "double"), (text, "string"), (req_text, "string"), (req_tolerance, "double")))
+    facts = F.struct(
+        unit_details(unit).alias("u"), unit_details(req_unit).alias("r"), value.cast("double").alias("v"), tolerance.cast("double").alias("t"), low.cast("double").alias("low"), high.cast("double").alias("high"),
+        lower.cast("double").alias("lo"), upper.cast("double").alias("hi"), nominal.cast("double").alias("n"), req_tolerance.cast("double").alias("rt"), op.alias("op"),
+    )
+
+    def scaled(f: Column) -> Column:
+        n, lo, hi = (_scaled(f[c], f["r"]) for c in ("n", "lo", "hi"))
+        spread = F.when(f["lo"].isNull(), f["rt"] * F.coalesce(f["r"]["factor"], F.lit(1.0)))
+        return F.struct(
+            _scaled(f["v"], f["u"]).alias("v"), F.coalesce(f["t"] * F.coalesce(f["u"]["factor"], F.lit(1.0)), F.lit(0.0)).alias("t"), _scaled(f["low"], f["u"]).alias("low"), _scaled(f["high"], f["u"]).alias("high"),
+            F.coalesce(n - spread, lo).alias("lo"), F.coalesce(n + spread, hi).alias("hi"), n.alias("n"), f["op"].alias("op"),
+        )
+
+    apart = plain_unit(unit).isNotNull() & plain_unit(req_unit).isNotNull() & ~units_agree(unit, req_unit)
+    worded = F.when(F.coalesce(op.isin("EQ", "CONTAINS") & nominal.isNull(), F.lit(False)), F.when(F.contains(F.lower(F.coalesce(req_text, F.lit(""))), F.lower(F.trim(text))), "MATCH").otherwise("MISMATCH")).otherwise("UNVERIFIABLE")
+    return (
+        F.when(value.isNull() & low.isNull() & high.isNull() & text.isNull(), "MISSING")
+        .when(apart, "UNVERIFIABLE")
+        .when(value.isNull() & low.isNull() & high.isNull(), worded)
+        .otherwise(X.let(facts, lambda f: X.let(scaled(f), _state)))
+    )
+
+
+def _state(f: Column) -> Column:
+    """The decision over canonical numbers; a missing limit or value leaves it UNVERIFIABLE."""
+    v, t, lo, hi, n = (f[c] for c in ("v", "t", "lo", "hi", "n"))
     state = lambda full, part: F.when(full, "MATCH").when(part, "PARTIAL_MATCH").otherwise("MISMATCH")
+    inside = lambda a, b: state((a >= lo - EPS) & (b <= hi + EPS), (a <= hi) & (b >= lo))
+    most, least = F.coalesce(n, hi), F.coalesce(n, lo)
     close = F.abs(v - n) <= F.greatest(F.lit(1e-4) * F.greatest(F.abs(v), F.abs(n)), F.lit(1e-4))
-    limit_hi, limit_lo = F.coalesce(hi, n), F.coalesce(lo, n)
-    return (
-        F.when(value.isNull(), "MISSING")
-        .when(~units_agree(unit, req_unit), "UNVERIFIABLE")
-        .when(op.isin("LE", "LT"), F.when(limit_hi.isNull(), "UNVERIFIABLE").otherwise(state(v + t <= limit_hi + EPS, v <= limit_hi + EPS)))
-        .when(op.isin("GE", "GT"), F.when(limit_lo.isNull(), "UNVERIFIABLE").otherwise(state(v - t >= limit_lo - EPS, v >= limit_lo - EPS)))
-        .when(op == "RANGE", F.when(lo.isNull() | hi.isNull(), "UNVERIFIABLE").otherwise(state((v - t >= lo - EPS) & (v + t <= hi + EPS), (v - t <= hi + EPS) & (v + t >= lo - EPS))))
-        .when(lo.isNotNull() & hi.isNotNull(), F.when(v.between(lo - EPS, hi + EPS), "MATCH").otherwise("MISMATCH"))
-        .when(n.isNull(), "UNVERIFIABLE")
-        .otherwise(F.when(close, "MATCH").otherwise("MISMATCH"))
+    bounded = lo.isNotNull() & hi.isNotNull()
+    found = (
+        F.when(f["op"].isin("LE", "LT"), F.when(most.isNotNull() & v.isNotNull(), state(v + t <= most + EPS, v <= most + EPS)))
+        .when(f["op"].isin("GE", "GT"), F.when(least.isNotNull() & v.isNotNull(), state(v - t >= least - EPS, v >= least - EPS)))
+        .when(f["op"] == "RANGE", F.when(bounded & v.isNotNull(), inside(v - t, v + t)).when(bounded & f["low"].isNotNull() & f["high"].isNotNull(), inside(f["low"], f["high"])))
+        .when(f["op"] == "EQ", F.when(bounded, F.when(v.isNotNull(), F.when(v.between(lo - EPS, hi + EPS), "MATCH").otherwise("MISMATCH"))).when(n.isNotNull() & v.isNotNull(), F.when(close, "MATCH").otherwise("MISMATCH")))
     )
+    return F.coalesce(found, F.lit("UNVERIFIABLE"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import groupby
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,11 +194,32 @@ def write_gate(df: DataFrame, checks: dict[str, Column], strict: bool) -> tuple[
     return good, bad
 
 
-def index_state(df: DataFrame, version: str, version_col: str, valid: Column) -> DataFrame:
-    """One row: rows, mismatches, violations and the state of an index."""
-    counts = df.agg(F.count("*").alias("n"), F.count_if(~F.col(version_col).eqNullSafe(F.lit(version))).alias("mismatches"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("violations"))
-    state = F.when(F.col("n") == 0, "INDEX_EMPTY").when(F.col("mismatches") > 0, "INDEX_SCHEMA_MISMATCH").when(F.col("violations") > 0, "INDEX_CORRUPT").otherwise("INDEX_READY")
-    return counts.withColumn("state", state)
+def index_state(df: DataFrame, version: str, version_col: str, valid: Column, readable: Column | None = None) -> DataFrame:
+    """One row: rows, mismatches, violations and the state of an index.
+
+    ``readable``: whether a row's metadata could be read. Rows of which none
+    could are a corrupt index; violations count in rows of this version alone.
+    """
+    seen = F.lit(True) if readable is None else F.coalesce(readable, F.lit(False))
+    same = F.col(version_col).eqNullSafe(F.lit(version))
+    counts = df.agg(F.count("*").alias("n"), F.count_if(seen & ~same).alias("mismatches"), F.count_if(seen & same & ~F.coalesce(valid, F.lit(False))).alias("violations"), F.count_if(seen).alias("__seen"))
+    state = (
+        F.when(F.col("n") == 0, "INDEX_EMPTY")
+        .when(F.col("__seen") == 0, "INDEX_CORRUPT")
+        .when(F.col("mismatches") > 0, "INDEX_SCHEMA_MISMATCH")
+        .when(F.col("violations") > 0, "INDEX_CORRUPT")
+        .otherwise("INDEX_READY")
+    )
+    return counts.withColumn("state", state).drop("__seen")
+
+
+def index_state_at(spark, path: str, version: str, version_col: str, valid: Column, readable: Column | None = None) -> DataFrame:
+    """``index_state`` of a stored index; INDEX_UNAVAILABLE, with NULL counts, where it cannot be opened."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([(None, None, None, "INDEX_UNAVAILABLE")], "n long, mismatches long, violations long, state string")
+    return index_state(stored, version, version_col, valid, readable)
 
 
 def parents(df: DataFrame, key: str, pos: str, level: str, deepest: int) -> DataFrame:

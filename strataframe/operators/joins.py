@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions import text as X
+from strataframe.operators.patterns import occurring
 
 
 def linked(targets: DataFrame, key: str, edges: DataFrame, edge_type: str, source: Column) -> DataFrame:
@@ -42,9 +43,11 @@ def with_parent(clauses: DataFrame, scope: str, number: str) -> DataFrame:
     return clauses.join(parents, (F.col(scope) == F.col("__scope")) & (X.parent_clause(F.col(number)) == F.col("parent")), "left").drop("__scope")
 
 
-def references(df: DataFrame, key: str, text: str, known: DataFrame, number: str) -> DataFrame:
-    """Distinct standards a text mentions, RESOLVED where they are known."""
+def references(df: DataFrame, key: str, text: str, known: DataFrame, number: str, own: Column | None = None) -> DataFrame:
+    """Distinct standards that a text mentions beside its ``own`` number, RESOLVED where they are known."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(X.STANDARD), F.lit(1)), lambda n: F.concat(F.lit("IS "), n)))
+    if own is not None:
+        found = F.array_remove(found, F.coalesce(own, F.lit("")))
     exploded = df.select(key, F.explode(found).alias("reference"))
     k = known.select(F.col(number).alias("__known")).distinct()
     return exploded.join(k, F.col("reference") == F.col("__known"), "left").select(key, "reference", F.when(F.col("__known").isNull(), "UNRESOLVED").otherwise("RESOLVED").alias("state"))
@@ -189,21 +192,16 @@ def catalogue_score(text: Column, products: Column, title: Column, category: Col
 def match_catalogue(asks: DataFrame, q_key: str, q_text: str, catalogue: DataFrame, c_key: str, products: str, title: str, category: str, known: Column | None = None, least: int = 3) -> DataFrame:
     """q_key, c_key, score: the best catalogue row of each description, if it scores ``least``; ties go to the smaller key.
 
-    A word of the catalogue can only count where it lies inside a word of the
-    text, so rows meet by an equi-join of catalogue words with the parts of the
-    texts' words that are as long as one of them; every pair that can score is
-    a candidate, no other is compared.
+    A word of the catalogue can only count where it lies in the text, so the
+    texts are searched for all words at once, in time linear in their length,
+    and rows meet where they share one: every pair that can score is a
+    candidate, no other is compared.
     """
     names = F.flatten(F.transform(F.coalesce(F.col(products), F.array().cast("array<string>")), lambda p: F.split(F.lower(F.trim(p)), r"\s+")))
     words = F.array_distinct(F.array_remove(F.concat(names, _title_words(F.col(title)), F.regexp_extract_all(F.lower(F.coalesce(F.col(category), F.lit(""))), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))), ""))
     keys = catalogue.select(F.col(c_key), F.explode(words).alias("__w"))
-    sizes = [r[0] for r in keys.select(F.length("__w")).distinct().orderBy(F.length("__w")).limit(1000).collect()]
-    if not sizes:
-        return asks.select(q_key).limit(0).join(catalogue.select(c_key).limit(0)).withColumn("score", F.lit(0))
-    parts = lambda w: F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.transform(F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(w, i, n))))
-    # the text is not exploded with its words: only parts that the catalogue has come through
-    own = asks.select(q_key, F.explode(_words(F.col(q_text))).alias("__t")).select(q_key, F.explode(F.array_distinct(parts(F.col("__t")))).alias("__p"))
-    pairs = own.join(keys, F.col("__p") == F.col("__w")).select(q_key, c_key).distinct()
+    found = occurring(asks.select(q_key, F.lower(q_text).alias("__low")), q_key, "__low", keys, "__w")
+    pairs = found.join(keys, F.col("pattern") == F.col("__w")).select(q_key, c_key).distinct()
     scored = pairs.join(asks.select(F.col(q_key).alias("__q"), F.col(q_text).alias("__text")), F.col(q_key) == F.col("__q")).join(catalogue.select(F.col(c_key).alias("__c"), products, title, category), F.col(c_key) == F.col("__c"))
     scored = scored.withColumn("score", catalogue_score(F.col("__text"), F.col(products), F.col(title), F.col(category), known)).filter(F.col("score") >= least)
     return scored.groupBy(q_key).agg(F.min_by(F.struct(c_key, "score"), F.struct(-F.col("score"), F.col(c_key))).alias("b")).select(q_key, f"b.{c_key}", "b.score")

@@ -24,28 +24,64 @@ def has(text: Column, *words: str) -> Column:
     return F.rlike(F.lower(text), F.lit(r"\b(?:" + "|".join(words) + r")\b"))
 
 
+# Document classes and places of publication with their rights.
+STATUTORY_CLASSES = ("QCO", "QCO_AMENDMENT", "GAZETTE_NOTIFICATION")
+GUIDE_CLASSES = ("PRODUCT_MANUAL", "TESTING_SCHEME", "CERTIFICATION_GUIDANCE", "LABORATORY_DIRECTORY")
+LICENSED_CLASSES = ("STANDARD", "AMENDMENT")
+GAZETTE_HOST, GUIDE_HOST, STANDARDS_HOST = "egazette.gov.in", "manakonline.in", "standardsbis.bsbedge.com"
+MANUAL_HOST, MANUAL_PATHS, ORDER_HOST = "bis.gov.in", ("product-manual", "pm_", "guideline", "cart", "uploads"), "dpiit.gov.in"
+WANTED_STANDARDS = ("IS 16444", "IS 1293", "IS 15885", "IS 1786", "IS 3055", "IS 1417", "IS 9873")
+
+
+def _holds(c: Column, *words: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(F.contains(c, F.lit(w)), F.lit(False)) for w in words])
+
+
 def rights(domain: Column, kind: Column) -> Column:
-    """struct<license, can_reproduce, can_index> of a source document."""
+    """struct<license, can_reproduce, can_index> of a source document: statutory texts and public guides are public, standards are licensed."""
     out = lambda lic, rep, idx: F.struct(F.lit(lic).alias("license"), F.lit(rep).alias("can_reproduce"), F.lit(idx).alias("can_index"))
-    return ladder((kind.isin("GAZETTE", "QCO"), out("PUBLIC", True, True)), (kind == "MANUAL", out("PUBLIC", True, True)), ((kind == "STANDARD") | F.contains(domain, F.lit("standards")), out("LICENSED", False, True)), default=out("UNKNOWN", False, False))
+    of = lambda classes: F.coalesce(kind.isin(*classes), F.lit(False))
+    return ladder(
+        (_holds(domain, GAZETTE_HOST) | of(STATUTORY_CLASSES), out("PUBLIC", True, True)),
+        (_holds(domain, GUIDE_HOST) & of(GUIDE_CLASSES), out("PUBLIC", True, True)),
+        (_holds(domain, STANDARDS_HOST) | of(LICENSED_CLASSES), out("LICENSED", False, True)),
+        default=out("UNKNOWN_RIGHTS", False, False),
+    )
+
+
+def access(url: Column, kind: Column) -> Column:
+    """struct<rights, status>: whether a document may be fetched, by its address, then its class."""
+    out = lambda r, s: F.struct(F.lit(r).alias("rights"), F.lit(s).alias("status"))
+    of = lambda *classes: F.coalesce(kind.isin(*classes), F.lit(False))
+    return X.let(
+        F.lower(F.coalesce(url, F.lit(""))),
+        lambda u: ladder(
+            (_holds(u, MANUAL_HOST) & _holds(u, *MANUAL_PATHS), out("PUBLIC", "PENDING")),
+            (_holds(u, GAZETTE_HOST, ORDER_HOST) | of("QCO", "GAZETTE_NOTIFICATION"), out("PUBLIC", "PENDING")),
+            (_holds(u, STANDARDS_HOST) | of("STANDARD", "STANDARD_SPECIFICATION"), out("LICENSE_REQUIRED", "BLOCKED_ACCESS")),
+            (_holds(u, "login"), out("LOGIN_REQUIRED", "BLOCKED_ACCESS")),
+            default=out("UNKNOWN", "BLOCKED_ACCESS"),
+        ),
+    )
 
 
-def access(kind: Column, is_public: Column, is_active: Column, url: Column) -> Column:
-    """struct<rights, status, reason>: five ordered branches."""
-    out = lambda r, s, why: F.struct(F.lit(r).alias("rights"), F.lit(s).alias("status"), F.lit(why).alias("reason"))
+def priority(kind: Column, granted: Column) -> Column:
+    """0 (most urgent) to 5: orders, manuals and tests, metadata, public standards, amendments, the rest."""
+    up = F.upper(kind)
     return ladder(
-        (~is_active, out("RESTRICTED", "BLOCKED", "source is not active")),
-        (~F.rlike(url, F.lit(r"^https?://")), out("UNKNOWN", "BLOCKED", "not a web address")),
-        (kind == "STANDARD", out("LICENSED", "METADATA_ONLY", "licensed text")),
-        (is_public, out("PUBLIC", "ALLOWED", "public source")),
-        default=out("UNKNOWN", "REVIEW", "rights are not known"),
+        (_holds(up, "QCO", "GAZETTE", "STATUTORY"), F.lit(0)),
+        (_holds(up, "MANUAL", "STI", "TESTING"), F.lit(1)),
+        (_holds(up, "METADATA"), F.lit(2)),
+        (F.coalesce(granted == "PUBLIC", F.lit(False)) & _holds(up, "STANDARD"), F.lit(3)),
+        (_holds(up, "AMENDMENT", "REVISION", "CORRIGENDA"), F.lit(4)),
+        default=F.lit(5),
     )
 
 
-def priority(text: Column) -> Column:
-    """0 (most urgent) to 5 by the first group of words found."""
-    groups = [("qco", "quality control"), ("amendment",), ("standard",), ("manual", "scheme"), ("notice", "circular")]
-    return ladder(*[(reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in g]), F.lit(i)) for i, g in enumerate(groups)], default=F.lit(5))
+def queue_class(kind: Column, identifier: Column) -> Column:
+    """1 to 4: mandatory orders, manuals and schemes, standards in demand, other standards."""
+    of = lambda *classes: F.coalesce(kind.isin(*classes), F.lit(False))
+    return ladder((of(*STATUTORY_CLASSES), F.lit(1)), (of("PRODUCT_MANUAL", "TESTING_SCHEME", "LABORATORY_DIRECTORY"), F.lit(2)), (_holds(identifier, *WANTED_STANDARDS), F.lit(3)), default=F.lit(4))
 
 
 def best_match(left: DataFrame, l_key: str, right: DataFrame, r_key: str, score: Column, least: float) -> DataFrame:

@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataframe.operators.patterns import occurring
+
 
 def superseded(versions: DataFrame, key: str, year: Column, edges: DataFrame, target: str) -> DataFrame:
-    """Versions an edge names by id, or by a year inside its target: equi-joins on both, no loop over pairs."""
+    """Versions an edge names by id, or whose year lies anywhere in its target; targets are searched for all years at once."""
     t = edges.select(F.col(target).cast("string").alias("__t")).distinct()
     by_id = versions.join(t, F.col(key).cast("string") == F.col("__t"), "left_semi")
-    years = t.select(F.explode(F.regexp_extract_all("__t", F.lit(r"\d{4}"), F.lit(0))).alias("__y")).distinct()
-    by_year = versions.join(years, year.cast("string") == F.col("__y"), "left_semi")
+    aged = versions.select(key, year.cast("string").alias("__y"))
+    years = occurring(t, "__t", "__t", aged, "__y").select("pattern").distinct()
+    by_year = aged.join(years, F.col("__y") == F.col("pattern"), "left_semi")
     return by_id.select(key).unionByName(by_year.select(key)).distinct()
 
 

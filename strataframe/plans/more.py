@@ -45,10 +45,15 @@ def _(t):
     return S.upsert_replace(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), "vec_id", "label")
 
 
-@query("s12_registry_enums", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'gazette' ELSE 'portal' END AS source_type, CASE WHEN s_suppkey % 2 = 0 THEN 'weekly' ELSE 'daily' END AS crawl_frequency FROM supplier")
+_TYPES, _OFTEN = [*files.SOURCE_TYPES, "carrier pigeon", None, "gazette"], [*files.FREQUENCIES, "hourly", None]
+
+
+@query("s12_registry_enums", """
+    SELECT s_suppkey, coalesce(['OFFICIAL_PORTAL', 'GAZETTE', 'STANDARDS_BODY', 'MINISTRY_PORTAL', 'REGULATOR_PORTAL', 'LABORATORY_REGISTRY'][1 + s_suppkey % 9], 'OFFICIAL_PORTAL') AS source_type,
+      coalesce(['DAILY', 'WEEKLY', 'BIWEEKLY', 'MONTHLY', 'MANUAL'][1 + s_suppkey % 7], 'DAILY') AS crawl_frequency FROM supplier""")
 def _(t):
-    raw = t("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "GAZETTE").otherwise("carrier pigeon").alias("source_type"), F.when(F.col("s_suppkey") % 2 == 0, "Weekly").otherwise("hourly").alias("crawl_frequency"))
-    return files.with_known_enums(raw)
+    of = lambda words: F.element_at(F.array(*[F.lit(w) for w in words]), (1 + F.col("s_suppkey") % len(words)).cast("int"))
+    return files.with_known_enums(t("supplier").select("s_suppkey", of(_TYPES).alias("source_type"), of(_OFTEN).alias("crawl_frequency")))
 
 
 @query("s13_html_tables", "SELECT page_id, len(regexp_extract_all(html, '(?i)<tr')) AS rows_seen FROM pages")
@@ -109,11 +114,22 @@ def _(t):
     return t("part").select("p_partkey", X.heading_candidate(line).alias("heading"))
 
 
-@query("x09_header_fields", "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS number, 2000 + p_size AS year, CAST(p_size AS VARCHAR) AS amendment, p_name AS title, 'amendment' AS document_type FROM part")
+@query("x09_header_fields", """
+    WITH p AS (SELECT *, p_partkey % 6 AS k, p_size % 4 AS z FROM part)
+    SELECT p_partkey, 'IS ' || p_partkey || CASE WHEN k < 3 THEN '-' || p_size ELSE '' END AS number, CASE WHEN z > 0 THEN 2000 + p_size END AS year, CASE WHEN k < 3 THEN CAST(p_size AS VARCHAR) END AS part,
+      CASE WHEN k = 1 THEN CAST(p_size AS VARCHAR) END AS amendment, CASE z WHEN 1 THEN 'Second Edition' WHEN 2 THEN '3rd edition' END AS edition, CASE WHEN z = 3 THEN '12 May 2004' WHEN z = 0 THEN '2004-05-12' END AS published,
+      CASE WHEN k = 5 THEN NULL ELSE p_name END AS title, CASE WHEN k IN (1, 4) THEN 'amendment' WHEN k = 2 OR z = 1 THEN 'indian_standard' WHEN k = 3 THEN 'guideline' WHEN k = 0 THEN 'draft' END AS document_type FROM p""")
 def _(t):
     P, Z = _columns()
-    head = F.concat(F.lit("# "), "p_name", F.lit("\nIS "), P, F.lit(" : "), 2000 + Z, F.lit("\nAmendment No. "), Z, F.lit("\n"))
-    return t("part").select("p_partkey", E.header(head, F.lit("a.pdf")).alias("h")).select("p_partkey", "h.number", "h.year", "h.amendment", "h.title", "h.document_type")
+    k, z = P % 6, Z % 4
+    head = F.concat(
+        F.lit("<!-- PAGE 1 -->\n# <!-- PAGE 2 -->\n#\n"), F.when(k == 5, "no heading\n").when(k % 2 == 0, F.concat(F.lit("  # "), "p_name", F.lit("\r\nTITLE: other\n"))).otherwise(F.concat(F.lit("Title: "), "p_name", F.lit("\n# other\n"))),
+        F.lit("IS "), F.when(k < 2, F.concat(P, F.lit(" (Part "), Z, F.lit(")"))).when(k == 2, F.concat(P, F.lit(" - "), Z)).otherwise(P), F.when(z > 0, F.concat(F.lit(" : "), 2000 + Z)).otherwise(""), F.lit("\n"),
+        F.when(k == 1, F.concat(F.lit("Amd. No. "), Z, F.lit(" is an AMENDMENT\n"))).when(k == 2, "Indian Standard of pipes\n").when(k == 3, "A guideline, no draft\n").when(k == 0, "DRAFT\n").otherwise(""),
+        F.when(z == 1, "Second Edition\n").when(z == 2, "3rd edition\n").when(z == 3, "Dated: 12 May 2004\n").otherwise("effective 2004-05-12\n"),
+    )
+    name = F.when(k == 4, "x_AMD_2.pdf").when(z == 1, "IS_1.pdf").otherwise("this.pdf")
+    return t("part").select("p_partkey", E.header(head, name).alias("h")).select("p_partkey", "h.*")
 
 
 @query("x12_chunk_id", "SELECT doc_id, substring(sha256('d::s::' || trim(text)), 1, 16) AS raw FROM documents")
@@ -135,19 +151,27 @@ def _(t):
 @query("x18_context_check", """
     WITH x AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS own, CAST(p_partkey + p_size % 2 AS VARCHAR) AS other, ['4', '4.2', '4.2.1', '7'][1 + p_size % 4] AS a, ['4.1', '4', '9.9'][1 + p_partkey % 3] AS b FROM part)
     SELECT p_partkey, list_concat(CASE WHEN other <> own THEN ['standard IS ' || other] ELSE [] END,
-      list_transform(list_filter(CASE WHEN a = b THEN [a] ELSE [a, b] END, lambda c: c <> '4.2' AND NOT starts_with('4.2', c || '.')), lambda c: 'clause ' || c)) AS wrong FROM x""")
+      list_concat(list_transform(list_filter(CASE WHEN a = b THEN [a] ELSE [a, b] END, lambda c: c <> '4.2' AND NOT starts_with('4.2', c || '.')), lambda c: 'clause ' || c),
+      CASE WHEN p_partkey % 4 = 1 THEN ['amendment 1'] ELSE [] END)) AS wrong FROM x""")
 def _(t):
     P, Z = _columns()
     a = F.element_at(F.array(*[F.lit(x) for x in ("4", "4.2", "4.2.1", "7")]), (1 + Z % 4).cast("int"))
     b = F.element_at(F.array(*[F.lit(x) for x in ("4.1", "4", "9.9")]), (1 + P % 3).cast("int"))
-    c = F.concat(F.lit("From IS "), P, F.lit(" clause "), a, F.lit(" and IS-"), P + Z % 2, F.lit(" Clause "), b)
-    return t("part").select("p_partkey", E.context_contradictions(c, F.concat(F.lit("IS "), P), F.lit("4.2")).alias("wrong"))
+    c = F.concat(F.lit("From IS "), P, F.lit(" clause "), a, F.lit(" and IS-"), P + Z % 2, F.lit(" Clause "), b, F.when(P % 4 > 0, F.concat(F.lit(" by Amendment "), P % 4)).otherwise(""))
+    return t("part").select("p_partkey", E.context_contradictions(c, F.concat(F.lit("IS "), P), F.lit("4.2"), F.when(P % 4 == 1, 2).when(P % 4 != 0, P % 4)).alias("wrong"))
+
+
+_PLURAL = list(E.SINGULAR)
 
 
-@query("x23_product_text", "SELECT p_partkey, 'copper pipe ' || p_partkey || ' heater' AS name FROM part")
+@query("x23_product_text", f"""
+    WITH w AS (SELECT p_partkey, {_PLURAL!r}[1 + p_partkey % 26] AS p, {list(E.SINGULAR.values())!r}[1 + p_partkey % 26] AS s, p_size % 3 AS z FROM part)
+    SELECT p_partkey, 'copper ' || CASE z WHEN 0 THEN s WHEN 1 THEN upper(s) ELSE upper(s[1]) || s[2:] END || ' ' || p_partkey || ' glass a-b' AS name FROM w""")
 def _(t):
     P, Z = _columns()
-    return t("part").select("p_partkey", E.product_text(F.concat(F.lit("cop-\nper Pipes "), P, F.lit(" 'heaters'"))).alias("name"))
+    w = F.element_at(F.array(*[F.lit(x) for x in _PLURAL]), (1 + P % 26).cast("int"))
+    cased = F.when(Z % 3 == 0, w).when(Z % 3 == 1, F.upper(w)).otherwise(F.initcap(w))
+    return t("part").select("p_partkey", E.product_text(F.concat(F.lit(" cop-\nper  "), cased, F.lit(" '"), P, F.lit("' `glass` a-b "))).alias("name"))
 
 
 _SAID = [
@@ -372,8 +396,8 @@ def _(t):
 @query("r10_discovery")
 def _(t):
     docs = t("documents").select("doc_id", "text", F.concat(F.lit("IS "), F.col("doc_id") % 40).alias("standard"), (F.col("doc_id") % 7).cast("string").alias("clause"))
-    titles = t("benchmark").select(F.concat(F.lit("IS "), F.col("item_id")).alias("standard"), F.substring("text", 1, 40).alias("title"))
-    products = t("benchmark").select("item_id", F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ").alias("name"))
+    titles = t("benchmark").select(F.concat(F.lit("IS "), F.col("item_id")).alias("standard"), F.col("text").alias("title"))
+    products = t("benchmark").select("item_id", F.regexp_replace("text", r"\s+", " ").alias("name"))
     known = t("benchmark").select("item_id", F.concat(F.lit("IS "), (F.col("item_id") + 1) % 40).alias("standard"))
     return D.discover(products, "item_id", "name", docs, "doc_id", "text", "standard", "clause", titles, "title", known, k=5)
 

@@ -16,27 +16,47 @@ from strataframe.plans import query
 from strataframe.streaming import state as ST
 
 
-@query("f18_rights_case", """
-    SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'PUBLIC' WHEN event_type = 'view' THEN 'LICENSED' ELSE 'UNKNOWN' END AS license,
-    event_type IN ('purchase', 'signup') AS can_reproduce, event_type IN ('purchase', 'signup', 'view') AS can_index FROM events""")
+_CLASSES = ["QCO", "QCO_AMENDMENT", "GAZETTE_NOTIFICATION", "STANDARD", "AMENDMENT", "PRODUCT_MANUAL", "TESTING_SCHEME", "CERTIFICATION_GUIDANCE", "LABORATORY_DIRECTORY", "STANDARD_SPECIFICATION", "standard metadata", "Revision", "OTHER"]
+_HOSTS = ["egazette.gov.in", "www.manakonline.in", "standardsbis.bsbedge.com", "example.org", "www.bis.gov.in", "dpiit.gov.in"]
+_PATHS = ["/Product-Manual/1", "/login", "/a/pm_2.pdf", "/x", "/Uploads/y", "/standards"]
+
+
+def _one_of(words, k):
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (1 + k % len(words)).cast("int"))
+
+
+_KIND, _HOST = f"{_CLASSES!r}[1 + user_id % 13]", f"{_HOSTS!r}[1 + event_id % 6]"
+
+
+@query("f18_rights_case", f"""
+    WITH e AS (SELECT event_id, {_KIND} AS k, {_HOST} AS h FROM events),
+    r AS (SELECT event_id, CASE WHEN contains(h, 'egazette.gov.in') OR k IN ('QCO', 'QCO_AMENDMENT', 'GAZETTE_NOTIFICATION') THEN 'PUBLIC'
+      WHEN contains(h, 'manakonline.in') AND k IN ('PRODUCT_MANUAL', 'TESTING_SCHEME', 'CERTIFICATION_GUIDANCE', 'LABORATORY_DIRECTORY') THEN 'PUBLIC'
+      WHEN contains(h, 'standardsbis.bsbedge.com') OR k IN ('STANDARD', 'AMENDMENT') THEN 'LICENSED' ELSE 'UNKNOWN_RIGHTS' END AS license FROM e)
+    SELECT event_id, license, license = 'PUBLIC' AS can_reproduce, license <> 'UNKNOWN_RIGHTS' AS can_index FROM r""")
 def _(t):
-    kind = F.when(F.col("event_type") == "purchase", "GAZETTE").when(F.col("event_type") == "signup", "MANUAL").when(F.col("event_type") == "view", "STANDARD").otherwise("OTHER")
-    return t("events").select("event_id", D.rights(F.lit("example.org"), kind).alias("r")).select("event_id", "r.*")
+    r = D.rights(_one_of(_HOSTS, F.col("event_id")), _one_of(_CLASSES, F.col("user_id")))
+    return t("events").select("event_id", r.alias("r")).select("event_id", "r.*")
 
 
-@query("f19_access_case", """
-    SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'RESTRICTED' WHEN event_id % 10 = 1 THEN 'UNKNOWN' WHEN event_type = 'view' THEN 'LICENSED' WHEN value > 50 THEN 'PUBLIC' ELSE 'UNKNOWN' END AS rights,
-    CASE WHEN event_id % 10 IN (0, 1) THEN 'BLOCKED' WHEN event_type = 'view' THEN 'METADATA_ONLY' WHEN value > 50 THEN 'ALLOWED' ELSE 'REVIEW' END AS status FROM events""")
+@query("f19_access_case", f"""
+    WITH e AS (SELECT event_id, {_KIND} AS k, lower('https://' || {_HOST} || {_PATHS!r}[1 + (event_id // 6) % 6]) AS u FROM events),
+    r AS (SELECT event_id, CASE WHEN contains(u, 'bis.gov.in') AND regexp_matches(u, 'product-manual|pm_|guideline|cart|uploads') THEN 'PUBLIC' WHEN regexp_matches(u, 'egazette.gov.in|dpiit.gov.in') OR k IN ('QCO', 'GAZETTE_NOTIFICATION') THEN 'PUBLIC'
+      WHEN contains(u, 'standardsbis.bsbedge.com') OR k IN ('STANDARD', 'STANDARD_SPECIFICATION') THEN 'LICENSE_REQUIRED' WHEN contains(u, 'login') THEN 'LOGIN_REQUIRED' ELSE 'UNKNOWN' END AS rights FROM e)
+    SELECT event_id, rights, CASE rights WHEN 'PUBLIC' THEN 'PENDING' ELSE 'BLOCKED_ACCESS' END AS status FROM r""")
 def _(t):
-    url = F.when(F.col("event_id") % 10 == 1, "ftp://x").otherwise("https://x")
-    a = D.access(F.when(F.col("event_type") == "view", "STANDARD").otherwise("OTHER"), F.coalesce(F.col("value") > 50, F.lit(False)), F.col("event_id") % 10 != 0, url)
-    return t("events").select("event_id", a.alias("a")).select("event_id", "a.rights", "a.status")
+    i = F.col("event_id")
+    url = F.concat(F.lit("https://"), _one_of(_HOSTS, i), _one_of(_PATHS, F.floor(i / 6)))
+    return t("events").select("event_id", D.access(url, _one_of(_CLASSES, F.col("user_id"))).alias("a")).select("event_id", "a.*")
 
 
-@query("f20_priority_case", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 2 WHEN 'click' THEN 4 ELSE 5 END AS priority FROM events")
+@query("f20_priority_case", f"""
+    WITH e AS (SELECT event_id, upper({_KIND}) AS k, event_id % 2 = 0 AS pub, ['IS 1293', 'IS 5', 'IS 9873-2'][1 + event_id % 3] AS i FROM events)
+    SELECT event_id, CASE WHEN regexp_matches(k, 'QCO|GAZETTE|STATUTORY') THEN 0 WHEN regexp_matches(k, 'MANUAL|STI|TESTING') THEN 1 WHEN contains(k, 'METADATA') THEN 2 WHEN pub AND contains(k, 'STANDARD') THEN 3 WHEN regexp_matches(k, 'AMENDMENT|REVISION|CORRIGENDA') THEN 4 ELSE 5 END AS priority,
+      CASE WHEN k IN ('QCO', 'QCO_AMENDMENT', 'GAZETTE_NOTIFICATION') THEN 1 WHEN k IN ('PRODUCT_MANUAL', 'TESTING_SCHEME', 'LABORATORY_DIRECTORY') THEN 2 WHEN i <> 'IS 5' THEN 3 ELSE 4 END AS class FROM e""")
 def _(t):
-    text = F.when(F.col("event_type") == "purchase", "A Quality Control order").when(F.col("event_type") == "view", "Indian Standard").when(F.col("event_type") == "click", "Public notice").otherwise("other")
-    return t("events").select("event_id", D.priority(text).alias("priority"))
+    kind, i = _one_of(_CLASSES, F.col("user_id")), F.col("event_id")
+    return t("events").select("event_id", D.priority(kind, F.when(i % 2 == 0, "PUBLIC").otherwise("UNKNOWN")).alias("priority"), D.queue_class(kind, _one_of(["IS 1293", "IS 5", "IS 9873-2"], i)).alias("class"))
 
 
 @query("f21_quality_gate", "SELECT doc_id, n_chars > 200 AND lang IN ('en', 'fr') AND length(text) = n_chars AS passes FROM documents")
@@ -111,7 +131,7 @@ def _(t):
 
 
 _EV = """e AS (SELECT l_partkey AS k, l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS v, CASE WHEN l_linenumber % 3 = 0 THEN CASE l_returnflag WHEN 'R' THEN 'FAIL' WHEN 'A' THEN 'PASS' END END AS verdict,
-      l_tax > 0.06 AS expired, l_discount > 0.02 AS named, l_discount * 10 AS sure, CASE WHEN l_linenumber % 2 = 0 THEN CASE WHEN l_quantity <= 30 THEN 'MATCH' ELSE 'MISMATCH' END END AS state FROM lineitem WHERE l_quantity > 42),
+      l_tax > 0.06 AS expired, l_discount > 0.02 AS named, l_discount * 10 AS sure, CASE WHEN l_linenumber % 2 = 0 THEN CASE WHEN l_quantity <= 30 THEN 'MATCH' ELSE 'MISMATCH' END END AS state FROM lineitem),
     g AS (SELECT k, bool_or(verdict = 'PASS') AS p, bool_or(verdict = 'FAIL') AS f, max(v) AS hi, min(v) AS lo, count(v) AS c, bool_or(NOT expired) AS live,
       arg_min(named, (l_orderkey, l_linenumber)) FILTER (NOT expired) AS named, arg_min(sure, (l_orderkey, l_linenumber)) FILTER (NOT expired) AS sure, first(state ORDER BY l_orderkey, l_linenumber) FILTER (NOT expired) AS state FROM e GROUP BY 1),
     st AS (SELECT k, CASE WHEN p AND f THEN 'CONFLICTING' WHEN c >= 2 AND hi > 1.15 * lo THEN 'CONFLICTING' WHEN NOT live THEN 'EXPIRED' WHEN NOT named AND sure < 0.5 THEN 'UNVERIFIED' WHEN state IN ('PARTIAL_MATCH', 'MISMATCH') THEN 'PARTIAL' ELSE 'SUPPORTED' END AS status FROM g)"""
@@ -124,7 +144,7 @@ def _evidence(t):
     measured = F.when(n % 2 == 0, F.col("l_quantity").cast("double"))
     verdict = F.when(n % 3 == 0, F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "PASS"))
     state = F.when(measured.isNotNull(), compare(measured, none, F.lit("bar"), F.lit("LE"), none, F.lit(30.0), none, F.lit("bar")))
-    return D.evidence_status(t("lineitem").filter("l_quantity > 42"), "l_partkey", F.struct("l_orderkey", "l_linenumber"), measured, verdict, state, F.col("l_tax") > 0.06, F.col("l_discount") > 0.02, F.col("l_discount") * 10)
+    return D.evidence_status(t("lineitem"), "l_partkey", F.struct("l_orderkey", "l_linenumber"), measured, verdict, state, F.col("l_tax") > 0.06, F.col("l_discount") > 0.02, F.col("l_discount") * 10)
 
 
 @query("j14_evidence_decision", f"WITH {_EV} SELECT k AS l_partkey, status FROM st")
@@ -158,7 +178,7 @@ _LOW = "lower(p_name || ' ' || p_type || CASE WHEN p_size % 4 = 0 THEN ' apply r
 
 
 @query("j16_scored_match", f"""
-    WITH c AS (SELECT p_brand AS brand, list_slice(list_sort(list(DISTINCT p_name)), 1, 4) AS products, min(p_type) || ' specification part' AS title, max(p_type) AS category FROM part GROUP BY 1),
+    WITH c AS (SELECT p_brand AS brand, list_sort(list(DISTINCT p_name)) AS products, min(p_type) || ' specification part' AS title, max(p_type) AS category FROM part GROUP BY 1),
     q AS (SELECT p_partkey, {_LOW} AS d, list_filter(regexp_extract_all({_LOW}, '\\b[a-z]{{3,}}\\b'), lambda w: NOT list_contains({_sql_list(joins.ASK_STOP)}, w)) AS w FROM part),
     s AS (SELECT p_partkey, brand, list_sum(list_transform(products, lambda p: CASE WHEN contains(d, lower(p)) THEN 10 ELSE 3 * len(list_filter(string_split(lower(p), ' '), lambda x: len(x) > 3 AND contains(d, x))) END))
       + 2 * len(list_filter(regexp_extract_all(lower(title), '\\b[a-z]{{4,}}\\b'), lambda x: NOT list_contains({_sql_list(joins.TITLE_STOP)}, x) AND list_contains(w, x)))
@@ -166,7 +186,7 @@ _LOW = "lower(p_name || ' ' || p_type || CASE WHEN p_size % 4 = 0 THEN ' apply r
     SELECT p_partkey, arg_min(brand, (-score, brand)) AS brand, CAST(max(score) AS INT) AS score FROM s WHERE score >= 3 GROUP BY 1""")
 def _(t):
     p = t("part")
-    catalogue = p.groupBy(F.col("p_brand").alias("brand")).agg(F.slice(F.array_sort(F.collect_set("p_name")), 1, 4).alias("products"), F.concat(F.min("p_type"), F.lit(" specification part")).alias("title"), F.max("p_type").alias("category"))
+    catalogue = p.groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_set("p_name")).alias("products"), F.concat(F.min("p_type"), F.lit(" specification part")).alias("title"), F.max("p_type").alias("category"))
     asks = p.select("p_partkey", F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_size") % 4 == 0, " apply rings").otherwise("")).alias("text"))
     return joins.match_catalogue(asks, "p_partkey", "text", catalogue, "brand", "products", "title", "category")
 
@@ -206,7 +226,7 @@ def _(t):
 
 
 @query("a17_readiness", """
-    WITH a AS (SELECT l_partkey AS k, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_returnflag = 'A' THEN 0.5 ELSE 0.0 END) AS app, bool_or(l_returnflag = 'R') AS fits FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+    WITH a AS (SELECT l_partkey AS k, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_returnflag = 'A' THEN 0.5 ELSE 0.0 END) AS app, bool_or(l_returnflag = 'R') AS fits FROM lineitem GROUP BY 1),
     x AS (SELECT p_partkey, coalesce(app, 0) AS app, coalesce(fits, false) AS fits, CASE WHEN p_size % 4 <> 0 THEN p_size % 5 END AS m, CASE WHEN p_size % 4 <> 0 THEN p_size % 3 END AS g, CASE WHEN p_size % 6 <> 0 THEN p_size % 7 END AS req,
       least(p_size % 7, p_size % 5) AS sup, p_size % 11 = 0 AS con, p_size % 13 = 0 AS ex, p_size % 9 = 0 AS un FROM part LEFT JOIN a ON k = p_partkey)
     SELECT p_partkey, round_even(greatest(0, least(1, 0.25 * app + 0.35 * CASE WHEN m IS NULL THEN 0.3 WHEN m + g > 0 THEN m / (m + g) ELSE 0.5 END + 0.40 * CASE WHEN req IS NULL THEN 0.2 WHEN req > 0 THEN sup / req ELSE 0.5 END
@@ -214,7 +234,7 @@ def _(t):
     CASE WHEN con THEN 'VERIFICATION_REQUIRED' WHEN un THEN 'TEMPORAL_UNCERTAINTY' WHEN g > 0 THEN 'TECHNICAL_GAPS_FOUND' WHEN ex THEN 'DOCUMENT_GAPS_FOUND' WHEN req IS NULL OR sup < req THEN 'EVIDENCE_INCOMPLETE' WHEN fits THEN 'READY_FOR_HUMAN_REVIEW' ELSE 'VERIFICATION_REQUIRED' END AS state FROM x""")
 def _(t):
     status = F.when(F.col("l_returnflag") == "R", "APPLICABLE").when(F.col("l_returnflag") == "A", "POTENTIALLY_APPLICABLE").otherwise("INSUFFICIENT_EVIDENCE")
-    a = t("lineitem").filter("l_linenumber <= 2").withColumn("s", status).groupBy(F.col("l_partkey").alias("k")).agg(D.applicable_share(F.col("s")).alias("app"), F.bool_or(F.col("s") == "APPLICABLE").alias("fits"))
+    a = t("lineitem").withColumn("s", status).groupBy(F.col("l_partkey").alias("k")).agg(D.applicable_share(F.col("s")).alias("app"), F.bool_or(F.col("s") == "APPLICABLE").alias("fits"))
     x, s = t("part").join(a, F.col("p_partkey") == F.col("k"), "left"), F.col("p_size")
     m, g, req = F.when(s % 4 != 0, s % 5), F.when(s % 4 != 0, s % 3), F.when(s % 6 != 0, s % 7)
     sup, con, ex, un = F.least(s % 7, s % 5), s % 11 == 0, s % 13 == 0, s % 9 == 0

@@ -173,17 +173,17 @@ def _(t):
 
 @query("j07_reference_resolution", """
     WITH m AS (SELECT o_orderkey, unnest([CAST(o_custkey AS VARCHAR), CAST(o_custkey + 1000 AS VARCHAR)]) AS n FROM orders)
-    SELECT o_orderkey, 'IS ' || n AS reference, CASE WHEN p_partkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state FROM m LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = n""")
+    SELECT o_orderkey, 'IS ' || n AS reference, CASE WHEN p_partkey IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS state FROM m LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = n WHERE n <> CAST(o_orderkey % 100 AS VARCHAR)""")
 def _(t):
     rendered = t("orders").select("o_orderkey", F.concat(F.lit("see IS "), "o_custkey", F.lit(" and is: "), F.col("o_custkey") + 1000, F.lit(".")).alias("text"))
     known = t("part").select(F.concat(F.lit("IS "), F.col("p_partkey").cast("string")).alias("number"))
-    return joins.references(rendered, "o_orderkey", "text", known, "number")
+    return joins.references(rendered, "o_orderkey", "text", known, "number", F.concat(F.lit("IS "), F.col("o_orderkey") % 100))
 
 
 @query("j08_or_join", """
-    SELECT DISTINCT s_suppkey, l_orderkey FROM supplier JOIN lineitem ON (l_suppkey = s_suppkey OR l_partkey = s_suppkey) WHERE l_quantity > 45""")
+    SELECT s_suppkey, l_orderkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey UNION SELECT s_suppkey, l_orderkey FROM supplier JOIN lineitem ON l_partkey = s_suppkey""")
 def _(t):
-    edges = t("lineitem").filter("l_quantity > 45").select("l_orderkey", "l_suppkey", "l_partkey")
+    edges = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     return joins.either_end(t("supplier").select("s_suppkey"), "s_suppkey", edges, "l_suppkey", "l_partkey").select("s_suppkey", "l_orderkey").distinct()
 
 

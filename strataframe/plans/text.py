@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions import grounding as G
@@ -74,9 +77,18 @@ def _(t):
     return C.provenance_report(t("documents"), english=F.col("lang") == "en", long=F.col("n_chars") > 1000)
 
 
-@query("a09_index_state", "SELECT count(*) AS n, count(*) FILTER (lang <> 'en') AS mismatches, count(*) FILTER (n_chars <= 0) AS violations, 'INDEX_SCHEMA_MISMATCH' AS state FROM documents")
+@query("a09_index_state", """
+    WITH x AS (SELECT source, lang, n_chars, n_chars % 5 > 0 AS readable FROM documents),
+    y AS (SELECT l.lang AS version, count(*) AS n, count(*) FILTER (readable AND x.lang IS DISTINCT FROM l.lang) AS mismatches, count(*) FILTER (readable AND x.lang = l.lang AND n_chars % 3 = 0) AS violations, count(*) FILTER (readable) AS seen
+          FROM x, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) l WHERE x.lang = l.lang OR l.lang = 'en' GROUP BY 1)
+    SELECT version, n, mismatches, violations, CASE WHEN seen = 0 THEN 'INDEX_CORRUPT' WHEN mismatches > 0 THEN 'INDEX_SCHEMA_MISMATCH' WHEN violations > 0 THEN 'INDEX_CORRUPT' ELSE 'INDEX_READY' END AS state FROM y""")
 def _(t):
-    return C.index_state(t("documents"), "en", "lang", F.col("n_chars") > 0)
+    """The index of each language by itself, and of all rows taken for English."""
+    d, out = t("documents"), []
+    for lang in ("de", "en", "es", "fr"):
+        own = d if lang == "en" else d.filter(F.col("lang") == lang)
+        out.append(C.index_state(own, lang, "lang", F.col("n_chars") % 3 != 0, F.col("n_chars") % 5 > 0).filter("n > 0").withColumn("version", F.lit(lang)))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("a27_token_coverage", """

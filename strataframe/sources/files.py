@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 CHUNK = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("content", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 ENVELOPE = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("source_file", T.StringType()), T.StructField("total_chunks", T.LongType()), T.StructField("chunks", T.ArrayType(CHUNK))])
 RECORD = "source_id string, organization string, canonical_url string, source_type string, authority string, jurisdiction string, document_types array<string>, crawl_frequency string, enabled boolean"
-SOURCE_TYPES, FREQUENCIES = ("portal", "gazette", "api", "manual"), ("daily", "weekly", "monthly", "quarterly")
+# Enumerations of the registry; the first of each stands for unknown ones.
+SOURCE_TYPES = ("OFFICIAL_PORTAL", "GAZETTE", "STANDARDS_BODY", "MINISTRY_PORTAL", "REGULATOR_PORTAL", "LABORATORY_REGISTRY")
+FREQUENCIES = ("DAILY", "WEEKLY", "BIWEEKLY", "MONTHLY", "MANUAL")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +95,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_known_enums(df: DataFrame) -> DataFrame:
-    known = lambda c, values: F.when(F.lower(c).isin(*values), F.lower(c)).otherwise(F.lit(values[0]))
+    known = lambda c, values: F.when(c.isin(*values), c).otherwise(F.lit(values[0]))
     return df.withColumn("source_type", known(F.col("source_type"), SOURCE_TYPES)).withColumn("crawl_frequency", known(F.col("crawl_frequency"), FREQUENCIES))
 
 
