@@ -98,6 +98,40 @@ def requirements(df: DataFrame, key: str, text: str) -> DataFrame:
     return own.filter("p IS NOT NULL").select(key, "pos", "p.name", "p")
 
 
+# How a line states a parameter without a colon, in order; group 1 is its name.
+STATED = (
+    r"(?i)([a-zA-Z_][a-zA-Z0-9_\s]{1,30}?)\s*(?:[:=]|\bis\b)\s*\d+(?:\.\d+)?\s*(?:±|\+/-)\s*\d+(?:\.\d+)?",
+    r"(?i)([a-zA-Z_][a-zA-Z0-9_\s]{1,30}?)\s*(?:[:=]|\bis\b)\s*(?:between\s+)?\d+(?:\.\d+)?\s*(?:to|-|and)\s*\d+(?:\.\d+)?",
+    r"(?i)([a-zA-Z_][a-zA-Z0-9_\s]{1,30}?)\s*(?:[:=]|\bis\b)?\s*(?:<=|>=|<|>|=)\s*\d+(?:\.\d+)?",
+    r"(?i)([a-zA-Z_][a-zA-Z0-9_\s]{1,30}?)\s*[:=]\s*(?:\d+(?:\.\d+)?|[a-zA-Z0-9_\s\-/]+)",
+)
+
+
+def specification(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, name, p: the parameters of a product's specification, one row a name.
+
+    Lines end at breaks, semicolons and commas. 'name: value' or 'name = value'
+    is a parameter, with a text for a value where there is no number, and the
+    last line of a name counts; other lines are parameters where they state
+    one, the first of a name that has no line of the first kind.
+    """
+    lines = df.select(key, F.posexplode(F.split(text, r"[\r\n;,]+")).alias("pos", "raw")).select(key, "pos", F.trim("raw").alias("line")).filter("line != ''")
+    name, value = _get(F.col("line"), r"(?s)^([^:=]*)[:=]"), _get(F.col("line"), r"(?s)^[^:=]*[:=](.*)$")
+    cut = lines.select(key, "pos", "line", name.alias("name"), F.when(name.isNotNull(), value).alias("value"))
+    cut = cut.withColumn("own", F.when(F.col("value").isNotNull(), U.parameter(F.col("value"), F.col("name")))).withColumn("stated", F.coalesce(*[_get(F.col("line"), p) for p in STATED]))
+    found = cut.withColumn("other", F.when(F.col("own").isNull() & F.col("stated").isNotNull(), U.parameter(F.col("line"), F.col("stated"))))
+    rows = found.select(key, "pos", F.when(F.col("own").isNotNull(), F.col("name")).otherwise(F.col("stated")).alias("name"), "own", "other").filter("own IS NOT NULL OR other IS NOT NULL")
+    last, first = F.max_by("own", F.when(F.col("own").isNotNull(), F.col("pos"))), F.min_by("other", F.when(F.col("other").isNotNull(), F.col("pos")))
+    return rows.groupBy(key, "name").agg(F.coalesce(last, first).alias("p"))
+
+
+def specification_properties(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, material, dimensions, capacity, rating: the first 'name: value' line whose name has the word."""
+    lines = F.transform(F.split(text, r"[\r\n;,]+"), F.trim)
+    value = lambda word: F.nullif(F.trim(F.regexp_extract(F.coalesce(F.get(F.filter(lines, lambda x: F.rlike(x, F.lit(rf"(?is)^[^:=]*{word}[^:=]*[:=]\s*\S"))), F.lit(0)), F.lit("")), r"(?s)^[^:=]*[:=](.*)$", 1)), F.lit(""))
+    return df.select(key, *[value(w).alias(n) for w, n in (("material", "material"), ("dimension", "dimensions"), ("capacity", "capacity"), ("rating", "rating"))])
+
+
 # Categories of a tender's clauses in their order, and words that make one binding.
 TENDER_CATEGORIES = (
     ("certification", r"bis|isi\s+mark|certification|certified|license|licence|conformance"),

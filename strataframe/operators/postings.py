@@ -11,6 +11,7 @@ its k-th best score so far.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -72,6 +73,34 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "lengths")])
 
 
+def _version(docs: DataFrame) -> str:
+    """A hash of the names, sizes and times of the files that ``docs`` reads; no column is read for it."""
+    f = F.col("_metadata")
+    one = F.xxhash64(f["file_path"], f["file_size"], f["file_modification_time"])
+    r = docs.select(one.alias("h")).distinct().agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 20)).alias("s")).first()
+    return f"{r.n}-{(r.x or 0) & 0xFFFFFFFFFFFFFFFF:x}-{(r.s or 0) & 0xFFFFFFFFFFFFFFFF:x}"
+
+
+def stored(docs: DataFrame, key: str, text: str, folder: str) -> Index:
+    """The index of a table of files in ``folder``: built where there is none of just these files, else opened.
+
+    It is built beside its place and moved there whole, so a half-built one is
+    never opened and of two builders one wins.
+    """
+    spark = docs.sparkSession
+    path = f"{folder}/postings-{key}-{text}-{_version(docs)}"
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(to(path)):
+        made = f"{path}-{uuid.uuid4().hex}"
+        append(docs, key, text, made)
+        if not fs.rename(to(made), to(path)) or fs.exists(to(f"{path}/{made.rsplit('/', 1)[-1]}")):
+            fs.delete(to(f"{path}/{made.rsplit('/', 1)[-1]}"), True)
+            fs.delete(to(made), True)
+        fs.deleteOnExit(to(path))
+    return load(spark, path)
+
+
 def weights(index: Index) -> tuple[DataFrame, Column]:
     """term, df, idf of the whole index and the mean length; of the postings nothing is read."""
     n = F.sum("docs")

@@ -241,7 +241,7 @@ def rewritten(df: DataFrame, prompt: Column, model, out: str, tries: int = 3, pa
     return df.withColumn(out, run(prompt))
 
 
-def retrieve(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q_text: str, dense: DataFrame, k: int = 10, pool: int = 50, scope: Column | None = None, identity: dict[str, Column] | None = None) -> DataFrame:
+def retrieve(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q_text: str, dense: DataFrame, k: int = 10, pool: int = 50, scope: Column | None = None, identity: dict[str, Column] | None = None, lexical=None) -> DataFrame:
     """q_key, key, fusion, methods, boosted, rank: the whole retrieval of a batch of queries.
 
     Queries are normalised and their identifiers read; the words' arm and the
@@ -249,7 +249,9 @@ def retrieve(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: st
     limits, give ``pool`` rows each, are fused by reciprocal ranks, boosted
     where identifiers agree (``identity``: columns of the documents, by default
     the first standard that the text names), left once for each content, and
-    cut to ``k``.
+    cut to ``k``. The words' arm scans the texts, or is ``lexical``: a function
+    of the normalised queries, their key and text and the pool to q_key, key,
+    rank, as a stored index gives it.
     """
     asked = queries.select(q_key, X.normalize_query(F.col(q_text)).alias("__asked")).withColumn("__e", entities(F.col("__asked")))
     if scope is not None:
@@ -257,9 +259,12 @@ def retrieve(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: st
     no = F.lit(None).cast("string")
     own = {"standard": F.nullif(F.regexp_extract(text, X.STANDARD, 1), F.lit(""))} if identity is None else identity
     facts = docs.select(F.col(key), F.sha2(F.col(text), 256).alias("__h"), *[own.get(f, no).cast("string").alias(f"__{f}") for f in BOOSTS])
-    scored = bm25(docs, key, text, asked, q_key, "__asked").withColumn("score", F.bround("score", 6))
-    lexical = top_k(scored, q_key, pool, F.col("score").desc(), F.col(key))
-    fused = fuse(dense.filter(F.col("rank") <= pool), lexical, q_key, key).withColumn("fusion", F.bround("fusion", 8))
+    if lexical is None:
+        scored = bm25(docs, key, text, asked, q_key, "__asked").withColumn("score", F.bround("score", 6))
+        words = top_k(scored, q_key, pool, F.col("score").desc(), F.col(key))
+    else:
+        words = lexical(asked, q_key, "__asked", pool)
+    fused = fuse(dense.filter(F.col("rank") <= pool), words, q_key, key).withColumn("fusion", F.bround("fusion", 8))
     marked = fused.join(facts, key).join(asked.drop("__asked"), q_key)
     e = lambda f: F.col(f"__e.{f}").cast("string")
     agree = [F.col("__standard") == e("number"), F.col("__year") == e("year"), F.col("__clause") == e("clause"), F.col("__amendment") == e("amendment")]

@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import text as X
+from strataframe.operators import neighbours as N
+from strataframe.operators import postings as P
 from strataframe.operators import retrieval as R
 from strataframe.plans import query
+from strataframe.session import shared_dir
 
 _PUNCT = X.PUNCTUATION.replace("'", "''")
 _TOK = "list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda t: trim(t, '" + _PUNCT + "')), lambda t: t <> '')"
@@ -20,14 +23,26 @@ _BM25 = f"""
     s AS (SELECT item_id, doc_id, round_even(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / st.avgdl))), 6) AS score FROM p JOIN q USING (term) JOIN i USING (term), st GROUP BY 1, 2)"""
 
 
-def _bm25(t):
-    scored = R.bm25(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text")
-    return scored.withColumn("score", F.bround("score", 6))
+def _index(t):
+    """The stored index of the documents; it is built once for the files of the table."""
+    docs = t("documents")
+    return P.stored(docs, "doc_id", "text", shared_dir(docs.sparkSession))
+
+
+def _best(t, k):
+    return P.search(_index(t), t("benchmark"), "item_id", "text", k).withColumnRenamed("key", "doc_id")
 
 
 @query("r03_bm25", f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10")
 def r03(t):
-    return R.top_k(_bm25(t), "item_id", 10, F.col("score").desc(), F.col("doc_id")).select("item_id", "doc_id", "score", "rank")
+    return _best(t, 10).select("item_id", "doc_id", "score", "rank")
+
+
+@query("r03_bm25_scan", f"WITH {_BM25}, k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, count(*) AS n, round_even(sum(score), 3) AS total, max(score) AS best, min(CASE WHEN rank = 1 THEN doc_id END) AS first FROM k GROUP BY 1")
+def _(t):
+    """Every document that shares a term with a query, scored by a scan of the texts."""
+    s = R.bm25(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text").withColumn("score", F.bround("score", 6))
+    return s.groupBy("item_id").agg(F.count("*").alias("n"), F.bround(F.sum("score"), 3).alias("total"), F.max("score").alias("best"), F.min_by("doc_id", F.struct(-F.col("score"), F.col("doc_id"))).alias("first"))
 
 
 _GOLD = "g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -38,8 +53,7 @@ _GOLD = "g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON conta
     SELECT item_id, round_even(count(rank) / count(*), 6) AS recall, round_even(coalesce(1.0 / min(rank), 0), 6) AS reciprocal_rank FROM g LEFT JOIN k USING (item_id, doc_id) GROUP BY 1""")
 def _(t):
     gold = R.texts_containing(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text")
-    ranked = R.top_k(_bm25(t), "item_id", 5, F.col("score").desc(), F.col("doc_id"))
-    return R.evaluate(ranked, gold, "item_id", "doc_id", 5).select("item_id", F.bround("recall", 6).alias("recall"), F.bround("reciprocal_rank", 6).alias("reciprocal_rank"))
+    return R.evaluate(_best(t, 5), gold, "item_id", "doc_id", 5).select("item_id", F.bround("recall", 6).alias("recall"), F.bround("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
 _D2 = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))"
@@ -57,6 +71,16 @@ def _(t):
     return _knn(t, 15).select("query_id", "vec_id", "rank", F.bround("score", 5).alias("score"))
 
 
+@query("r01_cells")
+def _(t):
+    """The same queries through the index of cells: all rows indexed, both sides met by a shuffle."""
+    e = t("embeddings").select("vec_id", "embedding")
+    cells = N.fit(e, "vec_id", "embedding")
+    asked = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    found = N.search(N.index(e, "vec_id", "embedding", cells), cells, "vec_id", "embedding", asked, "query_id", "embedding", 15)
+    return found.select("query_id", "vec_id", "rank", F.bround("score", 5).alias("score"))
+
+
 _ARMS = f"""
     e AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank FROM ({_KNN})),
     a AS (SELECT * FROM e WHERE rank <= 15),
@@ -135,7 +159,7 @@ def _(t):
     rows = vectors.join(t("documents").select("doc_id"), F.col("vec_id") == F.col("doc_id")).select("doc_id", "embedding")
     asked = t("benchmark").select("item_id").join(vectors, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
     dense = R.knn(rows, "doc_id", "embedding", asked, "item_id", "embedding", 30)
-    return R.retrieve(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text", dense, k=10, pool=30).select("item_id", "doc_id", "boosted", "rank")
+    return R.retrieve(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text", dense, k=10, pool=30, lexical=lambda asked, q_key, text, pool: P.search(_index(t), asked, q_key, text, pool).withColumnRenamed("key", "doc_id")).select("item_id", "doc_id", "boosted", "rank")
 
 
 @query("a23_blended", "SELECT user_id, round_even(0.6 * max(value) + 0.4 * avg(value), 6) AS blended FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 5) GROUP BY 1")
@@ -146,10 +170,14 @@ def _(t):
 
 @query("a28_corpus_stats", f"""
     WITH w AS (SELECT unnest(list_distinct({_TOK})) AS term FROM documents), c AS (SELECT term, count(*) AS df FROM w GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
-    r AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM c, n), m AS (SELECT 0.25 * avg(raw) AS floor FROM r)
-    SELECT term, round_even(CASE WHEN raw < 0 THEN floor ELSE raw END, 8) AS idf FROM r, m""")
-def _(t):
-    return R.idf(R.term_counts(t("documents"), "text"))[0].select("term", F.bround("idf", 8).alias("idf"))
+    r AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM c, n), m AS (SELECT 0.25 * avg(raw) AS floor FROM r)
+    SELECT df, round_even(any_value(CASE WHEN raw < 0 THEN floor ELSE raw END), 8) AS idf, count(*) AS terms, min(term) AS first, max(term) AS last FROM r, m GROUP BY 1""")
+def _(t):
+    """All terms of the corpus, by their number of documents; the scan's statistics agree with those that the index stores."""
+    scan = R.idf(R.term_counts(t("documents"), "text"))[0].withColumnRenamed("idf", "scanned")
+    both = P.weights(_index(t))[0].join(scan, "term", "full")
+    same = F.when(F.abs(F.col("idf") - F.col("scanned")) < 1e-9, F.col("idf"))
+    return both.groupBy("df").agg(F.bround(F.when(F.count(same) == F.count("*"), F.max(same)), 8).alias("idf"), F.count("*").alias("terms"), F.min("term").alias("first"), F.max("term").alias("last"))
 
 
 @query("w14_version_order", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderdate, o_orderkey) AS version FROM orders")

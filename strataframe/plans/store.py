@@ -164,11 +164,12 @@ def _(t):
 
 @query("j06_parent_clause", """
     WITH c AS (SELECT l_orderkey, l_orderkey || '.' || l_linenumber AS num FROM lineitem UNION ALL SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 2 = 0)
-    SELECT c.num, p.num AS parent FROM c LEFT JOIN c p ON contains(c.num, '.') AND p.num = regexp_replace(c.num, '\\.[^.]+$', '') AND p.l_orderkey = c.l_orderkey""")
+    SELECT c.l_orderkey, count(*) AS clauses, count(p.num) AS with_parent, min(p.num) AS parent, max(c.num) AS last FROM c LEFT JOIN c p ON contains(c.num, '.') AND p.num = regexp_replace(c.num, '\\.[^.]+$', '') AND p.l_orderkey = c.l_orderkey GROUP BY 1""")
 def _(t):
     a = t("lineitem").select("l_orderkey", F.concat_ws(".", "l_orderkey", "l_linenumber").alias("num"))
     b = t("orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderkey").cast("string").alias("num"))
-    return joins.with_parent(a.unionAll(b), "l_orderkey", "num").select("num", "parent")
+    found = joins.with_parent(a.unionAll(b), "l_orderkey", "num")
+    return found.groupBy("l_orderkey").agg(F.count("*").alias("clauses"), F.count("parent").alias("with_parent"), F.min("parent").alias("parent"), F.max("num").alias("last"))
 
 
 @query("j07_reference_resolution", """
@@ -181,10 +182,11 @@ def _(t):
 
 
 @query("j08_or_join", """
-    SELECT s_suppkey, l_orderkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey UNION SELECT s_suppkey, l_orderkey FROM supplier JOIN lineitem ON l_partkey = s_suppkey""")
+    SELECT s_suppkey, count(*) AS orders, min(l_orderkey) AS first, max(l_orderkey) AS last, sum(l_orderkey)::BIGINT AS total FROM
+    (SELECT s_suppkey, l_orderkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey UNION SELECT s_suppkey, l_orderkey FROM supplier JOIN lineitem ON l_partkey = s_suppkey) GROUP BY 1""")
 def _(t):
     edges = t("lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
-    return joins.either_end(t("supplier").select("s_suppkey"), "s_suppkey", edges, "l_suppkey", "l_partkey").select("s_suppkey", "l_orderkey").distinct()
+    return joins.either_end(t("supplier").select("s_suppkey"), "s_suppkey", edges, "l_suppkey", "l_partkey").select("s_suppkey", "l_orderkey").distinct().groupBy("s_suppkey").agg(F.count("*").alias("orders"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"), F.sum("l_orderkey").alias("total"))
 
 
 @query("j17_citation_antijoin", """

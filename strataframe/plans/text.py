@@ -225,19 +225,34 @@ def _(t):
 
 
 @query("x30_compare_param", """
-    WITH m AS (SELECT p_partkey, p_size / 10.0 AS cm, p_size * 1.0 AS v, 25.0 AS lim, CASE p_partkey % 5 WHEN 0 THEN 'LE' WHEN 1 THEN 'GE' WHEN 2 THEN 'RANGE' WHEN 3 THEN 'EQ' ELSE 'X' END AS op FROM part)
-    SELECT p_partkey, CASE op WHEN 'LE' THEN CASE WHEN v + 2 <= 25.000001 THEN 'MATCH' WHEN v <= 25.000001 THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
-    WHEN 'GE' THEN CASE WHEN v - 2 >= 24.999999 THEN 'MATCH' WHEN v >= 24.999999 THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
-    WHEN 'RANGE' THEN CASE WHEN v - 2 >= 14.999999 AND v + 2 <= 35.000001 THEN 'MATCH' WHEN v - 2 <= 35.000001 AND v + 2 >= 14.999999 THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
-    WHEN 'EQ' THEN CASE WHEN abs(v - 25) <= 0.0025 THEN 'MATCH' ELSE 'MISMATCH' END ELSE 'UNVERIFIABLE' END AS state FROM m""")
-def _(t):
-    k = F.col("p_partkey") % 5
-    op = F.when(k == 0, "LE").when(k == 1, "GE").when(k == 2, "RANGE").otherwise("EQ")
-    none = F.lit(None).cast("double")
-    lo, hi = F.when(k == 2, 15.0), F.when(k == 2, 35.0).when(k == 0, 25.0)
-    unit = F.when(k == 4, F.lit("bar")).otherwise("mm")
-    lo = F.coalesce(lo, F.when(k == 1, 25.0))
-    return t("part").select("p_partkey", U.compare(F.col("p_size") / 10.0, F.when(k == 3, none).otherwise(0.2), F.lit("cm"), op, lo, hi, F.when(k >= 3, 25.0), unit).alias("state"))
+    WITH p AS (SELECT p_partkey, p_partkey % 10 AS k, p_size * 1.0 AS v, p_size % 7 AS z, p_size % 3 AS r FROM part),
+    m AS (SELECT *, CASE r WHEN 0 THEN 15.0 ELSE 20.0 END AS lo, CASE r WHEN 2 THEN 30.0 ELSE 35.0 END AS hi FROM p)
+    SELECT p_partkey, CASE
+      WHEN k = 0 THEN CASE WHEN v + 2 <= 25.000001 THEN 'MATCH' WHEN v <= 25.000001 THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
+      WHEN k = 1 THEN CASE WHEN v - 2 >= 24.999999 THEN 'MATCH' WHEN v >= 24.999999 THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
+      WHEN k = 2 THEN CASE WHEN v - 2 >= lo - 0.000001 AND v + 2 <= hi + 0.000001 THEN 'MATCH' WHEN v - 2 <= hi AND v + 2 >= lo THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
+      WHEN k = 3 THEN CASE WHEN abs(v - 25) <= 0.0025 THEN 'MATCH' ELSE 'MISMATCH' END
+      WHEN k = 4 THEN 'UNVERIFIABLE'
+      WHEN k = 5 THEN CASE WHEN v >= lo - 0.000001 AND v + z <= hi + 0.000001 THEN 'MATCH' WHEN v <= hi AND v + z >= lo THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
+      WHEN k = 6 THEN CASE WHEN p_size_cm + 0.2 <= 25.000001 THEN 'MATCH' WHEN p_size_cm <= 25.000001 THEN 'PARTIAL_MATCH' ELSE 'MISMATCH' END
+      WHEN k = 7 THEN CASE z WHEN 0 THEN 'MATCH' WHEN 1 THEN 'UNVERIFIABLE' ELSE 'MISMATCH' END
+      WHEN k = 8 THEN CASE WHEN v >= 22.999999 AND v <= 27.000001 THEN 'MATCH' ELSE 'MISMATCH' END
+      ELSE CASE z WHEN 0 THEN 'MISSING' WHEN 1 THEN 'UNVERIFIABLE' ELSE CASE WHEN v <= 25.000001 THEN 'MATCH' ELSE 'MISMATCH' END END END AS state
+    FROM (SELECT m.*, v / 10.0 AS p_size_cm FROM m)""")
+def _(t):
+    """LE, GE, RANGE and EQ by values; other dimensions; ranges; a unit on one side; texts; a requirement's tolerance; what is missing."""
+    P, Z = F.col("p_partkey"), F.col("p_size")
+    k, z, none, word = P % 10, Z % 7, F.lit(None).cast("double"), F.lit(None).cast("string")
+    num = lambda v: F.lit(v).cast("double")
+    op = F.when(k.isin(0, 6), "LE").when(k == 1, "GE").when(k.isin(2, 5), "RANGE").when(k == 7, F.when(z == 1, "LE").when(z % 2 == 0, "CONTAINS").otherwise("EQ")).when(k == 9, "LE").otherwise("EQ")
+    ranged = k.isin(2, 5)
+    lo, hi = F.when(ranged, F.when(Z % 3 == 0, 15.0).otherwise(20.0)), F.when(ranged, F.when(Z % 3 == 2, 30.0).otherwise(35.0))
+    value = F.when(~k.isin(5, 7) & ~((k == 9) & (z < 2)), Z / 10.0)
+    state = U.compare(
+        value, F.when(k.isin(3, 5, 8, 9), none).otherwise(0.2), F.when(k == 6, word).otherwise("cm"), op, lo, hi, F.when(~ranged & (k != 7), num(25)), F.when(k == 4, "bar").when(k == 7, word).otherwise("mm"),
+        F.when((k == 5) | ((k == 9) & (z == 1)), Z / 10.0), F.when(k == 5, Z / 10.0 + z / 10.0), F.when(k == 7, F.when(z == 0, " Stainless Steel ").otherwise("brass")), F.lit("shall be of STAINLESS steel"), F.when(k == 8, num(2)),
+    )
+    return t("part").select("p_partkey", state.alias("state"))
 
 
 @query("x34_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders")

@@ -252,3 +252,60 @@ def test_discovery(spark):
     known = spark.createDataFrame([(7, "IS 1"), (7, "IS 9"), (8, "IS 2")], "p long, std string")
     got = [tuple(r) for r in D.discover(products, "p", "name", docs, "id", "text", "std", "clause", titles, "title", known).select("p", "std", "origin", "n_texts", "status", "rank").orderBy("p", "rank").collect()]
     assert got == [(7, "IS 1", "found", 3, "STRONG_CANDIDATE", 1), (7, "IS 9", "known", 0, "INSUFFICIENT_EVIDENCE", 2), (8, "IS 2", "known", 0, "INSUFFICIENT_EVIDENCE", 1)]
+
+
+def test_comparison_of_ranges_texts_and_one_sided_units(spark):
+    def state(value=None, unit=None, op="LE", lower=None, upper=None, nominal=None, req_unit=None, low=None, high=None, text=None, req_text=None, req_tolerance=None, tolerance=None):
+        return (value, tolerance, unit, op, lower, upper, nominal, req_unit, low, high, text, req_text, req_tolerance)
+
+    cases = [
+        (state(5.0, None, "LE", upper=10.0, req_unit="mm"), "MATCH"),  # a unit on one side only is no obstacle
+        (state(5.0, "bar", "LE", upper=10.0, req_unit="mm"), "UNVERIFIABLE"),
+        (state(op="LE", upper=10.0), "MISSING"),
+        (state(low=5.0, high=8.0, op="RANGE", lower=4.0, upper=9.0), "MATCH"),
+        (state(low=5.0, high=10.0, op="RANGE", lower=4.0, upper=9.0), "PARTIAL_MATCH"),
+        (state(low=10.0, high=11.0, op="RANGE", lower=4.0, upper=9.0), "MISMATCH"),
+        (state(low=0.5, high=0.8, unit="cm", op="RANGE", lower=4.0, upper=9.0, req_unit="mm"), "MATCH"),
+        (state(low=5.0, high=8.0, op="LE", upper=9.0), "UNVERIFIABLE"),
+        (state(low=5.0, op="RANGE", lower=4.0, upper=9.0), "UNVERIFIABLE"),
+        (state(text="high", op="LE", upper=9.0), "UNVERIFIABLE"),
+        (state(text=" Steel ", op="CONTAINS", req_text="of STEEL"), "MATCH"),
+        (state(text="brass", op="EQ", req_text="of steel"), "MISMATCH"),
+        (state(text="steel", op="EQ", nominal=3.0, req_text="of steel"), "UNVERIFIABLE"),
+        (state(9.0, op="EQ", nominal=10.0, req_tolerance=1.0), "MATCH"),
+        (state(8.0, op="EQ", nominal=10.0, req_tolerance=1.0), "MISMATCH"),
+        (state(8.0, op="EQ", lower=7.0, upper=9.0), "MATCH"),
+        (state(8.0, op="RANGE", lower=7.0), "UNVERIFIABLE"),
+        (state(8.0, op="EQ"), "UNVERIFIABLE"),
+        (state(8.0, op="NEAR", nominal=8.0), "UNVERIFIABLE"),
+        (state(8.0, op="LE", nominal=9.0, upper=7.0), "MATCH"),  # the threshold stands before the upper bound
+        (state(8.0, op="LT", nominal=8.0), "MATCH"),
+    ]
+    schema = "value double, tolerance double, unit string, op string, lower double, upper double, nominal double, req_unit string, low double, high double, text string, req_text string, req_tolerance double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    got = values(spark, [c for c, _ in cases], schema, U.compare(*[F.col(n) for n in names]))
+    assert [r[0] for r in got] == [want for _, want in cases]
+
+
+def test_specification_reader(spark):
+    from strataframe.functions import extract as E
+
+    text = "Capacity: 12 L, thickness = 2.5 ± 0.1 mm\nheat resistance: high; calibrated range: between -20.0 and 10.0\nlength is 5 to 7 mm\nCapacity: 13 L\nnothing\nx > 4 kg, Material grade: 304, : 5"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string")
+    got = {r.name: (r.p.value, r.p.lower, r.p.upper, r.p.text, r.p.unit) for r in E.specification(df, "id", "t").collect()}
+    assert got == {
+        "Capacity": (13, None, None, None, "L"), "thickness": (2.5, 2.4, 2.6, None, "mm"), "heat resistance": (None, None, None, "high", None), "calibrated range": (None, 20, 10, None, None),
+        "length": (None, 5, 7, None, "mm"), "x": (4, 4, None, None, "kg"), "Material grade": (304, None, None, None, None),
+    }
+    p = E.specification_properties(df, "id", "t").filter("id = 1").first()
+    assert (p.material, p.dimensions, p.capacity, p.rating) == ("304", None, "12 L", None)
+
+
+def test_answers_are_validated_whole(spark):
+    answers = spark.createDataFrame([(1, "Wall thickness is 10mm [EV1]. It was tested [EV9].\n\n**Status: Currently in force**"), (2, "Not a claim with evidence.")], "id long, answer string")
+    evidence = spark.createDataFrame([(1, "EV1", "Wall thickness is 12mm")], "id_ long, eid string, content string").selectExpr(
+        "id_ AS id", "eid", "content"
+    ).selectExpr("id AS a", "eid AS id", "CAST(NULL AS STRING) AS hash", "content", "CAST(NULL AS STRING) AS number", "CAST(NULL AS STRING) AS clause", "CAST(NULL AS STRING) AS edition", "CAST(NULL AS STRING) AS amendment", "CAST(NULL AS STRING) AS year", "CAST(NULL AS BOOLEAN) AS is_current", "CAST(NULL AS ARRAY<STRING>) AS titles")
+    got = {(r.a, r.claim_id): (r.status, r.issues) for r in D.validate(answers.withColumnRenamed("id", "a"), "a", "answer", evidence).collect()}
+    assert got[1, "C1"] == ("UNSUPPORTED", ["unsupported_numerical_value:10mm"])
+    assert got[1, "C2"] == ("UNSUPPORTED", ["fake_or_unknown_citation_id:EV9"]) and got[2, "C1"] == ("UNVERIFIABLE", ["missing_citation"]) and len(got) == 3
