@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from strataframe.operators import joins
+from strataframe.operators import joins, keyed
 from strataframe.operators import store as S
 from strataframe.plans import query
+from strataframe.session import shared_dir
 
 
 @query("f01_point_lookup", "SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey = 17")
@@ -110,6 +113,18 @@ def _(t):
     return S.upsert_replace(*_halves(t), "o_orderkey")
 
 
+@query("s07_keyed_upsert", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 97 = 0 AND o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 5 <> 1 OR o_orderkey % 97 = 0""")
+def _(t):
+    """A stored table, an upsert of one row in a hundred (new keys among them), and the table again."""
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = f"{shared_dir(o.sparkSession)}/keyed-{uuid.uuid4().hex}"
+    keyed.create(o.filter("o_orderkey % 5 <> 1"), path, "o_orderkey", 64)
+    new = o.filter("o_orderkey % 97 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") + 1).otherwise(F.when(F.col("o_orderkey") % 5 == 1, F.col("o_totalprice"))).alias("o_totalprice"))
+    keyed.upsert(path, new, "o_orderkey", 64, how="merge", take=("o_orderstatus",), fill=("o_totalprice",))
+    return keyed.read(o.sparkSession, path)
+
+
 @query("s08_upsert_ignore", f"WITH a AS ({_HALF}), b AS ({_NEW}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)")
 def _(t):
     return S.upsert_ignore(*_halves(t), "o_orderkey")
