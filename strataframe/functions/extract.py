@@ -91,6 +91,39 @@ def variants(*parts: Column, most: int = 6) -> Column:
     return F.slice(F.array_distinct(F.array_compact(F.array(*[X.blank_to_null(p) for p in parts]))), 1, most)
 
 
+def _once(parts: Column) -> Column:
+    """Filled texts once each, whatever their case, in order."""
+    some = F.filter(parts, lambda x: F.coalesce(x != "", F.lit(False)))
+    return X.let(some, lambda p: X.let(F.transform(p, F.lower), lambda low: F.filter(p, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
+
+
+def product_queries(name: Column, category: Column, technology: Column, material: Column, use: Column, standards: Column, raw: Column, most: int = 6) -> Column:
+    """array<string>: what to ask for a product, from stated facts alone.
+
+    The product by itself, its requirements and its standard; its category
+    with technology, material and use; the standards it names; else the text
+    as it came.
+    """
+    full = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    primary, what = F.coalesce(full(name), full(category)), F.coalesce(full(category), full(name))
+    join = lambda *parts: F.when(reduce(lambda a, b: a & b, [full(p).isNotNull() for p in parts]), F.concat_ws(" ", *parts))
+    made = F.array(primary, F.concat(primary, F.lit(" requirements")), F.concat(primary, F.lit(" standard")), join(technology, what), join(material, what), join(use, what), join(technology, material, what))
+    asked = F.concat(made, F.coalesce(standards, F.array().cast("array<string>")))
+    return X.let(_once(F.transform(asked, lambda x: product_text(F.coalesce(x, F.lit(""))))), lambda q: F.when(F.size(q) > 0, F.slice(q, 1, most)).otherwise(_once(F.array(product_text(F.coalesce(raw, F.lit("")))))))
+
+
+def query_variants(query: Column, intent: Column, number: Column, clause: Column, category: Column) -> Column:
+    """array<string>: a query and the variants of its intent, by its standard, clause and product category."""
+    given = lambda *parts: reduce(lambda a, b: a & b, [F.coalesce(p != "", F.lit(False)) for p in parts])
+    none = F.array().cast("array<string>")
+    extra = (
+        F.when((intent == "STANDARD_DISCOVERY") & given(category), F.array(F.concat(F.lit("Indian Standard specification "), category), F.concat(F.lit("Quality Control Order "), category)))
+        .when((intent == "APPLICABILITY_QUERY") & given(number, category), F.array(F.concat(number, F.lit(" scope "), category), F.concat(number, F.lit(" clause 1 scope"))))
+        .when((intent == "CLAUSE_LOOKUP") & given(number, clause), F.array(F.concat(number, F.lit(" clause "), clause), F.concat(number, F.lit(" section "), clause)))
+    )
+    return X.let(F.trim(query), lambda q: F.concat(F.array(query), F.filter(_once(F.transform(F.coalesce(extra, none), lambda x: F.trim(x))), lambda x: F.lower(x) != F.lower(q))))
+
+
 def requirements(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, name, p (a quantity): one row for each line or sentence that sets a limit."""
     parts = F.split(text, r"[\r\n;]+|(?<!\d)\.(?!\d)")
@@ -127,7 +160,7 @@ def specification(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def specification_properties(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, material, dimensions, capacity, rating: the first 'name: value' line whose name has the word."""
-    lines = F.transform(F.split(text, r"[\r\n;,]+"), F.trim)
+    lines = F.transform(F.split(text, r"[\r\n;,]+"), lambda x: F.trim(x))
     value = lambda word: F.nullif(F.trim(F.regexp_extract(F.coalesce(F.get(F.filter(lines, lambda x: F.rlike(x, F.lit(rf"(?is)^[^:=]*{word}[^:=]*[:=]\s*\S"))), F.lit(0)), F.lit("")), r"(?s)^[^:=]*[:=](.*)$", 1)), F.lit(""))
     return df.select(key, *[value(w).alias(n) for w, n in (("material", "material"), ("dimension", "dimensions"), ("capacity", "capacity"), ("rating", "rating"))])
 

@@ -268,28 +268,53 @@ def mapping_status(title: Column, terms: Column, clauses: Column, semantic: Colu
 STATUS_ORDER = {"STRONG_CANDIDATE": 3, "POSSIBLE_CANDIDATE": 2, "WEAK_CANDIDATE": 1, "INSUFFICIENT_EVIDENCE": 0}
 
 
-def discover(products: DataFrame, p_key: str, name: str, docs: DataFrame, key: str, text: str, standard: str, clause: str, titles: DataFrame, title: str, known: DataFrame, k: int = 10, pool: int = 20) -> DataFrame:
+# The title score over which a standard is a candidate without a hit.
+TITLE_FITS = 0.4
+
+
+def titled(products: DataFrame, p_key: str, name: str, titles: DataFrame, standard: str, title: str) -> DataFrame:
+    """p_key, standard, score: every pair of a product and a title that fit each other at all.
+
+    Only titles that hold a product's name, or share a word with it, can score:
+    the titles are searched for all names at once, and words meet by an equi-join.
+    """
+    p = products.select(p_key, F.col(name).alias("__name")).filter(F.coalesce(F.col("__name"), F.lit("")) != "").distinct()
+    t = titles.select(standard, F.col(title).alias("__title")).filter(F.coalesce(F.col("__title"), F.lit("")) != "").distinct()
+    low = t.select(F.lower("__title").alias("__low")).distinct()
+    holds = occurring(low, "__low", "__low", p.select(F.lower("__name").alias("__n")), "__n")
+    held = t.join(holds, F.lower("__title") == F.col("__low")).join(p, F.lower("__name") == F.col("pattern")).select(p_key, standard, "__name", "__title")
+    word = lambda df, c: df.withColumn("__w", F.explode(_terms(F.col(c))))
+    shared = word(p, "__name").join(word(t, "__title"), "__w").select(p_key, standard, "__name", "__title")
+    pairs = held.unionByName(shared).distinct()
+    return pairs.groupBy(p_key, standard).agg(F.max(title_score(F.col("__title"), F.col("__name"))).alias("score")).filter("score > 0")
+
+
+def discover(products: DataFrame, p_key: str, name: str, docs: DataFrame, key: str, text: str, standard: str, clause: str, titles: DataFrame, title: str, known: DataFrame, k: int = 10, pool: int = 20, dense: DataFrame | None = None, facts: str | None = None) -> DataFrame:
     """p_key, standard, origin, n_texts, score, status, rank: candidate standards of each product.
 
     Distinct queries of a product are retrieved, their hits grouped by
-    standard, standards that are known for the product (p_key, standard) added
-    when nothing was found, and all scored from their title, words, clauses
-    and relevance; ranked by status, then score.
+    standard, standards that are known for the product (p_key, standard) or
+    whose title fits it (over ``TITLE_FITS``) added where nothing was found,
+    and all scored from their title, words, clauses, relevance and the stated
+    ``facts`` (an array of the products) that their texts have; ranked by
+    status, then score. ``dense``: p_key, key, rank of the caller's vectors.
     """
     asked = products.select(p_key, F.explode(variants(F.col(name), F.array_join(F.slice(F.split(name, " "), 1, 2), " "))).alias("__ask"))
     asked = asked.withColumn("__q", F.concat_ws("#", F.col(p_key).cast("string"), F.sha2("__ask", 256)))
-    none = asked.select("__q", F.lit(None).cast(docs.schema[key].dataType).alias(key), F.lit(None).cast("long").alias("rank")).filter("false")
-    hits = retrieve(docs, key, text, asked, "__q", "__ask", none, k=pool, pool=pool).join(asked.select("__q", p_key).withColumnRenamed("__q", "__own"), F.col("__q") == F.col("__own"))
+    arm = asked.select("__q", F.lit(None).cast(docs.schema[key].dataType).alias(key), F.lit(None).cast("long").alias("rank")).filter("false") if dense is None else asked.select("__q", p_key).join(dense, p_key).select("__q", key, "rank")
+    hits = retrieve(docs, key, text, asked, "__q", "__ask", arm, k=pool, pool=pool).join(asked.select("__q", p_key).withColumnRenamed("__q", "__own"), F.col("__q") == F.col("__own"))
     best = hits.groupBy(p_key, key).agg(F.max("fusion").alias("__fusion"))
     found = best.join(docs.select(key, text, standard, clause), key).filter(F.col(standard).isNotNull())
     per = found.groupBy(p_key, standard).agg(F.count("*").alias("n_texts"), F.array_sort(F.collect_list(F.struct(key, text))).alias("__texts"), F.count_distinct(F.nullif(clause, F.lit(""))).alias("__clauses"), F.max("__fusion").alias("__fusion"))
-    rows = per.join(known.select(p_key, standard).distinct(), [p_key, standard], "full").withColumn("origin", F.when(F.col("n_texts").isNull(), "known").otherwise("found")).fillna(0, ["n_texts", "__clauses"])
+    expected = known.select(p_key, standard).unionByName(titled(products, p_key, name, titles, standard, title).filter(F.col("score") > TITLE_FITS).select(p_key, standard)).distinct()
+    rows = per.join(expected, [p_key, standard], "full").withColumn("origin", F.when(F.col("n_texts").isNull(), "known").otherwise("found")).fillna(0, ["n_texts", "__clauses"])
     listed = titles.select(F.col(standard).alias("__std"), F.col(title).alias("__title"))
-    rows = rows.join(products.select(F.col(p_key).alias("__p"), F.col(name).alias("__name")), F.col(p_key) == F.col("__p")).join(listed, F.col(standard) == F.col("__std"), "left")
+    stated = F.array().cast("array<string>") if facts is None else F.col(facts)
+    rows = rows.join(products.select(F.col(p_key).alias("__p"), F.col(name).alias("__name"), stated.alias("__facts")), F.col(p_key) == F.col("__p")).join(listed, F.col(standard) == F.col("__std"), "left")
     texts = F.transform(F.coalesce("__texts", F.array().cast(dict(rows.dtypes)["__texts"])), lambda x: x[text])
     no = F.lit(None).cast("double")
     semantic = F.coalesce(F.bround(semantic_score(no, F.col("__fusion"), no), 2), F.lit(0.5))
-    score, status = mapping_status(title_score(F.col("__title"), F.col("__name")), term_score(F.col("__name"), texts), clause_score(F.col("__clauses")), semantic, F.lit(0.0), F.when(F.col("__std").isNotNull(), 1.0).otherwise(0.0), F.col("n_texts"), F.lit(False))
+    score, status = mapping_status(title_score(F.col("__title"), F.col("__name")), term_score(F.col("__name"), texts), clause_score(F.col("__clauses")), semantic, technical_score(F.col("__facts"), texts), F.when(F.col("__std").isNotNull(), 1.0).otherwise(0.0), F.col("n_texts"), F.lit(False))
     scored = rows.select(p_key, standard, "origin", "n_texts", score.alias("score"), status.alias("status"))
     weight = ladder(*[(F.col("status") == s, F.lit(w)) for s, w in STATUS_ORDER.items()])
     return top_k(scored, p_key, k, weight.desc(), F.col("score").desc(), F.col(standard))

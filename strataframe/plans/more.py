@@ -56,9 +56,21 @@ def _(t):
     return files.with_known_enums(t("supplier").select("s_suppkey", of(_TYPES).alias("source_type"), of(_OFTEN).alias("crawl_frequency")))
 
 
-@query("s13_html_tables", "SELECT page_id, len(regexp_extract_all(html, '(?i)<tr')) AS rows_seen FROM pages")
-def _(t):
-    return t("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(?i)<tr"), F.lit(0))).cast("long").alias("rows_seen"))
+@query("s13_html_tables", """
+    WITH p AS (SELECT page_id, length(html) % 4 AS n, length(html) AS z, regexp_extract(html, '<h1>([^<&]*)', 1) AS h FROM pages), r AS (SELECT *, unnest(range(1, n + 1))::INT AS k FROM p)
+    SELECT page_id, k AS row, 'IS ' || (z + k) || CASE WHEN k % 2 = 1 THEN ': ' || (1990 + k) ELSE '' END AS number, trim(regexp_replace(h, '\\s+', ' ', 'g')) || ' & inner ' || k AS title,
+      CASE k WHEN 1 THEN 'https://h.example/d/a' || z || '.pdf' WHEN 2 THEN 'https://h.example/b.PDF' END AS pdf_url, CASE WHEN k % 2 = 1 THEN 1990 + k END AS year FROM r""")
+def _(t):
+    """Whole pages with a table put before their article: signs in attributes, comments, a table inside a cell, rows without ends."""
+    z, n = F.length("html"), F.length("html") % 4
+    row = lambda k: F.concat(
+        F.lit("<tr class='x>y'><!-- <tr><td>no</td> --><td title=\"a > <td>\">IS "), (z + k).cast("string"), F.when(k % 2 == 1, F.concat(F.lit(": "), (k + 1990).cast("string"))).otherwise(""), F.lit("<td><b>"), F.regexp_extract("html", "<h1>([^<&]*)", 1),
+        F.lit("</b>&amp;<table><tr><td>inner</td><td>"), k.cast("string"), F.lit("</td></tr></table></td><td><a href=\"/x.html\">x</a> <a href='"), F.when(k == 1, F.concat(F.lit("a"), z.cast("string"), F.lit(".pdf"))).when(k == 2, "/b.PDF").otherwise("c.doc"), F.lit("'>pdf</a>"),
+    )
+    rows = F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.lit(3)), lambda k: k <= n), row), "\n")
+    table = F.concat(F.lit("<script>var a='<table><tr><td>';</script><TABLE data-a='>'><tr><th>Number<th>Title</tr>"), rows, F.lit("</TABLE><table><tr><td>second</table>"))
+    page = F.concat(F.substring_index("html", "<article>", 1), table, F.lit("<article>"), F.substring_index("html", "<article>", -1))
+    return html.table_rows(t("pages").withColumn("page", page), "page_id", "page", F.lit("https://h.example/d/list.html"))
 
 
 @query("s15_download_outcome", """
@@ -232,10 +244,26 @@ def _(t):
     return t("part").select("p_partkey", c.alias("c")).select("p_partkey", "c.*")
 
 
-@query("x26_query_variants", "SELECT p_partkey, list_distinct([p_name, p_brand, p_type])[1] IS NOT NULL AS found, len(list_distinct([p_name, p_brand, p_type])) AS n FROM part")
+@query("x26_query_variants", """
+    WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS n, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN lower(p_type) ELSE p_name END AS c, CASE WHEN p_size % 2 = 0 THEN 'solar' END AS tech,
+        CASE WHEN p_partkey % 3 = 0 THEN 'steel' END AS m, CASE WHEN p_partkey % 7 = 0 THEN 'domestic' END AS u, CASE WHEN p_partkey % 4 = 0 THEN ['IS 5', 'is 5', 'IS 6'] ELSE [] END AS s, p_size, lower(p_type) AS t FROM part),
+    x AS (SELECT *, coalesce(n, nullif(c, '')) AS pr, coalesce(nullif(c, ''), n) AS w FROM p),
+    y AS (SELECT *, list_filter(list_concat([pr, pr || ' requirements', pr || ' standard', tech || ' ' || w, m || ' ' || w, u || ' ' || w, tech || ' ' || m || ' ' || w], s), lambda v: v IS NOT NULL) AS a FROM x),
+    z AS (SELECT *, list_slice(list_filter(a, lambda v, i: list_position(list_transform(a, lambda q: lower(q)), lower(v)) = i), 1, 6) AS q FROM y)
+    SELECT p_partkey, CASE WHEN len(q) > 0 THEN q ELSE ['pump of ' || p_size] END AS product,
+      CASE p_partkey % 4 WHEN 0 THEN list_concat(['what is IS 5'], CASE WHEN w IS NULL THEN [] ELSE ['Indian Standard specification ' || w, 'Quality Control Order ' || w] END) WHEN 1 THEN list_concat(['what is IS 5'], CASE WHEN w IS NULL THEN [] ELSE ['IS 5 scope ' || w, 'IS 5 clause 1 scope'] END)
+        WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN ['is 5 CLAUSE 4.1', 'IS 5 section 4.1'] ELSE ['is 5 CLAUSE 4.1', 'IS 5 clause 7', 'IS 5 section 7'] END ELSE ['what is IS 5'] END AS variants FROM z""")
 def _(t):
-    v = E.variants(F.col("p_name"), F.lit(" "), F.col("p_brand"), F.col("p_type"), F.col("p_name"))
-    return t("part").select("p_partkey", (F.size(v) > 0).alias("found"), F.size(v).cast("long").alias("n"))
+    P, Z = _columns()
+    P, Z = P.cast("long"), Z.cast("int")
+    name = F.when(P % 5 != 0, F.col("p_name"))
+    category = F.when(Z % 3 == 0, "").when(Z % 3 == 1, F.lower("p_type")).otherwise(F.col("p_name"))
+    standards = F.when(P % 4 == 0, F.array(F.lit("IS 5"), F.lit("is 5"), F.lit("IS 6")))
+    product = E.product_queries(name, category, F.when(Z % 2 == 0, "solar"), F.when(P % 3 == 0, "steel"), F.when(P % 7 == 0, "domestic"), standards, F.concat(F.lit("pumps of "), Z.cast("string")))
+    intent = F.element_at(F.array(*[F.lit(x) for x in ("STANDARD_DISCOVERY", "APPLICABILITY_QUERY", "CLAUSE_LOOKUP", "OTHER")]), (1 + P % 4).cast("int"))
+    known = F.coalesce(F.nullif(category, F.lit("")), name)
+    asked = E.query_variants(F.when(P % 4 == 2, "is 5 CLAUSE 4.1").otherwise("what is IS 5"), intent, F.lit("IS 5"), F.when(Z % 2 == 0, "4.1").otherwise("7"), known)
+    return t("part").select("p_partkey", product.alias("product"), asked.alias("variants"))
 
 
 @query("x29_requirements", """
@@ -410,9 +438,27 @@ def _(t):
 def _(t):
     docs = t("documents").select("doc_id", "text", F.concat(F.lit("IS "), F.col("doc_id") % 40).alias("standard"), (F.col("doc_id") % 7).cast("string").alias("clause"))
     titles = t("benchmark").select(F.concat(F.lit("IS "), F.col("item_id")).alias("standard"), F.col("text").alias("title"))
-    products = t("benchmark").select("item_id", F.regexp_replace("text", r"\s+", " ").alias("name"))
+    products = t("benchmark").select("item_id", F.regexp_replace("text", r"\s+", " ").alias("name")).withColumn("facts", F.slice(F.split("name", " "), 1, 3))
+    vectors = t("embeddings").select("vec_id", "embedding")
+    rows = vectors.join(t("documents").select("doc_id"), F.col("vec_id") == F.col("doc_id")).select("doc_id", "embedding")
+    asked = t("benchmark").select("item_id").join(vectors, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
+    dense = R.knn(rows, "doc_id", "embedding", asked, "item_id", "embedding", 10)
     known = t("benchmark").select("item_id", F.concat(F.lit("IS "), (F.col("item_id") + 1) % 40).alias("standard"))
-    return D.discover(products, "item_id", "name", docs, "doc_id", "text", "standard", "clause", titles, "title", known, k=5)
+    return D.discover(products, "item_id", "name", docs, "doc_id", "text", "standard", "clause", titles, "title", known, k=5, dense=dense, facts="facts")
+
+
+@query("r10_titles", """
+    WITH t AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN p_name || ' - specification' WHEN 1 THEN 'Code for ' || p_name || 's' WHEN 2 THEN string_split(p_name, ' ')[2] || ' and other goods of brass' ELSE p_type END AS title FROM supplier JOIN part ON p_partkey = s_suppkey),
+    n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, lower(p_name) AS p, s_suppkey, lower(title) AS t FROM n, t),
+    y AS (SELECT *, list_filter(list_distinct(regexp_extract_all(t, '\\b[a-z]{3,}\\b')), lambda x: x NOT IN ('the', 'and', 'for', 'with')) AS a, list_filter(list_distinct(regexp_extract_all(p, '\\b[a-z]{3,}\\b')), lambda x: x NOT IN ('the', 'and', 'for', 'with')) AS b FROM w),
+    z AS (SELECT *, CASE WHEN least(len(a), len(b)) = 0 THEN 0 ELSE len(list_intersect(a, b)) / least(len(a), len(b)) END AS o FROM y)
+    SELECT p_name, s_suppkey, CAST(CASE WHEN starts_with(t, p) THEN 1.0 WHEN contains(t, p) THEN 0.9 WHEN o >= 0.66 THEN 0.85 WHEN o >= 0.33 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM z WHERE starts_with(t, p) OR contains(t, p) OR o >= 0.33""")
+def _(t):
+    """Names of all parts against titles: by containment, plurals among them, and by shared words."""
+    p, k = t("part"), F.col("s_suppkey") % 4
+    named = t("supplier").join(p, F.col("s_suppkey") == F.col("p_partkey"))
+    title = F.when(k == 0, F.concat("p_name", F.lit(" - specification"))).when(k == 1, F.concat(F.lit("Code for "), "p_name", F.lit("s"))).when(k == 2, F.concat(F.element_at(F.split("p_name", " "), 2), F.lit(" and other goods of brass"))).otherwise(F.col("p_type"))
+    return D.titled(p.select("p_name").distinct().withColumn("name", F.col("p_name")), "p_name", "name", named.select("s_suppkey", title.alias("title")), "s_suppkey", "title")
 
 
 @query("q04_query_context", """

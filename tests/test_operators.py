@@ -250,9 +250,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "h" / "a.bin").write_bytes(b"2")
     (tmp_path / "h" / "b.bin").write_bytes(b"3")
     assert sorted(r.state for r in files.changed_files(recorded, files.file_hashes(spark, str(tmp_path / "h"))).collect()) == ["changed", "new"]
-    (tmp_path / "r.json").write_text(json.dumps({"sources": [{"source_id": "a", "source_type": "odd", "crawl_frequency": "weekly"}]}))
+    (tmp_path / "r.json").write_text(json.dumps({"sources": [{"source_id": "a", "source_type": "odd", "crawl_frequency": "WEEKLY"}]}))
     rec = files.read_registry(spark, str(tmp_path / "r.json")).first()
-    assert (rec.source_type, rec.crawl_frequency) == ("portal", "weekly")
+    assert (rec.source_type, rec.crawl_frequency) == ("OFFICIAL_PORTAL", "WEEKLY")
     (tmp_path / "cases.json").write_text(json.dumps([{"id": "a", "query": "q"}, {"id": "b"}]))
     assert [tuple(r) for r in files.read_cases(spark, str(tmp_path / "cases.json"), "id string, query string").orderBy("id").collect()] == [("a", "q"), ("b", None)]
     files.append_log(chunks.select("doc"), str(tmp_path / "log"))
@@ -298,8 +298,10 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_extraction(spark):
-    h = one(spark, E.header(F.col("t"), F.lit("x.pdf")), t="# Steel pipes\nIS 1239 (Part 1) : 2004\nSeventh Revision\n")
-    assert (h.number, h.part, h.year, h.title, h.edition, h.document_type) == ("1239", "1", 2004, "Steel pipes", "Seventh", "indian_standard")
+    h = one(spark, E.header(F.col("t"), F.lit("x.pdf")), t="# Steel pipes\nIS 1239 (Part 1) : 2004\nSixth Edition\nIndian Standard, dated May 2004\n")
+    assert (h.number, h.part, h.year, h.title, h.edition, h.document_type, h.published) == ("IS 1239-1", "1", 2004, "Steel pipes", "Sixth Edition", "indian_standard", "May 2004")
+    none = one(spark, E.header(F.col("t"), F.lit("x.pdf")), t="# <!-- PAGE 3 -->\n## Small\ntext")
+    assert (none.number, none.title, none.document_type) == (None, None, None)
     df = spark.createDataFrame([(1, "Hello there. - ok then! This is fine?\n\nSources: [EV1]")], "id long, t string")
     assert [r.claim for r in D.claims(df, "id", "t").orderBy("claim_id").collect()] == ["Hello there.", "ok then!", "This is fine?"]
 

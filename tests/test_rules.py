@@ -251,7 +251,7 @@ def test_discovery(spark):
     products = spark.createDataFrame([(7, "water pump"), (8, "kettle")], "p long, name string")
     known = spark.createDataFrame([(7, "IS 1"), (7, "IS 9"), (8, "IS 2")], "p long, std string")
     got = [tuple(r) for r in D.discover(products, "p", "name", docs, "id", "text", "std", "clause", titles, "title", known).select("p", "std", "origin", "n_texts", "status", "rank").orderBy("p", "rank").collect()]
-    assert got == [(7, "IS 1", "found", 3, "STRONG_CANDIDATE", 1), (7, "IS 9", "known", 0, "INSUFFICIENT_EVIDENCE", 2), (8, "IS 2", "known", 0, "INSUFFICIENT_EVIDENCE", 1)]
+    assert got == [(7, "IS 1", "found", 3, "STRONG_CANDIDATE", 1), (7, "IS 9", "known", 0, "INSUFFICIENT_EVIDENCE", 2), (8, "IS 9", "known", 0, "POSSIBLE_CANDIDATE", 1), (8, "IS 2", "known", 0, "INSUFFICIENT_EVIDENCE", 2)]  # a title that fits is a candidate without a hit
 
 
 def test_comparison_of_ranges_texts_and_one_sided_units(spark):
@@ -309,3 +309,27 @@ def test_answers_are_validated_whole(spark):
     got = {(r.a, r.claim_id): (r.status, r.issues) for r in D.validate(answers.withColumnRenamed("id", "a"), "a", "answer", evidence).collect()}
     assert got[1, "C1"] == ("UNSUPPORTED", ["unsupported_numerical_value:10mm"])
     assert got[1, "C2"] == ("UNSUPPORTED", ["fake_or_unknown_citation_id:EV9"]) and got[2, "C1"] == ("UNVERIFIABLE", ["missing_citation"]) and len(got) == 3
+
+
+def test_evidence_is_gathered_by_names(spark):
+    asked = spark.createDataFrame([(1, "s", "Wall thickness"), (2, "s", "certification"), (3, "s", "..."), (4, "other", "Wall thickness")], "r long, scope string, name string")
+    parameters = spark.createDataFrame(
+        [("s", "d1", 0, "maximum wall thickness", 1.0), ("s", "d1", 1, "wall-thickness", 2.0), ("s", "d2", 0, "Wall thickness", 3.0), ("s", "d2", 1, "WALL THICKNESS", 4.0), ("s", "d3", 0, "thickness", 5.0), ("s", "d4", 0, "outer wall thickness nominal", 6.0), ("t", "d5", 0, "Wall thickness", 7.0)],
+        "scope string, doc string, pos int, name string, value double",
+    )
+    tests = spark.createDataFrame([("s", "d1", "Thickness", "9", "PASS"), ("s", "d3", "Mean wall thickness (mm)", "8", "FAIL"), ("s", "d3", "colour", "x", "PASS")], "scope string, doc string, name string, value string, verdict string")
+    standards = spark.createDataFrame([("s", "d2", "IS 5"), ("t", "d5", "IS 6")], "scope string, doc string, number string")
+    got = sorted(tuple(r) for r in D.gather_evidence(asked, "r", "scope", "name", parameters, tests, standards).select("req", "doc", "source", "matched", "value").collect())
+    assert got == [
+        (1, "d1", "parameter", "wall-thickness", "2.0"), (1, "d1", "test", "Thickness", "9"), (1, "d2", "parameter", "Wall thickness", "3.0"), (1, "d3", "test", "Mean wall thickness (mm)", "8"),
+        (1, "d4", "parameter", "outer wall thickness nominal", "6.0"), (2, "d2", "standard", "standard_reference", "IS 5"),
+    ]
+
+
+def test_query_variants_by_intent(spark):
+    from strataframe.functions import extract as E
+
+    s = "q string, i string, n string, c string, p string"
+    rows = [("Q ", "STANDARD_DISCOVERY", None, None, "pumps"), ("Q", "STANDARD_DISCOVERY", None, None, ""), ("Q", "APPLICABILITY_QUERY", "IS 5", None, "pumps"), ("is 5 clause 4", "CLAUSE_LOOKUP", "IS 5", "4", None), ("Q", "OTHER", "IS 5", "4", "pumps"), ("Q", None, None, None, None)]
+    got = [r[0] for r in values(spark, rows, s, E.query_variants(F.col("q"), F.col("i"), F.col("n"), F.col("c"), F.col("p")))]
+    assert got == [["Q ", "Indian Standard specification pumps", "Quality Control Order pumps"], ["Q"], ["Q", "IS 5 scope pumps", "IS 5 clause 1 scope"], ["is 5 clause 4", "IS 5 section 4"], ["Q"], ["Q"]]
