@@ -27,7 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.llm._common import drop_stages, id_crc_mod, release_memory, slices, stage_mark, stage_table
@@ -38,8 +38,8 @@ DOCS_PER_LANG = 1200
 MIN_COUNT = 2
 #: Languages that are learned, the most frequent ones; a dirty lang column has many more values.
 MAX_LANGS = 256
-#: Rows of (lang, gram) the model may have; the sample keeps it far below.
-MAX_MODEL_ROWS = 4_000_000
+#: Cells (grams times languages) that the model may have, 4 bytes each; with more languages the model keeps the most frequent grams of each.
+MODEL_CELLS = 64_000_000
 #: Words of evidence beyond which a document's likelihood is scaled down.
 EVIDENCE = 30.0
 _CACHE = 200_000
@@ -133,9 +133,10 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, min_count: int = MI
     counted = sample.mapInArrow(_count, "lang string, n int, gram string, k long")
     before = stage_mark()
     kept = stage_table(counted.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).filter(F.col("k") >= min_count), "langid-model")
-    size = kept.count()
-    if size > MAX_MODEL_ROWS:
-        raise ValueError(f"language model of {size} rows; lower docs_per_lang")
+    most = MODEL_CELLS // len(langs)
+    if kept.count() > most:
+        by_count = Window.partitionBy("lang", "n").orderBy(F.col("k").desc(), "gram")
+        kept = kept.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= max(1, most // (len(langs) * (1 + len(ORDERS))))).drop("place")
     rows = kept.toArrow()
     drop_stages(docs.sparkSession, before, stage_mark())
     order = rows.sort_by([("lang", "ascending"), ("n", "ascending"), ("gram", "ascending")])

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from strataframe.llm import langid as L
@@ -66,3 +67,15 @@ def test_only_undetermined_rows_go(spark):
     assert found[1].score < 0.5 and found[2].score < 0.5  # words of all languages, words of none
     kept = {r.doc_id for r in L.keep_identified(df, model).collect()}
     assert kept == {i for i, r in found.items() if r.lang_pred != "und"} == {1, 2, 3}
+
+
+def test_many_languages_bound_the_model(spark, monkeypatch):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k}": ["".join(rng.choices(letters, k=6)) for _ in range(40)] for k in range(30)}
+    rows = [D.row(100 * k + i, " ".join(rng.choices(words, k=30)), lang) for k, (lang, words) in enumerate(own.items()) for i in range(12)]
+    monkeypatch.setattr(L, "MODEL_CELLS", 30 * 30 * 6 * 20)
+    model = L.fit(D.frame(spark, rows))
+    assert len(model.langs) == 30 and model.logs.size <= L.MODEL_CELLS
+    got = {r.doc_id: r.lang_pred for r in L.identify(D.frame(spark, rows), model).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) > 0.95 * len(rows)
