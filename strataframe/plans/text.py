@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataframe.functions import contract as K
 from strataframe.functions import grounding as G
 from strataframe.functions import text as X
 from strataframe.functions import units as U
@@ -175,9 +176,27 @@ def _(t):
     return t("part").select("p_partkey", X.encode_int(F.when(F.col("p_size") % 5 != 0, F.col("p_size"))).alias("encoded"), X.encode_tristate(F.when(F.col("p_size") % 3 != 0, F.col("p_size") > 25)).alias("state"))
 
 
-@query("x16_contract_problems", "SELECT o_orderkey, list_filter([CASE WHEN o_totalprice <= 50000 THEN 'price' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END], lambda x: x IS NOT NULL) AS problems FROM orders")
-def _(t):
-    return t("orders").select("o_orderkey", C.problems({"price": F.col("o_totalprice") > 50000, "status": F.col("o_orderstatus").isin("O", "F")}).alias("problems"))
+@query("x16_contract_problems", """
+    WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS a, o_orderkey % 3 AS b, o_orderkey % 5 AS c, o_custkey % 7 AS d FROM orders)
+    SELECT k AS o_orderkey, list_filter([CASE a WHEN 1 THEN 'missing fields: [''part'', ''section'']' END, CASE b WHEN 1 THEN 'unexpected fields: [''colour'']' END, CASE d WHEN 1 THEN 'required field ''chunk_id'' is empty' END, CASE c WHEN 1 THEN 'schema_version ''5.0'' != current ''6.0''' END,
+      CASE b WHEN 2 THEN 'field ''chunk_index'' must be int, got str' END, CASE c WHEN 2 THEN 'page_start 0 is not a valid page number' END, CASE d WHEN 2 THEN 'inverted page range: page_start=' || (k % 100 + 2) || ' > page_end=' || (k % 100 + 1) END,
+      CASE a WHEN 2 THEN 'standard_relation=''none'' must not carry standard_id ''std_' || k || '''' END, CASE a WHEN 2 THEN 'standard_relation=''none'' must not carry version_id ''ver_std_' || (k + d // 6) || '_1''' END,
+      CASE WHEN d = 6 THEN 'version_id ''ver_std_' || (k + 1) || '_1'' does not belong to standard_id ''std_' || k || '''' END], lambda x: x IS NOT NULL) AS problems FROM (SELECT k, a, b, CASE WHEN d = 2 THEN 0 ELSE c END AS c, d FROM o)""")
+def _(t):
+    """Metadata of every order with one fault or several, each varied by itself."""
+    k, d = F.col("o_orderkey"), F.col("o_custkey") % 7
+    a, b, c = k % 4, k % 3, F.when(d == 2, 0).otherwise(k % 5)
+    fixed = {"schema_version", "chunk_id", "chunk_index", "page_start", "page_end", "part", "section", "standard_id", "version_id", "standard_relation"}
+    fields = [F.lit(1 if kind == "int" else "x").alias(n) for n, kind in K.FIELDS.items() if n not in fixed]
+    page = k % 100 + 2
+    fields += [
+        F.when(c == 1, "5.0").otherwise("6.0").alias("schema_version"), F.when(d == 1, "").otherwise("c1").alias("chunk_id"), F.when(c == 2, 0).otherwise(page).alias("page_start"), F.when(d == 2, page - 1).otherwise(page).alias("page_end"),
+        F.when(a != 1, "p").alias("part"), F.when(a != 1, "s").alias("section"), F.when(b == 1, "red").alias("colour"), F.when(a == 2, "none").otherwise("identity").alias("standard_relation"),
+        F.concat(F.lit("std_"), k).alias("standard_id"), F.concat(F.lit("ver_std_"), k + F.when(d == 6, 1).otherwise(0), F.lit("_1")).alias("version_id"), F.when(b != 2, k).alias("chunk_index"),
+    ]
+    body = F.to_json(F.struct(*fields))
+    body = F.when(b == 2, F.concat(F.lit('{"chunk_index":"7",'), F.substring(body, F.lit(2), F.length(body)))).otherwise(body)
+    return t("orders").select("o_orderkey", K.contract_problems(body).alias("problems"))
 
 
 @query("x17_context_prefix", """

@@ -333,3 +333,34 @@ def test_query_variants_by_intent(spark):
     rows = [("Q ", "STANDARD_DISCOVERY", None, None, "pumps"), ("Q", "STANDARD_DISCOVERY", None, None, ""), ("Q", "APPLICABILITY_QUERY", "IS 5", None, "pumps"), ("is 5 clause 4", "CLAUSE_LOOKUP", "IS 5", "4", None), ("Q", "OTHER", "IS 5", "4", "pumps"), ("Q", None, None, None, None)]
     got = [r[0] for r in values(spark, rows, s, E.query_variants(F.col("q"), F.col("i"), F.col("n"), F.col("c"), F.col("p")))]
     assert got == [["Q ", "Indian Standard specification pumps", "Quality Control Order pumps"], ["Q"], ["Q", "IS 5 scope pumps", "IS 5 clause 1 scope"], ["is 5 clause 4", "IS 5 section 4"], ["Q"], ["Q"]]
+
+
+def test_index_contract(spark):
+    import json
+
+    from strataframe.functions import contract as K
+
+    good = {n: 1 if kind == "int" else "x" for n, kind in K.FIELDS.items()} | {"schema_version": "6.0", "standard_relation": "identity", "standard_id": "std_5", "version_id": "ver_std_5_1994", "page_start": 2, "page_end": 3}
+    less = lambda *names: {k: v for k, v in good.items() if k not in names}
+    cases = [
+        (good, []),
+        (good | {"page_start": -1, "page_end": -1}, []),
+        (less("part", "authority"), ["missing fields: ['authority', 'part']"]),
+        (good | {"b": 1, "a": 2}, ["unexpected fields: ['a', 'b']"]),
+        (good | {"chunk_id": ""}, ["required field 'chunk_id' is empty"]),
+        (good | {"chunk_id": None}, ["required field 'chunk_id' is empty", "field 'chunk_id' is None; the store has no null"]),
+        (good | {"schema_version": "5.0"}, ["schema_version '5.0' != current '6.0'"]),
+        (good | {"chunk_index": "1", "section": 4, "standard_year": True, "part": 1.5}, ["field 'chunk_index' must be int, got str", "field 'section' must be str, got int", "field 'standard_year' must be int, got bool", "field 'part' must be str, got float"]),
+        (good | {"page_start": 0, "page_end": 0}, ["page_start 0 is not a valid page number", "page_end 0 is not a valid page number"]),
+        (good | {"page_start": 5, "page_end": 4}, ["inverted page range: page_start=5 > page_end=4"]),
+        (good | {"standard_id": "", "version_id": ""}, ["standard_relation='identity' but standard_id is empty", "standard_relation='identity' but version_id is empty"]),
+        (good | {"standard_relation": "none"}, ["standard_relation='none' must not carry standard_id 'std_5'", "standard_relation='none' must not carry version_id 'ver_std_5_1994'"]),
+        (good | {"standard_relation": "reference", "standard_id": "", "version_id": ""}, []),
+        (good | {"standard_relation": "odd"}, ["unknown standard_relation 'odd'"]),
+        (good | {"standard_relation": "reference", "standard_id": ""}, ["standard_relation='reference' must not carry version_id 'ver_std_5_1994'", "version_id present without standard_id"]),
+        (good | {"version_id": "ver_std_6_1"}, ["version_id 'ver_std_6_1' does not belong to standard_id 'std_5'"]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(m)) for i, (m, _) in enumerate(cases)] + [(98, "bad"), (99, None)], "i int, m string")
+    got = [r.p for r in df.select("i", K.contract_problems(F.col("m")).alias("p")).orderBy("i").collect()]
+    assert got[:-2] == [want for _, want in cases]
+    assert got[-1] == got[-2] and got[-1][0].startswith("missing fields: ['amendment'") and len(got[-1]) == 1

@@ -35,18 +35,6 @@ def test_joins_take_all_orders(spark, tmp_path):
     assert max(want.values()) >= 1000
     assert {r.p_partkey: r.o_orderkey for r in QUERIES["j02_derived_key_join"](spark, str(tmp_path)).collect()} == want
     even = {o for o, _ in orders if o % 2 == 0}
-    pairs = [(f"{o}.{n}", str(o) if o in even else None) for o, n in lines] + [(str(o), None) for o in even]
-    got = [tuple(r) for r in QUERIES["j06_parent_clause"](spark, str(tmp_path)).select("num", "parent").collect()]
-    assert sorted(got, key=repr) == sorted(pairs, key=repr)
-
-
-def test_report_does_not_cut_a_section(spark):
-    assert files.markdown_report("t", {"s": spark.range(1000)}).count("\n| ") >= 1001
-    with pytest.raises(ValueError, match="s has over 1000 rows"):
-        files.markdown_report("t", {"s": spark.range(1001)})
-
-
-def test_coverage_reads_whole_texts(spark, tmp_path):
-    late = " ".join(f"{a}{b}x" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst")  # 400 words of 3 letters, 1599 characters
-    spark.createDataFrame([(1, late)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert QUERIES["a27_token_coverage"](spark, str(tmp_path)).first().coverage > 0.98
+    want = {o: (2 + (o in even), 2 * (o in even), str(o) if o in even else None) for o, _ in orders}
+    got = {r.l_orderkey: (r.clauses, r.with_parent, r.parent) for r in QUERIES["j06_parent_clause"](spark, str(tmp_path)).collect()}
+    assert got == want
