@@ -405,6 +405,57 @@ def scheme(standard: Column, product: Column, title: Column, order: Column, mand
     )
 
 
+def _first_holding(table: DataFrame, columns: list[str], pos: str, asked: DataFrame, value: str, out: list[str]) -> DataFrame:
+    """value, out: of each asked text the first row of ``table`` of which a column holds it, whatever its case."""
+    wanted = asked.select(F.lower(value).alias("__v")).filter("__v != ''").distinct()
+    rows = reduce(DataFrame.unionByName, [table.select(F.lower(c).alias("__c"), F.struct(*dict.fromkeys([pos, *out])).alias("__r")) for c in columns]).filter("__c IS NOT NULL")
+    found = occurring(rows.select("__c").distinct(), "__c", "__c", wanted, "__v")
+    best = found.join(rows, "__c").groupBy("pattern").agg(F.min_by("__r", f"__r.{pos}").alias("__r"))  # the first in the table's order
+    return best.select(F.col("pattern").alias(f"__{value}"), *[F.col(f"__r.{c}").alias(c) for c in out])
+
+
+def select_scheme(asks: DataFrame, key: str, number: str, product: str, mandatory: str, order: str, origin: str, catalogue: DataFrame, orders: DataFrame) -> DataFrame:
+    """key, standard, order, mandatory, scheme: the certification scheme of each question, with its look-ups.
+
+    ``catalogue``: pos, number ('IS 5:1994'), title, products, category,
+    mandatory, order_number. ``orders``: pos, number, title, mandatory. The
+    standard is the one that the product resolves to, where none is named or
+    the named one is another that the question has no word of; else the first
+    catalogue row that holds its number. The order is the given one, that of
+    the catalogue row, or the first whose title or number holds the standard's
+    digits. Stated facts come before the catalogue's, the catalogue's before
+    the order's.
+    """
+    named = F.regexp_extract(F.coalesce(F.col(number), F.lit("")), r"(?i)IS\s*([0-9]+(?:\s*(?:Part|Pt\.?)\s*[0-9]+)?)", 1)
+    own = F.when(named != "", F.concat(F.lit("IS "), named)).otherwise(F.trim(F.coalesce(F.col(number), F.lit(""))))
+    q = asks.select(key, F.col(product).alias("__text"), F.col(mandatory).alias("__must"), F.col(order).alias("__order"), F.col(origin).alias("__origin"), own.alias("__own"))
+    from strataframe.operators.joins import match_catalogue
+
+    fields = ["number", "title", "mandatory", "order_number"]
+    record = F.struct(*fields)
+    by_product = match_catalogue(q.filter(F.coalesce("__text", F.lit("")) != ""), key, "__text", catalogue, "number", "products", "title", "category").join(catalogue.select("number", record.alias("__p")), "number").select(F.col(key).alias("__k"), "__p")
+    q = q.join(by_product, F.col(key) == F.col("__k"), "left").drop("__k")
+    base = F.split_part(F.col("__p.number"), F.lit(":"), F.lit(1))
+    strange = ~F.exists(F.filter(F.split(F.lower("__own"), r"\s+"), lambda w: w != ""), lambda w: F.contains(F.lower("__text"), w))
+    takes = F.col("__p").isNotNull() & ((F.col("__own") == "") | ((base != F.col("__own")) & strange))
+    q = q.withColumn("__std", F.when(takes, base).otherwise(F.col("__own"))).withColumn("__p", F.when(takes, F.col("__p"))).withColumn("__digits", F.regexp_extract("__std", r"\d+", 0))
+    held = lambda value, name: _first_holding(catalogue, ["number"], "pos", q, value, ["pos", *fields]).select(F.col(f"__{value}").alias(f"{name}_k"), F.struct("pos", record.alias("r")).alias(name))
+    by_name, by_digits = held("__std", "__n"), held("__digits", "__d")
+    q = q.join(by_name, F.lower("__std") == F.col("__n_k"), "left").join(by_digits, F.col("__digits") == F.col("__d_k"), "left")
+    first = F.when(F.col("__n.pos") <= F.coalesce(F.col("__d.pos"), F.col("__n.pos")), F.col("__n.r")).otherwise(F.col("__d.r"))
+    q = q.withColumn("__row", F.coalesce("__p", first)).withColumn("__asked", F.coalesce(F.nullif("__order", F.lit("")), F.nullif("__row.order_number", F.lit(""))))
+    facts = ["number", "title", "mandatory"]
+    listed = lambda value, name: _first_holding(orders, ["number", "title"], "pos", q, value, facts).select(f"__{value}", F.struct(*facts).alias(name))
+    q = q.join(listed("__digits", "__o1").withColumnRenamed("____digits", "__k1"), F.col("__digits") == F.col("__k1"), "left").join(listed("__asked", "__o2"), F.lower("__asked") == F.col("____asked"), "left")
+    found = F.when(F.col("__asked").isNull(), F.col("__o1")).otherwise(F.coalesce("__o2", F.when(F.contains(F.lower("__o1.title"), F.col("__digits")), F.col("__o1"))))
+    q = q.withColumn("__found", found).withColumn("__named", F.coalesce("__found.number", "__asked"))
+    must = F.coalesce("__must", "__row.mandatory", F.when(F.col("__found").isNotNull(), F.coalesce("__found.mandatory", F.lit(True))), F.lit(False))
+    title = F.coalesce("__found.title", F.col("__named"))
+    known = F.col("__row").isNotNull() | (F.col("__std") != "")
+    chosen = scheme(F.col("__std"), F.col("__text"), F.col("__row.title"), title, must, F.col("__origin"), known)
+    return q.select(key, F.coalesce("__row.number", F.nullif("__std", F.lit(""))).alias("standard"), F.col("__named").alias("order"), must.alias("mandatory"), chosen.alias("scheme"))
+
+
 def checklist_kind(standard: Column, title: Column, product: Column, code: Column) -> Column:
     """Which checklist applies: by number, by a part of the scheme's code, or by words; precious metals before electronics before makers abroad."""
     no = lambda c: F.coalesce(c, F.lit(""))

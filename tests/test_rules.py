@@ -364,3 +364,25 @@ def test_index_contract(spark):
     got = [r.p for r in df.select("i", K.contract_problems(F.col("m")).alias("p")).orderBy("i").collect()]
     assert got[:-2] == [want for _, want in cases]
     assert got[-1] == got[-2] and got[-1][0].startswith("missing fields: ['amendment'") and len(got[-1]) == 1
+
+
+def test_schemes_are_selected_with_their_lookups(spark):
+    catalogue = spark.createDataFrame(
+        [(0, "IS 269:2015", "Cement specification", ["portland cement"], "building", True, "Cement Order 2003"), (1, "IS 1417:2016", "Gold alloys", ["gold jewellery"], "precious", True, None), (2, "IS 694:2010", "PVC cables", ["pvc cables"], "wire", False, None), (3, "IS 16694:2018", "Other things", ["odd goods"], "misc", None, None)],
+        "pos int, number string, title string, products array<string>, category string, mandatory boolean, order_number string",
+    )
+    orders = spark.createDataFrame([(0, "S.O. 1", "Cement Order 2003", True), (1, "S.O. 694", "Wires of all kinds", True), (2, "S.O. 9", "IS 16694 goods", None)], "pos int, number string, title string, mandatory boolean")
+    rows = [
+        (1, None, "certify portland cement", None, None, None, "IS 269:2015", "S.O. 1", True, "SCHEME-I"),
+        (2, None, "imported portland cement", None, None, None, "IS 269:2015", "S.O. 1", True, "SCHEME-X"),
+        (3, "IS 269", "portland cement is 269", None, None, "overseas", "IS 269:2015", "S.O. 1", True, "SCHEME-X"),
+        (4, "IS 16444", "gold jewellery", None, None, None, "IS 1417:2016", None, True, "SCHEME-IV"),  # the product counts, not a strange number
+        (5, "is694", None, None, None, None, "IS 694:2010", "S.O. 694", False, "SCHEME-I-VOLUNTARY"),  # the catalogue's fact before the order's
+        (6, "IS 694", None, True, None, None, "IS 694:2010", "S.O. 694", True, "SCHEME-I"),
+        (7, "IS 16694", None, None, None, None, "IS 16694:2018", "S.O. 9", True, "SCHEME-I"),
+        (8, None, None, None, None, "domestic", None, None, False, "SCHEME-CLARIFICATION-REQUIRED"),
+        (9, "IS 99999", None, None, "Order 7", None, "IS 99999", "Order 7", False, "SCHEME-I-VOLUNTARY"),
+    ]
+    asks = spark.createDataFrame([r[:6] for r in rows], "id int, number string, product string, must boolean, ord string, origin string")
+    got = {r.id: tuple(r)[1:] for r in D.select_scheme(asks, "id", "number", "product", "must", "ord", "origin", catalogue, orders).collect()}
+    assert got == {r[0]: r[6:] for r in rows}
