@@ -152,21 +152,21 @@ def _(t):
     return _evidence(t)
 
 
-_NAMES = ["Wall thickness", "wall-thickness", "Maximum wall thickness", "Working pressure", "pressure", "certification", "mass", "Rated working pressure test", "Thick"]
+_EVIDENCE_NAMES = ["Wall thickness", "wall-thickness", "Maximum wall thickness", "Working pressure", "pressure", "certification", "mass", "Rated working pressure test", "Thick"]
 
 
 @query("j14_gathered", f"""
-    WITH a AS (SELECT p_partkey AS req, p_partkey % 40 AS scope, {_NAMES!r}[1 + p_size % 9] AS asked FROM part), an AS (SELECT *, regexp_replace(lower(asked), '[^a-z0-9]', '', 'g') AS ap, list_distinct(regexp_extract_all(lower(asked), '\\b[a-z]{{3,}}\\b')) AS aw FROM a),
-    p AS (SELECT s_suppkey % 40 AS scope, s_suppkey AS doc, pos, {_NAMES!r}[1 + (s_suppkey + pos * 5) % 9] AS matched, s_nationkey + pos AS value FROM supplier, range(3) r(pos)), pn AS (SELECT *, regexp_replace(lower(matched), '[^a-z0-9]', '', 'g') AS pp, list_distinct(regexp_extract_all(lower(matched), '\\b[a-z]{{3,}}\\b')) AS pw FROM p),
+    WITH a AS (SELECT p_partkey AS req, p_partkey % 40 AS scope, {_EVIDENCE_NAMES!r}[1 + p_size % 9] AS asked FROM part), an AS (SELECT *, regexp_replace(lower(asked), '[^a-z0-9]', '', 'g') AS ap, list_distinct(regexp_extract_all(lower(asked), '\\b[a-z]{{3,}}\\b')) AS aw FROM a),
+    p AS (SELECT s_suppkey % 40 AS scope, s_suppkey AS doc, pos, {_EVIDENCE_NAMES!r}[1 + (s_suppkey + pos * 5) % 9] AS matched, s_nationkey + pos AS value FROM supplier, range(3) r(pos)), pn AS (SELECT *, regexp_replace(lower(matched), '[^a-z0-9]', '', 'g') AS pp, list_distinct(regexp_extract_all(lower(matched), '\\b[a-z]{{3,}}\\b')) AS pw FROM p),
     m AS (SELECT req, doc, matched, value, row_number() OVER (PARTITION BY req, doc ORDER BY CASE WHEN asked = matched THEN 0 WHEN ap = pp THEN 1 ELSE 2 END, CASE WHEN ap = pp THEN 0 ELSE -len(list_intersect(aw, pw)) END, pos) AS r FROM an JOIN pn USING (scope) WHERE ap = pp OR len(list_intersect(aw, pw)) >= 2)
     SELECT req, doc, 'parameter' AS source, matched, CAST(value AS VARCHAR) AS value, NULL AS verdict FROM m WHERE r = 1
     UNION ALL SELECT req, doc, 'test', matched, CAST(value AS VARCHAR), CASE WHEN value % 2 = 0 THEN 'PASS' ELSE 'FAIL' END FROM an JOIN pn USING (scope) WHERE pos < 2 AND (contains(ap, pp) OR contains(pp, ap))
     UNION ALL SELECT req, s_suppkey, 'standard', 'standard_reference', 'IS ' || s_nationkey, NULL FROM an JOIN supplier ON s_suppkey % 40 = scope WHERE lower(asked) = 'certification'""")
 def _(t):
     """Requirements of parts against the parameters and test rows of suppliers' documents."""
-    asked = t("part").select("p_partkey", (F.col("p_partkey") % 40).alias("scope"), _one_of(_NAMES, F.col("p_size")).alias("asked"))
+    asked = t("part").select("p_partkey", (F.col("p_partkey") % 40).alias("scope"), _one_of(_EVIDENCE_NAMES, F.col("p_size")).alias("asked"))
     docs = t("supplier").select((F.col("s_suppkey") % 40).alias("scope"), F.col("s_suppkey").alias("doc"), "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
-    rows = docs.select("scope", "doc", "pos", _one_of(_NAMES, F.col("doc") + F.col("pos") * 5).alias("name"), (F.col("s_nationkey") + F.col("pos")).alias("value"))
+    rows = docs.select("scope", "doc", "pos", _one_of(_EVIDENCE_NAMES, F.col("doc") + F.col("pos") * 5).alias("name"), (F.col("s_nationkey") + F.col("pos")).alias("value"))
     tests = rows.filter("pos < 2").withColumn("verdict", F.when(F.col("value") % 2 == 0, "PASS").otherwise("FAIL"))
     standards = t("supplier").select((F.col("s_suppkey") % 40).alias("scope"), F.col("s_suppkey").alias("doc"), F.concat(F.lit("IS "), "s_nationkey").alias("number"))
     return D.gather_evidence(asked, "p_partkey", "scope", "asked", rows, tests, standards)

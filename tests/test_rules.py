@@ -386,3 +386,15 @@ def test_schemes_are_selected_with_their_lookups(spark):
     asks = spark.createDataFrame([r[:6] for r in rows], "id int, number string, product string, must boolean, ord string, origin string")
     got = {r.id: tuple(r)[1:] for r in D.select_scheme(asks, "id", "number", "product", "must", "ord", "origin", catalogue, orders).collect()}
     assert got == {r[0]: r[6:] for r in rows}
+
+
+@pytest.mark.parametrize("module", ["more", "retrieval", "rules", "store", "temporal", "text"])
+def test_names_of_plans_are_bound_once(module):
+    """A query reads its module's names when it runs: a second list of the same name would be read by the first one's queries."""
+    import ast
+    import importlib
+
+    tree = ast.parse(open(importlib.import_module(f"strataframe.plans.{module}").__file__).read())
+    names = [n.id for s in tree.body if isinstance(s, ast.Assign) for t in s.targets for n in ast.walk(t) if isinstance(n, ast.Name)]
+    names += [s.name for s in tree.body if isinstance(s, ast.FunctionDef) and s.name != "_"]
+    assert sorted(names) == sorted(set(names))
