@@ -116,17 +116,24 @@ def _either_contains(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
-def _same_group(a: Column, b: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
-    lit = lambda g: F.array(*[F.lit(w) for w in g])
-    return reduce(lambda x, y: x | y, [F.arrays_overlap(a, lit(g)) & F.arrays_overlap(b, lit(g)) for g in groups])
+def _groups(words: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """The numbers of the groups that have one of the words."""
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in g])), i) for i, g in enumerate(groups)]))
+
+
+def _name_parts(name: Column, words: Column) -> Column:
+    """struct<low, words, groups> of a parameter name and its words: all that a comparison needs of one side."""
+    return F.struct(F.lower(F.trim(name)).alias("low"), F.array_except(words, F.array(*[F.lit(w) for w in STOP])).alias("words"), _groups(words, SYNONYMS).alias("groups"))
+
+
+def _tier(a: Column, b: Column) -> Column:
+    shared = F.arrays_overlap(a["words"], b["words"]) | F.arrays_overlap(a["groups"], b["groups"])
+    return F.when(a["low"] == b["low"], 1).when(_either_contains(a["low"], b["low"]), 2).when(shared, 3)
 
 
 def match_tier(a: Column, b: Column) -> Column:
     """How two parameter names fit: 1 equal, 2 one inside the other, 3 a shared word or synonym, NULL not at all."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    u, v = _words(a), _words(b)
-    shared = F.size(F.array_except(F.array_intersect(u, v), F.array(*[F.lit(w) for w in STOP]))) > 0
-    return F.when(x == y, 1).when(_either_contains(x, y), 2).when(shared | _same_group(u, v, SYNONYMS), 3)
+    return _tier(X.let(_words(a), lambda w: _name_parts(a, w)), X.let(_words(b), lambda w: _name_parts(b, w)))
 
 
 def match_parameters(left: DataFrame, l_key: str, l_scope: str, l_name: str, right: DataFrame, r_key: str, r_scope: str, r_name: str, r_pos: str) -> DataFrame:
@@ -134,28 +141,41 @@ def match_parameters(left: DataFrame, l_key: str, l_scope: str, l_name: str, rig
 
     Rows meet by an equi-join on the scope, whose parameters are few; nothing is compared across scopes.
     """
-    r = right.select(F.col(r_scope).alias("__scope"), F.col(r_key), F.col(r_name).alias("__name"), F.col(r_pos).alias("__pos"))
-    pairs = left.select(l_key, l_scope, l_name).join(r, F.col(l_scope) == F.col("__scope")).withColumn("tier", match_tier(F.col(l_name), F.col("__name"))).filter("tier IS NOT NULL")
+    parts = lambda df, name, *keys: df.withColumn("__words", _words(F.col(name))).select(*keys, _name_parts(F.col(name), F.col("__words")).alias("__parts"))
+    r = parts(right, r_name, F.col(r_scope).alias("__scope"), r_key, F.col(r_pos).alias("__pos")).withColumnRenamed("__parts", "__right")
+    asked = parts(left, l_name, l_key, l_scope).withColumnRenamed("__parts", "__left")
+    pairs = asked.join(r, F.col(l_scope) == F.col("__scope")).withColumn("tier", _tier(F.col("__left"), F.col("__right"))).filter("tier IS NOT NULL")
     best = pairs.groupBy(l_key).agg(F.min_by(F.struct(r_key, "tier"), F.struct("tier", "__pos", r_key)).alias("b")).select(F.col(l_key).alias("__l"), f"b.{r_key}", "b.tier")
     return left.select(l_key).join(best, F.col(l_key) == F.col("__l"), "left").select(l_key, r_key, "tier")
 
 
+def _tender_words(name: Column, text: Column) -> Column:
+    return F.array_except(F.array_union(_words(name), _words(text)), F.array(*[F.lit(w) for w in TENDER_STOP]))
+
+
+def _tender_parts(name: Column, text: Column, words: Column) -> Column:
+    """struct<low, text, long, groups> of a requirement and its words: all that a comparison needs of one side."""
+    return F.struct(F.lower(F.trim(name)).alias("low"), F.lower(text).alias("text"), F.filter(words, lambda w: F.length(w) >= 4).alias("long"), _groups(words, TENDER_SYNONYMS).alias("groups"))
+
+
+def _tender_fit(a: Column, category: Column, b: Column) -> Column:
+    kind = F.nullif(F.lower(category), F.lit(""))
+    by_category = F.coalesce(F.contains(b["low"], kind) | F.contains(b["text"], kind), F.lit(False))
+    return _either_contains(a["low"], b["low"]) | F.arrays_overlap(a["long"], b["long"]) | F.arrays_overlap(a["groups"], b["groups"]) | by_category
+
+
 def tender_fits(a_name: Column, a_text: Column, category: Column, b_name: Column, b_text: Column) -> Column:
     """Does a tender's requirement concern a standard's: by containment, a word of four letters or more, a synonym or its category."""
-    x, y = F.lower(F.trim(a_name)), F.lower(F.trim(b_name))
-    stop = F.array(*[F.lit(w) for w in TENDER_STOP])
-    u, v = (F.array_except(F.array_union(_words(n), _words(t)), stop) for n, t in ((a_name, a_text), (b_name, b_text)))
-    shared = F.exists(F.array_intersect(u, v), lambda w: F.length(w) >= 4)
-    kind = F.nullif(F.lower(category), F.lit(""))
-    by_category = F.coalesce(F.contains(y, kind) | F.contains(F.lower(b_text), kind), F.lit(False))
-    return _either_contains(x, y) | shared | _same_group(u, v, TENDER_SYNONYMS) | by_category
+    one = lambda name, text: X.let(_tender_words(name, text), lambda w: _tender_parts(name, text, w))
+    return _tender_fit(one(a_name, a_text), category, one(b_name, b_text))
 
 
 def tender_links(left: DataFrame, l_key: str, l_scope: str, l_name: str, l_text: str, category: str, right: DataFrame, r_key: str, r_scope: str, r_name: str, r_text: str) -> DataFrame:
     """l_key, r_key: every fitting requirement within the scope (the candidate standard), or one row with NULL: a gap."""
-    r = right.select(F.col(r_scope).alias("__scope"), F.col(r_key), F.col(r_name).alias("__name"), F.col(r_text).alias("__text"))
-    fits = tender_fits(F.col(l_name), F.col(l_text), F.col(category), F.col("__name"), F.col("__text"))
-    pairs = left.join(r, F.col(l_scope) == F.col("__scope")).filter(fits).select(F.col(l_key).alias("__l"), r_key)
+    parts = lambda df, name, text, *keys: df.withColumn("__words", _tender_words(F.col(name), F.col(text))).select(*keys, _tender_parts(F.col(name), F.col(text), F.col("__words")).alias("__parts"))
+    r = parts(right, r_name, r_text, F.col(r_scope).alias("__scope"), r_key).withColumnRenamed("__parts", "__right")
+    asked = parts(left, l_name, l_text, F.col(l_key).alias("__l"), F.col(l_scope).alias("__own"), F.col(category).alias("__kind")).withColumnRenamed("__parts", "__left")
+    pairs = asked.join(r, F.col("__own") == F.col("__scope")).filter(_tender_fit(F.col("__left"), F.col("__kind"), F.col("__right"))).select("__l", r_key)
     return left.select(l_key).join(pairs, F.col(l_key) == F.col("__l"), "left").select(l_key, r_key)
 
 
