@@ -358,7 +358,7 @@ def translation_check(source: Column, translated: Column, consumer: Column, tip:
         script = F.length(F.regexp_replace(t, r"[^ऀ-ॿ]", ""))
         ratio = script / F.greatest(F.length(F.regexp_replace(t, r"\s+", "")), F.lit(1))
         invented = F.array_except(marks(t), marks(source))
-        numbers = F.array_distinct(F.regexp_extract_all(source, F.lit(r"(?i)\bIS\s*([1-9]\d{1,5})\b"), F.lit(1)))
+        numbers = F.array_distinct(F.regexp_extract_all(source, F.lit(r"(?i)\bIS\s*([1-9]\d+)\b"), F.lit(1)))
         gone = F.filter(numbers, lambda n: ~F.rlike(t, F.concat(F.lit(r"(?iU)(?:\bIS\s*|आईएस\s*|आई\.एस\.\s*)"), n, F.lit(r"(?![0-9])"))))
         ascii_digits = F.translate(t, "०१२३४५६७८९", "0123456789")
         first = lambda q: F.regexp_extract(F.replace(F.lower(q), F.lit(","), F.lit("")), r"^\S+", 0)

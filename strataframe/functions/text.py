@@ -15,7 +15,7 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
 PUNCTUATION = "\"'`.,;:!?()[]{}<>/\\|~@#$%^&*+=_"  # hyphens stay
 SUFFIXES = ("ation", "ations", "ment", "ments", "ing", "tion", "tions", "ies", "ied", "ed", "ly", "es", "s")
 
-STANDARD = r"(?i)\bIS[\s:\-]*(\d{1,6})(?:\s*\(?\s*part\s*[\-:]?\s*(\d+)\s*\)?)?"
+STANDARD = r"(?i)\bIS[\s:\-]*(\d+)(?:\s*\(?\s*part\s*[\-:]?\s*(\d+)\s*\)?)?"
 
 
 def let(value: Column, body) -> Column:

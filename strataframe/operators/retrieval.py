@@ -257,7 +257,7 @@ def retrieve(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: st
     if scope is not None:
         dense = dense.join(docs.filter(scope).select(key), key, "left_semi")
     no = F.lit(None).cast("string")
-    own = {"standard": F.nullif(F.regexp_extract(text, X.STANDARD, 1), F.lit(""))} if identity is None else identity
+    own = {"standard": F.nullif(F.regexp_extract(text, r"(?i)\bIS[\s:\-]*(\d{1,6})", 1), F.lit(""))} if identity is None else identity
     facts = docs.select(F.col(key), F.sha2(F.col(text), 256).alias("__h"), *[own.get(f, no).cast("string").alias(f"__{f}") for f in BOOSTS])
     if lexical is None:
         scored = bm25(docs, key, text, asked, q_key, "__asked").withColumn("score", F.bround("score", 6))

@@ -400,3 +400,8 @@ def test_pages_of_binary_files(spark, tmp_path):
     assert sorted((r.path[-5:], r.page, r.text, r.problem) for r in rows.fillna(0, ["page"]).fillna("", ["text", "problem"]).collect()) == [("a.bin", 1, "one", ""), ("a.bin", 2, "Two", ""), ("b.bin", 0, "", "empty"), ("c.bin", 0, "", "ValueError: no pages")]
     md = files.pages_to_markdown(rows.filter("problem IS NULL"), "path", "page", "text").first().markdown
     assert md == "<!-- PAGE 1 -->\none\n\n<!-- PAGE 2 -->\nTwo"
+
+
+def test_standard_numbers_of_seven_digits_stay_whole(spark):
+    c = F.lit("is: 1234567 (Part 3)")
+    assert spark.range(1).select(X.standard_number(c)).first()[0] == "IS 1234567-3"
