@@ -405,3 +405,8 @@ def test_pages_of_binary_files(spark, tmp_path):
 def test_standard_numbers_of_seven_digits_stay_whole(spark):
     c = F.lit("is: 1234567 (Part 3)")
     assert spark.range(1).select(X.standard_number(c)).first()[0] == "IS 1234567-3"
+
+
+def test_contexts_and_translations_with_numbers_of_seven_digits(spark):
+    wrong = E.context_contradictions(F.lit("From IS 1234567 clause 4 and IS-1234568"), F.lit("IS 1234567"), F.lit("4.2"))
+    assert spark.range(1).select(wrong).first()[0] == ["standard IS 1234568"]
