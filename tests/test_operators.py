@@ -410,3 +410,5 @@ def test_standard_numbers_of_seven_digits_stay_whole(spark):
 def test_contexts_and_translations_with_numbers_of_seven_digits(spark):
     wrong = E.context_contradictions(F.lit("From IS 1234567 clause 4 and IS-1234568"), F.lit("IS 1234567"), F.lit("4.2"))
     assert spark.range(1).select(wrong).first()[0] == ["standard IS 1234568"]
+    source, translated = F.lit("IS 1234567 needs 20 bar"), F.lit("पंप के लिए दबाव आवश्यक है मानक IS 1234568 20 bar")
+    assert spark.range(1).select(E.translation_check(source, translated, F.lit(False))["issues"]).first()[0] == ["missing_standard_numbers:IS 1234567"]
