@@ -165,8 +165,8 @@ def with_chunk_ids(df: DataFrame, doc: str, section: str, content: str, pos: str
 
 def token_coverage(original: Column, structured: Column) -> Column:
     """Share of the distinct original tokens that the structured text still has; 1 for none."""
-    a, b = F.array_distinct(X.tokens(original)), F.array_distinct(X.tokens(structured))
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.bround(F.size(F.array_intersect(a, b)) / F.size(a), 6))
+    both = F.struct(F.array_distinct(X.tokens(original)).alias("a"), X.tokens(structured).alias("b"))
+    return X.let(both, lambda x: F.when(F.size(x["a"]) == 0, 1.0).otherwise(F.bround(F.size(F.array_intersect(x["a"], x["b"])) / F.size(x["a"]), 6)))
 
 
 def provenance_report(df: DataFrame, **fields: Column) -> DataFrame:

@@ -412,3 +412,12 @@ def test_contexts_and_translations_with_numbers_of_seven_digits(spark):
     assert spark.range(1).select(wrong).first()[0] == ["standard IS 1234568"]
     source, translated = F.lit("IS 1234567 needs 20 bar"), F.lit("पंप के लिए दबाव आवश्यक है मानक IS 1234568 20 bar")
     assert spark.range(1).select(E.translation_check(source, translated, F.lit(False))["issues"]).first()[0] == ["missing_standard_numbers:IS 1234567"]
+
+
+def test_coverage_of_a_long_text_is_linear(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "abc defg " * 300_000), (2, ""), (3, "a" * 499 + "bc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.time()
+    assert {r[0]: r[1] for r in entry.queries()["a27_token_coverage"](spark, str(tmp_path)).collect()} == {1: 1.0, 2: 1.0, 3: 0.0}
+    assert time.time() - start < 60
