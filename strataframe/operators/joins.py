@@ -196,17 +196,39 @@ def catalogue_score(text: Column, products: Column, title: Column, category: Col
     over three letters in the text; 2 for each word of the title and 1 for each
     of the category among the words of the text.
     """
+    return X.let(_ask_parts(text), lambda a: X.let(_row_parts(products, title, category), lambda r: _catalogue_total(a, r, known)))
+
+
+def _ask_parts(text: Column) -> Column:
+    """struct<low, asked> of a description: its lower case and its words."""
     low = F.lower(text)
-    asked = F.filter(F.regexp_extract_all(low, F.lit(r"\b[a-z]{3,}\b"), F.lit(0)), lambda w: ~w.isin(*ASK_STOP))
-    long_words = lambda p: F.filter(F.split(p, r"\s+"), lambda w: F.length(w) > 3)
-    hits = lambda p: F.size(F.filter(long_words(p), lambda w: F.contains(low, w)))
-    two = lambda k: F.slice(long_words(k), 1, 2)
+    return F.struct(low.alias("low"), F.filter(F.regexp_extract_all(low, F.lit(r"\b[a-z]{3,}\b"), F.lit(0)), lambda w: ~w.isin(*ASK_STOP)).alias("asked"))
+
+
+def _long_words(p: Column) -> Column:
+    return F.filter(F.split(p, r"\s+"), lambda w: F.length(w) > 3)
+
+
+def _category_words(category: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(category, F.lit(""))), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))
+
+
+def _row_parts(products: Column, title: Column, category: Column) -> Column:
+    """struct<products (name, words), title, category> of a catalogue row, cut into words once."""
+    names = F.transform(products, lambda p: F.struct(F.lower(p).alias("name"), _long_words(F.lower(p)).alias("words")))
+    return F.struct(names.alias("products"), _title_words(title).alias("title"), _category_words(category).alias("category"))
+
+
+def _catalogue_total(a: Column, r: Column, known: Column | None) -> Column:
+    low = a["low"]
+    two = lambda k: F.slice(_long_words(k), 1, 2)
     there = lambda k: F.contains(low, k) | ((F.size(two(k)) >= 2) & F.forall(two(k), lambda w: F.contains(low, w)))
     is_known = (lambda p: F.exists(known, lambda k: (k != "") & F.contains(p, F.lower(k)) & there(F.lower(k)))) if known is not None else (lambda p: F.lit(False))
-    one = lambda p: F.when(F.contains(low, p), 10).when(is_known(p), 8).otherwise(3 * hits(p))
-    total = F.aggregate(F.transform(products, F.lower), F.lit(0), lambda acc, p: acc + one(p))
-    among = lambda words: F.size(F.filter(words, lambda w: F.array_contains(asked, w)))
-    return total + 2 * among(_title_words(title)) + among(F.regexp_extract_all(F.lower(F.coalesce(category, F.lit(""))), F.lit(r"\b[a-z]{4,}\b"), F.lit(0)))
+    hits = lambda p: F.size(F.filter(p["words"], lambda w: F.contains(low, w)))
+    one = lambda p: F.when(F.contains(low, p["name"]), 10).when(is_known(p["name"]), 8).otherwise(3 * hits(p))
+    total = F.aggregate(r["products"], F.lit(0), lambda acc, p: acc + one(p))
+    among = lambda words: F.size(F.filter(words, lambda w: F.array_contains(a["asked"], w)))
+    return total + 2 * among(r["title"]) + among(r["category"])
 
 
 def match_catalogue(asks: DataFrame, q_key: str, q_text: str, catalogue: DataFrame, c_key: str, products: str, title: str, category: str, known: Column | None = None, least: int = 3) -> DataFrame:
@@ -215,16 +237,23 @@ def match_catalogue(asks: DataFrame, q_key: str, q_text: str, catalogue: DataFra
     A word of the catalogue can only count where it lies in the text, so the
     texts are searched for all words at once, in time linear in their length,
     and rows meet where they share one: every pair that can score is a
-    candidate, no other is compared.
+    candidate, no other is compared. Equal texts have equal scores and are
+    compared once; both sides are cut into words before they meet.
     """
     names = F.flatten(F.transform(F.coalesce(F.col(products), F.array().cast("array<string>")), lambda p: F.split(F.lower(F.trim(p)), r"\s+")))
-    words = F.array_distinct(F.array_remove(F.concat(names, _title_words(F.col(title)), F.regexp_extract_all(F.lower(F.coalesce(F.col(category), F.lit(""))), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))), ""))
+    words = F.array_distinct(F.array_remove(F.concat(names, _title_words(F.col(title)), _category_words(F.col(category))), ""))
     keys = catalogue.select(F.col(c_key), F.explode(words).alias("__w"))
-    found = occurring(asks.select(q_key, F.lower(q_text).alias("__low")), q_key, "__low", keys, "__w")
-    pairs = found.join(keys, F.col("pattern") == F.col("__w")).select(q_key, c_key).distinct()
-    scored = pairs.join(asks.select(F.col(q_key).alias("__q"), F.col(q_text).alias("__text")), F.col(q_key) == F.col("__q")).join(catalogue.select(F.col(c_key).alias("__c"), products, title, category), F.col(c_key) == F.col("__c"))
-    scored = scored.withColumn("score", catalogue_score(F.col("__text"), F.col(products), F.col(title), F.col(category), known)).filter(F.col("score") >= least)
-    return scored.groupBy(q_key).agg(F.min_by(F.struct(c_key, "score"), F.struct(-F.col("score"), F.col(c_key))).alias("b")).select(q_key, f"b.{c_key}", "b.score")
+    own = asks.select(F.col(q_key), F.sha2(F.col(q_text), 256).alias("__h"))
+    texts = asks.filter(F.col(q_text).isNotNull()).groupBy(F.sha2(F.col(q_text), 256).alias("__t")).agg(F.first(q_text).alias("__text"))
+    found = occurring(texts.select("__t", F.lower("__text").alias("__low")), "__t", "__low", keys, "__w")
+    pairs = found.join(keys, F.col("pattern") == F.col("__w")).select("__t", c_key).distinct()
+    said = texts.select(F.col("__t").alias("__q"), _ask_parts(F.col("__text")).alias("__ask"))
+    rows = catalogue.select(F.col(c_key).alias("__c"), _row_parts(F.col(products), F.col(title), F.col(category)).alias("__row"))
+    scored = pairs.join(said, F.col("__t") == F.col("__q")).join(rows, F.col(c_key) == F.col("__c"))
+    scored = scored.select("__t", c_key, _catalogue_total(F.col("__ask"), F.col("__row"), known).alias("score"))
+    first = F.min_by(F.struct(c_key, "score"), F.when(F.col("score") >= least, F.struct(-F.col("score"), F.col(c_key)))).alias("b")
+    best = scored.groupBy("__t").agg(first).filter("b.score IS NOT NULL").select("__t", "b.*")
+    return own.join(best, F.col("__h") == F.col("__t")).groupBy(q_key).agg(F.min_by(F.struct(c_key, "score"), F.struct(-F.col("score"), F.col(c_key))).alias("b")).select(q_key, f"b.{c_key}", "b.score")
 
 
 def add_unseen_claims(claims: Column, extracted: Column) -> Column:

@@ -1,5 +1,7 @@
 """Decisions, units, matching and intents on cases worked out by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,3 +400,18 @@ def test_names_of_plans_are_bound_once(module):
     names = [n.id for s in tree.body if isinstance(s, ast.Assign) for t in s.targets for n in ast.walk(t) if isinstance(n, ast.Name)]
     names += [s.name for s in tree.body if isinstance(s, ast.FunctionDef) and s.name != "_"]
     assert sorted(names) == sorted(set(names))
+
+
+def test_equal_descriptions_are_scored_once(spark):
+    names = [f"{a} {b}" for a in ("large", "small", "blue", "cold", "iron", "brass", "steel", "round") for b in ("widget", "bolt", "ring", "valve", "pump", "wire", "panel", "meter")]
+    asks = [(i, None if i % 1000 == 999 else f"{names[i % 64]} promo") for i in range(40_000)]
+    rows = [(f"b{i:02}", names, "promo specification part", "promo") for i in range(25)]
+    asks, rows = spark.createDataFrame(asks, "q long, text string"), spark.createDataFrame(rows, "b string, products array<string>, title string, category string")
+    start = time.time()
+    got = joins.match_catalogue(asks, "q", "text", rows, "b", "products", "title", "category").collect()
+    assert time.time() - start < 60
+    assert {r.q for r in got} == {i for i in range(40_000) if i % 1000 != 999}
+    # the name itself, the seven others with its first word, the seven with its second, where the words have four letters
+    first = {r.q: (r.b, r.score) for r in got}
+    score = lambda n: 10 + 21 * sum(len(w) > 3 for w in n.split()) + 2 + 1
+    assert all(first[i] == ("b00", score(names[i])) for i in range(64))
