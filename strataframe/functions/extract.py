@@ -192,6 +192,11 @@ def is_mandatory(c: Column) -> Column:
     return mandatory_word(c).isNotNull()
 
 
+def _bare(clause: Column) -> Column:
+    """A clause without its list marker."""
+    return F.trim(F.regexp_replace(F.trim(clause), r"^(?:\(?\d+[.)](?!\d)|[a-zA-Z][.)]|[-*])\s*", ""))
+
+
 def tender_requirement(clause: Column) -> Column:
     """struct<text, name, category, mandatory, op, value, unit, lower, upper> of a tender's clause; NULL under five characters.
 
@@ -199,15 +204,12 @@ def tender_requirement(clause: Column) -> Column:
     the quantity's bounds, else from the clause's words; a clause without a
     quantity names a standard, or is called by its first words.
     """
-    bare = F.trim(F.regexp_replace(F.trim(clause), r"^(?:\(?\d+[.)](?!\d)|[a-zA-Z][.)]|[-*])\s*", ""))
-
     def read(t: Column) -> Column:
         low = F.lower(t)
         says = lambda *w: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in w])
         head = F.trim(F.get(F.split(t, r"(?i)\b(?:shall|must|is|should|is\s+required|has\s+to\s+be)\b|<=|>=|<|>|=|:", 2), 0))
-        subject = F.when(F.length(head) > 2, head)
 
-        def with_quantity(p: Column) -> Column:
+        def with_quantity(subject: Column, p: Column) -> Column:
             words = F.when(says("shall not exceed", "maximum", "up to"), "LE").when(says("shall be at least", "shall not be less than", "minimum"), "GE").when(says("between"), "RANGE").otherwise("EQ")
             most, least = says("shall not exceed", "up to"), says("shall be at least", "shall not be less than", "minimum")
             op = F.when(p["lower"].isNotNull() & p["upper"].isNotNull(), "RANGE").when(p["lower"].isNotNull(), "GE").when(p["upper"].isNotNull(), "LE").when(most, "LE").when(least, "GE").otherwise("EQ")
@@ -222,15 +224,18 @@ def tender_requirement(clause: Column) -> Column:
                 F.when(there & p["lower"].isNull() & p["upper"].isNull() & most, p["value"]).otherwise(p["upper"]).alias("upper"),
             )
 
-        return X.let(U.parameter(t, subject), with_quantity)
+        named = lambda h: F.when(F.length(h) > 2, h)
+        stated = X.let(head, lambda h: X.let(named(h), lambda n: F.struct(n.alias("subject"), U.parameter(t, n).alias("p"))))
+        return X.let(stated, lambda x: with_quantity(x["subject"], x["p"]))
 
-    return X.let(bare, lambda t: F.when(F.length(t) >= 5, read(t)))
+    return X.let(_bare(clause), lambda t: F.when(F.length(t) >= 5, read(t)))
 
 
 def tender_requirements(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, r (a tender requirement): one row for each line, sentence or part between semicolons."""
     parts = F.split(text, r"[\r\n;]+|(?<!\d)\.(?!\d)")
-    return df.select(key, F.posexplode(parts).alias("pos", "line")).withColumn("r", tender_requirement(F.col("line"))).filter("r IS NOT NULL").select(key, "pos", "r")
+    lines = df.select(key, F.posexplode(parts).alias("pos", "line")).filter(F.length(_bare(F.col("line"))) >= 5)  # not on the requirement, which would be read twice
+    return lines.select(key, "pos", tender_requirement(F.col("line")).alias("r"))
 
 
 # Kind -> (weight, words of the text, patterns of the file's name).

@@ -78,6 +78,15 @@ def _group(text: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, i)), F.lit(""))
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """struct<g1, ..> of the first match, trimmed; NULL without one: a pattern that does not fit is tried once, whatever is read of it."""
+    return F.when(F.rlike(text, F.lit(pattern)), F.struct(*[F.trim(F.regexp_extract(text, pattern, i)).alias(f"g{i}") for i in range(1, n + 1)]))
+
+
+def _said(match: Column, i: int) -> Column:
+    return F.nullif(match[f"g{i}"], F.lit(""))
+
+
 def bound(sign: Column) -> Column:
     """LE, GE or EQ of a comparison sign; strict signs count as their weak ones."""
     return F.when(sign.isin("<=", "<", "≤"), "LE").when(sign.isin(">=", ">", "≥"), "GE").otherwise("EQ")
@@ -92,21 +101,28 @@ def parameter(text: Column, hint: Column | None = None) -> Column:
     text itself is the value where there is a hint.
     """
     bare = F.trim(F.regexp_replace(F.trim(text), r"^(?:\(?\d+[.)](?!\d)|[a-zA-Z][.)]|[-*])\s*", ""))
-    return X.let(bare, lambda line: _parameter(line, hint))
+    if hint is None:
+        return X.let(bare, lambda line: _parameter(line, None))
+    return X.let(F.struct(bare.alias("line"), hint.alias("hint")), lambda x: _parameter(x["line"], x["hint"]))
 
 
 def _parameter(line: Column, hint: Column | None) -> Column:
     tol, rng = rf"(?i){_NAMED}{_NUMBER}\s*(?:±|\+/-)\s*{_NUMBER}{_UNIT}", rf"(?i){_NAMED}(?:between\s+)?{_NUMBER}\s*(?:to|-|and)\s*{_NUMBER}{_UNIT}"
     single = rf"(?i){_NAMED}(<=|>=|<|>|=)?\s*{_NUMBER}{_UNIT}"
-    num = lambda p, i: _group(line, p, i).cast("double")
-    name = lambda p: F.coalesce(_group(line, p, 1), F.lit("parameter") if hint is None else F.coalesce(hint, F.lit("parameter")))
-    v, t, one, op = num(tol, 2), num(tol, 3), num(single, 3), bound(_group(line, single, 2))
-    out = (
-        F.when(t.isNotNull(), quantity(name(tol), v, None, v - t, v + t, v, t, "EQ", _group(line, tol, 4)))
-        .when(num(rng, 3).isNotNull(), quantity(name(rng), None, None, num(rng, 2), num(rng, 3), None, None, "RANGE", _group(line, rng, 4)))
-        .when(one.isNotNull(), quantity(name(single), one, None, F.when(op == "GE", one), F.when(op == "LE", one), F.when(op == "EQ", one), None, op, _group(line, single, 4)))
-    )
-    return out if hint is None else out.when(hint.isNotNull() & (line != ""), quantity(hint, None, line, None, None, None, None, None, None))
+
+    def read(m: Column) -> Column:
+        tol, rng, single = m["tol"], m["rng"], m["single"]
+        num = lambda p, i: _said(p, i).cast("double")
+        name = lambda p: F.coalesce(_said(p, 1), F.lit("parameter") if hint is None else F.coalesce(hint, F.lit("parameter")))
+        v, t, one, op = num(tol, 2), num(tol, 3), num(single, 3), bound(_said(single, 2))
+        out = (
+            F.when(t.isNotNull(), quantity(name(tol), v, None, v - t, v + t, v, t, "EQ", _said(tol, 4)))
+            .when(num(rng, 3).isNotNull(), quantity(name(rng), None, None, num(rng, 2), num(rng, 3), None, None, "RANGE", _said(rng, 4)))
+            .when(one.isNotNull(), quantity(name(single), one, None, F.when(op == "GE", one), F.when(op == "LE", one), F.when(op == "EQ", one), None, op, _said(single, 4)))
+        )
+        return out if hint is None else out.when(hint.isNotNull() & (line != ""), quantity(hint, None, line, None, None, None, None, None, None))
+
+    return X.let(F.struct(_groups(line, tol, 4).alias("tol"), _groups(line, rng, 4).alias("rng"), _groups(line, single, 4).alias("single")), read)
 
 
 def requirement(line: Column) -> Column:
@@ -121,16 +137,22 @@ def _requirement(line: Column) -> Column:
     most = rf"(?i){name}(?:shall\s+not\s+exceed|shall\s+be\s+(?:at\s+most|no\s+more\s+than)|maximum|max\.?)\s+{_NUMBER}{_UNIT}"
     least = rf"(?i){name}(?:shall\s+be\s+at\s+least|shall\s+not\s+be\s+less\s+than|minimum|min\.?)\s+{_NUMBER}{_UNIT}"
     sign = rf"(?i){name}(<=|>=|<|>|=)\s*{_NUMBER}{_UNIT}"
-    num = lambda p, i: _group(line, p, i).cast("double")
-    v, t, s, op = num(tol, 2), num(tol, 3), num(sign, 3), bound(_group(line, sign, 2))
-    called = lambda p: _group(line, p, 1)
-    return (
-        F.when(num(rng, 3).isNotNull(), quantity(called(rng), None, None, num(rng, 2), num(rng, 3), None, None, "RANGE", _group(line, rng, 4)))
-        .when(t.isNotNull(), quantity(called(tol), v, None, v - t, v + t, v, t, "EQ", _group(line, tol, 4)))
-        .when(num(most, 2).isNotNull(), quantity(called(most), num(most, 2), None, None, num(most, 2), None, None, "LE", _group(line, most, 3)))
-        .when(num(least, 2).isNotNull(), quantity(called(least), num(least, 2), None, num(least, 2), None, None, None, "GE", _group(line, least, 3)))
-        .when(s.isNotNull(), quantity(called(sign), s, None, F.when(op == "GE", s), F.when(op == "LE", s), F.when(op == "EQ", s), None, op, _group(line, sign, 4)))
-    )
+
+    def read(m: Column) -> Column:
+        rng, tol, most, least, sign = (m[n] for n in ("rng", "tol", "most", "least", "sign"))
+        num = lambda p, i: _said(p, i).cast("double")
+        v, t, s, op = num(tol, 2), num(tol, 3), num(sign, 3), bound(_said(sign, 2))
+        called = lambda p: _said(p, 1)
+        return (
+            F.when(num(rng, 3).isNotNull(), quantity(called(rng), None, None, num(rng, 2), num(rng, 3), None, None, "RANGE", _said(rng, 4)))
+            .when(t.isNotNull(), quantity(called(tol), v, None, v - t, v + t, v, t, "EQ", _said(tol, 4)))
+            .when(num(most, 2).isNotNull(), quantity(called(most), num(most, 2), None, None, num(most, 2), None, None, "LE", _said(most, 3)))
+            .when(num(least, 2).isNotNull(), quantity(called(least), num(least, 2), None, num(least, 2), None, None, None, "GE", _said(least, 3)))
+            .when(s.isNotNull(), quantity(called(sign), s, None, F.when(op == "GE", s), F.when(op == "LE", s), F.when(op == "EQ", s), None, op, _said(sign, 4)))
+        )
+
+    found = {"rng": (rng, 4), "tol": (tol, 4), "most": (most, 3), "least": (least, 3), "sign": (sign, 4)}
+    return X.let(F.struct(*[_groups(line, p, n).alias(k) for k, (p, n) in found.items()]), read)
 
 
 def compare(

@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores: a table of short columns is one small file, thus one task, however long the texts are that a query renders from it."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+
+
 def load() -> None:
     """Import the modules that register queries."""
     from strataframe.plans import more, retrieval, rules, store, temporal, text  # noqa: F401

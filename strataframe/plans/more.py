@@ -13,7 +13,7 @@ from strataframe.operators import chunking as C
 from strataframe.operators import retrieval as R
 from strataframe.operators import rules as D
 from strataframe.operators import store as S
-from strataframe.plans import query
+from strataframe.plans import query, spread
 from strataframe.sources import files, html
 
 
@@ -274,7 +274,7 @@ def _(t):
     P, Z = _columns()
     limit = F.when(Z % 3 == 0, F.concat(F.lit("shall not exceed "), Z, F.lit(" mm"))).when(Z % 3 == 1, F.concat(F.lit("shall be between "), Z, F.lit(" and "), Z + 2, F.lit(" mm"))).otherwise(F.concat(F.lit("shall be "), Z, F.lit(" ± 0.5 mm")))
     text = F.concat(F.lit("Thickness "), limit, F.lit(";\nno number here. Pressure shall not be less than 5.5 bar\nmass > "), Z, F.lit(".25kg"))
-    return E.requirements(t("part").withColumn("text", text), "p_partkey", "text").select("p_partkey", "name", "p.value", "p.lower", "p.upper", "p.op", "p.unit")
+    return E.requirements(spread(t("part")).withColumn("text", text), "p_partkey", "text").select("p_partkey", "name", "p.value", "p.lower", "p.upper", "p.op", "p.unit")
 
 
 @query("x29_specification", """
@@ -287,7 +287,7 @@ def _(t):
         F.lit("Capacity: "), Z, F.lit(" L, thickness = 2.5 ± 0.1 mm;heat resistance: "), F.when(Z % 3 == 0, "high").otherwise("low"), F.lit("\n"), F.when(Z % 3 > 0, F.concat(F.when(Z % 3 == 1, "working pressure > ").otherwise("working pressure >= "), Z, F.lit(" bar"))).otherwise("nothing here"),
         F.lit("\r\ncalibrated range: between "), Z, F.lit(" and "), Z + 10, F.lit(" V, Capacity: "), Z + 1, F.lit(" L"), F.when(Z % 3 == 2, F.concat(F.lit("; mass:"), Z, F.lit(".5 kg, : x"))).otherwise(""),
     )
-    return E.specification(t("part").withColumn("text", text), "p_partkey", "text").select("p_partkey", "name", "p.value", "p.lower", "p.upper", "p.text", "p.unit")
+    return E.specification(spread(t("part")).withColumn("text", text), "p_partkey", "text").select("p_partkey", "name", "p.value", "p.lower", "p.upper", "p.text", "p.unit")
 
 
 _TENDER = [
@@ -315,7 +315,7 @@ def _(t):
 def _(t):
     P, Z = _columns()
     text = F.concat(F.lit("1) Supply voltage shall be "), 200 + Z, F.lit(" V;Capacity shall be at least "), Z, F.lit(" L\nabc;"), F.when(Z % 2 == 0, F.concat(F.lit("Conformance, IS "), P)).otherwise(F.concat(F.lit("Length must be between "), Z, F.lit(" and "), Z + 5, F.lit(" mm"))), F.lit(". Noise maximum <= "), Z, F.lit(" dB"))
-    rows = E.tender_requirements(t("part").withColumn("text", text), "p_partkey", "text")
+    rows = E.tender_requirements(spread(t("part")).withColumn("text", text), "p_partkey", "text")
     return rows.select("p_partkey", "pos", "r.name", "r.category", "r.mandatory", "r.op", "r.value", "r.unit", "r.lower", "r.upper")
 
 
@@ -553,7 +553,7 @@ _WANTS = [
 def _(t):
     P, Z = _columns()
     q = F.concat(_said([w[0] for w in _WANTS], P), F.when(Z % 2 == 0, F.concat(F.lit(" and IS "), P + 10000)).otherwise(""))
-    rows = t("part").filter((P % len(_WANTS) < 4) | (Z % 2 == 1)).select("p_partkey", K.structured_intent(q).alias("i"))
+    rows = spread(t("part")).filter((P % len(_WANTS) < 4) | (Z % 2 == 1)).select("p_partkey", K.structured_intent(q).alias("i"))
     return rows.select("p_partkey", "i.intent", "i.jurisdiction", "i.service", "i.standards")
 
 
@@ -627,4 +627,4 @@ def _(t):
     e = F.struct(F.lit("EV1").alias("id"), no.alias("hash"), content.alias("content"), F.lit("IS 1200").alias("number"), F.lit("4.1").alias("clause"), no.alias("edition"), F.lit("1").alias("amendment"), no.alias("year"), F.lit(None).cast("boolean").alias("is_current"), F.array().cast("array<string>").alias("titles"))
     cited = F.when(Z % 5 == 4, F.array(F.lit("EV9"), F.lit("EV1"))).otherwise(F.array(F.lit("EV1")))
     v = G.validated(text, F.lit("FACT"), cited, F.lit(False), F.array(e))
-    return t("part").select("p_partkey", v.alias("v")).select("p_partkey", "v.issues", F.col("v.status").alias("verdict"))
+    return spread(t("part")).select("p_partkey", v.alias("v")).select("p_partkey", "v.issues", F.col("v.status").alias("verdict"))

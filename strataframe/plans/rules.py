@@ -12,7 +12,7 @@ from strataframe.functions import text as X
 from strataframe.operators import joins
 from strataframe.operators import retrieval as R
 from strataframe.operators import rules as D
-from strataframe.plans import query
+from strataframe.plans import query, spread
 from strataframe.streaming import state as ST
 
 
@@ -437,7 +437,7 @@ _WORDS_OF = lambda c: f"list_distinct(regexp_extract_all({c}, '[a-z]{{3,}}'))"
       CASE WHEN len(lost) * 1.0 / n >= 0.5 THEN ['unsupported_terms:missing=' || array_to_string(lost, ',')] WHEN 1 - len(lost) * 1.0 / n < 0.7 THEN ['partial_content_support:overlap=' || printf('%.2f', 1 - len(lost) * 1.0 / n)] ELSE [] END) AS issues FROM z""")
 def _(t):
     """Sizes and names of parts claimed of other parts."""
-    l = t("part").select("p_partkey", "p_name", "p_size")
+    l = spread(t("part")).select("p_partkey", "p_name", "p_size")
     r = t("part").select(F.col("p_partkey").alias("r_key"), F.col("p_name").alias("r_name"), F.col("p_size").alias("r_size"))
     x = l.join(r, F.col("r_key") == F.floor(F.col("p_partkey") / 2))
     no = F.lit(None).cast("string")

@@ -415,3 +415,12 @@ def test_equal_descriptions_are_scored_once(spark):
     first = {r.q: (r.b, r.score) for r in got}
     score = lambda n: 10 + 21 * sum(len(w) > 3 for w in n.split()) + 2 + 1
     assert all(first[i] == ("b00", score(names[i])) for i in range(64))
+
+
+def test_rendered_texts_are_read_by_many_tasks(spark, tmp_path):
+    """One small file of short columns is one task; what reads long texts rendered from it must not be."""
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(i, i % 50, f"p{i}", "b", "t") for i in range(400)], "p_partkey long, p_size int, p_name string, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("x31_tender_requirements", "x29_requirements", "x45_structured_intent", "x38_claim_issues"):
+        assert entry.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 8, name
