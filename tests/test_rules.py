@@ -424,3 +424,14 @@ def test_rendered_texts_are_read_by_many_tasks(spark, tmp_path):
     spark.createDataFrame([(i, i % 50, f"p{i}", "b", "t") for i in range(400)], "p_partkey long, p_size int, p_name string, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for name in ("x31_tender_requirements", "x29_requirements", "x45_structured_intent", "x38_claim_issues"):
         assert entry.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 8, name
+
+
+def test_evidence_of_a_name_is_found_once(spark):
+    """Requirements that ask the same of one scope share the search: the comparison sees one row a scope and name."""
+    asked = spark.createDataFrame([(i, "s", "Wall thickness") for i in range(50)], "r long, scope string, name string")
+    parameters = spark.createDataFrame([("s", f"d{i}", n, "maximum wall thickness" if n else "Thick wall thickness", 1.0) for i in range(20) for n in (0, 1)], "scope string, doc string, pos int, name string, value double")
+    tests = spark.createDataFrame([], "scope string, doc string, name string, value string, verdict string")
+    got = D.gather_evidence(asked, "r", "scope", "name", parameters, tests, spark.createDataFrame([], "scope string, doc string, number string"))
+    assert {(r.req, r.doc, r.matched) for r in got.collect()} == {(i, f"d{d}", "Thick wall thickness") for i in range(50) for d in range(20)}
+    words = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(" in line and "req" in line]
+    assert not words  # words are cut of names, not of requirements
