@@ -38,3 +38,10 @@ def test_joins_take_all_orders(spark, tmp_path):
     want = [(f"{o}.{n}", str(o) if o in even else None) for o, n in lines] + [(str(o), None) for o in even]
     got = [tuple(r) for r in QUERIES["j06_parent_clause"](spark, str(tmp_path)).select("num", "parent").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_corpus_statistics_name_every_term(spark, tmp_path):
+    texts = [(1, "alpha beta beta"), (2, "alpha gamma"), (3, "delta"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["a28_corpus_stats"](spark, str(tmp_path)).select("term").collect()
+    assert sorted(r.term for r in got) == ["alpha", "beta", "delta", "gamma"]
