@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,37 +41,86 @@ class Index:
     lengths: DataFrame
 
 
+#: The term of the list that holds all documents of a shard with their lengths; words hold no spaces.
+ALL = " "
+
+
+def _lists(batch: int):
+    """Rows (shard, key, w) sorted by shard -> (term, batch, shard, max_tf, min_dl, list), a shard's lists at a time."""
+
+    def shard(number: int, rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.append_column("dl", pc.list_value_length(rows.column("w"))).sort_by([("key", "ascending"), ("dl", "ascending")])
+        w, keys, dl = (rows.column(c).combine_chunks() for c in ("w", "key", "dl"))
+        dl, same = dl.to_numpy().astype(np.int32), keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        head = np.flatnonzero(np.concatenate([[True], (same[1:] != same[:-1]) | (dl[1:] != dl[:-1])]))  # rows of one key and length are one document
+        own = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(dl))))
+        words = w.flatten().dictionary_encode()
+        # one number a pair of term and document, in the order of both
+        pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(head) + np.repeat(own, dl), return_counts=True)
+        term, doc = np.divmod(pair, len(head))
+        first = np.append(np.searchsorted(term, np.arange(len(words.dictionary))), len(pair))
+        doc, tf = np.concatenate([head[doc], np.arange(len(dl))]), np.concatenate([tf, dl]).astype(np.int32)
+        postings = pa.StructArray.from_arrays([keys.take(pa.array(doc)), pa.array(tf), pa.array(dl[doc])], ["key", "tf", "dl"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), postings)
+        terms = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.array([ALL])])
+        fixed = [pa.array(np.full(len(first), x, np.int32)) for x in (batch, number)]
+        bounds = pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl[doc], first))
+        return pa.record_batch([terms, *fixed, *bounds, lists], names=["term", "batch", "shard", "max_tf", "min_dl", "list"])
+
+    def run(batches):
+        waiting, current = [], None
+        for b in batches:
+            numbers = b.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)] if len(numbers) else [0]
+            for lo, hi in zip(edges, edges[1:]):
+                if waiting and numbers[lo] != current:
+                    yield shard(current, pa.Table.from_batches(waiting))
+                    waiting = []
+                current = int(numbers[lo])
+                waiting.append(b.slice(lo, hi - lo))
+        if waiting:
+            yield shard(current, pa.Table.from_batches(waiting))
+
+    return run
+
+
+def _all_lists(docs: DataFrame, key: str, text: str, batch: int) -> DataFrame:
+    """The postings of a batch with a list ``ALL`` for each shard; a document's words meet once, in its shard's task."""
+    shards = max(1, math.ceil(docs.count() / SHARD_DOCS))
+    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).alias("key"), F.col(text).alias("text"))
+    dealt = rows.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard")
+    words = dealt.select("shard", "key", F.coalesce(X.tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    kind = dict(rows.dtypes)["key"]
+    return words.mapInArrow(_lists(batch), f"term string, batch int, shard int, max_tf int, min_dl int, list array<struct<key:{kind},tf:int,dl:int>>")
+
+
+def _parts(lists: DataFrame, batch: int) -> Index:
+    lengths = lists.filter(F.col("term") == ALL).select(F.explode("list").alias("d")).groupBy(F.col("d.dl").cast("long").alias("dl")).agg(F.count("*").alias("docs")).withColumn("batch", F.lit(batch))
+    own = lists.filter(F.col("term") != ALL)
+    return Index(own, own.groupBy("term").agg(F.sum(F.size("list")).alias("df")).withColumn("batch", F.lit(batch)), lengths)
+
+
 def blocks(docs: DataFrame, key: str, text: str, batch: int = 0) -> Index:
     """The index of a batch of documents; null and blank texts are documents of no terms."""
-    shards = max(1, math.ceil(docs.count() / SHARD_DOCS))
-    words = docs.select(F.col(key).alias("key"), F.coalesce(X.tokens(F.col(text)), F.array().cast("array<string>")).alias("w")).select("key", F.size("w").alias("dl"), "w")
-    tf = words.select("key", "dl", F.explode("w").alias("term")).groupBy("term", "key", "dl").agg(F.count("*").cast("int").alias("tf"))
-    lists = (
-        tf.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-        .groupBy("term", "shard")
-        .agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("key", "tf", "dl"))).alias("list"))
-        .select("term", F.lit(batch).alias("batch"), "shard", "max_tf", "min_dl", "list")
-    )
-    dfs = lists.groupBy("term").agg(F.sum(F.size("list")).alias("df")).withColumn("batch", F.lit(batch))
-    return Index(lists, dfs, words.groupBy(F.col("dl").cast("long").alias("dl")).agg(F.count("*").alias("docs")).withColumn("batch", F.lit(batch)))
+    return _parts(_all_lists(docs, key, text, batch), batch)
 
 
 def append(docs: DataFrame, key: str, text: str, path: str, batch: int = 0) -> None:
     """Add a batch of new documents to the index at ``path``; what is there stays as it is.
 
-    Postings are dealt by shard and sorted by term, so a file holds whole shards
-    and its row groups tell which terms they have.
+    The texts are read and dealt once. Postings lie by shard and are sorted by
+    term, so a file holds whole shards and its row groups tell which terms they
+    have.
     """
-    new = blocks(docs, key, text, batch)
-    new.postings.repartition("shard").sortWithinPartitions("term", "shard").write.mode("append").parquet(f"{path}/postings")
-    stored = docs.sparkSession.read.parquet(f"{path}/postings").filter(F.col("batch") == batch)
-    dfs = stored.groupBy("term").agg(F.sum(F.size("list")).alias("df")).withColumn("batch", F.lit(batch))
-    dfs.write.mode("append").parquet(f"{path}/terms")
+    _all_lists(docs, key, text, batch).sortWithinPartitions("term", "shard").write.mode("append").parquet(f"{path}/postings")
+    new = _parts(docs.sparkSession.read.parquet(f"{path}/postings").filter(F.col("batch") == batch), batch)
+    new.terms.write.mode("append").parquet(f"{path}/terms")
     new.lengths.coalesce(1).write.mode("append").parquet(f"{path}/lengths")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "lengths")])
+    postings, terms, lengths = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "lengths"))
+    return Index(postings.filter(F.col("term") != ALL), terms, lengths)
 
 
 def _version(docs: DataFrame) -> str:

@@ -10,10 +10,12 @@ from strataframe.functions import extract as E
 from strataframe.functions import grounding as G
 from strataframe.functions import text as X
 from strataframe.operators import chunking as C
+from strataframe.operators import postings as P
 from strataframe.operators import retrieval as R
 from strataframe.operators import rules as D
 from strataframe.operators import store as S
 from strataframe.plans import query, spread
+from strataframe.session import shared_dir
 from strataframe.sources import files, html
 
 
@@ -444,7 +446,9 @@ def _(t):
     asked = t("benchmark").select("item_id").join(vectors, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
     dense = R.knn(rows, "doc_id", "embedding", asked, "item_id", "embedding", 10)
     known = t("benchmark").select("item_id", F.concat(F.lit("IS "), (F.col("item_id") + 1) % 40).alias("standard"))
-    return D.discover(products, "item_id", "name", docs, "doc_id", "text", "standard", "clause", titles, "title", known, k=5, dense=dense, facts="facts")
+    index = P.stored(t("documents"), "doc_id", "text", shared_dir(docs.sparkSession))
+    best = lambda asked, q_key, text, pool: P.search(index, asked, q_key, text, pool).withColumnRenamed("key", "doc_id")
+    return D.discover(products, "item_id", "name", docs, "doc_id", "text", "standard", "clause", titles, "title", known, k=5, dense=dense, facts="facts", lexical=best)
 
 
 @query("r10_titles", """

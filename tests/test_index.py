@@ -147,3 +147,25 @@ def test_years_anywhere_in_a_target(spark):
     edges = spark.createDataFrame([("std_120042",), ("v3",), (None,)], "target string")
     got = {r.id for r in temporal.superseded(versions, "id", F.col("year"), edges, "target").collect()}
     assert got == {"v1", "v3"}
+
+
+def test_words_are_dealt_once_for_an_index(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_DOCS", 20)
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} W{i % 3}, x") for i in range(60)] + [(60, None), (5, "w9 w9 x")], "id long, text string")
+    index = P.blocks(docs, "id", "text")
+    assert index.postings._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.term: r.df for r in index.terms.collect()}
+    assert got["x"] == 61 and got["w9"] == 1 and got["w6"] == 8 and P.ALL not in got
+    assert index.lengths.agg(F.sum("docs"), F.sum(F.col("dl") * F.col("docs"))).first()[:] == (62, 243)
+
+
+def test_discovery_through_an_index(spark):
+    from strataframe.operators import rules as D
+
+    docs = spark.createDataFrame([(1, "red water pump of brass", "IS 1", "4"), (2, "water pump test", "IS 1", "5"), (3, "lamp", "IS 2", "")], "id long, text string, std string, clause string")
+    titles = spark.createDataFrame([("IS 1", "Water pump"), ("IS 9", "Kettles")], "std string, title string")
+    products = spark.createDataFrame([(7, "water pump"), (8, "kettle")], "p long, name string")
+    known = spark.createDataFrame([(7, "IS 9")], "p long, std string")
+    words = lambda asked, q_key, text, pool: P.search(P.blocks(docs, "id", "text"), asked, q_key, text, pool).withColumnRenamed("key", "id")
+    scan, index = (sorted(map(tuple, D.discover(products, "p", "name", docs, "id", "text", "std", "clause", titles, "title", known, **how).collect())) for how in ({}, {"lexical": words}))
+    assert scan == index and len(scan) == 3
