@@ -19,6 +19,8 @@ from strataframe.functions.query import entities
 # Fixed values of the public Okapi formula, fusion and boosts.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+#: Parts of a term's documents in a scan.
+SALTS = 64
 BOOSTS = {"standard": 0.20, "year": 0.10, "clause": 0.15, "amendment": 0.10}
 
 
@@ -56,7 +58,9 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q
     words = docs.select(F.col(key), X.tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), "w")
     tf = words.select(key, "dl", F.explode_outer("w").alias("term")).join(terms, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weights, mean = idf(term_counts(docs, text))
-    hit = tf.join(wanted.join(weights.join(terms, "term", "left_semi"), "term"), "term")
+    # a frequent word of many documents meets its queries in SALTS tasks, not in one
+    asked = wanted.join(weights.join(terms, "term", "left_semi"), "term").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = tf.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(asked, ["term", "__salt"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     return hit.groupBy(q_key, key).agg(F.sum(part).alias("score"))
 

@@ -169,3 +169,13 @@ def test_discovery_through_an_index(spark):
     words = lambda asked, q_key, text, pool: P.search(P.blocks(docs, "id", "text"), asked, q_key, text, pool).withColumnRenamed("key", "id")
     scan, index = (sorted(map(tuple, D.discover(products, "p", "name", docs, "id", "text", "std", "clause", titles, "title", known, **how).collect())) for how in ({}, {"lexical": words}))
     assert scan == index and len(scan) == 3
+
+
+def test_a_scan_deals_a_frequent_word_over_many_tasks(spark, queries):
+    docs = spark.createDataFrame(texts(50), "id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = R.bm25(docs, "id", "text", queries, "q", "text")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(term" in plan and any("__salt" in x for x in plan.split("Exchange hashpartitioning(")[1:] for x in [x.split(")")[0]])
