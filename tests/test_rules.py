@@ -303,6 +303,19 @@ def test_specification_reader(spark):
     assert (p.material, p.dimensions, p.capacity, p.rating) == ("304", None, "12 L", None)
 
 
+def test_specifications_are_read_row_by_row(spark):
+    """No row waits for another: nothing is dealt anew or sorted over rows, and a key that comes twice keeps both its texts."""
+    from strataframe.functions import extract as E
+
+    df = spark.createDataFrame([(1, "mass: 5 kg\nlength is 5 to 7 mm, mass: 6 kg"), (1, "mass: 7 kg"), (None, "length is 1 to 2 mm; length is 3 to 4 mm"), (2, ",".join(f"n{i % 4000}: {i} kg" for i in range(8000)))], "id long, t string")
+    out = E.specification(df, "id", "t")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Aggregate" not in plan
+    rows = out.select("id", "name", "p.value", "p.lower", "p.upper").collect()
+    assert sorted((r.id or 0, r.name, r.value or 0, r.lower or 0, r.upper or 0) for r in rows if r.id != 2) == [(0, "length", 0, 1, 2), (1, "length", 0, 5, 7), (1, "mass", 6, 0, 0), (1, "mass", 7, 0, 0)]
+    assert {r.name: r.value for r in rows if r.id == 2} == {f"n{i}": 4000 + i for i in range(4000)} and len(rows) == 4004
+
+
 def test_answers_are_validated_whole(spark):
     answers = spark.createDataFrame([(1, "Wall thickness is 10mm [EV1]. It was tested [EV9].\n\n**Status: Currently in force**"), (2, "Not a claim with evidence.")], "id long, answer string")
     evidence = spark.createDataFrame([(1, "EV1", "Wall thickness is 12mm")], "id_ long, eid string, content string").selectExpr(
