@@ -144,15 +144,12 @@ def pack_lines(text: Column, most: int = MAX_CHARS) -> Column:
 
     A run of table rows stays in one piece where it fits; a longer table is cut
     between rows and repeats its header and separator in every piece. A longer
-    line stays whole. Sequential in a text, so it runs over Arrow batches, in
-    time linear in the text; NULL stays NULL.
+    line stays whole. Sequential in a text, so it runs in Python, in time linear
+    in the text; NULL stays NULL. Rows come 100 at a time: an Arrow batch holds
+    10,000 of them however long their texts are, and their pieces beside them.
     """
 
-    @F.pandas_udf("array<string>")
-    def fold(col: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _packed(t, most) for t in col])
-
-    return fold(text)
+    return F.udf(lambda t: None if t is None else _packed(t, most), "array<string>", useArrow=False)(text)
 
 
 def with_chunk_ids(df: DataFrame, doc: str, section: str, content: str, pos: str) -> DataFrame:

@@ -100,6 +100,15 @@ def test_tables_stay_whole_or_repeat_their_header(spark):
     assert [r[0] for r in df.select(C.pack_lines(F.col("t"), 5)).collect()] == [None, [""]]
 
 
+def test_packing_holds_few_texts_at_a_time(spark):
+    """No Arrow batch: it would hold 10,000 rows, whatever the length of their texts."""
+    text = "\n".join(["é€😀" * 20, "x" * 50, "| a |"])
+    out = spark.range(250).select("id", C.pack_lines(F.when(F.col("id") % 2 == 0, text), 80).alias("p"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+    assert {(r.id % 2, tuple(r.p or ())) for r in out.collect()} == {(0, ("é€😀" * 20, "x" * 50 + "\n| a |")), (1, ())}
+
+
 def test_folds_are_linear(spark):
     began = time.perf_counter()
     long = "\n".join(f"line {i}" for i in range(200_000))
