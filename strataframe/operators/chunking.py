@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import groupby
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,39 +55,37 @@ def section_texts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key, "section").agg(head.alias("heading"), F.trim(body).alias("body"), F.min_by("page", "pos").alias("page_start"), F.max(F.when(filled, F.col("page"))).alias("page_end"))
 
 
-def _merged(parts: list[tuple[str, str]], least: int, most: int) -> list[tuple[str, str]]:
-    out, open_ = [], None
-    for heading, body in parts:
-        if open_ is not None:
-            alone = not open_[1]
-            if alone or len(open_[1]) + len(body) <= most:
-                out.append((heading, f"{open_[0]}\n{body}") if alone else (open_[0], f"{open_[1]}\n{body}"))
-                open_ = None
-                continue
-            out.append(open_)
-            open_ = None
-        if len(body) < least:
-            open_ = (heading, body)
-        else:
-            out.append((heading, body))
-    return out if open_ is None else [*out, open_]
-
-
-def merge_sections(df: DataFrame, key: str, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
-    """key, sections: one pass over a document's sections in order.
+def merged_sections(df: DataFrame, key: str, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
+    """key, piece, heading, body: one pass over a document's sections in order.
 
     A section of a heading alone joins the next one and takes its heading; one
     under ``least`` characters joins the next when both fit ``most`` and keeps
-    its own heading. Both are used up by that. The fold is sequential in a
-    document, so it runs over Arrow batches, in time linear in its sections.
+    its own heading. Both are used up by that.
+
+    So a short section stays open unless the open one before it takes it in: in
+    a run of short ones that fit, every other one is open, beginning with the
+    last that can't be taken in. Windows tell that without a fold.
     """
+    w = Window.partitionBy(key).orderBy("section", "heading", "body")
+    rows = df.select(key, "section", "heading", F.coalesce("body", F.lit("")).alias("body")).withColumn("__n", F.length("body")).withColumn("__at", F.row_number().over(w))
+    before = F.lag("__n").over(w)
+    rows = rows.withColumn("__before", before).withColumn("__fits", F.coalesce((before == 0) | (before + F.col("__n") <= most), F.lit(False)))
+    short = F.col("__n") < least
+    first = F.last(F.when(~(short & F.col("__fits")), F.col("__at") + F.when(short, 0).otherwise(1)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__open", (F.col("__at") - first) % 2 == 0)
+    rows = rows.withColumn("__joins", F.coalesce(F.lag("__open").over(w), F.lit(False)) & F.col("__fits"))
+    alone = F.col("__before") == 0
+    heading = F.when(F.col("__joins") & ~alone, F.lag("heading").over(w)).otherwise(F.col("heading"))
+    body = F.when(F.col("__joins"), F.concat_ws("\n", F.when(alone, F.lag("heading").over(w)).otherwise(F.lag("body").over(w)), "body")).otherwise(F.col("body"))
+    piece = F.col("__at") - 1 - F.count_if("__joins").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.select(key, piece.cast("int").alias("piece"), heading.alias("heading"), body.alias("body"), F.coalesce(F.lead("__joins").over(w), F.lit(False)).alias("__gone"))
+    return out.filter("NOT __gone").drop("__gone")
 
-    @F.pandas_udf("array<struct<heading:string,body:string>>")
-    def fold(col: pd.Series) -> pd.Series:
-        return pd.Series([[{"heading": h, "body": b} for h, b in _merged([(x["heading"], x["body"]) for x in parts], least, most)] for parts in col])
 
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("section", "heading", "body"))), lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body")))
-    return df.groupBy(key).agg(ordered.alias("__parts")).select(key, fold("__parts").alias("sections"))
+def merge_sections(df: DataFrame, key: str, least: int = MIN_CHARS, most: int = MAX_CHARS) -> DataFrame:
+    """key, sections: ``merged_sections``, one row a document."""
+    parts = F.array_sort(F.collect_list(F.struct("piece", "heading", "body")))
+    return merged_sections(df, key, least, most).groupBy(key).agg(F.transform(parts, lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"))).alias("sections"))
 
 
 def _is_table(line: str) -> bool:

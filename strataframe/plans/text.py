@@ -59,7 +59,7 @@ def _(t):
 @query("w11_greedy_merge")
 def _(t):
     parts = C.section_texts(C.sections(C.carry_pages(_rendered(t), "doc_id"), "doc_id"), "doc_id")
-    return C.merge_sections(parts, "doc_id").select("doc_id", F.posexplode("sections").alias("piece", "s")).select("doc_id", "piece", "s.heading", F.length("s.body").alias("chars"))
+    return C.merged_sections(parts, "doc_id").select("doc_id", "piece", "heading", F.length("body").alias("chars"))
 
 
 @query("w12_pack")

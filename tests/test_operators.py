@@ -109,6 +109,22 @@ def test_packing_holds_few_texts_at_a_time(spark):
     assert {(r.id % 2, tuple(r.p or ())) for r in out.collect()} == {(0, ("é€😀" * 20, "x" * 50 + "\n| a |")), (1, ())}
 
 
+def test_sections_merge_without_python(spark):
+    """Windows over the sections, not documents of nested sections in Arrow batches; pieces are numbered without gaps, a null key included."""
+    rng = random.Random(7)
+    docs = {d: [(rng.choice(["", "h", "é"]) + str(i), rng.choice(["", "é€😀"]) * (n % 2) + "x" * n) for i, n in enumerate(rng.choices([0, 1, 6, 7, 9, 10, 15, 40], k=rng.randint(1, 40)))] for d in [None, *range(60)]}
+    df = spark.createDataFrame([(d, i, h, b) for d, s in docs.items() for i, (h, b) in enumerate(s)], "doc long, section long, heading string, body string").repartition(7)
+    out = C.merged_sections(df, "doc", 10, 25)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r.piece):
+        got.setdefault(r.doc, []).append((r.piece, r.heading, r.body))
+    assert got == {d: [(i, *p) for i, p in enumerate(merge_brute(s, 10, 25))] for d, s in docs.items()}
+    whole = C.merge_sections(df, "doc", 10, 25)
+    assert "Python" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc: [(s.heading, s.body) for s in r.sections] for r in whole.collect()} == {d: [p[1:] for p in ps] for d, ps in got.items()}
+
+
 def test_folds_are_linear(spark):
     began = time.perf_counter()
     long = "\n".join(f"line {i}" for i in range(200_000))
