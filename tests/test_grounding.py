@@ -1,5 +1,8 @@
 """Claims, quantities and checks of answers against their evidence."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from strataframe.functions import grounding as G
@@ -63,6 +66,35 @@ def test_claims_are_sentences_with_types_and_citations(spark):
     assert [r.x for r in blanks.select(G.claims(F.col("t")).alias("x")).collect()] == [[]] * 5
 
 
+def _claims_brute(t):
+    ws, cited = " \t\n\x0b\f\r", r"(?ai)\[(EV\d+|citation-\d+)\]"
+    below = re.search(r"(?ai)(?:Sources|References|स्रोत|संदर्भ)\s*:\s*((?:\[(?:EV\d+|citation-\d+)\][,\s]*)+)", t)
+    foot = [x.upper() for x in re.findall(cited, below[1])] if below else []
+    body = re.sub(r"(?ais)\n*(?:\*\*Sources:\*\*|Sources:|References:|स्रोत:|संदर्भ:).*\Z", "", t).strip(ws)
+    out = []
+    for part in re.split(r"(?a)(?<=[.!?।॥])\s+|\n{2,}|\n(?=[-*•]|\d+\.)", body):
+        s = re.sub(r"(?a)^[-*•\d.]+\s*", "", part.strip(ws)).strip(ws)
+        own, bare = [x.upper() for x in re.findall(cited, s)], re.sub(cited, "", s).strip(ws)
+        low = bare.lower()
+        line = low.strip("*: \t\n,")
+        if bare == "" or line in (*G.SOURCE_HEADS, *G.STATUS_LINES) or line.startswith((*G.SOURCE_STARTS, "status:")) or any(w in line for w in G.CONSUMER_TIPS):
+            continue
+        kind = "UNCERTAINTY" if any(w in low for w in G.UNCERTAIN) else "INTERPRETATION" if any(w in low for w in G.INTERPRETING) else "FACT"
+        out.append((f"C{len(out) + 1}", bare, kind, own or foot, not own and bool(foot)))
+    return out
+
+
+def test_claims_match_brute_force_without_patterns_of_phrases(spark):
+    """Phrases are searched for plainly: a pattern of sixteen of them, tried at every position, was most of the time."""
+    rng = random.Random(5)
+    bits = ["Sources:", "sources", "References : ", "**Sources:** ", "स्रोत: ", "संदर्भ", "[EV1]", "[ev2], ", "[citation-3]", "word", "It seems", "missing", "Verification required", "Status: ok", "BIS Care", "CURRENTLY in force"]
+    bits += [". ", "! ", "।", "\n", "\n\n", "\n- ", "\n2. ", " ", " ", "\t", ",", "*", "-", ": ", "\x0b", "• ", "s", "R", "é€😀"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", G.claims(F.col("t")).alias("c"))
+    assert df._jdf.queryExecution().analyzed().toString().count("RLIKE") == 1  # whether there is anything to read
+    assert {r.i: [tuple(c) for c in r.c] for r in df.collect()} == {i: _claims_brute(t) for i, t in enumerate(texts)}
+
+
 def test_supported_and_unsupported(spark):
     assert check(spark, "Clinical thermometers shall not exceed an error of 0.1 deg C .") == ("SUPPORTED", [], 1)
     status, issues, _ = check(spark, "Clinical thermometers must undergo submerged ultrasonic vibration testing .")
