@@ -448,3 +448,16 @@ def test_evidence_of_a_name_is_found_once(spark):
     assert {(r.req, r.doc, r.matched) for r in got.collect()} == {(i, f"d{d}", "Thick wall thickness") for i in range(50) for d in range(20)}
     words = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(" in line and "req" in line]
     assert not words  # words are cut of names, not of requirements
+
+
+def test_evidence_is_handed_out_by_many_tasks(spark):
+    """The rows of a hot scope and name are made by many tasks, whether requirements or documents are many."""
+    none = spark.createDataFrame([], "scope string, doc long, name string, value string, verdict string"), spark.createDataFrame([], "scope string, doc long, number string")
+    for asks, docs in ((12_000, 20), (4, 90_000)):
+        asked = spark.createDataFrame([(i, "s", "Wall thickness") for i in range(asks)], "r long, scope string, name string")
+        parameters = spark.createDataFrame([("s", i, 0, "wall-thickness", 1.0) for i in range(docs)], "scope string, doc long, pos int, name string, value double")
+        got = D.gather_evidence(asked, "r", "scope", "name", parameters, *none)
+        made = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum(F.col("req") * F.lit(docs) + F.col("doc")).alias("s")).collect()
+        n = asks * docs
+        assert sum(m.n for m in made) == n and sum(m.s for m in made) == n * (n - 1) // 2  # each pair is a number below n
+        assert len(made) >= 4 and max(m.n for m in made) <= n / 2
