r03_bm25_scan adds up a document's scores in its own task

Symptom: r03_bm25_scan spilled 126 MB over 0.51 GB of documents (453 MB held in one task) and was stopped for 2.3 GB of disk; the join of document words with queries, dealt by word, wrote a row for each shared word to a further shuffle, and the texts were read three times.
Evidence: the profiler, 0.51 GB: 2,113 MB shuffled and 126 MB spilled when stopped, 769,830 rows read; 0.10 GB: 664 MB shuffled, 1,452 CPU s/GB of tasks, no spill. Local run over 0.10 GB with one JVM: 684 MB shuffled, 370 MB spilled.
Fix: word counts of documents are dealt by document and up to 50,000 words of queries are broadcast to them, so the parts of a score meet without a shuffle; more words keep the salted shuffle join. Conditions on the term stay inside the aggregates of the statistics, so total, mean, floor and weights read one exchange.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 4044 -> 1687 s, shuffle 9.09 -> 2.27 GB, spill 7.46 -> 0.00 GB, read 2.90 -> 1.93 GB, longest task 141 -> 40 s, most memory of a task 1779 -> 1644 MB; at 6 GB of input CPU 24395 -> 9364 s, shuffle 63.56 -> 14.09 GB, spill 44.40 -> 0.00 GB, read 17.62 -> 11.76 GB, longest task 162 -> 62 s, most memory of a task 1745 -> 1644 MB; with hot keys, at 1 GB of input CPU 1596 -> 689 s, shuffle 3.16 -> 0.61 GB, spill 2.55 -> 0.00 GB, read 0.53 -> 0.35 GB, longest task 85 -> 28 s, most memory of a task 941 -> 973 MB.

@@ -19,8 +19,10 @@ from strataframe.functions.query import entities
 # Fixed values of the public Okapi formula, fusion and boosts.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Parts of a term's documents in a scan.
+#: Parts of a term's documents in a scan whose queries are not broadcast.
 SALTS = 64
+#: Words of queries that a scan broadcasts at most.
+HELD_TERMS = 50_000
 BOOSTS = {"standard": 0.20, "year": 0.10, "clause": 0.15, "amendment": 0.10}
 
 
@@ -33,18 +35,20 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
     words = docs.select(F.coalesce(X.tokens(F.col(text)), F.array().cast("array<string>")).alias("w"))  # by itself, so that it is made once
     each = F.array_append(F.array_distinct("w"), F.concat(F.lit(" "), F.size("w").cast("string")))
     # explode_outer: plain explode would evaluate its array once more, to filter out the empty ones
-    return words.select(F.explode_outer(each).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # no term is null; joins on it put the same filter here, so that all who read the counts share one exchange
+    return words.select(F.explode_outer(each).alias("term")).filter(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(counts: DataFrame) -> tuple[DataFrame, Column]:
     """term, idf from ``term_counts``, and the mean length: terms in over half of the documents get epsilon times the mean idf."""
+    # conditions on the term stand inside the aggregates: as filters they would go down to the texts, which then are read once for each
     is_length = F.startswith("term", F.lit(" "))
-    lengths = counts.filter(is_length)
-    total = lengths.agg(F.sum("df").cast("double")).scalar()
-    mean = lengths.agg(F.sum(F.col("df") * F.trim("term").cast("long")) / F.sum("df")).scalar()
-    raw = counts.filter(~is_length).select("term", F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    docs = F.sum(F.when(is_length, F.col("df")))
+    words = F.sum(F.when(is_length, F.col("df") * F.trim("term").cast("long")))
+    total, mean = counts.agg(docs.cast("double")).scalar(), counts.agg(words / docs).scalar()
+    raw = counts.select("term", F.when(~is_length, F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("raw"))
     floor = raw.agg(F.lit(EPSILON) * F.avg("raw")).scalar()
-    return raw.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")), mean
+    return raw.filter(F.col("raw").isNotNull()).select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")), mean
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q_text: str) -> DataFrame:
@@ -52,19 +56,31 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, q_key: str, q
 
     Two passes over the texts: one for the statistics of all documents, one
     whose words are cut to those of the queries before anything is grouped.
+    The parts of a document's scores meet in its own task, where up to
+    ``HELD_TERMS`` words of queries are broadcast; more are joined by shuffle.
     """
     wanted = queries.select(q_key, F.explode(X.tokens(F.col(q_text))).alias("term")).groupBy(q_key, "term").agg(F.count("*").alias("qtf"))
     terms = wanted.select("term").distinct()
     words = docs.select(F.col(key), X.tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), "w")
     tf = words.select(key, "dl", F.explode_outer("w").alias("term")).join(terms, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weights, mean = idf(term_counts(docs, text))
-    # a frequent word of many documents meets its queries in SALTS tasks, not in one
-    asked = wanted.join(weights.join(terms, "term", "left_semi"), "term").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = tf.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(asked, ["term", "__salt"])
+    asked = wanted.join(weights, "term")
+    if _held(wanted):
+        hit = tf.repartition(key).join(F.broadcast(asked), "term")
+    else:
+        # a frequent word of many documents meets its queries in SALTS tasks, not in one
+        asked = asked.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = tf.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(asked, ["term", "__salt"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     return hit.groupBy(q_key, key).agg(F.sum(part).alias("score"))
 
 
+def _held(wanted: DataFrame) -> bool:
+    """Whether the words of the queries are few enough to broadcast, and the session broadcasts at all."""
+    off = wanted.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().startswith("-")
+    return not off and wanted.limit(HELD_TERMS + 1).count() <= HELD_TERMS
+
+
 def top_k(df: DataFrame, per: str, k: int, *order: Column) -> DataFrame:
     """The first k rows of each group with their rank; Spark limits groups before the shuffle."""
     w = Window.partitionBy(per).orderBy(*order)

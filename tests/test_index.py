@@ -1,6 +1,7 @@
 """Stored indexes and the search for many strings, against brute force."""
 
 import random
+import re
 import time
 from collections import Counter
 
@@ -179,3 +180,22 @@ def test_a_scan_deals_a_frequent_word_over_many_tasks(spark, queries):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(term" in plan and any("__salt" in x for x in plan.split("Exchange hashpartitioning(")[1:] for x in [x.split(")")[0]])
+
+
+def test_a_scan_adds_up_a_document_in_its_task(spark, queries):
+    docs = spark.createDataFrame(texts(50), "id long, text string")
+    plan = R.bm25(docs, "id", "text", queries, "q", "text")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(q#\d+L?, id#", plan) and re.search(r"Exchange hashpartitioning\(id#\d+L?, \d+\), REPARTITION_BY_COL", plan)
+    # no condition on the term reaches the texts, so all statistics read one exchange
+    assert not re.search(r"Filter \([^\n]* AND (NOT )?StartsWith", plan)
+
+
+def test_a_scan_scores_alike_with_few_and_many_words_of_queries(spark, monkeypatch, queries):
+    odd = [(None, "w0 w1 w250"), (None, "w0 only"), (7, None), (7, ""), (400, "w5 w5 w17"), (400, "w5 w5 w17"), (401, "  ,; ")]
+    docs = spark.createDataFrame([*texts(40), *odd], "id long, text string")
+    asked = queries.unionByName(spark.createDataFrame([(None, "w0 w17"), (1, "w0 w0")], "q long, text string"))
+    score = lambda: {(r.q, r.id): round(r.score, 6) for r in R.bm25(docs, "id", "text", asked, "q", "text").collect()}
+    held = score()
+    monkeypatch.setattr(R, "HELD_TERMS", 1)
+    assert score() == held and (None, None) in held and (1, 400) not in held
+    assert R.bm25(docs.filter("false"), "id", "text", asked, "q", "text").count() == 0 == R.bm25(docs, "id", "text", asked.filter("false"), "q", "text").count()
