@@ -155,7 +155,8 @@ def weights(index: Index) -> tuple[DataFrame, Column]:
     """term, df, idf of the whole index and the mean length; of the postings nothing is read."""
     n = F.sum("docs")
     total, mean = index.lengths.agg(n.cast("double")).scalar(), index.lengths.agg(F.sum(F.col("dl") * F.col("docs")) / n).scalar()
-    raw = index.terms.groupBy("term").agg(F.sum("df").alias("df")).select("term", "df", F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    # no term is null; joins on it put the same filter here, so that floor and weights share one exchange
+    raw = index.terms.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df")).select("term", "df", F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg(F.lit(EPSILON) * F.avg("raw")).scalar()
     return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")), mean
 

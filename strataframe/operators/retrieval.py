@@ -202,12 +202,14 @@ def texts_containing(docs: DataFrame, key: str, text: str, items: DataFrame, i_k
     inner = items.select(i_key, F.split(i_text, r"\s+").alias("w"))
     words = inner.select(i_key, F.explode(F.when(F.size("w") > 2, F.slice("w", 2, F.size("w") - 2)).otherwise(F.col("w"))).alias("term")).distinct()
     posts = docs.select(key, F.explode_outer(F.array_distinct(F.split(F.col(text), r"\s+"))).alias("term"))
-    # dealt by term once: the counts and the look-up read the same exchange
+    # dealt by term once: the counts and the look-up read the same exchange, as both need the key and neither drops its nulls
     posts = posts.join(words.select("term").distinct(), "term", "left_semi").repartition("term")
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    df = posts.groupBy("term").agg((F.count(key) + F.count_if(F.col(key).isNull())).alias("df"))
     rare = words.join(df, "term").groupBy(i_key).agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    found = posts.join(rare, "term").select(i_key, key)
-    return found.join(items.select(i_key, F.col(i_text).alias("__item")), i_key).join(docs.select(key, F.col(text).alias("__text")), key).filter(F.contains("__text", "__item")).select(i_key, key)
+    # a struct of the key is never null, so no filter on the key goes down to the posts; null keys end here, at the texts
+    found = posts.join(rare, "term").select(i_key, F.struct(key).alias("__doc"))
+    whole = docs.filter(F.col(key).isNotNull()).select(key, F.struct(key).alias("__doc"), F.col(text).alias("__text"))
+    return found.join(items.select(i_key, F.col(i_text).alias("__item")), i_key).join(whole, "__doc").filter(F.contains("__text", "__item")).select(i_key, key)
 
 
 def embed(df: DataFrame, text: str, model, out: str = "embedding", dim: int | None = None) -> DataFrame:

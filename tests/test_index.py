@@ -199,3 +199,22 @@ def test_a_scan_scores_alike_with_few_and_many_words_of_queries(spark, monkeypat
     monkeypatch.setattr(R, "HELD_TERMS", 1)
     assert score() == held and (None, None) in held and (1, 400) not in held
     assert R.bm25(docs.filter("false"), "id", "text", asked, "q", "text").count() == 0 == R.bm25(docs, "id", "text", asked.filter("false"), "q", "text").count()
+
+
+def test_weights_read_the_terms_in_one_way(spark, tmp_path, queries):
+    P.append(spark.createDataFrame(texts(50), "id long, text string"), "id", "text", str(tmp_path / "i"))
+    idf, _ = P.weights(P.load(spark, str(tmp_path / "i")))
+    plan = queries.selectExpr("explode(split(text, ' ')) AS term").join(idf, "term")._jdf.queryExecution().executedPlan().toString()
+    reads = [x for x in plan.splitlines() if "FileScan" in x and "df:bigint" in x]
+    assert len(reads) > 1 and all("IsNotNull(term)" in x for x in reads)  # floor and weights share one exchange
+
+
+def test_contained_items_read_the_posts_once(spark, tmp_path):
+    rows = [(1, "a b c d e"), (2, "x a b c d"), (2, "b c d"), (2, "x a b c d"), (None, "a b c d"), (3, None), (4, ""), (5, "a b  c d"), (6, "foo barx"), (7, "bar"), (None, "bar")]
+    spark.createDataFrame(rows, "id long, text string").write.parquet(str(tmp_path / "d"))
+    items = spark.createDataFrame([(1, "a b c d"), (2, "b c"), (3, None), (4, "foo bar"), (None, "a b"), (5, "none of it"), (1, "b c d e")], "item long, text string")
+    got = R.texts_containing(spark.read.parquet(str(tmp_path / "d")), "id", "text", items, "item", "text")
+    # "foo" is rarer than "bar" only with the document of no id
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (4, 6)}
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"ReusedExchange \[id#\d+L?, term#\d+\], Exchange hashpartitioning\(term", final)
